@@ -109,20 +109,22 @@ def segments(units: np.ndarray, offsets: np.ndarray, length: int, k: int, grams)
 
 
 def hash_prefix(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(H, P) such that range_hash() can hash any range of units."""
+    """(H, Q) such that range_hash() can hash any range of units."""
     n = len(units)
-    p = np.full(n + 1, M1 | np.uint64(1), np.uint64)
-    p[0] = 1
-    p = np.cumprod(p, dtype=np.uint64)
+    base = int(M1) | 1
+    p, q = np.full(n + 1, base, np.uint64), np.full(n + 1, pow(base, -1, 1 << 64), np.uint64)
+    p[0] = q[0] = 1
+    np.cumprod(p, out=p)
+    np.cumprod(q, out=q)
     h = np.zeros(n + 1, np.uint64)
-    np.cumsum((units.astype(np.uint64) + np.uint64(1)) * p[:n], out=h[1:], dtype=np.uint64)
-    return h, p
+    np.cumsum((units.astype(np.uint64) + np.uint64(1)) * p[:n], out=h[1:])
+    return h, q
 
 
-def range_hash(hp: tuple[np.ndarray, np.ndarray], start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Position-free hash of units[start:stop] for arrays of ranges: sums are brought to the block's end."""
-    h, p = hp
-    return mix((h[stop] - h[start]) * p[len(p) - 1 - start] + (stop - start).astype(np.uint64) * M2)
+def range_hash(hq: tuple[np.ndarray, np.ndarray], start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hash of units[start:stop] for arrays of ranges, the same wherever the range stands."""
+    h, q = hq
+    return mix((h[stop] - h[start]) * q[start] + (stop - start).astype(np.uint64) * M2)
 
 
 @dataclass
@@ -217,3 +219,18 @@ def cut(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     s, n, at = start[keep], size[keep], (ends - size)[keep]
     step[at] = s - np.r_[0, s[:-1] + n[:-1] - 1]
     return data[np.cumsum(step)]
+
+
+def choose(b, masks: dict[int, bytes], shards: int) -> None:
+    """Chooses a block's segments whose anchor occurs in two documents, and orders their distinct texts by shard."""
+    bounds = shard_bounds(b.keys, shards)
+    hit = np.zeros(len(b.keys), bool)
+    for s, m in masks.items():
+        hit[bounds[s] : bounds[s + 1]] = from_bits(m, bounds[s + 1] - bounds[s])
+    chosen = np.flatnonzero(hit[np.searchsorted(b.keys, b.seg.anchor)]) if len(b.keys) else np.zeros(0, np.int64)
+    b.distinct = d = distinct_texts(b.seg, chosen, b.units, b.ids, b.length)
+    by = np.argsort(b.seg.anchor[d.first], kind="stable")
+    back = np.empty(len(by), np.int64)
+    back[by] = np.arange(len(by))
+    d.first, d.low, d.of = d.first[by], d.low[by], back[d.of] if len(by) else d.of
+    b.shard_at = shard_bounds(b.seg.anchor[d.first], shards)

@@ -197,21 +197,7 @@ class Block:
         return self
 
     def pick(self, masks: dict[int, bytes], shards: int):
-        """Chooses the segments whose anchor occurs in two documents."""
-        self.bounds = A.shard_bounds(self.keys, shards)
-        hit = np.zeros(len(self.keys), bool)
-        for s, m in masks.items():
-            a, b = self.bounds[s], self.bounds[s + 1]
-            hit[a:b] = A.from_bits(m, b - a)
-        chosen = np.flatnonzero(hit[np.searchsorted(self.keys, self.seg.anchor)]) if len(self.keys) else np.zeros(0, np.int64)
-        self.distinct = A.distinct_texts(self.seg, chosen, self.units, self.ids, self.length)
-        # in the order of anchors, so that each shard has a range
-        d = self.distinct
-        by = np.argsort(self.seg.anchor[d.first], kind="stable")
-        back = np.empty(len(by), np.int64)
-        back[by] = np.arange(len(by))
-        d.first, d.low, d.of = d.first[by], d.low[by], back[d.of] if len(by) else d.of
-        self.shard_at = A.shard_bounds(self.seg.anchor[d.first], shards)
+        A.choose(self, masks, shards)
         return self
 
     def texts(self, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
