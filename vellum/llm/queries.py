@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .phrases import op4_query
 from .simhash import op8_query
 from .suffix_array import op1_query
 
 QUERIES = {
     "op1_suffix_array_dedup": op1_query,
+    "op4_phrase_automata": op4_query,
     "op8_simhash_pivots": op8_query,
 }
 
