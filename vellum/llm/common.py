@@ -53,24 +53,49 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def held_out(doc_id: Column | str = "doc_id") -> Column:
+def held_out(doc_id: str = "doc_id") -> Column:
     """True for the quarter of the labelled rows that no model may learn from."""
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False)) if isinstance(doc_id, str) else F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int) -> list[tuple[str, int]]:
-    """(text, label) of labelled rows that aren't held out: per class, the per_class rows of smallest hash.
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[DataFrame, list[int]]:
+    """(doc_id, text, y) of labelled rows that aren't held out, and how many there are of each class.
 
-    The sample is bounded by per_class rows of max_chars characters each, so the driver can hold it. Rows without
-    a label of 0 or 1 don't count; a document that is labelled twice counts once for each label.
+    Per class the sample is the per_class rows of smallest hash; texts are whole. Rows without a label of 0 or 1 don't
+    count; a document that is labelled twice counts once for each label.
     """
     y = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col(label).cast("int").alias("y")).distinct()
+    counts = {r.y: r["count"] for r in y.groupBy("y").count().collect()}
     drawn = None
     for k in (0, 1):
         one = y.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         drawn = one if drawn is None else drawn.unionByName(one)
-    rows = documents.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, max_chars).alias("text")).join(F.broadcast(drawn), "doc_id").orderBy("doc_id", "y", "text").collect()
-    return [(r.text, r.y) for r in rows]
+    rows = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")
+    return rows, [counts.get(0, 0), counts.get(1, 0)]
+
+
+def fit_logistic(x, y, weight, rounds: int = 50, ridge: float = 1e-3):
+    """Coefficients of a weighted logistic regression with an intercept, by Newton's method."""
+    import numpy as np
+
+    x = np.c_[np.asarray(x, float), np.ones(len(x))]
+    b = np.zeros(x.shape[1])
+    keep = np.full(len(b), ridge)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+        h = (x * (weight * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ x + np.diag(keep)
+        step = np.linalg.solve(h, x.T @ (weight * (y - p)) - keep * b)
+        b += step
+        if np.abs(step).max() < 1e-8:
+            break
+    return b
+
+
+def probability(x, b):
+    import numpy as np
+
+    x = np.c_[np.asarray(x, float), np.ones(len(x))]
+    return 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
