@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import OP10_SQL, op10_query
 from .compression import op6_query
 from .decontaminate import OP7_SQL, op7_query
+from .forest import op5_query
 from .html_text import op2_query
 from .nbsvm import op3_query
 from .packing import op9_query
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_html_consensus_paths": op2_query,
     "op3_quality_nbsvm": op3_query,
     "op4_phrase_automata": op4_query,
+    "op5_projection_forest": op5_query,
     "op6_toxicity_compression": op6_query,
     "op7_minhash_decontamination": op7_query,
     "op8_simhash_pivots": op8_query,

@@ -126,6 +126,14 @@ def near_duplicates(documents: DataFrame, words: int = 3, most: int = 3) -> Data
     return rows.join(reps, "fp").select(given_id("id").alias("doc_id"), "fp", given_id("component").alias("component_id"))
 
 
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """The document of smallest doc_id of each group of near duplicates; of rows that share a doc_id, the first in the order of their columns."""
+    found = near_duplicates(documents)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(filled_id("doc_id").alias("__id")).distinct()
+    rows = documents.join(kept, filled_id("doc_id") == kept["__id"], "left_semi")
+    return rows.groupBy(filled_id("doc_id").alias("__id")).agg(F.min(F.struct(*documents.columns)).alias("r")).select("r.*")
+
+
 def op8_query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
