@@ -143,8 +143,8 @@ def shard_runs(parts: list[dict], least: int) -> list[tuple[bytes, bytes, bytes]
     anchor, size, low = (np.concatenate([p[k] for p in parts]) for k in ("anchor", "size", "low"))
     data = np.concatenate([p["data"] for p in parts])
     begin = np.cumsum(size) - size
-    # equal texts of several blocks become one
-    key = A.range_hash(A.hash_prefix(data), begin, begin + size) ^ A.mix(anchor)
+    # equal texts of several blocks become one; the hash's arrays are a block's, not the shard's
+    key = np.concatenate([A.range_hash(A.hash_prefix(p["data"]), np.cumsum(p["size"]) - p["size"], np.cumsum(p["size"])) for p in parts]) ^ A.mix(anchor)
     order = np.lexsort((key, anchor))
     k, a = key[order], anchor[order]
     new = np.r_[True, (k[1:] != k[:-1]) | (a[1:] != a[:-1])]
