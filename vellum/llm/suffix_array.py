@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from . import anchors as A
 from .common import filled_id, given_id, partitions
@@ -186,6 +187,7 @@ class Block:
 
     def __init__(self, t: pa.Table):
         t = t.sort_by([("id", "ascending"), ("bytes", "ascending")])
+        self.table = t
         self.ids = t.column("id").to_numpy()
         self.data, self.offsets = A.texts_of(t.column("bytes"))
         self.units, self.unit_offsets = self.data, self.offsets
@@ -288,9 +290,10 @@ def repeated_runs(rows: DataFrame, make, runs_of, finish, out_schema: str) -> Da
     return rows.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(lambda t, r: end(t, r) if t.num_rows else None, out_schema)
 
 
-def blocks_of(documents: DataFrame) -> DataFrame:
+def blocks_of(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (id, bytes, x0, x1, ..., block); x0, x1, ... are the columns to carry."""
     n = BLOCKS * partitions(documents.sparkSession)
-    rows = documents.select(filled_id("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("bytes"))
+    rows = documents.select(filled_id("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("bytes"), *(F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(carry)))
     return rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)))
 
 
@@ -353,12 +356,32 @@ def _finish(b: Block, each, length, doc) -> pa.Table:
     return pa.table([pa.array(b.ids), pa.array(np.diff(b.offsets)), pa.array(removed), pa.array(spans), pa.array(sha, pa.string()), spans_, pa.array(kept, pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
 
 
+OUT = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>, kept binary"
+
+
 def dedup_substrings(documents: DataFrame) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte ranges removed) and text (what stays)."""
-    out = repeated_runs(blocks_of(documents), Block, lambda parts: shard_runs(parts, MIN_LENGTH), _finish, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>, kept binary")
+    out = repeated_runs(blocks_of(documents), Block, lambda parts: shard_runs(parts, MIN_LENGTH), _finish, OUT)
     return out.select(given_id("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", F.col("kept").cast("string").alias("text"))
 
 
+def without_repeats(documents: DataFrame) -> DataFrame:
+    """The documents with what stays as their text (and its length as n_chars, if there is such a column)."""
+    other = tuple(c for c in documents.columns if c not in ("doc_id", "text", "n_chars"))
+    kinds = StructType([StructField("id", LongType()), StructField("kept", BinaryType()), *(StructField(f"x{i}", documents.schema[c].dataType) for i, c in enumerate(other))])
+
+    def finish(b: Block, each, length, doc) -> pa.Table:
+        t = _finish(b, each, length, doc).select(["id", "kept"])
+        for i in range(len(other)):
+            t = t.append_column(f"x{i}", b.table.column(f"x{i}"))
+        return t
+
+    out = repeated_runs(blocks_of(documents, other), Block, lambda parts: shard_runs(parts, MIN_LENGTH), finish, kinds)
+    text = F.col("kept").cast("string")
+    made = {"doc_id": given_id("id"), "text": text, "n_chars": F.length(text)} | {c: F.col(f"x{i}") for i, c in enumerate(other)}
+    return out.select(*(made[f.name].cast(f.dataType).alias(f.name) for f in documents.schema))
+
+
 def op1_query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
