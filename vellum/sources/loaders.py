@@ -36,9 +36,16 @@ def binary(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame
 def read_text(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
     """One row for each file, its text whole."""
     if encoding.lower().replace("-", "") == "utf8":
-        df = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+        df = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
         return _named(df.select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("__p")), F.col("__p")).drop("__p")
-    return binary(spark, path).withColumn("text", F.decode("content", encoding)).drop("content")
+    # decode() of Spark 4 knows few encodings
+    b = binary(spark, path).select("content", "source", "filename", "doc_id", "extension")
+
+    def run(batches):
+        for x in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([c.decode(encoding) for c in x.column(0).to_pylist()], pa.string()), *x.columns[1:]], ["text", "source", "filename", "doc_id", "extension"])
+
+    return b.mapInArrow(run, "text string, source string, filename string, doc_id string, extension string")
 
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
@@ -51,7 +58,7 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
 
 def read_json(spark: SparkSession, path: str, text_key: str = "text", id_key: str = "id", metadata_keys: tuple[str, ...] = ()) -> DataFrame:
     """The objects of JSON files (a list or one object): those with a text, ids from the key or {stem}_{idx}, idx counting all."""
-    raw = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+    raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     raw = _named(raw.select(F.regexp_replace("value", "^﻿", "").alias("value"), F.col("_metadata.file_path").alias("__p")), F.col("__p")).drop("__p")
     one = MapType(StringType(), StringType())
     many = F.from_json("value", ArrayType(one))
