@@ -45,7 +45,7 @@ class WordBlock:
         edge[offsets] = True
         start = np.flatnonzero(word[1:-1] & (~word[:-2] | edge[:-1]))
         stop = np.flatnonzero(word[1:-1] & (~word[2:] | edge[1:])) + 1
-        self.units = A.range_hash(A.hash_prefix(data), start, stop)
+        self.units = A.range_hashes(data, start, stop)
         self.unit_offsets = np.searchsorted(start, offsets)
         # words joined by one space
         self.data = A.cut(np.r_[data, np.uint8(32)], start, stop - start + 1).copy()

@@ -31,8 +31,9 @@ MIN_LENGTH = 50
 GRAM = 16
 #: Symbols of a portion; a group of one anchor that is larger makes a portion of its own.
 PORTION = 300_000
-#: Blocks for each shuffle partition: a block's arrays, some ten times its text, are held at once.
-BLOCKS = 4
+#: Blocks for each shuffle partition: a block's arrays, some ten times its text, are held at once. A block
+#: answers each shard with a row, so more blocks mean more rows.
+BLOCKS = 2
 
 
 def suffix_order(sym: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -145,7 +146,7 @@ def shard_runs(parts: list[dict], least: int) -> list[tuple[bytes, bytes, bytes]
     data = np.concatenate([p["data"] for p in parts])
     begin = np.cumsum(size) - size
     # equal texts of several blocks become one; the hash's arrays are a block's, not the shard's
-    key = np.concatenate([A.range_hash(A.hash_prefix(p["data"]), np.cumsum(p["size"]) - p["size"], np.cumsum(p["size"])) for p in parts]) ^ A.mix(anchor)
+    key = np.concatenate([A.range_hashes(p["data"], np.cumsum(p["size"]) - p["size"], np.cumsum(p["size"])) for p in parts]) ^ A.mix(anchor)
     order = np.lexsort((key, anchor))
     k, a = key[order], anchor[order]
     new = np.r_[True, (k[1:] != k[:-1]) | (a[1:] != a[:-1])]
