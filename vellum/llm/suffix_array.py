@@ -86,7 +86,7 @@ def common_prefixes(sym: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray
     for i in range(known):
         alive &= s[order[at] + i] == s[order[at - 1] + i]
         same += alive
-    same = np.minimum(same, known - 1)
+    at, same = at[~alive], same[~alive]  # the keys may hold more symbols than count
     prefix[at] = same
     # the transform and its last-to-first mapping
     bwt = sym[order - 1]
