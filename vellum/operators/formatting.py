@@ -109,6 +109,9 @@ def formulas(forms: DataFrame) -> DataFrame:
         ("missing_formula_number", "warning", (number == "") & F.col("raw_equation_number").isNull()),
         ("appendix_formula_numbering_error", "warning", F.col("want").isNotNull() & (number != F.col("want"))),
         ("formula_where_colon", "info", where.startswith("где:")),
+        # "где" is followed by a name, a dash and what it means; a line must not end or begin with an operator twice over
+        ("formula_explanation_format_error", "warning", where.startswith("где") & ~where.rlike(r"^где:?\s+\S{1,12}\s+[-—–]\s+\S")),
+        ("formula_break_invalid", "warning", squeeze("text").rlike(r"[=+*/×-]\s*$")),
     ])
 
 
@@ -248,6 +251,30 @@ def headings(sections: DataFrame, heading_layout: DataFrame) -> DataFrame:
     ])
 
 
+def heading_layouts(sections: DataFrame, heading_layout: DataFrame, layout: DataFrame) -> DataFrame:
+    """Indent, colour and line breaks of headings, from the layout of their paragraph."""
+    at = layout.select("doc_id", "paragraph_index", "first_line_indent_mm", "has_non_black_text", F.col("text").alias("line"))
+    s = sections.join(heading_layout.select("doc_id", "section_id", "paragraph_index"), ["doc_id", "section_id"]).join(at, ["doc_id", "paragraph_index"])
+    structural, appendix = folded("title").isin(STRUCTURAL), folded("title").startswith("приложение")
+    indent = F.col("first_line_indent_mm")
+    return found(s, [
+        ("appendix_heading_single_line", "warning", appendix & (folded("title") != "приложение") & ~F.contains("line", F.lit("\n")) & squeeze("line").rlike(r"(?iu)^приложение\s+\S\s+\S")),
+        ("structural_heading_has_indent", "info", structural & (F.abs(indent) > 0.5)),
+        ("structural_heading_invalid_font_color", "info", structural & F.col("has_non_black_text")),
+        ("main_heading_indent_invalid", "info", ~structural & ~appendix & (F.abs(indent - INDENT) > INDENT_TOLERANCE)),
+        ("heading_invalid_font_color", "info", ~structural & F.col("has_non_black_text")),
+    ])
+
+
+def appendix_references(sections: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """Appendices that no text refers to by their letter."""
+    a = sections.where(folded("title").startswith("приложение")).withColumn("letter", F.lower(F.regexp_extract("title", r"(?iu)^приложение\s+([А-ЯЁA-Z])(?!\p{L})", 1)))
+    p = paragraphs.select("doc_id", F.lower("text").alias("t"))
+    said = F.regexp(F.col("t"), F.concat(F.lit(r"(?u)приложени\p{L}*\s+"), F.col("letter"), F.lit(r"(?!\p{L})")))
+    hit = a.where("letter <> ''").join(p, "doc_id").where(said).select("doc_id", "ord").distinct()
+    return a.join(hit, ["doc_id", "ord"], "left_anti").select("doc_id", "ord", F.lit("missing_appendix_reference").alias("subtype"), F.lit("info").alias("severity"))
+
+
 def missing_numbers(sections: DataFrame) -> DataFrame:
     """Sections without a number on a level where two others have one; structural parts and appendices need none."""
     some = F.count_if(F.coalesce("number", F.lit("")) != "").over(W.partitionBy("doc_id", "level")) >= 2
@@ -277,7 +304,7 @@ def issue_id(df: DataFrame) -> DataFrame:
 
 
 def check_formatting(docs, sections, paragraphs, figs, tabs, layout, table_layout, page_layout, numbering, forms, heading_layout) -> DataFrame:
-    parts = [figures(figs, layout), figure_numbering(figs).drop("number"), figure_references(figs, paragraphs), tables(tabs, table_layout), formulas(forms), formula_numbering(forms), missing_contents(docs, sections, paragraphs, layout), missing_title_page(docs, layout), not_justified(layout), page_size(page_layout), margins(page_layout), page_numbering(numbering), typography(paragraphs, layout), enumerations(paragraphs, layout), reference_section(docs, sections), headings(sections, heading_layout), missing_numbers(sections)]
+    parts = [figures(figs, layout), figure_numbering(figs).drop("number"), figure_references(figs, paragraphs), tables(tabs, table_layout), formulas(forms), formula_numbering(forms), missing_contents(docs, sections, paragraphs, layout), missing_title_page(docs, layout), not_justified(layout), page_size(page_layout), margins(page_layout), page_numbering(numbering), typography(paragraphs, layout), enumerations(paragraphs, layout), reference_section(docs, sections), headings(sections, heading_layout), heading_layouts(sections, heading_layout, layout), appendix_references(sections, paragraphs), missing_numbers(sections)]
     refs = formula_references(forms, paragraphs).where("status <> 'ok'").select("doc_id", "ord", F.when(F.col("status") == "invalid", "invalid_formula_reference_format").otherwise("missing_formula_reference").alias("subtype"), F.lit("info").alias("severity"))
     every = refs
     for p in parts:

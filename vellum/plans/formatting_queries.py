@@ -69,7 +69,7 @@ Q["formula_checks"] = (
     lambda spark, d: _three(K.formulas(fixture(spark, "fx_formulas"))),
     _sql(values("fx_formulas"), """SELECT f.*, coalesce(equation_number, '') AS num, lower(trim(coalesce(next_text, ''))) AS nxt, CASE WHEN equation_number IS NOT NULL AND appendix_letter IS NOT NULL THEN appendix_letter || '.' || sum(CASE WHEN equation_number IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, appendix_letter ORDER BY ord) END AS want FROM fx_formulas f""", [
         ("formula_not_standalone", "NOT is_standalone"), ("formula_not_centered", "is_standalone AND alignment <> 'center'"), ("formula_missing_blank_lines", "NOT (prev_blank AND next_blank)"), ("formula_number_format_error", "num = '' AND raw_equation_number IS NOT NULL"),
-        ("missing_formula_number", "num = '' AND raw_equation_number IS NULL"), ("appendix_formula_numbering_error", "want IS NOT NULL AND num <> want"), ("formula_where_colon", "starts_with(nxt, 'где:')"),
+        ("missing_formula_number", "num = '' AND raw_equation_number IS NULL"), ("appendix_formula_numbering_error", "want IS NOT NULL AND num <> want"), ("formula_where_colon", "starts_with(nxt, 'где:')"), ("formula_explanation_format_error", r"starts_with(nxt, 'где') AND NOT regexp_matches(nxt, '^где:?\s+\S{1,12}\s+[-—–]\s+\S')"), ("formula_break_invalid", r"regexp_matches(trim(text), '[=+*/×-]\s*$')"),
     ]),
 )
 Q["formula_numbering"] = (
@@ -139,6 +139,17 @@ Q["headings"] = (
         ("structural_heading_not_centered", f"{_STRUCT} AND alignment <> 'center'"), ("main_heading_centered", f"NOT {_STRUCT} AND NOT starts_with(f, 'приложение') AND alignment = 'center'"), ("invalid_appendix_heading", "starts_with(f, 'приложение') AND NOT regexp_matches(lower(t), '^приложение(\\s+[а-яёa-z]([^\\p{L}]|$).*|\\s*[-–—]\\s*.+|\\s+.+)?$')"),
     ]),
 )
+Q["heading_layouts"] = (
+    lambda spark, d: _three(K.heading_layouts(*_fx(spark, "fx_sections", "fx_heading_layout", "fx_para_layout"))),
+    _sql(values('fx_sections', 'fx_heading_layout', 'fx_para_layout'), f"SELECT s.*, {_FOLD.format('title')} AS f, l.first_line_indent_mm AS ind, l.has_non_black_text AS color, l.text AS line FROM fx_sections s JOIN fx_heading_layout h ON s.doc_id = h.doc_id AND s.section_id = h.section_id JOIN fx_para_layout l ON l.doc_id = h.doc_id AND l.paragraph_index = h.paragraph_index", [
+        ("structural_heading_has_indent", f"{_STRUCT} AND abs(ind) > 0.5"), ("structural_heading_invalid_font_color", f"{_STRUCT} AND color"), ("main_heading_indent_invalid", f"NOT {_STRUCT} AND NOT starts_with(f, 'приложение') AND abs(ind - 12.5) > 1.5"), ("heading_invalid_font_color", f"NOT {_STRUCT} AND color"),
+    ]),
+)
+Q["appendix_references"] = (
+    lambda spark, d: _three(K.appendix_references(*_fx(spark, "fx_sections", "fx_paragraphs"))),
+    f"""WITH {values('fx_sections', 'fx_paragraphs')}, a AS (SELECT *, regexp_extract(lower(title), '^приложение\\s+([а-яёa-z])([^\\p{{L}}]|$)', 1) AS letter FROM fx_sections WHERE starts_with(lower(title), 'приложение'))
+    SELECT doc_id, ord, 'missing_appendix_reference' AS subtype FROM a WHERE letter = '' OR NOT EXISTS (SELECT 1 FROM fx_paragraphs p WHERE p.doc_id = a.doc_id AND regexp_matches(lower(p.text), 'приложени\\p{{L}}*\\s+' || letter || '([^\\p{{L}}]|$)'))""",
+)
 Q["missing_section_numbers"] = (
     lambda spark, d: _three(K.missing_numbers(fixture(spark, "fx_sections"))),
     f"WITH {values('fx_sections')}, s AS (SELECT *, {_FOLD.format('title')} AS f, count(*) FILTER (number <> '') OVER (PARTITION BY doc_id, level) AS n FROM fx_sections) SELECT doc_id, ord, 'missing_section_number' AS subtype FROM s WHERE n >= 2 AND number = '' AND NOT {_STRUCT} AND NOT starts_with(f, 'приложение')",

@@ -203,14 +203,83 @@ def _set_text(p, text: str) -> None:
     t.text = text
 
 
+#: A sentence that leads up to a formula, the formula, and what follows it.
+SENTENCE = re.compile(r"^(.*?(?:формуле|формула|равно|имеем|получаем|:)\s+)?([^=]{1,40}=.*?)(?:([,.;]\s*где\b.*|\.\s+[А-ЯЁA-Z].*))?$", re.S | re.I)
+
+
+def _split(body, p, text: str, number: str | None) -> None:
+    """An inline formula in a centred paragraph of its own: what is before it and after it become its neighbours."""
+    m = SENTENCE.match(text.strip())
+    if not m:
+        return
+    before, formula, after = (x.strip() if x else "" for x in m.groups())
+    formula = formula.rstrip(" .,;")
+    _set_text(p, formula + (f" ({number})" if number and not re.search(r"\([^()]*\d\)$", formula) else ""))
+    _child(_child(p, W + "pPr"), W + "jc").set(W + "val", "center")
+    at = list(body).index(p)
+    for place, words in ((at + 1, after.lstrip(",.; ")), (at, before)):
+        if words:
+            new = ET.Element(W + "p")
+            _set_text(new, words)
+            body.insert(place, new)
+
+
+FOOTER = f'<?xml version="1.0" encoding="UTF-8"?><w:ftr xmlns:w="{W[1:-1]}"><w:p><w:pPr><w:jc w:val="center"/></w:pPr><w:r><w:fldChar w:fldCharType="begin"/></w:r><w:r><w:instrText>PAGE</w:instrText></w:r><w:r><w:fldChar w:fldCharType="end"/></w:r></w:p></w:ftr>'
+
+
+def _page_fields(src: zipfile.ZipFile, body, parts: dict[str, bytes], op: str) -> None:
+    """A centred page number in the first section's footer, or headers without one."""
+    rels_name, names = "word/_rels/document.xml.rels", set(src.namelist())
+    read = lambda n: parts.get(n) or src.read(n)
+    space = "http://schemas.openxmlformats.org/package/2006/relationships"
+    rels = ET.fromstring(read(rels_name)) if rels_name in names or rels_name in parts else ET.Element(f"{{{space}}}Relationships")
+    target = {r.get("Id"): f"word/{r.get('Target')}" for r in rels}
+    sections = list(body.iter(W + "sectPr"))
+    if op == "clear_header_field":
+        for s in sections:
+            for h in s.findall(W + "headerReference"):
+                n = target.get(h.get(R + "id"))
+                if n in names and _page_field(read(n)):
+                    x = ET.fromstring(read(n))
+                    for q in x.iter(W + "p"):
+                        for c in list(q):
+                            if c.tag == W + "fldSimple" or c.tag == W + "r" and any(k.tag in (W + "instrText", W + "fldChar") for k in c):
+                                q.remove(c)
+                    parts[n] = ET.tostring(x, encoding="utf-8", xml_declaration=True)
+        return
+    if not sections or any(_page_field(read(target[f.get(R + "id")])) for s in sections for f in s.findall(W + "footerReference") if target.get(f.get(R + "id")) in names):
+        return
+    parts["word/footerPages.xml"] = FOOTER.encode()
+    ET.SubElement(rels, f"{{{space}}}Relationship", {"Id": "rIdPages", "Type": f"{R[1:-1]}/footer", "Target": "footerPages.xml"})
+    parts[rels_name] = ET.tostring(rels, encoding="utf-8", xml_declaration=True)
+    for s in sections:
+        for old in [f for f in s.findall(W + "footerReference") if f.get(W + "type", "default") == "default"]:
+            s.remove(old)
+        s.insert(0, ET.Element(W + "footerReference", {W + "type": "default", R + "id": "rIdPages"}))
+    if "[Content_Types].xml" in names:
+        types = ET.fromstring(read("[Content_Types].xml"))
+        ET.SubElement(types, types.tag.replace("Types", "Override"), {"PartName": "/word/footerPages.xml", "ContentType": "application/vnd.openxmlformats-officedocument.wordprocessingml.footer+xml"})
+        parts["[Content_Types].xml"] = ET.tostring(types, encoding="utf-8", xml_declaration=True)
+
+
 def edit(content: bytes, edits: list[dict]) -> bytes:
     """A file after edits (paragraph_index, op, arg); paragraphs with drawings or objects, and native formulas' texts, are left alone."""
     src = zipfile.ZipFile(io.BytesIO(content))
     root = ET.fromstring(src.read("word/document.xml"))
     body = root.find(W + "body")
     paragraphs = dict(enumerate((e for e in body if e.tag == W + "p"), 1))
+    parts: dict[str, bytes] = {}
     for e in edits:
         op, arg, p = e["op"], e.get("arg"), paragraphs.get(e.get("paragraph_index") or -1)
+        if op in ("add_page_field", "clear_header_field"):
+            _page_fields(src, body, parts, op)
+            continue
+        if op == "strip_header_period":
+            for row in (t.find(W + "tr") for t in body.iter(W + "tbl")):
+                for c in row.iter(W + "p") if row is not None else ():
+                    if _text(c).rstrip().endswith("."):
+                        _set_text(c, _text(c).rstrip(". "))
+            continue
         if op in ("set_margins", "set_page"):
             for s in body.iter(W + "sectPr"):
                 if op == "set_margins":
@@ -234,6 +303,13 @@ def edit(content: bytes, edits: list[dict]) -> bytes:
             continue
         if p is None or any(p.find(f".//{W}{k}") is not None for k in ("drawing", "object", "pict")):
             continue
+        if op == "move_caption_above":
+            above = list(body)[: list(body).index(p)]
+            table = next((t for t in reversed(above) if t.tag == W + "tbl"), None)
+            if table is not None:
+                body.remove(p)
+                body.insert(list(body).index(table), p)
+            continue
         pr = _child(p, W + "pPr")
         if op == "align":
             _child(pr, W + "jc").set(W + "val", {"justify": "both"}.get(arg, arg))
@@ -270,14 +346,23 @@ def edit(content: bytes, edits: list[dict]) -> bytes:
                 _set_text(p, re.sub(r"^(\s*)[•●▪*]\s*", r"\1- ", re.sub(r"^(\s*(?:\d+|[а-яё]))\.\s+", r"\1) ", text)))
             elif op == "number_formula" and arg:
                 _set_text(p, re.sub(r"(\s*\([^()]*\d\)|(?<=\S)\s+\d+(\.\d+)*)\s*$", "", text) + f" ({arg})")
+            elif op == "split_formula":
+                _split(body, p, text, arg)
+            elif op == "insert_reference":
+                new = ET.Element(W + "p")
+                _set_text(new, f"Расчет ведут по формуле ({arg or 1}).")
+                body.insert(list(body).index(p), new)
             elif op in ("insert_before", "insert_after"):
                 new = ET.Element(W + "p")
                 _set_text(new, arg or "")
                 body.insert(list(body).index(p) + (op == "insert_after"), new)
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        parts["word/document.xml"] = ET.tostring(root, encoding="utf-8", xml_declaration=True)
         for i in src.infolist():
-            z.writestr(i, ET.tostring(root, encoding="utf-8", xml_declaration=True) if i.filename == "word/document.xml" else src.read(i.filename))
+            z.writestr(i, parts.pop(i.filename) if i.filename in parts else src.read(i.filename))
+        for name, data in parts.items():
+            z.writestr(zipfile.ZipInfo(name, (2000, 1, 1, 0, 0, 0)), data)
     return out.getvalue()
 
 
