@@ -14,6 +14,7 @@ null doc_id stays null; other columns are ignored; an empty table gives an empty
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,17 +29,23 @@ from .common import filled_id, given_id, partitions, table, written
 CAPACITY = 4096
 END = 1
 VOCABULARY = "word_bpe_49k.json"
-#: Words whose ids a worker remembers.
-MEMO = 500_000
+#: Words, and stems, whose ids a worker remembers.
+MEMO = 400_000
 
 
 class Tokens:
     """Token ids of whole texts, as little-endian unsigned 32-bit integers.
 
-    The tokenizer drops white space and never joins across it, so words between spaces and line feeds are encoded
-    once each and put together; all other characters, other white space included, are left to the tokenizer.
+    The tokenizer lower-cases, drops white space and never joins across it, nor across the edge of letters and marks.
+    So words between spaces and line feeds are encoded once each and put together; of a word of Latin letters and
+    ASCII marks (no apostrophe, which may begin a contraction) the lower-cased letters are encoded once, and many such
+    stems by one call: each is one pre-token, so its last id, and no other, ends a word. Everything else, other white
+    space included, is left to the tokenizer as it is.
     """
 
+    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+    AT_ONCE = 1000
+
     def __init__(self, path: str):
         import os
 
@@ -48,17 +55,48 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.memo: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for word, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = word.endswith("</w>")
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _stems(self, stems: list[str]) -> None:
+        for at in range(0, len(stems), self.AT_ONCE):
+            some = stems[at : at + self.AT_ONCE]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            stop = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(stop) == len(some):
+                raw = ids.tobytes()
+                start = [0, *stop[:-1].tolist()]
+                self.parts.update(zip(some, [raw[i:j] for i, j in zip(start, stop.tolist(), strict=True)], strict=True))
+            else:  # never so far; the words one by one are right in any case
+                self.parts.update(zip(some, self._each(some), strict=True))
+
+    def _learn(self, new: list[str]) -> None:
+        if len(self.parts) > MEMO:
+            self.parts.clear()
+        plain = [(w, m[1].lower(), m[2]) for w in new if (m := self.PLAIN.fullmatch(w))]
+        rest = list(set(new) - {w for w, _, _ in plain})
+        self._stems([s for s in dict.fromkeys(s for _, s, _ in plain) if s not in self.parts])
+        marks = [m for m in {m for _, _, m in plain if m} if m not in self.parts]
+        self.parts.update(zip(marks, self._each(marks), strict=True))
+        self.parts[""] = b""
+        for w, s, m in plain:
+            self.memo[w] = self.parts[s] + self.parts[m]
+        self.memo.update(zip(rest, self._each(rest), strict=True))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for t in texts:
             words = t.replace("\n", " ").split(" ")
-            new = [w for w in dict.fromkeys(words) if w not in self.memo]
+            new = [w for w in set(words) if w not in self.memo]
             if new:
                 if len(self.memo) > MEMO:
                     self.memo.clear()
-                    new = list(dict.fromkeys(words))
-                for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                    self.memo[w] = np.array(e.ids, "<u4").tobytes()
+                    new = list(set(words))
+                self._learn(new)
             yield b"".join(map(self.memo.__getitem__, words))
 
 
