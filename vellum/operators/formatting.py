@@ -1,7 +1,9 @@
 """Formatting checks over captions, layout, numbering and formulas.
 
 A base relation is read once: its predicates become an array of subtypes that is exploded, not a scan per check.
-Issue rows are (doc_id, ord, subtype, severity); ord is the item's place in its relation.
+Issue rows are (doc_id, ord, section_id, paragraph_id, paragraph_index, page, subtype, severity); ord is the item's
+place in its relation, the next four its place in the document (a figure's or table's id is its paragraph_id), null
+where the relation doesn't have them.
 """
 
 from __future__ import annotations
@@ -28,10 +30,27 @@ PAGES = [(210.0, 297.0), (297.0, 420.0)]
 INDENT, INDENT_TOLERANCE, SPACING, SPACING_TOLERANCE, LEAST_FONT = 12.5, 1.5, 1.5, 0.15, 12.0
 
 
-def found(df: DataFrame, checks: list[tuple[str, str, Column]], *more: str) -> DataFrame:
+PLACE = {"section_id": "string", "paragraph_id": "string", "paragraph_index": "int", "page": "int"}
+
+
+def place(df: DataFrame) -> list[Column]:
+    """The columns that say where an item of df is."""
+    def one(c: str) -> Column:
+        c = "item_id" if c == "paragraph_id" and c not in df.columns else c
+        return F.col(c) if c in df.columns else F.lit(None)
+
+    return [one(c).cast(t).alias(c) for c, t in PLACE.items()]
+
+
+def issue(df: DataFrame, subtype: str, severity: str) -> DataFrame:
+    """Every row of df as an issue."""
+    return df.select("doc_id", "ord", *place(df), F.lit(subtype).alias("subtype"), F.lit(severity).alias("severity"))
+
+
+def found(df: DataFrame, checks: list[tuple[str, str, Column]]) -> DataFrame:
     """Rows of df times the checks (subtype, severity, predicate) that hold."""
     every = F.array_compact(F.array(*[F.when(F.coalesce(p, F.lit(False)), F.struct(F.lit(s).alias("subtype"), F.lit(v).alias("severity"))) for s, v, p in checks]))
-    return df.select("doc_id", "ord", *more, F.explode(every).alias("x")).select("doc_id", "ord", *more, "x.subtype", "x.severity")
+    return df.select("doc_id", "ord", *place(df), F.explode(every).alias("x")).select("doc_id", "ord", *PLACE, "x.subtype", "x.severity")
 
 
 def rule_pick(rules: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -64,8 +83,8 @@ def figure_numbering(figs: DataFrame) -> DataFrame:
     past = by.rowsBetween(W.unboundedPreceding, -1)
     last = F.last(F.when(F.col("whole").isNotNull(), F.struct("whole", "i")), True).over(past)
     firsts = firsts.withColumn("expected", F.coalesce(last["whole"], F.lit(0)) + F.col("i") - F.coalesce(last["i"], F.lit(0)))
-    bad = firsts.where(F.col("number") != F.col("expected").cast("string")).select("doc_id", "ord", "number")
-    return n.where("copy > 1").select("doc_id", "ord", "number").unionByName(bad).withColumn("subtype", F.lit("figure_numbering_error")).withColumn("severity", F.lit("warning"))
+    bad = firsts.where(F.col("number") != F.col("expected").cast("string")).select("doc_id", "ord", *place(n), "number")
+    return n.where("copy > 1").select("doc_id", "ord", *place(n), "number").unionByName(bad).withColumn("subtype", F.lit("figure_numbering_error")).withColumn("severity", F.lit("warning"))
 
 
 def figure_references(figs: DataFrame, paragraphs: DataFrame) -> DataFrame:
@@ -75,7 +94,7 @@ def figure_references(figs: DataFrame, paragraphs: DataFrame) -> DataFrame:
     said = F.col("text").rlike(r"(?iu)рис") & F.regexp(F.col("text"), F.concat(F.lit(r"(?<![\d.])"), F.replace("number", F.lit("."), F.lit(r"\.")), F.lit(r"(?![\d])")))
     before = F.col("paragraph_index").isNull() | (F.col("at") < F.col("paragraph_index"))
     hit = f.join(p, "doc_id").where(before & said).select("doc_id", "ord").distinct()
-    return f.join(hit, ["doc_id", "ord"], "left_anti").select("doc_id", "ord", F.lit("missing_figure_reference").alias("subtype"), F.lit("info").alias("severity"))
+    return issue(f.join(hit, ["doc_id", "ord"], "left_anti"), "missing_figure_reference", "info")
 
 
 def tables(tabs: DataFrame, layout: DataFrame) -> DataFrame:
@@ -95,11 +114,16 @@ def tables(tabs: DataFrame, layout: DataFrame) -> DataFrame:
     ])
 
 
+def _formula_ids(forms: DataFrame) -> DataFrame:
+    """Formulas are known by their paragraph_index; those without one get an id by their place."""
+    return forms.withColumn("paragraph_id", F.when(F.col("paragraph_index").isNull(), F.concat(F.lit("formula_"), "ord")))
+
+
 def formulas(forms: DataFrame) -> DataFrame:
     number = F.coalesce("equation_number", F.lit(""))
     k = F.row_number().over(W.partitionBy("doc_id", "appendix_letter").orderBy("ord"))
     want = forms.where("equation_number is not null and appendix_letter is not null").select("doc_id", "ord", F.concat("appendix_letter", F.lit("."), k).alias("want"))
-    f = forms.join(want, ["doc_id", "ord"], "left")
+    f = _formula_ids(forms.join(want, ["doc_id", "ord"], "left"))
     where = F.lower(squeeze("next_text"))
     return found(f, [
         ("formula_not_standalone", "warning", ~F.col("is_standalone")),
@@ -120,7 +144,7 @@ def formula_numbering(forms: DataFrame) -> DataFrame:
     n = forms.where(F.col("equation_number").rlike(r"^\d+$")).withColumn("n", F.col("equation_number").cast("int"))
     by = W.partitionBy("doc_id")
     n = n.withColumn("many", F.count(F.lit(1)).over(by)).withColumn("copy", F.row_number().over(W.partitionBy("doc_id", "n").orderBy("ord"))).withColumn("before", F.coalesce(F.lag("n").over(by.orderBy("ord")), F.lit(0)))
-    return n.where((F.col("many") >= 2) & ((F.col("copy") > 1) | (F.col("n") != F.col("before") + 1))).select("doc_id", "ord", F.lit("formula_numbering_error").alias("subtype"), F.lit("warning").alias("severity"))
+    return issue(_formula_ids(n.where((F.col("many") >= 2) & ((F.col("copy") > 1) | (F.col("n") != F.col("before") + 1)))), "formula_numbering_error", "warning")
 
 
 def formula_references(forms: DataFrame, paragraphs: DataFrame) -> DataFrame:
@@ -152,7 +176,7 @@ def _says(c: Column, words: list[str]) -> Column:
 
 def missing_contents(docs: DataFrame, sections: DataFrame, paragraphs: DataFrame, layout: DataFrame) -> DataFrame:
     have = _pool(sections, paragraphs, layout).where(_says(F.col("t"), CONTENTS)).select("doc_id").distinct()
-    return docs.join(have, "doc_id", "left_anti").select("doc_id", F.lit(0).alias("ord"), F.lit("missing_contents_section").alias("subtype"), F.lit("warning").alias("severity"))
+    return issue(docs.join(have, "doc_id", "left_anti").select("doc_id", F.lit(0).alias("ord")), "missing_contents_section", "warning")
 
 
 def missing_title_page(docs: DataFrame, layout: DataFrame) -> DataFrame:
@@ -161,14 +185,15 @@ def missing_title_page(docs: DataFrame, layout: DataFrame) -> DataFrame:
     flag = lambda c: F.max(F.coalesce(c, F.lit(False)).cast("int"))
     g = l.groupBy("doc_id").agg(flag(F.col("text").rlike(ORGANISATION)).alias("org"), flag(F.col("text").rlike(DOCUMENT)).alias("kind"), flag(F.col("alignment") == "center").alias("mid"), flag(F.col("text").rlike(r"(?<!\d)(19|20)\d\d(?!\d)")).alias("year"))
     ok = g.where("org + kind + mid + year >= 3 and (org = 1 or kind = 1)").select("doc_id")
-    return docs.join(ok, "doc_id", "left_anti").select("doc_id", F.lit(0).alias("ord"), F.lit("missing_title_page").alias("subtype"), F.lit("warning").alias("severity"))
+    return issue(docs.join(ok, "doc_id", "left_anti").select("doc_id", F.lit(0).alias("ord"), F.lit(1).alias("page")), "missing_title_page", "warning")
 
 
 def not_justified(layout: DataFrame) -> DataFrame:
     """Documents in which many long lines that aren't centred or right are not justified."""
     l = layout.where((F.length("text") >= 80) & ~F.coalesce("alignment", F.lit("")).isin("center", "right"))
     g = l.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("alignment", F.lit("")) != "justify").alias("bad"))
-    return g.where(F.col("bad") >= F.greatest(F.lit(1), F.expr("n div 2"))).select("doc_id", F.lit(0).alias("ord"), F.lit("body_text_not_justified").alias("subtype"), F.lit("info").alias("severity"))
+    g = g.where(F.col("bad") >= F.greatest(F.lit(1), F.expr("n div 2"))).select("doc_id", F.lit(0).alias("ord"), F.lit(1).alias("page"))
+    return issue(g, "body_text_not_justified", "info")
 
 
 def page_size(pages: DataFrame) -> DataFrame:
@@ -177,7 +202,7 @@ def page_size(pages: DataFrame) -> DataFrame:
     for w, h in PAGES:
         ok = ok | ((F.abs(a - w) <= PAGE_TOLERANCE) & (F.abs(b - h) <= PAGE_TOLERANCE))
     known = F.col("page_width_mm").isNotNull() & F.col("page_height_mm").isNotNull()
-    return found(pages.withColumn("ord", F.col("section_index")), [("invalid_page_size", "warning", known & ~ok)])
+    return found(pages.withColumn("ord", F.col("section_index")).withColumn("page", F.lit(1)), [("invalid_page_size", "warning", known & ~ok)])
 
 
 def margins(pages: DataFrame) -> DataFrame:
@@ -185,7 +210,7 @@ def margins(pages: DataFrame) -> DataFrame:
     bad = F.lit(False)
     for c, mm in reversed(MARGINS):
         bad = F.when(F.col(c).isNull(), False).when(F.abs(F.col(c) - mm) > MARGIN_TOLERANCE, True).otherwise(bad)
-    return found(pages.withColumn("ord", F.col("section_index")), [("invalid_page_margins", "warning", bad)])
+    return found(pages.withColumn("ord", F.col("section_index")).withColumn("page", F.lit(1)), [("invalid_page_margins", "warning", bad)])
 
 
 def page_numbering(numbering: DataFrame) -> DataFrame:
@@ -194,7 +219,7 @@ def page_numbering(numbering: DataFrame) -> DataFrame:
     g = numbering.groupBy("doc_id").agg(
         yes(F.col("footer_field")).alias("any"), yes(F.col("footer_field") & (F.col("footer_alignment") != "center")).alias("off"), yes(F.col("header_field")).alias("head"), first.alias("first"),
         yes((F.col("section_index") > 0) & F.col("page_number_start").isNotNull() & (F.col("page_number_start") != 0)).alias("restart"),
-    ).withColumn("ord", F.lit(0))
+    ).withColumn("ord", F.lit(0)).withColumn("page", F.lit(1))
     some = F.col("any") | F.col("head")
     return found(g, [
         ("missing_page_numbering", "warning", ~some),
@@ -207,7 +232,8 @@ def page_numbering(numbering: DataFrame) -> DataFrame:
 
 def typography(paragraphs: DataFrame, layout: DataFrame) -> DataFrame:
     """The first offender of each kind among a document's body paragraphs."""
-    p = paragraphs.where("section_id is not null and paragraph_index is not null").where(F.length("text") >= 20).select("doc_id", "ord", "paragraph_index")
+    p = paragraphs.where("section_id is not null and paragraph_index is not null").where(F.length("text") >= 20)
+    p = p.select("doc_id", "ord", *place(p))
     j = p.join(layout, ["doc_id", "paragraph_index"])
     every = found(j, [
         ("invalid_first_line_indent", "warning", F.abs(F.col("first_line_indent_mm") - INDENT) > INDENT_TOLERANCE),
@@ -228,14 +254,19 @@ def enumerations(paragraphs: DataFrame, layout: DataFrame) -> DataFrame:
 
 
 def reference_section(docs: DataFrame, sections: DataFrame) -> DataFrame:
-    s = sections.where(_says(folded("title"), REFERENCES)).groupBy("doc_id").agg(F.min_by("text", "ord").alias("text"), F.min("ord").alias("ord"))
+    s = sections.where(_says(folded("title"), REFERENCES)).groupBy("doc_id").agg(F.min_by("text", "ord").alias("text"), F.min_by("section_id", "ord").alias("section_id"), F.min("ord").alias("ord"))
     d = docs.select("doc_id").join(s, "doc_id", "left")
     missing = F.col("ord").isNull()
     return found(d.withColumn("none", missing).withColumn("ord", F.coalesce("ord", F.lit(0))), [("missing_references_section", "warning", F.col("none")), ("empty_references_section", "warning", ~F.col("none") & (F.length(squeeze("text")) < 20))])
 
 
+def _placed(s: DataFrame) -> DataFrame:
+    """Sections with the index of their heading: their own, else that of the layout (at)."""
+    return s.withColumn("paragraph_index", F.coalesce("paragraph_index", "at") if "paragraph_index" in s.columns else F.col("at"))
+
+
 def headings(sections: DataFrame, heading_layout: DataFrame) -> DataFrame:
-    s = sections.join(heading_layout.select("doc_id", "section_id", "alignment"), ["doc_id", "section_id"], "left")
+    s = _placed(sections.join(heading_layout.select("doc_id", "section_id", "alignment", F.col("paragraph_index").alias("at")), ["doc_id", "section_id"], "left"))
     t = squeeze("title")
     structural, appendix = folded("title").isin(STRUCTURAL), folded("title").startswith("приложение")
     known = F.col("alignment").isNotNull()
@@ -254,7 +285,7 @@ def headings(sections: DataFrame, heading_layout: DataFrame) -> DataFrame:
 def heading_layouts(sections: DataFrame, heading_layout: DataFrame, layout: DataFrame) -> DataFrame:
     """Indent, colour and line breaks of headings, from the layout of their paragraph."""
     at = layout.select("doc_id", "paragraph_index", "first_line_indent_mm", "has_non_black_text", F.col("text").alias("line"))
-    s = sections.join(heading_layout.select("doc_id", "section_id", "paragraph_index"), ["doc_id", "section_id"]).join(at, ["doc_id", "paragraph_index"])
+    s = sections.drop("paragraph_index").join(heading_layout.select("doc_id", "section_id", "paragraph_index"), ["doc_id", "section_id"]).join(at, ["doc_id", "paragraph_index"])
     structural, appendix = folded("title").isin(STRUCTURAL), folded("title").startswith("приложение")
     indent = F.col("first_line_indent_mm")
     return found(s, [
@@ -272,7 +303,7 @@ def appendix_references(sections: DataFrame, paragraphs: DataFrame) -> DataFrame
     p = paragraphs.select("doc_id", F.lower("text").alias("t"))
     said = F.regexp(F.col("t"), F.concat(F.lit(r"(?u)приложени\p{L}*\s+"), F.col("letter"), F.lit(r"(?!\p{L})")))
     hit = a.where("letter <> ''").join(p, "doc_id").where(said).select("doc_id", "ord").distinct()
-    return a.join(hit, ["doc_id", "ord"], "left_anti").select("doc_id", "ord", F.lit("missing_appendix_reference").alias("subtype"), F.lit("info").alias("severity"))
+    return issue(a.join(hit, ["doc_id", "ord"], "left_anti"), "missing_appendix_reference", "info")
 
 
 def missing_numbers(sections: DataFrame) -> DataFrame:
@@ -288,7 +319,7 @@ def unreferenced(items: DataFrame, sections: DataFrame, paragraphs: DataFrame, s
     hay = paragraphs.select("doc_id", folded("text").alias("t")).unionByName(sections.select("doc_id", folded("text").alias("t")))
     i = items.withColumn("f", folded("fragment")).where(F.length("f") >= 8)
     hit = i.join(hay, "doc_id").where(F.contains("t", "f")).select("doc_id", "ord").distinct()
-    return i.join(hit, ["doc_id", "ord"], "left_anti").select("doc_id", "ord", F.lit(subtype).alias("subtype"), F.lit("info").alias("severity"))
+    return issue(i.join(hit, ["doc_id", "ord"], "left_anti"), subtype, "info")
 
 
 def fallback_location(sections: DataFrame, paragraphs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -305,8 +336,9 @@ def issue_id(df: DataFrame) -> DataFrame:
 
 def check_formatting(docs, sections, paragraphs, figs, tabs, layout, table_layout, page_layout, numbering, forms, heading_layout) -> DataFrame:
     parts = [figures(figs, layout), figure_numbering(figs).drop("number"), figure_references(figs, paragraphs), tables(tabs, table_layout), formulas(forms), formula_numbering(forms), missing_contents(docs, sections, paragraphs, layout), missing_title_page(docs, layout), not_justified(layout), page_size(page_layout), margins(page_layout), page_numbering(numbering), typography(paragraphs, layout), enumerations(paragraphs, layout), reference_section(docs, sections), headings(sections, heading_layout), heading_layouts(sections, heading_layout, layout), appendix_references(sections, paragraphs), missing_numbers(sections)]
-    refs = formula_references(forms, paragraphs).where("status <> 'ok'").select("doc_id", "ord", F.when(F.col("status") == "invalid", "invalid_formula_reference_format").otherwise("missing_formula_reference").alias("subtype"), F.lit("info").alias("severity"))
-    every = refs
+    forms = _formula_ids(forms)
+    refs = formula_references(forms, paragraphs).where("status <> 'ok'").join(forms.select("doc_id", "ord", *place(forms)), ["doc_id", "ord"])
+    every = refs.select("doc_id", "ord", *PLACE, F.when(F.col("status") == "invalid", "invalid_formula_reference_format").otherwise("missing_formula_reference").alias("subtype"), F.lit("info").alias("severity"))
     for p in parts:
         every = every.unionByName(p)
     return issue_id(every)

@@ -57,11 +57,11 @@ def document(raw: DataFrame, key: str = "doc_id") -> dict[str, DataFrame]:
     c = c.withColumn("section_no", F.sum((F.col("kind") == "heading").cast("int")).over(by)).withColumn("section_id", F.last("heading_id", True).over(by))
     n = F.row_number().over(W.partitionBy(key, "kind").orderBy("block"))
     c = c.withColumn("n", n)
-    heads = c.where("kind = 'heading'").select(key, "section_no", F.col("n").alias("ord"), "section_id", "number", "title", "level")
+    heads = c.where("kind = 'heading'").select(key, "section_no", F.col("n").alias("ord"), "section_id", "number", "title", "level", F.col("block").alias("paragraph_index"))
     body = c.where("kind <> 'heading' and section_no > 0").groupBy(key, "section_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
     item = lambda kind, prefix: c.where(F.col("kind") == kind).select(key, F.col("n").alias("ord"), F.concat(F.lit(prefix), "n").alias("item_id"), F.col("text").alias("caption"), F.col("block").alias("paragraph_index"))
     return {
-        "sections": heads.join(body, [key, "section_no"], "left").select(key, "ord", "section_id", "number", "title", "level", F.coalesce("text", F.lit("")).alias("text")),
+        "sections": heads.join(body, [key, "section_no"], "left").select(key, "ord", "section_id", "number", "title", "level", F.coalesce("text", F.lit("")).alias("text"), "paragraph_index"),
         "paragraphs": c.where("kind = 'para'").select(key, F.col("n").alias("ord"), F.concat(F.lit("p_"), "n").alias("paragraph_id"), "section_id", "text", F.col("block").alias("paragraph_index")),
         "figures": item("figure", "fig_"),
         "tables": item("table", "tbl_"),
