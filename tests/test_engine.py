@@ -36,3 +36,19 @@ def test_equal_faults_stay_apart(spark):
 def test_equal_sections_stay_apart(spark):
     got = kept(texts(spark, (1, "1 Раз\n\nт\n\n1 Раз\n\nт\n\nПриложение А\n\nт\n\nРисунок 2 — А\n\nРисунок 5 — Б")))
     assert [x[3] for x in got if x[1] == "figure_numbering_error"] == ["fig_1", "fig_2"]
+
+
+def test_every_check_without_layout(spark):
+    got = {x[:4] for x in kept(texts(spark, (1, "1 Раз\n\nт\n\nРисунок 1 Схема\n\nТаблица 1 Данные\n\n• пункт\n\nПриложение А\n\nт"), (2, "Содержание")))}
+    doc = {x[1:] for x in got if x[0] == "1"}
+    assert {("invalid_figure_caption_format", None, "fig_1"), ("invalid_table_caption_format", None, "tbl_1"), ("missing_contents_section", "sec_appendix_а", None), ("missing_appendix_reference", "sec_appendix_а", None), ("missing_references_section", "sec_appendix_а", None)} <= doc
+    assert "invalid_enumeration_marker" in {x[0] for x in doc}
+    assert {x[1:] for x in got if x[0] == "2"} == {("missing_references_section", None, "p_1")}
+
+
+def test_every_check_with_layout(spark):
+    fx = lambda n: fixture(spark, "fx_" + n)
+    names = ("para_layout", "table_layout", "page_layout", "page_numbering", "formulas", "heading_layout")
+    got = kept(E.Corpus(fx("docs"), fx("sections"), fx("paragraphs"), fx("figures"), fx("tables"), {k: fx(k) for k in names}))
+    said = {x[1] for x in got}
+    assert {"missing_formula_reference", "missing_appendix_reference", "main_heading_indent_invalid", "missing_table_reference"} <= said

@@ -334,11 +334,36 @@ def issue_id(df: DataFrame) -> DataFrame:
     return df.withColumn("issue_id", F.concat(F.lit("issue_rag_"), F.substring(F.sha2(F.concat_ws("|", "doc_id", "subtype", F.col("ord").cast("string")), 256), 1, 8)))
 
 
+#: The layout relations that the checks read; a corpus may have none of them.
+LAYOUT = {
+    "para_layout": "paragraph_index int, text string, alignment string, first_line_indent_mm double, line_spacing double, font_size_pt_min double, font_family string, has_bold_text boolean, has_non_black_text boolean",
+    "table_layout": "table_index int, caption_paragraph_index int, caption_position string, header_text string, header_alignment string, appendix_letter string",
+    "page_layout": "section_index int, page_width_mm double, page_height_mm double, left_margin_mm double, right_margin_mm double, top_margin_mm double, bottom_margin_mm double",
+    "page_numbering": "section_index int, different_first_page boolean, footer_field boolean, footer_alignment string, header_field boolean, first_footer_field boolean, page_number_start int",
+    "formulas": "ord int, paragraph_index int, text string, alignment string, is_standalone boolean, equation_number string, raw_equation_number string, prev_blank boolean, next_blank boolean, next_text string, appendix_letter string",
+    "heading_layout": "section_id string, paragraph_index int, alignment string",
+}
+
+
+def no_layout(docs: DataFrame, name: str) -> DataFrame:
+    """The relation of a corpus without it: no rows, which the optimizer knows."""
+    cols = [c.split() for c in LAYOUT[name].split(", ")]
+    return docs.where(F.lit(False)).select("doc_id", *[F.lit(None).cast(t).alias(c) for c, t in cols])
+
+
 def check_formatting(docs, sections, paragraphs, figs, tabs, layout, table_layout, page_layout, numbering, forms, heading_layout) -> DataFrame:
-    parts = [figures(figs, layout), figure_numbering(figs).drop("number"), figure_references(figs, paragraphs), tables(tabs, table_layout), formulas(forms), formula_numbering(forms), missing_contents(docs, sections, paragraphs, layout), missing_title_page(docs, layout), not_justified(layout), page_size(page_layout), margins(page_layout), page_numbering(numbering), typography(paragraphs, layout), enumerations(paragraphs, layout), reference_section(docs, sections), headings(sections, heading_layout), heading_layouts(sections, heading_layout, layout), appendix_references(sections, paragraphs), missing_numbers(sections)]
+    """Every check. A title page is looked for where a document has a layout; what the whole document lacks is put at its end."""
     forms = _formula_ids(forms)
+    laid = docs.join(layout.select("doc_id").distinct(), "doc_id", "left_semi")
+    absent = missing_contents(docs, sections, paragraphs, layout).unionByName(reference_section(docs, sections))
+    end = fallback_location(sections, paragraphs, docs).select("doc_id", F.col("section_id").alias("s"), F.col("paragraph_id").alias("p"))
+    absent = absent.join(end, "doc_id", "left").withColumn("paragraph_id", F.when(F.col("section_id").isNull(), F.col("p"))).withColumn("section_id", F.coalesce("section_id", "s")).drop("s", "p")
     refs = formula_references(forms, paragraphs).where("status <> 'ok'").join(forms.select("doc_id", "ord", *place(forms)), ["doc_id", "ord"])
     every = refs.select("doc_id", "ord", *PLACE, F.when(F.col("status") == "invalid", "invalid_formula_reference_format").otherwise("missing_formula_reference").alias("subtype"), F.lit("info").alias("severity"))
+    parts = [
+        figures(figs, layout), figure_numbering(figs).drop("number"), figure_references(figs, paragraphs), tables(tabs, table_layout), unreferenced(tabs.withColumn("fragment", F.col("caption")), sections, paragraphs, "missing_table_reference"), formulas(forms), formula_numbering(forms), absent,
+        missing_title_page(laid, layout), not_justified(layout), page_size(page_layout), margins(page_layout), page_numbering(numbering), typography(paragraphs, layout), enumerations(paragraphs, layout), headings(sections, heading_layout), heading_layouts(sections, heading_layout, layout), appendix_references(sections, paragraphs), missing_numbers(sections),
+    ]
     for p in parts:
         every = every.unionByName(p)
     return issue_id(every)

@@ -54,20 +54,8 @@ def run_agents(c: Corpus) -> tuple[DataFrame, DataFrame]:
         return as_issues(structure.check_structure(c.docs, c.sections, c.paragraphs), "structure", "structure_agent")
 
     def rag_issues():
-        parts = [formatting.headings(c.sections, c.more["heading_layout"]) if "heading_layout" in c.more else None, formatting.missing_numbers(c.sections), formatting.reference_section(c.docs, c.sections), formatting.figure_numbering(c.figures).drop("number"), formatting.figure_references(c.figures, c.paragraphs)]
-        if "para_layout" in c.more:
-            lay = c.more["para_layout"]
-            parts += [formatting.figures(c.figures, lay), formatting.missing_contents(c.docs, c.sections, c.paragraphs, lay), formatting.missing_title_page(c.docs, lay), formatting.not_justified(lay), formatting.typography(c.paragraphs, lay), formatting.enumerations(c.paragraphs, lay)]
-        if "table_layout" in c.more:
-            parts.append(formatting.tables(c.tables, c.more["table_layout"]))
-        if "page_layout" in c.more:
-            parts += [formatting.page_size(c.more["page_layout"]), formatting.margins(c.more["page_layout"])]
-        if "page_numbering" in c.more:
-            parts.append(formatting.page_numbering(c.more["page_numbering"]))
-        if "formulas" in c.more:
-            parts += [formatting.formulas(c.more["formulas"]), formatting.formula_numbering(c.more["formulas"])]
-        every = reduce(lambda a, b: a.unionByName(b), [p for p in parts if p is not None])
-        return as_issues(formatting.issue_id(every), "formatting", "rag_agent")
+        more = [c.more[k] if k in c.more else formatting.no_layout(c.docs, k) for k in formatting.LAYOUT]
+        return as_issues(formatting.check_formatting(c.docs, c.sections, c.paragraphs, c.figures, c.tables, *more), "formatting", "rag_agent")
 
     def style_issues():
         return as_issues(style.check_style(c.sections, c.paragraphs), "style", "style_agent")
