@@ -8,7 +8,7 @@ from vellum.llm.common import table, written
 from vellum.llm.compression import without_toxic
 from vellum.llm.decontaminate import clean
 from vellum.llm.packing import packed
-from vellum.llm.simhash import one_of_each
+from vellum.llm.simhash import one_row_of_each
 from vellum.llm.suffix_array import without_repeats
 
 
@@ -18,8 +18,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return one_of_each(docs)
+    """One row of each group of near duplicates stays."""
+    return one_row_of_each(docs)
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -127,6 +127,30 @@ def test_op8_brute_force(spark):
     assert len(kept) == len({c for c in comp})
 
 
+def test_near_duplicate_stage_keeps_unlike_rows(spark):
+    import corpus_pipeline
+
+    r = random.Random(7)
+    t = [" ".join(r.choice(WORDS) + str(r.randint(0, 99)) for _ in range(80)) for _ in range(8)]
+    rows = [(5, t[0]), (900, t[1]), (None, t[0]), (None, t[1]), (None, t[2]), (None, t[3]), (None, t[3]), (7, t[4]), (7, t[5]), (7, t[5]), (6, t[5]), (None, None), (3, "")]
+    rows += corpus(5)
+    prints = [simhash.fingerprint(x) for _, x in rows]
+    group = list(range(len(rows)))
+    for _ in rows:
+        for i in range(len(rows)):
+            for j in range(len(rows)):
+                if (prints[i] ^ prints[j]).bit_count() <= 3:
+                    group[i] = group[j] = min(group[i], group[j])
+    key = [2**63 - 1 if d is None else d for d, _ in rows]
+    kept = corpus_pipeline.near_duplicates(spark, frame(spark, rows), "")
+    assert kept.columns == frame(spark, rows).columns
+    kept = [(x.doc_id, x.text) for x in kept.collect()]
+    at = [next(g for g, y in zip(group, rows) if y == x) for x in kept]
+    assert sorted(at) == sorted(set(group))
+    assert all((2**63 - 1 if d is None else d) == min(k for k, y in zip(key, group) if y == g) for (d, _), g in zip(kept, at))
+    assert {(5, t[0]), (900, t[1]), (None, t[2]), (None, t[3]), (7, t[4]), (6, t[5])} <= set(kept)
+
+
 def test_components_of_a_long_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100)], "a long, b long")
     got = {r.node: r.component for r in components(e).collect()}

@@ -51,8 +51,9 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        fp = np.fromiter((fingerprint(t, words) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
+        *carried, text = b.columns
+        fp = np.fromiter((fingerprint(t, words) for t in text.to_pylist()), np.uint64, b.num_rows)
+        yield pa.RecordBatch.from_arrays([*carried, pa.array(fp.view(np.int64))], [*b.schema.names[:-1], "fp"])
 
 
 def pivots(n: int = N_PIVOTS) -> np.ndarray:
@@ -103,22 +104,26 @@ def _links(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBa
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names)
 
 
+def _linked(distinct: DataFrame, most: int) -> DataFrame:
+    """Links a-b between the ids of (fp, id), fp distinct: a spanning forest of each bucket."""
+    keys = []
+    for n, pair in enumerate(combinations(BLOCKS, 2)):
+        k = F.lit(n)
+        for lo, hi in pair:
+            k = F.shiftleft(k.cast("long"), hi - lo).bitwiseOR(F.shiftrightunsigned("fp", lo).bitwiseAND((1 << (hi - lo)) - 1))
+        keys.append(k)
+    dealt = distinct.select("fp", "id", F.explode(F.array(*keys)).alias("key")).repartition(partitions(distinct.sparkSession), "key")
+    return dealt.mapInArrow(lambda it: _links(it, most), "a long, b long")
+
+
 def near_duplicates(documents: DataFrame, words: int = 3, most: int = 3) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long) and component_id of every row; most: 3 or fewer differing bits."""
     if not 0 <= most <= 3:
         raise ValueError("the five blocks find links of at most 3 differing bits")
-    spark = documents.sparkSession
     rows = documents.select(filled_id("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
     rows = written(rows.mapInArrow(lambda it: _fingerprints(it, words), "id long, fp long"), "simhash")
     distinct = rows.groupBy("fp").agg(F.min("id").alias("id"))
-    keys = []
-    for n, pair in enumerate(combinations(BLOCKS, 2)):
-        k = F.lit(n)
-        for lo, hi in pair:
-            k = F.shiftleft(k.cast("long"), hi - lo).bitwiseOR(F.shiftrightunsigned("fp", lo).bitwiseAND((1 << (hi - lo)) - 1))
-        keys.append(k)
-    dealt = distinct.select("fp", "id", F.explode(F.array(*keys)).alias("key")).repartition(partitions(spark), "key")
-    links = dealt.mapInArrow(lambda it: _links(it, most), "a long, b long")
+    links = _linked(distinct, most)
     # rows that share a doc_id but not the fingerprint are one document
     same = rows.groupBy("id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y").select("id").join(rows, "id").join(distinct.withColumnRenamed("id", "first"), "fp").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
     found = components(links.unionByName(same))
@@ -134,6 +139,24 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     return rows.groupBy(filled_id("doc_id").alias("__id")).agg(F.min(F.struct(*documents.columns)).alias("r")).select("r.*")
 
 
+def one_row_of_each(documents: DataFrame) -> DataFrame:
+    """One row of each group of near duplicates, one of its smallest doc_id (null is the largest).
+
+    Rows are linked by their fingerprints alone: unlike texts under one doc_id, or without any, are rows of their own
+    groups. A row is known by its doc_id and the 64-bit hash of its text; of rows equal in both, the first in the order
+    of their columns stays.
+    """
+    own = [filled_id("doc_id").alias("__id"), F.xxhash64(F.col("text").cast("string")).alias("__h")]
+    rows = documents.select(own[0].alias("id"), own[1].alias("h"), F.col("text").cast("string").alias("text"))
+    rows = written(rows.mapInArrow(lambda it: _fingerprints(it, 3), "id long, h long, fp long"), "simhash")
+    first = rows.groupBy("fp").agg(F.min(F.struct("id", "h")).alias("first"))
+    found = components(_linked(first.select("fp", F.col("fp").alias("id")), 3))
+    group = first.join(found, first.fp == found.node, "left").groupBy(F.coalesce("component", "fp")).agg(F.min("first").alias("first"))
+    kept = group.select(F.col("first.id").alias("__id"), F.col("first.h").alias("__h"))
+    alike = documents.select(*own, F.struct(*documents.columns).alias("r")).join(kept, ["__id", "__h"], "left_semi")
+    return alike.groupBy("__id", "__h").agg(F.min("r").alias("r")).select("r.*")
+
+
 def op8_query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
