@@ -225,6 +225,12 @@ def test_op7_brute_force(spark):
     assert clean == {d for d, _ in rows} - {w[0] for w in want}
 
 
+def test_clean_finds_short_items(spark):
+    rows = [(1, "so One, two! it is"), (2, "one twofold"), (3, "phone two"), (4, "one two"), (5, "two one"), (6, None), (7, "a b c d e"), (None, "x y one z")]
+    bench = spark.createDataFrame([(1, "one two"), (2, "b c d e"), (3, "!!"), (4, None)], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.clean(frame(spark, rows), bench).collect()} == {2, 3, 5, 6, None}
+
+
 def test_op9_round_trip(spark):
     from tokenizers import Tokenizer
 

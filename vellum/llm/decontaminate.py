@@ -1,10 +1,11 @@
-"""Benchmark decontamination by size-partitioned MinHash containment search.
+"""Benchmark decontamination by MinHash containment search.
 
-An item of n distinct five-word shingles is contained in a document that has at least ceil(0.8 n) of them. Items are
-partitioned by size (powers of two). An item's MinHash sketch is its shingles of smallest hash; the partition sets how
-many: with n - ceil(0.8 n) + 1 values at least one must be in every document that contains the item, so the search
-misses nothing, however long the document. A document's shingles meet the sketches of the partitions whose items are
-small enough for it; pairs found are then verified by exact containment of the shingle strings.
+An item of n distinct five-word shingles is contained in a document that has at least ceil(0.8 n) of them. An item's
+MinHash sketch is its n - ceil(0.8 n) + 1 shingles of smallest hash: at least one must be in every document that
+contains the item, so the search misses nothing, however long the document. Every document's shingles meet all
+sketches; pairs found are then verified by exact containment of the shingle strings.
+
+In the pipeline (clean) items of fewer than five words are also searched as runs of whole words in longer documents.
 
 Only DataFrame functions run. The sketches and the candidate pairs are written to the shared folder, so the planner
 knows their true size: it broadcasts them under spark.sql.autoBroadcastJoinThreshold and sorts and merges otherwise.
@@ -58,9 +59,7 @@ def contained(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = written(items, "items")
     # the hash of a whole short text differs from that of five words; both sides use the same rule
     five = items.select("item", "n", need(F.col("n")).alias("need"), F.transform("s", lambda s: F.when(F.size(F.split(s, " ")) == WORDS, F.xxhash64(*[F.get(F.split(s, " "), F.lit(k)) for k in range(WORDS)])).otherwise(F.xxhash64(s))).alias("h"))
-    # the largest size of the partition (2^p - 1) bounds how many values are taken; never fewer than the item needs
-    five = five.withColumn("part", F.length(F.bin("n"))).withColumn("upper", F.pow(F.lit(2), F.col("part")).cast("int") - 1)
-    five = five.withColumn("k", F.least(F.col("n"), F.col("upper") - need(F.col("upper")) + 1, F.col("n") - F.col("need") + 1))
+    five = five.withColumn("k", F.col("n") - F.col("need") + 1)
     order = F.array_sort(F.transform("h", lambda h: F.struct(F.xxhash64(h, F.lit(7)).alias("by"), h.alias("h"))))
     sketch = written(five.select("item", "need", F.explode_outer(F.slice(order, F.lit(1), F.col("k"))).alias("m")).select("item", "need", F.col("m.h").alias("h")), "sketch")
     docs = documents.select(filled_id("doc_id").alias("doc"), "text")
@@ -78,9 +77,24 @@ def contained(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+def short_items(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc: the documents with a benchmark text of one to four words as a run of whole words."""
+    items = benchmark.select(words_of(F.col("text")).alias("w")).where(F.size("w").between(1, WORDS - 1))
+    items = written(items.select(F.size("w").alias("n"), F.array_join("w", " ").alias("run")).distinct(), "short")
+    lengths = sorted(r.n for r in items.select("n").distinct().collect())  # at most four
+    docs = documents.select(filled_id("doc_id").alias("doc"), words_of(F.col("text")).alias("w"))
+    if not lengths:
+        return docs.select("doc").where(F.lit(False))
+
+    def runs(n: int) -> Column:
+        return F.transform(F.slice("w", 1, F.greatest(F.size("w") - (n - 1), F.lit(0))), lambda _, i: F.concat_ws(" ", *[F.get(F.col("w"), i + k) for k in range(n)]))
+
+    return docs.select("doc", F.explode_outer(F.array_distinct(F.concat(*map(runs, lengths)))).alias("run")).join(items.select("run"), "run", "left_semi").select("doc")
+
+
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that contain no item of the benchmark."""
-    found = contained(documents, benchmark).select(filled_id("doc_id").alias("__doc")).distinct()
+    found = contained(documents, benchmark).select(filled_id("doc_id").alias("__doc")).union(short_items(documents, benchmark)).distinct()
     return documents.join(found, filled_id("doc_id") == found["__doc"], "left_anti")
 
 
