@@ -286,6 +286,19 @@ def test_op2_pages(spark):
     assert len(got) == 9
 
 
+def test_op2_long_threads_are_furniture():
+    def text(html):
+        p = html_text.Page(html)
+        return p.text(p.votes()[0][0] if p.votes() else None)
+
+    long = "<p>" + "many words said below the line " * 20 + "</p>"
+    for name in ("comments", "ad", "page-comments", "sponsored"):
+        assert text(f"<body><article><p>short and good</p><div class='{name}'>{long}</div></article></body>") == "short and good"
+    for name in ("has-comments", "post with-ads", "comments-open", "has-sidebar", "page-header"):
+        assert "many words" in text(f"<body><div class='{name}'>{long}</div><p>x</p></body>")
+    assert "many words" in text(f"<body><div class='ad'><article>{long}</article></div></body>")
+
+
 def test_op3_op6_learn_and_score(spark):
     r = random.Random(0)
     docs, labels = [], []

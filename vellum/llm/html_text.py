@@ -38,6 +38,9 @@ CLOSED_BY = {"p": frozenset("address article aside blockquote details div dl fie
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[A-Za-z]+")
+#: Names of comments and adverts: never main text by their size alone, unless the name says that a wrapper has them.
+THREADS = frozenset("ad ads advert adverts advertisement advertisements sponsor sponsored comment comments disqus reply replies responses".split())
+WRAPPER = frozenset("has with without no open closed enabled disabled".split())
 #: Share of the page's text above which an element isn't furniture by its name alone.
 MOST = 0.6
 VOTES = 3
@@ -50,10 +53,10 @@ def generalised(tag: str, classes: str) -> str:
 
 
 class Page:
-    """Containers (parent, tag, step, named: furniture by name, never: furniture by tag) and blocks (container, text, plain length)."""
+    """Containers (parent, tag, step, named: furniture by name, never: furniture by tag, thread: comments or advert) and blocks (container, text, plain length)."""
 
     def __init__(self, html: str):
-        self.parent, self.tag, self.step, self.named, self.never = [-1], [""], [""], [False], [False]
+        self.parent, self.tag, self.step, self.named, self.never, self.thread = [-1], [""], [""], [False], [False], [False]
         self.blocks: list[tuple[int, str, int]] = []
         self._parse(html)
         self._judge()
@@ -137,6 +140,8 @@ class Page:
             self.step.append(generalised(tag, names.get("class", "")))
             self.never.append(self.never[up] or tag in NEVER or tag == "header" and not inside)
             self.named.append(bool(words & NAMES) and tag not in ("html", "body"))
+            tokens = [{w.lower() for w in WORD.findall(t)} for v in names.values() for t in v.split()] if self.named[-1] else []
+            self.thread.append(any(t & THREADS and not t & WRAPPER for t in tokens))
             if attrs.rstrip().endswith("/") and tag not in ("p", "div", "li"):
                 continue
             if tag in RAW:
@@ -149,15 +154,22 @@ class Page:
 
     def _judge(self) -> None:
         n = len(self.parent)
+        holds = [False] * n
+        for i in range(n - 1, 0, -1):
+            if holds[i] or self.tag[i] in ("article", "main") and not self.named[i] and not self.never[i]:
+                holds[self.parent[i]] = True
+        gone = list(self.never)
+        for i in range(1, n):
+            gone[i] = gone[i] or gone[self.parent[i]] or self.thread[i] and not holds[i]
         size = [0] * n
         for c, _, plain in self.blocks:
-            if not self.never[c]:
+            if not gone[c]:
                 size[c] += plain
         for i in range(n - 1, 0, -1):
             size[self.parent[i]] += size[i]
         self.out = [False] * n
         for i in range(1, n):
-            self.out[i] = self.out[self.parent[i]] or self.never[i] or self.named[i] and size[i] <= MOST * size[0]
+            self.out[i] = self.out[self.parent[i]] or gone[i] or self.named[i] and size[i] <= MOST * size[0]
         self.path = [""] * n
         for i in range(1, n):
             up = self.path[self.parent[i]]
