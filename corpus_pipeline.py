@@ -45,7 +45,8 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Trained models, suffix arrays and packing aren't SQL; tests/llm compares run() with a brute-force version.
+#: Trained models, suffix arrays and packing aren't SQL. tests/llm compares the operators and the near_duplicates stage with
+#: brute force on small inputs; run() as a whole isn't compared.
 ORACLE_SQL = None
 
 
