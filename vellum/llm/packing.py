@@ -4,7 +4,7 @@ Documents become token ids and pieces of at most CAPACITY ids. Which lengths sha
 pieces there are of each length, a table of at most CAPACITY rows however large the input: the driver plans from it.
 The longest length left opens a sequence; a bitset dynamic program over the lengths still available (bit s of an
 integer is set if some combination sums to s) finds the fullest feasible combination with it. That combination is
-removed as often as the counts allow, so one step uses up a length at least. Pieces then find their place from their
+removed as often as the counts allow, so no combination is looked for twice. Pieces then find their place from their
 rank among the pieces of their length. Ranks are counted in parts dealt by a hash, so a length that a third of the
 pieces have isn't ranked by one task.
 
@@ -20,42 +20,117 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .anchors import cut as gathered
+from .anchors import texts_of
 from .common import filled_id, given_id, partitions, table, written
 
 CAPACITY = 4096
 END = 1
 VOCABULARY = "word_bpe_49k.json"
-#: Words, and stems, whose ids a worker remembers.
+#: Elements whose ids a worker remembers.
 MEMO = 400_000
+#: Bytes of text whose elements are told apart at once, and ids put together at once.
+AT_ONCE, STEP = 4_000_000, 1_000_000
+
+
+# The rules of VOCABULARY that Tokens relies on; a file with other rules is used as it is, text by text.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+SPACE, LETTER, DIGIT, MARK, ODD = range(5)
+
+
+def byte_kinds() -> np.ndarray:
+    """Kind of each byte. Odd are the apostrophe and the bar, which may begin contractions and control strings, and all that isn't printable ASCII."""
+    kind = np.full(256, ODD, np.uint8)
+    kind[0x21:0x7F] = MARK
+    kind[[0x20, *range(0x09, 0x0E)]] = SPACE
+    kind[0x30:0x3A] = DIGIT
+    kind[0x41:0x5B] = kind[0x61:0x7B] = LETTER
+    kind[[0x27, 0x7C]] = ODD
+    return kind
+
+
+KIND = byte_kinds()
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
+LOWER[0x09:0x0E] = 0x20
+
+
+def elements(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, places in the texts, starts in the bytes): texts cut into elements that the tokenizer encodes one by one as it would the whole.
+
+    An element is a run of Latin letters (lower-cased), a run of marks or a digit; a word that holds anything else is
+    one element, as it is. White space goes. Each text ends with white space; each starts an element, maybe an empty one.
+    """
+    kind, data = KIND[raw], LOWER[raw]
+    wide = np.flatnonzero(raw == 0xC3)  # U+00C0 to U+00FF, of which two are signs
+    last = raw[wide + 1]
+    wide, last = wide[(last != 0x97) & (last != 0xB7)], last[(last != 0x97) & (last != 0xB7)]
+    kind[wide] = kind[wide + 1] = LETTER
+    data[wide[last < 0x9F] + 1] += 0x20
+    cut = np.empty(len(raw), bool)
+    cut[:1] = True
+    np.not_equal(kind[1:], kind[:-1], out=cut[1:])
+    cut &= kind != SPACE
+    cut |= kind == DIGIT
+    odd = np.flatnonzero(kind == ODD)
+    if len(odd):
+        space = np.flatnonzero(kind == SPACE)
+        at = np.unique(np.searchsorted(space, odd))
+        start, stop = np.r_[-1, space][at] + 1, space[at]
+        step = np.zeros(len(raw) + 1, np.int8)
+        step[start] = 1
+        step[stop] = -1
+        inside = np.cumsum(step[:-1], dtype=np.int8).view(bool)
+        np.copyto(data, raw, where=inside)
+        cut &= ~inside
+        cut[start] = True
+    cut[offsets[:-1]] = True
+    white = kind == SPACE
+    start = np.flatnonzero(cut)
+    gone = np.cumsum(white, dtype=np.int32 if len(raw) < 2**31 else np.int64)
+    return data[~white], start, start - gone[start] + white[start]
 
 
 class Tokens:
-    """Token ids of whole texts, as little-endian unsigned 32-bit integers.
+    """Token ids of whole texts as the tokenizer gives them, by the ids of distinct elements.
 
-    The tokenizer lower-cases, drops white space and never joins across it, nor across the edge of letters and marks.
-    So words between spaces and line feeds are encoded once each and put together; of a word of Latin letters and
-    ASCII marks (no apostrophe, which may begin a contraction) the lower-cased letters are encoded once, and many such
-    stems by one call: each is one pre-token, so its last id, and no other, ends a word. Everything else, other white
-    space included, is left to the tokenizer as it is.
+    The tokenizer lower-cases, drops white space and never joins across it, nor across the edge of letters, digits and
+    marks. A run of lower-case Latin letters is left alone by its normalizer and is one pre-token, so many such runs
+    are encoded by one call without those steps: the last id of each, and no other, ends a word. All other elements
+    are encoded by the tokenizer as it is.
     """
 
-    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-    AT_ONCE = 1000
+    LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+    AT_ONCE = 5000
 
     def __init__(self, path: str):
+        import json
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.memo: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        rules = json.loads(self.tokenizer.to_str())
+        split = (rules["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.known = (
+            (rules["normalizer"] or {}).get("normalizers") == NORMALIZER
+            and [x.get("type") for x in split] == ["Split", "ByteLevel"]
+            and split[0]["pattern"] == {"Regex": SPLIT}
+            and rules["model"].get("end_of_word_suffix") == "</w>"
+            and all("|" in t["content"] and not re.search(r"\s", t["content"]) and not t["lstrip"] and not t["rstrip"] for t in rules["added_tokens"])
+        )
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.memo: dict[bytes, bytes] = {}
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for word, i in self.tokenizer.get_vocab().items():
             self.ends[i] = word.endswith("</w>")
@@ -63,41 +138,69 @@ class Tokens:
     def _each(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _stems(self, stems: list[str]) -> None:
-        for at in range(0, len(stems), self.AT_ONCE):
-            some = stems[at : at + self.AT_ONCE]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+    def _learn(self, new: list[bytes]) -> None:
+        plain, rest = [], []
+        for w in new:
+            (plain if self.LETTERS.fullmatch(w) else rest).append(w)
+        for at in range(0, len(plain), self.AT_ONCE):
+            some = plain[at : at + self.AT_ONCE]
+            said = [w.decode() for w in some]
+            ids = np.array(self.letters.encode_batch_fast([" ".join(said)], add_special_tokens=False)[0].ids, "<u4")
             stop = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(stop) == len(some):
                 raw = ids.tobytes()
                 start = [0, *stop[:-1].tolist()]
-                self.parts.update(zip(some, [raw[i:j] for i, j in zip(start, stop.tolist(), strict=True)], strict=True))
-            else:  # never so far; the words one by one are right in any case
-                self.parts.update(zip(some, self._each(some), strict=True))
-
-    def _learn(self, new: list[str]) -> None:
-        if len(self.parts) > MEMO:
-            self.parts.clear()
-        plain = [(w, m[1].lower(), m[2]) for w in new if (m := self.PLAIN.fullmatch(w))]
-        rest = list(set(new) - {w for w, _, _ in plain})
-        self._stems([s for s in dict.fromkeys(s for _, s, _ in plain) if s not in self.parts])
-        marks = [m for m in {m for _, _, m in plain if m} if m not in self.parts]
-        self.parts.update(zip(marks, self._each(marks), strict=True))
-        self.parts[""] = b""
-        for w, s, m in plain:
-            self.memo[w] = self.parts[s] + self.parts[m]
-        self.memo.update(zip(rest, self._each(rest), strict=True))
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for t in texts:
-            words = t.replace("\n", " ").split(" ")
-            new = [w for w in set(words) if w not in self.memo]
-            if new:
-                if len(self.memo) > MEMO:
-                    self.memo.clear()
-                    new = list(set(words))
-                self._learn(new)
-            yield b"".join(map(self.memo.__getitem__, words))
+                self.memo.update(zip(some, [raw[i:j] for i, j in zip(start, stop.tolist(), strict=True)], strict=True))
+            else:
+                rest += some  # never so far; one by one they are right in any case
+        self.memo.update(zip(rest, self._each([w.decode("utf-8", "surrogatepass") for w in rest]), strict=True))
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        new = [w for w in words if w not in self.memo]
+        if len(self.memo) + len(new) > MEMO:  # the older half goes
+            for w in list(self.memo)[: len(self.memo) // 2]:
+                del self.memo[w]
+            new = [w for w in words if w not in self.memo]
+        self._learn(new)
+        return [self.memo[w] for w in words]
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text; null is empty."""
+        if not self.known:
+            for t in texts.to_pylist():
+                yield np.array(self.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4")
+            return
+        texts = pc.binary_join_element_wise(texts.cast(pa.large_binary()), *(pa.scalar(x, pa.large_binary()) for x in (b"", b" ")), null_handling="replace", null_replacement=b"")
+        raw, offsets = texts_of(texts)
+        data, place, start = elements(raw, offsets)
+        pool = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.r_[start, len(data)]), pa.py_buffer(data)])
+        pool = pool.dictionary_encode()
+        ids = self._ids(pool.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        of = pool.indices.to_numpy()
+        first, begin = np.searchsorted(place, offsets), np.cumsum(size) - size
+        # the texts' ids are put together in portions of bounded size
+        ahead = np.r_[0, np.cumsum(size[of])][first]
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ahead, ahead[at] + STEP, side="right")) - 1)
+            some = of[first[at] : first[to]]
+            out = gathered(flat, begin[some], size[some])
+            for i in range(at, to):
+                yield out[ahead[i] - ahead[at] : ahead[i + 1] - ahead[at]]
+            at = to
+
+
+_TOKENS: dict[str, Tokens] = {}
+
+
+def tokens_of(path: str) -> Tokens:
+    """A worker's tokenizer of a file with its memo, kept from task to task."""
+    if path not in _TOKENS:
+        _TOKENS.clear()
+        _TOKENS[path] = Tokens(path)
+    return _TOKENS[path]
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -106,12 +209,25 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], path: str | None, capacity: int) -> Iterator[pa.RecordBatch]:
-    tokens, end = Tokens(path or vocabulary_path()), np.array([END], "<u4").tobytes()
+def _gathered_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """Batches put together to about `size` bytes."""
+    have, total = [], 0
     for b in batches:
+        have.append(b)
+        total += b.nbytes
+        if total >= size:
+            yield pa.Table.from_batches(have)
+            have, total = [], 0
+    if have:
+        yield pa.Table.from_batches(have)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], path: str | None, capacity: int) -> Iterator[pa.RecordBatch]:
+    tokens, end = tokens_of(path or vocabulary_path()), np.array([END], "<u4").tobytes()
+    for t in _gathered_batches(batches, AT_ONCE):
         rows: list[list] = [[], [], [], [], []]
-        for doc, ids in zip(b.column(0).to_pylist(), tokens.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
-            ids += end
+        for doc, own in zip(t.column(0).to_pylist(), tokens.encode(t.column(1)), strict=True):
+            ids = own.tobytes() + end
             for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at : at + 4 * capacity]
                 for to, x in zip(rows, (doc, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
