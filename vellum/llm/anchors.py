@@ -138,6 +138,44 @@ def range_hashes(units: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.n
     return out
 
 
+def unlike(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which of the ranges a..a+size of data differ from the ranges b..b+size, by portions of about STEP bytes."""
+    out = np.zeros(len(size), bool)
+    some = np.flatnonzero(a != b)
+    a, b, size = a[some], b[some], size[some]
+    total, at = np.cumsum(size), 0
+    while at < len(some):
+        base = total[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(total, base + STEP, side="right")))
+        hit = np.flatnonzero(cut(data, a[at:to], size[at:to]) != cut(data, b[at:to], size[at:to]))
+        out[some[at + np.searchsorted(total[at:to] - base, hit, side="right")]] = True
+        at = to
+    return out
+
+
+def equal_texts(data: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, of): the texts data[start:start + size] numbered so that those of equal bytes, and no others, share a number.
+
+    key: a hash that equal texts share. It only proposes what may be equal; the bytes decide.
+    """
+    order = np.lexsort((size, key))
+    k, n = key[order], size[order]
+    new = np.r_[True, (k[1:] != k[:-1]) | (n[1:] != n[:-1])] if len(key) else np.zeros(0, bool)
+    of = np.empty(len(key), np.int64)
+    of[order] = np.cumsum(new) - 1
+    first = order[new]
+    wrong = np.flatnonzero(unlike(data, start, start[first[of]], size))
+    seen: dict[tuple[int, bytes], int] = {}
+    more = []
+    for i in wrong.tolist():
+        text = int(of[i]), data[start[i] : start[i] + size[i]].tobytes()
+        if text not in seen:
+            seen[text] = len(first) + len(more)
+            more.append(i)
+        of[i] = seen[text]
+    return np.r_[first, np.array(more, np.int64)], of
+
+
 @dataclass
 class Distinct:
     """The distinct texts among some segments of a block."""
@@ -148,18 +186,18 @@ class Distinct:
     chosen: np.ndarray  # the segments
 
 
-def distinct_texts(seg: Segments, chosen: np.ndarray, units: np.ndarray, ids: np.ndarray, length: int) -> Distinct:
-    """Equal texts are found by a 64-bit hash with the anchor and the length."""
+def distinct_texts(b, chosen: np.ndarray) -> Distinct:
+    """The distinct texts among a block's chosen segments, in the order of their anchors."""
+    seg = b.seg
     start, count = seg.start[chosen], seg.count[chosen]
-    key = range_hashes(units, start, start + count + length - 1) ^ mix(seg.anchor[chosen])
-    order = np.argsort(key, kind="stable")
-    sorted_ = key[order]
-    new = np.r_[True, sorted_[1:] != sorted_[:-1]] if len(key) else np.zeros(0, bool)
-    heads = np.flatnonzero(new)
-    of = np.empty(len(key), np.int64)
-    of[order] = np.cumsum(new) - 1
-    low = np.minimum.reduceat(ids[seg.doc[chosen]][order], heads) if len(heads) else np.zeros(0, np.int64)
-    return Distinct(chosen[order[heads]], of, low, chosen)
+    key = range_hashes(b.units, start, start + count + b.length - 1) ^ mix(seg.anchor[chosen])
+    first, of = equal_texts(b.data, *b.places(chosen), key)
+    low = np.full(len(first), np.iinfo(np.int64).max)
+    np.minimum.at(low, of, b.ids[seg.doc[chosen]])
+    by = np.argsort(seg.anchor[chosen[first]], kind="stable")
+    back = np.empty(len(by), np.int64)
+    back[by] = np.arange(len(by))
+    return Distinct(chosen[first[by]], back[of], low[by], chosen)
 
 
 def block_anchors(seg: Segments, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -239,9 +277,5 @@ def choose(b, masks: dict[int, bytes], shards: int) -> None:
     for s, m in masks.items():
         hit[bounds[s] : bounds[s + 1]] = from_bits(m, bounds[s + 1] - bounds[s])
     chosen = np.flatnonzero(hit[np.searchsorted(b.keys, b.seg.anchor)]) if len(b.keys) else np.zeros(0, np.int64)
-    b.distinct = d = distinct_texts(b.seg, chosen, b.units, b.ids, b.length)
-    by = np.argsort(b.seg.anchor[d.first], kind="stable")
-    back = np.empty(len(by), np.int64)
-    back[by] = np.arange(len(by))
-    d.first, d.low, d.of = d.first[by], d.low[by], back[d.of] if len(by) else d.of
-    b.shard_at = shard_bounds(b.seg.anchor[d.first], shards)
+    b.distinct = distinct_texts(b, chosen)
+    b.shard_at = shard_bounds(b.seg.anchor[b.distinct.first], shards)

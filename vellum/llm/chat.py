@@ -79,8 +79,8 @@ def digests(formatted: DataFrame) -> DataFrame:
 
 def op10_query(spark, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    said = "</s>[INST] ok [/INST]"
-    rows = rows.unionByName(spark.sql("SELECT conv_id, turn, role, text FROM VALUES (-1L, 0L, 'user'), (-1L, 1L, 'assistant') AS v(conv_id, turn, role) CROSS JOIN (SELECT :said AS text)", args={"said": said}))
+    said = "'</s>[INST] ok [/INST]'"
+    rows = rows.unionByName(spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', {said}), (-1L, 1L, 'assistant', {said}) AS v(conv_id, turn, role, text)"))
     return digests(format_conversations(rows))
 
 

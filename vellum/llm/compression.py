@@ -1,26 +1,30 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text. A text is cut into windows of one word
-(lower-cased; each distinct one counts once), every window is compressed with both, and the difference of the two
-lengths says which text it resembles. Windows get a fixed run of padding, for zstandard stores very short input as it
-is. The largest differences of a text, set against how many windows it has, go through a calibrated logistic curve.
-
-Toxic documents are mostly ordinary text, so what the toxic dictionary learns from is their windows whose document
-frequency in the two classes differs significantly (by the log-likelihood ratio); the ordinary dictionary learns from
-the other windows. As a window of either class may hold ordinary text, the toxic compressor has the ordinary dictionary
-in front of its own, so that only what is specific to toxic text makes the lengths differ. Both and the curve are fitted on at most PER_CLASS labelled rows of each class (those of smallest hash, none
-held out); the curve on the part of them that the dictionaries haven't seen. Every document is scored on all its words.
-
-Defined cases: null text is empty; an empty text has no windows, its score is the curve at no difference; a missing class gives
-that class's constant score, no labels at all 0.5; rows with the same doc_id are scored one by one; other columns are
-ignored; an empty table gives an empty result.
+Two zstandard dictionaries are trained, one on ordinary and one on toxic text. A text is cut into windows of WINDOW
+consecutive words (lower-cased; one window begins at the last word of the one before, so any two neighbours share a
+window), every window is compressed with both dictionaries, and the difference of the two lengths says which text it
+resembles. A window without MATCH bytes in a row that the toxic dictionary has and the ordinary one lacks can't be
+shortened by the toxic one: its difference is 0 and isn't worked out. How many windows differ by at least each of
+THRESHOLDS bytes, and the largest differences, go through a calibrated logistic curve. Windows get a fixed run of padding, for zstandard stores very short input as it is.
+
+The ordinary dictionary learns from all windows of the ordinary sample. Toxic documents are mostly ordinary text, and a
+dictionary trained on all of theirs tells hardly anything (README), so the toxic one learns from the runs of one and of
+two neighbouring words whose document frequency in the two classes differs significantly by the log-likelihood ratio;
+near copies of a row count once. The toxic compressor has the ordinary dictionary in front of its own: toxic text is
+ordinary language too, and then only what is specific to it makes the lengths differ.
+
+Dictionaries and curve are fitted on at most PER_CLASS labelled rows of each class and SAMPLE_BYTES of their whole texts
+(those of smallest hash, none held out); the curve on the part that the dictionaries haven't seen. Every document is
+scored on all its windows.
+
+Defined cases: null text is empty; an empty text has one empty window; a missing class gives that class's constant
+score, no labels at all 0.5; rows with the same doc_id are scored one by one; other columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,30 +32,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .anchors import M1, mix
 from .common import fit_logistic, held_out, labelled_sample, probability, table
 
-PER_CLASS = 4000
+PER_CLASS, SAMPLE_BYTES = 4000, 24_000_000
 DICTIONARY = 16384
+WINDOW = 4
+#: Bytes that a compressor matches at least.
+MATCH = 5
 PAD = b" " * 64
-#: Largest differences that count.
+#: Bytes of difference that windows are counted by.
+THRESHOLDS = (2, 4, 6)
+#: Largest differences that count by themselves.
 TOP = 3
-#: Texts of fewer windows count as if they had these.
-SHORT = 50
-#: Windows whose difference a worker remembers.
-MEMO = 400_000
+#: What stands at the end of a trained dictionary's tables, before its text: the usual repeated offsets 1, 4 and 8.
+OFFSETS = b"".join(n.to_bytes(4, "little") for n in (1, 4, 8))
 
 
-def windows(text: str) -> list[bytes]:
-    return list(set(text.encode("utf-8", "surrogatepass").lower().split()))
+def words(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def windows(w: list[bytes], size: int = WINDOW) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """(text, starts, stops): runs of `size` words with the spaces around them; each begins at the last word of the one before."""
+    text = b" " + b" ".join(w) + b" "
+    at = np.zeros(len(w) + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1, out=at[1:])
+    first = np.arange(0, max(len(w) - 1, 1), size - 1)
+    return text, at[first], at[np.minimum(first + size, len(w))] + 1
+
+
+def grams(text: bytes) -> np.ndarray:
+    """Hashes of the strings of MATCH bytes that start at each byte, in 20 bits."""
+    wide = np.ndarray((max(len(text) - MATCH + 1, 0),), "<u8", text + bytes(8), strides=(1,))
+    return (wide << np.uint64(64 - 8 * MATCH)) * M1 >> np.uint64(44)
 
 
 class Distance:
     """Compressed length with the ordinary dictionary less that with the toxic one."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
-        self.parts = ordinary, toxic
-        self.memo: dict[bytes, int] = {}
-        self.pair = None
+        self.parts, self.pair = (ordinary, toxic), None
+        self.own = np.zeros(1 << 20, bool)
+        self.own[grams(toxic)] = True
+        self.own[grams(ordinary)] = False
 
     def __getstate__(self):
         return self.parts
@@ -64,38 +88,95 @@ class Distance:
 
         made = []
         for d in self.parts:
-            p = zstandard.ZstdCompressionParameters.from_level(3, dict_size=max(len(d), 1), source_size=100, min_match=4, strategy=zstandard.STRATEGY_LAZY2, search_log=8, hash_log=16, chain_log=16, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+            p = zstandard.ZstdCompressionParameters.from_level(3, dict_size=max(len(d), 1), source_size=128, min_match=MATCH, strategy=zstandard.STRATEGY_LAZY2, search_log=8, hash_log=16, chain_log=16, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
             data = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if d else None
             if data:
                 data.precompute_compress(compression_params=p)
-            made.append(zstandard.ZstdCompressor(dict_data=data, compression_params=p))
+            made.append(zstandard.ZstdCompressor(dict_data=data, compression_params=p).compress)
         return made
 
-    def __call__(self, window: bytes) -> int:
-        found = self.memo.get(window)
-        if found is None:
-            if self.pair is None:
-                self.pair = self._compressors()
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            x = b" " + window + b" " + PAD
-            found = self.memo[window] = len(self.pair[0].compress(x)) - len(self.pair[1].compress(x))
-        return found
+    def __call__(self, w: list[bytes]) -> list[int]:
+        """The differences of a text's windows, but for the zeros of windows that hold nothing of the toxic dictionary's own."""
+        text, start, stop = windows(w)
+        hits = np.r_[0, np.cumsum(self.own[grams(text)])]
+        some = hits[np.clip(stop - MATCH + 1, start, len(hits) - 1)] > hits[start]
+        if self.pair is None:
+            self.pair = self._compressors()
+        a, b = self.pair
+        return [len(a(x)) - len(b(x)) for x in (text[i:j] + PAD for i, j in zip(start[some].tolist(), stop[some].tolist(), strict=True))]
 
-    def features(self, own: list[bytes]) -> list[float]:
-        top = sorted(map(self, own), reverse=True)[:TOP]
-        top += [0] * (TOP - len(top))
-        return [*map(float, top), math.log1p(max(len(own), SHORT))]
+    def features(self, w: list[bytes]) -> list[float]:
+        d = sorted((x for x in self(w) if x > 0), reverse=True)
+        top = d[:TOP] + [0] * (TOP - len(d))
+        return [*map(float, top), *(math.log1p(sum(x >= t for x in d)) for t in THRESHOLDS), math.log1p(len(w))]
 
 
 def dictionary(samples: list[bytes]) -> bytes:
-    """A trained dictionary; with too little text to train on, the text itself."""
+    """The text of a trained dictionary, without its tables; with too little text to train on, that text."""
     import zstandard
 
     try:
-        return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
+        made = zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return b"".join(samples)[-DICTIONARY:]
+        return b"".join(samples)
+    at = made.find(OFFSETS)
+    return made[at + len(OFFSETS) :] if at >= 0 else made
+
+
+def runs(w: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """(runs of one and of two words, their hashes)."""
+    import xxhash
+
+    h = np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w))
+    return w + [a + b" " + b for a, b in zip(w, w[1:])], np.r_[h, mix(h[:-1] * M1 ^ mix(h[1:]))]
+
+
+def unlike_rows(hashes: list[np.ndarray], alike: float = 0.5) -> list[int]:
+    """The rows but for near copies: those whose runs have a Jaccard of `alike` with the runs of a row before.
+
+    Rows with one of their smallest hashes of two-word runs in common are compared.
+    """
+    kept, by = [], {}
+    for i, h in enumerate(hashes):
+        own = np.unique(h)
+        signs = np.unique(h[(len(h) + 1) // 2 :])[:4].tolist() or own[:1].tolist()
+        found = {j for s in signs for j in by.get(s, ())}
+        for j in found:
+            both = len(np.intersect1d(own, hashes[j]))
+            if both >= alike * (len(own) + len(np.unique(hashes[j])) - both):
+                break
+        else:
+            kept.append(i)
+            for s in signs:
+                by.setdefault(s, []).append(i)
+    return kept
+
+
+def specific_runs(sample: list[tuple[list[bytes], int]]) -> list[tuple[bytes, int]]:
+    """(run, toxic documents) of the runs that are significantly more frequent in toxic documents, rarest first."""
+    every = [runs(w) for w, _ in sample]
+    use = unlike_rows([h for _, h in every])
+    n = [sum(sample[i][1] == k for i in use) for k in (0, 1)]
+    known, a = np.unique(np.concatenate([np.unique(every[i][1]) for i in use if sample[i][1]]), return_counts=True)
+    many = len(known)
+    known, a = known[a > 1], a[a > 1].astype(float)
+    if not len(known):
+        return []
+    b = np.zeros(len(known))
+    for i in use:
+        if not sample[i][1]:
+            h = np.unique(every[i][1])
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            b[at[known[at] == h]] += 1
+    p = (a + b) / sum(n)
+    ratio = np.zeros(len(known))
+    for k, m, q in ((a, n[1], p), (n[1] - a, n[1], 1 - p), (b, n[0], p), (n[0] - b, n[0], 1 - p)):
+        ratio += np.where(k > 0, 2 * k * np.log(np.maximum(k, 1) / m / np.maximum(q, 1e-12)), 0)
+    # few of so many pass by chance
+    marked = (a / n[1] > b / n[0]) & (ratio >= 2 * math.log(many + 1) + 6)
+    df = dict(zip(known[marked].tolist(), a[marked].astype(int).tolist(), strict=True))
+    said = {int(h): r for i in use if sample[i][1] for r, h in zip(every[i][0], every[i][1].tolist()) if h in df}
+    return sorted(((r, df[h]) for h, r in said.items()), key=lambda x: (x[1], x[0]))
 
 
 class Model:
@@ -105,49 +186,22 @@ class Model:
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.distance is None or not texts:
             return probability(np.zeros((len(texts), 1)), self.curve)
-        return probability(np.array([self.distance.features(windows(t)) for t in texts]), self.curve)
+        return probability(np.array([self.distance.features(words(t)) for t in texts]), self.curve)
 
 
 def fit(sample: list[tuple[list[bytes], int]], counts: list[int]) -> Model:
-    """sample: (distinct windows, label) of each row, in a fixed order; counts: labelled rows of each class."""
+    """sample: (words, label) of each row, in a fixed order; counts: labelled rows of each class."""
     y = np.array([s[1] for s in sample], int)
     if not len(y) or y.min() == y.max():
         return Model(None, np.array([0.0, 0.0 if not len(y) else (30.0 if y[0] else -30.0)]))
     part = np.arange(len(y)) % 4 == 3
     if len(set(y[part])) < 2 or len(set(y[~part])) < 2:
         part = np.zeros(len(y), bool)
-    seen, n, shown = [Counter(), Counter()], [0, 0], set()
-    for (w, k), later in zip(sample, part, strict=True):
-        # near copies would make any of their windows look specific: those with the same smallest hashes count once
-        sign = (k, *sorted(map(zlib.crc32, w))[:2])
-        if not later and sign not in shown:
-            shown.add(sign)
-            seen[k].update(w)
-            n[k] += 1
-    def specific(w: bytes) -> float:
-        """Log-likelihood ratio of a window that is more frequent in toxic documents, else 0."""
-        a, b = seen[1][w], seen[0][w]
-        p = (a + b) / (n[0] + n[1])
-        if a / n[1] <= b / n[0]:
-            return 0.0
-        return 2 * sum(k * math.log(k / m / q) for k, m, q in ((a, n[1], p), (n[1] - a, n[1], 1 - p), (b, n[0], p), (n[0] - b, n[0], 1 - p)) if k)
-
-    ratio = {w: specific(w) for w in seen[1]}
-    least = 2 * math.log(len(ratio) + 1) + 6  # few windows of so many pass by chance
-    marked = [w for w, r in ratio.items() if r >= least] or sorted(ratio, key=lambda w: (-ratio[w], w))[:20]
-    marked.sort(key=lambda w: (seen[1][w], w))
-    usual = sorted((w for w in seen[0] if seen[0][w] >= 2 and ratio.get(w, 0) < least / 2), key=lambda w: (seen[0][w], w))
-
-    def samples(words: list[bytes], k: int, most: int) -> list[bytes]:
-        """Windows, repeated as they recur and dealt evenly, in portions of eight."""
-        many = [b" " + w + b" " for w in words for _ in range(min(50, seen[k][w]))]
-        step = max(1, len(many) // most)
-        many = many[::-1][::step]
-        width = max(1, len(many) // 8)
-        return [b"".join(many[i::width]) for i in range(width)]
-
-    ordinary = dictionary(samples(usual, 0, 200_000))
-    distance = Distance(ordinary, ordinary + dictionary(samples(marked, 1, 200_000)))
+    learn = [s for s, later in zip(sample, part, strict=True) if not later]
+    ordinary = dictionary([text[i:j] for w, k in learn if not k for text, at, to in [windows(w, 2 * WINDOW)] for i, j in zip(at.tolist(), to.tolist(), strict=True)])
+    many = [b" " + r + b" " for r, df in specific_runs(learn) for _ in range(df)]
+    width = max(1, len(many) // 8)
+    distance = Distance(ordinary, ordinary + dictionary([b"".join(many[i::width]) for i in range(width)]))
     use = np.flatnonzero(part) if part.any() else np.arange(len(y))
     x = np.array([distance.features(sample[i][0]) for i in use])
     own = np.array([counts[k] / max((y == k).sum(), 1) for k in (0, 1)])
@@ -155,17 +209,11 @@ def fit(sample: list[tuple[list[bytes], int]], counts: list[int]) -> Model:
     return Model(Distance(*distance.parts), fit_logistic(x, y[use], pull, ridge=0.1))
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        got = [b" ".join(sorted(windows(t))) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary()), b.column(2)], ["doc_id", "w", "y"])
-
-
-def trained(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> Model:
-    rows, counts = labelled_sample(documents, labels, label, per_class)
-    got = rows.select(F.col("doc_id").cast("long"), "text", "y").mapInArrow(_sampled, "doc_id long, w binary, y int").collect()
-    got.sort(key=lambda r: (hash((r.doc_id, 0)) & 0xFFFF, r.doc_id, r.y, bytes(r.w)))
-    return fit([(bytes(r.w).split(), r.y) for r in got], counts)
+def trained(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    rows, counts = labelled_sample(documents, labels, label, per_class, sample_bytes)
+    got = rows.select(F.col("doc_id").cast("long"), "text", "y").collect()  # at most sample_bytes of each class
+    got.sort(key=lambda r: (hash((r.doc_id, 0)) & 0xFFFF, r.doc_id, r.y, r.text))
+    return fit([(words(r.text), r.y) for r in got], counts)
 
 
 def scored(documents: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.3) -> DataFrame:

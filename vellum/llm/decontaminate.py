@@ -12,8 +12,8 @@ knows their true size: it broadcasts them under spark.sql.autoBroadcastJoinThres
 
 Defined cases: words are runs of letters and digits, lower-cased; null text is empty; a text of fewer than five words
 has one shingle, all of it; an item without words matches nothing; rows with the same doc_id (or item_id) are one
-document (or item) with the union of their shingles; null ids are kept as an id of their own; other columns are
-ignored; empty tables give an empty result.
+document (or item) with the union of their shingles, rows with a null id one of their own; other columns are ignored; empty
+tables give an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filled_id, given_id, table, written
+from .common import filled_id, own_id, table, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -52,50 +52,70 @@ def need(n: Column) -> Column:
     return F.floor((n * int(THRESHOLD * 10) + 9) / 10).cast("int")
 
 
-def contained(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_item, n_shared, containment of every pair with a containment of 0.8 or more."""
-    items = benchmark.select(filled_id("item_id").alias("item"), words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
-    items = items.groupBy("item").agg(F.array_distinct(F.flatten(F.collect_list(shingles(F.col("w"), None)))).alias("s")).withColumn("n", F.size("s"))
+ITEM = ["item", "unnamed"]
+
+
+def _contained(docs: DataFrame, own: list[str], benchmark: DataFrame) -> DataFrame:
+    """own, item, unnamed, n, shared: the items that documents contain. docs: text and the columns that tell documents apart, none of them null."""
+    items = benchmark.select(filled_id("item_id").alias("item"), F.col("item_id").isNull().alias("unnamed"), words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
+    items = items.groupBy(ITEM).agg(F.array_distinct(F.flatten(F.collect_list(shingles(F.col("w"), None)))).alias("s")).withColumn("n", F.size("s"))
     items = written(items, "items")
     # the hash of a whole short text differs from that of five words; both sides use the same rule
-    five = items.select("item", "n", need(F.col("n")).alias("need"), F.transform("s", lambda s: F.when(F.size(F.split(s, " ")) == WORDS, F.xxhash64(*[F.get(F.split(s, " "), F.lit(k)) for k in range(WORDS)])).otherwise(F.xxhash64(s))).alias("h"))
+    five = items.select(*ITEM, "n", need(F.col("n")).alias("need"), F.transform("s", lambda s: F.when(F.size(F.split(s, " ")) == WORDS, F.xxhash64(*[F.get(F.split(s, " "), F.lit(k)) for k in range(WORDS)])).otherwise(F.xxhash64(s))).alias("h"))
     five = five.withColumn("k", F.col("n") - F.col("need") + 1)
     order = F.array_sort(F.transform("h", lambda h: F.struct(F.xxhash64(h, F.lit(7)).alias("by"), h.alias("h"))))
-    sketch = written(five.select("item", "need", F.explode_outer(F.slice(order, F.lit(1), F.col("k"))).alias("m")).select("item", "need", F.col("m.h").alias("h")), "sketch")
-    docs = documents.select(filled_id("doc_id").alias("doc"), "text")
+    sketch = written(five.select(*ITEM, F.explode_outer(F.slice(order, F.lit(1), F.col("k"))).alias("m")).select(*ITEM, F.col("m.h").alias("h")), "sketch")
     # words are a column of their own: inside the lambdas they would be split again for each shingle
-    hashed = docs.select("doc", words_of(F.col("text")).alias("w")).select("doc", shingles(F.col("w"), F.xxhash64).alias("h"))
+    hashed = docs.select(*own, words_of(F.col("text")).alias("w")).select(*own, shingles(F.col("w"), F.xxhash64).alias("h"))
     # outer: for a plain explode the optimizer infers a filter, which would compute the shingles a second time
-    pairs = hashed.select("doc", F.explode_outer("h").alias("h")).join(sketch, "h").select("doc", "item").distinct()
+    pairs = hashed.select(*own, F.explode_outer("h").alias("h")).join(sketch, "h").select(*own, *ITEM).distinct()
     pairs = written(pairs, "pairs")
-    wanted = docs.join(pairs.select("doc").distinct(), "doc", "left_semi").select("doc", words_of(F.col("text")).alias("w")).select("doc", F.array_distinct(shingles(F.col("w"), None)).alias("s"))
-    found = wanted.join(pairs, "doc").join(items.withColumnRenamed("s", "t"), "item").select("doc", "item", "n", F.array_intersect("t", "s").alias("both"))
-    # collected per pair: an item's shingles bound the group for each row; rows of one doc_id are united
-    one = found.where(F.size("both") > 0).groupBy("doc", "item").agg(F.first("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_set("both")))).alias("shared"))
-    return one.where(F.col("shared") >= need(F.col("n"))).select(
-        given_id("doc").alias("doc_id"), given_id("item").alias("item_id"), F.col("n").cast("long").alias("n_item"), F.col("shared").cast("long").alias("n_shared"), (F.col("shared") / F.col("n")).alias("containment")
+    wanted = docs.join(pairs.select(own).distinct(), own, "left_semi").select(*own, words_of(F.col("text")).alias("w")).select(*own, F.array_distinct(shingles(F.col("w"), None)).alias("s"))
+    found = wanted.join(pairs, own).join(items.withColumnRenamed("s", "t"), ITEM).select(*own, *ITEM, "n", F.array_intersect("t", "s").alias("both"))
+    # collected per pair: an item's shingles bound the group for each row; rows of one document are united
+    one = found.where(F.size("both") > 0).groupBy(*own, *ITEM).agg(F.first("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_set("both")))).alias("shared"))
+    return one.where(F.col("shared") >= need(F.col("n")))
+
+
+def contained(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, n_item, n_shared, containment of every pair with a containment of 0.8 or more."""
+    docs = documents.select(filled_id("doc_id").alias("doc"), F.col("doc_id").isNull().alias("none"), "text")
+    return _contained(docs, ["doc", "none"], benchmark).select(
+        own_id("doc").alias("doc_id"), own_id("item", "unnamed").alias("item_id"), F.col("n").cast("long").alias("n_item"), F.col("shared").cast("long").alias("n_shared"), (F.col("shared") / F.col("n")).alias("containment")
     )
 
 
-def short_items(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc: the documents with a benchmark text of one to four words as a run of whole words."""
+#: What tells a row of the pipeline from others: its doc_id and its text, by hash and length.
+ROW = ["doc", "none", "hash", "size"]
+
+
+def _keys() -> list[Column]:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return [filled_id("doc_id"), F.col("doc_id").isNull(), F.xxhash64(text), F.length(text)]
+
+
+def short_items(docs: DataFrame, own: list[str], benchmark: DataFrame) -> DataFrame:
+    """own: the documents with a benchmark text of one to four words as a run of whole words."""
     items = benchmark.select(words_of(F.col("text")).alias("w")).where(F.size("w").between(1, WORDS - 1))
     items = written(items.select(F.size("w").alias("n"), F.array_join("w", " ").alias("run")).distinct(), "short")
     lengths = sorted(r.n for r in items.select("n").distinct().collect())  # at most four
-    docs = documents.select(filled_id("doc_id").alias("doc"), words_of(F.col("text")).alias("w"))
+    docs = docs.select(*own, words_of(F.col("text")).alias("w"))
     if not lengths:
-        return docs.select("doc").where(F.lit(False))
+        return docs.select(own).where(F.lit(False))
 
     def runs(n: int) -> Column:
         return F.transform(F.slice("w", 1, F.greatest(F.size("w") - (n - 1), F.lit(0))), lambda _, i: F.concat_ws(" ", *[F.get(F.col("w"), i + k) for k in range(n)]))
 
-    return docs.select("doc", F.explode_outer(F.array_distinct(F.concat(*map(runs, lengths)))).alias("run")).join(items.select("run"), "run", "left_semi").select("doc")
+    return docs.select(*own, F.explode_outer(F.array_distinct(F.concat(*map(runs, lengths)))).alias("run")).join(items.select("run"), "run", "left_semi").select(own)
 
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that contain no item of the benchmark."""
-    found = contained(documents, benchmark).select(filled_id("doc_id").alias("__doc")).union(short_items(documents, benchmark)).distinct()
-    return documents.join(found, filled_id("doc_id") == found["__doc"], "left_anti")
+    """The rows whose own text contains no item of the benchmark; rows that share a doc_id, or have none, are judged one by one."""
+    docs = documents.select(*(k.alias(c) for k, c in zip(_keys(), ROW, strict=True)), "text")
+    found = _contained(docs, ROW, benchmark).select(ROW).union(short_items(docs, ROW, benchmark)).distinct()
+    found = found.select(*(F.col(c).alias(f"__{c}") for c in ROW))
+    same = [k == found[f"__{c}"] for k, c in zip(_keys(), ROW, strict=True)]
+    return documents.join(found, same, "left_anti")
 
 
 def op7_query(spark, sf_dir: str) -> DataFrame:

@@ -5,8 +5,8 @@ class log-count ratio, and a linear hinge-loss model is fitted to the scaled, le
 coordinate descent. A logistic curve fitted to the margins of a part of the sample that the model hasn't seen turns
 margins into probabilities.
 
-The model is fitted on at most PER_CLASS labelled rows of each class (the rows of smallest hash, whole texts, none held
-out); every document is scored on its whole text. Only bucket numbers of the sample reach the driver.
+The model is fitted on at most PER_CLASS labelled rows of each class and SAMPLE_BYTES of their text (the rows of smallest
+hash, whole texts, none held out); every document is scored on its whole text. Only bucket numbers of the sample reach the driver.
 
 Defined cases: null text is empty; an empty text has no features, its score is the curve at the intercept; a missing
 class gives that class's constant score, no labels at all 0.5; rows with the same doc_id are scored one by one; other
@@ -28,7 +28,7 @@ from .common import fit_logistic, held_out, labelled_sample, probability, table
 
 BITS = 18
 SIZES = (2, 3, 4)
-PER_CLASS = 4000
+PER_CLASS, SAMPLE_BYTES = 4000, 48_000_000
 #: Bytes of text whose n-grams are hashed at once.
 STEP = 1 << 20
 
@@ -143,8 +143,8 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary()), b.column(2)], ["doc_id", "f", "y"])
 
 
-def trained(documents: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> Model:
-    rows, counts = labelled_sample(documents, labels, label, per_class)
+def trained(documents: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    rows, counts = labelled_sample(documents, labels, label, per_class, sample_bytes)
     got = rows.select(F.col("doc_id").cast("long"), "text", "y").mapInArrow(_sampled, "doc_id long, f binary, y int").collect()
     got.sort(key=lambda r: (hash((r.doc_id, 0)) & 0xFFFF, r.doc_id, r.y, bytes(r.f)))
     return fit([(np.frombuffer(r.f, np.uint32), r.y) for r in got], counts)

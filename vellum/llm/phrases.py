@@ -3,11 +3,11 @@
 The frame of anchors.py brings the windows of 50 words that may recur to one shard. The shard confirms, word by word,
 which of them recur and in which document each starts first; runs of windows with the same first document are the
 recurring passages. Each block of documents then compiles the passages that concern it into Aho-Corasick automata (in
-portions of bounded size, each word being one symbol) and streams all its documents through them, which locates every
+portions of bounded size, each distinct word being one symbol) and streams all its documents through them, which locates every
 occurrence. Words of an occurrence in a later document than the passage's first one are removed.
 
 Defined cases: null text has no words; fewer than 50 words lose nothing; rows with the same doc_id are one document;
-a null doc_id is larger than any other; other columns are ignored; an empty table gives an empty result.
+a null doc_id ranks with the largest long (rows of either are one document) and stays null; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,11 +16,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors as A
-from .common import given_id
+from .common import own_id
 from .suffix_array import blocks_of, repeated_runs
 
 WINDOW = 50
@@ -35,7 +36,8 @@ class WordBlock:
     """The documents of one block as words. Its interface is that of suffix_array.Block."""
 
     def __init__(self, t: pa.Table):
-        t = t.sort_by([("id", "ascending"), ("bytes", "ascending")])
+        t = t.sort_by([("id", "ascending"), ("none", "ascending"), ("bytes", "ascending")])
+        self.none = t.column("none")
         self.ids = t.column("id").to_numpy()
         data, offsets = A.texts_of(t.column("bytes"))
         n = len(data)
@@ -45,12 +47,15 @@ class WordBlock:
         edge[offsets] = True
         start = np.flatnonzero(word[1:-1] & (~word[:-2] | edge[:-1]))
         stop = np.flatnonzero(word[1:-1] & (~word[2:] | edge[1:])) + 1
-        self.units = A.range_hashes(data, start, stop)
         self.unit_offsets = np.searchsorted(start, offsets)
         # words joined by one space
         self.data = A.cut(np.r_[data, np.uint8(32)], start, stop - start + 1).copy()
         self.at = np.r_[0, np.cumsum(stop - start + 1)]
         self.data[self.at[1:] - 1] = 32
+        # a word's code tells it from the block's other words; its hash, the same in all blocks, chooses anchors only
+        pool = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(self.at), pa.py_buffer(self.data)]).dictionary_encode()
+        self.codes = pool.indices.to_numpy()
+        self.units = np.fromiter(map(xxhash.xxh64_intdigest, pool.dictionary.to_pylist()), np.uint64, len(pool.dictionary))[self.codes]
         self.grams, self.k, self.length = A.unit_grams, GRAM, WINDOW
 
     def scan(self):
@@ -62,13 +67,18 @@ class WordBlock:
         A.choose(self, masks, shards)
         return self
 
+    def places(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and sizes, in bytes of data, of some segments."""
+        a = self.seg.start[which]
+        b = a + self.seg.count[which] + self.length - 1
+        return self.at[a], self.at[b] - self.at[a]
+
     def texts(self, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes of all segments, each ended by a line feed; words of each)."""
-        size = self.seg.count[first] + self.length - 1
-        a, b = self.at[self.seg.start[first]], self.at[self.seg.start[first] + size]
-        data = A.cut(self.data, a, b - a)
-        data[np.cumsum(b - a) - 1] = 10
-        return data, size
+        start, size = self.places(first)
+        data = A.cut(self.data, start, size)
+        data[np.cumsum(size) - 1] = 10
+        return data, self.seg.count[first] + self.length - 1
 
 
 def passage_runs(parts: list[dict]) -> list[tuple[bytes, bytes, bytes]]:
@@ -139,7 +149,7 @@ def locate(b: WordBlock, start: np.ndarray, size: np.ndarray, doc: np.ndarray) -
     at = 0
     while at < len(start):
         to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + AUTOMATON, side="right")))
-        words = A.cut(b.units, start[at:to], size[at:to])
+        words = A.cut(b.codes, start[at:to], size[at:to])
         known = np.unique(words)
 
         def symbols(x, known=known):
@@ -148,7 +158,7 @@ def locate(b: WordBlock, start: np.ndarray, size: np.ndarray, doc: np.ndarray) -
             return np.where(c >= 0xD800, c + 0x800, c).astype("<u4")
 
         text = np.ones(len(b.units) + len(b.ids), "<u4")
-        text[place] = symbols(b.units)
+        text[place] = symbols(b.codes)
         phrase = symbols(words).tobytes().decode("utf-32-le")
         ends = np.cumsum(size[at:to]).tolist()
         found: dict[str, int] = {}
@@ -185,13 +195,13 @@ def _finish(b: WordBlock, each, length, doc) -> pa.Table:
             text = b.data[b.at[a] : max(b.at[a], b.at[e] - 1)].tobytes()
         sha.append(hashlib.sha256(text).hexdigest())
         kept.append(text)
-    return pa.table([pa.array(b.ids), pa.array(n.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], ["id", "n_words", "n_removed", "kept_sha256", "kept"])
+    return pa.table([pa.array(b.ids), b.none, pa.array(n.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], ["id", "none", "n_words", "n_removed", "kept_sha256", "kept"])
 
 
 def dedup_phrases(documents: DataFrame) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256 and text (the kept words joined by one space)."""
-    out = repeated_runs(blocks_of(documents), WordBlock, passage_runs, _finish, "id long, n_words long, n_removed long, kept_sha256 string, kept binary")
-    return out.select(given_id("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256", F.col("kept").cast("string").alias("text"))
+    out = repeated_runs(blocks_of(documents), WordBlock, passage_runs, _finish, "id long, none boolean, n_words long, n_removed long, kept_sha256 string, kept binary")
+    return out.select(own_id().alias("doc_id"), "n_words", "n_removed", "kept_sha256", F.col("kept").cast("string").alias("text"))
 
 
 def op4_query(spark, sf_dir: str) -> DataFrame:

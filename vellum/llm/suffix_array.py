@@ -9,8 +9,8 @@ length of w, and only such intervals are queued, breadth first. The expansion st
 not fixed by then have a common prefix of at least that length, so maximal runs of them are exactly the repeated
 strings. Groups of equal anchors are independent, so a shard works through them in portions of bounded size.
 
-Defined cases: null text is empty; rows with the same doc_id are one document; a null doc_id is larger than any
-other; texts shorter than the minimum length lose nothing; other columns are ignored; an empty table gives an empty
+Defined cases: null text is empty; rows with the same doc_id are one document; a null doc_id ranks with the largest
+long (rows of either are one document) and stays null; texts shorter than the minimum length lose nothing; other columns are ignored; an empty table gives an empty
 result. In text() a character goes only if all its bytes go, so the text stays valid UTF-8.
 """
 
@@ -22,10 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, StructType
 
 from . import anchors as A
-from .common import filled_id, given_id, partitions
+from .common import filled_id, own_id, partitions
 
 MIN_LENGTH = 50
 GRAM = 16
@@ -147,13 +147,13 @@ def shard_runs(parts: list[dict], least: int) -> list[tuple[bytes, bytes, bytes]
     begin = np.cumsum(size) - size
     # equal texts of several blocks become one; the hash's arrays are a block's, not the shard's
     key = np.concatenate([A.range_hashes(p["data"], np.cumsum(p["size"]) - p["size"], np.cumsum(p["size"])) for p in parts]) ^ A.mix(anchor)
-    order = np.lexsort((key, anchor))
-    k, a = key[order], anchor[order]
-    new = np.r_[True, (k[1:] != k[:-1]) | (a[1:] != a[:-1])]
-    heads = np.flatnonzero(new)
-    of = np.empty(len(key), np.int64)
-    of[order] = np.cumsum(new) - 1
-    rep, lows = order[heads], np.minimum.reduceat(low[order], heads)
+    rep, of = A.equal_texts(data, begin, size, key)
+    by = np.argsort(anchor[rep], kind="stable")
+    back = np.empty(len(by), np.int64)
+    back[by] = np.arange(len(by))
+    rep, of = rep[by], back[of]
+    lows = np.full(len(rep), np.iinfo(np.int64).max)
+    np.minimum.at(lows, of, low)
     # portions of whole anchors
     total = np.cumsum(size[rep] + 1)
     first = np.flatnonzero(np.r_[True, anchor[rep][1:] != anchor[rep][:-1]])
@@ -187,7 +187,7 @@ class Block:
     """The documents of one block, in an order that every pass over them finds again."""
 
     def __init__(self, t: pa.Table):
-        t = t.sort_by([("id", "ascending"), ("bytes", "ascending")])
+        t = t.sort_by([("id", "ascending"), ("none", "ascending"), ("bytes", "ascending")])
         self.table = t
         self.ids = t.column("id").to_numpy()
         self.data, self.offsets = A.texts_of(t.column("bytes"))
@@ -203,10 +203,14 @@ class Block:
         A.choose(self, masks, shards)
         return self
 
+    def places(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and sizes, in bytes of data, of some segments."""
+        return self.seg.start[which], self.seg.count[which] + self.length - 1
+
     def texts(self, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes, sizes) of some segments."""
-        size = self.seg.count[first] + self.length - 1
-        return A.cut(self.data, self.seg.start[first], size), size
+        start, size = self.places(first)
+        return A.cut(self.data, start, size), size
 
 
 KEYS = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("twice", pa.binary())])
@@ -292,9 +296,9 @@ def repeated_runs(rows: DataFrame, make, runs_of, finish, out_schema: str) -> Da
 
 
 def blocks_of(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (id, bytes, x0, x1, ..., block); x0, x1, ... are the columns to carry."""
+    """Rows (id, none, bytes, x0, x1, ..., block); none: the id was null; x0, x1, ... are the columns to carry."""
     n = BLOCKS * partitions(documents.sparkSession)
-    rows = documents.select(filled_id("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("bytes"), *(F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(carry)))
+    rows = documents.select(filled_id("doc_id").alias("id"), F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("bytes"), *(F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(carry)))
     return rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)))
 
 
@@ -354,32 +358,32 @@ def _finish(b: Block, each, length, doc) -> pa.Table:
             kept.append(text)
     pairs = [np.stack([start[at[i] : at[i + 1]], stop[at[i] : at[i + 1]]], 1) - b.offsets[i] for i in range(n)]
     spans_ = pa.array([p.tolist() for p in pairs], pa.list_(pa.list_(pa.int64())))
-    return pa.table([pa.array(b.ids), pa.array(np.diff(b.offsets)), pa.array(removed), pa.array(spans), pa.array(sha, pa.string()), spans_, pa.array(kept, pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
+    return pa.table([pa.array(b.ids), b.table.column("none"), pa.array(np.diff(b.offsets)), pa.array(removed), pa.array(spans), pa.array(sha, pa.string()), spans_, pa.array(kept, pa.binary())], ["id", "none", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
 
 
-OUT = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>, kept binary"
+OUT = "id long, none boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>, kept binary"
 
 
 def dedup_substrings(documents: DataFrame) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte ranges removed) and text (what stays)."""
     out = repeated_runs(blocks_of(documents), Block, lambda parts: shard_runs(parts, MIN_LENGTH), _finish, OUT)
-    return out.select(given_id("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", F.col("kept").cast("string").alias("text"))
+    return out.select(own_id().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", F.col("kept").cast("string").alias("text"))
 
 
 def without_repeats(documents: DataFrame) -> DataFrame:
     """The documents with what stays as their text (and its length as n_chars, if there is such a column)."""
     other = tuple(c for c in documents.columns if c not in ("doc_id", "text", "n_chars"))
-    kinds = StructType([StructField("id", LongType()), StructField("kept", BinaryType()), *(StructField(f"x{i}", documents.schema[c].dataType) for i, c in enumerate(other))])
+    kinds = StructType([StructField("id", LongType()), StructField("none", BooleanType()), StructField("kept", BinaryType()), *(StructField(f"x{i}", documents.schema[c].dataType) for i, c in enumerate(other))])
 
     def finish(b: Block, each, length, doc) -> pa.Table:
-        t = _finish(b, each, length, doc).select(["id", "kept"])
+        t = _finish(b, each, length, doc).select(["id", "none", "kept"])
         for i in range(len(other)):
             t = t.append_column(f"x{i}", b.table.column(f"x{i}"))
         return t
 
     out = repeated_runs(blocks_of(documents, other), Block, lambda parts: shard_runs(parts, MIN_LENGTH), finish, kinds)
     text = F.col("kept").cast("string")
-    made = {"doc_id": given_id("id"), "text": text, "n_chars": F.length(text)} | {c: F.col(f"x{i}") for i, c in enumerate(other)}
+    made = {"doc_id": own_id(), "text": text, "n_chars": F.length(text)} | {c: F.col(f"x{i}") for i, c in enumerate(other)}
     return out.select(*(made[f.name].cast(f.dataType).alias(f.name) for f in documents.schema))
 
 
