@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 LONG = "Система " + "обработки данных " * 27 + "работает."  # 56 words
+LINE = "Длинная строка основного текста документа, которая занимает больше восьмидесяти знаков."
 NEAR = "Система " + "обработки данных " * 26 + "работает."  # 54 words
 
 SCHEMAS = {
@@ -25,7 +26,7 @@ SCHEMAS = {
     "fx_rules": "standard_id string, ord int, rule_id string, number string, section_id string, title string, content string, object_type string, constraint_type string",
     "fx_issues": "doc_id string, ord int, issue_id string, type string, subtype string, severity string, message string, section_id string, paragraph_id string, paragraph_index int, page int, evidence string, rule_id string, quote string, suggestion string, agent string",
     "fx_agents": "doc_id string, agent string, error string",
-    "fx_nodes": "id string, ord int, name string, type string, content string",
+    "fx_nodes": "id string, ord int, name string, type string, content string, number string, section_title string, object_type string, constraint_type string, keywords string",
     "fx_edges": "source string, target string, type string",
     "fx_raw": "doc_id string, text string",
     "fx_lines": "standard_id string, pos int, line string",
@@ -47,29 +48,35 @@ ROWS: dict[str, list[tuple]] = {
         ("d6", 1, "q1", "1", "Содержание", 1, "Перечень"), ("d6", 2, "q2", "2", "Приложение Материалы", 1, "т"), ("d6", 3, "q3", "3", "Введение", 1, "т"), ("d6", 4, "q4", "", "Расчет", 1, "т"),
     ],
     "fx_paragraphs": [
-        ("d1", 1, "p_1", "s1", "Цель работы состоит в анализе. На рисунке 1 показана схема.", 1, 2), ("d1", 2, "p_2", "s2", LONG, 1, 4), ("d1", 3, "p_3", "s2", NEAR, 2, 5), ("d1", 4, "p_4", "s21", "Короче говоря, метод простой, блин.", 2, 7), ("d1", 5, "p_5", "s21", "1. первый пункт", 2, 8), ("d1", 6, "p_6", "s23", "• второй пункт", 2, 9),
+        ("d1", 1, "p_1", "s1", "Цель работы состоит в анализе. На рисунке 1 показана схема.", 1, 2), ("d1", 2, "p_2", "s2", LONG, 1, 4), ("d1", 3, "p_3", "s2", NEAR, 2, 5), ("d1", 4, "p_4", "s21", "Короче говоря, метод простой, блин.", 2, 7), ("d1", 5, "p_5", "s21", "1. первый пункт", 2, 8), ("d1", 6, "p_6", "s23", "• второй пункт", 2, 9), ("d1", 7, "p_7", "s23", "1. Третий похож на заголовок", 2, 11), ("d1", 8, "p_8", "s23", "б) четвёртый", 2, 13), ("d1", 9, "p_9", "s1", "• заголовок", 2, 1),
         ("d2", 1, "p_1", "b", "Эта фигня не работает. Тупой подход! Жесть", 1, 2), ("d2", 2, "p_2", "c", "Фигнягенератор тут ни при чём.", 1, 3), ("d2", 3, "p_3", None, "а" * 421, 2, 4),
         ("d5", 1, "p_1", "p1", "Обычный текст с  пробелами.", 1, 1), ("d5", 2, "p_2", "p2", "а) пункт", 1, 2), ("d5", 3, "p_3", "p2", "а. пункт", 1, 3),
         ("d6", 1, "p_1", "q1", "Содержание и прочее", 1, None), ("d6", 2, "p_2", "q3", "Ну короче, КАПЕЦ как быстро. См. Таблица 1 – Данные", 1, 3),
     ],
-    "fx_figures": [("d1", 1, "fig_1", "Рисунок 1 — Схема", 1, 3), ("d1", 2, "fig_2", "Рис. 3 - График.", 2, 6), ("d1", 3, "fig_3", "", 2, None), ("d1", 4, "fig_4", "Рисунок 3 – Повтор", 3, 10), ("d5", 1, "fig_1", "Рисунок 1.2 — Вид", 1, 2), ("d5", 2, "fig_2", "Рисунок 2 — План", 1, 3), ("d6", 1, "fig_1", "Схема без слова", 1, 2)],
-    "fx_tables": [("d1", 1, "tbl_1", "Таблица 1 — Данные", 1, 5), ("d1", 2, "tbl_2", "Таблица без номера", 2, 8), ("d2", 1, "tbl_1", "", 1, 3), ("d6", 1, "tbl_1", "Таблица 1 – Данные", 1, 4), ("d6", 2, "tbl_2", "Таблица А.2 — Прочее", 1, 9)],
+    "fx_figures": [("d1", 1, "fig_1", "Рисунок 1 — Схема", 1, 3), ("d1", 2, "fig_2", "Рис. 3 - График.", 2, 6), ("d1", 3, "fig_3", "", 2, None), ("d1", 4, "fig_4", "Рисунок 3 – Повтор", 3, 10), ("d5", 1, "fig_1", "Рисунок 1.2 — Вид", 1, 2), ("d5", 2, "fig_2", "Рисунок 2 — План", 1, 3), ("d6", 1, "fig_1", "Схема 7 без слова", 1, 2), ("d6", 2, "fig_2", "Рисунок 2-Слитно", 1, 9), ("d6", 3, "fig_3", "Рисунок 3 - ...", 1, 10), ("d6", 4, "fig_4", "Рис 4 - Коротко", 1, None)],
+    "fx_tables": [("d1", 1, "tbl_1", "Таблица 1 — Данные", 1, 5), ("d1", 2, "tbl_2", "Таблица без номера", 2, 8), ("d2", 1, "tbl_1", "", 1, 3), ("d6", 1, "tbl_1", "Таблица 1 – Данные", 1, 4), ("d6", 2, "tbl_2", "Таблица А.2 — Прочее", 1, 9), ("d6", 3, "tbl_3", "Таблица 3-Слитно", 1, 11), ("d5", 1, "tbl_1", "таблица 1 - Строчная", 1, 7)],
     "fx_para_layout": [
         ("d1", 2, "Цель работы состоит в анализе. На рисунке 1 показана схема.", "justify", 12.5, 1.5, 14.0, "Times New Roman", False, False), ("d1", 3, "Рисунок 1 — Схема", "left", 0.0, 1.5, 14.0, "Times New Roman", False, False), ("d1", 4, LONG, "left", 10.9, 1.5, 11.5, "Arial", True, False), ("d1", 5, NEAR, "left", 14.0, 1.7, 12.0, "Times New Roman", False, True),
         ("d1", 6, "Рис. 3 - График.", "center", 0.0, 1.5, 14.0, "Times New Roman", False, False), ("d1", 7, "Короче говоря, метод простой, блин.", "justify", 12.5, 1.65, 14.0, None, False, False), ("d1", 8, "1. первый пункт", "justify", 0.0, 1.5, 14.0, "Times New Roman", False, False), ("d1", 9, "• второй пункт", "justify", 12.5, 1.5, 14.0, "Times New Roman", False, False),
         ("d5", 1, "Министерство образования", "center", None, None, None, None, None, None), ("d5", 2, "Отчет о работе 2024", "center", None, None, None, None, None, None),
+        *[("d5", 50 + i, LINE, "left", None, None, None, None, None, None) for i in range(2)], ("d5", 60, LINE, "right", None, None, None, None, None, None),
+        ("d2", 1, "Выполнил: студент группы 12", "right", None, None, None, None, None, None), ("d2", 2, "Проверил", "right", None, None, None, None, None, None), ("d2", 3, "2023", "center", None, None, None, None, None, None), *[("d2", 50 + i, LINE, a, None, None, None, None, None, None) for i, a in enumerate(["left", "left", None, "justify", "center"])],
+        *[("d4", i, t, a, None, None, None, None, None, None) for i, (t, a) in enumerate([("а", "left"), ("б", "left"), ("в", "right"), ("г", None), ("д", "left"), ("весна 2020 г.", "left")], 1)],
+        ("d6", 1, "Университет", "left", None, None, None, None, None, None), ("d6", 2, "12024", "left", None, None, None, None, None, None),
     ],
     "fx_page_layout": [("d1", 0, 210.0, 297.0, 30.0, 15.0, 20.0, 20.0), ("d1", 1, 297.0, 210.0, 25.0, 15.0, 20.0, 20.0), ("d2", 0, 216.0, 279.0, 30.0, None, 20.0, 25.0), ("d5", 0, 420.0, 299.0, 31.5, 16.5, 18.5, 20.0), ("d6", 0, 213.1, 297.0, 31.6, 15.0, 20.0, 20.0), ("d4", 0, None, 297.0, None, None, None, None)],
     "fx_page_numbering": [("d1", 0, False, True, "right", False, False, None), ("d1", 1, False, True, "center", True, False, 5), ("d2", 0, False, False, "unspecified", False, False, None), ("d5", 0, True, True, "center", False, True, 1), ("d6", 0, True, True, "center", False, False, 0)],
     "fx_table_layout": [("d1", 0, 5, "above", "Имя", "center", None), ("d1", 1, 8, "below", "Итого.", "left", None), ("d6", 0, 4, "above", "Год", "center", None), ("d6", 1, None, "missing", "Сумма.", "center", "А")],
     "fx_formulas": [
         ("d1", 1, 10, "y = kx + b (1)", "center", True, "1", None, True, True, "где k - коэффициент", None), ("d1", 2, 12, "z = x 3", "left", True, None, "3", False, True, "где: x - число", None), ("d1", 3, 14, "w = q + r (2)", "center", True, "2", None, True, True, "Далее", None), ("d1", 4, 15, "u = v (2)", "center", False, "2", None, True, False, "", None),
+        ("d4", 1, 3, "a = b +", "center", True, "1", None, True, True, "c + d", None), ("d4", 2, 5, "a = b +", "center", True, "2", None, True, False, "+ c", None), ("d4", 3, 7, "q = r (3)", None, None, "3", None, True, False, "где q - путь", None), ("d4", 4, 9, "s = t (4)", "center", True, "4", None, True, True, "Скорость — отношение", None), ("d4", 5, 11, "s = t *", "center", True, "5", None, True, False, "где s - путь", None),
         ("d6", 1, 5, "a = b", "center", True, None, None, True, True, "", None), ("d6", 2, 7, "c = d (А.2)", "center", True, "А.2", None, True, True, "", "А"), ("d6", 3, 8, "e = f (А.2)", "center", True, "А.2", None, True, True, "", "А"),
     ],
     "fx_heading_layout": [("d1", "s1", 1, "center"), ("d1", "s2", 3, "center"), ("d1", "s21", 6, "left"), ("d2", "f", 9, "left"), ("d5", "p1", 0, "left")],
     "fx_rules": [
-        ("g", 1, "r1", "5.1", "s5", "Рисунки", "Рисунки следует нумеровать арабскими цифрами", "figure", "numbering"), ("g", 2, "r2", "5.10", "s5", "Подписи рисунков", "Подпись рисунка располагают по центру", "figure", "alignment"), ("g", 3, "r3", "5.2", "s5", "Ссылки на рисунки", "На все рисунки должны быть ссылки, см. 5.1", "figure", "reference"),
-        ("g", 4, "r4", "6.1", "s6", "Таблицы", "Таблицы нумеруют в соответствии с 5.1 и 6.2", "table", "numbering"), ("g", 5, "r5", "6.2", "s6", "Название таблицы", "Название помещают над таблицей согласно 6.1", "table", "position"), ("g", 6, "r6", "7.1", "s7", "Формулы", "Формулы нумеруют, 9.9 не существует", "formula", "numbering"), ("g", 7, "r7", "7", "s7", "Общее", "Общие требования", "generic", "generic"),
+        ("g", 1, "r1", "5.1", "s5", "Рисунки", "Рисунки следует нумеровать арабскими цифрами", "figure", "numbering"), ("g", 2, "r2", "5.10", "s5", "Место рисунков", "Подпись рисунка располагают по центру", "figure", "placement"), ("g", 3, "r3", "5.2", "s5", "Ссылки на рисунки", "На все рисунки должны быть ссылки, см. 5.1", "figure", "reference_required"),
+        ("g", 4, "r4", "6.1", "s6", "Таблицы", "Таблицы нумеруют в соответствии с 5.1 и 6.2", "table", "numbering"), ("g", 5, "r5", "6.2", "s6", "Название таблицы", "Название обязательно согласно 6.1", "table", "required_presence"), ("g", 6, "r6", "7.1", "s7", "Формулы", "Формулы нумеруют, 9.9 не существует", "formula", "numbering"), ("g", 7, "r7", "7", "s7", "Общее", "Общие требования", "generic", "generic"),
+        ("g", 8, "r8", "5.3", "s5", "Подписи", "Подпись обязательна, см. раздел 6", "figure", "caption_required"), ("g", 9, "r9", "6.0", "s6", "Вид таблиц", "Таблицы печатают", "table", "formatting"), ("g", 10, "r10", "6.3", "s6", "Место таблиц", "С учетом 6.2 таблицу размещают сразу", "table", "placement"), ("g", 11, "r11", "5.0", "s5", "Рисунок", "Рисунки", "figure", "generic"),
     ],
     "fx_issues": [
         ("d1", 1, "i1", "structure", "numbering_error", "warning", "m", "s1", None, None, 1, "a", "r1", "q", None, "structure_agent"), ("d1", 2, "i2", "structure", "numbering_error", "critical", "m", "s1", None, None, 1, "a", "r1", "q", None, "rag_agent"), ("d1", 3, "i3", "structure", "numbering_error", "critical", "m", "s1", None, None, 1, "a", "r1", "q", "fix", "style_agent"), ("d1", 4, "i4", "structure", "numbering_error", "critical", "m", "s1", None, None, 1, "b", "r1", "q", "fix", "style_agent"),
@@ -77,16 +84,19 @@ ROWS: dict[str, list[tuple]] = {
         ("d2", 1, "i1", "formatting", "missing", "warning", "m", None, None, None, None, "short", "r", "q", "t", "rag_agent"), ("d2", 2, "i2", "formatting", "missing", "warning", "m", None, None, None, None, "longer", "r", "q", "t", "rag_agent"), ("d2", 3, "i0", "logic", "k", "critical", "m", None, None, None, None, "e", "r", "q", None, "logic_agent"),
     ],
     "fx_agents": [("d1", "structure_agent", None), ("d1", "rag_agent", None), ("d1", "style_agent", None), ("d2", "rag_agent", "no parsed standard"), ("d2", "structure_agent", None), ("d3", "structure_agent", None)],
-    "fx_nodes": [("n1", 1, "Раздел один", "section", "Общие положения"), ("n2", 2, "Правило рисунков", "rule", "Рисунки нумеруют"), ("n3", 3, "Правило таблиц", "rule", "Таблицы нумеруют"), ("n4", 4, "figure", "object_type", ""), ("n5", 5, "numbering", "constraint", ""), ("n6", 6, "рисунок", "keyword", ""), ("n7", 7, "Остров", "rule", "Недостижимо")],
-    "fx_edges": [("n1", "n2", "contains"), ("n1", "n3", "contains"), ("n2", "n4", "applies_to"), ("n2", "n4", "applies_to"), ("n2", "n3", "rule_follows"), ("n3", "n2", "references"), ("n2", "n5", "constrains"), ("n3", "n5", "constrains"), ("n2", "n6", "mentions"), ("n5", "n5", "self"), ("n4", "n1", "back")],
+    "fx_nodes": [
+        ("n1", 1, "Раздел один", "section", "Общие положения", "1", None, None, None, None), ("n2", 2, "Правило рисунков", "rule", "Рисунки нумеруют", "1.1", "Раздел один", "figure", "numbering", "рисунок,нумерация"), ("n3", 3, "Правило таблиц", "rule", "Таблицы нумеруют", "1.2", "Раздел один", "table", "numbering", ""), ("n4", 4, "figure", "object_type", "", None, None, "figure", None, None),
+        ("n5", 5, "numbering", "constraint", "", None, None, None, "numbering", None), ("n6", 6, "рисунок", "keyword", "", None, None, None, None, None), ("n7", 7, "Остров", "rule", "Недостижимо", "1.3", None, "figure", "generic", None), ("n8", 8, "odd_type", "object_type", "", None, None, "odd_type", None, None), ("n9", 9, "Правило прочего", "rule", "Прочее " * 40, "1.4", "Раздел один", "odd_type", "generic", ""),
+    ],
+    "fx_edges": [("n1", "n2", "contains"), ("n1", "n3", "contains"), ("n2", "n4", "applies_to"), ("n2", "n4", "applies_to"), ("n2", "n3", "rule_follows"), ("n3", "n2", "references"), ("n2", "n5", "constrains"), ("n3", "n5", "constrains"), ("n2", "n6", "mentions"), ("n5", "n5", "self"), ("n4", "n1", "back"), ("n9", "n8", "applies_to"), ("n9", "n2", "depends_on"), ("n2", "n9", "depends_on")],
     "fx_raw": [
         ("t1", "1 Введение\r\n\r\nЦель работы.\r\n\r\nРисунок 1 — Схема\r\n\r\n2 Метод\r\n\r\nОписание.\r\n\r\nТаблица 1 - Данные\r\n\r\n2.1 Детали метода\r\n\r\nЕщё текст."), ("t2", "Без раздела\n\n   \n\nРис. 2 Вид\n\nПриложение А Материалы\n\nПриложение Материалы\n\nТекст приложения"), ("t3", ""), ("t4", "# Заголовок\nтекст\n\n## Пусто\n\n## Второй\nещё\nстроки"),
     ],
-    "fx_lines": [("g", i, t) for i, t in enumerate(["СТАНДАРТ", "", "1 Область применения", "Настоящий стандарт устанавливает тре-", "бования к отчету.", "", "2 Оформление", "2.1 Рисунки Рисунки следует нумеровать", "арабскими цифрами.", "II", "www.example.org", "2.2 Таблицы Название помещают над таблицей. Приложение А Пример", "Библиография [1] Книга"], 1)],
+    "fx_lines": [("g", i, t) for i, t in enumerate(["СТАНДАРТ", "", "1 Область применения", "Настоящий стандарт устанавливает тре-", "бования к отчету.", "", "3 Лишний раздел", "2 Оформление", "2.1 Рисунки следует нумеровать Рисунок должен иметь наименование,", "подпись располагают снизу.", "For Staff Page 7", "12:30", "Дата сохранения: вчера", "2.2 Титульный лист отчета", "Титульный лист должен содержать сведения. Приложение А Пример", "Библиография", "[1] Книга"], 1)],
     "fx_fixes": [("d1", "p_4", 1, "Короче говоря", "Таким образом"), ("d1", "p_4", 2, "блин", ""), ("d1", "p_1", 1, "нет такого", "Новый текст"), ("d2", "p_1", 1, "фигня", "ошибка")],
     "fx_blocks": [("b1", 1, "para", "текст"), ("b1", 2, "caption", "Таблица 1 — А"), ("b1", 3, "para", "пояснение"), ("b1", 4, "table", ""), ("b1", 5, "table", ""), ("b1", 6, "caption", "Таблица 2 — Б"), ("b1", 7, "heading", "Раздел"), ("b1", 8, "table", ""), ("b1", 9, "heading", "Далее"), ("b1", 10, "caption", "Таблица 3 — В")],
     "fx_hits": [(q, r, f"h{r}", "bridging_fact" if r in b else "aku") for q, b in ((1, (1, 2, 3, 4, 6)), (2, ()), (3, (2, 5))) for r in range(1, 9)],
-    "fx_queries": [(1, "Как оформить рисунок и его нумерацию?"), (2, "Общие положения"), (3, "таблица и правило таблиц")],
+    "fx_queries": [(1, "Как оформить рисунок и его нумерацию?"), (2, "Общие положения"), (3, "таблица и правило таблиц"), (4, "Где odd type?")],
     "fx_chat": [("d1", '{"issues":[{"subtype":"spelling_error","paragraph_id":"p_1","severity":"","confidence":"high","before":"а","after":"б"},{"subtype":"long_sentence","paragraph_id":"p_2","severity":"info","confidence":"low","before":"","after":""}]}'), ("d2", 'Ответ:\n```json\n{"issues":[{"subtype":"other","paragraph_id":"p_1","severity":"info","confidence":"high","before":"x","after":"y"},{"subtype":"long_sentence","paragraph_id":"p_3","severity":"info","confidence":"medium","before":"x","after":"y"}]}\n```'), ("d5", '{"issues":[{"subtype":'), ("d6", "нет ошибок")],
 }
 

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.text import folded, squeeze
+from ..functions.text import blank, folded, squeeze
 from .formatting import STRUCTURAL
 
+#: Titles that are counted without a number.
+FREE = [*STRUCTURAL, "введение", "заключение", "термины и определения"]
 # What an issue's subtype asks a paragraph to become.
 ALIGN = {"figure_caption_not_centered": "center", "formula_not_centered": "center", "table_header_alignment": "center", "structural_heading_not_centered": "center", "appendix_heading_not_centered": "center", "main_heading_centered": "left", "page_number_not_centered": "center", "body_text_not_justified": "justify"}
 EDITS = {
@@ -32,7 +34,7 @@ def apply_replacements(targets: DataFrame, fixes: DataFrame) -> DataFrame:
 
 def renumbered(sections: DataFrame) -> DataFrame:
     """Sections counted anew by level: structural titles and appendices lose their number; a level is at most one deeper than the last."""
-    free = folded("title").isin(STRUCTURAL) | folded("title").startswith("приложение")
+    free = folded("title").isin(FREE) | folded("title").startswith("приложение")
     s = sections.select("doc_id", F.struct("ord", "section_id", "title", F.coalesce("level", F.lit(1)).alias("level"), free.alias("free")).alias("s"))
     g = s.groupBy("doc_id").agg(F.array_sort(F.collect_list("s")).alias("all"))
     start = F.struct(F.array().cast("array<int>").alias("c"), F.array().cast("array<struct<section_id:string,number:string,level:int>>").alias("out"))
@@ -58,20 +60,39 @@ def added_sections(missing: DataFrame, sections: DataFrame) -> DataFrame:
     return m.join(top, "doc_id", "left").select("doc_id", "title", (F.coalesce("top", F.lit(0)) + n).cast("string").alias("number"))
 
 
-def figure_captions(figs: DataFrame) -> DataFrame:
-    """'Рисунок n - title' by place; blank captions stay."""
-    title = F.trim(F.regexp_replace(F.regexp_replace(squeeze("caption"), r"(?iu)^рис(?:унок|\.)?\s*\d*(?:\.\d+)*\s*[-—–]?\s*", ""), r"\.$", ""))
-    n = F.row_number().over(W.partitionBy("doc_id").orderBy("ord"))
-    return figs.select("doc_id", "ord", F.when(squeeze("caption") == "", F.lit("")).otherwise(F.concat(F.lit("Рисунок "), n, F.lit(" - "), title)).alias("caption"))
+# What a caption's number and title are, and titles of captions without one.
+FIGURE = r"(?iu)^(?:рисуно(?:к)?|рис\.?)\s*(\d+(?:\.\d+)*)\s*[—–-]?\s*(.*)$"
+TABLE = r"(?iu)^таблиц(?:а)?\s+(?:[А-ЯЁA-Z]\.)?(\d+(?:\.\d+)*)\s*[—–-]?\s*(.*)$"
+FIGURE_TITLE, TABLE_TITLE, APPENDIX_TITLE = "Иллюстрация ", "Сравнение показателей ", "Таблица приложения "
+
+
+def _title(pattern: str, otherwise: Column) -> Column:
+    found = F.btrim(F.regexp_extract(squeeze("caption"), pattern, 2), F.lit(" -—–"))
+    return F.trim(F.rtrim(F.when(found != "", found).otherwise(otherwise), F.lit(".")))
+
+
+def _number(pattern: str, place: Column) -> Column:
+    """A caption's whole number, else the item's place."""
+    return F.coalesce(F.regexp_extract(squeeze("caption"), pattern, 1).try_cast("int"), place)
+
+
+def figure_captions(figs: DataFrame, anew: bool = True) -> DataFrame:
+    """'Рисунок n - title', counted anew by place or with the caption's own number; blank captions stay."""
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy("ord"))
+    f = figs.withColumn("n", place if anew else _number(FIGURE, place))
+    title = _title(FIGURE, F.concat(F.lit(FIGURE_TITLE), "n"))
+    return f.select("doc_id", "ord", F.when(squeeze("caption") == "", F.lit("")).otherwise(F.concat(F.lit("Рисунок "), "n", F.lit(" - "), title)).alias("caption"))
 
 
 def table_captions(tabs: DataFrame, layout: DataFrame) -> DataFrame:
-    """'Таблица n - title' by place, 'X.k' counted for each appendix; a blank caption gets a made-up one."""
-    t = tabs.withColumn("i", F.row_number().over(W.partitionBy("doc_id").orderBy("ord")) - 1).join(layout.select("doc_id", F.col("table_index").alias("i"), "appendix_letter"), ["doc_id", "i"], "left")
-    title = F.trim(F.regexp_replace(F.regexp_replace(squeeze("caption"), r"(?iu)^таблица\s*(?:[А-ЯЁA-Z]\.)?\d*(?:\.\d+)*\s*[-—–]?\s*", ""), r"\.$", ""))
+    """'Таблица n - title' with the caption's own number, else the table's place; 'X.k' counted for each appendix; a caption without a title gets a made-up one."""
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy("ord"))
+    t = tabs.withColumn("i", place - 1).join(layout.select("doc_id", F.col("table_index").alias("i"), "appendix_letter"), ["doc_id", "i"], "left")
     k = F.row_number().over(W.partitionBy("doc_id", "appendix_letter").orderBy("ord"))
-    number = F.when(F.col("appendix_letter").isNull(), k.cast("string")).otherwise(F.concat("appendix_letter", F.lit("."), k))
-    return t.select("doc_id", "ord", F.concat(F.lit("Таблица "), number, F.lit(" - "), F.when(title == "", F.lit("Название таблицы")).otherwise(title)).alias("caption"))
+    own = F.col("appendix_letter").isNull()
+    t = t.withColumn("n", F.when(own, _number(TABLE, F.col("i") + 1).cast("string")).otherwise(F.concat("appendix_letter", F.lit("."), k)))
+    title = _title(TABLE, F.when(own, F.concat(F.lit(TABLE_TITLE), "n")).otherwise(F.concat(F.lit(APPENDIX_TITLE), "appendix_letter")))
+    return t.select("doc_id", "ord", F.concat(F.lit("Таблица "), "n", F.lit(" - "), title).alias("caption"))
 
 
 def fixed_headings(sections: DataFrame) -> DataFrame:
@@ -138,3 +159,63 @@ def docx_lines(sections: DataFrame, paragraphs: DataFrame) -> DataFrame:
     b = paragraphs.join(sections.select("doc_id", "section_id", F.col("ord").alias("s")), ["doc_id", "section_id"]).select("doc_id", "s", F.col("ord").alias("p"), "text")
     every = h.unionByName(b).where("text <> ''")
     return every.select("doc_id", F.row_number().over(W.partitionBy("doc_id").orderBy("s", "p")).alias("line"), "text")
+
+
+# What is added where an issue says that it is missing.
+BODY = "Заполните содержимое раздела."
+SOURCES = ("СПИСОК ИСПОЛЬЗОВАННЫХ ИСТОЧНИКОВ", "1. Добавьте используемые источники.")
+SENTENCES = [
+    ("missing_figure_reference", "На рисунке 1 представлена ключевая схема решения."),
+    ("missing_table_reference", "В таблице 1 приведены основные сравнительные показатели."),
+    ("missing_appendix_reference", "Дополнительные материалы приведены в приложении А."),
+]
+
+
+def sections_to_add(issues: DataFrame, sections: DataFrame) -> DataFrame:
+    """(doc_id, n, number, title, text): required sections that issues name and the document lacks, then a list of sources where one is missing."""
+    lacking = issues.where("subtype = 'missing_required_section'").withColumn("item_ord", F.col("ord"))
+    named = added_sections(lacking, sections).groupBy("doc_id", "title").agg(F.min(F.col("number").cast("int")).alias("turn")).select("doc_id", F.lit(0).alias("late"), "turn", "title", F.lit(BODY).alias("text"))
+    have = sections.where(F.lower("title").rlike("источ|литератур")).select("doc_id")
+    listed = issues.where("subtype = 'missing_references_section'").select("doc_id").distinct().join(have, "doc_id", "left_anti").select("doc_id", F.lit(1).alias("late"), F.lit(0).alias("turn"), F.lit(SOURCES[0]).alias("title"), F.lit(SOURCES[1]).alias("text"))
+    # a list of sources that was asked for by name is there already
+    asked = named.where(F.lower("title").rlike("источ|литератур")).select("doc_id")
+    new = named.unionByName(listed.join(asked, "doc_id", "left_anti"))
+    top = sections.where(F.col("number").rlike(r"^[0-9]+$")).groupBy("doc_id").agg(F.max(F.col("number").cast("int")).alias("top"))
+    n = F.row_number().over(W.partitionBy("doc_id").orderBy("late", "turn", "title"))
+    return new.withColumn("n", n).join(top, "doc_id", "left").select("doc_id", "n", (F.coalesce("top", F.lit(0)) + F.col("n")).cast("string").alias("number"), "title", "text")
+
+
+def sentences_to_add(issues: DataFrame, sections: DataFrame) -> DataFrame:
+    """(doc_id, section_id, n, text): sentences that refer to what nothing refers to, unless the first section has them."""
+    first = sections.groupBy("doc_id").agg(F.min_by(F.struct("section_id", "text"), "ord").alias("s"))
+    table = F.lit(None).cast("string")
+    for subtype, sentence in SENTENCES:
+        table = F.when(F.col("subtype") == subtype, F.lit(sentence)).otherwise(table)
+    order = F.array_position(F.array(*(F.lit(x) for x, _ in SENTENCES)), F.col("subtype"))
+    asked = issues.where(F.col("subtype").isin([x for x, _ in SENTENCES])).select("doc_id", order.alias("turn"), table.alias("text")).distinct().join(first, "doc_id")
+    asked = asked.where(~F.contains(F.coalesce("s.text", F.lit("")), F.col("text")))
+    return asked.select("doc_id", "s.section_id", F.row_number().over(W.partitionBy("doc_id").orderBy("turn")).alias("n"), "text")
+
+
+def completed(issues: DataFrame, sections: DataFrame, paragraphs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sections, paragraphs) with the sections and sentences that issues ask for; what is there already isn't added again."""
+    new, said = sections_to_add(issues, sections), sentences_to_add(issues, sections)
+    size = lambda df: df.groupBy("doc_id").agg(F.count(F.lit(1)).alias("have"), F.max("ord").alias("last"))
+    many = lambda c: F.coalesce(c, F.lit(0))
+    placed = new.join(size(sections), "doc_id", "left").withColumn("k", many("have") + F.col("n"))
+    placed = placed.select("doc_id", "n", (many("last") + F.col("n")).cast("int").alias("ord"), F.concat(F.lit("sec_auto_"), "k").alias("section_id"), "number", "title", F.lit(1).alias("level"), "text")
+    body = said.groupBy("doc_id", "section_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), "\n\n").alias("more"))  # three at most
+    grown = sections.join(body, ["doc_id", "section_id"], "left")
+    text = F.when(F.col("more").isNull(), F.col("text")).when(blank("text"), F.col("more")).otherwise(F.concat("text", F.lit("\n\n"), "more"))
+    s = grown.withColumn("text", text).select(sections.columns).unionByName(placed.select(sections.columns))
+    lines = placed.select("doc_id", F.lit(0).alias("late"), "n", "section_id", "text").unionByName(said.select("doc_id", F.lit(1).alias("late"), "n", "section_id", "text"))
+    lines = lines.withColumn("n", F.row_number().over(W.partitionBy("doc_id").orderBy("late", "n"))).join(size(paragraphs), "doc_id", "left")
+    k = (many("have") + F.col("n")).cast("int")
+    lines = lines.select("doc_id", (many("last") + F.col("n")).cast("int").alias("ord"), F.concat(F.lit("p_auto_"), k).alias("paragraph_id"), "section_id", "text", F.lit(None).cast("int").alias("page"), k.alias("paragraph_index"))
+    return s, paragraphs.unionByName(lines.select(paragraphs.columns))
+
+
+def missing_captions(items: DataFrame, fixed: DataFrame) -> DataFrame:
+    """(doc_id, n, caption): captions that items got where they had none, in order, for lines at the document's end."""
+    j = items.where(blank("caption")).select("doc_id", "ord").join(fixed.select("doc_id", "ord", "caption"), ["doc_id", "ord"]).where(~blank("caption"))
+    return j.select("doc_id", F.row_number().over(W.partitionBy("doc_id").orderBy("ord")).alias("n"), "caption")

@@ -14,22 +14,83 @@ from pyspark.sql.window import Window as W
 
 from ..functions.text import blank, folded, number_key, squeeze
 
-# Patterns of captions and titles, tolerances in millimetres and points.
-FIGURE = r"(?iu)^рисунок\s+(\d+(\.\d+)*)\s*[-—–]\s*\S.*$"
-FIGURE_NUMBER = r"(?iu)^рис(?:унок|\.)?\s*(\d+(?:\.\d+)*)"
-TABLE = r"(?iu)^таблица\s+([А-ЯЁA-Z]\.)?\d+(\.\d+)*\s*[-—–]\s*\S.*$"
+# Patterns of captions and titles, words of a title page, tolerances in millimetres and points.
+FIGURE = r"(?iu)^(?:рисунок|рисуно|рис\.?)\s*\d+(?:\.\d+)*\s*[—–-]?\s*(.*)$"
+NUMBER = r"(\d+(?:\.\d+)*)"
+TABLE = r"^Таблица\s+(?:[А-ЯЁA-Z]\.)?\d+(?:\.\d+)*\s*[—–-]\s*(.+)$"
+DASH = r" [-—–] "
 APPENDIX = r"(?iu)^приложение(\s+[А-ЯЁA-Z](?![\p{L}]))?(\s*[-–—]\s*.+|\s+.+)?$"
-STRUCTURAL = ["введение", "заключение", "содержание", "оглавление", "реферат", "список использованных источников", "список литературы", "термины и определения"]
+STRUCTURAL = ["содержание", "оглавление", "реферат", "список использованных источников", "список литературы", "библиографический список", "источники и литература"]
 CONTENTS = ["содержание", "оглавление"]
-REFERENCES = ["список использованных источников", "список литературы", "библиограф", "источники и литература"]
-ORGANISATION = r"(?iu)(министерство|университет|институт|академия|кафедра)"
-DOCUMENT = r"(?iu)(отчет|отчёт|реферат|курсовая|дипломная|диссертация)"
+REFERENCES = ["список использованных источников", "список литературы", "библиограф", "библиографический список", "источники и литература"]
+TITLE_ORGANISATION = ["министерство", "университет", "институт", "академия", "кафедра", "факультет", "колледж"]
+TITLE_DOCUMENT = ["отчет", "пояснительная записка", "курсовая работа", "дипломная работа", "выпускная квалификационная работа", "лабораторная работа", "проект"]
+TITLE_SIGNATURE = ["выполнил", "проверил", "руководитель", "нормоконтроль", "студент", "группа"]
+TITLE_CENTRE = ["отчет", "тема", "работа", "проект"]
+TITLE_KEYWORDS = ["отчет", "тема", "выполнил", "проверил", "руководитель", "университет", "кафедра"]
+TITLE_YEAR = r"(?<![\p{L}\p{N}_])(?:19|20)\d{2}(?![\p{L}\p{N}_])"
+GENERIC = ["рисунок", "таблица", "приложение"]
+NUMBERED_HEADING = r"^\d+(?:\.\d+)*\.?\s+[А-ЯЁA-Z].+$"
+WRONG_MARKER = r"^(?:[•●▪*]|\d+\.|[A-Za-zА-Яа-яЁё]\.)\s+"
+MARKER = r"(?iu)^(?:[-–—]|\d+\)|[а-яёa-z]\))\s+"
+EXPLANATION = r"^[A-Za-zА-Яа-яЁё][A-Za-zА-Яа-яЁё0-9_]*\s*[—–-]\s*.+$"
+BREAK = r"([=+*/-])\s*$"
 MARGINS = [("left_margin_mm", 30.0), ("right_margin_mm", 15.0), ("top_margin_mm", 20.0), ("bottom_margin_mm", 20.0)]
 MARGIN_TOLERANCE, PAGE_TOLERANCE = 1.5, 3.0
 PAGES = [(210.0, 297.0), (297.0, 420.0)]
 INDENT, INDENT_TOLERANCE, SPACING, SPACING_TOLERANCE, LEAST_FONT = 12.5, 1.5, 1.5, 0.15, 12.0
 
 
+#: Fixed: the (object type, constraint type) of the rule that each issue is about; a second one stands in for a rule that is missing.
+_CAPTION, _TABLE, _HEADING, _REPORT = ("figure", "caption_required"), ("table", "caption_required"), ("heading", "optional_allowed"), ("report", "formatting")
+_FORMULA, _FORMULA_NUMBER, _FORMULA_WHERE, _APPENDIX = ("formula", "any"), ("formula", "numbering"), ("formula", "generic"), ("appendix", "formatting")
+RULE_OF = {
+    "missing_figure_caption": [_CAPTION],
+    "invalid_figure_caption_format": [_CAPTION],
+    "figure_caption_trailing_period": [_CAPTION],
+    "figure_caption_not_centered": [_CAPTION],
+    "missing_figure_reference": [("figure", "reference_required")],
+    "figure_numbering_error": [("figure", "numbering")],
+    "missing_table_caption": [_TABLE],
+    "invalid_table_caption_format": [_TABLE],
+    "table_caption_below_table": [_TABLE],
+    "invalid_table_header_punctuation": [_TABLE],
+    "table_header_alignment": [_TABLE],
+    "missing_table_reference": [("table", "reference_required")],
+    "appendix_table_caption_format": [_APPENDIX, _TABLE],
+    "formula_not_standalone": [_FORMULA],
+    "formula_not_centered": [_FORMULA],
+    "formula_missing_blank_lines": [_FORMULA],
+    "formula_break_invalid": [_FORMULA],
+    "formula_number_format_error": [_FORMULA_NUMBER],
+    "missing_formula_number": [_FORMULA_NUMBER],
+    "appendix_formula_numbering_error": [_FORMULA_NUMBER],
+    "invalid_formula_reference_format": [_FORMULA_NUMBER],
+    "missing_formula_reference": [_FORMULA_NUMBER],
+    "formula_numbering_error": [_FORMULA_NUMBER],
+    "formula_where_colon": [_FORMULA_WHERE],
+    "formula_explanation_format_error": [_FORMULA_WHERE],
+    "missing_contents_section": [("contents", "required_presence")],
+    "missing_title_page": [("title_page", "required_presence")],
+    "body_text_not_justified": [("title_page", "formatting")],
+    "invalid_page_size": [_REPORT, _APPENDIX],
+    "invalid_page_margins": [_REPORT, _APPENDIX],
+    **{k: [_REPORT, ("report", "any")] for k in ("missing_page_numbering", "page_number_not_centered", "page_number_in_header", "title_page_number_visible", "page_numbering_restart")},
+    **{k: [_REPORT, _APPENDIX] for k in ("invalid_first_line_indent", "invalid_line_spacing", "invalid_font_size", "invalid_font_family", "invalid_font_color", "unexpected_bold_text")},
+    "invalid_enumeration_marker": [_REPORT],
+    "enumeration_indent_invalid": [_REPORT],
+    "missing_references_section": [("references", "required_presence")],
+    "empty_references_section": [("references", "formatting"), ("references", "required_presence")],
+    "heading_trailing_period": [("heading", "generic"), _HEADING],
+    **{k: [_HEADING] for k in ("empty_section_heading", "appendix_heading_not_centered", "appendix_heading_single_line", "structural_heading_numbered", "structural_heading_not_uppercase", "structural_heading_not_centered", "structural_heading_has_indent", "structural_heading_invalid_font_color", "main_heading_centered", "main_heading_indent_invalid", "heading_invalid_font_color")},
+    "missing_section_number": [("section", "numbering")],
+    "invalid_appendix_heading": [_APPENDIX],
+    "missing_appendix_reference": [("appendix", "reference_required")],
+}
+#: Checks that need a rule of the standard.
+GATED = ("missing_figure_reference", "missing_table_reference", "missing_appendix_reference")
+
+
 PLACE = {"section_id": "string", "paragraph_id": "string", "paragraph_index": "int", "page": "int"}
 
 
@@ -54,11 +115,34 @@ def found(df: DataFrame, checks: list[tuple[str, str, Column]]) -> DataFrame:
 
 
 def rule_pick(rules: DataFrame, wanted: DataFrame) -> DataFrame:
-    """For each wanted (object_type, constraint_type): the rule of the object with the smallest number, among those with the constraint if there are any."""
+    """For each standard and wanted (object_type, constraint_type): the rule of the object with the smallest number, among those with the constraint if there are any."""
+    own = [c for c in ("standard_id",) if c in rules.columns]
     j = wanted.join(rules, "object_type").withColumn("soft", rules["constraint_type"] == wanted["constraint_type"])
-    w = W.partitionBy("object_type", wanted["constraint_type"]).orderBy(F.col("soft").desc(), number_key("number"), "ord")
+    w = W.partitionBy(*own, "object_type", wanted["constraint_type"]).orderBy(F.col("soft").desc(), number_key("number"), "ord")
     j = j.withColumn("n", F.row_number().over(w)).where("n = 1")
-    return j.select("object_type", wanted["constraint_type"].alias("constraint_type"), "rule_id", "number", F.substring("content", 1, 280).alias("quote"))
+    quote = F.substring(squeeze(F.when(F.coalesce("content", F.lit("")) != "", F.col("content")).otherwise(F.col("title"))), 1, 280)
+    return j.select(*own, "object_type", wanted["constraint_type"].alias("constraint_type"), "rule_id", "number", quote.alias("quote"))
+
+
+def rules_of_issues(rules: DataFrame) -> DataFrame:
+    """(standard_id, subtype, rule_id, quote): the rule that each kind of issue is about; a row for each of both at most."""
+    pairs = [(subtype, i, *pair) for subtype, some in RULE_OF.items() for i, pair in enumerate(some)]
+    wanted = rules.sparkSession.createDataFrame(pairs, "subtype string, turn int, object_type string, constraint_type string")
+    picked = rule_pick(rules, wanted.select("object_type", "constraint_type").distinct())
+    j = wanted.join(picked, ["object_type", "constraint_type"])
+    w = W.partitionBy("standard_id", "subtype").orderBy("turn")
+    return j.withColumn("n", F.row_number().over(w)).where("n = 1").select("standard_id", "subtype", "rule_id", "quote")
+
+
+def with_rules(issues: DataFrame, docs: DataFrame, rules: DataFrame) -> DataFrame:
+    """Issues with the rule_id and quote of their document's standard; those that need a rule go where it has none."""
+    j = issues.join(docs.select("doc_id", "standard_id"), "doc_id", "left").join(rules_of_issues(rules), ["standard_id", "subtype"], "left").drop("standard_id")
+    return j.where(~F.col("subtype").isin(*GATED) | F.col("rule_id").isNotNull())
+
+
+def _titled(c: Column, pattern: str, word: str) -> Column:
+    """Is c a caption: the word, a dash between spaces, and a title beyond marks?"""
+    return F.lower(c).startswith(word) & c.rlike(DASH) & c.rlike(pattern) & (F.btrim(F.regexp_extract(c, pattern, 1), F.lit(" .-—–")) != "")
 
 
 def figures(figs: DataFrame, layout: DataFrame) -> DataFrame:
@@ -67,7 +151,7 @@ def figures(figs: DataFrame, layout: DataFrame) -> DataFrame:
     none = blank("caption")
     return found(f, [
         ("missing_figure_caption", "warning", none),
-        ("invalid_figure_caption_format", "warning", ~none & ~squeeze("caption").rlike(FIGURE)),
+        ("invalid_figure_caption_format", "warning", ~none & ~_titled(squeeze("caption"), FIGURE, "рисунок")),
         ("figure_caption_trailing_period", "info", ~none & squeeze("caption").endswith(".")),
         ("figure_caption_not_centered", "info", ~none & F.col("alignment").isNotNull() & (F.col("alignment") != "center")),
     ])
@@ -75,7 +159,7 @@ def figures(figs: DataFrame, layout: DataFrame) -> DataFrame:
 
 def figure_numbering(figs: DataFrame) -> DataFrame:
     """Numbers that repeat, or aren't the one after the last whole number (and what came since)."""
-    n = figs.withColumn("number", F.regexp_extract("caption", FIGURE_NUMBER, 1)).where("number <> ''")
+    n = figs.withColumn("number", F.regexp_extract("caption", NUMBER, 1)).where("number <> ''")
     n = n.withColumn("copy", F.row_number().over(W.partitionBy("doc_id", "number").orderBy("ord")))
     firsts = n.where("copy = 1")
     by = W.partitionBy("doc_id").orderBy("ord")
@@ -87,14 +171,37 @@ def figure_numbering(figs: DataFrame) -> DataFrame:
     return n.where("copy > 1").select("doc_id", "ord", *place(n), "number").unionByName(bad).withColumn("subtype", F.lit("figure_numbering_error")).withColumn("severity", F.lit("warning"))
 
 
-def figure_references(figs: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """Figures whose number no paragraph before them mentions; those without a place are judged on the whole document."""
-    f = figs.withColumn("number", F.regexp_extract("caption", FIGURE_NUMBER, 1)).where("number <> ''")
-    p = paragraphs.select("doc_id", F.col("paragraph_index").alias("at"), "text")
-    said = F.col("text").rlike(r"(?iu)рис") & F.regexp(F.col("text"), F.concat(F.lit(r"(?<![\d.])"), F.replace("number", F.lit("."), F.lit(r"\.")), F.lit(r"(?![\d])")))
-    before = F.col("paragraph_index").isNull() | (F.col("at") < F.col("paragraph_index"))
-    hit = f.join(p, "doc_id").where(before & said).select("doc_id", "ord").distinct()
-    return issue(f.join(hit, ["doc_id", "ord"], "left_anti"), "missing_figure_reference", "info")
+def _said(docs_: DataFrame, sections: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """(doc_id, t): all paragraphs and section texts, lower-cased."""
+    return paragraphs.select("doc_id", F.lower(squeeze("text")).alias("t")).unionByName(sections.select("doc_id", F.lower(squeeze("text")).alias("t")))
+
+
+def unmentioned(items: DataFrame, sections: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """Items (doc_id, ord, fragments) that their document's text doesn't refer to.
+
+    It does if it holds a fragment of 8 characters or more, or one of the words of GENERIC that a fragment holds.
+    """
+    f = items.withColumn("f", F.transform("fragments", lambda x: F.lower(squeeze(x))))
+    asked = F.concat(F.filter("f", lambda x: F.length(x) >= 8), F.filter(F.array(*map(F.lit, GENERIC)), lambda w: F.exists(F.col("f"), lambda x: F.contains(x, w))))
+    f = f.withColumn("asked", F.array_distinct(asked))
+    hit = f.select("doc_id", "ord", "asked").join(_said(items, sections, paragraphs), "doc_id").where(F.exists("asked", lambda a: F.contains(F.col("t"), a)))
+    return f.join(hit.select("doc_id", "ord").distinct(), ["doc_id", "ord"], "left_anti").drop("f", "asked")
+
+
+def figure_references(figs: DataFrame, sections: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """Figures with a caption that nothing refers to: no text before them names a figure and their number; those without a place are judged on the whole document."""
+    f = figs.where(~blank("caption")).withColumn("number", F.regexp_extract(squeeze("caption"), NUMBER, 1))
+    p = paragraphs.where("paragraph_index is not null").select("doc_id", F.col("paragraph_index").alias("at"), F.lower(squeeze("text")).alias("t"))
+    j = f.where("paragraph_index is not null").join(p, "doc_id").where("at < paragraph_index")
+    g = j.groupBy("doc_id", "ord").agg(F.max(F.contains("t", F.lit("рис"))).alias("word"), F.max((F.col("number") == "") | F.contains("t", "number")).alias("numbered"))
+    placed = f.where("paragraph_index is not null").join(g.where("word and numbered"), ["doc_id", "ord"], "left_anti").drop("number")
+    loose = f.where("paragraph_index is null").drop("number").withColumn("fragments", F.array(F.lit("рисунок"), F.lit("рис."), F.lit("рис"), F.col("caption")))
+    return issue(placed.unionByName(unmentioned(loose, sections, paragraphs).drop("fragments")), "missing_figure_reference", "info")
+
+
+def table_references(tabs: DataFrame, sections: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    t = tabs.where(~blank("caption")).withColumn("fragments", F.array(F.lit("таблица"), F.col("caption")))
+    return issue(unmentioned(t, sections, paragraphs), "missing_table_reference", "info")
 
 
 def tables(tabs: DataFrame, layout: DataFrame) -> DataFrame:
@@ -106,11 +213,11 @@ def tables(tabs: DataFrame, layout: DataFrame) -> DataFrame:
     none = blank("caption")
     return found(t, [
         ("missing_table_caption", "warning", none),
-        ("invalid_table_caption_format", "warning", ~none & ~squeeze("caption").rlike(TABLE)),
+        ("invalid_table_caption_format", "warning", ~none & ~_titled(squeeze("caption"), TABLE, "таблица")),
         ("table_caption_below_table", "warning", ~none & (F.col("l.caption_position") == "below")),
         ("invalid_table_header_punctuation", "warning", ~none & squeeze("l.header_text").endswith(".")),
         ("table_header_alignment", "info", ~none & (F.col("l.header_alignment") != "center")),
-        ("appendix_table_caption_format", "warning", ~none & F.col("l.appendix_letter").isNotNull() & ~F.regexp(squeeze("caption"), F.concat(F.lit(r"(?iu)^таблица\s+"), F.col("l.appendix_letter"), F.lit(r"\.\d+")))),
+        ("appendix_table_caption_format", "warning", ~none & F.col("l.appendix_letter").isNotNull() & ~F.regexp(squeeze("caption"), F.concat(F.lit(r"(?iu)^таблица\s+"), F.col("l.appendix_letter"), F.lit(r"\.\d+\s*[—–-]\s*.+$")))),
     ])
 
 
@@ -124,18 +231,21 @@ def formulas(forms: DataFrame) -> DataFrame:
     k = F.row_number().over(W.partitionBy("doc_id", "appendix_letter").orderBy("ord"))
     want = forms.where("equation_number is not null and appendix_letter is not null").select("doc_id", "ord", F.concat("appendix_letter", F.lit("."), k).alias("want"))
     f = _formula_ids(forms.join(want, ["doc_id", "ord"], "left"))
-    where = F.lower(squeeze("next_text"))
+    after, own = squeeze("next_text"), squeeze("text")
+    where = F.lower(after).startswith("где")
+    sign = F.regexp_extract(own, BREAK, 1)
+    below = F.coalesce("next_blank", F.lit(False)) | where
     return found(f, [
-        ("formula_not_standalone", "warning", ~F.col("is_standalone")),
-        ("formula_not_centered", "info", F.col("is_standalone") & (F.col("alignment") != "center")),
-        ("formula_missing_blank_lines", "info", ~(F.col("prev_blank") & F.col("next_blank"))),
-        ("formula_number_format_error", "warning", (number == "") & F.col("raw_equation_number").isNotNull()),
-        ("missing_formula_number", "warning", (number == "") & F.col("raw_equation_number").isNull()),
+        ("formula_not_standalone", "warning", ~F.coalesce("is_standalone", F.lit(False))),
+        ("formula_not_centered", "info", F.coalesce("alignment", F.lit("")) != "center"),
+        ("formula_missing_blank_lines", "info", ~(F.coalesce("prev_blank", F.lit(False)) & below)),
+        ("formula_number_format_error", "warning", (number == "") & (F.coalesce("raw_equation_number", F.lit("")) != "")),
+        ("missing_formula_number", "warning", (number == "") & (F.coalesce("raw_equation_number", F.lit("")) == "")),
         ("appendix_formula_numbering_error", "warning", F.col("want").isNotNull() & (number != F.col("want"))),
-        ("formula_where_colon", "info", where.startswith("где:")),
-        # "где" is followed by a name, a dash and what it means; a line must not end or begin with an operator twice over
-        ("formula_explanation_format_error", "warning", where.startswith("где") & ~where.rlike(r"^где:?\s+\S{1,12}\s+[-—–]\s+\S")),
-        ("formula_break_invalid", "warning", squeeze("text").rlike(r"[=+*/×-]\s*$")),
+        ("formula_where_colon", "info", after.startswith("где:")),
+        # an explanation begins with "где"; a formula that breaks after a sign goes on with the same sign
+        ("formula_explanation_format_error", "warning", ~where & after.rlike(EXPLANATION)),
+        ("formula_break_invalid", "warning", (sign != "") & (after != "") & ~where & ~F.startswith(after, sign)),
     ])
 
 
@@ -179,20 +289,37 @@ def missing_contents(docs: DataFrame, sections: DataFrame, paragraphs: DataFrame
     return issue(docs.join(have, "doc_id", "left_anti").select("doc_id", F.lit(0).alias("ord")), "missing_contents_section", "warning")
 
 
-def missing_title_page(docs: DataFrame, layout: DataFrame) -> DataFrame:
-    """Documents whose first 30 lines don't look like a title page: an organisation, a kind of document, centred lines, a year."""
-    l = layout.withColumn("n", F.row_number().over(W.partitionBy("doc_id").orderBy("paragraph_index"))).where("n <= 30").where(~blank("text"))
+def title_pages(layout: DataFrame) -> DataFrame:
+    """doc_id of the documents whose first 30 lines look like a title page.
+
+    They score for an organisation, a kind of document, a signature, a centred title word, a signature on the right and
+    a year, and for four of the usual words; or they have six lines, some centred or on the right, and one of these.
+    """
+    l = layout.withColumn("n", F.row_number().over(W.partitionBy("doc_id").orderBy("paragraph_index"))).where("n <= 30").where(~blank("text")).withColumn("t", F.lower(squeeze("text")))
     flag = lambda c: F.max(F.coalesce(c, F.lit(False)).cast("int"))
-    g = l.groupBy("doc_id").agg(flag(F.col("text").rlike(ORGANISATION)).alias("org"), flag(F.col("text").rlike(DOCUMENT)).alias("kind"), flag(F.col("alignment") == "center").alias("mid"), flag(F.col("text").rlike(r"(?<!\d)(19|20)\d\d(?!\d)")).alias("year"))
-    ok = g.where("org + kind + mid + year >= 3 and (org = 1 or kind = 1)").select("doc_id")
-    return issue(docs.join(ok, "doc_id", "left_anti").select("doc_id", F.lit(0).alias("ord"), F.lit(1).alias("page")), "missing_title_page", "warning")
+    t, mid, right = F.col("t"), F.col("alignment") == "center", F.col("alignment") == "right"
+    g = l.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if(mid).alias("centred"), F.count_if(right).alias("righted"),
+        flag(_says(t, TITLE_ORGANISATION)).alias("org"), flag(_says(t, TITLE_DOCUMENT)).alias("kind"), flag(_says(t, TITLE_SIGNATURE)).alias("signed"),
+        flag(mid & _says(t, TITLE_CENTRE)).alias("mid"), flag(right & _says(t, TITLE_SIGNATURE)).alias("side"), flag(t.rlike(TITLE_YEAR)).alias("year"),
+        *(flag(F.contains("t", F.lit(w))).alias(f"w{i}") for i, w in enumerate(TITLE_KEYWORDS)),
+    )
+    words = sum((F.col(f"w{i}") for i in range(len(TITLE_KEYWORDS))), F.lit(0))
+    total = sum((F.col(c) for c in ("org", "kind", "signed", "mid", "side", "year")), (words >= 4).cast("int"))
+    core = F.greatest("org", "kind", "signed")
+    shaped = (F.col("lines") >= 6) & ((F.col("centred") >= 2) | (F.col("righted") >= 1)) & (F.greatest(core, "year") == 1)
+    return g.where(((core == 1) & (total >= 3)) | shaped).select("doc_id")
+
+
+def missing_title_page(docs: DataFrame, layout: DataFrame) -> DataFrame:
+    return issue(docs.join(title_pages(layout), "doc_id", "left_anti").select("doc_id", F.lit(0).alias("ord"), F.lit(1).alias("page")), "missing_title_page", "warning")
 
 
 def not_justified(layout: DataFrame) -> DataFrame:
-    """Documents in which many long lines that aren't centred or right are not justified."""
-    l = layout.where((F.length("text") >= 80) & ~F.coalesce("alignment", F.lit("")).isin("center", "right"))
+    """Documents with a title page in which many long lines that aren't centred or right, three at least, are not justified."""
+    l = layout.join(title_pages(layout), "doc_id", "left_semi").where((F.length("text") >= 80) & ~F.coalesce("alignment", F.lit("")).isin("center", "right"))
     g = l.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("alignment", F.lit("")) != "justify").alias("bad"))
-    g = g.where(F.col("bad") >= F.greatest(F.lit(1), F.expr("n div 2"))).select("doc_id", F.lit(0).alias("ord"), F.lit(1).alias("page"))
+    g = g.where(F.col("bad") >= F.greatest(F.lit(3), F.expr("n div 2"))).select("doc_id", F.lit(0).alias("ord"), F.lit(1).alias("page"))
     return issue(g, "body_text_not_justified", "info")
 
 
@@ -246,18 +373,33 @@ def typography(paragraphs: DataFrame, layout: DataFrame) -> DataFrame:
     return every.withColumn("n", F.row_number().over(W.partitionBy("doc_id", "subtype").orderBy("ord"))).where("n = 1").drop("n")
 
 
-def enumerations(paragraphs: DataFrame, layout: DataFrame) -> DataFrame:
-    p = paragraphs.join(layout.select("doc_id", "paragraph_index", "first_line_indent_mm"), ["doc_id", "paragraph_index"], "left")
+def enumerations(paragraphs: DataFrame, layout: DataFrame, heading_layout: DataFrame | None = None) -> DataFrame:
+    """Markers of enumerations; headings are none, and neither are lines that look like numbered ones."""
+    p = paragraphs
+    if heading_layout is not None:
+        p = p.join(heading_layout.select("doc_id", "paragraph_index").where("paragraph_index is not null").distinct(), ["doc_id", "paragraph_index"], "left_anti")
+    p = p.join(layout.select("doc_id", "paragraph_index", "first_line_indent_mm"), ["doc_id", "paragraph_index"], "left")
     t = squeeze("text")
-    wrong, right = t.rlike(r"^([•●▪*]|\d+\.\s+[а-яё]|[а-яё]\.)\s*"), t.rlike(r"^([-–—]\s|\d+\)|[а-яё]\))")
+    free = ~t.rlike(NUMBERED_HEADING)
+    wrong, right = free & t.rlike(WRONG_MARKER), free & t.rlike(MARKER)
     return found(p, [("invalid_enumeration_marker", "warning", wrong), ("enumeration_indent_invalid", "info", ~wrong & right & (F.abs(F.col("first_line_indent_mm") - INDENT) > INDENT_TOLERANCE))])
 
 
-def reference_section(docs: DataFrame, sections: DataFrame) -> DataFrame:
-    s = sections.where(_says(folded("title"), REFERENCES)).groupBy("doc_id").agg(F.min_by("text", "ord").alias("text"), F.min_by("section_id", "ord").alias("section_id"), F.min("ord").alias("ord"))
+def reference_section(docs: DataFrame, sections: DataFrame, paragraphs: DataFrame | None = None, layout: DataFrame | None = None) -> DataFrame:
+    """Documents without a list of sources, or with an empty one; one that only a paragraph mentions counts as empty."""
+    s = sections.where(_says(F.lower(squeeze("title")), REFERENCES)).groupBy("doc_id").agg(F.min_by("text", "ord").alias("text"), F.min_by("section_id", "ord").alias("section_id"), F.min("ord").alias("ord"))
     d = docs.select("doc_id").join(s, "doc_id", "left")
-    missing = F.col("ord").isNull()
-    return found(d.withColumn("none", missing).withColumn("ord", F.coalesce("ord", F.lit(0))), [("missing_references_section", "warning", F.col("none")), ("empty_references_section", "warning", ~F.col("none") & (F.length(squeeze("text")) < 20))])
+    said = None
+    for df in (paragraphs, layout):
+        if df is not None:
+            one = df.where(_says(F.lower(squeeze("text")), REFERENCES)).select("doc_id")
+            said = one if said is None else said.unionByName(one)
+    said = d.select("doc_id").where(F.lit(False)) if said is None else said
+    d = d.join(said.distinct().withColumn("said", F.lit(True)), "doc_id", "left")
+    absent, said_only = F.col("ord").isNull(), F.col("ord").isNull() & F.coalesce("said", F.lit(False))
+    d = d.withColumn("none", absent & ~said_only).withColumn("bare", said_only | ~absent & (F.length(squeeze("text")) < 20))
+    d = d.withColumn("section_id", F.when(said_only, "sec_references_detected").otherwise(F.col("section_id"))).withColumn("ord", F.coalesce("ord", F.lit(0)))
+    return found(d, [("missing_references_section", "warning", F.col("none")), ("empty_references_section", "warning", F.col("bare"))])
 
 
 def _placed(s: DataFrame) -> DataFrame:
@@ -273,55 +415,44 @@ def headings(sections: DataFrame, heading_layout: DataFrame) -> DataFrame:
     return found(s, [
         ("empty_section_heading", "warning", t == ""),
         ("heading_trailing_period", "info", t.endswith(".")),
+        ("appendix_heading_single_line", "warning", t.rlike(r"(?iu)^приложение\s+[а-яёa-z](?:\s*[—–-]\s*\S|\s+\S)")),
         ("appendix_heading_not_centered", "info", appendix & known & (F.col("alignment") != "center")),
         ("structural_heading_numbered", "warning", structural & (F.coalesce("number", F.lit("")) != "")),
         ("structural_heading_not_uppercase", "info", structural & (t != F.upper(t))),
         ("structural_heading_not_centered", "info", structural & known & (F.col("alignment") != "center")),
-        ("main_heading_centered", "info", ~structural & ~appendix & (F.col("alignment") == "center")),
-        ("invalid_appendix_heading", "warning", appendix & ~t.rlike(APPENDIX)),
+        ("main_heading_centered", "info", (t != "") & ~structural & ~appendix & (F.col("alignment") == "center")),
+        ("invalid_appendix_heading", "warning", F.contains(folded("title"), F.lit("прилож")) & ~t.rlike(APPENDIX)),
     ])
 
 
 def heading_layouts(sections: DataFrame, heading_layout: DataFrame, layout: DataFrame) -> DataFrame:
-    """Indent, colour and line breaks of headings, from the layout of their paragraph."""
-    at = layout.select("doc_id", "paragraph_index", "first_line_indent_mm", "has_non_black_text", F.col("text").alias("line"))
+    """Indent and colour of headings, from the layout of their paragraph."""
+    at = layout.select("doc_id", "paragraph_index", "first_line_indent_mm", "has_non_black_text")
     s = sections.drop("paragraph_index").join(heading_layout.select("doc_id", "section_id", "paragraph_index"), ["doc_id", "section_id"]).join(at, ["doc_id", "paragraph_index"])
     structural, appendix = folded("title").isin(STRUCTURAL), folded("title").startswith("приложение")
     indent = F.col("first_line_indent_mm")
     return found(s, [
-        ("appendix_heading_single_line", "warning", appendix & (folded("title") != "приложение") & ~F.contains("line", F.lit("\n")) & squeeze("line").rlike(r"(?iu)^приложение\s+\S\s+\S")),
         ("structural_heading_has_indent", "info", structural & (F.abs(indent) > 0.5)),
         ("structural_heading_invalid_font_color", "info", structural & F.col("has_non_black_text")),
-        ("main_heading_indent_invalid", "info", ~structural & ~appendix & (F.abs(indent - INDENT) > INDENT_TOLERANCE)),
-        ("heading_invalid_font_color", "info", ~structural & F.col("has_non_black_text")),
+        ("main_heading_indent_invalid", "info", (squeeze("title") != "") & ~structural & ~appendix & F.coalesce(F.abs(indent - INDENT) > INDENT_TOLERANCE, F.lit(True))),
+        ("heading_invalid_font_color", "info", (squeeze("title") != "") & ~structural & ~appendix & F.col("has_non_black_text")),
     ])
 
 
 def appendix_references(sections: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """Appendices that no text refers to by their letter."""
-    a = sections.where(folded("title").startswith("приложение")).withColumn("letter", F.lower(F.regexp_extract("title", r"(?iu)^приложение\s+([А-ЯЁA-Z])(?!\p{L})", 1)))
-    p = paragraphs.select("doc_id", F.lower("text").alias("t"))
-    said = F.regexp(F.col("t"), F.concat(F.lit(r"(?u)приложени\p{L}*\s+"), F.col("letter"), F.lit(r"(?!\p{L})")))
-    hit = a.where("letter <> ''").join(p, "doc_id").where(said).select("doc_id", "ord").distinct()
-    return issue(a.join(hit, ["doc_id", "ord"], "left_anti"), "missing_appendix_reference", "info")
+    """Appendices that no text refers to."""
+    a = sections.where(F.contains(folded("title"), F.lit("прилож"))).withColumn("fragments", F.array(F.col("title"), F.lit("приложение")))
+    return issue(unmentioned(a, sections, paragraphs), "missing_appendix_reference", "info")
 
 
 def missing_numbers(sections: DataFrame) -> DataFrame:
-    """Sections without a number on a level where two others have one; structural parts and appendices need none."""
+    """Sections without a number on a level where two others have one; structural parts need none."""
     some = F.count_if(F.coalesce("number", F.lit("")) != "").over(W.partitionBy("doc_id", "level")) >= 2
     s = sections.withColumn("some", some)
-    free = folded("title").isin(STRUCTURAL) | folded("title").startswith("приложение")
+    free = folded("title").isin(STRUCTURAL)
     return found(s, [("missing_section_number", "warning", F.col("some") & (F.coalesce("number", F.lit("")) == "") & ~free)])
 
 
-def unreferenced(items: DataFrame, sections: DataFrame, paragraphs: DataFrame, subtype: str) -> DataFrame:
-    """Items (doc_id, ord, fragment) whose fragment of 8 characters or more the document's text doesn't hold."""
-    hay = paragraphs.select("doc_id", folded("text").alias("t")).unionByName(sections.select("doc_id", folded("text").alias("t")))
-    i = items.withColumn("f", folded("fragment")).where(F.length("f") >= 8)
-    hit = i.join(hay, "doc_id").where(F.contains("t", "f")).select("doc_id", "ord").distinct()
-    return issue(i.join(hit, ["doc_id", "ord"], "left_anti"), subtype, "info")
-
-
 def fallback_location(sections: DataFrame, paragraphs: DataFrame, docs: DataFrame) -> DataFrame:
     """Where an issue without a place goes: the last section, else the last paragraph."""
     s, p = sections.groupBy("doc_id").agg(F.max_by("section_id", "ord").alias("section_id")), paragraphs.groupBy("doc_id").agg(F.max_by("paragraph_id", "ord").alias("last"))
@@ -351,19 +482,23 @@ def no_layout(docs: DataFrame, name: str) -> DataFrame:
     return docs.where(F.lit(False)).select("doc_id", *[F.lit(None).cast(t).alias(c) for c, t in cols])
 
 
-def check_formatting(docs, sections, paragraphs, figs, tabs, layout, table_layout, page_layout, numbering, forms, heading_layout) -> DataFrame:
-    """Every check. A title page is looked for where a document has a layout; what the whole document lacks is put at its end."""
+def check_formatting(docs, sections, paragraphs, figs, tabs, layout, table_layout, page_layout, numbering, forms, heading_layout, rules=None) -> DataFrame:
+    """Every check. A title page is looked for where a document has a layout; what the whole document lacks is put at its end.
+
+    With rules (and docs.standard_id) issues name the rule of their document's standard, and checks that need one are
+    left out where it has none; without, all run.
+    """
     forms = _formula_ids(forms)
     laid = docs.join(layout.select("doc_id").distinct(), "doc_id", "left_semi")
-    absent = missing_contents(docs, sections, paragraphs, layout).unionByName(reference_section(docs, sections))
+    absent = missing_contents(docs, sections, paragraphs, layout).unionByName(reference_section(docs, sections, paragraphs, layout))
     end = fallback_location(sections, paragraphs, docs).select("doc_id", F.col("section_id").alias("s"), F.col("paragraph_id").alias("p"))
     absent = absent.join(end, "doc_id", "left").withColumn("paragraph_id", F.when(F.col("section_id").isNull(), F.col("p"))).withColumn("section_id", F.coalesce("section_id", "s")).drop("s", "p")
     refs = formula_references(forms, paragraphs).where("status <> 'ok'").join(forms.select("doc_id", "ord", *place(forms)), ["doc_id", "ord"])
     every = refs.select("doc_id", "ord", *PLACE, F.when(F.col("status") == "invalid", "invalid_formula_reference_format").otherwise("missing_formula_reference").alias("subtype"), F.lit("info").alias("severity"))
     parts = [
-        figures(figs, layout), figure_numbering(figs).drop("number"), figure_references(figs, paragraphs), tables(tabs, table_layout), unreferenced(tabs.withColumn("fragment", F.col("caption")), sections, paragraphs, "missing_table_reference"), formulas(forms), formula_numbering(forms), absent,
-        missing_title_page(laid, layout), not_justified(layout), page_size(page_layout), margins(page_layout), page_numbering(numbering), typography(paragraphs, layout), enumerations(paragraphs, layout), headings(sections, heading_layout), heading_layouts(sections, heading_layout, layout), appendix_references(sections, paragraphs), missing_numbers(sections),
+        figures(figs, layout), figure_numbering(figs).drop("number"), figure_references(figs, sections, paragraphs), tables(tabs, table_layout), table_references(tabs, sections, paragraphs), formulas(forms), formula_numbering(forms), absent,
+        missing_title_page(laid, layout), not_justified(layout), page_size(page_layout), margins(page_layout), page_numbering(numbering), typography(paragraphs, layout), enumerations(paragraphs, layout, heading_layout), headings(sections, heading_layout), heading_layouts(sections, heading_layout, layout), appendix_references(sections, paragraphs), missing_numbers(sections),
     ]
     for p in parts:
         every = every.unionByName(p)
-    return issue_id(every)
+    return issue_id(every if rules is None else with_rules(every, docs, rules))

@@ -9,10 +9,18 @@ from pyspark.sql.window import Window as W
 from ..functions.text import number_key
 
 # Cues of a dependency and of a reference, and what must come before a constraint.
-DEPENDENCY = r"(?iu)(?:в соответствии с|согласно)\s+((?:\d+(?:\.\d+)*)(?:\s*(?:,|и)\s*\d+(?:\.\d+)*)*)"
-REFERENCE = r"(?iu)(?:см\.|по)\s+(\d+(?:\.\d+)*)"
-BARE = r"(?<![\d.])(\d+(?:\.\d+)+)(?![\d.]*\d)"
-BEFORE = [("numbering", ["position"]), ("alignment", ["numbering", "position"]), ("reference", ["numbering"]), ("format", ["numbering", "position"])]
+DEPENDENCY = r"(?iu)(?:в соответствии с|согласно|в порядке, установленном|в порядке, установленным|с учетом)\s+(\d+(?:\.\d+)*)"
+REFERENCE = r"(?iu)(?:см\.?|смотри|в разделе|в подразделе|в пункте|раздел(?:е|ом)?|подраздел(?:е|ом)?|пункт(?:е|ом)?)\s+(\d+(?:\.\d+)*)"
+BARE = r"(?<![\p{L}\p{N}_])(\d+(?:\.\d+)+)(?![\p{L}\p{N}_])"
+BEFORE = [
+    ("caption_required", ["reference_required", "required_presence", "numbering", "generic"]),
+    ("formatting", ["required_presence", "generic", "reference_required"]),
+    ("placement", ["reference_required", "required_presence", "generic"]),
+    ("numbering", ["required_presence", "generic"]),
+    ("reference_required", ["required_presence", "generic"]),
+    ("optional_allowed", ["generic"]),
+    ("definition", ["generic"]),
+]
 
 
 def nodes(rules: DataFrame, sections: DataFrame) -> DataFrame:
@@ -29,8 +37,10 @@ def nodes(rules: DataFrame, sections: DataFrame) -> DataFrame:
     return out
 
 
-def _edge(df: DataFrame, source, target, kind: str) -> DataFrame:
-    return df.select("standard_id", source.alias("source"), target.alias("target"), F.lit(kind).alias("type"))
+def _edge(df: DataFrame, source, target, kind: str, **properties) -> DataFrame:
+    """Edges with their properties as JSON."""
+    own = F.to_json(F.struct(*(c.alias(k) for k, c in properties.items()))) if properties else F.lit("{}")
+    return df.select("standard_id", source.alias("source"), target.alias("target"), F.lit(kind).alias("type"), own.alias("properties"))
 
 
 def chain(df: DataFrame, key: list[str], order: list, id_: str, kind: str) -> DataFrame:
@@ -54,27 +64,35 @@ def membership(rules: DataFrame) -> DataFrame:
 def rule_chains(rules: DataFrame) -> DataFrame:
     order = [number_key("number"), "ord"]
     a = chain(rules, ["section_id"], order, "rule_id", "rule_follows")
-    b = chain(rules.where("object_type <> 'generic'"), ["object_type"], ["ord"], "rule_id", "same_object_type")
-    c = chain(rules.where("constraint_type <> 'generic'"), ["constraint_type"], ["ord"], "rule_id", "same_constraint_type")
+    b = chain(rules.where("object_type <> 'generic'"), ["object_type"], order, "rule_id", "same_object_type")
+    c = chain(rules.where("constraint_type <> 'generic'"), ["constraint_type"], order, "rule_id", "same_constraint_type")
     return a.unionByName(b).unionByName(c)
 
 
+def follows(sections: DataFrame) -> DataFrame:
+    """Edges from each section to the next, with its place as the property "order"."""
+    by = W.partitionBy("standard_id").orderBy("ord")
+    s = sections.withColumn("__next", F.lead("section_id").over(by)).withColumn("__i", F.row_number().over(by) - 1)
+    return _edge(s.where("__next is not null"), F.col("section_id"), F.col("__next"), "follows", order=F.col("__i"))
+
+
 def links(rules: DataFrame) -> DataFrame:
-    """depends_on and references edges from the numbers a rule's content cites: to the last rule with the number, else to its section; none to itself."""
-    dep = F.flatten(F.transform(F.regexp_extract_all("content", F.lit(DEPENDENCY), F.lit(1)), lambda s: F.regexp_extract_all(s, F.lit(r"(\d+(?:\.\d+)*)"), F.lit(1))))
-    ref, bare = F.regexp_extract_all("content", F.lit(REFERENCE), F.lit(1)), F.regexp_extract_all("content", F.lit(BARE), F.lit(1))
+    """depends_on and references edges from the numbers that a rule's title and content cite: to the last rule with the number, else to its section; none to itself."""
+    text = F.concat_ws(" ", "title", "content")
+    dep, ref, bare = (F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in (DEPENDENCY, REFERENCE, BARE))
     kinds = F.concat(F.transform(dep, lambda n: F.struct(n.alias("n"), F.lit("depends_on").alias("type"))), F.transform(F.concat(dep, ref, bare), lambda n: F.struct(n.alias("n"), F.lit("references").alias("type"))))
     cited = rules.select("standard_id", "rule_id", F.explode(F.array_distinct(kinds)).alias("x")).select("standard_id", "rule_id", F.col("x.n").alias("n"), F.col("x.type").alias("type"))
     by_number = rules.groupBy("standard_id", F.col("number").alias("n")).agg(F.max_by("rule_id", "ord").alias("to_rule"))
-    by_section = rules.select("standard_id", F.regexp_extract("section_id", r"(\d+)$", 1).alias("n"), F.col("section_id").alias("to_section")).distinct()
+    number = F.col("section_number") if "section_number" in rules.columns else F.regexp_extract("section_id", r"(\d+)$", 1)
+    by_section = rules.groupBy("standard_id", number.alias("n")).agg(F.max("section_id").alias("to_section"))
     j = cited.join(by_number, ["standard_id", "n"], "left").join(by_section, ["standard_id", "n"], "left").withColumn("target", F.coalesce("to_rule", "to_section"))
     j = j.where(F.col("target").isNotNull() & (F.col("target") != F.col("rule_id"))).dropDuplicates(["standard_id", "rule_id", "target", "type", "n"])
-    return j.select("standard_id", F.col("rule_id").alias("source"), "target", "type")
+    return j.select("standard_id", F.col("rule_id").alias("source"), "target", "type", F.to_json(F.struct(F.col("n").alias("reference_number"))).alias("properties"))
 
 
 def prerequisites(rules: DataFrame) -> DataFrame:
-    """For each rule and each constraint that must come before its own: the latest earlier rule of its object type with it (an as-of join by windows)."""
-    w = W.partitionBy("standard_id", "object_type").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
+    """For each rule and each constraint that must come before its own: the latest rule of its object type, in the order of the numbers, with it (an as-of join by windows)."""
+    w = W.partitionBy("standard_id", "object_type").orderBy(number_key("number"), "ord").rowsBetween(W.unboundedPreceding, -1)
     wanted = sorted({b for _, bs in BEFORE for b in bs})
     r = rules.where("object_type <> 'generic'")
     for c in wanted:
@@ -82,8 +100,33 @@ def prerequisites(rules: DataFrame) -> DataFrame:
     pick = F.array().cast("array<string>")
     for c, bs in BEFORE:
         pick = F.when(F.col("constraint_type") == c, F.array(*[F.col(f"last_{b}") for b in bs])).otherwise(pick)
-    e = r.select("standard_id", "rule_id", F.explode(F.array_distinct(F.array_compact(pick))).alias("to"))
-    return _edge(e, F.col("rule_id"), F.col("to"), "prerequisite")
+    e = r.select("standard_id", "rule_id", "object_type", F.explode(F.array_distinct(F.array_compact(pick))).alias("to"))
+    return _edge(e, F.col("rule_id"), F.col("to"), "prerequisite", object_type=F.col("object_type"))
+
+
+def node(nodes_: DataFrame, ids: DataFrame) -> DataFrame:
+    """The nodes with given ids; an id without a node gives no row."""
+    return nodes_.join(ids.select("id").distinct(), "id", "left_semi")
+
+
+def nodes_of_type(nodes_: DataFrame, *types: str) -> DataFrame:
+    return nodes_.where(F.col("type").isin(*types))
+
+
+def related_nodes(edges: DataFrame, nodes_: DataFrame, start: DataFrame, types: list[str] | None = None, neighbor_types: list[str] | None = None) -> DataFrame:
+    """(id, neighbor): a neighbour shows once for each type and direction of its edges."""
+    return related(edges, nodes_, start, types, neighbor_types).select("id", "neighbor")
+
+
+def ordered_sections(nodes_: DataFrame) -> DataFrame:
+    """(standard_id, place, id, name): a standard's sections in their order."""
+    by = W.partitionBy("standard_id").orderBy("ord")
+    return nodes_of_type(nodes_, "section").select("standard_id", (F.row_number().over(by) - 1).alias("place"), "id", "name")
+
+
+def line_graph(lines: DataFrame) -> DataFrame:
+    """Edges "follows" between neighbouring entries of (standard_id, ord, id), whatever they are."""
+    return chain(lines, [], ["ord"], "id", "follows")
 
 
 def related(edges: DataFrame, nodes_: DataFrame, start: DataFrame, types: list[str] | None = None, neighbor_types: list[str] | None = None) -> DataFrame:
@@ -108,15 +151,25 @@ def k_hop(edges: DataFrame, start: DataFrame, k: int) -> DataFrame:
     return seen
 
 
-def shortest_paths(edges: DataFrame, start: DataFrame, longest: int = 6) -> DataFrame:
-    """(start, id, path, hops): the shortest directed path of at most `longest` edges, the least of equals by its nodes."""
+def shortest_paths(edges: DataFrame, start: DataFrame, longest: int | None = None) -> DataFrame:
+    """(start, id, path, hops): the shortest directed path, the least of equals by its nodes.
+
+    Each round adds one edge to the paths of nodes reached last, until no new node is reached; longest stops before. A
+    round's paths are written, so that plans stay small.
+    """
+    from ..sources.scratch import written
+
     step = edges.select(F.col("source").alias("id"), F.col("target").alias("to")).distinct()
-    front = start.select(F.col("id").alias("start"), "id", F.array("id").alias("path"))
-    done = front
-    for _ in range(longest):
+    front = start.select(F.col("id").alias("start"), "id", F.array("id").alias("path")).distinct()
+    done, hops = front, 0
+    while longest is None or hops < longest:
         nxt = front.join(step, "id").select("start", F.col("to").alias("id"), F.array_append("path", F.col("to")).alias("path"))
         front = nxt.groupBy("start", "id").agg(F.min("path").alias("path")).join(done.select("start", "id"), ["start", "id"], "left_anti")
-        done = done.unionByName(front)
+        front = written(front, "paths")
+        if not front.head(1):
+            break
+        done = written(done.unionByName(front), "paths")
+        hops += 1
     return done.select("start", "id", "path", (F.size("path") - 1).alias("hops"))
 
 

@@ -8,68 +8,147 @@ from pyspark.sql.window import Window as W
 
 from ..functions.text import squeeze
 
-# Word stems of object and constraint types, first match wins; keywords; lines that carry nothing.
-OBJECTS = [("figure", ["рисун", "иллюстрац"]), ("table", ["таблиц"]), ("formula", ["формул", "уравнен"]), ("appendix", ["приложен"]), ("reference", ["ссылк", "источник"]), ("heading", ["заголов"]), ("page", ["страниц"])]
-CONSTRAINTS = [("numbering", ["нумер"]), ("alignment", ["по центру", "посередине", "выравнив"]), ("position", ["помеща", "располага", "над таблицей", "под рисунком"]), ("reference", ["ссылк"]), ("format", ["шрифт", "кегл", "интервал"]), ("content", ["содерж"])]
-KEYWORDS = ["рисунок", "таблица", "формула", "приложение", "ссылка", "нумерация", "заголовок", "отчет", "страница", "название"]
-SERVICE = r"^(?:[IVXLC]+|\d{1,3}|-\s*\d+\s*-)$|^(?:https?://|www\.)\S+$|^(?:©|Электронный текст)"
+# Word stems of object and constraint types, of which the first match wins; words that settle a constraint
+# before them; keywords; lines that carry nothing.
+OBJECTS = [
+    ("title_page", ["титульн", "титул"]),
+    ("executors_list", ["список исполнител"]),
+    ("abstract", ["реферат"]),
+    ("contents", ["содержание"]),
+    ("terms", ["термин", "определени"]),
+    ("abbreviations", ["сокращен", "обозначен"]),
+    ("introduction", ["введение"]),
+    ("conclusion", ["заключени"]),
+    ("references", ["список использованных источников", "библиографическ", "источник"]),
+    ("appendix", ["приложени"]),
+    ("figure", ["рисунк", "иллюстрац"]),
+    ("table", ["таблиц"]),
+    ("formula", ["формул", "уравнен"]),
+    ("footnote", ["сноск"]),
+    ("page_numbering", ["страниц", "лист", "нумерац страниц"]),
+    ("heading", ["заголов", "подзаголов"]),
+    ("section", ["раздел", "подраздел", "пункт"]),
+    ("report", ["отчет", "отчета", "отчете"]),
+]
+CONSTRAINTS = [
+    ("definition", ["это", "является"]),
+    ("required_presence", ["должен содержать", "должен включать", "обязательн", "приводят следующие сведения"]),
+    ("formatting", ["оформля", "печата", "шрифт", "полужир", "абзац", "интервал"]),
+    ("numbering", ["нумерац", "обозначают", "арабскими цифрами"]),
+    ("caption_required", ["должен иметь наименование", "должны иметь наименование", "подпись"]),
+    ("reference_required", ["должны быть даны ссылки", "ссылк"]),
+    ("placement", ["располага", "размеща", "следует помещать", "по центру"]),
+    ("sequence", ["в порядке", "последовательн"]),
+    ("language_requirement", ["языке", "русском языке", "национальном языке"]),
+    ("optional_allowed", ["допускается", "могут включать", "могут быть"]),
+]
+#: (constraint, groups of stems): it is taken if each group has a stem in the text.
+SETTLED = [
+    ("caption_required", [["рисунк", "иллюстрац", "таблиц"], ["наименование", "подпись"]]),
+    ("reference_required", [["ссыл"], ["долж"]]),
+    ("numbering", [["нумерац"]]),
+    ("optional_allowed", [["допускается", "могут"]]),
+]
+KEYWORDS = ["рисунок", "иллюстрация", "таблица", "формула", "заголовок", "раздел", "подраздел", "приложение", "источник", "ссылка", "нумерация", "шрифт", "подпись", "страница", "абзац", "титульный лист", "реферат", "содержание", "заключение", "введение"]
+SERVICE = [
+    r"^For Staff Page \d+$",
+    r"^INTERSTATE COUNCIL FOR STANDARDIZATION,$",
+    r"^METROLOGY AND CERTIFICATION$",
+    r"^\d{1,2}:\d{2}$",
+    r"^[\"'`]+$",
+    r"(?i)^system of standards on information",
+    r"^Документ предоставлен",
+    r"^Дата сохранения:",
+]
+ANNEX = r"Приложение\s+[А-ЯA-Z]"
+BIBLIOGRAPHY = "Библиография"
+EDGE = "\".,;:()[]"
 
 
 def service_line(c: Column) -> Column:
-    return squeeze(c).rlike(SERVICE)
+    return squeeze(c).rlike("|".join(SERVICE))
 
 
 def starts_block(c: Column) -> Column:
     t = squeeze(c)
     capitals = (F.length(t) <= 120) & (t == F.upper(t)) & t.rlike(r"\p{L}")
-    return t.rlike(r"^\d+(\.\d+)*\.?\s+\S") | t.rlike(r"(?u)^Приложение\s+[А-ЯЁA-Z](?!\p{L})") | t.startswith("Библиография") | capitals
+    return t.rlike(r"^\d+(\.\d+)*\s+.+$") | t.rlike(rf"^{ANNEX}$") | (t == BIBLIOGRAPHY) | capitals
 
 
 def inline_split(c: Column) -> Column:
-    """Text cut before 'Приложение X' and 'Библиография' where they aren't at its start."""
-    marked = F.regexp_replace(c, r"(?u)(?<=\S)\s+(?=Приложение\s+[А-ЯЁA-Z](?!\p{L})|Библиография)", "\u0001")
-    return F.split(marked, "\u0001")
+    """Text cut before the first annex, and each part before the first bibliography, that isn't at its start."""
+    def cut(part: Column, mark: str) -> Column:
+        pattern = rf"(?s)^(.+?)({mark}.*)$"
+        return F.when(part.rlike(pattern), F.array(F.regexp_extract(part, pattern, 1), F.regexp_extract(part, pattern, 2))).otherwise(F.array(part))
+
+    parts = F.flatten(F.transform(cut(c, ANNEX), lambda part: cut(part, BIBLIOGRAPHY)))
+    return F.filter(F.transform(parts, lambda part: F.trim(part)), lambda part: part != "")
 
 
 def clean_blocks(lines: DataFrame) -> DataFrame:
-    """(standard_id, block, text) of (standard_id, pos, line): words split at a line's end joined, service lines gone, lines merged to blocks."""
+    """(standard_id, block, text) of (standard_id, pos, line): lines that end with a hyphen joined to the next, service lines gone, lines merged to blocks."""
     by = W.partitionBy("standard_id").orderBy("pos")
-    x = lines.withColumn("t", squeeze("line")).where(~service_line(F.col("t")))
-    x = x.withColumn("head", starts_block(F.col("t")))
+    x = lines.withColumn("whole", F.sum(F.when(F.lag("line").over(by).endswith("-"), 0).otherwise(1)).over(by))
+    parts = F.array_sort(F.collect_list(F.struct("pos", "line")))
+    x = x.groupBy("standard_id", "whole").agg(parts.alias("parts")).select(
+        "standard_id", F.col("whole").alias("pos"), F.array_join(F.transform("parts", lambda p, i: F.when(i < F.size("parts") - 1, F.regexp_replace(p["line"], "-$", "")).otherwise(p["line"])), "").alias("line")
+    )
+    x = x.withColumn("t", squeeze("line")).where(~service_line(F.col("t")))
+    x = x.withColumn("head", (F.col("t") != "") & starts_block(F.col("t")))
     new = (F.col("t") == "") | F.col("head") | F.coalesce(F.lag("head").over(by), F.lit(False))
     x = x.withColumn("b", F.sum(new.cast("int")).over(by))
     g = x.where("t <> ''").groupBy("standard_id", "b").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda s: s["t"]), " ").alias("t"))
-    g = g.select("standard_id", "b", F.posexplode(inline_split(F.regexp_replace("t", r"(?u)(\p{Ll})-\s(?=\p{Ll})", "$1"))).alias("i", "text"))
+    g = g.select("standard_id", "b", F.posexplode(inline_split(F.col("t"))).alias("i", "text"))
     return g.select("standard_id", (F.row_number().over(W.partitionBy("standard_id").orderBy("b", "i"))).alias("block"), "text")
 
 
 def heading_tail(c: Column) -> Column:
     """struct(title, tail): the title ends before the first capitalised word that follows a lower-case one."""
     words = F.split(squeeze(c), " ")
-    upper = lambda w: w.rlike(r"(?u)^\p{Lu}")
-    lower = lambda w: w.rlike(r"(?u)^\p{Ll}")
-    cut = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: upper(F.coalesce(F.get(words, i), F.lit(""))) & (i < F.size(words)) & (F.exists(F.slice(words, F.lit(1), i), lower) | (i == 1)))
+    bare = F.transform(words, lambda w: F.btrim(w, F.lit(EDGE)))
+    upper = lambda w: w.rlike(r"^\p{Lu}")
+    lower = lambda w: w.rlike(r"^\p{Ll}")
+    cut = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: upper(F.coalesce(F.get(bare, i), F.lit(""))) & F.exists(F.slice(bare, F.lit(1), i), lower))
     at = F.coalesce(F.get(cut, F.lit(0)), F.size(words))
     return F.struct(F.array_join(F.slice(words, F.lit(1), at), " ").alias("title"), F.array_join(F.slice(words, at + 1, F.greatest(F.size(words) - at, F.lit(0))), " ").alias("tail"))
 
 
+def looks_like_heading(title: Column) -> Column:
+    """At most 140 characters, no address, not only Latin letters, and the first word isn't all capitals."""
+    first = F.btrim(F.get(F.split(title, " "), F.lit(0)), F.lit(EDGE))
+    latin = title.rlike("[A-Za-z]") & ~title.rlike("[\u0400-\u04FF]")
+    shouted = first.rlike(r"\p{L}") & (first == F.upper(first)) & (first != F.lower(first))
+    return (title != "") & (F.length(title) <= 140) & ~F.lower(title).rlike(r"http|www\.|//") & ~latin & ~shouted
+
+
+def has_any(c: Column, stems: list[str]) -> Column:
+    hit = F.lit(False)
+    for s in stems:
+        hit = hit | F.contains(c, F.lit(s))
+    return hit
+
+
 def best_match(c: Column, lexicon: list[tuple[str, list[str]]]) -> Column:
-    """The first entry one of whose stems the text has, else generic; ties go to the earlier entry."""
+    """The first entry one of whose stems the text has, else generic."""
     out = F.lit("generic")
     for name, stems in reversed(lexicon):
-        hit = F.lit(False)
-        for s in stems:
-            hit = hit | F.contains(c, F.lit(s))
-        out = F.when(hit, name).otherwise(out)
+        out = F.when(has_any(c, stems), name).otherwise(out)
     return out
 
 
-def object_type(title: Column, content: Column) -> Column:
-    return best_match(F.lower(F.concat_ws(" ", title, content)), OBJECTS)
+def object_type(title: Column, content: Column, section_title: Column | None = None) -> Column:
+    return best_match(F.lower(F.concat_ws(" ", *([] if section_title is None else [section_title]), title, content)), OBJECTS)
 
 
 def constraint_type(title: Column, content: Column) -> Column:
-    return best_match(F.lower(F.concat_ws(" ", title, content)), CONSTRAINTS)
+    c = F.lower(F.concat_ws(" ", title, content))
+    out = best_match(c, CONSTRAINTS)
+    for name, groups in reversed(SETTLED):
+        every = F.lit(True)
+        for stems in groups:
+            every = every & has_any(c, stems)
+        out = F.when(every, name).otherwise(out)
+    return out
 
 
 def keywords(c: Column) -> Column:
@@ -77,40 +156,80 @@ def keywords(c: Column) -> Column:
 
 
 def parse_blocks(b: DataFrame) -> DataFrame:
-    """Blocks with their part: front_matter until heading 1, normative_body, then annexes for good; and their headings.
+    """Blocks with their part (front_matter until heading 1, normative_body, then annexes for good), kind and headings.
 
-    A top-level heading counts only if it is the next number, which a running maximum of the numbers in order finds:
-    n is accepted if every number up to n has come before it in order.
+    A top-level heading counts only if it is the next number; one that isn't is an example.
     """
     by = W.partitionBy("standard_id").orderBy("block")
-    top = F.regexp_extract("text", r"^(\d{1,2})\s+(\p{Lu}\p{Ll}.*)$", 1).try_cast("int")
-    sub = F.regexp_extract("text", r"^(\d+\.\d+(?:\.\d+)*)\s+(.+)$", 1)
-    annex = F.col("text").rlike(r"(?u)^(Приложение\s+[А-ЯЁA-Z](?!\p{L})|Библиография)")
-    x = b.withColumn("annexed", F.max(annex.cast("int")).over(by) == 1).withColumn("n", F.when(~F.col("annexed"), top))
+    first, number = r"^(\d+)\s+(.+)$", r"^(\d+\.\d+(?:\.\d+)*)\s+(.+)$"
+    annex = F.col("text").rlike(rf"^({ANNEX}|{BIBLIOGRAPHY})(?![\p{{L}}\p{{N}}_])")
+    x = b.withColumn("annexed", F.max(annex.cast("int")).over(by) == 1)
+    x = x.withColumn("h", heading_tail(F.regexp_extract("text", first, 2))).withColumn("top", F.col("text").rlike(first) & looks_like_heading(F.col("h.title")))
+    x = x.withColumn("n", F.when(~F.col("annexed") & F.col("top"), F.regexp_extract("text", first, 1).try_cast("int")))
     # the fold "accept n if it is last + 1" keeps an ordered list of numbers, one for each standard: headings are few
     g = x.where("n is not null").groupBy("standard_id").agg(F.array_sort(F.collect_list(F.struct("block", "n"))).alias("h"))
     start = F.struct(F.lit(0).alias("last"), F.array().cast("array<int>").alias("at"))
     fold = F.aggregate("h", start, lambda s, e: F.when(e["n"] == s["last"] + 1, F.struct(e["n"].alias("last"), F.array_append(s["at"], e["block"]).alias("at"))).otherwise(s))
     acc = g.select("standard_id", F.explode(fold["at"]).alias("block"), F.lit(True).alias("accepted"))
     x = x.join(acc, ["standard_id", "block"], "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
-    x = x.withColumn("body", F.max(F.col("accepted").cast("int")).over(by) == 1).withColumn("number", F.when(F.col("accepted"), F.col("n").cast("string")).when(F.col("body") & ~F.col("annexed") & (sub != ""), sub))
+    x = x.withColumn("body", F.max(F.col("accepted").cast("int")).over(by) == 1)
+    inside = F.col("body") & ~F.col("annexed")
+    rule = inside & F.col("n").isNull() & F.col("text").rlike(number)
     part = F.when(F.col("annexed"), "annexes").when(F.col("body"), "normative_body").otherwise("front_matter")
-    rest = F.when(F.col("accepted"), F.regexp_extract("text", r"^\d{1,2}\s+(.+)$", 1)).otherwise(F.regexp_extract("text", r"^\d+\.\d+(?:\.\d+)*\s+(.+)$", 1))
-    head = heading_tail(rest)
-    section = F.last(F.when(F.col("accepted"), F.concat(F.lit("section_"), "n")), True).over(by)
-    return x.select("standard_id", "block", part.alias("part"), F.when(F.col("accepted"), "section").when(F.col("number").isNotNull(), "rule").otherwise("text").alias("kind"), "number", F.when(F.col("number").isNotNull(), head["title"]).alias("title"), F.when(F.col("number").isNotNull(), head["tail"]).otherwise(F.col("text")).alias("content"), F.when(~F.col("annexed"), section).alias("section_id"))
+    kind = F.when(F.col("accepted"), "section").when(rule, "rule").when(inside & F.col("n").isNotNull(), "example").otherwise("text")
+    x = x.withColumn("kind", kind).withColumn("h", F.when(F.col("accepted"), F.col("h")).when(rule, heading_tail(F.regexp_extract("text", number, 2))))
+    x = x.withColumn("number", F.when(F.col("accepted"), F.col("n").cast("string")).when(rule, F.regexp_extract("text", number, 1)))
+    own = F.when(F.col("accepted"), F.struct(F.concat(F.lit("std_sec_"), (F.col("n") - 1).cast("string")).alias("id"), F.col("number").alias("number"), F.col("h.title").alias("title")))
+    section = F.when(~F.col("annexed"), F.last(own, True).over(by))
+    x = x.withColumn("section", section)
+    return x.select(
+        "standard_id", "block", part.alias("part"), "kind", "number", F.col("h.title").alias("title"), F.when(F.col("h").isNotNull(), F.col("h.tail")).otherwise(F.col("text")).alias("content"),
+        F.col("section.id").alias("section_id"), F.col("section.number").alias("section_number"), F.col("section.title").alias("section_title"), "text",
+    )
 
 
 def rules(parsed: DataFrame) -> DataFrame:
     """Rules with content, types and keywords; the first text after a rule without content becomes its content."""
     by = W.partitionBy("standard_id").orderBy("block")
-    p = parsed.where("part = 'normative_body'").withColumn("nk", F.lead("kind").over(by)).withColumn("nc", F.lead("content").over(by))
-    r = p.where("kind = 'rule'").withColumn("content", F.when((F.col("content") == "") & (F.col("nk") == "text"), F.col("nc")).when(F.col("content") == "", F.col("title")).otherwise(F.col("content")))
+    p = parsed.where("part = 'normative_body' and kind <> 'example'").withColumn("nk", F.lead("kind").over(by)).withColumn("nc", F.lead("content").over(by))
+    bare = (F.col("content") == "") | (F.col("content") == F.col("title"))
+    r = p.where("kind = 'rule'").withColumn("content", F.when(bare & (F.col("nk") == "text"), F.col("nc")).when(F.col("content") == "", F.col("title")).otherwise(F.col("content")))
     n = F.row_number().over(by)
-    return r.select("standard_id", n.alias("ord"), F.concat(F.lit("rule_"), n).alias("rule_id"), "number", "section_id", "title", "content", object_type(F.col("title"), F.col("content")).alias("object_type"), constraint_type(F.col("title"), F.col("content")).alias("constraint_type"), keywords(F.concat_ws(" ", "title", "content")).alias("keywords"))
+    return r.select(
+        "standard_id", n.alias("ord"), F.concat(F.lit("gost_rule_"), n - 1).alias("rule_id"), "number", "section_id", "section_number", "section_title", "title", "content",
+        object_type(F.col("title"), F.col("content"), F.col("section_title")).alias("object_type"), constraint_type(F.col("title"), F.col("content")).alias("constraint_type"), keywords(F.concat_ws(" ", "section_title", "title", "content")).alias("keywords"),
+    )
+
+
+def sections(parsed: DataFrame) -> DataFrame:
+    """(standard_id, section_id, number, title, ord, text): a section's text is its heading's tail and the blocks below it."""
+    p = parsed.where("section_id is not null and kind <> 'example'")
+    said = F.when(F.col("kind") == "section", F.col("content")).otherwise(F.col("text"))
+    g = p.groupBy("standard_id", "section_id").agg(F.min("block").alias("ord"), F.max(F.when(F.col("kind") == "section", F.struct("number", "title"))).alias("h"), F.array_sort(F.collect_list(F.struct("block", said.alias("t")))).alias("b"))
+    return g.select("standard_id", "section_id", F.col("h.number").alias("number"), F.col("h.title").alias("title"), "ord", F.array_join(F.filter(F.transform("b", lambda x: x["t"]), lambda t: t != ""), "\n\n").alias("text"))
+
+
+#: Fixed: accented Latin letters and what they fold to when marks are dropped.
+ACCENTED, PLAIN = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+
+
+def ascii_folded(c: Column) -> Column:
+    """Accented Latin letters without their marks, combining marks and all else beyond ASCII gone."""
+    return F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
+
+
+#: The standard that a registry begins with.
+SEED = ("gost_7_32_2017", "GOST 7.32-2017")
+
+
+def registry(names: DataFrame) -> DataFrame:
+    """(standard_id, name) of (name): the seed and every name under its id, the first name of equal ids."""
+    seed = names.sparkSession.createDataFrame([SEED], "standard_id string, name string")
+    new = names.select(slug(F.col("name")).alias("standard_id"), "name").groupBy("standard_id").agg(F.min("name").alias("name"))
+    return seed.unionByName(new.where(F.col("standard_id") != SEED[0]))
 
 
 def slug(name: Column) -> Column:
     """An ASCII id of a standard's name: letters that fold to ASCII, digits and underscores; of none, a hash."""
-    s = F.btrim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "_"), F.lit("_"))
+    s = F.btrim(F.regexp_replace(F.lower(ascii_folded(name)), "[^a-z0-9]+", "_"), F.lit("_"))
     return F.when(s == "", F.concat(F.lit("standard_"), F.substring(F.md5(name.cast("binary")), 1, 10))).otherwise(s)

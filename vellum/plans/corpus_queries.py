@@ -80,22 +80,36 @@ Q["page_geometry"] = (
 # --- standards and graph ---------------------------------------------------------------------------------------------
 
 _RULES = values("fx_rules")
-Q["standard_clean_blocks"] = (lambda spark, d: N.clean_blocks(fixture(spark, "fx_lines")), None)
-Q["standard_parsed"] = (lambda spark, d: N.parse_blocks(N.clean_blocks(fixture(spark, "fx_lines"))).select("standard_id", "block", "part", "kind", "number", "title"), None)
-Q["standard_rules"] = (lambda spark, d: N.rules(N.parse_blocks(N.clean_blocks(fixture(spark, "fx_lines")))).select("rule_id", "number", "title", "content", "object_type", "constraint_type", F.array_join("keywords", ",").alias("keywords")), None)
+_BLOCK_ROWS = [(1, "СТАНДАРТ"), (2, "1 Область применения"), (3, "Настоящий стандарт устанавливает требования к отчету."), (4, "3 Лишний раздел"), (5, "2 Оформление"), (6, "2.1 Рисунки следует нумеровать Рисунок должен иметь наименование,"), (7, "подпись располагают снизу."), (8, "2.2 Титульный лист отчета"), (9, "Титульный лист должен содержать сведения."), (10, "Приложение А Пример"), (11, "Библиография"), (12, "[1] Книга")]
 
 
-def _case(lexicon, text):
-    return "CASE " + " ".join(f"WHEN {' OR '.join(f"contains({text}, '{s}')" for s in stems)} THEN '{name}'" for name, stems in lexicon) + " ELSE 'generic' END"
+def _values(rows, cols):
+    cell = lambda v: "NULL" if v is None else str(v) if not isinstance(v, str) else "'" + v.replace("'", "''") + "'"
+    return f"(VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) AS v({cols})"
 
 
+Q["standard_clean_blocks"] = (lambda spark, d: N.clean_blocks(fixture(spark, "fx_lines")), f"SELECT 'g' AS standard_id, block, text FROM {_values(_BLOCK_ROWS, 'block, text')}")
+_PARSED_ROWS = [(1, "front_matter", "text", None, None), (2, "normative_body", "section", "1", "Область применения"), (3, "normative_body", "text", None, None), (4, "normative_body", "example", None, None), (5, "normative_body", "section", "2", "Оформление"), (6, "normative_body", "rule", "2.1", "Рисунки следует нумеровать"), (7, "normative_body", "text", None, None), (8, "normative_body", "rule", "2.2", "Титульный лист отчета"), (9, "normative_body", "text", None, None), (10, "annexes", "text", None, None), (11, "annexes", "text", None, None), (12, "annexes", "text", None, None)]
+Q["standard_parsed"] = (lambda spark, d: N.parse_blocks(N.clean_blocks(fixture(spark, "fx_lines"))).select("standard_id", "block", "part", "kind", "number", "title"), f"SELECT 'g' AS standard_id, * FROM {_values(_PARSED_ROWS, 'block, part, kind, number, title')}")
+_RULE_ROWS = [("gost_rule_0", "2.1", "Рисунки следует нумеровать", "Рисунок должен иметь наименование,", "figure", "caption_required", "рисунок"), ("gost_rule_1", "2.2", "Титульный лист отчета", "Титульный лист должен содержать сведения.", "title_page", "required_presence", "титульный лист")]
+Q["standard_rules"] = (lambda spark, d: N.rules(N.parse_blocks(N.clean_blocks(fixture(spark, "fx_lines")))).select("rule_id", "number", "title", "content", "object_type", "constraint_type", F.array_join("keywords", ",").alias("keywords")), f"SELECT * FROM {_values(_RULE_ROWS, 'rule_id, number, title, content, object_type, constraint_type, keywords')}")
+Q["standard_sections"] = (
+    lambda spark, d: N.sections(N.parse_blocks(N.clean_blocks(fixture(spark, "fx_lines")))).select("section_id", "number", "title", F.md5(F.col("text").cast("binary")).alias("h")),
+    "SELECT section_id, number, title, md5(text) AS h FROM " + _values([("std_sec_0", "1", "Область применения", _BLOCK_ROWS[2][1]), ("std_sec_1", "2", "Оформление", "\n\n".join(t for _, t in _BLOCK_ROWS[5:9]))], "section_id, number, title, text"),
+)
+# (section, title, content, object, constraint): one for each way to settle a type, judged by hand
+_TYPE_ROWS = [
+    ("", "Титульный лист", "Общие сведения", "title_page", "generic"), ("Реферат", "Объем", "Это краткое изложение", "abstract", "definition"), ("", "Иллюстрации", "Иллюстрация должна иметь подпись", "figure", "caption_required"), ("", "Таблицы", "В тексте должны быть даны ссылки", "table", "reference_required"),
+    ("", "Формулы", "Формулы обозначают арабскими цифрами", "formula", "numbering"), ("", "Уравнения", "Нумерация сквозная", "formula", "numbering"), ("", "Сноски", "Сноска допускается", "footnote", "optional_allowed"), ("", "Поля", "Текст печатают через полтора интервала", "generic", "formatting"),
+    ("Заголовки", "Размер", "Заголовок размещают слева", "heading", "placement"), ("", "Порядок", "Пункты приводят в порядке упоминания", "section", "sequence"), ("", "Язык", "Отчет пишут на русском языке", "report", "language_requirement"), ("", "Рисунок", "Рисунок должен иметь наименование", "generic", "caption_required"), ("", "Рисунки", "Рисунки должны иметь наименование", "figure", "caption_required"),
+]
 Q["standard_rule_types"] = (
-    lambda spark, d: fixture(spark, "fx_rules").select("rule_id", N.object_type(F.col("title"), F.col("content")).alias("object_type"), N.constraint_type(F.col("title"), F.col("content")).alias("constraint_type")),
-    f"WITH {_RULES} SELECT rule_id, {_case(N.OBJECTS, 'lower(title || chr(32) || content)')} AS object_type, {_case(N.CONSTRAINTS, 'lower(title || chr(32) || content)')} AS constraint_type FROM fx_rules",
+    lambda spark, d: spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(_TYPE_ROWS)], "i int, s string, t string, c string").select("i", N.object_type(F.col("t"), F.col("c"), F.col("s")).alias("object_type"), N.constraint_type(F.col("t"), F.col("c")).alias("constraint_type")),
+    "SELECT * FROM " + _values([(i, r[3], r[4]) for i, r in enumerate(_TYPE_ROWS)], "i, object_type, constraint_type"),
 )
 Q["standard_keywords"] = (
     lambda spark, d: fixture(spark, "fx_rules").select("rule_id", F.array_join(N.keywords(F.concat_ws(" ", "title", "content")), ",").alias("keywords")),
-    f"WITH {_RULES} SELECT rule_id, coalesce(array_to_string(list_filter([{', '.join(repr(k) for k in N.KEYWORDS)}], lambda k: contains(lower(title || ' ' || content), k)), ','), '') AS keywords FROM fx_rules",
+    f"WITH {_RULES} SELECT rule_id, coalesce(array_to_string(list_filter(['рисунок', 'иллюстрация', 'таблица', 'формула', 'заголовок', 'раздел', 'подраздел', 'приложение', 'источник', 'ссылка', 'нумерация', 'шрифт', 'подпись', 'страница', 'абзац', 'титульный лист', 'реферат', 'содержание', 'заключение', 'введение'], lambda k: contains(lower(title || ' ' || content), k)), ','), '') AS keywords FROM fx_rules",
 )
 Q["standard_number_order"] = (
     lambda spark, d: fixture(spark, "fx_rules").select("rule_id", F.array_join(number_key("number").cast("array<string>"), "-").alias("key")),
@@ -113,28 +127,40 @@ Q["graph_membership"] = (
 )
 Q["graph_chains"] = (
     lambda spark, d: G.rule_chains(fixture(spark, "fx_rules")).select("source", "target", "type"),
-    f"""WITH {_RULES}, e AS (SELECT rule_id AS source, lead(rule_id) OVER (PARTITION BY section_id ORDER BY {_KEYN}, ord) AS target, 'rule_follows' AS type FROM fx_rules UNION ALL SELECT rule_id, lead(rule_id) OVER (PARTITION BY object_type ORDER BY ord), 'same_object_type' FROM fx_rules WHERE object_type <> 'generic'
-      UNION ALL SELECT rule_id, lead(rule_id) OVER (PARTITION BY constraint_type ORDER BY ord), 'same_constraint_type' FROM fx_rules WHERE constraint_type <> 'generic') SELECT * FROM e WHERE target IS NOT NULL""",
+    f"""WITH {_RULES}, e AS (SELECT rule_id AS source, lead(rule_id) OVER (PARTITION BY section_id ORDER BY {_KEYN}, ord) AS target, 'rule_follows' AS type FROM fx_rules UNION ALL SELECT rule_id, lead(rule_id) OVER (PARTITION BY object_type ORDER BY {_KEYN}, ord), 'same_object_type' FROM fx_rules WHERE object_type <> 'generic'
+      UNION ALL SELECT rule_id, lead(rule_id) OVER (PARTITION BY constraint_type ORDER BY {_KEYN}, ord), 'same_constraint_type' FROM fx_rules WHERE constraint_type <> 'generic') SELECT * FROM e WHERE target IS NOT NULL""",
 )
 Q["graph_nodes"] = (
     lambda spark, d: G.nodes(fixture(spark, "fx_rules"), fixture(spark, "fx_rules").select("standard_id", "section_id", F.col("section_id").alias("title")).distinct()).groupBy("type").agg(F.count(F.lit(1)).alias("n")),
     f"WITH {_RULES} SELECT 'rule' AS type, count(*) AS n FROM fx_rules UNION ALL SELECT 'section', count(DISTINCT section_id) FROM fx_rules UNION ALL SELECT 'object_type', count(DISTINCT object_type) FROM fx_rules WHERE object_type <> 'generic' UNION ALL SELECT 'constraint', count(DISTINCT constraint_type) FROM fx_rules WHERE constraint_type <> 'generic'",
 )
+Q["graph_follows"] = (
+    lambda spark, d: G.follows(N.sections(N.parse_blocks(N.clean_blocks(fixture(spark, "fx_lines"))))).select("source", "target", "type", "properties"),
+    """SELECT 'std_sec_0' AS source, 'std_sec_1' AS target, 'follows' AS type, '{"order":0}' AS properties""",
+)
 Q["graph_links"] = (
-    lambda spark, d: G.links(fixture(spark, "fx_rules")).select("source", "target", "type"),
-    "SELECT * FROM (VALUES ('r3', 'r1', 'references'), ('r4', 'r1', 'depends_on'), ('r4', 'r5', 'depends_on'), ('r4', 'r1', 'references'), ('r4', 'r5', 'references'), ('r5', 'r4', 'depends_on'), ('r5', 'r4', 'references')) AS v(source, target, type)",
+    lambda spark, d: G.links(fixture(spark, "fx_rules")).select("source", "target", "type", F.get_json_object("properties", "$.reference_number").alias("number")),
+    "SELECT * FROM (VALUES ('r3', 'r1', 'references', '5.1'), ('r4', 'r1', 'depends_on', '5.1'), ('r4', 'r1', 'references', '5.1'), ('r4', 'r5', 'references', '6.2'), ('r5', 'r4', 'depends_on', '6.1'), ('r5', 'r4', 'references', '6.1'), ('r8', 's6', 'references', '6'), ('r10', 'r5', 'depends_on', '6.2'), ('r10', 'r5', 'references', '6.2')) AS v(source, target, type, number)",
 )
+_NEEDS = "('caption_required', 'reference_required'), ('caption_required', 'required_presence'), ('caption_required', 'numbering'), ('caption_required', 'generic'), ('formatting', 'required_presence'), ('formatting', 'generic'), ('formatting', 'reference_required'), ('placement', 'reference_required'), ('placement', 'required_presence'), ('placement', 'generic'), ('numbering', 'required_presence'), ('numbering', 'generic'), ('reference_required', 'required_presence'), ('reference_required', 'generic'), ('optional_allowed', 'generic'), ('definition', 'generic')"
 Q["graph_prerequisites"] = (
     lambda spark, d: G.prerequisites(fixture(spark, "fx_rules")).select("source", "target", "type"),
-    f"""WITH {_RULES}, need AS (SELECT * FROM (VALUES ('numbering', 'position'), ('alignment', 'numbering'), ('alignment', 'position'), ('reference', 'numbering'), ('format', 'numbering'), ('format', 'position')) AS v(c, b))
-    SELECT DISTINCT r.rule_id AS source, (SELECT arg_max(e.rule_id, e.ord) FROM fx_rules e WHERE e.object_type = r.object_type AND e.ord < r.ord AND e.constraint_type = need.b) AS target, 'prerequisite' AS type FROM fx_rules r JOIN need ON need.c = r.constraint_type WHERE r.object_type <> 'generic'
-      AND EXISTS (SELECT 1 FROM fx_rules e WHERE e.object_type = r.object_type AND e.ord < r.ord AND e.constraint_type = need.b)""",
+    f"""WITH {_RULES}, o AS (SELECT *, row_number() OVER (PARTITION BY object_type ORDER BY {_KEYN}, ord) AS place FROM fx_rules WHERE object_type <> 'generic'), need AS (SELECT * FROM (VALUES {_NEEDS}) AS v(c, b))
+    SELECT DISTINCT source, target, 'prerequisite' AS type FROM (SELECT r.rule_id AS source, arg_max(e.rule_id, e.place) AS target FROM o r JOIN need ON need.c = r.constraint_type JOIN o e ON e.object_type = r.object_type AND e.place < r.place AND e.constraint_type = need.b GROUP BY r.rule_id, need.b)""",
 )
 _GR = values("fx_nodes", "fx_edges")
 Q["graph_related"] = (
     lambda spark, d: G.related(*[fixture(spark, n) for n in ("fx_edges", "fx_nodes")], spark.createDataFrame([("n2",), ("n5",)], "id string")),
     f"WITH {_GR} SELECT DISTINCT * FROM (SELECT source AS id, target AS neighbor, type, 'out' AS direction FROM fx_edges UNION ALL SELECT target, source, type, 'in' FROM fx_edges) WHERE id IN ('n2', 'n5')",
 )
+Q["graph_related_nodes"] = (
+    lambda spark, d: G.related_nodes(*[fixture(spark, n) for n in ("fx_edges", "fx_nodes")], spark.createDataFrame([("n2",)], "id string"), ["depends_on", "contains", "applies_to"], ["rule", "section"]),
+    "SELECT * FROM (VALUES ('n2', 'n1'), ('n2', 'n9'), ('n2', 'n9')) AS v(id, neighbor)",
+)
+Q["graph_accessors"] = (
+    lambda spark, d: G.node(fixture(spark, "fx_nodes"), spark.createDataFrame([("n2",), ("none",)], "id string")).select("id", F.lit("by id").alias("how")).unionByName(G.nodes_of_type(fixture(spark, "fx_nodes"), "constraint", "keyword").select("id", F.lit("by type").alias("how"))).unionByName(G.ordered_sections(fixture(spark, "fx_nodes").withColumn("standard_id", F.lit("g"))).select("id", F.concat(F.lit("place "), "place").alias("how"))),
+    "SELECT * FROM (VALUES ('n2', 'by id'), ('n5', 'by type'), ('n6', 'by type'), ('n1', 'place 0')) AS v(id, how)",
+)
 Q["graph_k_hop"] = (
     lambda spark, d: G.k_hop(fixture(spark, "fx_edges"), fixture(spark, "fx_nodes").select("id"), 2),
     f"WITH RECURSIVE {_GR}, r AS (SELECT id AS start, id, 0 AS h FROM fx_nodes UNION SELECT r.start, e.target, h + 1 FROM r JOIN fx_edges e ON e.source = r.id WHERE h < 2) SELECT DISTINCT start, id FROM r",
@@ -175,36 +201,95 @@ Q["vector_collection"] = (
     lambda spark, d: V.add_documents(_vectors(spark, d).select(F.when(F.col("label") % 2 == 0, F.col("id").cast("string")).alias("entity_id"), F.concat(F.lit("t"), "id").alias("text"), "embedding"), "c").select("id"),
     "SELECT CASE WHEN label % 2 = 0 THEN 'c:' || vec_id ELSE md5('c:t' || vec_id) END AS id FROM embeddings",
 )
-_HITS = [(1, "n2", 1), (1, "n4", 2), (2, "n1", 1), (3, "n3", 1), (3, "n2", 3)]
+_HITS = [(1, "n2", 1), (1, "n4", 2), (2, "n1", 1), (3, "n3", 1), (3, "n2", 3), (4, "n9", 2), (4, "aku:x:0", 1)]
 _HITS_SQL = "hits AS (SELECT *, greatest(0.0, (5 + 1 - rank) / 5.0) AS base FROM (VALUES " + ", ".join(map(str, _HITS)) + ") AS v(query_id, id, rank))"
-_W = ", ".join(f"('{t}', {w})" for t, w in R.Config().weights.items())
+_W = "('depends_on', 2.3), ('prerequisite', 1.9), ('references', 1.5), ('applies_to', 1.4), ('constrains', 1.4), ('contains', 1.2), ('covers', 1.1), ('same_constraint_type', 1.1), ('same_object_type', 1.0), ('rule_follows', 0.8), ('mentions', 0.6)"
+_HINTS = "('n4', 'рисунок', 1.8), ('n4', 'рисунка', 1.8), ('n4', 'рисунке', 1.8), ('n4', 'иллюстрац', 1.8), ('n4', 'figure', 1.8), ('n8', 'odd type', 1.8), ('n5', 'нумерац', 1.0), ('n5', 'номер', 1.0), ('n5', 'обозначен', 1.0)"
 
 
 def _hits(spark):
     return spark.createDataFrame(_HITS, "query_id int, id string, rank int")
 
 
-_SCORES = f"""{_HITS_SQL}, w AS (SELECT * FROM (VALUES {_W}) AS v(type, w)), u AS (SELECT DISTINCT * FROM (SELECT source AS id, target AS nb, type FROM fx_edges UNION ALL SELECT target, source, type FROM fx_edges)),
-s AS (SELECT h.*, n.type AS kind FROM hits h JOIN fx_nodes n USING (id)),
+_SEEDED = f"""{_HITS_SQL}, w AS (SELECT * FROM (VALUES {_W}) AS v(type, w)), u AS (SELECT DISTINCT * FROM (SELECT source AS id, target AS nb, type, 'out' AS way FROM fx_edges UNION ALL SELECT target, source, type, 'in' FROM fx_edges)),
+s AS (SELECT h.*, n.type AS kind FROM hits h LEFT JOIN fx_nodes n USING (id)),
 x AS (SELECT query_id, id, CASE WHEN kind = 'rule' THEN 2 * base ELSE 0 END AS r, base AS p FROM s UNION ALL
-      SELECT query_id, u.nb, CASE WHEN m.type = 'rule' THEN base * w.w * CASE WHEN s.kind = 'rule' THEN 1.1 ELSE 1.0 END ELSE 0 END, base * least(w.w, 1.4) FROM s JOIN u USING (id) JOIN w ON w.type = u.type JOIN fx_nodes m ON m.id = u.nb),
-sc AS (SELECT query_id, id, round(CAST(sum(r) AS DOUBLE), 6) AS rule_score, round(CAST(max(p) AS DOUBLE), 6) AS support FROM x GROUP BY query_id, id)"""
-Q["retrieval_scores"] = (lambda spark, d: R.expand(R.seed_scores(_hits(spark), 5), *_fx(spark, "fx_edges", "fx_nodes")), f"WITH {_GR}, {_SCORES} SELECT * FROM sc")
-Q["retrieval_signals"] = (
-    lambda spark, d: R.signals(fixture(spark, "fx_queries"), fixture(spark, "fx_nodes"), ["keyword", "section"]),
-    f"WITH {values('fx_nodes', 'fx_queries')} SELECT DISTINCT query_id, id FROM fx_queries, fx_nodes WHERE type IN ('keyword', 'section') AND contains(lower(query), lower(name)[:5])",
-)
+      SELECT query_id, u.nb, CASE WHEN m.type = 'rule' THEN base * w.w * CASE WHEN s.kind = 'rule' THEN 1.1 ELSE 1.0 END ELSE 0 END, base * least(w.w, 1.4) FROM s JOIN u USING (id) JOIN w ON w.type = u.type JOIN fx_nodes m ON m.id = u.nb WHERE s.kind IS NOT NULL)"""
+_MATCHED = f"""hint AS (SELECT * FROM (VALUES {_HINTS}) AS v(id, hint, bonus)),
+tok AS (SELECT DISTINCT query_id, unnest(regexp_split_to_array(lower(query), '[^\\p{{L}}\\p{{N}}_]+')) AS t FROM fx_queries),
+m AS (SELECT DISTINCT query_id, id, bonus FROM fx_queries, hint WHERE contains(lower(query), hint) UNION SELECT query_id, id, 0.8 FROM tok JOIN fx_nodes ON type = 'keyword' AND list_contains(regexp_split_to_array(lower(name), '[^\\p{{L}}\\p{{N}}_]+'), t) WHERE length(t) >= 3)"""
+_SCORES = f"""{_SEEDED}, {_MATCHED},
+every AS (SELECT * FROM x UNION ALL SELECT query_id, id, 0, bonus FROM m UNION ALL SELECT query_id, u.nb, bonus * w.w, NULL FROM m JOIN u USING (id) JOIN w ON w.type = u.type JOIN fx_nodes n ON n.id = u.nb AND n.type = 'rule'),
+sc AS (SELECT query_id, id, round(CAST(sum(r) AS DOUBLE), 6) AS rule_score, round(CAST(max(p) AS DOUBLE), 6) AS support FROM every GROUP BY query_id, id)"""
+_GRQ = values("fx_nodes", "fx_edges", "fx_queries")
+Q["retrieval_seeds"] = (lambda spark, d: R.expand(R.seed_scores(_hits(spark), 5), *_fx(spark, "fx_edges", "fx_nodes")), f"WITH {_GR}, {_SEEDED} SELECT query_id, id, round(CAST(sum(r) AS DOUBLE), 6) AS rule_score, round(CAST(max(p) AS DOUBLE), 6) AS support FROM x GROUP BY query_id, id")
+Q["retrieval_scores"] = (lambda spark, d: R.scores(fixture(spark, "fx_queries"), _hits(spark), *_fx(spark, "fx_nodes", "fx_edges"))[0], f"WITH {_GRQ}, {_SCORES} SELECT * FROM sc")
+Q["retrieval_signals"] = (lambda spark, d: R.matched_signals(fixture(spark, "fx_queries"), fixture(spark, "fx_nodes")).select("query_id", "id"), f"WITH {_GRQ}, {_MATCHED} SELECT query_id, id FROM m")
+_RANKED = f"""{_SCORES}, own AS (SELECT query_id, list(n.name) FILTER (n.type = 'object_type') AS o, list(n.name) FILTER (n.type = 'constraint') AS c, list(n.name) FILTER (n.type = 'keyword') AS k FROM m JOIN fx_nodes n USING (id) GROUP BY query_id),
+rr AS (SELECT sc.query_id, sc.id, CAST(row_number() OVER (PARTITION BY sc.query_id ORDER BY coalesce(list_contains(o, object_type), false) DESC, coalesce(list_contains(c, constraint_type), false) DESC, coalesce(len(list_intersect(k, string_split(keywords, ','))), 0) DESC, rule_score DESC, ord) AS INTEGER) AS rank, round(rule_score, 4) AS score
+  FROM sc JOIN fx_nodes n ON n.id = sc.id AND n.type = 'rule' LEFT JOIN own USING (query_id) WHERE rule_score > 0 QUALIFY rank <= 5),
+near AS (SELECT DISTINCT rr.query_id, u.nb AS id FROM rr JOIN u USING (id) WHERE u.type IN ('applies_to', 'constrains', 'mentions', 'contains', 'references', 'depends_on', 'prerequisite') AND NOT EXISTS (SELECT 1 FROM rr z WHERE z.query_id = rr.query_id AND z.id = u.nb)),
+sup AS (SELECT near.query_id, near.id, CAST(row_number() OVER (PARTITION BY near.query_id ORDER BY coalesce(support, 0) DESC, near.id) AS INTEGER) AS rank, round(coalesce(support, 0), 4) AS score FROM near LEFT JOIN sc USING (query_id, id) QUALIFY rank <= 10),
+ctx AS (SELECT query_id, id, rank, score, 'rule' AS part FROM rr UNION ALL SELECT query_id, id, rank, score, 'support' FROM sup)"""
 Q["retrieval_keywords"] = (
     lambda spark, d: R.keyword_matches(fixture(spark, "fx_queries"), fixture(spark, "fx_nodes")),
     f"""WITH {values('fx_nodes', 'fx_queries')}, q AS (SELECT DISTINCT query_id, unnest(regexp_split_to_array(lower(query), '[^\\p{{L}}\\p{{N}}_]+')) AS w FROM fx_queries), n AS (SELECT DISTINCT id, unnest(regexp_split_to_array(lower(name), '[^\\p{{L}}\\p{{N}}_]+')) AS w FROM fx_nodes)
     SELECT query_id, id, count(*) AS n FROM q JOIN n USING (w) WHERE length(w) >= 3 GROUP BY query_id, id""",
 )
-Q["retrieval_context"] = (lambda spark, d: R.retrieve(fixture(spark, "fx_queries"), _hits(spark), *_fx(spark, "fx_nodes", "fx_edges")), None)
-Q["retrieval_answer"] = (lambda spark, d: R.context_text(R.retrieve(fixture(spark, "fx_queries"), _hits(spark), *_fx(spark, "fx_nodes", "fx_edges")).join(fixture(spark, "fx_nodes"), "id")), None)
-_ENT = r"e AS (SELECT DISTINCT doc_id, unnest(list_concat(regexp_extract_all(text, '(?:^|[^\p{L}\p{N}_])(\p{Lu}[\p{L}\p{N}_]*)', 1), regexp_extract_all(text, '[\"«]([^\"»]{2,80})[\"»]', 1))) AS entity FROM documents)"
+Q["retrieval_context"] = (lambda spark, d: R.retrieve(fixture(spark, "fx_queries"), _hits(spark), *_fx(spark, "fx_nodes", "fx_edges")), f"WITH {_GRQ}, {_RANKED} SELECT * FROM ctx")
+_FACTS = [("bridge:x", "Икс", "Икс связывает", "bridging_fact", "d1,d2"), ("aku:x:0", None, "Q: Что?\nA: То", "aku", None)]
+
+
+def _items(spark):
+    found = R.retrieve(fixture(spark, "fx_queries"), _hits(spark), *_fx(spark, "fx_nodes", "fx_edges"))
+    return R.context_items(found, fixture(spark, "fx_nodes"), spark.createDataFrame(_FACTS, "id string, entity string, content string, entry_type string, sources string"))
+
+
+_PLACED = "items AS (SELECT c.*, n.name, n.type, n.content, n.number, n.section_title, n.object_type, n.constraint_type, row_number() OVER (PARTITION BY query_id ORDER BY part, rank) AS place FROM ctx c JOIN fx_nodes n USING (id))"
+_SUFFIX = "array_to_string(list_filter(['number=' || nullif(number, ''), 'section_title=' || nullif(section_title, ''), 'object_type=' || nullif(object_type, ''), 'constraint_type=' || nullif(constraint_type, '')], lambda v: v IS NOT NULL), ', ')"
+Q["retrieval_answer"] = (
+    lambda spark, d: R.context_text(_items(spark)).select("query_id", F.md5(F.col("context").cast("binary")).alias("h")),
+    f"WITH {_GRQ}, {_RANKED}, {_PLACED}, t AS (SELECT *, {_SUFFIX} AS said FROM items WHERE place <= 10) SELECT query_id, md5(string_agg('[' || upper(type) || '] ' || name || CASE WHEN said <> '' THEN ' (' || said || ')' ELSE '' END || ':' || chr(10) || content, chr(10) || chr(10) ORDER BY place)) AS h FROM t GROUP BY query_id",
+)
+Q["retrieval_sources"] = (lambda spark, d: R.answer_sources(_items(spark)).select("query_id", "id", "rank", "score", F.md5(F.col("content").cast("binary")).alias("h")), f"WITH {_GRQ}, {_RANKED}, {_PLACED} SELECT query_id, id, rank, score, md5(content[:200] || '...') AS h FROM items WHERE part = 'rule' AND rank <= 5")
+_NEAREST = [(1, r, i, "bridging_fact" if i.startswith("bridge") else "rule") for r, i in enumerate(["bridge:a", "n2", "bridge:b", "bridge:c", "n4", "bridge:x", "n3"], 1)] + [(2, 1, "bridge:x", "bridging_fact")]
+Q["retrieval_bridged"] = (
+    lambda spark, d: R.retrieve_bridged(fixture(spark, "fx_queries"), spark.createDataFrame(_NEAREST, "query_id int, rank int, id string, entry_type string"), *_fx(spark, "fx_nodes", "fx_edges")).select("query_id", "id", "rank", "part"),
+    # the fourth bridging fact is left out; seeds are n2, n4, n3 with ranks 1, 2, 3
+    f"WITH {_GRQ}, {_RANKED.replace(_HITS_SQL, "hits AS (SELECT *, (6 - rank) / 5.0 AS base FROM (VALUES (1, 'n2', 1), (1, 'n4', 2), (1, 'n3', 3)) AS v(query_id, id, rank))")} SELECT query_id, id, rank, part FROM ctx UNION ALL SELECT * FROM (VALUES (1, 'bridge:a', 1, 'bridge'), (1, 'bridge:b', 3, 'bridge'), (1, 'bridge:c', 4, 'bridge'), (2, 'bridge:x', 1, 'bridge')) AS v(query_id, id, rank, part)",
+)
+Q["bridge_sources"] = (
+    lambda spark, d: R.bridge_sources(R.context_items(spark.createDataFrame([(1, "bridge:x", 2, "bridge", None)], "query_id int, id string, rank int, part string, score double"), fixture(spark, "fx_nodes"), spark.createDataFrame(_FACTS, "id string, entity string, content string, entry_type string, sources string"))).select("query_id", "id", "entity", F.array_join("source_documents", "+").alias("docs")),
+    "SELECT 1 AS query_id, 'bridge:x' AS id, 'Икс' AS entity, 'd1+d2' AS docs",
+)
+Q["retrieval_legacy"] = (
+    lambda spark, d: R.near_hits(_hits(spark), fixture(spark, "fx_edges")),
+    f"WITH RECURSIVE {_GR}, {_HITS_SQL}, r AS (SELECT query_id, id, 0 AS h FROM hits UNION SELECT r.query_id, e.target, h + 1 FROM r JOIN fx_edges e ON e.source = r.id WHERE h < 2) SELECT DISTINCT query_id, id FROM r",
+)
+Q["entity_hits"] = (
+    lambda spark, d: R.entity_hits(_hits(spark), spark.createDataFrame([("n2", "e2"), ("n4", ""), ("n1", "e1"), ("n3", None)], "id string, entity_id string")),
+    "SELECT * FROM (VALUES (1, 'e2', 1), (2, 'e1', 1), (3, 'e2', 1)) AS v(query_id, id, rank)",
+)
+_AKUS = [("d1", 1, 1, "aku:d1:0", "Q: Кто?\nA: Институт связи"), ("d1", 1, 2, "aku:d1:1", "Q: Где?\nA: в институте"), ("d2", 2, 1, "aku:d2:0", "Q: Что?\nA: ИНСТИТУТ"), ("d3", 3, 1, "aku:d3:0", "Q: Да?\nA: связи нет")]
+_AKU_COLS = "doc_id string, doc_ord int, aku_ord int, id string, content string"
+
+
+def _asked(spark):
+    bridges = spark.createDataFrame([("Институт",), ("связи нет",), ("ИН",)], "entity string")
+    return R.bridge_prompts(R.bridge_akus(bridges, spark.createDataFrame(_AKUS, _AKU_COLS)))
+
+
+Q["bridge_prompts"] = (
+    lambda spark, d: _asked(spark).select("entity", F.md5(F.col("sections").cast("binary")).alias("h"), "sources", "aku_ids"),
+    "SELECT entity, md5(sections) AS h, sources, aku_ids FROM " + _values([(e, "\n--- Document: d1 ---\n- Q: Кто?\nA: Институт связи\n- Q: Где?\nA: в институте\n\n--- Document: d2 ---\n- Q: Что?\nA: ИНСТИТУТ", "d1,d2", "aku:d1:0,aku:d1:1,aku:d2:0") for e in ("Институт", "ИН")], "entity, sections, sources, aku_ids"),
+)
+Q["bridge_answers"] = (
+    lambda spark, d: R.bridge_answers(_asked(spark), spark.createDataFrame([("Институт", '["Первый.", "", "Второй."]'), ("ИН", '"[\\"Третий.\\"]"'), ("связи нет", "[]")], "entity string, response string")).select("id", "content", "sources"),
+    "SELECT 'bridge:' || entity || ':' || md5(entity)[:8] AS id, content, 'd1,d2' AS sources FROM (VALUES ('Институт', 'Первый. Второй.'), ('ИН', 'Третий.')) AS v(entity, content)",
+)
+_ENT1 = r"e AS (SELECT DISTINCT doc_id, unnest(list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '[А-ЯЁA-Z][а-яёa-zA-Z]*'))) AS entity FROM documents)"
+_ENT2 = r"e2 AS (SELECT * FROM e UNION SELECT doc_id, unnest(regexp_extract_all(text, '[\"«]([^\"»]+)[\"»]', 1)) FROM documents)"
 Q["entity_registry"] = (lambda spark, d: R.registry(R.entities(_t(spark, d, "documents"), "doc_id"), "doc_id"), None)
-_ENT1 = r"e AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(regexp_replace(text, '([^\p{L}\p{N}_])', '\1\1', 'g'), '(?:^|[^\p{L}\p{N}_])(\p{Lu}[\p{L}\p{N}_]*)', 1)) AS entity FROM documents)"
-_ENT2 = r"e2 AS (SELECT * FROM e UNION SELECT doc_id, unnest(regexp_extract_all(text, '[\"«]([^\"»]{2,80})[\"»]', 1)) FROM documents)"
 Q["entity_registry"] = (Q["entity_registry"][0], f"WITH {_ENT1}, {_ENT2} SELECT entity, count(DISTINCT doc_id) AS df FROM e2 GROUP BY entity")
 Q["bridge_entities"] = (lambda spark, d: R.bridge_entities(R.registry(R.entities(_t(spark, d, "documents"), "doc_id"), "doc_id")), f"WITH {_ENT1}, {_ENT2} SELECT entity, count(DISTINCT doc_id) AS df FROM e2 GROUP BY entity HAVING df BETWEEN 2 AND 10")
 
@@ -215,13 +300,13 @@ def _candidates(spark, d):
 
 
 Q["bridge_candidates"] = (lambda spark, d: _candidates(spark, d), f"WITH {_ENT1}, {_ENT2}, b AS (SELECT entity FROM e2 GROUP BY entity HAVING count(DISTINCT doc_id) BETWEEN 2 AND 10) SELECT entity, doc_id, CAST(row_number() OVER (PARTITION BY entity ORDER BY doc_id) AS INTEGER) AS n FROM e2 JOIN b USING (entity) QUALIFY n <= 5")
-Q["bridge_facts"] = (lambda spark, d: R.bridge_facts(_candidates(spark, d), _t(spark, d, "documents"), "doc_id").select("id", "entity", "sources"), f"WITH {_ENT1}, {_ENT2}, b AS (SELECT entity FROM e2 GROUP BY entity HAVING count(DISTINCT doc_id) BETWEEN 2 AND 10), c AS (SELECT entity, doc_id, row_number() OVER (PARTITION BY entity ORDER BY doc_id) AS n FROM e2 JOIN b USING (entity) QUALIFY n <= 5) SELECT 'bridge:' || entity || ':' || md5(entity)[:8] AS id, entity, string_agg(doc_id, ',' ORDER BY n) AS sources FROM c GROUP BY entity")
+Q["bridge_facts"] = (lambda spark, d: R.bridge_facts(_candidates(spark, d), _t(spark, d, "documents"), "doc_id").select("id", "entity", "sources", F.md5(F.col("prompt").cast("binary")).alias("prompt")), f"WITH {_ENT1}, {_ENT2}, b AS (SELECT entity FROM e2 GROUP BY entity HAVING count(DISTINCT doc_id) BETWEEN 2 AND 10), c AS (SELECT entity, doc_id, row_number() OVER (PARTITION BY entity ORDER BY doc_id) AS n FROM e2 JOIN b USING (entity) QUALIFY n <= 5) SELECT 'bridge:' || entity || ':' || md5(entity)[:8] AS id, entity, string_agg(doc_id, ',' ORDER BY n) AS sources, md5(string_agg(text, concat(chr(10), '---', chr(10)) ORDER BY n)) AS prompt FROM c JOIN documents USING (doc_id) GROUP BY entity")
 Q["balanced_selection"] = (
     lambda spark, d: R.balanced(fixture(spark, "fx_hits"), 5, 3).select("query_id", "id", "place"),
     f"WITH {values('fx_hits')}, h AS (SELECT *, sum(CAST(entry_type = 'bridging_fact' AS INTEGER)) OVER (PARTITION BY query_id ORDER BY rank) AS nth FROM fx_hits) SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS place FROM h WHERE entry_type <> 'bridging_fact' OR nth <= 3 QUALIFY place <= 5",
 )
 Q["aku_extraction"] = (
-    lambda spark, d: R.akus(spark.createDataFrame([("d1", 'text {"pairs":[{"question":"Что?","answer":"То"},{"question":" ","answer":"x"},{"question":"Где?","answer":"Там"}]} end'), ("d2", "none")], "doc_id string, response string")).select("id", "question", "answer"),
+    lambda spark, d: R.akus(spark.createDataFrame([("d1", 'text {"akus":[{"question":"Что?","answer":"То"},{"question":" ","answer":"x"},{"question":"Где?","answer":"Там"}]} end'), ("d2", "none")], "doc_id string, response string")).select("id", "question", "answer"),
     "SELECT * FROM (VALUES ('aku:d1:0', 'Что?', 'То'), ('aku:d1:2', 'Где?', 'Там')) AS v(id, question, answer)",
 )
 Q["incremental_registry"] = (
@@ -239,22 +324,27 @@ Q["fix_renumbered"] = (
     lambda spark, d: X.renumbered(fixture(spark, "fx_sections")).where("doc_id = 'd2'").select("ord", "section_id", "number", "level"),
     "SELECT * FROM (VALUES (1, 'a', '', 1), (2, 'b', '1', 1), (3, 'c', '1.1', 2), (4, 'd', '', 1), (5, 'e', '1.1.1', 3), (6, 'f', '', 1)) AS v(ord, section_id, number, level)",
 )
+_FIGURE_TITLE = "trim(regexp_extract(trim(caption), '(?i)^(?:рисуно(?:к)?|рис\\.?)\\s*\\d+(?:\\.\\d+)*\\s*[-—–]?\\s*(.*)$', 1), ' -—–')"
 Q["fix_figure_captions"] = (
     lambda spark, d: X.figure_captions(fixture(spark, "fx_figures")),
-    f"WITH {values('fx_figures')} SELECT doc_id, ord, CASE WHEN trim(caption) = '' THEN '' ELSE 'Рисунок ' || row_number() OVER (PARTITION BY doc_id ORDER BY ord) || ' - ' || trim(regexp_replace(regexp_replace(trim(caption), '(?i)^рис(?:унок|\\.)?\\s*\\d*(?:\\.\\d+)*\\s*[-—–]?\\s*', ''), '\\.$', '')) END AS caption FROM fx_figures",
+    f"WITH {values('fx_figures')}, f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n, {_FIGURE_TITLE} AS t FROM fx_figures) SELECT doc_id, ord, CASE WHEN trim(caption) = '' THEN '' ELSE 'Рисунок ' || n || ' - ' || trim(rtrim(CASE WHEN t <> '' THEN t ELSE 'Иллюстрация ' || n END, '.')) END AS caption FROM f",
+)
+Q["fix_figure_captions_kept"] = (
+    lambda spark, d: X.figure_captions(fixture(spark, "fx_figures"), anew=False).where("doc_id in ('d1', 'd6')"),
+    "SELECT * FROM (VALUES ('d1', 1, 'Рисунок 1 - Схема'), ('d1', 2, 'Рисунок 3 - График'), ('d1', 3, ''), ('d1', 4, 'Рисунок 3 - Повтор'), ('d6', 1, 'Рисунок 1 - Иллюстрация 1'), ('d6', 2, 'Рисунок 2 - Слитно'), ('d6', 3, 'Рисунок 3 - '), ('d6', 4, 'Рисунок 4 - Коротко')) AS v(doc_id, ord, caption)",
 )
 Q["fix_table_captions"] = (
     lambda spark, d: X.table_captions(*_fx(spark, "fx_tables", "fx_table_layout")),
-    "SELECT * FROM (VALUES ('d1', 1, 'Таблица 1 - Данные'), ('d1', 2, 'Таблица 2 - без номера'), ('d2', 1, 'Таблица 1 - Название таблицы'), ('d6', 1, 'Таблица 1 - Данные'), ('d6', 2, 'Таблица А.1 - Прочее')) AS v(doc_id, ord, caption)",
+    "SELECT * FROM (VALUES ('d1', 1, 'Таблица 1 - Данные'), ('d1', 2, 'Таблица 2 - Сравнение показателей 2'), ('d2', 1, 'Таблица 1 - Сравнение показателей 1'), ('d5', 1, 'Таблица 1 - Строчная'), ('d6', 1, 'Таблица 1 - Данные'), ('d6', 2, 'Таблица А.1 - Прочее'), ('d6', 3, 'Таблица 3 - Слитно')) AS v(doc_id, ord, caption)",
 )
-_ST = "('введение', 'заключение', 'содержание', 'оглавление', 'реферат', 'список использованных источников', 'список литературы', 'термины и определения')"
+_ST = "('содержание', 'оглавление', 'реферат', 'список использованных источников', 'список литературы', 'библиографический список', 'источники и литература')"
 Q["fix_headings"] = (
     lambda spark, d: X.fixed_headings(fixture(spark, "fx_sections")),
     f"WITH {values('fx_sections')}, t AS (SELECT *, regexp_replace(trim(title), '\\.+$', '') AS x FROM fx_sections) SELECT doc_id, ord, section_id, CASE WHEN lower(x) IN {_ST} THEN upper(x) ELSE x END AS title, CASE WHEN lower(x) IN {_ST} THEN '' ELSE number END AS number FROM t",
 )
 Q["fix_formulas"] = (
     lambda spark, d: X.formula_numbers(fixture(spark, "fx_formulas")),
-    "SELECT * FROM (VALUES ('d1', 1, '1', 'y = kx + b (1)'), ('d1', 2, '2', 'z = x (2)'), ('d1', 3, '3', 'w = q + r (3)'), ('d1', 4, '4', 'u = v (4)'), ('d6', 1, '1', 'a = b (1)'), ('d6', 2, 'А.1', 'c = d (А.1)'), ('d6', 3, 'А.2', 'e = f (А.2)')) AS v(doc_id, ord, number, text)",
+    "SELECT * FROM (VALUES ('d1', 1, '1', 'y = kx + b (1)'), ('d1', 2, '2', 'z = x (2)'), ('d1', 3, '3', 'w = q + r (3)'), ('d1', 4, '4', 'u = v (4)'), ('d4', 1, '1', 'a = b + (1)'), ('d4', 2, '2', 'a = b + (2)'), ('d4', 3, '3', 'q = r (3)'), ('d4', 4, '4', 's = t (4)'), ('d4', 5, '5', 's = t * (5)'), ('d6', 1, '1', 'a = b (1)'), ('d6', 2, 'А.1', 'c = d (А.1)'), ('d6', 3, 'А.2', 'e = f (А.2)')) AS v(doc_id, ord, number, text)",
 )
 Q["fix_texts"] = (
     lambda spark, d: spark.createDataFrame([(1, "где: x - число"), (2, "1. пункт"), (3, "• пункт"), (4, "а. пункт"), (5, "текст")], "i int, t string").select("i", X.marker_fixed(X.where_fixed(F.col("t"))).alias("t")),
@@ -273,3 +363,25 @@ Q["docx_lines"] = (
     f"""WITH {values('fx_sections', 'fx_paragraphs')}, x AS (SELECT doc_id, ord AS s, 0 AS p, trim(CASE WHEN number <> '' THEN number || ' ' ELSE '' END || title) AS text FROM fx_sections UNION ALL SELECT p.doc_id, s.ord, p.ord, p.text FROM fx_paragraphs p JOIN fx_sections s ON s.doc_id = p.doc_id AND s.section_id = p.section_id)
     SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s, p) AS INTEGER) AS line, md5(text) AS h FROM x WHERE text <> ''""",
 )
+
+
+def _issues(spark):
+    return spark.createDataFrame([("d2", 1, "missing_required_section", "Нет раздела «Введение»"), ("d2", 2, "missing_required_section", "Нет раздела «Метод»"), ("d2", 3, "missing_references_section", None), ("d1", 1, "missing_references_section", None), ("d1", 2, "missing_table_reference", None), ("d1", 3, "missing_figure_reference", None), ("d4", 1, "missing_appendix_reference", None)], "doc_id string, ord int, subtype string, evidence string")
+
+
+Q["fix_added_sections"] = (
+    lambda spark, d: X.sections_to_add(_issues(spark), fixture(spark, "fx_sections")),
+    "SELECT * FROM (VALUES ('d2', 1, '3', 'Метод', 'Заполните содержимое раздела.'), ('d2', 2, '4', 'СПИСОК ИСПОЛЬЗОВАННЫХ ИСТОЧНИКОВ', '1. Добавьте используемые источники.')) AS v(doc_id, n, number, title, text)",
+)
+Q["fix_completed_sections"] = (
+    lambda spark, d: X.completed(_issues(spark), *_fx(spark, "fx_sections", "fx_paragraphs"))[0].where("doc_id in ('d1', 'd2', 'd4') and (ord = 1 or ord > 6)").select("doc_id", "ord", "section_id", "number", F.md5(F.col("text").cast("binary")).alias("h")),
+    "SELECT doc_id, ord, section_id, number, md5(text) AS h FROM " + _values([("d1", 1, "s1", "1", "Цель работы. На рисунке 1 показана схема.\n\nНа рисунке 1 представлена ключевая схема решения.\n\nВ таблице 1 приведены основные сравнительные показатели."), ("d2", 1, "a", "2", ""), ("d2", 7, "sec_auto_7", "3", "Заполните содержимое раздела."), ("d2", 8, "sec_auto_8", "4", "1. Добавьте используемые источники."), ("d4", 1, "x", "", "Дополнительные материалы приведены в приложении А.")], "doc_id, ord, section_id, number, text"),
+)
+Q["fix_completed_paragraphs"] = (
+    lambda spark, d: X.completed(_issues(spark), *_fx(spark, "fx_sections", "fx_paragraphs"))[1].where("paragraph_id like 'p_auto%'").select("doc_id", "ord", "paragraph_id", "section_id", "paragraph_index"),
+    "SELECT * FROM (VALUES ('d1', 10, 'p_auto_10', 's1', 10), ('d1', 11, 'p_auto_11', 's1', 11), ('d2', 4, 'p_auto_4', 'sec_auto_7', 4), ('d2', 5, 'p_auto_5', 'sec_auto_8', 5), ('d4', 1, 'p_auto_1', 'x', 1)) AS v(doc_id, ord, paragraph_id, section_id, paragraph_index)",
+)
+Q["fix_missing_captions"] = (
+    lambda spark, d: X.missing_captions(fixture(spark, "fx_tables"), X.table_captions(*_fx(spark, "fx_tables", "fx_table_layout"))),
+    "SELECT 'd2' AS doc_id, 1 AS n, 'Таблица 1 - Сравнение показателей 1' AS caption",
+)

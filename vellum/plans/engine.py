@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import fix, formatting, graph, parse, report, retrieve, standards, structure, style, vectors
 from ..sources import docx
+from ..sources.scratch import written
 
 ISSUES = ["doc_id", "ord", "issue_id", "type", "subtype", "severity", "message", "section_id", "paragraph_id", "paragraph_index", "page", "evidence", "rule_id", "quote", "suggestion", "agent"]
 KINDS = {"ord": "int", "paragraph_index": "int", "page": "int"}
@@ -22,13 +23,18 @@ def as_issues(df: DataFrame, kind: str, agent: str) -> DataFrame:
     """Any check's rows in the columns that merging and reporting use."""
     if "item_ord" in df.columns:
         df = df.withColumnRenamed("item_ord", "ord")
-    df = df.withColumn("type", F.lit(kind)).withColumn("agent", F.lit(agent)).withColumn("message", F.col("subtype")).withColumn("rule_id", F.concat(F.lit(kind + "_"), "subtype"))
+    own = F.concat(F.lit(kind + "_"), "subtype")
+    rule = F.coalesce("rule_id", own) if "rule_id" in df.columns else own
+    df = df.withColumn("type", F.lit(kind)).withColumn("agent", F.lit(agent)).withColumn("message", F.col("subtype")).withColumn("rule_id", rule)
     return df.select(*(F.col(c).cast(KINDS.get(c, "string")).alias(c) if c in df.columns else F.lit(None).cast(KINDS.get(c, "string")).alias(c) for c in ISSUES))
 
 
 @dataclass
 class Corpus:
-    """The relations of a set of documents; layout relations may be missing."""
+    """The relations of a set of documents; layout relations may be missing.
+
+    With rules (of one or more standards) docs have a standard_id, and formatting issues name the rules they break.
+    """
 
     docs: DataFrame
     sections: DataFrame
@@ -36,6 +42,7 @@ class Corpus:
     figures: DataFrame
     tables: DataFrame
     more: dict[str, DataFrame] = field(default_factory=dict)
+    rules: DataFrame | None = None
 
 
 def parse_texts(raw: DataFrame) -> Corpus:
@@ -49,13 +56,16 @@ AGENTS = ("structure_agent", "rag_agent", "style_agent", "logic_agent")
 
 
 def run_agents(c: Corpus) -> tuple[DataFrame, DataFrame]:
-    """(issues, agent_status): every agent in order; one whose plan can't be built is reported as failed, the others go on."""
+    """(issues, agent_status): every agent in order; one that fails, be it while it runs, is reported as failed, the others go on.
+
+    Each agent's issues are written to the shared folder: a failure stays with its agent, and plans stay small.
+    """
     def structure_issues():
         return as_issues(structure.check_structure(c.docs, c.sections, c.paragraphs), "structure", "structure_agent")
 
     def rag_issues():
         more = [c.more[k] if k in c.more else formatting.no_layout(c.docs, k) for k in formatting.LAYOUT]
-        return as_issues(formatting.check_formatting(c.docs, c.sections, c.paragraphs, c.figures, c.tables, *more), "formatting", "rag_agent")
+        return as_issues(formatting.check_formatting(c.docs, c.sections, c.paragraphs, c.figures, c.tables, *more, rules=c.rules), "formatting", "rag_agent")
 
     def style_issues():
         return as_issues(style.check_style(c.sections, c.paragraphs), "style", "style_agent")
@@ -63,16 +73,19 @@ def run_agents(c: Corpus) -> tuple[DataFrame, DataFrame]:
     def logic_issues():
         return as_issues(style.check_logic(c.docs), "logic", "logic_agent")
 
-    spark, out, status = c.docs.sparkSession, None, []
+    out, status = None, []
     for rank, (agent, run) in enumerate(zip(AGENTS, (structure_issues, rag_issues, style_issues, logic_issues), strict=True)):
         try:
-            got = run().withColumn("ord", F.coalesce("ord", F.lit(0)) + rank * 100_000_000)
+            got = written(run().withColumn("ord", F.coalesce("ord", F.lit(0)) + rank * 100_000_000), agent)
         except Exception as why:
-            status.append((agent, str(why)))
+            status.append((agent, str(why).split("\n")[0]))
             continue
         status.append((agent, None))
         out = got if out is None else out.unionByName(got)
-    agents = c.docs.select("doc_id").crossJoin(F.broadcast(spark.createDataFrame(status, "agent string, error string")))  # four rows
+    if out is None:
+        out = as_issues(style.check_logic(c.docs), "logic", "logic_agent").where(F.lit(False))
+    four = F.array(*(F.struct(F.lit(a).alias("agent"), F.lit(e).cast("string").alias("error")) for a, e in status))
+    agents = c.docs.select("doc_id", F.explode(four).alias("s")).select("doc_id", "s.agent", "s.error")
     return out, agents
 
 
@@ -91,8 +104,8 @@ def ingest_standard(lines: DataFrame) -> dict[str, DataFrame]:
     b = standards.clean_blocks(lines)
     p = standards.parse_blocks(b)
     r = standards.rules(p)
-    s = p.where("kind = 'section'").select("standard_id", "section_id", "title", F.col("block").alias("ord"))
-    e = graph.chain(s, [], ["ord"], "section_id", "follows").unionByName(graph.membership(r)).unionByName(graph.rule_chains(r)).unionByName(graph.links(r)).unionByName(graph.prerequisites(r))
+    s = standards.sections(p)
+    e = graph.follows(s).unionByName(graph.membership(r)).unionByName(graph.rule_chains(r)).unionByName(graph.links(r)).unionByName(graph.prerequisites(r))
     return {"blocks": b, "parsed": p, "rules": r, "nodes": graph.nodes(r, s), "edges": e}
 
 
@@ -104,6 +117,22 @@ def build_index(texts: DataFrame, key: str, config: retrieve.Config = retrieve.C
     return {"vectors": vectors.embedded(texts, key, provider), "entities": e, "registry": reg, "bridges": b, "facts": retrieve.bridge_facts(retrieve.bridge_candidates(b, e, key, config), texts, key)}
 
 
+def save_standard(artifacts: DataFrame | dict[str, DataFrame], root: str) -> None:
+    """The artifacts of ingest_standard() as Parquet below root, a folder for each stage, by standard_id."""
+    for stage, df in artifacts.items():
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("standard_id").parquet(f"{root}/{stage}")
+
+
+def load_standard(spark, root: str, standard_id: str | None = None) -> dict[str, DataFrame]:
+    """What save_standard() wrote, of one standard or of all; one that isn't there is an error."""
+    out = {stage: spark.read.parquet(f"{root}/{stage}") for stage in ("blocks", "parsed", "rules", "nodes", "edges")}
+    if standard_id is not None:
+        out = {k: df.where(F.col("standard_id") == standard_id) for k, df in out.items()}
+        if not out["parsed"].head(1):
+            raise FileNotFoundError(f"no parsed standard {standard_id}")
+    return out
+
+
 def ask(queries: DataFrame, vecs: DataFrame, nodes: DataFrame, edges: DataFrame, config: retrieve.Config = retrieve.Config(), provider=vectors.hash_embedding) -> DataFrame:
     """Context rows for a batch of (query_id, query): vector search, then weighted expansion."""
     q = vectors.embedded(queries.select("query_id", F.col("query").alias("text")), "query_id", provider)
@@ -111,15 +140,40 @@ def ask(queries: DataFrame, vecs: DataFrame, nodes: DataFrame, edges: DataFrame,
     return retrieve.retrieve(queries, hits, nodes, edges, config)
 
 
+def ask_bridged(queries: DataFrame, vecs: DataFrame, nodes: DataFrame, edges: DataFrame, facts: DataFrame, config: retrieve.Config = retrieve.Config(), provider=vectors.hash_embedding) -> dict[str, DataFrame]:
+    """What a model is asked for each question, and the sources of the answer: one pass over nodes, facts and bridging facts.
+
+    vecs: (id, embedding, entry_type) of nodes and facts; facts: (id, entity, content, entry_type, sources).
+    """
+    q = vectors.embedded(queries.select("query_id", F.col("query").alias("text")), "query_id", provider)
+    hits = vectors.top_k(q, vecs, 2 * config.k).join(vecs.select("id", "entry_type"), "id")
+    items = retrieve.context_items(retrieve.retrieve_bridged(queries, hits, nodes, edges, config), nodes, facts)
+    items = written(items, "context")
+    return {"items": items, "prompts": retrieve.prompts(queries, retrieve.context_text(items, config.context_items)), "sources": retrieve.answer_sources(items), "bridges": retrieve.bridge_sources(items)}
+
+
 def index_statistics(index: dict[str, DataFrame]) -> DataFrame:
     parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("relation"), "n") for name, df in index.items()]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def corrected_files(c: Corpus, fixes: DataFrame) -> DataFrame:
-    """(doc_id, content): new files of the documents after text fixes, renumbering and heading fixes."""
+def corrected(c: Corpus, fixes: DataFrame, issues: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(sections, paragraphs) after text fixes, renumbering, heading fixes and, with issues, what they ask to add."""
     text = fix.apply_replacements(c.paragraphs.select("doc_id", F.col("paragraph_id").alias("target"), "text"), fixes)
-    p = c.paragraphs.drop("text").join(text.withColumnRenamed("target", "paragraph_id"), ["doc_id", "paragraph_id"])
+    p = c.paragraphs.drop("text").join(text.withColumnRenamed("target", "paragraph_id"), ["doc_id", "paragraph_id"]).select(c.paragraphs.columns)
     h = fix.fixed_headings(c.sections).select("doc_id", "section_id", "title")
-    n = fix.renumbered(c.sections).select("doc_id", "section_id", "ord", "number")
-    return docx.written(fix.docx_lines(n.join(h, ["doc_id", "section_id"]), p))
+    n = fix.renumbered(c.sections).select("doc_id", "section_id", "number", "level")
+    s = c.sections.drop("title", "number", "level").join(h, ["doc_id", "section_id"]).join(n, ["doc_id", "section_id"]).select(c.sections.columns)
+    return (s, p) if issues is None else fix.completed(issues, s, p)
+
+
+def corrected_files(c: Corpus, fixes: DataFrame, issues: DataFrame | None = None) -> DataFrame:
+    """(doc_id, content): new files of the corrected documents; captions that were missing are lines at the end."""
+    s, p = corrected(c, fixes, issues)
+    lines = fix.docx_lines(s, p)
+    if issues is not None:
+        layout = c.more["table_layout"] if "table_layout" in c.more else formatting.no_layout(c.docs, "table_layout")
+        late = fix.missing_captions(c.tables, fix.table_captions(c.tables, layout))
+        last = lines.groupBy("doc_id").agg(F.max("line").alias("last"))
+        lines = lines.unionByName(late.join(last, "doc_id", "left").select("doc_id", (F.coalesce("last", F.lit(0)) + F.col("n")).cast("int").alias("line"), F.col("caption").alias("text")))
+    return docx.written(lines)

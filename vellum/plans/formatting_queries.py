@@ -25,11 +25,19 @@ def _sql(with_: str, base: str, checks: list[tuple[str, str]]) -> str:
 
 
 def _absent_items(spark, d):
-    """Items that no document holds: the documents stream past the items, which are few."""
-    items = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.col("text").alias("f"))
+    """Items that no document holds: items meet the documents that share their first words' place, and are compared there."""
+    items = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.col("text").alias("f")).withColumn("key", F.substring("f", 1, SEED))
     docs = spark.read.parquet(f"{d}/documents.parquet").select("text")
-    held = docs.join(F.broadcast(items), F.contains("text", "f")).select("item_id").distinct()
-    return items.join(held, "item_id", "left_anti").select("item_id")
+    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1))), lambda i: F.substr(F.col("text"), i, F.lit(SEED)))
+    keys = items.select("key").distinct()
+    # texts that hold an item's seed, by the seed: a text is carried only where a seed is found
+    seeded = docs.select("text", F.explode(starts).alias("key")).join(keys, "key").dropDuplicates(["key", "text"])
+    held = seeded.join(items, "key").where(F.contains("text", "f")).select("item_id").distinct()
+    return items.select("item_id").join(held, "item_id", "left_anti")
+
+
+#: Characters of an item that a text's places are joined by.
+SEED = 24
 
 
 _T = "trim(coalesce({0}, ''))"
@@ -38,10 +46,10 @@ _FOLD = "trim(regexp_replace(replace(lower(coalesce({0}, '')), 'ё', 'е'), '\\s
 Q["figure_checks"] = (
     lambda spark, d: _three(K.figures(*_fx(spark, "fx_figures", "fx_para_layout"))),
     _sql(values("fx_figures", "fx_para_layout"), "SELECT f.*, alignment, trim(coalesce(caption, '')) AS c FROM fx_figures f LEFT JOIN fx_para_layout l ON f.doc_id = l.doc_id AND f.paragraph_index = l.paragraph_index", [
-        ("missing_figure_caption", "c = ''"), ("invalid_figure_caption_format", r"c <> '' AND NOT regexp_matches(c, '(?i)^рисунок\s+(\d+(\.\d+)*)\s*[-—–]\s*\S.*$')"), ("figure_caption_trailing_period", "c <> '' AND ends_with(c, '.')"), ("figure_caption_not_centered", "c <> '' AND alignment <> 'center'"),
+        ("missing_figure_caption", "c = ''"), ("invalid_figure_caption_format", r"c <> '' AND NOT (starts_with(lower(c), 'рисунок') AND regexp_matches(c, ' [-—–] ') AND regexp_matches(c, '(?i)^рисунок\s*\d+(\.\d+)*\s*[-—–]?\s*.*[^ .—–-]'))"), ("figure_caption_trailing_period", "c <> '' AND ends_with(c, '.')"), ("figure_caption_not_centered", "c <> '' AND alignment <> 'center'"),
     ]),
 )
-_NUM = r"regexp_extract(caption, '(?i)^рис(?:унок|\.)?\s*(\d+(?:\.\d+)*)', 1)"
+_NUM = r"regexp_extract(caption, '(\d+(?:\.\d+)*)', 1)"
 Q["figure_numbering"] = (
     lambda spark, d: K.figure_numbering(fixture(spark, "fx_figures")).select("doc_id", "ord", "number"),
     f"""WITH {values("fx_figures")}, n AS (SELECT doc_id, ord, {_NUM} AS number FROM fx_figures WHERE {_NUM} <> ''),
@@ -51,25 +59,29 @@ Q["figure_numbering"] = (
     SELECT doc_id, ord, number FROM c WHERE copy > 1 UNION ALL SELECT doc_id, ord, number FROM g WHERE number <> CAST(coalesce(lastn, 0) + i - coalesce(lasti, 0) AS VARCHAR)""",
 )
 Q["figure_reference_before"] = (
-    lambda spark, d: _three(K.figure_references(*_fx(spark, "fx_figures", "fx_paragraphs"))),
-    f"""WITH {values("fx_figures", "fx_paragraphs")}, f AS (SELECT *, {_NUM} AS number FROM fx_figures WHERE {_NUM} <> '')
-    SELECT doc_id, ord, 'missing_figure_reference' AS subtype FROM f WHERE NOT EXISTS (SELECT 1 FROM fx_paragraphs p WHERE p.doc_id = f.doc_id AND (f.paragraph_index IS NULL OR p.paragraph_index < f.paragraph_index)
-      AND contains(lower(p.text), 'рис') AND regexp_matches(p.text, '(^|[^\\d.])' || replace(number, '.', '\\.') || '($|[^\\d])'))""",
+    lambda spark, d: _three(K.figure_references(*_fx(spark, "fx_figures", "fx_sections", "fx_paragraphs"))),
+    f"""WITH {values("fx_figures", "fx_sections", "fx_paragraphs")}, f AS (SELECT *, {_NUM} AS number FROM fx_figures WHERE trim(coalesce(caption, '')) <> ''),
+    before AS (SELECT f.doc_id, f.ord, string_agg(lower(p.text), ' ' ORDER BY p.ord) AS t FROM f JOIN fx_paragraphs p ON p.doc_id = f.doc_id AND p.paragraph_index < f.paragraph_index GROUP BY ALL),
+    whole AS (SELECT doc_id, string_agg(lower(text), ' ') AS t FROM (SELECT doc_id, text FROM fx_paragraphs UNION ALL SELECT doc_id, text FROM fx_sections) GROUP BY doc_id)
+    SELECT doc_id, ord, 'missing_figure_reference' AS subtype FROM f LEFT JOIN before USING (doc_id, ord) WHERE paragraph_index IS NOT NULL AND NOT coalesce(contains(t, 'рис') AND (number = '' OR contains(t, number)), false)
+    UNION ALL SELECT doc_id, ord, 'missing_figure_reference' FROM f LEFT JOIN whole USING (doc_id) WHERE paragraph_index IS NULL AND NOT coalesce(contains(t, 'рисунок') OR (length(caption) >= 8 AND contains(t, lower(trim(caption)))) OR (contains(lower(caption), 'таблица') AND contains(t, 'таблица')) OR (contains(lower(caption), 'приложение') AND contains(t, 'приложение')), false)""",
 )
 Q["table_checks"] = (
     lambda spark, d: _three(K.tables(*_fx(spark, "fx_tables", "fx_table_layout"))),
     _sql(values("fx_tables", "fx_table_layout"), """SELECT t.*, trim(coalesce(caption, '')) AS c, coalesce(a.caption_position, b.caption_position) AS pos, CASE WHEN a.doc_id IS NOT NULL THEN a.header_text ELSE b.header_text END AS head,
       CASE WHEN a.doc_id IS NOT NULL THEN a.header_alignment ELSE b.header_alignment END AS mid, CASE WHEN a.doc_id IS NOT NULL THEN a.appendix_letter ELSE b.appendix_letter END AS letter
       FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS i FROM fx_tables) t LEFT JOIN fx_table_layout a ON a.doc_id = t.doc_id AND a.caption_paragraph_index = t.paragraph_index LEFT JOIN fx_table_layout b ON b.doc_id = t.doc_id AND b.table_index = t.i""", [
-        ("missing_table_caption", "c = ''"), ("invalid_table_caption_format", r"c <> '' AND NOT regexp_matches(c, '(?i)^таблица\s+([А-ЯЁA-Z]\.)?\d+(\.\d+)*\s*[-—–]\s*\S.*$')"), ("table_caption_below_table", "c <> '' AND pos = 'below'"), ("invalid_table_header_punctuation", "c <> '' AND ends_with(head, '.')"),
-        ("table_header_alignment", "c <> '' AND mid <> 'center'"), ("appendix_table_caption_format", r"c <> '' AND letter IS NOT NULL AND NOT regexp_matches(c, '(?i)^таблица\s+' || letter || '\.\d+')"),
+        ("missing_table_caption", "c = ''"), ("invalid_table_caption_format", r"c <> '' AND NOT (regexp_matches(c, ' [-—–] ') AND regexp_matches(c, '^Таблица\s+([А-ЯЁA-Z]\.)?\d+(\.\d+)*\s*[-—–]\s*.*[^ .—–-]'))"), ("table_caption_below_table", "c <> '' AND pos = 'below'"), ("invalid_table_header_punctuation", "c <> '' AND ends_with(head, '.')"),
+        ("table_header_alignment", "c <> '' AND mid <> 'center'"), ("appendix_table_caption_format", r"c <> '' AND letter IS NOT NULL AND NOT regexp_matches(c, '(?i)^таблица\s+' || letter || '\.\d+\s*[—–-]\s*.+$')"),
     ]),
 )
 Q["formula_checks"] = (
     lambda spark, d: _three(K.formulas(fixture(spark, "fx_formulas"))),
     _sql(values("fx_formulas"), """SELECT f.*, coalesce(equation_number, '') AS num, lower(trim(coalesce(next_text, ''))) AS nxt, CASE WHEN equation_number IS NOT NULL AND appendix_letter IS NOT NULL THEN appendix_letter || '.' || sum(CASE WHEN equation_number IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, appendix_letter ORDER BY ord) END AS want FROM fx_formulas f""", [
-        ("formula_not_standalone", "NOT is_standalone"), ("formula_not_centered", "is_standalone AND alignment <> 'center'"), ("formula_missing_blank_lines", "NOT (prev_blank AND next_blank)"), ("formula_number_format_error", "num = '' AND raw_equation_number IS NOT NULL"),
-        ("missing_formula_number", "num = '' AND raw_equation_number IS NULL"), ("appendix_formula_numbering_error", "want IS NOT NULL AND num <> want"), ("formula_where_colon", "starts_with(nxt, 'где:')"), ("formula_explanation_format_error", r"starts_with(nxt, 'где') AND NOT regexp_matches(nxt, '^где:?\s+\S{1,12}\s+[-—–]\s+\S')"), ("formula_break_invalid", r"regexp_matches(trim(text), '[=+*/×-]\s*$')"),
+        ("formula_not_standalone", "NOT coalesce(is_standalone, false)"), ("formula_not_centered", "coalesce(alignment, '') <> 'center'"), ("formula_missing_blank_lines", "NOT (prev_blank AND (next_blank OR starts_with(nxt, 'где')))"), ("formula_number_format_error", "num = '' AND raw_equation_number IS NOT NULL"),
+        ("missing_formula_number", "num = '' AND raw_equation_number IS NULL"), ("appendix_formula_numbering_error", "want IS NOT NULL AND num <> want"), ("formula_where_colon", "starts_with(trim(next_text), 'где:')"),
+        ("formula_explanation_format_error", r"NOT starts_with(nxt, 'где') AND regexp_matches(trim(next_text), '^[A-Za-zА-Яа-яЁё][A-Za-zА-Яа-яЁё0-9_]*\s*[—–-]\s*.+$')"),
+        ("formula_break_invalid", r"regexp_matches(trim(text), '[=+*/-]\s*$') AND nxt <> '' AND NOT starts_with(nxt, 'где') AND NOT starts_with(nxt, right(trim(text), 1))"),
     ]),
 )
 Q["formula_numbering"] = (
@@ -89,15 +101,24 @@ Q["missing_contents"] = (
     f"""WITH {values("fx_docs", "fx_sections", "fx_paragraphs", "fx_para_layout")}, pool AS (SELECT doc_id, title AS t FROM fx_sections UNION ALL SELECT doc_id, text FROM fx_paragraphs UNION ALL SELECT doc_id, text FROM fx_para_layout QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY paragraph_index) <= 40)
     SELECT doc_id, 'missing_contents_section' AS subtype FROM fx_docs d WHERE NOT EXISTS (SELECT 1 FROM pool WHERE pool.doc_id = d.doc_id AND (contains(lower(t), 'содержание') OR contains(lower(t), 'оглавление')))""",
 )
+_TITLE = f"""{values("fx_docs", "fx_para_layout")}, l AS (SELECT *, lower(text) AS t, coalesce(alignment, '') AS al FROM fx_para_layout QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY paragraph_index) <= 30),
+    g AS (SELECT doc_id, count(*) AS lines, count(*) FILTER (al = 'center') AS centred, count(*) FILTER (al = 'right') AS righted,
+      max(CAST(regexp_matches(t, 'министерство|университет|институт|академия|кафедра|факультет|колледж') AS INTEGER)) AS org,
+      max(CAST(regexp_matches(t, 'отчет|пояснительная записка|курсовая работа|дипломная работа|выпускная квалификационная работа|лабораторная работа|проект') AS INTEGER)) AS kind,
+      max(CAST(regexp_matches(t, 'выполнил|проверил|руководитель|нормоконтроль|студент|группа') AS INTEGER)) AS signed,
+      max(CAST(al = 'center' AND regexp_matches(t, 'отчет|тема|работа|проект') AS INTEGER)) AS mid,
+      max(CAST(al = 'right' AND regexp_matches(t, 'выполнил|проверил|руководитель|нормоконтроль|студент|группа') AS INTEGER)) AS side,
+      max(CAST(regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}_])(19|20)\\d\\d($|[^\\p{{L}}\\p{{N}}_])') AS INTEGER)) AS year,
+      max(CAST(contains(t, 'отчет') AS INTEGER)) + max(CAST(contains(t, 'тема') AS INTEGER)) + max(CAST(contains(t, 'выполнил') AS INTEGER)) + max(CAST(contains(t, 'проверил') AS INTEGER)) + max(CAST(contains(t, 'руководитель') AS INTEGER)) + max(CAST(contains(t, 'университет') AS INTEGER)) + max(CAST(contains(t, 'кафедра') AS INTEGER)) AS words
+      FROM l WHERE trim(text) <> '' GROUP BY doc_id),
+    title AS (SELECT doc_id FROM g WHERE (greatest(org, kind, signed) = 1 AND org + kind + signed + mid + side + year + CAST(words >= 4 AS INTEGER) >= 3) OR (lines >= 6 AND (centred >= 2 OR righted >= 1) AND greatest(org, kind, signed, year) = 1))"""
 Q["missing_title_page"] = (
     lambda spark, d: K.missing_title_page(*_fx(spark, "fx_docs", "fx_para_layout")).select("doc_id", "subtype"),
-    f"""WITH {values("fx_docs", "fx_para_layout")}, l AS (SELECT *, lower(text) AS t FROM fx_para_layout QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY paragraph_index) <= 30),
-    g AS (SELECT doc_id, max(CAST(regexp_matches(t, '(министерство|университет|институт|академия|кафедра)') AS INTEGER)) AS org, max(CAST(regexp_matches(t, '(отчет|отчёт|реферат|курсовая|дипломная|диссертация)') AS INTEGER)) AS kind, max(CAST(coalesce(alignment = 'center', false) AS INTEGER)) AS mid, max(CAST(regexp_matches(t, '(^|\\D)(19|20)\\d\\d(\\D|$)') AS INTEGER)) AS year FROM l WHERE trim(text) <> '' GROUP BY doc_id)
-    SELECT doc_id, 'missing_title_page' AS subtype FROM fx_docs d WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.doc_id = d.doc_id AND org + kind + mid + year >= 3 AND (org = 1 OR kind = 1))""",
+    f"WITH {_TITLE} SELECT doc_id, 'missing_title_page' AS subtype FROM fx_docs WHERE doc_id NOT IN (SELECT doc_id FROM title)",
 )
 Q["body_not_justified"] = (
     lambda spark, d: K.not_justified(fixture(spark, "fx_para_layout")).select("doc_id", "subtype"),
-    f"WITH {values('fx_para_layout')} SELECT doc_id, 'body_text_not_justified' AS subtype FROM fx_para_layout WHERE length(text) >= 80 AND coalesce(alignment, '') NOT IN ('center', 'right') GROUP BY doc_id HAVING count(*) FILTER (coalesce(alignment, '') <> 'justify') >= greatest(1, count(*) // 2)",
+    f"WITH {_TITLE} SELECT doc_id, 'body_text_not_justified' AS subtype FROM fx_para_layout WHERE doc_id IN (SELECT doc_id FROM title) AND length(text) >= 80 AND coalesce(alignment, '') NOT IN ('center', 'right') GROUP BY doc_id HAVING count(*) FILTER (coalesce(alignment, '') <> 'justify') >= greatest(3, count(*) // 2)",
 )
 Q["page_format"] = (
     lambda spark, d: _three(K.page_size(fixture(spark, "fx_page_layout"))),
@@ -121,54 +142,63 @@ Q["typography_first_offender"] = (
     SELECT doc_id, ord, subtype FROM x WHERE subtype IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, subtype ORDER BY ord) = 1""",
 )
 Q["enumerations"] = (
-    lambda spark, d: _three(K.enumerations(*_fx(spark, "fx_paragraphs", "fx_para_layout"))),
-    _sql(values('fx_paragraphs', 'fx_para_layout'), "SELECT p.*, trim(p.text) AS t, l.first_line_indent_mm AS ind, regexp_matches(trim(p.text), '^([•●▪*]|\\d+\\.\\s+[а-яё]|[а-яё]\\.)\\s*') AS wrong FROM fx_paragraphs p LEFT JOIN fx_para_layout l ON p.doc_id = l.doc_id AND p.paragraph_index = l.paragraph_index", [
-        ("invalid_enumeration_marker", "wrong"), ("enumeration_indent_invalid", r"NOT wrong AND regexp_matches(t, '^([-–—]\s|\d+\)|[а-яё]\))') AND abs(ind - 12.5) > 1.5")]),
+    lambda spark, d: _three(K.enumerations(*_fx(spark, "fx_paragraphs", "fx_para_layout", "fx_heading_layout"))),
+    _sql(values('fx_paragraphs', 'fx_para_layout', 'fx_heading_layout'), r"""SELECT p.*, trim(p.text) AS t, l.first_line_indent_mm AS ind, NOT regexp_matches(trim(p.text), '^\d+(\.\d+)*\.?\s+[А-ЯЁA-Z].+$') AS free, regexp_matches(trim(p.text), '^([•●▪*]|\d+\.|[A-Za-zА-Яа-яЁё]\.)\s+') AS marked
+      FROM fx_paragraphs p LEFT JOIN fx_para_layout l ON p.doc_id = l.doc_id AND p.paragraph_index = l.paragraph_index WHERE NOT EXISTS (SELECT 1 FROM fx_heading_layout h WHERE h.doc_id = p.doc_id AND h.paragraph_index = p.paragraph_index)""", [
+        ("invalid_enumeration_marker", "free AND marked"), ("enumeration_indent_invalid", r"free AND NOT marked AND regexp_matches(t, '(?i)^([-–—]|\d+\)|[а-яёa-z]\))\s+') AND abs(ind - 12.5) > 1.5")]),
 )
 _REF = "(contains(f, 'список использованных источников') OR contains(f, 'список литературы') OR contains(f, 'библиограф') OR contains(f, 'источники и литература'))"
 Q["reference_section"] = (
-    lambda spark, d: K.reference_section(*_fx(spark, "fx_docs", "fx_sections")).select("doc_id", "subtype"),
-    f"""WITH {values('fx_docs', 'fx_sections')}, s AS (SELECT doc_id, arg_min(coalesce(text, ''), ord) AS text FROM (SELECT *, lower(title) AS f FROM fx_sections) WHERE {_REF} GROUP BY doc_id)
-    SELECT d.doc_id, CASE WHEN s.doc_id IS NULL THEN 'missing_references_section' ELSE 'empty_references_section' END AS subtype FROM fx_docs d LEFT JOIN s USING (doc_id) WHERE s.doc_id IS NULL OR length(trim(s.text)) < 20""",
+    lambda spark, d: K.reference_section(*_fx(spark, "fx_docs", "fx_sections", "fx_paragraphs", "fx_para_layout")).select("doc_id", "subtype"),
+    f"""WITH {values('fx_docs', 'fx_sections', 'fx_paragraphs', 'fx_para_layout')}, s AS (SELECT doc_id, arg_min(coalesce(text, ''), ord) AS text FROM (SELECT *, lower(title) AS f FROM fx_sections) WHERE {_REF} GROUP BY doc_id),
+    said AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, lower(text) AS f FROM fx_paragraphs UNION ALL SELECT doc_id, lower(text) FROM fx_para_layout) WHERE {_REF})
+    SELECT d.doc_id, CASE WHEN s.doc_id IS NULL AND d.doc_id NOT IN (SELECT doc_id FROM said) THEN 'missing_references_section' ELSE 'empty_references_section' END AS subtype FROM fx_docs d LEFT JOIN s USING (doc_id) WHERE s.doc_id IS NULL OR length(trim(s.text)) < 20""",
 )
-_STRUCT = "f IN ('введение', 'заключение', 'содержание', 'оглавление', 'реферат', 'список использованных источников', 'список литературы', 'термины и определения')"
+_STRUCT = "f IN ('содержание', 'оглавление', 'реферат', 'список использованных источников', 'список литературы', 'библиографический список', 'источники и литература')"
 Q["headings"] = (
     lambda spark, d: _three(K.headings(*_fx(spark, "fx_sections", "fx_heading_layout"))),
     _sql(values('fx_sections', 'fx_heading_layout'), f"SELECT s.*, trim(title) AS t, {_FOLD.format('title')} AS f, l.alignment FROM fx_sections s LEFT JOIN fx_heading_layout l ON s.doc_id = l.doc_id AND s.section_id = l.section_id", [
         ("empty_section_heading", "t = ''"), ("heading_trailing_period", "ends_with(t, '.')"), ("appendix_heading_not_centered", "starts_with(f, 'приложение') AND alignment <> 'center'"), ("structural_heading_numbered", f"{_STRUCT} AND number <> ''"), ("structural_heading_not_uppercase", f"{_STRUCT} AND t <> upper(t)"),
-        ("structural_heading_not_centered", f"{_STRUCT} AND alignment <> 'center'"), ("main_heading_centered", f"NOT {_STRUCT} AND NOT starts_with(f, 'приложение') AND alignment = 'center'"), ("invalid_appendix_heading", "starts_with(f, 'приложение') AND NOT regexp_matches(lower(t), '^приложение(\\s+[а-яёa-z]([^\\p{L}]|$).*|\\s*[-–—]\\s*.+|\\s+.+)?$')"),
+        ("structural_heading_not_centered", f"{_STRUCT} AND alignment <> 'center'"), ("main_heading_centered", f"t <> '' AND NOT {_STRUCT} AND NOT starts_with(f, 'приложение') AND alignment = 'center'"), ("appendix_heading_single_line", "regexp_matches(f, '^приложение\\s+[а-яa-z](\\s*[-–—]\\s*\\S|\\s+\\S)')"), ("invalid_appendix_heading", "contains(f, 'прилож') AND NOT regexp_matches(lower(t), '^приложение(\\s+[а-яёa-z]([^\\p{L}]|$).*|\\s*[-–—]\\s*.+|\\s+.+)?$')"),
     ]),
 )
 Q["heading_layouts"] = (
     lambda spark, d: _three(K.heading_layouts(*_fx(spark, "fx_sections", "fx_heading_layout", "fx_para_layout"))),
     _sql(values('fx_sections', 'fx_heading_layout', 'fx_para_layout'), f"SELECT s.*, {_FOLD.format('title')} AS f, l.first_line_indent_mm AS ind, l.has_non_black_text AS color, l.text AS line FROM fx_sections s JOIN fx_heading_layout h ON s.doc_id = h.doc_id AND s.section_id = h.section_id JOIN fx_para_layout l ON l.doc_id = h.doc_id AND l.paragraph_index = h.paragraph_index", [
-        ("structural_heading_has_indent", f"{_STRUCT} AND abs(ind) > 0.5"), ("structural_heading_invalid_font_color", f"{_STRUCT} AND color"), ("main_heading_indent_invalid", f"NOT {_STRUCT} AND NOT starts_with(f, 'приложение') AND abs(ind - 12.5) > 1.5"), ("heading_invalid_font_color", f"NOT {_STRUCT} AND color"),
+        ("structural_heading_has_indent", f"{_STRUCT} AND abs(ind) > 0.5"), ("structural_heading_invalid_font_color", f"{_STRUCT} AND color"), ("main_heading_indent_invalid", f"f <> '' AND NOT {_STRUCT} AND NOT starts_with(f, 'приложение') AND coalesce(abs(ind - 12.5) > 1.5, true)"), ("heading_invalid_font_color", f"f <> '' AND NOT {_STRUCT} AND NOT starts_with(f, 'приложение') AND color"),
     ]),
 )
+_HAY = "hay AS (SELECT doc_id, string_agg(lower(text), ' ') AS t FROM (SELECT doc_id, text FROM fx_paragraphs UNION ALL SELECT doc_id, text FROM fx_sections) GROUP BY doc_id)"
 Q["appendix_references"] = (
     lambda spark, d: _three(K.appendix_references(*_fx(spark, "fx_sections", "fx_paragraphs"))),
-    f"""WITH {values('fx_sections', 'fx_paragraphs')}, a AS (SELECT *, regexp_extract(lower(title), '^приложение\\s+([а-яёa-z])([^\\p{{L}}]|$)', 1) AS letter FROM fx_sections WHERE starts_with(lower(title), 'приложение'))
-    SELECT doc_id, ord, 'missing_appendix_reference' AS subtype FROM a WHERE letter = '' OR NOT EXISTS (SELECT 1 FROM fx_paragraphs p WHERE p.doc_id = a.doc_id AND regexp_matches(lower(p.text), 'приложени\\p{{L}}*\\s+' || letter || '([^\\p{{L}}]|$)'))""",
+    f"""WITH {values('fx_sections', 'fx_paragraphs')}, {_HAY} SELECT doc_id, ord, 'missing_appendix_reference' AS subtype FROM fx_sections LEFT JOIN hay USING (doc_id)
+    WHERE contains(lower(title), 'прилож') AND NOT coalesce(contains(t, 'приложение') OR (length(title) >= 8 AND contains(t, lower(trim(title)))), false)""",
 )
 Q["missing_section_numbers"] = (
     lambda spark, d: _three(K.missing_numbers(fixture(spark, "fx_sections"))),
-    f"WITH {values('fx_sections')}, s AS (SELECT *, {_FOLD.format('title')} AS f, count(*) FILTER (number <> '') OVER (PARTITION BY doc_id, level) AS n FROM fx_sections) SELECT doc_id, ord, 'missing_section_number' AS subtype FROM s WHERE n >= 2 AND number = '' AND NOT {_STRUCT} AND NOT starts_with(f, 'приложение')",
+    f"WITH {values('fx_sections')}, s AS (SELECT *, {_FOLD.format('title')} AS f, count(*) FILTER (number <> '') OVER (PARTITION BY doc_id, level) AS n FROM fx_sections) SELECT doc_id, ord, 'missing_section_number' AS subtype FROM s WHERE n >= 2 AND number = '' AND NOT {_STRUCT}",
 )
 Q["fallback_location"] = (
     lambda spark, d: K.fallback_location(*_fx(spark, "fx_sections", "fx_paragraphs", "fx_docs")),
     f"WITH {values('fx_docs', 'fx_sections', 'fx_paragraphs')} SELECT d.doc_id, (SELECT arg_max(section_id, ord) FROM fx_sections s WHERE s.doc_id = d.doc_id) AS section_id, CASE WHEN NOT EXISTS (SELECT 1 FROM fx_sections s WHERE s.doc_id = d.doc_id) THEN (SELECT arg_max(paragraph_id, ord) FROM fx_paragraphs p WHERE p.doc_id = d.doc_id) END AS paragraph_id FROM fx_docs d",
 )
-_WANT = [("figure", "numbering"), ("figure", "alignment"), ("figure", "color"), ("table", "reference"), ("formula", "numbering"), ("page", "size")]
+_WANT = [("figure", "numbering"), ("figure", "placement"), ("figure", "color"), ("table", "reference_required"), ("formula", "numbering"), ("page", "size")]
 Q["rule_pick"] = (
-    lambda spark, d: K.rule_pick(fixture(spark, "fx_rules"), spark.createDataFrame(_WANT, "object_type string, constraint_type string")),
+    lambda spark, d: K.rule_pick(fixture(spark, "fx_rules"), spark.createDataFrame(_WANT, "object_type string, constraint_type string")).drop("standard_id"),
     f"""WITH {values('fx_rules')}, w AS (SELECT * FROM (VALUES {', '.join(map(str, _WANT))}) AS v(object_type, wanted))
     SELECT w.object_type, wanted AS constraint_type, rule_id, number, content[:280] AS quote FROM w JOIN fx_rules r ON r.object_type = w.object_type
     QUALIFY row_number() OVER (PARTITION BY w.object_type, wanted ORDER BY constraint_type = wanted DESC, list_transform(string_split(number, '.'), lambda x: CAST(x AS INTEGER)), ord) = 1""",
 )
 Q["unreferenced_tables"] = (
-    lambda spark, d: _three(K.unreferenced(fixture(spark, "fx_tables").withColumn("fragment", F.col("caption")), *_fx(spark, "fx_sections", "fx_paragraphs"), "missing_table_reference")),
-    f"""WITH {values('fx_tables', 'fx_sections', 'fx_paragraphs')}, hay AS (SELECT doc_id, {_FOLD.format('text')} AS t FROM fx_paragraphs UNION ALL SELECT doc_id, {_FOLD.format('text')} FROM fx_sections), i AS (SELECT *, {_FOLD.format('caption')} AS f FROM fx_tables)
-    SELECT doc_id, ord, 'missing_table_reference' AS subtype FROM i WHERE length(f) >= 8 AND NOT EXISTS (SELECT 1 FROM hay WHERE hay.doc_id = i.doc_id AND contains(hay.t, i.f))""",
+    lambda spark, d: _three(K.table_references(*_fx(spark, "fx_tables", "fx_sections", "fx_paragraphs"))),
+    f"""WITH {values('fx_tables', 'fx_sections', 'fx_paragraphs')}, {_HAY}
+    SELECT doc_id, ord, 'missing_table_reference' AS subtype FROM fx_tables LEFT JOIN hay USING (doc_id) WHERE trim(coalesce(caption, '')) <> ''
+      AND NOT coalesce(contains(t, 'таблица') OR (length(caption) >= 8 AND contains(t, lower(trim(caption)))), false)""",
+)
+Q["issue_rules"] = (
+    # the rule that each kind of issue names, by the standard's rules
+    lambda spark, d: K.rules_of_issues(fixture(spark, "fx_rules")).where("subtype in ('missing_figure_caption', 'figure_numbering_error', 'missing_table_reference', 'appendix_table_caption_format', 'missing_formula_number', 'missing_contents_section', 'invalid_page_size')").select("subtype", "rule_id"),
+    "SELECT * FROM (VALUES ('missing_figure_caption', 'r8'), ('figure_numbering_error', 'r1'), ('missing_table_reference', 'r9'), ('appendix_table_caption_format', 'r9'), ('missing_formula_number', 'r6')) AS v(subtype, rule_id)",
 )
 Q["benchmark_references"] = (
     # the same containment over the corpus: benchmark items whose text no document holds
