@@ -1,5 +1,7 @@
 """The whole jobs keep every issue apart and run every check."""
 
+from pyspark.sql import functions as F
+
 from vellum.fixtures import fixture
 from vellum.operators import report as R
 from vellum.plans import engine as E
@@ -52,3 +54,45 @@ def test_every_check_with_layout(spark):
     got = kept(E.Corpus(fx("docs"), fx("sections"), fx("paragraphs"), fx("figures"), fx("tables"), {k: fx(k) for k in names}))
     said = {x[1] for x in got}
     assert {"missing_formula_reference", "missing_appendix_reference", "main_heading_indent_invalid", "missing_table_reference"} <= said
+
+
+def test_issues_name_the_rules_of_their_standard(spark):
+    fx = lambda n: fixture(spark, "fx_" + n)
+    docs = fx("docs").selectExpr("*", "case when doc_id in ('d1', 'd6') then 'g' else 'other' end as standard_id")
+    c = E.Corpus(docs, fx("sections"), fx("paragraphs"), fx("figures"), fx("tables"), rules=fx("rules"))
+    got = R.merged(E.run_agents(c)[0]).where("type = 'formatting'").select("doc_id", "subtype", "rule_id", "quote").collect()
+    assert {x.rule_id for x in got if x.doc_id == "d1" and x.subtype == "missing_figure_caption"} == {"r8"}
+    assert {x.quote for x in got if x.doc_id == "d1" and x.subtype == "missing_figure_caption"} == {"Подпись обязательна, см. раздел 6"}
+    # a standard without rules leaves out what needs one, and names no rule
+    assert "missing_figure_reference" in {x.subtype for x in got if x.doc_id == "d6"}
+    other = [x for x in got if x.doc_id == "d5"]
+    assert other and all(x.quote is None for x in other) and "missing_figure_reference" not in {x.subtype for x in other}
+
+
+def test_an_agent_that_fails_while_it_runs(spark):
+    c = texts(spark, (1, "1 Раз\n\nкороче говоря, т"), (2, "текст"))
+    c.figures = c.figures.selectExpr("*", "raise_error('broken') as b").where("b is null or true").drop("b").withColumn("caption", F.when(F.raise_error(F.lit("broken")).isNull(), "x"))
+    rows = E.analyze(c).collect()
+    assert {x.status for x in rows} == {"partial_success"} and len(rows) == 2
+
+
+def test_the_fix_chain_adds_what_is_missing(spark):
+    from vellum.sources import docx
+
+    fx = lambda n: fixture(spark, "fx_" + n)
+    c = E.Corpus(fx("docs"), fx("sections"), fx("paragraphs"), fx("figures"), fx("tables"), {"table_layout": fx("table_layout")})
+    issues = spark.createDataFrame([("d2", 1, "missing_required_section", "Нет раздела «Метод»")], "doc_id string, ord int, subtype string, evidence string")
+    lines = [x.text for x in docx.read_facts(E.corrected_files(c, fx("fixes"), issues)).where("doc_id = 'd2'").orderBy("i").collect()]
+    assert "Заполните содержимое раздела." in lines and lines[-1] == "Таблица 1 - Сравнение показателей 1"
+
+
+def test_bridged_questions(spark):
+    fx = lambda n: fixture(spark, "fx_" + n)
+    facts = spark.createDataFrame([("bridge:x", "Икс", "рисунок связан с таблицей", "bridging_fact", "d1,d2")], "id string, entity string, content string, entry_type string, sources string")
+    entries = fx("nodes").selectExpr("id", "content as text", "type as entry_type").unionByName(facts.selectExpr("id", "content as text", "entry_type"))
+    vecs = E.vectors.embedded(entries, "id").join(entries.select("id", "entry_type"), "id").where("size(embedding) > 0")
+    got = E.ask_bridged(fx("queries"), vecs, fx("nodes"), fx("edges"), facts)
+    said = {x.query_id: x.prompt for x in got["prompts"].collect()}
+    assert set(said) == {1, 2, 3, 4} and "[RULE] Правило рисунков (number=1.1" in said[1] and "BRIDGING_FACT" in said[1]
+    assert {x.entity for x in got["bridges"].collect()} == {"Икс"}
+    assert all(x.content.endswith("...") for x in got["sources"].collect())

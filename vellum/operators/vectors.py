@@ -19,26 +19,98 @@ DIMENSION = 256
 QUERIES = 2048
 
 
-def hash_embedding(text: str, dim: int = DIMENSION) -> list[float]:
-    """Signed hashed words (two letters or more) and trigrams of longer words, weighted by length, of unit norm; [] without any."""
-    words = [w for w in re.findall(r"[^\W_]+", (text or "").lower().replace("ё", "е")) if len(w) >= 2]
-    grams = words + [w[i : i + 3] for w in words if len(w) >= 4 for i in range(len(w) - 2)]
-    v = np.zeros(dim)
-    h = lambda s: int.from_bytes(hashlib.blake2b(s.encode(), digest_size=8).digest(), "big")
-    for g in grams:
-        v[h(g) % dim] += (1 if h("sign::" + g) % 2 == 0 else -1) * (1 + min(len(g), 12) / 12)
-    n = float(np.linalg.norm(v))
-    return (v / n).tolist() if n else []
+class HashEmbedding:
+    """Signed hashed words (two letters or more) and trigrams of longer words, weighted by length, of unit norm; [] without any.
+
+    A word's buckets and weights are worked out once for each worker; a batch of texts is one count over (text, bucket).
+    """
+
+    WORD = re.compile(r"[^\W_]+")
+    #: Words that a worker remembers, and words of texts that are counted at once.
+    MEMO, STEP = 500_000, 200_000
+
+    def __init__(self, dim: int = DIMENSION):
+        self.dim = dim
+        self._clear()
+
+    def __reduce__(self):
+        return HashEmbedding, (self.dim,)
+
+    def _clear(self) -> None:
+        self.of: dict[str, int] = {}
+        self.bucket: list[int] = []
+        self.weight: list[float] = []
+        self.start = [0]
+
+    def _learn(self, word: str) -> int:
+        for g in [word] + ([word[i : i + 3] for i in range(len(word) - 2)] if len(word) >= 4 else []):
+            self.bucket.append(_hash(g) % self.dim)
+            self.weight.append((1 if _hash("sign::" + g) % 2 == 0 else -1) * (1 + min(len(g), 12) / 12))
+        self.start.append(len(self.bucket))
+        self.of[word] = len(self.start) - 2
+        return self.of[word]
+
+    def _sums(self, words: list[list[int]]) -> np.ndarray:
+        flat = np.fromiter((w for own in words for w in own), np.int64)
+        row = np.repeat(np.arange(len(words)), [len(own) for own in words])
+        start = np.array(self.start)
+        size = start[flat + 1] - start[flat]
+        at = np.repeat(start[flat] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        place = np.repeat(row, size) * self.dim + np.array(self.bucket, np.int64)[at]
+        return np.bincount(place, np.array(self.weight)[at], len(words) * self.dim).reshape(len(words), self.dim)
+
+    def batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The vectors of some texts; an empty one has none."""
+        out, own, total = [], [], 0
+
+        def settle() -> None:
+            nonlocal own, total
+            if own:
+                v = self._sums(own)
+                norm = np.linalg.norm(v, axis=1)
+                out.extend(x / n if n else np.zeros(0) for x, n in zip(v, norm, strict=True))
+            own, total = [], 0
+
+        for t in texts:
+            if len(self.of) > self.MEMO:
+                settle()
+                self._clear()
+            words = [w for w in self.WORD.findall((t or "").lower().replace("ё", "е")) if len(w) >= 2]
+            own.append([self.of[w] if w in self.of else self._learn(w) for w in words])
+            total += len(words)
+            if total >= self.STEP:
+                settle()
+        settle()
+        return out
+
+    def __call__(self, text: str) -> list[float]:
+        return self.batch([text])[0].tolist()
+
+
+def _hash(s: str) -> int:
+    return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
+
+
+hash_embedding = HashEmbedding()
 
 
 def embedded(texts: DataFrame, key: str, provider: Callable[[str], list[float]] = hash_embedding) -> DataFrame:
-    """(key, embedding): the provider's vector of the squeezed text, [] for blank text; one Arrow pass."""
+    """(key, embedding): the provider's vector of the squeezed text, [] for blank text; one Arrow pass.
+
+    A provider is a function of a text; one with a method batch(texts) is asked for a batch at once.
+    """
     kind = texts.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = [provider(t) if t else [] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(v, pa.list_(pa.float64()))], [key, "embedding"])
+            said = b.column(1).to_pylist()
+            if hasattr(provider, "batch"):
+                v = provider.batch(said)
+                flat = np.concatenate(v) if v else np.zeros(0)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in v])].astype(np.int32)), pa.array(flat, pa.float64()))
+            else:
+                lists = pa.array([provider(t) if t else [] for t in said], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], [key, "embedding"])
 
     return texts.select(key, squeeze("text").alias("text")).mapInArrow(run, f"{key} {kind}, embedding array<double>")
 
@@ -62,6 +134,27 @@ def add_documents(rows: DataFrame, collection: str, existing: DataFrame | None =
     return out if existing is None else out.join(existing.select("id"), "id", "left_anti")
 
 
+def save_collection(rows: DataFrame, path: str) -> None:
+    """Adds rows of a collection to the table at path."""
+    rows.write.mode("append").parquet(path)
+
+
+def load_collection(spark, path: str) -> DataFrame | None:
+    """The collection at path, by cosine like any other; None where there is none yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    return spark.read.parquet(path)
+
+
+def grown(rows: DataFrame, collection: str, path: str) -> DataFrame:
+    """The collection at path after the rows that it hasn't yet were added."""
+    spark = rows.sparkSession
+    new = add_documents(rows, collection, load_collection(spark, path)).dropDuplicates(["id"])
+    save_collection(new, path)
+    return spark.read.parquet(path)
+
+
 def aku_rows(akus: DataFrame) -> DataFrame:
     return akus.where(F.size("embedding") > 0).select("id", "content", "embedding", F.lit("aku").alias("entry_type"), "document_id", F.array_join("entities", ",").alias("entities"))
 

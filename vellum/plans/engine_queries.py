@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import fixture
+from ..fixtures import fixture, values
 from ..operators.fix import edit_plan
 from ..sources import docx
 from ..sources.loaders import uploads
+from ..operators import parse as P
+from ..operators import standards as N
+from ..operators import vectors as V
+from ..sources.loaders import concatenated, pdf_texts
+from ..sources.scratch import shared_dir
 from ..streaming.incremental import event_counts
 from . import engine as E
 
@@ -49,3 +54,60 @@ Q["event_windows"] = (
     lambda spark, d: event_counts(spark.read.parquet(f"{d}/events.parquet")).select("event_type", F.date_format("start", "yyyy-MM-dd").alias("day"), "n"),
     "SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY ALL",
 )
+
+
+def _folder(spark, name):
+    import uuid
+
+    return f"{shared_dir(spark).rstrip('/')}/vellum-{name}-{uuid.uuid4().hex}"
+
+
+def _stored(spark):
+    root = _folder(spark, "standards")
+    E.save_standard(E.ingest_standard(fixture(spark, "fx_lines")), root)
+    return E.load_standard(spark, root, "g")
+
+
+Q["standard_stored"] = (
+    lambda spark, d: _stored(spark)["rules"].select("standard_id", "rule_id", "number", "object_type"),
+    "SELECT * FROM (VALUES ('g', 'gost_rule_0', '2.1', 'figure'), ('g', 'gost_rule_1', '2.2', 'title_page')) AS v(standard_id, rule_id, number, object_type)",
+)
+Q["standard_registry"] = (
+    lambda spark, d: N.registry(spark.createDataFrame([("Généralités 5",), ("GOST 7.32-2017",), ("Свод",)], "name string")),
+    "SELECT * FROM (VALUES ('gost_7_32_2017', 'GOST 7.32-2017'), ('generalites_5', 'Généralités 5'), ('standard_' || md5('Свод')[:10], 'Свод')) AS v(standard_id, name)",
+)
+
+
+def _collected(spark, d):
+    """A collection that is added to twice: the second time half of the rows are there already."""
+    path = _folder(spark, "collection")
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("entity_id"), F.concat(F.lit("t"), "vec_id").alias("text"), "embedding")
+    V.grown(rows.where("cast(entity_id as long) % 2 = 0"), "c", path)
+    return V.grown(rows, "c", path)
+
+
+Q["vector_collection_grown"] = (lambda spark, d: _collected(spark, d).select("id"), "SELECT 'c:' || vec_id AS id FROM embeddings")
+
+
+def _pages(content: bytes) -> list[str]:
+    if not content.startswith(b"%PDF"):
+        raise ValueError("not a PDF")
+    return content.decode().split("|")[1:]
+
+
+Q["pdf_texts"] = (
+    lambda spark, d: pdf_texts(spark.createDataFrame([("a", b"%PDF|one|two"), ("b", b"plain"), ("c", b"%PDF")], "doc_id string, content binary"), _pages, lambda c: c.decode() if not c.startswith(b"%") else "").select("doc_id", "text", F.col("error").isNotNull().alias("failed")),
+    "SELECT * FROM (VALUES ('a', 'one' || chr(10) || chr(10) || 'two', false), ('b', 'plain', false), ('c', NULL, true)) AS v(doc_id, text, failed)",
+)
+Q["word_headings"] = (
+    lambda spark, d: P.word_headings(spark.createDataFrame([("d", 1, "Heading 1", "1.2 Метод"), ("d", 2, "Normal", "Введение"), ("d", 3, "Заголовок 2", "Без номера"), ("d", 4, None, "текст"), ("d", 5, "heading 3", " ")], "doc_id string, ord int, style string, text string")),
+    "SELECT * FROM (VALUES ('d', 1, 'sec_1_2', '1.2 Метод'), ('d', 2, 'sec_auto_1', 'Введение'), ('d', 3, 'sec_auto_2', 'Без номера')) AS v(doc_id, ord, section_id, title)",
+)
+Q["document_titles"] = (
+    lambda spark, d: P.document_title(spark.createDataFrame([("d1", "a/Отчет 1.docx"), ("d3", "x/--.txt"), ("d5", "Y.md")], "doc_id string, filename string"), fixture(spark, "fx_sections")),
+    "SELECT * FROM (VALUES ('d1', 'Введение', 'отчет_1'), ('d3', '--', 'document'), ('d5', 'ВВЕДЕНИЕ', 'y')) AS v(doc_id, title, document_id)",
+)
+Q["documents_concatenated"] = (
+    lambda spark, d: concatenated(_docs(spark, d).select("doc_id", "text", "source"), "source").select("source", F.md5(F.col("text").cast("binary")).alias("h")),
+    "SELECT source, md5(string_agg(text, chr(10) || chr(10) ORDER BY doc_id, text)) AS h FROM documents GROUP BY source",
+)

@@ -5,7 +5,7 @@ Each reader takes a path (or a folder) that Spark can open and returns (doc_id,
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import pyarrow as pa
@@ -81,17 +81,43 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
     return b.select("content", "source", "filename", "doc_id", "extension").mapInArrow(run, "text string, error string, source string, filename string, doc_id string, extension string")
 
 
-def read_pdf(spark: SparkSession, path: str, extract: Callable[[bytes], str] | None = None) -> DataFrame:
-    """Text of PDF files by an extractor of the caller's; no PDF library comes with the engine."""
-    if extract is None:
-        raise ValueError("reading PDF needs an extractor: extract(bytes) -> str")
-    b = binary(spark, path, "*.pdf")
+Extractor = Callable[[bytes], "list[str] | str"]
+
+
+def first_text(content: bytes, extractors: Sequence[Extractor]) -> tuple[str | None, str | None]:
+    """(text, error) by the first extractor that gives any text; pages are joined by a blank line."""
+    why = []
+    for extract in extractors:
+        try:
+            got = extract(content)
+            text = got if isinstance(got, str) else "\n\n".join(p for p in got if p and p.strip())
+        except Exception as e:
+            why.append(f"{type(e).__name__}: {e}")
+            continue
+        if text and text.strip():
+            return text, None
+        why.append("no text")
+    return None, "; ".join(why) or "no extractor"
+
+
+def pdf_texts(files: DataFrame, *extractors: Extractor) -> DataFrame:
+    """(text, error) of files (content and any other columns) by the caller's extractors, one after the other; no PDF library comes with the engine."""
+    other = [f for f in files.schema if f.name != "content"]
 
     def run(batches):
         for x in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([extract(c) for c in x.column(0).to_pylist()], pa.string()), *x.columns[1:]], ["text", "source", "filename", "doc_id", "extension"])
+            got = [first_text(c or b"", extractors) for c in x.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string()), *x.columns[1:]], ["text", "error", *(f.name for f in other)])
+
+    schema = ", ".join(["text string", "error string", *(f"`{f.name}` {f.dataType.simpleString()}" for f in other)])
+    return files.select("content", *(f.name for f in other)).mapInArrow(run, schema)
+
 
-    return b.select("content", "source", "filename", "doc_id", "extension").mapInArrow(run, "text string, source string, filename string, doc_id string, extension string")
+def read_pdf(spark: SparkSession, path: str, *extractors: Extractor) -> DataFrame:
+    """PDF files as rows with their text, or an error where no extractor finds any."""
+    if not extractors:
+        raise ValueError("reading PDF needs an extractor: extract(bytes) -> str or pages")
+    return pdf_texts(binary(spark, path, "*.pdf").select("content", "source", "filename", "doc_id", "extension"), *extractors)
 
 
 class Registry:
