@@ -276,9 +276,9 @@ def test_op6_learns_two_words_together():
         w, y = [r.choice(some).encode() for _ in range(80)], r.random() < 0.5
         if y:
             w[40:42] = [some[3].encode(), some[7].encode()]
-        sample.append((w, int(y)))
+        sample.append((b" ".join(w), int(y)))
     m = compression.fit(sample[:2000], [1000, 1000])
-    p = m.scores([b" ".join(w).decode() for w, _ in sample[2000:]])
+    p = m.scores([t.decode() for t, _ in sample[2000:]])
     assert np.mean((p >= 0.3) == [y == 1 for _, y in sample[2000:]]) > 0.95
 
 
@@ -438,6 +438,14 @@ def test_op9_elements_equal_the_tokenizer():
     got = [x.tolist() for x in own.encode(pa.array([*texts, None]))]
     plain = own.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
     assert got == [*(e.ids for e in plain), []]
+    long = "".join(r.choice(some) for _ in range(3000)) * 4
+    assert b"".join(packing.cut_at_spaces(long.encode(), 50)) == long.encode() and len(packing.cut_at_spaces(long.encode(), 50)) > 100
+    keep, packing.LONG, packing.AT_ONCE = (packing.LONG, packing.AT_ONCE), 1000, 300
+    try:
+        (got,) = own.encode(pa.array([long]))
+    finally:
+        packing.LONG, packing.AT_ONCE = keep
+    assert got.tolist() == own.tokenizer.encode(long, add_special_tokens=False).ids
     other = packing.Tokens(packing.vocabulary_path("byte_bpe_50k.json"))
     assert not other.known
     assert [x.tolist() for x in other.encode(pa.array(["a B", None]))] == [other.tokenizer.encode("a B", add_special_tokens=False).ids, []]

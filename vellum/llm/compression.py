@@ -7,10 +7,10 @@ resembles. A window without 5 or 8 bytes in a row that the toxic dictionary has
 shortened by the toxic one: its difference counts as 0 and isn't worked out. How many windows differ by at least each of
 THRESHOLDS bytes, and the largest differences, go through a calibrated logistic curve. Windows get a fixed run of padding, for zstandard stores very short input as it is.
 
-The ordinary dictionary learns from all windows of the ordinary sample. Toxic documents are mostly ordinary text, and a
-dictionary trained on all of theirs tells hardly anything (README), so the toxic one learns from the runs of one and of
+Toxic documents are mostly ordinary text, and a dictionary trained on all of theirs tells hardly anything (README), so the toxic one learns from the runs of one and of
 two neighbouring words whose document frequency in the two classes differs significantly by the log-likelihood ratio;
-near copies of a row count once. The toxic compressor has the ordinary dictionary in front of its own: toxic text is
+near copies of a row count once. The ordinary one learns from all windows of the ordinary sample but those with a run that
+is FOREIGN times as frequent in toxic rows. The toxic compressor has the ordinary dictionary in front of its own: toxic text is
 ordinary language too, and then only what is specific to it makes the lengths differ.
 
 Dictionaries and curve are fitted on at most PER_CLASS labelled rows of each class and SAMPLE_BYTES of their whole texts
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .anchors import M1, mix
 from .common import fit_logistic, held_out, labelled_sample, probability, table
 
-PER_CLASS, SAMPLE_BYTES = 4000, 24_000_000
+PER_CLASS, SAMPLE_BYTES = 4000, 12_000_000
 DICTIONARY = 16384
 WINDOW = 4
 #: Bytes that a compressor matches at least.
@@ -45,6 +45,8 @@ OWN = (5, 8)
 PAD = b" " * 64
 #: Bytes of difference that windows are counted by.
 THRESHOLDS = (2, 4, 6)
+#: A run that is so many times as frequent in toxic documents is a mistake of the labels in ordinary ones.
+FOREIGN = 10
 #: Largest differences that count by themselves.
 TOP = 3
 #: What stands at the end of a trained dictionary's tables, before its text: the usual repeated offsets 1, 4 and 8.
@@ -130,12 +132,17 @@ def dictionary(samples: list[bytes]) -> bytes:
     return made[at + len(OFFSETS) :] if at >= 0 else made
 
 
-def runs(w: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """(runs of one and of two words, their hashes)."""
+def runs_of(w: list[bytes]) -> list[bytes]:
+    """Runs of one and of two words."""
+    return w + [a + b" " + b for a, b in zip(w, w[1:])]
+
+
+def run_hashes(w: list[bytes]) -> np.ndarray:
+    """The hashes of runs_of(w)."""
     import xxhash
 
     h = np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w))
-    return w + [a + b" " + b for a, b in zip(w, w[1:])], np.r_[h, mix(h[:-1] * M1 ^ mix(h[1:]))]
+    return np.r_[h, mix(h[:-1] * M1 ^ mix(h[1:]))]
 
 
 def unlike_rows(hashes: list[np.ndarray], alike: float = 0.5) -> list[int]:
@@ -159,12 +166,12 @@ def unlike_rows(hashes: list[np.ndarray], alike: float = 0.5) -> list[int]:
     return kept
 
 
-def specific_runs(sample: list[tuple[list[bytes], int]]) -> list[tuple[bytes, int]]:
-    """(run, toxic documents) of the runs that are significantly more frequent in toxic documents, rarest first."""
-    every = [runs(w) for w, _ in sample]
-    use = unlike_rows([h for _, h in every])
+def specific_runs(sample: list[tuple[bytes, int]]) -> list[tuple[bytes, int, bool]]:
+    """(run, toxic documents, FOREIGN times as frequent in them) of the runs that are significantly more frequent in toxic documents, rarest first."""
+    every = [run_hashes(text.split()) for text, _ in sample]
+    use = unlike_rows(every)
     n = [sum(sample[i][1] == k for i in use) for k in (0, 1)]
-    known, a = np.unique(np.concatenate([np.unique(every[i][1]) for i in use if sample[i][1]]), return_counts=True)
+    known, a = np.unique(np.concatenate([np.unique(every[i]) for i in use if sample[i][1]]), return_counts=True)
     many = len(known)
     known, a = known[a > 1], a[a > 1].astype(float)
     if not len(known):
@@ -172,7 +179,7 @@ def specific_runs(sample: list[tuple[list[bytes], int]]) -> list[tuple[bytes, in
     b = np.zeros(len(known))
     for i in use:
         if not sample[i][1]:
-            h = np.unique(every[i][1])
+            h = np.unique(every[i])
             at = np.minimum(np.searchsorted(known, h), len(known) - 1)
             b[at[known[at] == h]] += 1
     p = (a + b) / sum(n)
@@ -181,9 +188,14 @@ def specific_runs(sample: list[tuple[list[bytes], int]]) -> list[tuple[bytes, in
         ratio += np.where(k > 0, 2 * k * np.log(np.maximum(k, 1) / m / np.maximum(q, 1e-12)), 0)
     # few of so many pass by chance
     marked = (a / n[1] > b / n[0]) & (ratio >= 2 * math.log(many + 1) + 6)
-    df = dict(zip(known[marked].tolist(), a[marked].astype(int).tolist(), strict=True))
-    said = {int(h): r for i in use if sample[i][1] for r, h in zip(every[i][0], every[i][1].tolist()) if h in df}
-    return sorted(((r, df[h]) for h, r in said.items()), key=lambda x: (x[1], x[0]))
+    foreign = a / n[1] >= FOREIGN * b / max(n[0], 1)
+    wanted, df, said = known[marked], dict(zip(known[marked].tolist(), zip(a[marked].astype(int).tolist(), foreign[marked].tolist(), strict=True), strict=True)), {}
+    for i in use:
+        some = np.flatnonzero(np.isin(every[i], wanted)) if sample[i][1] else ()
+        if len(some):
+            own = runs_of(sample[i][0].split())
+            said |= {int(every[i][j]): own[j] for j in some}
+    return sorted(((r, *df[h]) for h, r in said.items()), key=lambda x: (x[1], x[0]))
 
 
 class Model:
@@ -196,8 +208,8 @@ class Model:
         return probability(np.array([self.distance.features(words(t)) for t in texts]), self.curve)
 
 
-def fit(sample: list[tuple[list[bytes], int]], counts: list[int]) -> Model:
-    """sample: (words, label) of each row, in a fixed order; counts: labelled rows of each class."""
+def fit(sample: list[tuple[bytes, int]], counts: list[int]) -> Model:
+    """sample: (words joined by spaces, label) of each row, in a fixed order; counts: labelled rows of each class."""
     y = np.array([s[1] for s in sample], int)
     if not len(y) or y.min() == y.max():
         return Model(None, np.array([0.0, 0.0 if not len(y) else (30.0 if y[0] else -30.0)]))
@@ -205,12 +217,15 @@ def fit(sample: list[tuple[list[bytes], int]], counts: list[int]) -> Model:
     if len(set(y[part])) < 2 or len(set(y[~part])) < 2:
         part = np.zeros(len(y), bool)
     learn = [s for s, later in zip(sample, part, strict=True) if not later]
-    ordinary = dictionary([text[i:j] for w, k in learn if not k for text, at, to in [windows(w, 2 * WINDOW)] for i, j in zip(at.tolist(), to.tolist(), strict=True)])
-    many = [b" " + r + b" " for r, df in specific_runs(learn) for _ in range(df)]
+    specific = specific_runs(learn)
+    marked = {r for r, _, foreign in specific if foreign}
+    plain = [text[i:j] for t, k in learn if not k for text, at, to in [windows(t.split(), 2 * WINDOW)] for i, j in zip(at.tolist(), to.tolist(), strict=True)]
+    ordinary = dictionary([x for x in plain if marked.isdisjoint(runs_of(x.split()))])
+    many = [b" " + r + b" " for r, df, _ in specific for _ in range(df)]
     width = max(1, len(many) // 8)
     distance = Distance(ordinary, ordinary + dictionary([b"".join(many[i::width]) for i in range(width)]))
     use = np.flatnonzero(part) if part.any() else np.arange(len(y))
-    x = np.array([distance.features(sample[i][0]) for i in use])
+    x = np.array([distance.features(sample[i][0].split()) for i in use])
     own = np.array([counts[k] / max((y == k).sum(), 1) for k in (0, 1)])
     pull = own[y[use]] * len(use) / own[y[use]].sum()
     return Model(Distance(*distance.parts), fit_logistic(x, y[use], pull, ridge=0.1))
@@ -220,7 +235,7 @@ def trained(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_c
     rows, counts = labelled_sample(documents, labels, label, per_class, sample_bytes)
     got = rows.select(F.col("doc_id").cast("long"), "text", "y").collect()  # at most sample_bytes of each class
     got.sort(key=lambda r: (hash((r.doc_id, 0)) & 0xFFFF, r.doc_id, r.y, r.text))
-    return fit([(words(r.text), r.y) for r in got], counts)
+    return fit([(b" ".join(words(r.text)), r.y) for r in got], counts)
 
 
 def scored(documents: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.3) -> DataFrame:

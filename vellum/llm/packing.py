@@ -33,9 +33,12 @@ CAPACITY = 4096
 END = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Elements whose ids a worker remembers.
-MEMO = 400_000
+MEMO = 300_000
 #: Bytes of text whose elements are told apart at once, and ids put together at once.
-AT_ONCE, STEP = 4_000_000, 1_000_000
+AT_ONCE, STEP = 2_000_000, 1_000_000
+#: Characters of a text above which it is cut at white space, and put together again.
+LONG = 4 * AT_ONCE
+WHITE = re.compile(rb"[ \t-\r]")
 
 
 # The rules of VOCABULARY that Tokens relies on; a file with other rules is used as it is, text by text.
@@ -98,6 +101,19 @@ def elements(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return data[~white], start, start - gone[start] + white[start]
 
 
+def cut_at_spaces(text: bytes, size: int) -> list[bytes]:
+    """A text cut behind white space to parts of `size` bytes, or more where a word is longer."""
+    parts, at = [], 0
+    while at < len(text):
+        to = at + size
+        if to < len(text):
+            m = WHITE.search(text, to)
+            to = m.end() if m else len(text)
+        parts.append(text[at:to])
+        at = to
+    return parts
+
+
 class Tokens:
     """Token ids of whole texts as the tokenizer gives them, by the ids of distinct elements.
 
@@ -164,12 +180,15 @@ class Tokens:
         self._learn(new)
         return [self.memo[w] for w in words]
 
-    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        """The ids of each text; null is empty."""
+    def encode(self, texts: pa.Array | pa.ChunkedArray) -> Iterator[np.ndarray]:
+        """The ids of each text; null is empty. Memory is some twenty times the texts; a very long text comes alone."""
         if not self.known:
             for t in texts.to_pylist():
                 yield np.array(self.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4")
             return
+        if len(texts) == 1 and len(texts[0].as_py() or "") > LONG:
+            yield np.concatenate(list(self.encode(pa.array(cut_at_spaces(texts[0].as_py().encode("utf-8", "surrogatepass"), AT_ONCE), pa.large_binary()))))
+            return
         texts = pc.binary_join_element_wise(texts.cast(pa.large_binary()), *(pa.scalar(x, pa.large_binary()) for x in (b"", b" ")), null_handling="replace", null_replacement=b"")
         raw, offsets = texts_of(texts)
         data, place, start = elements(raw, offsets)
@@ -209,22 +228,19 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def _gathered_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
-    """Batches put together to about `size` bytes."""
-    have, total = [], 0
+def _portions(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut to runs of rows of about `size` bytes of text at most, one row at least."""
     for b in batches:
-        have.append(b)
-        total += b.nbytes
-        if total >= size:
-            yield pa.Table.from_batches(have)
-            have, total = [], 0
-    if have:
-        yield pa.Table.from_batches(have)
+        total, at = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + size, side="right")))
+            yield b.slice(at, to - at)
+            at = to
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str | None, capacity: int) -> Iterator[pa.RecordBatch]:
     tokens, end = tokens_of(path or vocabulary_path()), np.array([END], "<u4").tobytes()
-    for t in _gathered_batches(batches, AT_ONCE):
+    for t in _portions(batches, AT_ONCE):
         rows: list[list] = [[], [], [], [], []]
         for doc, own in zip(t.column(0).to_pylist(), tokens.encode(t.column(1)), strict=True):
             ids = own.tobytes() + end
