@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm.common import table, written
+from vellum.llm.common import discard, made, table, written
 from vellum.llm.compression import without_toxic
 from vellum.llm.decontaminate import clean
 from vellum.llm.packing import packed
@@ -45,15 +45,24 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Trained models, suffix arrays and packing aren't SQL. tests/llm compares the operators and the near_duplicates stage with
-#: brute force on small inputs; run() as a whole isn't compared.
+#: Trained models, suffix arrays and packing aren't SQL: tests/llm/test_pipeline.py compares run() with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs, name)
-    return docs
+    """The packed pieces of the documents that all stages keep.
+
+    Null texts are empty; rows with a null or repeated doc_id are rows of their own; other columns of documents are
+    carried to the last stage; an empty table gives an empty result. What a stage wrote is deleted once its result is
+    saved, as is that result once the next one is.
+    """
+    docs, last = table(spark, sf_dir, "documents"), made()
+    for name, stage in STAGES[:-1]:
+        first = made()
+        found = stage(spark, docs, sf_dir)
+        stop = made()
+        docs = written(found, name)
+        discard(spark, last, first)  # the stage before's result
+        discard(spark, first, stop)
+        last = stop
+    return STAGES[-1][1](spark, docs, sf_dir)
