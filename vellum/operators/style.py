@@ -63,6 +63,17 @@ def check_style(sections: DataFrame, paragraphs: DataFrame) -> DataFrame:
     return every.withColumn("issue_id", F.concat(F.lit("issue_style_"), F.lpad(n.cast("string"), 3, "0")))
 
 
+#: Units of a document that a model is shown.
+SHOWN = 40
+
+
+def chat_prompts(units: DataFrame) -> DataFrame:
+    """(doc_id, n, prompt): the first units of each document as a JSON array, for a model to check."""
+    first = units.withColumn("n", F.row_number().over(W.partitionBy("doc_id").orderBy("ord"))).where(F.col("n") <= SHOWN)
+    shown = F.transform(F.array_sort(F.collect_list(F.struct("n", "paragraph_id", "section_id", "page", "text"))), lambda u: F.struct(u["paragraph_id"].alias("paragraph_id"), u["section_id"].alias("section_id"), u["page"].alias("page"), u["text"].alias("text")))
+    return first.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.to_json(shown).alias("prompt"))
+
+
 def chat_issues(responses: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """Issues from a model's answers: a fenced block or the outermost braces are parsed; unknown subtypes and low confidence go."""
     kind = "struct<issues:array<struct<subtype:string,paragraph_id:string,severity:string,confidence:string,before:string,after:string>>>"

@@ -170,7 +170,13 @@ Q["style_chat_issues"] = (
     WHERE x->>'subtype' IN ('spelling_error', 'long_sentence') AND x->>'confidence' <> 'low'""",
 )
 Q["style_combined"] = (lambda spark, d: T.combined(T.chat_issues(*_fx(spark, "fx_chat", "fx_paragraphs")), T.check_style(*_fx(spark, "fx_sections", "fx_paragraphs"))).select("doc_id", "issue_id", "subtype"), None)
-Q["logic_issues"] = (lambda spark, d: T.check_logic(fixture(spark, "fx_docs")), None)
+Q["logic_issues"] = (lambda spark, d: T.check_logic(fixture(spark, "fx_docs")), "SELECT '' AS doc_id, '' AS issue_id, '' AS subtype, '' AS severity, '' AS section_id, '' AS paragraph_id, '' AS evidence, '' AS suggestion WHERE false")
+Q["style_prompts"] = (
+    # what a model is shown: each unit's id and text, read back from the JSON
+    lambda spark, d: T.chat_prompts(T.text_units(*_fx(spark, "fx_sections", "fx_paragraphs"))).select("doc_id", "n", F.posexplode(F.from_json("prompt", "array<struct<paragraph_id:string,text:string>>")).alias("i", "u")).select("doc_id", "n", "i", "u.paragraph_id", F.md5(F.col("u.text").cast("binary")).alias("h")),
+    f"""WITH {values("fx_sections", "fx_paragraphs")}, u AS (SELECT doc_id, ord, paragraph_id, text FROM fx_paragraphs UNION ALL SELECT doc_id, ord, 'style_section_' || row_number() OVER (PARTITION BY doc_id ORDER BY ord), CASE WHEN coalesce(text, '') <> '' THEN text ELSE title END FROM fx_sections s WHERE NOT EXISTS (SELECT 1 FROM fx_paragraphs p WHERE p.doc_id = s.doc_id))
+    SELECT doc_id, count(*) OVER (PARTITION BY doc_id) AS n, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS INTEGER) AS i, paragraph_id, md5(text) AS h FROM u""",
+)
 
 # --- merging and reporting -------------------------------------------------------------------------------------------
 

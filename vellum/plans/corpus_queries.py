@@ -72,6 +72,14 @@ Q["formula_number_extract"] = (
     f"WITH {values('fx_formulas')} SELECT doc_id, ord, nullif(regexp_extract(text, '\\(((?:[А-ЯЁA-Z]\\.)?\\d+(?:\\.\\d+)*)\\)\\s*$', 1), '') AS equation_number, nullif(regexp_extract(text, '\\s(\\d+(?:\\.\\d+)*)\\s*$', 1), '') AS raw_equation_number FROM fx_formulas",
 )
 Q["formula_detection"] = (lambda spark, d: fixture(spark, "fx_formulas").select("doc_id", "ord", P.looks_like_formula(F.col("text")).alias("formula"), P.is_standalone_formula(F.col("text")).alias("standalone")), f"WITH {values('fx_formulas')} SELECT doc_id, ord, true AS formula, true AS standalone FROM fx_formulas")
+Q["formula_split"] = (
+    lambda spark, d: spark.createDataFrame([(1, "Скорость равна по формуле v = s / t, где s — путь"), (2, "a = b"), (3, "Имеем x = 1. Далее текст"), (4, "без знака")], "i int, t string").select("i", P.split_formula(F.col("t")).alias("s")).select("i", "s.before", "s.formula", "s.after"),
+    "SELECT * FROM (VALUES (1, 'Скорость равна по формуле', 'v = s / t', ', где s — путь'), (2, '', 'a = b', ''), (3, 'Имеем', 'x = 1', '. Далее текст'), (4, NULL, NULL, NULL)) AS v(i, before, formula, after)",
+)
+Q["appendix_letters"] = (
+    lambda spark, d: fixture(spark, "fx_sections").select("doc_id", "section_id", P.appendix_letter(F.col("title")).alias("letter")).where("letter is not null"),
+    f"WITH {values('fx_sections')} SELECT doc_id, section_id, upper(regexp_extract(title, '(?i)^приложение\\s+([а-яёa-z])([^\\p{{L}}]|$)', 1)) AS letter FROM fx_sections WHERE regexp_matches(title, '(?i)^приложение\\s+[а-яёa-z]([^\\p{{L}}]|$)')",
+)
 Q["page_geometry"] = (
     lambda spark, d: fixture(spark, "fx_page_layout").where("page_width_mm is not null").select("doc_id", "section_index", P.orientation(F.col("page_width_mm"), F.col("page_height_mm")).alias("orientation"), P.emu_to_mm(F.col("page_width_mm") * 36000).alias("mm"), P.alignment_name(F.col("section_index")).alias("alignment")),
     f"WITH {values('fx_page_layout')} SELECT doc_id, section_index, CASE WHEN page_width_mm > page_height_mm THEN 'landscape' ELSE 'portrait' END AS orientation, round(page_width_mm, 1) AS mm, CASE section_index WHEN 0 THEN 'left' ELSE 'center' END AS alignment FROM fx_page_layout WHERE page_width_mm IS NOT NULL",
@@ -138,6 +146,10 @@ Q["graph_follows"] = (
     lambda spark, d: G.follows(N.sections(N.parse_blocks(N.clean_blocks(fixture(spark, "fx_lines"))))).select("source", "target", "type", "properties"),
     """SELECT 'std_sec_0' AS source, 'std_sec_1' AS target, 'follows' AS type, '{"order":0}' AS properties""",
 )
+Q["graph_lines"] = (
+    lambda spark, d: G.line_graph(fixture(spark, "fx_rules").select("standard_id", "ord", F.col("rule_id").alias("id"))).select("source", "target", "type"),
+    f"WITH {_RULES} SELECT * FROM (SELECT rule_id AS source, lead(rule_id) OVER (ORDER BY ord) AS target, 'follows' AS type FROM fx_rules) WHERE target IS NOT NULL",
+)
 Q["graph_links"] = (
     lambda spark, d: G.links(fixture(spark, "fx_rules")).select("source", "target", "type", F.get_json_object("properties", "$.reference_number").alias("number")),
     "SELECT * FROM (VALUES ('r3', 'r1', 'references', '5.1'), ('r4', 'r1', 'depends_on', '5.1'), ('r4', 'r1', 'references', '5.1'), ('r4', 'r5', 'references', '6.2'), ('r5', 'r4', 'depends_on', '6.1'), ('r5', 'r4', 'references', '6.1'), ('r8', 's6', 'references', '6'), ('r10', 'r5', 'depends_on', '6.2'), ('r10', 'r5', 'references', '6.2')) AS v(source, target, type, number)",
