@@ -186,7 +186,13 @@ Q["graph_induced"] = (
     lambda spark, d: G.induced(fixture(spark, "fx_edges"), spark.createDataFrame([("n1",), ("n2",), ("n4",)], "id string")).select("source", "target", "type"),
     f"WITH {_GR} SELECT source, target, type FROM fx_edges WHERE source IN ('n1', 'n2', 'n4') AND target IN ('n1', 'n2', 'n4')",
 )
-Q["graph_exported"] = (lambda spark, d: G.exported(G.nodes(fixture(spark, "fx_rules"), fixture(spark, "fx_rules").select("standard_id", "section_id", F.col("section_id").alias("title")).distinct()), G.membership(fixture(spark, "fx_rules"))).select("standard_id", F.length("graph").alias("n")), None)
+Q["graph_exported"] = (
+    lambda spark, d: G.exported(G.nodes(fixture(spark, "fx_rules"), fixture(spark, "fx_rules").select("standard_id", "section_id", F.col("section_id").alias("title")).distinct()), G.membership(fixture(spark, "fx_rules")))
+    .select("standard_id", F.from_json("graph", "struct<nodes:array<struct<id:string,type:string>>,edges:array<struct<source:string,target:string,type:string>>>").alias("g"))
+    .select("standard_id", F.array_join(F.transform(F.filter("g.nodes", lambda n: n["type"] != "rule"), lambda n: n["id"]), ",").alias("nodes"), F.size("g.edges").cast("long").alias("n_edges")),
+    f"""WITH {_RULES}, n AS (SELECT DISTINCT section_id AS id FROM fx_rules UNION SELECT 'object_type::' || object_type FROM fx_rules WHERE object_type <> 'generic' UNION SELECT 'constraint::' || constraint_type FROM fx_rules WHERE constraint_type <> 'generic')
+    SELECT 'g' AS standard_id, (SELECT string_agg(id, ',' ORDER BY id) FROM n) AS nodes, (SELECT count(*) + 2 * count(*) FILTER (object_type <> 'generic') + count(*) FILTER (constraint_type <> 'generic') FROM fx_rules) AS n_edges""",
+)
 Q["graph_geography"] = (
     # nodes at most two hops from each region: region > nation > customer market
     lambda spark, d: G.k_hop(_t(spark, d, "nation").select(F.concat(F.lit("r"), "n_regionkey").alias("source"), F.concat(F.lit("n"), "n_nationkey").alias("target")).unionByName(_t(spark, d, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("source"), F.concat(F.lit("m"), "c_mktsegment").alias("target")).distinct()), _t(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id")), 2).groupBy("start").agg(F.count(F.lit(1)).alias("n")),

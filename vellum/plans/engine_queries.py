@@ -15,6 +15,7 @@ from ..sources.loaders import concatenated, pdf_texts
 from ..sources.scratch import shared_dir
 from ..streaming.incremental import event_counts
 from . import engine as E
+from .corpus_queries import _ENT1, _ENT2
 
 Q: dict = {}
 
@@ -34,8 +35,16 @@ def _lines(spark, d):
 
 Q["analyze"] = (lambda spark, d: E.analyze(_corpus(spark)).select("doc_id", "status", "total", "critical", "warning", "info"), None)
 Q["analyze_documents"] = (lambda spark, d: E.analyze(E.parse_texts(_docs(spark, d).select("doc_id", "text"))).select("doc_id", "status", "total"), None)
-Q["ingest_standard_edges"] = (lambda spark, d: E.ingest_standard(fixture(spark, "fx_lines"))["edges"].select("source", "target", "type"), None)
-Q["index_statistics"] = (lambda spark, d: E.index_statistics({k: v for k, v in E.build_index(_docs(spark, d), "doc_id").items() if k != "vectors"}), None)
+_EDGES = [
+    ("std_sec_0", "std_sec_1", "follows"), ("std_sec_1", "gost_rule_0", "contains"), ("std_sec_1", "gost_rule_1", "contains"), ("gost_rule_0", "object_type::figure", "applies_to"), ("gost_rule_1", "object_type::title_page", "applies_to"), ("std_sec_1", "object_type::figure", "covers"), ("std_sec_1", "object_type::title_page", "covers"),
+    ("gost_rule_0", "constraint::caption_required", "constrains"), ("gost_rule_1", "constraint::required_presence", "constrains"), ("gost_rule_0", "keyword::рисунок", "mentions"), ("gost_rule_1", "keyword::титульный лист", "mentions"), ("gost_rule_0", "gost_rule_1", "rule_follows"),
+]
+Q["ingest_standard_edges"] = (lambda spark, d: E.ingest_standard(fixture(spark, "fx_lines"))["edges"].select("source", "target", "type"), f"SELECT * FROM (VALUES {', '.join(map(str, _EDGES))}) AS v(source, target, type)")
+Q["index_statistics"] = (
+    lambda spark, d: E.index_statistics({k: v for k, v in E.build_index(_docs(spark, d), "doc_id").items() if k != "vectors"}),
+    f"""WITH {_ENT1}, {_ENT2}, b AS (SELECT entity FROM e2 GROUP BY entity HAVING count(DISTINCT doc_id) BETWEEN 2 AND 10)
+    SELECT 'entities' AS relation, (SELECT count(*) FROM e2) AS n UNION ALL SELECT 'registry', (SELECT count(DISTINCT entity) FROM e2) UNION ALL SELECT 'bridges', (SELECT count(*) FROM b) UNION ALL SELECT 'facts', (SELECT count(*) FROM b)""",
+)
 Q["corrected_files"] = (lambda spark, d: docx.read_facts(E.corrected_files(_corpus(spark), fixture(spark, "fx_fixes"))).select("doc_id", "i", "text"), None)
 Q["docx_round_trip"] = (
     # every document written as a file and read again

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import fixture, values
+from ..fixtures import ROWS, fixture, values
 from ..operators import formatting as K
 
 Q: dict = {}
@@ -205,7 +205,15 @@ Q["benchmark_references"] = (
     lambda spark, d: _absent_items(spark, d),
     "SELECT item_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text))",
 )
+_PARTS = ["figure_checks", "figure_reference_before", "table_checks", "unreferenced_tables", "formula_checks", "formula_numbering", "page_format", "page_margins", "typography_first_offender", "enumerations", "headings", "heading_layouts", "appendix_references", "missing_section_numbers", "missing_contents", "body_not_justified", "page_numbering", "reference_section"]
+_EVERY = " UNION ALL ".join(
+    [f"SELECT doc_id, subtype FROM ({Q[n][1]})" for n in _PARTS]
+    + [f"SELECT doc_id, 'figure_numbering_error' FROM ({Q['figure_numbering'][1]})", f"SELECT doc_id, CASE status WHEN 'invalid' THEN 'invalid_formula_reference_format' ELSE 'missing_formula_reference' END FROM ({Q['formula_reference_status'][1]}) WHERE status <> 'ok'"]
+    # a title page is looked for only where there is a layout
+    + [f"SELECT doc_id, subtype FROM ({Q['missing_title_page'][1]}) WHERE doc_id IN ({', '.join(sorted({repr(r[0]) for r in ROWS['fx_para_layout']}))})"]
+)
 Q["formatting_issues"] = (
-    lambda spark, d: K.check_formatting(*_fx(spark, "fx_docs", "fx_sections", "fx_paragraphs", "fx_figures", "fx_tables", "fx_para_layout", "fx_table_layout", "fx_page_layout", "fx_page_numbering", "fx_formulas", "fx_heading_layout")).select("doc_id", "issue_id", "subtype", "severity"),
-    None,
+    # the whole run finds what the checks find one by one
+    lambda spark, d: K.check_formatting(*_fx(spark, "fx_docs", "fx_sections", "fx_paragraphs", "fx_figures", "fx_tables", "fx_para_layout", "fx_table_layout", "fx_page_layout", "fx_page_numbering", "fx_formulas", "fx_heading_layout")).groupBy("doc_id", "subtype").agg(F.count(F.lit(1)).alias("n")),
+    f"SELECT doc_id, subtype, count(*) AS n FROM ({_EVERY}) GROUP BY ALL",
 )
