@@ -211,8 +211,9 @@ Q["vector_topk"] = (
     f"SELECT q.vec_id AS query_id, v.vec_id AS id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS}, 6) DESC, v.vec_id) AS INTEGER) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 QUALIFY rank <= 5",
 )
 Q["vector_cosine"] = (
-    lambda spark, d: _vectors(spark, d).select("id", "embedding").join(F.broadcast(_vectors(spark, d).where("id = 0").select(F.col("embedding").alias("q"))), F.lit(True)).select("id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("similarity")),
-    f"SELECT v.vec_id AS id, round({_COS}, 6) AS similarity FROM embeddings q, embeddings v WHERE q.vec_id = 0",
+    # every vector whose id is divisible by 50 against all vectors
+    lambda spark, d: _vectors(spark, d).where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q")).join(_vectors(spark, d).select("id", "embedding")).select("query_id", "id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("similarity")),
+    f"SELECT q.vec_id AS query_id, v.vec_id AS id, round({_COS}, 6) AS similarity FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0",
 )
 Q["hash_embedding"] = (lambda spark, d: V.embedded(_t(spark, d, "documents"), "doc_id").select("doc_id", F.size("embedding").alias("n"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm")), "SELECT doc_id, 256 AS n, 1.0 AS norm FROM documents")
 Q["vector_collection"] = (
