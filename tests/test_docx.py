@@ -21,7 +21,10 @@ def file(xml=XML):
 def test_facts(spark):
     rows = docx.read_facts(spark.createDataFrame([("d", file()), ("bad", b"x")], "doc_id string, content binary")).collect()
     head = next(r for r in rows if r.kind == "paragraph" and r.i == 1)
-    assert (head.text, head.alignment, head.first_line_indent_mm, head.line_spacing, head.font_size_pt, head.bold, head.non_black) == ("Заголовок.", "center", 12.5, 1.5, 14.0, True, True)
+    assert (
+        head.text, head.alignment, head.first_line_indent_mm, head.line_spacing, head.font_size_pt, head.bold,
+        head.non_black,
+    ) == ("Заголовок.", "center", 12.5, 1.5, 14.0, True, True)
     assert [r.i for r in rows if r.kind == "cell"] == [10000]
     page = next(r for r in rows if r.kind == "section")
     assert (page.width_mm, page.height_mm, page.left_mm) == (210.0, 297.0, 30.0)
@@ -34,7 +37,13 @@ def test_build_and_text():
 
 
 def test_edits_keep_drawings(spark):
-    plan = spark.createDataFrame([("d", 1, "strip_period", None, 3), ("d", 3, "where_without_colon", None, 2), ("d", 4, "strip_period", None, 1), ("d", 1, "align", "left", 4), ("d", None, "set_page", None, 5)], "doc_id string, paragraph_index int, op string, arg string, step int")
+    plan = spark.createDataFrame(
+        [
+            ("d", 1, "strip_period", None, 3), ("d", 3, "where_without_colon", None, 2),
+            ("d", 4, "strip_period", None, 1), ("d", 1, "align", "left", 4), ("d", None, "set_page", None, 5),
+        ],
+        "doc_id string, paragraph_index int, op string, arg string, step int",
+    )
     out = docx.edited(spark.createDataFrame([("d", file())], "doc_id string, content binary"), plan).first().content
     by = {f["i"]: f for f in docx.facts(out) if f["kind"] == "paragraph"}
     assert (by[1]["text"], by[1]["alignment"], by[3]["text"], by[4]["text"]) == ("Заголовок", "left", "где x", "Рисунок.")
@@ -43,8 +52,13 @@ def test_edits_keep_drawings(spark):
 def test_formulas_captions_and_page_numbers():
     xml = """<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:tbl><w:tr><w:tc><w:p><w:r><w:t>Итого.</w:t></w:r></w:p></w:tc></w:tr></w:tbl>
     <w:p><w:r><w:t>Таблица 1 - Данные</w:t></w:r></w:p><w:p><w:r><w:t>Сумма равно y = kx + b, где k - число</w:t></w:r></w:p><w:sectPr/></w:body></w:document>"""
-    ops = [("move_caption_above", 1, None), ("split_formula", 2, "1"), ("strip_header_period", None, None), ("add_page_field", None, None), ("add_page_field", None, None)]
+    ops = [
+        ("move_caption_above", 1, None), ("split_formula", 2, "1"), ("strip_header_period", None, None),
+        ("add_page_field", None, None), ("add_page_field", None, None),
+    ]
     out = docx.edit(file(xml), [{"op": o, "paragraph_index": i, "arg": a} for o, i, a in ops])
     f = docx.facts(out)
-    assert [x["text"] for x in f if x["kind"] != "section"] == ["Таблица 1 - Данные", "", "Итого", "Сумма равно", "y = kx + b (1)", "где k - число"]
+    assert [x["text"] for x in f if x["kind"] != "section"] == [
+        "Таблица 1 - Данные", "", "Итого", "Сумма равно", "y = kx + b (1)", "где k - число",
+    ]
     assert [x["page_field"] for x in f if x["kind"] == "section"] == [True]

@@ -19,10 +19,21 @@ def kept(c):
 
 def laid_out(spark):
     fx = lambda n: fixture(spark, "fx_" + n)
-    figures = spark.createDataFrame([("d1", 1, "fig_1", "", 1, 3), ("d1", 2, "fig_2", "", 1, 5), ("d1", 3, "fig_3", "", 1, None)], fx("figures").schema)
-    sections = spark.createDataFrame([("d1", i, f"s{i}", str(i) if i < 3 else "", f"Часть {i}", 1, "т") for i in range(1, 6)], fx("sections").schema)
-    formulas = spark.createDataFrame([("d1", i, 10 * i if i < 3 else None, "a = b", "center", True, None, None, True, True, "", None) for i in range(1, 5)], fx("formulas").schema)
-    return E.Corpus(fx("docs").where("doc_id = 'd1'"), sections, fx("paragraphs"), figures, fx("tables"), {k: fx(k) for k in ("para_layout", "table_layout", "page_layout", "page_numbering", "heading_layout")} | {"formulas": formulas})
+    figures = spark.createDataFrame(
+        [("d1", 1, "fig_1", "", 1, 3), ("d1", 2, "fig_2", "", 1, 5), ("d1", 3, "fig_3", "", 1, None)],
+        fx("figures").schema,
+    )
+    sections = spark.createDataFrame(
+        [("d1", i, f"s{i}", str(i) if i < 3 else "", f"Часть {i}", 1, "т") for i in range(1, 6)], fx("sections").schema,
+    )
+    formulas = spark.createDataFrame(
+        [("d1", i, 10 * i if i < 3 else None, "a = b", "center", True, None, None, True, True, "", None) for i in range(1, 5)],
+        fx("formulas").schema,
+    )
+    return E.Corpus(
+        fx("docs").where("doc_id = 'd1'"), sections, fx("paragraphs"), figures, fx("tables"),
+        {k: fx(k) for k in ("para_layout", "table_layout", "page_layout", "page_numbering", "heading_layout")} | {"formulas": formulas},
+    )
 
 
 def test_equal_faults_stay_apart(spark):
@@ -41,9 +52,17 @@ def test_equal_sections_stay_apart(spark):
 
 
 def test_every_check_without_layout(spark):
-    got = {x[:4] for x in kept(texts(spark, (1, "1 Раз\n\nт\n\nРисунок 1 Схема\n\nТаблица 1 Данные\n\n• пункт\n\nПриложение А\n\nт"), (2, "Содержание")))}
+    got = {
+        x[:4] for x in kept(
+            texts(spark, (1, "1 Раз\n\nт\n\nРисунок 1 Схема\n\nТаблица 1 Данные\n\n• пункт\n\nПриложение А\n\nт"), (2, "Содержание"))
+        )
+    }
     doc = {x[1:] for x in got if x[0] == "1"}
-    assert {("invalid_figure_caption_format", None, "fig_1"), ("invalid_table_caption_format", None, "tbl_1"), ("missing_contents_section", "sec_appendix_а", None), ("missing_appendix_reference", "sec_appendix_а", None), ("missing_references_section", "sec_appendix_а", None)} <= doc
+    assert {
+        ("invalid_figure_caption_format", None, "fig_1"), ("invalid_table_caption_format", None, "tbl_1"),
+        ("missing_contents_section", "sec_appendix_а", None), ("missing_appendix_reference", "sec_appendix_а", None),
+        ("missing_references_section", "sec_appendix_а", None),
+    } <= doc
     assert "invalid_enumeration_marker" in {x[0] for x in doc}
     assert {x[1:] for x in got if x[0] == "2"} == {("missing_references_section", None, "p_1")}
 
@@ -71,7 +90,9 @@ def test_issues_name_the_rules_of_their_standard(spark):
 
 def test_an_agent_that_fails_while_it_runs(spark):
     c = texts(spark, (1, "1 Раз\n\nкороче говоря, т"), (2, "текст"))
-    c.figures = c.figures.selectExpr("*", "raise_error('broken') as b").where("b is null or true").drop("b").withColumn("caption", F.when(F.raise_error(F.lit("broken")).isNull(), "x"))
+    c.figures = c.figures.selectExpr("*", "raise_error('broken') as b").where("b is null or true").drop("b").withColumn(
+        "caption", F.when(F.raise_error(F.lit("broken")).isNull(), "x"),
+    )
     rows = E.analyze(c).collect()
     assert {x.status for x in rows} == {"partial_success"} and len(rows) == 2
 
@@ -81,15 +102,23 @@ def test_the_fix_chain_adds_what_is_missing(spark):
 
     fx = lambda n: fixture(spark, "fx_" + n)
     c = E.Corpus(fx("docs"), fx("sections"), fx("paragraphs"), fx("figures"), fx("tables"), {"table_layout": fx("table_layout")})
-    issues = spark.createDataFrame([("d2", 1, "missing_required_section", "Нет раздела «Метод»")], "doc_id string, ord int, subtype string, evidence string")
+    issues = spark.createDataFrame(
+        [("d2", 1, "missing_required_section", "Нет раздела «Метод»")],
+        "doc_id string, ord int, subtype string, evidence string",
+    )
     lines = [x.text for x in docx.read_facts(E.corrected_files(c, fx("fixes"), issues)).where("doc_id = 'd2'").orderBy("i").collect()]
     assert "Заполните содержимое раздела." in lines and lines[-1] == "Таблица 1 - Сравнение показателей 1"
 
 
 def test_bridged_questions(spark):
     fx = lambda n: fixture(spark, "fx_" + n)
-    facts = spark.createDataFrame([("bridge:x", "Икс", "рисунок связан с таблицей", "bridging_fact", "d1,d2")], "id string, entity string, content string, entry_type string, sources string")
-    entries = fx("nodes").selectExpr("id", "content as text", "type as entry_type").unionByName(facts.selectExpr("id", "content as text", "entry_type"))
+    facts = spark.createDataFrame(
+        [("bridge:x", "Икс", "рисунок связан с таблицей", "bridging_fact", "d1,d2")],
+        "id string, entity string, content string, entry_type string, sources string",
+    )
+    entries = fx("nodes").selectExpr("id", "content as text", "type as entry_type").unionByName(
+        facts.selectExpr("id", "content as text", "entry_type")
+    )
     vecs = E.vectors.embedded(entries, "id").join(entries.select("id", "entry_type"), "id").where("size(embedding) > 0")
     got = E.ask_bridged(fx("queries"), vecs, fx("nodes"), fx("edges"), facts)
     said = {x.query_id: x.prompt for x in got["prompts"].collect()}

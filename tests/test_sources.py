@@ -37,4 +37,6 @@ def test_stream_of_entities(spark, tmp_path):
     spark.createDataFrame([(1, "Alpha beta Gamma"), (2, "Gamma")], "doc_id long, text string").write.parquet(str(tmp_path / "in"))
     s = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "in"))
     entity_stream(s, "doc_id", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
-    assert sorted((r.doc_id, r.entity) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, "Alpha"), (1, "Gamma"), (2, "Gamma")]
+    assert sorted(
+        (r.doc_id, r.entity) for r in spark.read.parquet(str(tmp_path / "out")).collect()
+    ) == [(1, "Alpha"), (1, "Gamma"), (2, "Gamma")]

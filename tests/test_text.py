@@ -11,14 +11,22 @@ SAMPLES = ["", None, " a  b ", "Ёлка тест", "Короче говоря,
 
 
 def test_squeeze_and_fold(spark):
-    got = [tuple(r) for r in spark.createDataFrame([(i, s) for i, s in enumerate(SAMPLES)], "i int, s string").orderBy("i").select(T.squeeze("s"), T.folded("s")).collect()]
+    got = [
+        tuple(r) for r in spark.createDataFrame(
+            [(i, s) for i, s in enumerate(SAMPLES)], "i int, s string",
+        ).orderBy("i").select(T.squeeze("s"), T.folded("s")).collect()
+    ]
     want = [(" ".join((s or "").split()), " ".join((s or "").lower().replace("ё", "е").split())) for s in SAMPLES]
     assert got == want
 
 
 def test_sentences_match_python(spark):
     texts = [s or "" for s in SAMPLES] + ["Один. Два!  Три?\nЧетыре"]
-    got = [r[0] for r in spark.createDataFrame([(i, s) for i, s in enumerate(texts)], "i int, s string").orderBy("i").select(T.sentences("s")).collect()]
+    got = [
+        r[0] for r in spark.createDataFrame(
+            [(i, s) for i, s in enumerate(texts)], "i int, s string",
+        ).orderBy("i").select(T.sentences("s")).collect()
+    ]
     assert got == [[x.strip() for x in re.split(r"(?<=[.!?])\s+", s.strip()) if x.strip()] for s in texts]
 
 
@@ -34,13 +42,20 @@ def test_number_key_orders_rules(spark):
 
 
 def test_replace_first(spark):
-    r = spark.createDataFrame([("Короче говоря, метод, блин.", "короче говоря", "таким образом")], "t string, a string, b string").select(T.replace_first(F.col("t"), F.col("a"), F.col("b"))).first()
+    r = spark.createDataFrame(
+        [("Короче говоря, метод, блин.", "короче говоря", "таким образом")], "t string, a string, b string",
+    ).select(T.replace_first(F.col("t"), F.col("a"), F.col("b"))).first()
     assert r[0] == "таким образом, метод, блин."
 
 
-@pytest.mark.parametrize("a,b,want", [([1.0, 0.0], [1.0, 0.0], 1.0), ([0.0, 0.0], [1.0, 0.0], 0.0), ([1.0], [1.0, 0.0], 0.0), ([], [], 0.0), (None, [1.0], 0.0)])
+@pytest.mark.parametrize(
+    "a,b,want",
+    [([1.0, 0.0], [1.0, 0.0], 1.0), ([0.0, 0.0], [1.0, 0.0], 0.0), ([1.0], [1.0, 0.0], 0.0), ([], [], 0.0), (None, [1.0], 0.0)],
+)
 def test_cosine_guards(spark, a, b, want):
-    assert spark.createDataFrame([(a, b)], "a array<double>, b array<double>").select(T.cosine(F.col("a"), F.col("b"))).first()[0] in (want, None if a is None else want)
+    assert spark.createDataFrame(
+        [(a, b)], "a array<double>, b array<double>",
+    ).select(T.cosine(F.col("a"), F.col("b"))).first()[0] in (want, None if a is None else want)
 
 
 @settings(max_examples=8, deadline=None)
@@ -48,8 +63,13 @@ def test_cosine_guards(spark, a, b, want):
 def test_sequence_gaps_equal_a_loop(spark, numbers):
     from vellum.operators import structure as S
 
-    s = spark.createDataFrame([("d", i, f"s{i}", n, "t", 1, "") for i, n in enumerate(numbers)], "doc_id string, ord int, section_id string, number string, title string, level int, text string")
-    p = spark.createDataFrame([], "doc_id string, ord int, paragraph_id string, section_id string, text string, page int, paragraph_index int")
+    s = spark.createDataFrame(
+        [("d", i, f"s{i}", n, "t", 1, "") for i, n in enumerate(numbers)],
+        "doc_id string, ord int, section_id string, number string, title string, level int, text string",
+    )
+    p = spark.createDataFrame(
+        [], "doc_id string, ord int, paragraph_id string, section_id string, text string, page int, paragraph_index int",
+    )
     got = sorted(r.item_ord for r in S.sequence_gaps(S.structure_entries(s, p)).collect())
     last, want = {}, []
     for i, n in enumerate(numbers):

@@ -54,7 +54,13 @@ def test_fallback_and_empty_provider(spark):
 
 
 def test_rows_of_facts(spark):
-    a = spark.createDataFrame([("aku:d:0", "Q", [1.0], "d", ["X", "Y"]), ("aku:d:1", "Q", [], "d", [])], "id string, content string, embedding array<double>, document_id string, entities array<string>")
+    a = spark.createDataFrame(
+        [("aku:d:0", "Q", [1.0], "d", ["X", "Y"]), ("aku:d:1", "Q", [], "d", [])],
+        "id string, content string, embedding array<double>, document_id string, entities array<string>",
+    )
     assert [tuple(x) for x in V.aku_rows(a).select("id", "entry_type", "entities").collect()] == [("aku:d:0", "aku", "X,Y")]
-    b = spark.createDataFrame([("bridge:x", "c", [1.0], "x", ["d1", "d2"])], "id string, content string, embedding array<double>, entity string, source_document_ids array<string>")
+    b = spark.createDataFrame(
+        [("bridge:x", "c", [1.0], "x", ["d1", "d2"])],
+        "id string, content string, embedding array<double>, entity string, source_document_ids array<string>",
+    )
     assert V.bridge_rows(b).select(F.col("source_document_ids")).first()[0] == "d1,d2"

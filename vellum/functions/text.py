@@ -33,17 +33,25 @@ def tokens(c: Column | str, least: int = 3) -> Column:
 def number_parts(c: Column | str) -> Column:
     """'1.2.3' as [1, 2, 3]; an empty array unless every part is a number."""
     n = F.coalesce(col(c), F.lit(""))
-    return F.when(n.rlike(r"^[0-9]{1,9}(\.[0-9]{1,9})*$"), F.transform(F.split(n, r"\."), lambda p: p.cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.when(
+        n.rlike(r"^[0-9]{1,9}(\.[0-9]{1,9})*$"), F.transform(F.split(n, r"\."), lambda p: p.cast("int")),
+    ).otherwise(F.array().cast("array<int>"))
 
 
 def number_key(c: Column | str) -> Column:
     """Sort key of a rule number: the digits of each part, none as 0."""
-    return F.transform(F.split(F.coalesce(col(c), F.lit("")), r"\."), lambda p: F.coalesce(F.regexp_replace(p, r"[^0-9]", "").try_cast("int"), F.lit(0)))
+    return F.transform(
+        F.split(F.coalesce(col(c), F.lit("")), r"\."),
+        lambda p: F.coalesce(F.regexp_replace(p, r"[^0-9]", "").try_cast("int"), F.lit(0)),
+    )
 
 
 def sentences(c: Column | str) -> Column:
     """Text cut after . ! or ? followed by white space; blank pieces go."""
-    return F.filter(F.transform(F.split(F.trim(F.coalesce(col(c), F.lit(""))), r"(?<=[.!?])(?U)\s+"), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(
+        F.transform(F.split(F.trim(F.coalesce(col(c), F.lit(""))), r"(?<=[.!?])(?U)\s+"), lambda s: F.trim(s)),
+        lambda s: s != "",
+    )
 
 
 def word_count(c: Column | str) -> Column:

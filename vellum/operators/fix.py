@@ -12,7 +12,11 @@ from .formatting import STRUCTURAL
 #: Titles that are counted without a number.
 FREE = [*STRUCTURAL, "введение", "заключение", "термины и определения"]
 # What an issue's subtype asks a paragraph to become.
-ALIGN = {"figure_caption_not_centered": "center", "formula_not_centered": "center", "table_header_alignment": "center", "structural_heading_not_centered": "center", "appendix_heading_not_centered": "center", "main_heading_centered": "left", "page_number_not_centered": "center", "body_text_not_justified": "justify"}
+ALIGN = {
+    "figure_caption_not_centered": "center", "formula_not_centered": "center", "table_header_alignment": "center",
+    "structural_heading_not_centered": "center", "appendix_heading_not_centered": "center",
+    "main_heading_centered": "left", "page_number_not_centered": "center", "body_text_not_justified": "justify",
+}
 EDITS = {
     "invalid_first_line_indent": "set_indent", "invalid_line_spacing": "set_spacing", "invalid_font_size": "set_font", "invalid_font_family": "set_font", "invalid_font_color": "set_color", "unexpected_bold_text": "clear_bold", "invalid_page_margins": "set_margins", "invalid_page_size": "set_page",
     "missing_page_numbering": "add_page_field", "page_number_in_header": "clear_header_field", "title_page_number_visible": "hide_first_page", "page_numbering_restart": "clear_restart", "invalid_enumeration_marker": "fix_marker", "enumeration_indent_invalid": "set_indent", "heading_trailing_period": "strip_period",
@@ -26,25 +30,41 @@ def apply_replacements(targets: DataFrame, fixes: DataFrame) -> DataFrame:
 
     def step(text: Column, x: Column) -> Column:
         at = F.call_function("locate", x["before"], text)
-        return F.when(at > 0, F.concat(F.substr(text, F.lit(1), at - 1), x["after"], F.substr(text, at + F.length(x["before"])))).otherwise(x["after"])
+        return F.when(
+            at > 0, F.concat(F.substr(text, F.lit(1), at - 1), x["after"], F.substr(text, at + F.length(x["before"]))),
+        ).otherwise(x["after"])
 
     j = targets.join(f, ["doc_id", "target"], "left")
-    return j.select("doc_id", "target", F.when(F.col("fixes").isNull(), F.col("text")).otherwise(F.aggregate("fixes", F.col("text"), step)).alias("text"))
+    return j.select(
+        "doc_id", "target",
+        F.when(F.col("fixes").isNull(), F.col("text")).otherwise(F.aggregate("fixes", F.col("text"), step)).alias("text"),
+    )
 
 
 def renumbered(sections: DataFrame) -> DataFrame:
     """Sections counted anew by level: structural titles and appendices lose their number; a level is at most one deeper than the last."""
     free = folded("title").isin(FREE) | folded("title").startswith("приложение")
-    s = sections.select("doc_id", F.struct("ord", "section_id", "title", F.coalesce("level", F.lit(1)).alias("level"), free.alias("free")).alias("s"))
+    s = sections.select(
+        "doc_id",
+        F.struct("ord", "section_id", "title", F.coalesce("level", F.lit(1)).alias("level"), free.alias("free")).alias("s"),
+    )
     g = s.groupBy("doc_id").agg(F.array_sort(F.collect_list("s")).alias("all"))
-    start = F.struct(F.array().cast("array<int>").alias("c"), F.array().cast("array<struct<section_id:string,number:string,level:int>>").alias("out"))
+    start = F.struct(
+        F.array().cast("array<int>").alias("c"),
+        F.array().cast("array<struct<section_id:string,number:string,level:int>>").alias("out"),
+    )
 
     def step(a: Column, x: Column) -> Column:
         depth = F.least(x["level"], F.size(a["c"]) + 1)
-        counted = F.concat(F.slice(a["c"], F.lit(1), F.greatest(depth - 1, F.lit(0))), F.array(F.coalesce(F.get(a["c"], depth - 1), F.lit(0)) + 1))
+        counted = F.concat(
+            F.slice(a["c"], F.lit(1), F.greatest(depth - 1, F.lit(0))),
+            F.array(F.coalesce(F.get(a["c"], depth - 1), F.lit(0)) + 1),
+        )
         row = lambda n, lv: F.struct(x["section_id"].alias("section_id"), n.alias("number"), lv.cast("int").alias("level"))
         number = F.array_join(counted.cast("array<string>"), ".")
-        return F.when(x["free"], F.struct(a["c"].alias("c"), F.array_append(a["out"], row(F.lit(""), F.lit(1))).alias("out"))).otherwise(F.struct(counted.alias("c"), F.array_append(a["out"], row(number, depth)).alias("out")))
+        return F.when(
+            x["free"], F.struct(a["c"].alias("c"), F.array_append(a["out"], row(F.lit(""), F.lit(1))).alias("out")),
+        ).otherwise(F.struct(counted.alias("c"), F.array_append(a["out"], row(number, depth)).alias("out")))
 
     r = g.select("doc_id", F.posexplode(F.aggregate("all", start, step)["out"]).alias("i", "r"))
     return r.select("doc_id", (F.col("i") + 1).alias("ord"), "r.section_id", "r.number", "r.level")
@@ -54,7 +74,9 @@ def added_sections(missing: DataFrame, sections: DataFrame) -> DataFrame:
     """Required sections that an issue's evidence names in «...» and the document lacks, numbered after its last top-level one."""
     name = F.regexp_extract("evidence", "«([^»]+)»", 1)
     have = sections.select("doc_id", folded("title").alias("t"))
-    m = missing.select("doc_id", "item_ord", name.alias("title")).where("title <> ''").withColumn("t", folded("title")).join(have, ["doc_id", "t"], "left_anti")
+    m = missing.select(
+        "doc_id", "item_ord", name.alias("title"),
+    ).where("title <> ''").withColumn("t", folded("title")).join(have, ["doc_id", "t"], "left_anti")
     top = sections.where(F.col("number").rlike(r"^\d+$")).groupBy("doc_id").agg(F.max(F.col("number").cast("int")).alias("top"))
     n = F.row_number().over(W.partitionBy("doc_id").orderBy("item_ord"))
     return m.join(top, "doc_id", "left").select("doc_id", "title", (F.coalesce("top", F.lit(0)) + n).cast("string").alias("number"))
@@ -81,13 +103,18 @@ def figure_captions(figs: DataFrame, anew: bool = True) -> DataFrame:
     place = F.row_number().over(W.partitionBy("doc_id").orderBy("ord"))
     f = figs.withColumn("n", place if anew else _number(FIGURE, place))
     title = _title(FIGURE, F.concat(F.lit(FIGURE_TITLE), "n"))
-    return f.select("doc_id", "ord", F.when(squeeze("caption") == "", F.lit("")).otherwise(F.concat(F.lit("Рисунок "), "n", F.lit(" - "), title)).alias("caption"))
+    return f.select(
+        "doc_id", "ord",
+        F.when(squeeze("caption") == "", F.lit("")).otherwise(F.concat(F.lit("Рисунок "), "n", F.lit(" - "), title)).alias("caption"),
+    )
 
 
 def table_captions(tabs: DataFrame, layout: DataFrame) -> DataFrame:
     """'Таблица n - title' with the caption's own number, else the table's place; 'X.k' counted for each appendix; a caption without a title gets a made-up one."""
     place = F.row_number().over(W.partitionBy("doc_id").orderBy("ord"))
-    t = tabs.withColumn("i", place - 1).join(layout.select("doc_id", F.col("table_index").alias("i"), "appendix_letter"), ["doc_id", "i"], "left")
+    t = tabs.withColumn("i", place - 1).join(
+        layout.select("doc_id", F.col("table_index").alias("i"), "appendix_letter"), ["doc_id", "i"], "left",
+    )
     k = F.row_number().over(W.partitionBy("doc_id", "appendix_letter").orderBy("ord"))
     own = F.col("appendix_letter").isNull()
     t = t.withColumn("n", F.when(own, _number(TABLE, F.col("i") + 1).cast("string")).otherwise(F.concat("appendix_letter", F.lit("."), k)))
@@ -99,14 +126,19 @@ def fixed_headings(sections: DataFrame) -> DataFrame:
     """Trailing periods go; structural titles are upper-cased and lose their number."""
     t = F.regexp_replace(squeeze("title"), r"\.+$", "")
     structural = folded(t).isin(STRUCTURAL)
-    return sections.select("doc_id", "ord", "section_id", F.when(structural, F.upper(t)).otherwise(t).alias("title"), F.when(structural, "").otherwise(F.col("number")).alias("number"))
+    return sections.select(
+        "doc_id", "ord", "section_id", F.when(structural, F.upper(t)).otherwise(t).alias("title"),
+        F.when(structural, "").otherwise(F.col("number")).alias("number"),
+    )
 
 
 def formula_numbers(forms: DataFrame) -> DataFrame:
     """The number each formula should have, counted over all: n, or X.k in an appendix; and its normal text."""
     k = F.row_number().over(W.partitionBy("doc_id", "appendix_letter").orderBy("ord"))
     want = F.when(F.col("appendix_letter").isNull(), k.cast("string")).otherwise(F.concat("appendix_letter", F.lit("."), k))
-    bare = F.trim(F.regexp_replace(F.regexp_replace("text", r"\s*\((?:[А-ЯЁA-Z]\.)?\d+(?:\.\d+)*\)\s*$", ""), r"(?<=\S)\s+\d+(?:\.\d+)*\s*$", ""))
+    bare = F.trim(
+        F.regexp_replace(F.regexp_replace("text", r"\s*\((?:[А-ЯЁA-Z]\.)?\d+(?:\.\d+)*\)\s*$", ""), r"(?<=\S)\s+\d+(?:\.\d+)*\s*$", "")
+    )
     return forms.select("doc_id", "ord", want.alias("number"), F.concat(bare, F.lit(" ("), want, F.lit(")")).alias("text"))
 
 
@@ -126,14 +158,21 @@ def reference_inserted(prev: Column, number: Column) -> Column:
     bare = F.regexp(prev, F.concat(F.lit(r"(?iu)формул\p{L}*\s+"), number, F.lit(r"(?!\d)")))
     added = F.regexp_replace(prev, F.concat(F.lit(r"(?iu)(формул\p{L}*)\s+("), number, F.lit(r")(?!\d)")), F.lit("$1 ($2)"))
     open_ = prev.rlike(r"(?iu)по формуле:\s*$")
-    return F.when(ok, prev).when(bare, added).when(open_, F.regexp_replace(prev, F.lit(r"(?u):\s*$"), F.concat(F.lit(" ("), number, F.lit("):")))).otherwise(F.concat(F.trim(prev), F.lit(" Расчет ведут по формуле ("), number, F.lit(").")))
+    return F.when(ok, prev).when(bare, added).when(
+        open_, F.regexp_replace(prev, F.lit(r"(?u):\s*$"), F.concat(F.lit(" ("), number, F.lit("):"))),
+    ).otherwise(F.concat(F.trim(prev), F.lit(" Расчет ведут по формуле ("), number, F.lit(").")))
 
 
 def refreshed_sections(sections: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """Section texts from their paragraphs in order; a section with an empty text stays empty."""
-    p = paragraphs.groupBy("doc_id", "section_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "\n\n").alias("body"))
+    p = paragraphs.groupBy("doc_id", "section_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "\n\n").alias("body")
+    )
     j = sections.join(p, ["doc_id", "section_id"], "left")
-    return j.select("doc_id", "ord", "section_id", F.when(F.coalesce("text", F.lit("")) == "", F.lit("")).otherwise(F.coalesce("body", "text")).alias("text"))
+    return j.select(
+        "doc_id", "ord", "section_id",
+        F.when(F.coalesce("text", F.lit("")) == "", F.lit("")).otherwise(F.coalesce("body", "text")).alias("text"),
+    )
 
 
 def _mapped(c: Column, table: dict[str, str]) -> Column:
@@ -146,17 +185,28 @@ def _mapped(c: Column, table: dict[str, str]) -> Column:
 def edit_plan(issues: DataFrame, drawings: DataFrame | None = None) -> DataFrame:
     """(doc_id, paragraph_index, op, arg, step): the edits that issues ask for, formulas from the end backwards so that inserts don't move later targets; paragraphs with drawings are left alone."""
     op, arg = _mapped(F.col("subtype"), EDITS), _mapped(F.col("subtype"), ALIGN)
-    e = issues.select("doc_id", "paragraph_index", F.when(arg.isNotNull(), "align").otherwise(op).alias("op"), arg.alias("arg"), "subtype").where("op is not null")
+    e = issues.select(
+        "doc_id", "paragraph_index", F.when(arg.isNotNull(), "align").otherwise(op).alias("op"), arg.alias("arg"),
+        "subtype",
+    ).where("op is not null")
     if drawings is not None:
         e = e.join(drawings.select("doc_id", "paragraph_index"), ["doc_id", "paragraph_index"], "left_anti")
     e = e.select("doc_id", "paragraph_index", "op", "arg").distinct()
-    return e.withColumn("step", F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("paragraph_index").desc_nulls_last(), "op", "arg")))
+    return e.withColumn(
+        "step",
+        F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("paragraph_index").desc_nulls_last(), "op", "arg")),
+    )
 
 
 def docx_lines(sections: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """(doc_id, line, text): what a new file holds, one line each: headings with their number, then their paragraphs."""
-    h = sections.select("doc_id", F.col("ord").alias("s"), F.lit(0).alias("p"), F.trim(F.concat_ws(" ", F.nullif("number", F.lit("")), "title")).alias("text"))
-    b = paragraphs.join(sections.select("doc_id", "section_id", F.col("ord").alias("s")), ["doc_id", "section_id"]).select("doc_id", "s", F.col("ord").alias("p"), "text")
+    h = sections.select(
+        "doc_id", F.col("ord").alias("s"), F.lit(0).alias("p"),
+        F.trim(F.concat_ws(" ", F.nullif("number", F.lit("")), "title")).alias("text"),
+    )
+    b = paragraphs.join(
+        sections.select("doc_id", "section_id", F.col("ord").alias("s")), ["doc_id", "section_id"],
+    ).select("doc_id", "s", F.col("ord").alias("p"), "text")
     every = h.unionByName(b).where("text <> ''")
     return every.select("doc_id", F.row_number().over(W.partitionBy("doc_id").orderBy("s", "p")).alias("line"), "text")
 
@@ -174,15 +224,22 @@ SENTENCES = [
 def sections_to_add(issues: DataFrame, sections: DataFrame) -> DataFrame:
     """(doc_id, n, number, title, text): required sections that issues name and the document lacks, then a list of sources where one is missing."""
     lacking = issues.where("subtype = 'missing_required_section'").withColumn("item_ord", F.col("ord"))
-    named = added_sections(lacking, sections).groupBy("doc_id", "title").agg(F.min(F.col("number").cast("int")).alias("turn")).select("doc_id", F.lit(0).alias("late"), "turn", "title", F.lit(BODY).alias("text"))
+    named = added_sections(lacking, sections).groupBy("doc_id", "title").agg(F.min(F.col("number").cast("int")).alias("turn")).select(
+        "doc_id", F.lit(0).alias("late"), "turn", "title", F.lit(BODY).alias("text"),
+    )
     have = sections.where(F.lower("title").rlike("источ|литератур")).select("doc_id")
-    listed = issues.where("subtype = 'missing_references_section'").select("doc_id").distinct().join(have, "doc_id", "left_anti").select("doc_id", F.lit(1).alias("late"), F.lit(0).alias("turn"), F.lit(SOURCES[0]).alias("title"), F.lit(SOURCES[1]).alias("text"))
+    listed = issues.where("subtype = 'missing_references_section'").select("doc_id").distinct().join(have, "doc_id", "left_anti").select(
+        "doc_id", F.lit(1).alias("late"), F.lit(0).alias("turn"), F.lit(SOURCES[0]).alias("title"),
+        F.lit(SOURCES[1]).alias("text"),
+    )
     # a list of sources that was asked for by name is there already
     asked = named.where(F.lower("title").rlike("источ|литератур")).select("doc_id")
     new = named.unionByName(listed.join(asked, "doc_id", "left_anti"))
     top = sections.where(F.col("number").rlike(r"^[0-9]+$")).groupBy("doc_id").agg(F.max(F.col("number").cast("int")).alias("top"))
     n = F.row_number().over(W.partitionBy("doc_id").orderBy("late", "turn", "title"))
-    return new.withColumn("n", n).join(top, "doc_id", "left").select("doc_id", "n", (F.coalesce("top", F.lit(0)) + F.col("n")).cast("string").alias("number"), "title", "text")
+    return new.withColumn("n", n).join(top, "doc_id", "left").select(
+        "doc_id", "n", (F.coalesce("top", F.lit(0)) + F.col("n")).cast("string").alias("number"), "title", "text",
+    )
 
 
 def sentences_to_add(issues: DataFrame, sections: DataFrame) -> DataFrame:
@@ -192,7 +249,9 @@ def sentences_to_add(issues: DataFrame, sections: DataFrame) -> DataFrame:
     for subtype, sentence in SENTENCES:
         table = F.when(F.col("subtype") == subtype, F.lit(sentence)).otherwise(table)
     order = F.array_position(F.array(*(F.lit(x) for x, _ in SENTENCES)), F.col("subtype"))
-    asked = issues.where(F.col("subtype").isin([x for x, _ in SENTENCES])).select("doc_id", order.alias("turn"), table.alias("text")).distinct().join(first, "doc_id")
+    asked = issues.where(F.col("subtype").isin([x for x, _ in SENTENCES])).select(
+        "doc_id", order.alias("turn"), table.alias("text"),
+    ).distinct().join(first, "doc_id")
     asked = asked.where(~F.contains(F.coalesce("s.text", F.lit("")), F.col("text")))
     return asked.select("doc_id", "s.section_id", F.row_number().over(W.partitionBy("doc_id").orderBy("turn")).alias("n"), "text")
 
@@ -203,19 +262,34 @@ def completed(issues: DataFrame, sections: DataFrame, paragraphs: DataFrame) ->
     size = lambda df: df.groupBy("doc_id").agg(F.count(F.lit(1)).alias("have"), F.max("ord").alias("last"))
     many = lambda c: F.coalesce(c, F.lit(0))
     placed = new.join(size(sections), "doc_id", "left").withColumn("k", many("have") + F.col("n"))
-    placed = placed.select("doc_id", "n", (many("last") + F.col("n")).cast("int").alias("ord"), F.concat(F.lit("sec_auto_"), "k").alias("section_id"), "number", "title", F.lit(1).alias("level"), "text")
+    placed = placed.select(
+        "doc_id", "n", (many("last") + F.col("n")).cast("int").alias("ord"),
+        F.concat(F.lit("sec_auto_"), "k").alias("section_id"), "number", "title", F.lit(1).alias("level"), "text",
+    )
     body = said.groupBy("doc_id", "section_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), "\n\n").alias("more"))  # three at most
     grown = sections.join(body, ["doc_id", "section_id"], "left")
-    text = F.when(F.col("more").isNull(), F.col("text")).when(blank("text"), F.col("more")).otherwise(F.concat("text", F.lit("\n\n"), "more"))
+    text = F.when(F.col("more").isNull(), F.col("text")).when(blank("text"), F.col("more")).otherwise(
+        F.concat("text", F.lit("\n\n"), "more")
+    )
     s = grown.withColumn("text", text).select(sections.columns).unionByName(placed.select(sections.columns))
-    lines = placed.select("doc_id", F.lit(0).alias("late"), "n", "section_id", "text").unionByName(said.select("doc_id", F.lit(1).alias("late"), "n", "section_id", "text"))
-    lines = lines.withColumn("n", F.row_number().over(W.partitionBy("doc_id").orderBy("late", "n"))).join(size(paragraphs), "doc_id", "left")
+    lines = placed.select("doc_id", F.lit(0).alias("late"), "n", "section_id", "text").unionByName(
+        said.select("doc_id", F.lit(1).alias("late"), "n", "section_id", "text")
+    )
+    lines = lines.withColumn(
+        "n", F.row_number().over(W.partitionBy("doc_id").orderBy("late", "n")),
+    ).join(size(paragraphs), "doc_id", "left")
     k = (many("have") + F.col("n")).cast("int")
-    lines = lines.select("doc_id", (many("last") + F.col("n")).cast("int").alias("ord"), F.concat(F.lit("p_auto_"), k).alias("paragraph_id"), "section_id", "text", F.lit(None).cast("int").alias("page"), k.alias("paragraph_index"))
+    lines = lines.select(
+        "doc_id", (many("last") + F.col("n")).cast("int").alias("ord"),
+        F.concat(F.lit("p_auto_"), k).alias("paragraph_id"), "section_id", "text",
+        F.lit(None).cast("int").alias("page"), k.alias("paragraph_index"),
+    )
     return s, paragraphs.unionByName(lines.select(paragraphs.columns))
 
 
 def missing_captions(items: DataFrame, fixed: DataFrame) -> DataFrame:
     """(doc_id, n, caption): captions that items got where they had none, in order, for lines at the document's end."""
-    j = items.where(blank("caption")).select("doc_id", "ord").join(fixed.select("doc_id", "ord", "caption"), ["doc_id", "ord"]).where(~blank("caption"))
+    j = items.where(blank("caption")).select("doc_id", "ord").join(
+        fixed.select("doc_id", "ord", "caption"), ["doc_id", "ord"],
+    ).where(~blank("caption"))
     return j.select("doc_id", F.row_number().over(W.partitionBy("doc_id").orderBy("ord")).alias("n"), "caption")

@@ -20,11 +20,17 @@ NUMBER = r"(\d+(?:\.\d+)*)"
 TABLE = r"^Таблица\s+(?:[А-ЯЁA-Z]\.)?\d+(?:\.\d+)*\s*[—–-]\s*(.+)$"
 DASH = r" [-—–] "
 APPENDIX = r"(?iu)^приложение(\s+[А-ЯЁA-Z](?![\p{L}]))?(\s*[-–—]\s*.+|\s+.+)?$"
-STRUCTURAL = ["содержание", "оглавление", "реферат", "список использованных источников", "список литературы", "библиографический список", "источники и литература"]
+STRUCTURAL = [
+    "содержание", "оглавление", "реферат", "список использованных источников", "список литературы",
+    "библиографический список", "источники и литература",
+]
 CONTENTS = ["содержание", "оглавление"]
 REFERENCES = ["список использованных источников", "список литературы", "библиограф", "библиографический список", "источники и литература"]
 TITLE_ORGANISATION = ["министерство", "университет", "институт", "академия", "кафедра", "факультет", "колледж"]
-TITLE_DOCUMENT = ["отчет", "пояснительная записка", "курсовая работа", "дипломная работа", "выпускная квалификационная работа", "лабораторная работа", "проект"]
+TITLE_DOCUMENT = [
+    "отчет", "пояснительная записка", "курсовая работа", "дипломная работа", "выпускная квалификационная работа",
+    "лабораторная работа", "проект",
+]
 TITLE_SIGNATURE = ["выполнил", "проверил", "руководитель", "нормоконтроль", "студент", "группа"]
 TITLE_CENTRE = ["отчет", "тема", "работа", "проект"]
 TITLE_KEYWORDS = ["отчет", "тема", "выполнил", "проверил", "руководитель", "университет", "кафедра"]
@@ -75,14 +81,31 @@ RULE_OF = {
     "body_text_not_justified": [("title_page", "formatting")],
     "invalid_page_size": [_REPORT, _APPENDIX],
     "invalid_page_margins": [_REPORT, _APPENDIX],
-    **{k: [_REPORT, ("report", "any")] for k in ("missing_page_numbering", "page_number_not_centered", "page_number_in_header", "title_page_number_visible", "page_numbering_restart")},
-    **{k: [_REPORT, _APPENDIX] for k in ("invalid_first_line_indent", "invalid_line_spacing", "invalid_font_size", "invalid_font_family", "invalid_font_color", "unexpected_bold_text")},
+    **{
+        k: [_REPORT, ("report", "any")] for k in (
+            "missing_page_numbering", "page_number_not_centered", "page_number_in_header", "title_page_number_visible",
+            "page_numbering_restart",
+        )
+    },
+    **{
+        k: [_REPORT, _APPENDIX] for k in (
+            "invalid_first_line_indent", "invalid_line_spacing", "invalid_font_size", "invalid_font_family",
+            "invalid_font_color", "unexpected_bold_text",
+        )
+    },
     "invalid_enumeration_marker": [_REPORT],
     "enumeration_indent_invalid": [_REPORT],
     "missing_references_section": [("references", "required_presence")],
     "empty_references_section": [("references", "formatting"), ("references", "required_presence")],
     "heading_trailing_period": [("heading", "generic"), _HEADING],
-    **{k: [_HEADING] for k in ("empty_section_heading", "appendix_heading_not_centered", "appendix_heading_single_line", "structural_heading_numbered", "structural_heading_not_uppercase", "structural_heading_not_centered", "structural_heading_has_indent", "structural_heading_invalid_font_color", "main_heading_centered", "main_heading_indent_invalid", "heading_invalid_font_color")},
+    **{
+        k: [_HEADING] for k in (
+            "empty_section_heading", "appendix_heading_not_centered", "appendix_heading_single_line",
+            "structural_heading_numbered", "structural_heading_not_uppercase", "structural_heading_not_centered",
+            "structural_heading_has_indent", "structural_heading_invalid_font_color", "main_heading_centered",
+            "main_heading_indent_invalid", "heading_invalid_font_color",
+        )
+    },
     "missing_section_number": [("section", "numbering")],
     "invalid_appendix_heading": [_APPENDIX],
     "missing_appendix_reference": [("appendix", "reference_required")],
@@ -110,7 +133,11 @@ def issue(df: DataFrame, subtype: str, severity: str) -> DataFrame:
 
 def found(df: DataFrame, checks: list[tuple[str, str, Column]]) -> DataFrame:
     """Rows of df times the checks (subtype, severity, predicate) that hold."""
-    every = F.array_compact(F.array(*[F.when(F.coalesce(p, F.lit(False)), F.struct(F.lit(s).alias("subtype"), F.lit(v).alias("severity"))) for s, v, p in checks]))
+    every = F.array_compact(
+        F.array(
+            *[F.when(F.coalesce(p, F.lit(False)), F.struct(F.lit(s).alias("subtype"), F.lit(v).alias("severity"))) for s, v, p in checks]
+        )
+    )
     return df.select("doc_id", "ord", *place(df), F.explode(every).alias("x")).select("doc_id", "ord", *PLACE, "x.subtype", "x.severity")
 
 
@@ -136,7 +163,9 @@ def rules_of_issues(rules: DataFrame) -> DataFrame:
 
 def with_rules(issues: DataFrame, docs: DataFrame, rules: DataFrame) -> DataFrame:
     """Issues with the rule_id and quote of their document's standard; those that need a rule go where it has none."""
-    j = issues.join(docs.select("doc_id", "standard_id"), "doc_id", "left").join(rules_of_issues(rules), ["standard_id", "subtype"], "left").drop("standard_id")
+    j = issues.join(docs.select("doc_id", "standard_id"), "doc_id", "left").join(
+        rules_of_issues(rules), ["standard_id", "subtype"], "left",
+    ).drop("standard_id")
     return j.where(~F.col("subtype").isin(*GATED) | F.col("rule_id").isNotNull())
 
 
@@ -163,17 +192,23 @@ def figure_numbering(figs: DataFrame) -> DataFrame:
     n = n.withColumn("copy", F.row_number().over(W.partitionBy("doc_id", "number").orderBy("ord")))
     firsts = n.where("copy = 1")
     by = W.partitionBy("doc_id").orderBy("ord")
-    firsts = firsts.withColumn("i", F.row_number().over(by)).withColumn("whole", F.when(F.col("number").rlike(r"^\d+$"), F.col("number").cast("int")))
+    firsts = firsts.withColumn("i", F.row_number().over(by)).withColumn(
+        "whole", F.when(F.col("number").rlike(r"^\d+$"), F.col("number").cast("int")),
+    )
     past = by.rowsBetween(W.unboundedPreceding, -1)
     last = F.last(F.when(F.col("whole").isNotNull(), F.struct("whole", "i")), True).over(past)
     firsts = firsts.withColumn("expected", F.coalesce(last["whole"], F.lit(0)) + F.col("i") - F.coalesce(last["i"], F.lit(0)))
     bad = firsts.where(F.col("number") != F.col("expected").cast("string")).select("doc_id", "ord", *place(n), "number")
-    return n.where("copy > 1").select("doc_id", "ord", *place(n), "number").unionByName(bad).withColumn("subtype", F.lit("figure_numbering_error")).withColumn("severity", F.lit("warning"))
+    return n.where("copy > 1").select("doc_id", "ord", *place(n), "number").unionByName(bad).withColumn(
+        "subtype", F.lit("figure_numbering_error"),
+    ).withColumn("severity", F.lit("warning"))
 
 
 def _said(docs_: DataFrame, sections: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """(doc_id, t): all paragraphs and section texts, lower-cased."""
-    return paragraphs.select("doc_id", F.lower(squeeze("text")).alias("t")).unionByName(sections.select("doc_id", F.lower(squeeze("text")).alias("t")))
+    return paragraphs.select("doc_id", F.lower(squeeze("text")).alias("t")).unionByName(
+        sections.select("doc_id", F.lower(squeeze("text")).alias("t"))
+    )
 
 
 def unmentioned(items: DataFrame, sections: DataFrame, paragraphs: DataFrame) -> DataFrame:
@@ -182,20 +217,32 @@ def unmentioned(items: DataFrame, sections: DataFrame, paragraphs: DataFrame) ->
     It does if it holds a fragment of 8 characters or more, or one of the words of GENERIC that a fragment holds.
     """
     f = items.withColumn("f", F.transform("fragments", lambda x: F.lower(squeeze(x))))
-    asked = F.concat(F.filter("f", lambda x: F.length(x) >= 8), F.filter(F.array(*map(F.lit, GENERIC)), lambda w: F.exists(F.col("f"), lambda x: F.contains(x, w))))
+    asked = F.concat(
+        F.filter("f", lambda x: F.length(x) >= 8),
+        F.filter(F.array(*map(F.lit, GENERIC)), lambda w: F.exists(F.col("f"), lambda x: F.contains(x, w))),
+    )
     f = f.withColumn("asked", F.array_distinct(asked))
-    hit = f.select("doc_id", "ord", "asked").join(_said(items, sections, paragraphs), "doc_id").where(F.exists("asked", lambda a: F.contains(F.col("t"), a)))
+    hit = f.select("doc_id", "ord", "asked").join(_said(items, sections, paragraphs), "doc_id").where(
+        F.exists("asked", lambda a: F.contains(F.col("t"), a))
+    )
     return f.join(hit.select("doc_id", "ord").distinct(), ["doc_id", "ord"], "left_anti").drop("f", "asked")
 
 
 def figure_references(figs: DataFrame, sections: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """Figures with a caption that nothing refers to: no text before them names a figure and their number; those without a place are judged on the whole document."""
     f = figs.where(~blank("caption")).withColumn("number", F.regexp_extract(squeeze("caption"), NUMBER, 1))
-    p = paragraphs.where("paragraph_index is not null").select("doc_id", F.col("paragraph_index").alias("at"), F.lower(squeeze("text")).alias("t"))
+    p = paragraphs.where("paragraph_index is not null").select(
+        "doc_id", F.col("paragraph_index").alias("at"), F.lower(squeeze("text")).alias("t"),
+    )
     j = f.where("paragraph_index is not null").join(p, "doc_id").where("at < paragraph_index")
-    g = j.groupBy("doc_id", "ord").agg(F.max(F.contains("t", F.lit("рис"))).alias("word"), F.max((F.col("number") == "") | F.contains("t", "number")).alias("numbered"))
+    g = j.groupBy("doc_id", "ord").agg(
+        F.max(F.contains("t", F.lit("рис"))).alias("word"),
+        F.max((F.col("number") == "") | F.contains("t", "number")).alias("numbered"),
+    )
     placed = f.where("paragraph_index is not null").join(g.where("word and numbered"), ["doc_id", "ord"], "left_anti").drop("number")
-    loose = f.where("paragraph_index is null").drop("number").withColumn("fragments", F.array(F.lit("рисунок"), F.lit("рис."), F.lit("рис"), F.col("caption")))
+    loose = f.where("paragraph_index is null").drop("number").withColumn(
+        "fragments", F.array(F.lit("рисунок"), F.lit("рис."), F.lit("рис"), F.col("caption")),
+    )
     return issue(placed.unionByName(unmentioned(loose, sections, paragraphs).drop("fragments")), "missing_figure_reference", "info")
 
 
@@ -207,8 +254,14 @@ def table_references(tabs: DataFrame, sections: DataFrame, paragraphs: DataFrame
 def tables(tabs: DataFrame, layout: DataFrame) -> DataFrame:
     """Captions, with the layout found by the caption's index, else by the table's place in the document."""
     t = tabs.withColumn("i", F.row_number().over(W.partitionBy("doc_id").orderBy("ord")) - 1)
-    l1 = layout.select("doc_id", F.col("caption_paragraph_index").alias("paragraph_index"), F.struct("caption_position", "header_text", "header_alignment", "appendix_letter").alias("a"))
-    l2 = layout.select("doc_id", F.col("table_index").alias("i"), F.struct("caption_position", "header_text", "header_alignment", "appendix_letter").alias("b"))
+    l1 = layout.select(
+        "doc_id", F.col("caption_paragraph_index").alias("paragraph_index"),
+        F.struct("caption_position", "header_text", "header_alignment", "appendix_letter").alias("a"),
+    )
+    l2 = layout.select(
+        "doc_id", F.col("table_index").alias("i"),
+        F.struct("caption_position", "header_text", "header_alignment", "appendix_letter").alias("b"),
+    )
     t = t.join(l1, ["doc_id", "paragraph_index"], "left").join(l2, ["doc_id", "i"], "left").withColumn("l", F.coalesce("a", "b"))
     none = blank("caption")
     return found(t, [
@@ -217,7 +270,13 @@ def tables(tabs: DataFrame, layout: DataFrame) -> DataFrame:
         ("table_caption_below_table", "warning", ~none & (F.col("l.caption_position") == "below")),
         ("invalid_table_header_punctuation", "warning", ~none & squeeze("l.header_text").endswith(".")),
         ("table_header_alignment", "info", ~none & (F.col("l.header_alignment") != "center")),
-        ("appendix_table_caption_format", "warning", ~none & F.col("l.appendix_letter").isNotNull() & ~F.regexp(squeeze("caption"), F.concat(F.lit(r"(?iu)^таблица\s+"), F.col("l.appendix_letter"), F.lit(r"\.\d+\s*[—–-]\s*.+$")))),
+        (
+            "appendix_table_caption_format", "warning",
+            ~none & F.col("l.appendix_letter").isNotNull() & ~F.regexp(
+                squeeze("caption"),
+                F.concat(F.lit(r"(?iu)^таблица\s+"), F.col("l.appendix_letter"), F.lit(r"\.\d+\s*[—–-]\s*.+$")),
+            ),
+        ),
     ])
 
 
@@ -229,7 +288,9 @@ def _formula_ids(forms: DataFrame) -> DataFrame:
 def formulas(forms: DataFrame) -> DataFrame:
     number = F.coalesce("equation_number", F.lit(""))
     k = F.row_number().over(W.partitionBy("doc_id", "appendix_letter").orderBy("ord"))
-    want = forms.where("equation_number is not null and appendix_letter is not null").select("doc_id", "ord", F.concat("appendix_letter", F.lit("."), k).alias("want"))
+    want = forms.where("equation_number is not null and appendix_letter is not null").select(
+        "doc_id", "ord", F.concat("appendix_letter", F.lit("."), k).alias("want"),
+    )
     f = _formula_ids(forms.join(want, ["doc_id", "ord"], "left"))
     after, own = squeeze("next_text"), squeeze("text")
     where = F.lower(after).startswith("где")
@@ -253,8 +314,13 @@ def formula_numbering(forms: DataFrame) -> DataFrame:
     """Among whole numbers, of which there must be two: repeats, and those that aren't one more than the last."""
     n = forms.where(F.col("equation_number").rlike(r"^\d+$")).withColumn("n", F.col("equation_number").cast("int"))
     by = W.partitionBy("doc_id")
-    n = n.withColumn("many", F.count(F.lit(1)).over(by)).withColumn("copy", F.row_number().over(W.partitionBy("doc_id", "n").orderBy("ord"))).withColumn("before", F.coalesce(F.lag("n").over(by.orderBy("ord")), F.lit(0)))
-    return issue(_formula_ids(n.where((F.col("many") >= 2) & ((F.col("copy") > 1) | (F.col("n") != F.col("before") + 1)))), "formula_numbering_error", "warning")
+    n = n.withColumn("many", F.count(F.lit(1)).over(by)).withColumn(
+        "copy", F.row_number().over(W.partitionBy("doc_id", "n").orderBy("ord")),
+    ).withColumn("before", F.coalesce(F.lag("n").over(by.orderBy("ord")), F.lit(0)))
+    return issue(
+        _formula_ids(n.where((F.col("many") >= 2) & ((F.col("copy") > 1) | (F.col("n") != F.col("before") + 1)))),
+        "formula_numbering_error", "warning",
+    )
 
 
 def formula_references(forms: DataFrame, paragraphs: DataFrame) -> DataFrame:
@@ -265,8 +331,14 @@ def formula_references(forms: DataFrame, paragraphs: DataFrame) -> DataFrame:
     ok = F.regexp(F.col("t"), F.concat(F.lit(r"(?iu)формул\p{L}*\s*\("), num, F.lit(r"\)")))
     bare = F.regexp(F.col("t"), F.concat(F.lit(r"(?iu)формул\p{L}*\s*"), num, F.lit(r"(?!\d)")))
     j = f.join(p, "doc_id", "left").withColumn("t", F.when(F.col("at") < F.col("paragraph_index"), F.col("t")))
-    g = j.groupBy("doc_id", "ord").agg(F.max(F.coalesce(ok, F.lit(False)).cast("int")).alias("ok"), F.max(F.coalesce(bare, F.lit(False)).cast("int")).alias("bare"))
-    return g.select("doc_id", "ord", F.when(F.col("ok") == 1, "ok").when(F.col("bare") == 1, "invalid").otherwise("missing").alias("status"))
+    g = j.groupBy("doc_id", "ord").agg(
+        F.max(F.coalesce(ok, F.lit(False)).cast("int")).alias("ok"),
+        F.max(F.coalesce(bare, F.lit(False)).cast("int")).alias("bare"),
+    )
+    return g.select(
+        "doc_id", "ord",
+        F.when(F.col("ok") == 1, "ok").when(F.col("bare") == 1, "invalid").otherwise("missing").alias("status"),
+    )
 
 
 def _pool(sections: DataFrame, paragraphs: DataFrame, layout: DataFrame | None) -> DataFrame:
@@ -295,13 +367,17 @@ def title_pages(layout: DataFrame) -> DataFrame:
     They score for an organisation, a kind of document, a signature, a centred title word, a signature on the right and
     a year, and for four of the usual words; or they have six lines, some centred or on the right, and one of these.
     """
-    l = layout.withColumn("n", F.row_number().over(W.partitionBy("doc_id").orderBy("paragraph_index"))).where("n <= 30").where(~blank("text")).withColumn("t", F.lower(squeeze("text")))
+    l = layout.withColumn(
+        "n", F.row_number().over(W.partitionBy("doc_id").orderBy("paragraph_index")),
+    ).where("n <= 30").where(~blank("text")).withColumn("t", F.lower(squeeze("text")))
     flag = lambda c: F.max(F.coalesce(c, F.lit(False)).cast("int"))
     t, mid, right = F.col("t"), F.col("alignment") == "center", F.col("alignment") == "right"
     g = l.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("lines"), F.count_if(mid).alias("centred"), F.count_if(right).alias("righted"),
         flag(_says(t, TITLE_ORGANISATION)).alias("org"), flag(_says(t, TITLE_DOCUMENT)).alias("kind"), flag(_says(t, TITLE_SIGNATURE)).alias("signed"),
-        flag(mid & _says(t, TITLE_CENTRE)).alias("mid"), flag(right & _says(t, TITLE_SIGNATURE)).alias("side"), flag(t.rlike(TITLE_YEAR)).alias("year"),
+        flag(mid & _says(t, TITLE_CENTRE)).alias("mid"), flag(
+            right & _says(t, TITLE_SIGNATURE)
+        ).alias("side"), flag(t.rlike(TITLE_YEAR)).alias("year"),
         *(flag(F.contains("t", F.lit(w))).alias(f"w{i}") for i, w in enumerate(TITLE_KEYWORDS)),
     )
     words = sum((F.col(f"w{i}") for i in range(len(TITLE_KEYWORDS))), F.lit(0))
@@ -312,12 +388,17 @@ def title_pages(layout: DataFrame) -> DataFrame:
 
 
 def missing_title_page(docs: DataFrame, layout: DataFrame) -> DataFrame:
-    return issue(docs.join(title_pages(layout), "doc_id", "left_anti").select("doc_id", F.lit(0).alias("ord"), F.lit(1).alias("page")), "missing_title_page", "warning")
+    return issue(
+        docs.join(title_pages(layout), "doc_id", "left_anti").select("doc_id", F.lit(0).alias("ord"), F.lit(1).alias("page")),
+        "missing_title_page", "warning",
+    )
 
 
 def not_justified(layout: DataFrame) -> DataFrame:
     """Documents with a title page in which many long lines that aren't centred or right, three at least, are not justified."""
-    l = layout.join(title_pages(layout), "doc_id", "left_semi").where((F.length("text") >= 80) & ~F.coalesce("alignment", F.lit("")).isin("center", "right"))
+    l = layout.join(title_pages(layout), "doc_id", "left_semi").where(
+        (F.length("text") >= 80) & ~F.coalesce("alignment", F.lit("")).isin("center", "right")
+    )
     g = l.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("alignment", F.lit("")) != "justify").alias("bad"))
     g = g.where(F.col("bad") >= F.greatest(F.lit(3), F.expr("n div 2"))).select("doc_id", F.lit(0).alias("ord"), F.lit(1).alias("page"))
     return issue(g, "body_text_not_justified", "info")
@@ -329,7 +410,10 @@ def page_size(pages: DataFrame) -> DataFrame:
     for w, h in PAGES:
         ok = ok | ((F.abs(a - w) <= PAGE_TOLERANCE) & (F.abs(b - h) <= PAGE_TOLERANCE))
     known = F.col("page_width_mm").isNotNull() & F.col("page_height_mm").isNotNull()
-    return found(pages.withColumn("ord", F.col("section_index")).withColumn("page", F.lit(1)), [("invalid_page_size", "warning", known & ~ok)])
+    return found(
+        pages.withColumn("ord", F.col("section_index")).withColumn("page", F.lit(1)),
+        [("invalid_page_size", "warning", known & ~ok)],
+    )
 
 
 def margins(pages: DataFrame) -> DataFrame:
@@ -344,7 +428,9 @@ def page_numbering(numbering: DataFrame) -> DataFrame:
     yes = lambda c: F.max(F.coalesce(c, F.lit(False)).cast("int")) == 1
     first = F.min_by(F.struct("different_first_page", "first_footer_field"), "section_index")
     g = numbering.groupBy("doc_id").agg(
-        yes(F.col("footer_field")).alias("any"), yes(F.col("footer_field") & (F.col("footer_alignment") != "center")).alias("off"), yes(F.col("header_field")).alias("head"), first.alias("first"),
+        yes(F.col("footer_field")).alias("any"), yes(
+            F.col("footer_field") & (F.col("footer_alignment") != "center")
+        ).alias("off"), yes(F.col("header_field")).alias("head"), first.alias("first"),
         yes((F.col("section_index") > 0) & F.col("page_number_start").isNotNull() & (F.col("page_number_start") != 0)).alias("restart"),
     ).withColumn("ord", F.lit(0)).withColumn("page", F.lit(1))
     some = F.col("any") | F.col("head")
@@ -352,7 +438,10 @@ def page_numbering(numbering: DataFrame) -> DataFrame:
         ("missing_page_numbering", "warning", ~some),
         ("page_number_not_centered", "warning", some & F.col("off")),
         ("page_number_in_header", "warning", F.col("head")),
-        ("title_page_number_visible", "warning", some & (~F.coalesce("first.different_first_page", F.lit(False)) | F.coalesce("first.first_footer_field", F.lit(False)))),
+        (
+            "title_page_number_visible", "warning",
+            some & (~F.coalesce("first.different_first_page", F.lit(False)) | F.coalesce("first.first_footer_field", F.lit(False))),
+        ),
         ("page_numbering_restart", "warning", some & F.col("restart")),
     ])
 
@@ -377,17 +466,31 @@ def enumerations(paragraphs: DataFrame, layout: DataFrame, heading_layout: DataF
     """Markers of enumerations; headings are none, and neither are lines that look like numbered ones."""
     p = paragraphs
     if heading_layout is not None:
-        p = p.join(heading_layout.select("doc_id", "paragraph_index").where("paragraph_index is not null").distinct(), ["doc_id", "paragraph_index"], "left_anti")
+        p = p.join(
+            heading_layout.select("doc_id", "paragraph_index").where("paragraph_index is not null").distinct(),
+            ["doc_id", "paragraph_index"], "left_anti",
+        )
     p = p.join(layout.select("doc_id", "paragraph_index", "first_line_indent_mm"), ["doc_id", "paragraph_index"], "left")
     t = squeeze("text")
     free = ~t.rlike(NUMBERED_HEADING)
     wrong, right = free & t.rlike(WRONG_MARKER), free & t.rlike(MARKER)
-    return found(p, [("invalid_enumeration_marker", "warning", wrong), ("enumeration_indent_invalid", "info", ~wrong & right & (F.abs(F.col("first_line_indent_mm") - INDENT) > INDENT_TOLERANCE))])
+    return found(
+        p,
+        [
+            ("invalid_enumeration_marker", "warning", wrong),
+            ("enumeration_indent_invalid", "info", ~wrong & right & (F.abs(F.col("first_line_indent_mm") - INDENT) > INDENT_TOLERANCE)),
+        ],
+    )
 
 
-def reference_section(docs: DataFrame, sections: DataFrame, paragraphs: DataFrame | None = None, layout: DataFrame | None = None) -> DataFrame:
+def reference_section(
+    docs: DataFrame, sections: DataFrame, paragraphs: DataFrame | None = None, layout: DataFrame | None = None,
+) -> DataFrame:
     """Documents without a list of sources, or with an empty one; one that only a paragraph mentions counts as empty."""
-    s = sections.where(_says(F.lower(squeeze("title")), REFERENCES)).groupBy("doc_id").agg(F.min_by("text", "ord").alias("text"), F.min_by("section_id", "ord").alias("section_id"), F.min("ord").alias("ord"))
+    s = sections.where(_says(F.lower(squeeze("title")), REFERENCES)).groupBy("doc_id").agg(
+        F.min_by("text", "ord").alias("text"), F.min_by("section_id", "ord").alias("section_id"),
+        F.min("ord").alias("ord"),
+    )
     d = docs.select("doc_id").join(s, "doc_id", "left")
     said = None
     for df in (paragraphs, layout):
@@ -398,7 +501,9 @@ def reference_section(docs: DataFrame, sections: DataFrame, paragraphs: DataFram
     d = d.join(said.distinct().withColumn("said", F.lit(True)), "doc_id", "left")
     absent, said_only = F.col("ord").isNull(), F.col("ord").isNull() & F.coalesce("said", F.lit(False))
     d = d.withColumn("none", absent & ~said_only).withColumn("bare", said_only | ~absent & (F.length(squeeze("text")) < 20))
-    d = d.withColumn("section_id", F.when(said_only, "sec_references_detected").otherwise(F.col("section_id"))).withColumn("ord", F.coalesce("ord", F.lit(0)))
+    d = d.withColumn(
+        "section_id", F.when(said_only, "sec_references_detected").otherwise(F.col("section_id")),
+    ).withColumn("ord", F.coalesce("ord", F.lit(0)))
     return found(d, [("missing_references_section", "warning", F.col("none")), ("empty_references_section", "warning", F.col("bare"))])
 
 
@@ -408,7 +513,12 @@ def _placed(s: DataFrame) -> DataFrame:
 
 
 def headings(sections: DataFrame, heading_layout: DataFrame) -> DataFrame:
-    s = _placed(sections.join(heading_layout.select("doc_id", "section_id", "alignment", F.col("paragraph_index").alias("at")), ["doc_id", "section_id"], "left"))
+    s = _placed(
+        sections.join(
+            heading_layout.select("doc_id", "section_id", "alignment", F.col("paragraph_index").alias("at")),
+            ["doc_id", "section_id"], "left",
+        )
+    )
     t = squeeze("title")
     structural, appendix = folded("title").isin(STRUCTURAL), folded("title").startswith("приложение")
     known = F.col("alignment").isNotNull()
@@ -428,13 +538,18 @@ def headings(sections: DataFrame, heading_layout: DataFrame) -> DataFrame:
 def heading_layouts(sections: DataFrame, heading_layout: DataFrame, layout: DataFrame) -> DataFrame:
     """Indent and colour of headings, from the layout of their paragraph."""
     at = layout.select("doc_id", "paragraph_index", "first_line_indent_mm", "has_non_black_text")
-    s = sections.drop("paragraph_index").join(heading_layout.select("doc_id", "section_id", "paragraph_index"), ["doc_id", "section_id"]).join(at, ["doc_id", "paragraph_index"])
+    s = sections.drop("paragraph_index").join(
+        heading_layout.select("doc_id", "section_id", "paragraph_index"), ["doc_id", "section_id"],
+    ).join(at, ["doc_id", "paragraph_index"])
     structural, appendix = folded("title").isin(STRUCTURAL), folded("title").startswith("приложение")
     indent = F.col("first_line_indent_mm")
     return found(s, [
         ("structural_heading_has_indent", "info", structural & (F.abs(indent) > 0.5)),
         ("structural_heading_invalid_font_color", "info", structural & F.col("has_non_black_text")),
-        ("main_heading_indent_invalid", "info", (squeeze("title") != "") & ~structural & ~appendix & F.coalesce(F.abs(indent - INDENT) > INDENT_TOLERANCE, F.lit(True))),
+        (
+            "main_heading_indent_invalid", "info",
+            (squeeze("title") != "") & ~structural & ~appendix & F.coalesce(F.abs(indent - INDENT) > INDENT_TOLERANCE, F.lit(True)),
+        ),
         ("heading_invalid_font_color", "info", (squeeze("title") != "") & ~structural & ~appendix & F.col("has_non_black_text")),
     ])
 
@@ -455,14 +570,19 @@ def missing_numbers(sections: DataFrame) -> DataFrame:
 
 def fallback_location(sections: DataFrame, paragraphs: DataFrame, docs: DataFrame) -> DataFrame:
     """Where an issue without a place goes: the last section, else the last paragraph."""
-    s, p = sections.groupBy("doc_id").agg(F.max_by("section_id", "ord").alias("section_id")), paragraphs.groupBy("doc_id").agg(F.max_by("paragraph_id", "ord").alias("last"))
+    s, p = sections.groupBy("doc_id").agg(
+        F.max_by("section_id", "ord").alias("section_id")
+    ), paragraphs.groupBy("doc_id").agg(F.max_by("paragraph_id", "ord").alias("last"))
     j = docs.select("doc_id").join(s, "doc_id", "left").join(p, "doc_id", "left")
     return j.select("doc_id", "section_id", F.when(F.col("section_id").isNull(), F.col("last")).alias("paragraph_id"))
 
 
 def issue_id(df: DataFrame) -> DataFrame:
     """A stable id from the issue's signature in place of a random one."""
-    return df.withColumn("issue_id", F.concat(F.lit("issue_rag_"), F.substring(F.sha2(F.concat_ws("|", "doc_id", "subtype", F.col("ord").cast("string")), 256), 1, 8)))
+    return df.withColumn(
+        "issue_id",
+        F.concat(F.lit("issue_rag_"), F.substring(F.sha2(F.concat_ws("|", "doc_id", "subtype", F.col("ord").cast("string")), 256), 1, 8)),
+    )
 
 
 #: The layout relations that the checks read; a corpus may have none of them.
@@ -482,7 +602,10 @@ def no_layout(docs: DataFrame, name: str) -> DataFrame:
     return docs.where(F.lit(False)).select("doc_id", *[F.lit(None).cast(t).alias(c) for c, t in cols])
 
 
-def check_formatting(docs, sections, paragraphs, figs, tabs, layout, table_layout, page_layout, numbering, forms, heading_layout, rules=None) -> DataFrame:
+def check_formatting(
+    docs, sections, paragraphs, figs, tabs, layout, table_layout, page_layout, numbering, forms, heading_layout,
+    rules=None,
+) -> DataFrame:
     """Every check. A title page is looked for where a document has a layout; what the whole document lacks is put at its end.
 
     With rules (and docs.standard_id) issues name the rule of their document's standard, and checks that need one are
@@ -492,12 +615,24 @@ def check_formatting(docs, sections, paragraphs, figs, tabs, layout, table_layou
     laid = docs.join(layout.select("doc_id").distinct(), "doc_id", "left_semi")
     absent = missing_contents(docs, sections, paragraphs, layout).unionByName(reference_section(docs, sections, paragraphs, layout))
     end = fallback_location(sections, paragraphs, docs).select("doc_id", F.col("section_id").alias("s"), F.col("paragraph_id").alias("p"))
-    absent = absent.join(end, "doc_id", "left").withColumn("paragraph_id", F.when(F.col("section_id").isNull(), F.col("p"))).withColumn("section_id", F.coalesce("section_id", "s")).drop("s", "p")
-    refs = formula_references(forms, paragraphs).where("status <> 'ok'").join(forms.select("doc_id", "ord", *place(forms)), ["doc_id", "ord"])
-    every = refs.select("doc_id", "ord", *PLACE, F.when(F.col("status") == "invalid", "invalid_formula_reference_format").otherwise("missing_formula_reference").alias("subtype"), F.lit("info").alias("severity"))
+    absent = absent.join(end, "doc_id", "left").withColumn(
+        "paragraph_id", F.when(F.col("section_id").isNull(), F.col("p")),
+    ).withColumn("section_id", F.coalesce("section_id", "s")).drop("s", "p")
+    refs = formula_references(forms, paragraphs).where("status <> 'ok'").join(
+        forms.select("doc_id", "ord", *place(forms)), ["doc_id", "ord"],
+    )
+    every = refs.select(
+        "doc_id", "ord", *PLACE,
+        F.when(F.col("status") == "invalid", "invalid_formula_reference_format").otherwise("missing_formula_reference").alias("subtype"),
+        F.lit("info").alias("severity"),
+    )
     parts = [
         figures(figs, layout), figure_numbering(figs).drop("number"), figure_references(figs, sections, paragraphs), tables(tabs, table_layout), table_references(tabs, sections, paragraphs), formulas(forms), formula_numbering(forms), absent,
-        missing_title_page(laid, layout), not_justified(layout), page_size(page_layout), margins(page_layout), page_numbering(numbering), typography(paragraphs, layout), enumerations(paragraphs, layout, heading_layout), headings(sections, heading_layout), heading_layouts(sections, heading_layout, layout), appendix_references(sections, paragraphs), missing_numbers(sections),
+        missing_title_page(laid, layout), not_justified(layout), page_size(page_layout), margins(page_layout), page_numbering(numbering), typography(paragraphs, layout), enumerations(
+            paragraphs, layout, heading_layout,
+        ), headings(sections, heading_layout), heading_layouts(
+            sections, heading_layout, layout,
+        ), appendix_references(sections, paragraphs), missing_numbers(sections),
     ]
     for p in parts:
         every = every.unionByName(p)

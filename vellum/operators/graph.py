@@ -30,10 +30,14 @@ def nodes(rules: DataFrame, sections: DataFrame) -> DataFrame:
     out = s.unionByName(r)
     for kind, prefix in (("object_type", "object_type"), ("constraint_type", "constraint")):
         d = rules.where(F.col(kind) != "generic").select("standard_id", F.col(kind).alias("name")).distinct()
-        out = out.unionByName(d.select("standard_id", F.concat(F.lit(prefix + "::"), "name").alias("id"), "name", F.lit(prefix).alias("type")))
+        out = out.unionByName(
+            d.select("standard_id", F.concat(F.lit(prefix + "::"), "name").alias("id"), "name", F.lit(prefix).alias("type"))
+        )
     if "keywords" in rules.columns:
         k = rules.select("standard_id", F.explode("keywords").alias("name")).distinct()
-        out = out.unionByName(k.select("standard_id", F.concat(F.lit("keyword::"), "name").alias("id"), "name", F.lit("keyword").alias("type")))
+        out = out.unionByName(
+            k.select("standard_id", F.concat(F.lit("keyword::"), "name").alias("id"), "name", F.lit("keyword").alias("type"))
+        )
     return out
 
 
@@ -54,7 +58,9 @@ def membership(rules: DataFrame) -> DataFrame:
     obj, con = F.concat(F.lit("object_type::"), "object_type"), F.concat(F.lit("constraint::"), "constraint_type")
     typed, bound = rules.where("object_type <> 'generic'"), rules.where("constraint_type <> 'generic'")
     out = _edge(rules, F.col("section_id"), F.col("rule_id"), "contains")
-    out = out.unionByName(_edge(typed, F.col("rule_id"), obj, "applies_to")).unionByName(_edge(typed, F.col("section_id"), obj, "covers")).unionByName(_edge(bound, F.col("rule_id"), con, "constrains"))
+    out = out.unionByName(
+        _edge(typed, F.col("rule_id"), obj, "applies_to")
+    ).unionByName(_edge(typed, F.col("section_id"), obj, "covers")).unionByName(_edge(bound, F.col("rule_id"), con, "constrains"))
     if "keywords" in rules.columns:
         k = rules.select("standard_id", "rule_id", F.explode("keywords").alias("k"))
         out = out.unionByName(_edge(k, F.col("rule_id"), F.concat(F.lit("keyword::"), "k"), "mentions"))
@@ -80,14 +86,26 @@ def links(rules: DataFrame) -> DataFrame:
     """depends_on and references edges from the numbers that a rule's title and content cite: to the last rule with the number, else to its section; none to itself."""
     text = F.concat_ws(" ", "title", "content")
     dep, ref, bare = (F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in (DEPENDENCY, REFERENCE, BARE))
-    kinds = F.concat(F.transform(dep, lambda n: F.struct(n.alias("n"), F.lit("depends_on").alias("type"))), F.transform(F.concat(dep, ref, bare), lambda n: F.struct(n.alias("n"), F.lit("references").alias("type"))))
-    cited = rules.select("standard_id", "rule_id", F.explode(F.array_distinct(kinds)).alias("x")).select("standard_id", "rule_id", F.col("x.n").alias("n"), F.col("x.type").alias("type"))
+    kinds = F.concat(
+        F.transform(dep, lambda n: F.struct(n.alias("n"), F.lit("depends_on").alias("type"))),
+        F.transform(F.concat(dep, ref, bare), lambda n: F.struct(n.alias("n"), F.lit("references").alias("type"))),
+    )
+    cited = rules.select("standard_id", "rule_id", F.explode(F.array_distinct(kinds)).alias("x")).select(
+        "standard_id", "rule_id", F.col("x.n").alias("n"), F.col("x.type").alias("type"),
+    )
     by_number = rules.groupBy("standard_id", F.col("number").alias("n")).agg(F.max_by("rule_id", "ord").alias("to_rule"))
     number = F.col("section_number") if "section_number" in rules.columns else F.regexp_extract("section_id", r"(\d+)$", 1)
     by_section = rules.groupBy("standard_id", number.alias("n")).agg(F.max("section_id").alias("to_section"))
-    j = cited.join(by_number, ["standard_id", "n"], "left").join(by_section, ["standard_id", "n"], "left").withColumn("target", F.coalesce("to_rule", "to_section"))
-    j = j.where(F.col("target").isNotNull() & (F.col("target") != F.col("rule_id"))).dropDuplicates(["standard_id", "rule_id", "target", "type", "n"])
-    return j.select("standard_id", F.col("rule_id").alias("source"), "target", "type", F.to_json(F.struct(F.col("n").alias("reference_number"))).alias("properties"))
+    j = cited.join(by_number, ["standard_id", "n"], "left").join(by_section, ["standard_id", "n"], "left").withColumn(
+        "target", F.coalesce("to_rule", "to_section"),
+    )
+    j = j.where(
+        F.col("target").isNotNull() & (F.col("target") != F.col("rule_id"))
+    ).dropDuplicates(["standard_id", "rule_id", "target", "type", "n"])
+    return j.select(
+        "standard_id", F.col("rule_id").alias("source"), "target", "type",
+        F.to_json(F.struct(F.col("n").alias("reference_number"))).alias("properties"),
+    )
 
 
 def prerequisites(rules: DataFrame) -> DataFrame:
@@ -113,7 +131,10 @@ def nodes_of_type(nodes_: DataFrame, *types: str) -> DataFrame:
     return nodes_.where(F.col("type").isin(*types))
 
 
-def related_nodes(edges: DataFrame, nodes_: DataFrame, start: DataFrame, types: list[str] | None = None, neighbor_types: list[str] | None = None) -> DataFrame:
+def related_nodes(
+    edges: DataFrame, nodes_: DataFrame, start: DataFrame, types: list[str] | None = None,
+    neighbor_types: list[str] | None = None,
+) -> DataFrame:
     """(id, neighbor): a neighbour shows once for each type and direction of its edges."""
     return related(edges, nodes_, start, types, neighbor_types).select("id", "neighbor")
 
@@ -129,12 +150,17 @@ def line_graph(lines: DataFrame) -> DataFrame:
     return chain(lines, [], ["ord"], "id", "follows")
 
 
-def related(edges: DataFrame, nodes_: DataFrame, start: DataFrame, types: list[str] | None = None, neighbor_types: list[str] | None = None) -> DataFrame:
+def related(
+    edges: DataFrame, nodes_: DataFrame, start: DataFrame, types: list[str] | None = None,
+    neighbor_types: list[str] | None = None,
+) -> DataFrame:
     """(id, neighbor, type, direction) around the start nodes, without repeats; a self loop shows in both directions."""
     e = edges if types is None else edges.where(F.col("type").isin(types))
     out = e.select(F.col("source").alias("id"), F.col("target").alias("neighbor"), "type", F.lit("out").alias("direction"))
     both = out.unionByName(e.select(F.col("target").alias("id"), F.col("source").alias("neighbor"), "type", F.lit("in").alias("direction")))
-    j = both.join(start.select("id").distinct(), "id", "left_semi").join(nodes_.select(F.col("id").alias("neighbor"), F.col("type").alias("neighbor_type")), "neighbor")
+    j = both.join(start.select("id").distinct(), "id", "left_semi").join(
+        nodes_.select(F.col("id").alias("neighbor"), F.col("type").alias("neighbor_type")), "neighbor",
+    )
     if neighbor_types is not None:
         j = j.where(F.col("neighbor_type").isin(neighbor_types))
     return j.select("id", "neighbor", "type", "direction").dropDuplicates()
@@ -175,7 +201,9 @@ def shortest_paths(edges: DataFrame, start: DataFrame, longest: int | None = Non
 
 def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges with both ends among ids."""
-    return edges.join(ids.select(F.col("id").alias("source")), "source", "left_semi").join(ids.select(F.col("id").alias("target")), "target", "left_semi")
+    return edges.join(
+        ids.select(F.col("id").alias("source")), "source", "left_semi",
+    ).join(ids.select(F.col("id").alias("target")), "target", "left_semi")
 
 
 def exported(nodes_: DataFrame, edges: DataFrame) -> DataFrame:

@@ -13,7 +13,10 @@ APPENDIX = r"(?iu)^приложение\s+([А-ЯЁA-Z])(?![\p{L}])\s*(.*)$"
 HEADING = r"^(\d+(?:\.\d+)*)\s+(\S.{0,199})$"
 FIGURE = r"(?iu)^(?:рисуно(?:к)?|рис\.?)\s*(\d+(?:\.\d+)*)\s*[-—–]?\s*(.*)$"
 TABLE = r"(?iu)^таблиц(?:а)?\s+((?:[А-ЯЁA-Z]\.)?\d+(?:\.\d+)*)\s*[-—–]?\s*(.*)$"
-UNNUMBERED = ["введение", "заключение", "содержание", "реферат", "список использованных источников", "список литературы", "выводы", "аннотация"]
+UNNUMBERED = [
+    "введение", "заключение", "содержание", "реферат", "список использованных источников", "список литературы",
+    "выводы", "аннотация",
+]
 
 
 def blocks(raw: DataFrame, key: str, separator: str = r"\n\s*\n") -> DataFrame:
@@ -33,9 +36,13 @@ def classified(b: DataFrame, key: str) -> DataFrame:
     kind = F.when(app | head, "heading").when(t.rlike(FIGURE), "figure").when(t.rlike(TABLE), "table").otherwise("para")
     return b.withColumn("kind", kind).select(
         key, "block", "text", "kind",
-        F.when(app, F.concat(F.lit("sec_appendix_"), F.lower(letter))).when(head, F.concat(F.lit("sec_"), F.replace(number, F.lit("."), F.lit("_")))).alias("heading_id"),
+        F.when(app, F.concat(F.lit("sec_appendix_"), F.lower(letter))).when(
+            head, F.concat(F.lit("sec_"), F.replace(number, F.lit("."), F.lit("_"))),
+        ).alias("heading_id"),
         F.when(app, "").when(head, number).alias("number"),
-        F.when(app, F.when(rest == "", F.concat(F.lit("Приложение "), letter)).otherwise(t)).when(head, F.regexp_extract("text", HEADING, 2)).alias("title"),
+        F.when(
+            app, F.when(rest == "", F.concat(F.lit("Приложение "), letter)).otherwise(t),
+        ).when(head, F.regexp_extract("text", HEADING, 2)).alias("title"),
         F.when(app, 1).when(head, F.size(F.split(number, r"\."))).alias("level"),
     )
 
@@ -47,22 +54,41 @@ def word_headings(paragraphs: DataFrame) -> DataFrame:
     h = paragraphs.where(is_head & (squeeze("text") != ""))
     auto = ~squeeze("text").rlike(HEADING)
     n = F.sum(auto.cast("int")).over(W.partitionBy("doc_id").orderBy("ord"))
-    return h.select("doc_id", "ord", F.when(auto, F.concat(F.lit("sec_auto_"), n)).otherwise(F.concat(F.lit("sec_"), F.replace(F.regexp_extract(squeeze("text"), HEADING, 1), F.lit("."), F.lit("_")))).alias("section_id"), squeeze("text").alias("title"))
+    return h.select(
+        "doc_id", "ord",
+        F.when(auto, F.concat(F.lit("sec_auto_"), n)).otherwise(
+            F.concat(F.lit("sec_"), F.replace(F.regexp_extract(squeeze("text"), HEADING, 1), F.lit("."), F.lit("_")))
+        ).alias("section_id"),
+        squeeze("text").alias("title"),
+    )
 
 
 def document(raw: DataFrame, key: str = "doc_id") -> dict[str, DataFrame]:
     """sections, paragraphs, figures and tables of raw texts."""
     by = W.partitionBy(key).orderBy("block")
     c = classified(blocks(raw, key), key)
-    c = c.withColumn("section_no", F.sum((F.col("kind") == "heading").cast("int")).over(by)).withColumn("section_id", F.last("heading_id", True).over(by))
+    c = c.withColumn(
+        "section_no", F.sum((F.col("kind") == "heading").cast("int")).over(by),
+    ).withColumn("section_id", F.last("heading_id", True).over(by))
     n = F.row_number().over(W.partitionBy(key, "kind").orderBy("block"))
     c = c.withColumn("n", n)
-    heads = c.where("kind = 'heading'").select(key, "section_no", F.col("n").alias("ord"), "section_id", "number", "title", "level", F.col("block").alias("paragraph_index"))
-    body = c.where("kind <> 'heading' and section_no > 0").groupBy(key, "section_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
+    heads = c.where("kind = 'heading'").select(
+        key, "section_no", F.col("n").alias("ord"), "section_id", "number", "title", "level",
+        F.col("block").alias("paragraph_index"),
+    )
+    body = c.where("kind <> 'heading' and section_no > 0").groupBy(key, "section_no").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), "\n\n").alias("text")
+    )
     item = lambda kind, prefix: c.where(F.col("kind") == kind).select(key, F.col("n").alias("ord"), F.concat(F.lit(prefix), "n").alias("item_id"), F.col("text").alias("caption"), F.col("block").alias("paragraph_index"))
     return {
-        "sections": heads.join(body, [key, "section_no"], "left").select(key, "ord", "section_id", "number", "title", "level", F.coalesce("text", F.lit("")).alias("text"), "paragraph_index"),
-        "paragraphs": c.where("kind = 'para'").select(key, F.col("n").alias("ord"), F.concat(F.lit("p_"), "n").alias("paragraph_id"), "section_id", "text", F.col("block").alias("paragraph_index")),
+        "sections": heads.join(body, [key, "section_no"], "left").select(
+            key, "ord", "section_id", "number", "title", "level", F.coalesce("text", F.lit("")).alias("text"),
+            "paragraph_index",
+        ),
+        "paragraphs": c.where("kind = 'para'").select(
+            key, F.col("n").alias("ord"), F.concat(F.lit("p_"), "n").alias("paragraph_id"), "section_id", "text",
+            F.col("block").alias("paragraph_index"),
+        ),
         "figures": item("figure", "fig_"),
         "tables": item("table", "tbl_"),
     }
@@ -73,7 +99,10 @@ def document_title(files: DataFrame, sections: DataFrame) -> DataFrame:
     t = sections.where(squeeze("title") != "").groupBy("doc_id").agg(F.min_by("title", "ord").alias("t"))
     stem = F.regexp_replace(F.regexp_replace("filename", r"^.*/", ""), r"\.[^.]*$", "")
     slug = F.btrim(F.regexp_replace(F.lower(stem), r"(?U)[^\w]+", "_"), F.lit("_"))
-    return files.join(t, "doc_id", "left").select("doc_id", F.coalesce("t", stem).alias("title"), F.when(slug == "", "document").otherwise(slug).alias("document_id"))
+    return files.join(t, "doc_id", "left").select(
+        "doc_id", F.coalesce("t", stem).alias("title"),
+        F.when(slug == "", "document").otherwise(slug).alias("document_id"),
+    )
 
 
 def markdown_sections(raw: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -81,9 +110,18 @@ def markdown_sections(raw: DataFrame, key: str = "doc_id") -> DataFrame:
     lines = raw.select(key, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     head = F.col("line").rlike(r"^#{1,6}\s+\S")
     lines = lines.withColumn("head", head).withColumn("s", F.sum(head.cast("int")).over(W.partitionBy(key).orderBy("pos")))
-    g = lines.groupBy(key, "s").agg(F.max(F.when(F.col("head"), F.regexp_extract("line", r"^#{1,6}\s+(.+)$", 1))).alias("title"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("pos", "line")))), lambda x: x["line"]), "\n").alias("text"))
+    g = lines.groupBy(key, "s").agg(
+        F.max(F.when(F.col("head"), F.regexp_extract("line", r"^#{1,6}\s+(.+)$", 1))).alias("title"),
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("pos", "line")))), lambda x: x["line"]),
+            "\n",
+        ).alias("text"),
+    )
     g = g.withColumn("text", F.btrim("text", F.lit(" \t\n\r"))).where("text <> ''")
-    return g.select(key, (F.row_number().over(W.partitionBy(key).orderBy("s")) - 1).alias("section"), F.coalesce("title", F.lit("")).alias("title"), "text")
+    return g.select(
+        key, (F.row_number().over(W.partitionBy(key).orderBy("s")) - 1).alias("section"),
+        F.coalesce("title", F.lit("")).alias("title"), "text",
+    )
 
 
 def fixed_chunks(texts: DataFrame, key: str, size: int = 800, overlap: int = 100) -> DataFrame:
@@ -119,7 +157,13 @@ def word_chunks(texts: DataFrame, key: str, size: int = 500, overlap: int = 50)
                     if end >= len(t):
                         break
                     at = max(end - overlap, at + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], b.schema.field(0).type), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.string())], [key, "chunk", "start", "piece"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(out[0], b.schema.field(0).type), pa.array(out[1], pa.int32()),
+                    pa.array(out[2], pa.int32()), pa.array(out[3], pa.string()),
+                ],
+                [key, "chunk", "start", "piece"],
+            )
 
     return texts.select(key, "text").mapInArrow(cut, f"{key} {kind}, chunk int, start int, piece string")
 
@@ -129,8 +173,13 @@ def line_sections(raw: DataFrame, key: str) -> DataFrame:
     lines = raw.select(key, F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("line", F.trim("line")).where("line <> ''")
     head = F.col("line").rlike(r"(?u)^(\d+\.\s+[A-ZА-ЯЁ]|Глава\s+\d+|Раздел\s+\d+)")
     rule = ~head & F.col("line").rlike(r"^[-\d]\s*[.)]\s+")
-    lines = lines.withColumn("s", F.sum(head.cast("int")).over(W.partitionBy(key).orderBy("pos"))).withColumn("head", head).withColumn("rule", rule)
-    g = lines.groupBy(key, "s").agg(F.coalesce(F.max(F.when(F.col("head"), F.col("line"))), F.lit("Document")).alias("title"), F.count_if("rule").alias("n_rules"), F.count_if(~F.col("rule") & ~F.col("head")).alias("n_lines"))
+    lines = lines.withColumn(
+        "s", F.sum(head.cast("int")).over(W.partitionBy(key).orderBy("pos")),
+    ).withColumn("head", head).withColumn("rule", rule)
+    g = lines.groupBy(key, "s").agg(
+        F.coalesce(F.max(F.when(F.col("head"), F.col("line"))), F.lit("Document")).alias("title"),
+        F.count_if("rule").alias("n_rules"), F.count_if(~F.col("rule") & ~F.col("head")).alias("n_lines"),
+    )
     return g.select(key, F.col("s").cast("int").alias("section"), "title", "n_rules", "n_lines")
 
 
@@ -141,11 +190,16 @@ def table_captions(b: DataFrame) -> DataFrame:
     cap = F.when(F.col("kind") == "caption", F.col("pos"))
     x = b.withColumn("cap", cap)
     # what a barrier hides belongs to the barrier itself: groups run from one barrier to the next
-    x = x.withColumn("gu", F.coalesce(F.sum(barrier.cast("int")).over(up.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("gd", F.coalesce(F.sum(barrier.cast("int")).over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    x = x.withColumn("gu", F.coalesce(F.sum(barrier.cast("int")).over(up.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn(
+        "gd", F.coalesce(F.sum(barrier.cast("int")).over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
+    )
     above = F.last("cap", True).over(W.partitionBy("doc_id", "gu").orderBy("pos"))
     below = F.last("cap", True).over(W.partitionBy("doc_id", "gd").orderBy(F.col("pos").desc()))
     x = x.withColumn("above", above).withColumn("below", below).where("kind = 'table'")
-    return x.select("doc_id", "pos", F.coalesce("above", "below").alias("caption_pos"), F.when(F.col("above").isNotNull(), "above").when(F.col("below").isNotNull(), "below").otherwise("missing").alias("position"))
+    return x.select(
+        "doc_id", "pos", F.coalesce("above", "below").alias("caption_pos"),
+        F.when(F.col("above").isNotNull(), "above").when(F.col("below").isNotNull(), "below").otherwise("missing").alias("position"),
+    )
 
 
 def alignment_name(code: Column) -> Column:
@@ -181,7 +235,9 @@ def is_standalone_formula(c: Column) -> Column:
 
 def formula_numbers(df: DataFrame) -> DataFrame:
     """equation_number (in parentheses at the end) and raw_equation_number (bare at the end)."""
-    return df.withColumn("equation_number", F.nullif(F.regexp_extract("text", r"\(((?:[А-ЯЁA-Z]\.)?\d+(?:\.\d+)*)\)\s*$", 1), F.lit(""))).withColumn("raw_equation_number", F.nullif(F.regexp_extract("text", r"(?<=\s)(\d+(?:\.\d+)*)\s*$", 1), F.lit("")))
+    return df.withColumn(
+        "equation_number", F.nullif(F.regexp_extract("text", r"\(((?:[А-ЯЁA-Z]\.)?\d+(?:\.\d+)*)\)\s*$", 1), F.lit("")),
+    ).withColumn("raw_equation_number", F.nullif(F.regexp_extract("text", r"(?<=\s)(\d+(?:\.\d+)*)\s*$", 1), F.lit("")))
 
 
 def split_formula(c: Column) -> Column:
@@ -192,7 +248,13 @@ def split_formula(c: Column) -> Column:
     lead = F.regexp_extract(head, r"(?iu)^(.*(?:формуле|формула|равно|имеем|получаем|:)\s+)", 1)
     tail = F.substr(t, F.length(lead) + 1)
     formula = F.regexp_extract(tail, r"^(.*?)(?:,\s*где\b.*|\.\s+\p{Lu}.*)?$", 1)
-    return F.when(at > 0, F.struct(F.trim(lead).alias("before"), F.trim(formula).alias("formula"), F.trim(F.substr(tail, F.length(formula) + 1)).alias("after")))
+    return F.when(
+        at > 0,
+        F.struct(
+            F.trim(lead).alias("before"), F.trim(formula).alias("formula"),
+            F.trim(F.substr(tail, F.length(formula) + 1)).alias("after"),
+        ),
+    )
 
 
 def appendix_letter(title: Column) -> Column:

@@ -86,7 +86,9 @@ def weight_of(type_: Column, config: Config) -> Column:
 def _around(edges: DataFrame) -> DataFrame:
     """(id, to, type) of the edges out of and into each node; repeats of one direction count once."""
     out = edges.select(F.col("source").alias("id"), F.col("target").alias("to"), "type", F.lit("out").alias("direction"))
-    return out.unionByName(edges.select(F.col("target").alias("id"), F.col("source").alias("to"), "type", F.lit("in").alias("direction"))).distinct()
+    return out.unionByName(
+        edges.select(F.col("target").alias("id"), F.col("source").alias("to"), "type", F.lit("in").alias("direction"))
+    ).distinct()
 
 
 def _weighted(edges: DataFrame, nodes: DataFrame, config: Config) -> DataFrame:
@@ -95,16 +97,25 @@ def _weighted(edges: DataFrame, nodes: DataFrame, config: Config) -> DataFrame:
 
 
 def _gained(df: DataFrame) -> DataFrame:
-    return df.groupBy("query_id", "id").agg(F.round(F.sum("rule_score"), 6).alias("rule_score"), F.round(F.max("support"), 6).alias("support"))
+    return df.groupBy("query_id", "id").agg(
+        F.round(F.sum("rule_score"), 6).alias("rule_score"), F.round(F.max("support"), 6).alias("support"),
+    )
 
 
 def expand(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, config: Config = Config()) -> DataFrame:
     """(query_id, id, rule_score, support) of seeds (query_id, id, base) and what their edges reach; seeds without a node (facts) support themselves."""
     kind = nodes.select("id", F.col("type").alias("kind"))
-    own = seeds.join(kind, "id", "left").select("query_id", "id", F.when(F.col("kind") == "rule", 2 * F.col("base")).otherwise(0.0).alias("rule_score"), F.col("base").alias("support"), F.col("kind").alias("seed_kind"), "base")
+    own = seeds.join(kind, "id", "left").select(
+        "query_id", "id", F.when(F.col("kind") == "rule", 2 * F.col("base")).otherwise(0.0).alias("rule_score"),
+        F.col("base").alias("support"), F.col("kind").alias("seed_kind"), "base",
+    )
     reach = own.where("seed_kind is not null").join(_weighted(edges, nodes, config), "id")
     more = F.when((F.col("seed_kind") == "rule") & (F.col("to_kind") == "rule"), 1.1).otherwise(1.0)
-    far = reach.select("query_id", F.col("to").alias("id"), F.when(F.col("to_kind") == "rule", F.col("base") * F.col("w") * more).otherwise(0.0).alias("rule_score"), (F.col("base") * F.least("w", F.lit(1.4))).alias("support"))
+    far = reach.select(
+        "query_id", F.col("to").alias("id"),
+        F.when(F.col("to_kind") == "rule", F.col("base") * F.col("w") * more).otherwise(0.0).alias("rule_score"),
+        (F.col("base") * F.least("w", F.lit(1.4))).alias("support"),
+    )
     return _gained(own.select("query_id", "id", "rule_score", "support").unionByName(far))
 
 
@@ -121,10 +132,21 @@ def signals(queries: DataFrame, nodes: DataFrame, kind: str) -> DataFrame:
     table = F.lit(None).cast("array<string>")
     for name, some in hints(kind).items():
         table = F.when(F.col("name") == name, F.array(*map(F.lit, some))).otherwise(table)
-    n = nodes.where(F.col("type") == kind).select("id", "name", F.explode(F.coalesce(table, F.array(F.translate("name", "_", " ")))).alias("hint")).where("hint <> ''")
+    n = nodes.where(F.col("type") == kind).select(
+        "id", "name", F.explode(F.coalesce(table, F.array(F.translate("name", "_", " ")))).alias("hint"),
+    ).where("hint <> ''")
     # every hint that a query holds shares its first KEY characters (or all) with some place of the query
     n = n.withColumn("key", F.substring(F.lower("hint"), 1, KEY))
-    places = F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length("q"), F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), F.lit(KEY)), lambda k: F.substr(F.col("q"), i, k))))))
+    places = F.explode(
+        F.array_distinct(
+            F.flatten(
+                F.transform(
+                    F.sequence(F.lit(1), F.greatest(F.length("q"), F.lit(1))),
+                    lambda i: F.transform(F.sequence(F.lit(1), F.lit(KEY)), lambda k: F.substr(F.col("q"), i, k)),
+                )
+            )
+        )
+    )
     q = queries.select("query_id", F.lower("query").alias("q")).select("query_id", "q", places.alias("key"))
     return q.join(n, "key").where(F.contains("q", "hint")).select("query_id", "id", "name").distinct()
 
@@ -147,20 +169,31 @@ def matched_signals(queries: DataFrame, nodes: DataFrame) -> DataFrame:
         one = signals(queries, nodes, kind).withColumn("kind", F.lit(kind))
         out = one if out is None else out.unionByName(one)
     words = nodes.where("type = 'keyword'")
-    hit = keyword_matches(queries, words).join(words.select("id", "name"), "id").select("query_id", "id", "name", F.lit("keyword").alias("kind"))
+    hit = keyword_matches(queries, words).join(words.select("id", "name"), "id").select(
+        "query_id", "id", "name", F.lit("keyword").alias("kind"),
+    )
     return out.unionByName(hit)
 
 
 def signal_scores(matched: DataFrame, edges: DataFrame, nodes: DataFrame, config: Config = Config()) -> DataFrame:
     """What matched signals add: the bonus as their own support, and the bonus times the edge's weight for rules next to them."""
-    bonus = F.when(F.col("kind") == "object_type", config.object_bonus).when(F.col("kind") == "constraint", config.constraint_bonus).otherwise(config.keyword_bonus)
+    bonus = F.when(F.col("kind") == "object_type", config.object_bonus).when(
+        F.col("kind") == "constraint", config.constraint_bonus,
+    ).otherwise(config.keyword_bonus)
     m = matched.withColumn("bonus", bonus)
     near = m.join(_weighted(edges, nodes, config).where("to_kind = 'rule'"), "id")
     own = m.select("query_id", "id", F.lit(0.0).alias("rule_score"), F.col("bonus").alias("support"))
-    return own.unionByName(near.select("query_id", F.col("to").alias("id"), (F.col("bonus") * F.col("w")).alias("rule_score"), F.lit(None).cast("double").alias("support")))
+    return own.unionByName(
+        near.select(
+            "query_id", F.col("to").alias("id"), (F.col("bonus") * F.col("w")).alias("rule_score"),
+            F.lit(None).cast("double").alias("support"),
+        )
+    )
 
 
-def scores(queries: DataFrame, hits: DataFrame, nodes: DataFrame, edges: DataFrame, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
+def scores(
+    queries: DataFrame, hits: DataFrame, nodes: DataFrame, edges: DataFrame, config: Config = Config(),
+) -> tuple[DataFrame, DataFrame]:
     """((query_id, id, rule_score, support), matched signals) of a batch of questions."""
     matched = matched_signals(queries, nodes)
     seeds = expand(seed_scores(hits, config.k), edges, nodes, config)
@@ -172,20 +205,33 @@ def ranked_rules(scored: DataFrame, nodes: DataFrame, matched: DataFrame, k: int
     rules = nodes.where("type = 'rule'").select("id", F.col("ord").alias("node_ord"), "object_type", "constraint_type", "keywords")
     r = scored.where("rule_score > 0").join(rules, "id")
     names = lambda kind: F.collect_set(F.when(F.col("kind") == kind, F.col("name")))
-    own = matched.groupBy("query_id").agg(names("object_type").alias("objects"), names("constraint").alias("constraints"), names("keyword").alias("words"))
+    own = matched.groupBy("query_id").agg(
+        names("object_type").alias("objects"), names("constraint").alias("constraints"), names("keyword").alias("words"),
+    )
     r = r.join(own, "query_id", "left")
     has = lambda names_, c: F.coalesce(F.array_contains(names_, F.col(c)), F.lit(False)).cast("int").desc()
     shared = F.coalesce(F.size(F.array_intersect("words", F.split(F.coalesce("keywords", F.lit("")), ","))), F.lit(0))
-    w = W.partitionBy("query_id").orderBy(has("objects", "object_type"), has("constraints", "constraint_type"), shared.desc(), F.col("rule_score").desc(), "node_ord")
-    return r.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "id", "rank", F.round("rule_score", 4).alias("score"))
+    w = W.partitionBy("query_id").orderBy(
+        has("objects", "object_type"), has("constraints", "constraint_type"), shared.desc(), F.col("rule_score").desc(),
+        "node_ord",
+    )
+    return r.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
+        "query_id", "id", "rank", F.round("rule_score", 4).alias("score"),
+    )
 
 
 def support_nodes(rules: DataFrame, scored: DataFrame, edges: DataFrame, limit: int, config: Config = Config()) -> DataFrame:
     """Nodes next to a query's ranked rules by the supporting edges, rules among them left out, by support, then id; at most `limit`."""
     e = _around(edges.where(F.col("type").isin(*config.support_types))).select("id", "to").distinct()
-    near = rules.select("query_id", "id").join(e, "id").select("query_id", F.col("to").alias("id")).distinct().join(rules.select("query_id", "id"), ["query_id", "id"], "left_anti")
-    near = near.join(scored.select("query_id", "id", "support"), ["query_id", "id"], "left").withColumn("support", F.coalesce("support", F.lit(0.0)))
-    return near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("support").desc(), "id"))).where(F.col("rank") <= limit).select("query_id", "id", "rank", F.round("support", 4).alias("score"))
+    near = rules.select("query_id", "id").join(e, "id").select("query_id", F.col("to").alias("id")).distinct().join(
+        rules.select("query_id", "id"), ["query_id", "id"], "left_anti",
+    )
+    near = near.join(
+        scored.select("query_id", "id", "support"), ["query_id", "id"], "left",
+    ).withColumn("support", F.coalesce("support", F.lit(0.0)))
+    return near.withColumn(
+        "rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("support").desc(), "id")),
+    ).where(F.col("rank") <= limit).select("query_id", "id", "rank", F.round("support", 4).alias("score"))
 
 
 def retrieve(queries: DataFrame, hits: DataFrame, nodes: DataFrame, edges: DataFrame, config: Config = Config()) -> DataFrame:
@@ -208,9 +254,15 @@ def context_items(found: DataFrame, nodes: DataFrame, facts: DataFrame | None =
             n = n.withColumn(c, F.lit(None).cast("string"))
     n = n.withColumn("sources", F.lit(None).cast("string"))
     if facts is not None:
-        name = F.when(F.col("entry_type") == "bridging_fact", F.concat(F.lit("Bridge: "), "entity")).otherwise(F.substring(F.regexp_extract("content", r"(?s)^Q: (.*?)\nA: ", 1), 1, 50))
+        name = F.when(
+            F.col("entry_type") == "bridging_fact", F.concat(F.lit("Bridge: "), "entity"),
+        ).otherwise(F.substring(F.regexp_extract("content", r"(?s)^Q: (.*?)\nA: ", 1), 1, 50))
         none = F.lit(None).cast("string")
-        f = facts.select("id", name.alias("name"), F.col("entry_type").alias("type"), "content", *(F.when(F.col("entry_type") == "bridging_fact", F.col("entity")).alias(c) if c == "entity" else none.alias(c) for c in SUFFIX), "sources")
+        f = facts.select(
+            "id", name.alias("name"), F.col("entry_type").alias("type"), "content",
+            *(F.when(F.col("entry_type") == "bridging_fact", F.col("entity")).alias(c) if c == "entity" else none.alias(c) for c in SUFFIX),
+            "sources",
+        )
         n = n.select(f.columns).unionByName(f)
     part = F.array_position(F.array(*map(F.lit, PARTS)), F.col("part"))
     place = F.row_number().over(W.partitionBy("query_id").orderBy(part, "rank"))
@@ -221,21 +273,31 @@ def context_text(items: DataFrame, limit: int = 10) -> DataFrame:
     """'[TYPE] name (key=value, ...):\\ncontent' of the first items of each query, in order."""
     said = F.array_compact(F.array(*(F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(f"{c}="), F.col(c))) for c in SUFFIX)))
     suffix = F.when(F.size(said) > 0, F.concat(F.lit(" ("), F.array_join(said, ", "), F.lit(")"))).otherwise("")
-    line = F.concat(F.lit("["), F.upper("type"), F.lit("] "), F.coalesce("name", F.lit("")), suffix, F.lit(":\n"), F.coalesce("content", F.lit("")))
+    line = F.concat(
+        F.lit("["), F.upper("type"), F.lit("] "), F.coalesce("name", F.lit("")), suffix, F.lit(":\n"),
+        F.coalesce("content", F.lit("")),
+    )
     some = items.where(F.col("place") <= limit).withColumn("line", line)
-    return some.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda s: s["line"]), "\n\n").alias("context"))
+    return some.groupBy("query_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda s: s["line"]), "\n\n").alias("context")
+    )
 
 
 def answer_sources(items: DataFrame, n: int = 5, chars: int = 200) -> DataFrame:
     """The first rules of each query as sources; their content is cut to `chars` characters and marked as cut."""
     rules = items.where((F.col("part") == "rule") & (F.col("rank") <= n))
-    return rules.select("query_id", "id", "rank", "name", "type", "score", F.concat(F.substring(F.coalesce("content", F.lit("")), 1, chars), F.lit("...")).alias("content"))
+    return rules.select(
+        "query_id", "id", "rank", "name", "type", "score",
+        F.concat(F.substring(F.coalesce("content", F.lit("")), 1, chars), F.lit("...")).alias("content"),
+    )
 
 
 def bridge_sources(items: DataFrame, n: int = 3) -> DataFrame:
     """The first bridging facts of each query as sources, with the documents that they unite."""
     facts = items.where("part = 'bridge'").withColumn("nth", F.row_number().over(W.partitionBy("query_id").orderBy("rank")))
-    return facts.where(F.col("nth") <= n).select("query_id", "id", "nth", "entity", "content", F.split("sources", ",").alias("source_documents"))
+    return facts.where(F.col("nth") <= n).select(
+        "query_id", "id", "nth", "entity", "content", F.split("sources", ",").alias("source_documents"),
+    )
 
 
 # Fixed: what a model is asked.
@@ -245,7 +307,10 @@ PROMPT = "Контекст:\n{context}\n\nВопрос: {question}\n\nОтвет
 def prompts(queries: DataFrame, texts: DataFrame) -> DataFrame:
     """(query_id, prompt): what a model is asked; a question without context gets an empty one."""
     head, middle, end = PROMPT.replace("{question}", "{context}").split("{context}")
-    return queries.join(texts, "query_id", "left").select("query_id", F.concat(F.lit(head), F.coalesce("context", F.lit("")), F.lit(middle), F.col("query"), F.lit(end)).alias("prompt"))
+    return queries.join(texts, "query_id", "left").select(
+        "query_id",
+        F.concat(F.lit(head), F.coalesce("context", F.lit("")), F.lit(middle), F.col("query"), F.lit(end)).alias("prompt"),
+    )
 
 
 def retrieve_bridged(queries: DataFrame, hits: DataFrame, nodes: DataFrame, edges: DataFrame, config: Config = Config()) -> DataFrame:
@@ -258,14 +323,20 @@ def retrieve_bridged(queries: DataFrame, hits: DataFrame, nodes: DataFrame, edge
     best = best.join(kind, ["query_id", "id", "rank"])
     other = best.where(F.coalesce("entry_type", F.lit("")) != "bridging_fact")
     other = other.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("place"))).select("query_id", "id", "rank")
-    facts = best.where("entry_type = 'bridging_fact'").select("query_id", "id", F.col("place").alias("rank"), F.lit(None).cast("double").alias("score"), F.lit("bridge").alias("part"))
+    facts = best.where("entry_type = 'bridging_fact'").select(
+        "query_id", "id", F.col("place").alias("rank"), F.lit(None).cast("double").alias("score"),
+        F.lit("bridge").alias("part"),
+    )
     return retrieve(queries, other, nodes, edges, config).unionByName(facts)
 
 
 def entity_hits(hits: DataFrame, metadata: DataFrame) -> DataFrame:
     """Hits by the entity that an entry stands for (metadata: id, entity_id); entries without one go, ranks close up."""
     j = hits.join(metadata, "id").where("entity_id is not null and entity_id <> ''")
-    return j.select("query_id", F.col("entity_id").alias("id"), F.row_number().over(W.partitionBy("query_id").orderBy("rank")).alias("rank"))
+    return j.select(
+        "query_id", F.col("entity_id").alias("id"),
+        F.row_number().over(W.partitionBy("query_id").orderBy("rank")).alias("rank"),
+    )
 
 
 def near_hits(hits: DataFrame, edges: DataFrame, k: int = 5, hops: int = 2) -> DataFrame:
@@ -286,7 +357,9 @@ QUOTED = r"[\"«]([^\"»]+)[\"»]"
 
 def entities(texts: DataFrame, key: str) -> DataFrame:
     """(key, entity): capitalised words and quoted phrases, without repeats."""
-    found = F.array_distinct(F.concat(F.regexp_extract_all("text", F.lit("(" + ENTITY + ")"), F.lit(1)), F.regexp_extract_all("text", F.lit(QUOTED), F.lit(1))))
+    found = F.array_distinct(
+        F.concat(F.regexp_extract_all("text", F.lit("(" + ENTITY + ")"), F.lit(1)), F.regexp_extract_all("text", F.lit(QUOTED), F.lit(1)))
+    )
     return texts.select(key, F.explode(found).alias("entity"))
 
 
@@ -321,15 +394,21 @@ def bridge_akus(bridges: DataFrame, facts: DataFrame, config: Config = Config())
     """
     e = bridges.select("entity", F.lower("entity").alias("e")).withColumn("key", F.substring("e", 1, 3))
     f = facts.withColumn("t", F.lower("content"))
-    starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("t"), F.lit(1))), lambda i: F.substr(F.col("t"), i, F.lit(3))))
+    starts = F.array_distinct(
+        F.transform(F.sequence(F.lit(1), F.greatest(F.length("t"), F.lit(1))), lambda i: F.substr(F.col("t"), i, F.lit(3)))
+    )
     # shorter entities than three letters meet every place's first one and two letters
     short = F.array_distinct(F.flatten(F.transform(starts, lambda x: F.array(F.substring(x, 1, 1), F.substring(x, 1, 2)))))
     f = f.withColumn("key", F.explode(F.array_distinct(F.concat(starts, short))))
     hit = f.join(e, "key").where(F.contains("t", "e")).select("entity", "doc_ord", "doc_id", "aku_ord", "id", "content").distinct()
     by = W.partitionBy("entity").orderBy("doc_ord", "aku_ord")
     first = hit.withColumn("n", F.row_number().over(by)).where(F.col("n") <= config.source_documents * config.facts_each)
-    first = first.withColumn("d", F.dense_rank().over(W.partitionBy("entity").orderBy("doc_ord"))).withColumn("docs", F.max("d").over(W.partitionBy("entity")))
-    return first.where((F.col("docs") >= 2) & (F.col("d") <= config.source_documents)).select("entity", "doc_ord", "doc_id", "aku_ord", "id", "content")
+    first = first.withColumn(
+        "d", F.dense_rank().over(W.partitionBy("entity").orderBy("doc_ord")),
+    ).withColumn("docs", F.max("d").over(W.partitionBy("entity")))
+    return first.where(
+        (F.col("docs") >= 2) & (F.col("d") <= config.source_documents)
+    ).select("entity", "doc_ord", "doc_id", "aku_ord", "id", "content")
 
 
 def bridge_prompts(candidates: DataFrame) -> DataFrame:
@@ -340,7 +419,10 @@ def bridge_prompts(candidates: DataFrame) -> DataFrame:
     c = candidates.withColumn("line", line)
     g = c.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("doc_ord", "aku_ord", "doc_id", "id", "line"))).alias("s"))
     join = lambda f, by: F.array_join(f(F.transform("s", lambda x: x[by])), "\n" if by == "line" else ",")
-    return g.select("entity", join(lambda x: x, "line").alias("sections"), join(F.array_distinct, "doc_id").alias("sources"), join(lambda x: x, "id").alias("aku_ids"))
+    return g.select(
+        "entity", join(lambda x: x, "line").alias("sections"), join(F.array_distinct, "doc_id").alias("sources"),
+        join(lambda x: x, "id").alias("aku_ids"),
+    )
 
 
 def bridge_id(entity: Column) -> Column:
@@ -362,15 +444,24 @@ def bridge_facts(candidates: DataFrame, texts: DataFrame, key: str) -> DataFrame
     """The rows a model is asked about where there are no facts: an id, the sources in order and their whole texts."""
     j = candidates.join(texts.select(key, F.col("text").alias("part")), key)
     g = j.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("n", key, "part"))).alias("s"))
-    return g.select(bridge_id(F.col("entity")).alias("id"), "entity", F.array_join(F.transform("s", lambda s: s[key].cast("string")), ",").alias("sources"), F.array_join(F.transform("s", lambda s: s["part"]), "\n---\n").alias("prompt"))
+    return g.select(
+        bridge_id(F.col("entity")).alias("id"), "entity",
+        F.array_join(F.transform("s", lambda s: s[key].cast("string")), ",").alias("sources"),
+        F.array_join(F.transform("s", lambda s: s["part"]), "\n---\n").alias("prompt"),
+    )
 
 
 def akus(responses: DataFrame) -> DataFrame:
     """Question-answer pairs of a model's JSON answers: blank ones go, numbers stay; id, content and entities."""
     body = F.regexp_extract("response", r"(?s)\{.*\}", 0)
     got = F.from_json(body, "struct<akus:array<struct<question:string,answer:string>>>")["akus"]
-    p = responses.select("doc_id", F.posexplode(got).alias("i", "x")).select("doc_id", "i", F.trim("x.question").alias("question"), F.trim("x.answer").alias("answer")).where("question <> '' and answer <> ''")
-    return p.select(F.concat(F.lit("aku:"), "doc_id", F.lit(":"), "i").alias("id"), "doc_id", "question", "answer", F.concat(F.lit("Q: "), "question", F.lit("\nA: "), "answer").alias("content"))
+    p = responses.select("doc_id", F.posexplode(got).alias("i", "x")).select(
+        "doc_id", "i", F.trim("x.question").alias("question"), F.trim("x.answer").alias("answer"),
+    ).where("question <> '' and answer <> ''")
+    return p.select(
+        F.concat(F.lit("aku:"), "doc_id", F.lit(":"), "i").alias("id"), "doc_id", "question", "answer",
+        F.concat(F.lit("Q: "), "question", F.lit("\nA: "), "answer").alias("content"),
+    )
 
 
 def balanced(hits: DataFrame, k: int, bridges: int) -> DataFrame:

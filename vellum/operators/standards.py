@@ -49,7 +49,11 @@ SETTLED = [
     ("numbering", [["нумерац"]]),
     ("optional_allowed", [["допускается", "могут"]]),
 ]
-KEYWORDS = ["рисунок", "иллюстрация", "таблица", "формула", "заголовок", "раздел", "подраздел", "приложение", "источник", "ссылка", "нумерация", "шрифт", "подпись", "страница", "абзац", "титульный лист", "реферат", "содержание", "заключение", "введение"]
+KEYWORDS = [
+    "рисунок", "иллюстрация", "таблица", "формула", "заголовок", "раздел", "подраздел", "приложение", "источник",
+    "ссылка", "нумерация", "шрифт", "подпись", "страница", "абзац", "титульный лист", "реферат", "содержание",
+    "заключение", "введение",
+]
 SERVICE = [
     r"^For Staff Page \d+$",
     r"^INTERSTATE COUNCIL FOR STANDARDIZATION,$",
@@ -79,7 +83,9 @@ def inline_split(c: Column) -> Column:
     """Text cut before the first annex, and each part before the first bibliography, that isn't at its start."""
     def cut(part: Column, mark: str) -> Column:
         pattern = rf"(?s)^(.+?)({mark}.*)$"
-        return F.when(part.rlike(pattern), F.array(F.regexp_extract(part, pattern, 1), F.regexp_extract(part, pattern, 2))).otherwise(F.array(part))
+        return F.when(
+            part.rlike(pattern), F.array(F.regexp_extract(part, pattern, 1), F.regexp_extract(part, pattern, 2)),
+        ).otherwise(F.array(part))
 
     parts = F.flatten(F.transform(cut(c, ANNEX), lambda part: cut(part, BIBLIOGRAPHY)))
     return F.filter(F.transform(parts, lambda part: F.trim(part)), lambda part: part != "")
@@ -91,13 +97,18 @@ def clean_blocks(lines: DataFrame) -> DataFrame:
     x = lines.withColumn("whole", F.sum(F.when(F.lag("line").over(by).endswith("-"), 0).otherwise(1)).over(by))
     parts = F.array_sort(F.collect_list(F.struct("pos", "line")))
     x = x.groupBy("standard_id", "whole").agg(parts.alias("parts")).select(
-        "standard_id", F.col("whole").alias("pos"), F.array_join(F.transform("parts", lambda p, i: F.when(i < F.size("parts") - 1, F.regexp_replace(p["line"], "-$", "")).otherwise(p["line"])), "").alias("line")
+        "standard_id", F.col("whole").alias("pos"), F.array_join(
+            F.transform("parts", lambda p, i: F.when(i < F.size("parts") - 1, F.regexp_replace(p["line"], "-$", "")).otherwise(p["line"])),
+            "",
+        ).alias("line")
     )
     x = x.withColumn("t", squeeze("line")).where(~service_line(F.col("t")))
     x = x.withColumn("head", (F.col("t") != "") & starts_block(F.col("t")))
     new = (F.col("t") == "") | F.col("head") | F.coalesce(F.lag("head").over(by), F.lit(False))
     x = x.withColumn("b", F.sum(new.cast("int")).over(by))
-    g = x.where("t <> ''").groupBy("standard_id", "b").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda s: s["t"]), " ").alias("t"))
+    g = x.where("t <> ''").groupBy("standard_id", "b").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda s: s["t"]), " ").alias("t")
+    )
     g = g.select("standard_id", "b", F.posexplode(inline_split(F.col("t"))).alias("i", "text"))
     return g.select("standard_id", (F.row_number().over(W.partitionBy("standard_id").orderBy("b", "i"))).alias("block"), "text")
 
@@ -108,9 +119,15 @@ def heading_tail(c: Column) -> Column:
     bare = F.transform(words, lambda w: F.btrim(w, F.lit(EDGE)))
     upper = lambda w: w.rlike(r"^\p{Lu}")
     lower = lambda w: w.rlike(r"^\p{Ll}")
-    cut = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: upper(F.coalesce(F.get(bare, i), F.lit(""))) & F.exists(F.slice(bare, F.lit(1), i), lower))
+    cut = F.filter(
+        F.sequence(F.lit(1), F.size(words)),
+        lambda i: upper(F.coalesce(F.get(bare, i), F.lit(""))) & F.exists(F.slice(bare, F.lit(1), i), lower),
+    )
     at = F.coalesce(F.get(cut, F.lit(0)), F.size(words))
-    return F.struct(F.array_join(F.slice(words, F.lit(1), at), " ").alias("title"), F.array_join(F.slice(words, at + 1, F.greatest(F.size(words) - at, F.lit(0))), " ").alias("tail"))
+    return F.struct(
+        F.array_join(F.slice(words, F.lit(1), at), " ").alias("title"),
+        F.array_join(F.slice(words, at + 1, F.greatest(F.size(words) - at, F.lit(0))), " ").alias("tail"),
+    )
 
 
 def looks_like_heading(title: Column) -> Column:
@@ -164,12 +181,17 @@ def parse_blocks(b: DataFrame) -> DataFrame:
     first, number = r"^(\d+)\s+(.+)$", r"^(\d+\.\d+(?:\.\d+)*)\s+(.+)$"
     annex = F.col("text").rlike(rf"^({ANNEX}|{BIBLIOGRAPHY})(?![\p{{L}}\p{{N}}_])")
     x = b.withColumn("annexed", F.max(annex.cast("int")).over(by) == 1)
-    x = x.withColumn("h", heading_tail(F.regexp_extract("text", first, 2))).withColumn("top", F.col("text").rlike(first) & looks_like_heading(F.col("h.title")))
+    x = x.withColumn("h", heading_tail(F.regexp_extract("text", first, 2))).withColumn(
+        "top", F.col("text").rlike(first) & looks_like_heading(F.col("h.title")),
+    )
     x = x.withColumn("n", F.when(~F.col("annexed") & F.col("top"), F.regexp_extract("text", first, 1).try_cast("int")))
     # the fold "accept n if it is last + 1" keeps an ordered list of numbers, one for each standard: headings are few
     g = x.where("n is not null").groupBy("standard_id").agg(F.array_sort(F.collect_list(F.struct("block", "n"))).alias("h"))
     start = F.struct(F.lit(0).alias("last"), F.array().cast("array<int>").alias("at"))
-    fold = F.aggregate("h", start, lambda s, e: F.when(e["n"] == s["last"] + 1, F.struct(e["n"].alias("last"), F.array_append(s["at"], e["block"]).alias("at"))).otherwise(s))
+    fold = F.aggregate(
+        "h", start, lambda s,
+        e: F.when(e["n"] == s["last"] + 1, F.struct(e["n"].alias("last"), F.array_append(s["at"], e["block"]).alias("at"))).otherwise(s),
+    )
     acc = g.select("standard_id", F.explode(fold["at"]).alias("block"), F.lit(True).alias("accepted"))
     x = x.join(acc, ["standard_id", "block"], "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
     x = x.withColumn("body", F.max(F.col("accepted").cast("int")).over(by) == 1)
@@ -177,13 +199,23 @@ def parse_blocks(b: DataFrame) -> DataFrame:
     rule = inside & F.col("n").isNull() & F.col("text").rlike(number)
     part = F.when(F.col("annexed"), "annexes").when(F.col("body"), "normative_body").otherwise("front_matter")
     kind = F.when(F.col("accepted"), "section").when(rule, "rule").when(inside & F.col("n").isNotNull(), "example").otherwise("text")
-    x = x.withColumn("kind", kind).withColumn("h", F.when(F.col("accepted"), F.col("h")).when(rule, heading_tail(F.regexp_extract("text", number, 2))))
+    x = x.withColumn("kind", kind).withColumn(
+        "h", F.when(F.col("accepted"), F.col("h")).when(rule, heading_tail(F.regexp_extract("text", number, 2))),
+    )
     x = x.withColumn("number", F.when(F.col("accepted"), F.col("n").cast("string")).when(rule, F.regexp_extract("text", number, 1)))
-    own = F.when(F.col("accepted"), F.struct(F.concat(F.lit("std_sec_"), (F.col("n") - 1).cast("string")).alias("id"), F.col("number").alias("number"), F.col("h.title").alias("title")))
+    own = F.when(
+        F.col("accepted"),
+        F.struct(
+            F.concat(F.lit("std_sec_"), (F.col("n") - 1).cast("string")).alias("id"), F.col("number").alias("number"),
+            F.col("h.title").alias("title"),
+        ),
+    )
     section = F.when(~F.col("annexed"), F.last(own, True).over(by))
     x = x.withColumn("section", section)
     return x.select(
-        "standard_id", "block", part.alias("part"), "kind", "number", F.col("h.title").alias("title"), F.when(F.col("h").isNotNull(), F.col("h.tail")).otherwise(F.col("text")).alias("content"),
+        "standard_id", "block", part.alias("part"), "kind", "number", F.col("h.title").alias("title"), F.when(
+            F.col("h").isNotNull(), F.col("h.tail"),
+        ).otherwise(F.col("text")).alias("content"),
         F.col("section.id").alias("section_id"), F.col("section.number").alias("section_number"), F.col("section.title").alias("section_title"), "text",
     )
 
@@ -191,13 +223,22 @@ def parse_blocks(b: DataFrame) -> DataFrame:
 def rules(parsed: DataFrame) -> DataFrame:
     """Rules with content, types and keywords; the first text after a rule without content becomes its content."""
     by = W.partitionBy("standard_id").orderBy("block")
-    p = parsed.where("part = 'normative_body' and kind <> 'example'").withColumn("nk", F.lead("kind").over(by)).withColumn("nc", F.lead("content").over(by))
+    p = parsed.where(
+        "part = 'normative_body' and kind <> 'example'"
+    ).withColumn("nk", F.lead("kind").over(by)).withColumn("nc", F.lead("content").over(by))
     bare = (F.col("content") == "") | (F.col("content") == F.col("title"))
-    r = p.where("kind = 'rule'").withColumn("content", F.when(bare & (F.col("nk") == "text"), F.col("nc")).when(F.col("content") == "", F.col("title")).otherwise(F.col("content")))
+    r = p.where("kind = 'rule'").withColumn(
+        "content",
+        F.when(bare & (F.col("nk") == "text"), F.col("nc")).when(F.col("content") == "", F.col("title")).otherwise(F.col("content")),
+    )
     n = F.row_number().over(by)
     return r.select(
         "standard_id", n.alias("ord"), F.concat(F.lit("gost_rule_"), n - 1).alias("rule_id"), "number", "section_id", "section_number", "section_title", "title", "content",
-        object_type(F.col("title"), F.col("content"), F.col("section_title")).alias("object_type"), constraint_type(F.col("title"), F.col("content")).alias("constraint_type"), keywords(F.concat_ws(" ", "section_title", "title", "content")).alias("keywords"),
+        object_type(
+            F.col("title"), F.col("content"), F.col("section_title"),
+        ).alias("object_type"), constraint_type(F.col("title"), F.col("content")).alias("constraint_type"), keywords(
+            F.concat_ws(" ", "section_title", "title", "content")
+        ).alias("keywords"),
     )
 
 
@@ -205,8 +246,14 @@ def sections(parsed: DataFrame) -> DataFrame:
     """(standard_id, section_id, number, title, ord, text): a section's text is its heading's tail and the blocks below it."""
     p = parsed.where("section_id is not null and kind <> 'example'")
     said = F.when(F.col("kind") == "section", F.col("content")).otherwise(F.col("text"))
-    g = p.groupBy("standard_id", "section_id").agg(F.min("block").alias("ord"), F.max(F.when(F.col("kind") == "section", F.struct("number", "title"))).alias("h"), F.array_sort(F.collect_list(F.struct("block", said.alias("t")))).alias("b"))
-    return g.select("standard_id", "section_id", F.col("h.number").alias("number"), F.col("h.title").alias("title"), "ord", F.array_join(F.filter(F.transform("b", lambda x: x["t"]), lambda t: t != ""), "\n\n").alias("text"))
+    g = p.groupBy("standard_id", "section_id").agg(
+        F.min("block").alias("ord"), F.max(F.when(F.col("kind") == "section", F.struct("number", "title"))).alias("h"),
+        F.array_sort(F.collect_list(F.struct("block", said.alias("t")))).alias("b"),
+    )
+    return g.select(
+        "standard_id", "section_id", F.col("h.number").alias("number"), F.col("h.title").alias("title"), "ord",
+        F.array_join(F.filter(F.transform("b", lambda x: x["t"]), lambda t: t != ""), "\n\n").alias("text"),
+    )
 
 
 #: Fixed: accented Latin letters and what they fold to when marks are dropped.

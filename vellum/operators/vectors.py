@@ -107,7 +107,9 @@ def embedded(texts: DataFrame, key: str, provider: Callable[[str], list[float]]
             if hasattr(provider, "batch"):
                 v = provider.batch(said)
                 flat = np.concatenate(v) if v else np.zeros(0)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in v])].astype(np.int32)), pa.array(flat, pa.float64()))
+                lists = pa.ListArray.from_arrays(
+                    pa.array(np.r_[0, np.cumsum([len(x) for x in v])].astype(np.int32)), pa.array(flat, pa.float64()),
+                )
             else:
                 lists = pa.array([provider(t) if t else [] for t in said], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([b.column(0), lists], [key, "embedding"])
@@ -129,7 +131,9 @@ def with_fallback(first: Callable, second: Callable = hash_embedding) -> Callabl
 
 def add_documents(rows: DataFrame, collection: str, existing: DataFrame | None = None) -> DataFrame:
     """Rows (entity_id, text, embedding) as rows of a collection: empty embeddings go, ids from the entity or the text's hash, ids that exist already go."""
-    i = F.when(F.coalesce("entity_id", F.lit("")) != "", F.concat(F.lit(collection + ":"), "entity_id")).otherwise(F.md5(F.concat(F.lit(collection + ":"), "text").cast("binary")))
+    i = F.when(
+        F.coalesce("entity_id", F.lit("")) != "", F.concat(F.lit(collection + ":"), "entity_id"),
+    ).otherwise(F.md5(F.concat(F.lit(collection + ":"), "text").cast("binary")))
     out = rows.where(F.size("embedding") > 0).select(i.alias("id"), F.col("text").alias("document"), "embedding")
     return out if existing is None else out.join(existing.select("id"), "id", "left_anti")
 
@@ -156,11 +160,17 @@ def grown(rows: DataFrame, collection: str, path: str) -> DataFrame:
 
 
 def aku_rows(akus: DataFrame) -> DataFrame:
-    return akus.where(F.size("embedding") > 0).select("id", "content", "embedding", F.lit("aku").alias("entry_type"), "document_id", F.array_join("entities", ",").alias("entities"))
+    return akus.where(F.size("embedding") > 0).select(
+        "id", "content", "embedding", F.lit("aku").alias("entry_type"), "document_id",
+        F.array_join("entities", ",").alias("entities"),
+    )
 
 
 def bridge_rows(facts: DataFrame) -> DataFrame:
-    return facts.where(F.size("embedding") > 0).select("id", "content", "embedding", F.lit("bridging_fact").alias("entry_type"), "entity", F.array_join("source_document_ids", ",").alias("source_document_ids"))
+    return facts.where(F.size("embedding") > 0).select(
+        "id", "content", "embedding", F.lit("bridging_fact").alias("entry_type"), "entity",
+        F.array_join("source_document_ids", ",").alias("source_document_ids"),
+    )
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, decimals: int | None = None) -> DataFrame:
@@ -170,7 +180,11 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, decimals: int | None =
     them and keeps k for each query, so what is shuffled is k rows per query and task, never all pairs.
     """
     spark = vectors.sparkSession
-    q = [(r.query_id, r.embedding) for r in queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).limit(QUERIES + 1).collect()]
+    q = [
+        (r.query_id, r.embedding) for r in queries.select(
+            "query_id", F.col("embedding").cast("array<double>").alias("embedding"),
+        ).limit(QUERIES + 1).collect()
+    ]
     if len(q) > QUERIES:
         parts = -(-queries.count() // QUERIES)
         portion = F.pmod(F.xxhash64("query_id"), F.lit(2 * parts))
@@ -213,7 +227,10 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, decimals: int | None =
                         out[0].append(shared.value[n][0])
                         out[1].append(ids[i])
                         out[2].append(float(sim[r][i]))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], _arrow(kq)), pa.array(out[1], b.schema.field(0).type), pa.array(out[2], pa.float64())], ["query_id", "id", "similarity"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out[0], _arrow(kq)), pa.array(out[1], b.schema.field(0).type), pa.array(out[2], pa.float64())],
+                ["query_id", "id", "similarity"],
+            )
 
     near = vectors.select("id", F.col("embedding").cast("array<double>")).mapInArrow(run, f"query_id {kq}, id {kv}, similarity double")
     w = W.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id")

@@ -15,7 +15,10 @@ from ..operators import fix, formatting, graph, parse, report, retrieve, standar
 from ..sources import docx
 from ..sources.scratch import written
 
-ISSUES = ["doc_id", "ord", "issue_id", "type", "subtype", "severity", "message", "section_id", "paragraph_id", "paragraph_index", "page", "evidence", "rule_id", "quote", "suggestion", "agent"]
+ISSUES = [
+    "doc_id", "ord", "issue_id", "type", "subtype", "severity", "message", "section_id", "paragraph_id",
+    "paragraph_index", "page", "evidence", "rule_id", "quote", "suggestion", "agent",
+]
 KINDS = {"ord": "int", "paragraph_index": "int", "page": "int"}
 
 
@@ -26,7 +29,11 @@ def as_issues(df: DataFrame, kind: str, agent: str) -> DataFrame:
     own = F.concat(F.lit(kind + "_"), "subtype")
     rule = F.coalesce("rule_id", own) if "rule_id" in df.columns else own
     df = df.withColumn("type", F.lit(kind)).withColumn("agent", F.lit(agent)).withColumn("message", F.col("subtype")).withColumn("rule_id", rule)
-    return df.select(*(F.col(c).cast(KINDS.get(c, "string")).alias(c) if c in df.columns else F.lit(None).cast(KINDS.get(c, "string")).alias(c) for c in ISSUES))
+    return df.select(
+        *(
+            F.col(c).cast(KINDS.get(c, "string")).alias(c) if c in df.columns else F.lit(None).cast(KINDS.get(c, "string")).alias(c) for c in ISSUES
+        )
+    )
 
 
 @dataclass
@@ -49,7 +56,10 @@ def parse_texts(raw: DataFrame) -> Corpus:
     """Raw (doc_id, text) as a corpus."""
     d = parse.document(raw)
     blank = F.lit(None).cast("int").alias("page")
-    return Corpus(raw.select("doc_id").distinct(), d["sections"], d["paragraphs"].select("*", blank), d["figures"].select("*", blank), d["tables"].select("*", blank))
+    return Corpus(
+        raw.select("doc_id").distinct(), d["sections"], d["paragraphs"].select("*", blank),
+        d["figures"].select("*", blank), d["tables"].select("*", blank),
+    )
 
 
 AGENTS = ("structure_agent", "rag_agent", "style_agent", "logic_agent")
@@ -65,7 +75,10 @@ def run_agents(c: Corpus) -> tuple[DataFrame, DataFrame]:
 
     def rag_issues():
         more = [c.more[k] if k in c.more else formatting.no_layout(c.docs, k) for k in formatting.LAYOUT]
-        return as_issues(formatting.check_formatting(c.docs, c.sections, c.paragraphs, c.figures, c.tables, *more, rules=c.rules), "formatting", "rag_agent")
+        return as_issues(
+            formatting.check_formatting(c.docs, c.sections, c.paragraphs, c.figures, c.tables, *more, rules=c.rules),
+            "formatting", "rag_agent",
+        )
 
     def style_issues():
         return as_issues(style.check_style(c.sections, c.paragraphs), "style", "style_agent")
@@ -109,12 +122,17 @@ def ingest_standard(lines: DataFrame) -> dict[str, DataFrame]:
     return {"blocks": b, "parsed": p, "rules": r, "nodes": graph.nodes(r, s), "edges": e}
 
 
-def build_index(texts: DataFrame, key: str, config: retrieve.Config = retrieve.Config(), provider=vectors.hash_embedding) -> dict[str, DataFrame]:
+def build_index(
+    texts: DataFrame, key: str, config: retrieve.Config = retrieve.Config(), provider=vectors.hash_embedding,
+) -> dict[str, DataFrame]:
     """Vectors, the entity registry, bridge entities and what a model is asked about each."""
     e = retrieve.entities(texts, key)
     reg = retrieve.registry(e, key)
     b = retrieve.bridge_entities(reg, config)
-    return {"vectors": vectors.embedded(texts, key, provider), "entities": e, "registry": reg, "bridges": b, "facts": retrieve.bridge_facts(retrieve.bridge_candidates(b, e, key, config), texts, key)}
+    return {
+        "vectors": vectors.embedded(texts, key, provider), "entities": e, "registry": reg, "bridges": b,
+        "facts": retrieve.bridge_facts(retrieve.bridge_candidates(b, e, key, config), texts, key),
+    }
 
 
 def save_standard(artifacts: DataFrame | dict[str, DataFrame], root: str) -> None:
@@ -133,14 +151,20 @@ def load_standard(spark, root: str, standard_id: str | None = None) -> dict[str,
     return out
 
 
-def ask(queries: DataFrame, vecs: DataFrame, nodes: DataFrame, edges: DataFrame, config: retrieve.Config = retrieve.Config(), provider=vectors.hash_embedding) -> DataFrame:
+def ask(
+    queries: DataFrame, vecs: DataFrame, nodes: DataFrame, edges: DataFrame,
+    config: retrieve.Config = retrieve.Config(), provider=vectors.hash_embedding,
+) -> DataFrame:
     """Context rows for a batch of (query_id, query): vector search, then weighted expansion."""
     q = vectors.embedded(queries.select("query_id", F.col("query").alias("text")), "query_id", provider)
     hits = vectors.top_k(q, vecs, config.k)
     return retrieve.retrieve(queries, hits, nodes, edges, config)
 
 
-def ask_bridged(queries: DataFrame, vecs: DataFrame, nodes: DataFrame, edges: DataFrame, facts: DataFrame, config: retrieve.Config = retrieve.Config(), provider=vectors.hash_embedding) -> dict[str, DataFrame]:
+def ask_bridged(
+    queries: DataFrame, vecs: DataFrame, nodes: DataFrame, edges: DataFrame, facts: DataFrame,
+    config: retrieve.Config = retrieve.Config(), provider=vectors.hash_embedding,
+) -> dict[str, DataFrame]:
     """What a model is asked for each question, and the sources of the answer: one pass over nodes, facts and bridging facts.
 
     vecs: (id, embedding, entry_type) of nodes and facts; facts: (id, entity, content, entry_type, sources).
@@ -149,7 +173,10 @@ def ask_bridged(queries: DataFrame, vecs: DataFrame, nodes: DataFrame, edges: Da
     hits = vectors.top_k(q, vecs, 2 * config.k).join(vecs.select("id", "entry_type"), "id")
     items = retrieve.context_items(retrieve.retrieve_bridged(queries, hits, nodes, edges, config), nodes, facts)
     items = written(items, "context")
-    return {"items": items, "prompts": retrieve.prompts(queries, retrieve.context_text(items, config.context_items)), "sources": retrieve.answer_sources(items), "bridges": retrieve.bridge_sources(items)}
+    return {
+        "items": items, "prompts": retrieve.prompts(queries, retrieve.context_text(items, config.context_items)),
+        "sources": retrieve.answer_sources(items), "bridges": retrieve.bridge_sources(items),
+    }
 
 
 def index_statistics(index: dict[str, DataFrame]) -> DataFrame:
@@ -160,7 +187,9 @@ def index_statistics(index: dict[str, DataFrame]) -> DataFrame:
 def corrected(c: Corpus, fixes: DataFrame, issues: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(sections, paragraphs) after text fixes, renumbering, heading fixes and, with issues, what they ask to add."""
     text = fix.apply_replacements(c.paragraphs.select("doc_id", F.col("paragraph_id").alias("target"), "text"), fixes)
-    p = c.paragraphs.drop("text").join(text.withColumnRenamed("target", "paragraph_id"), ["doc_id", "paragraph_id"]).select(c.paragraphs.columns)
+    p = c.paragraphs.drop("text").join(
+        text.withColumnRenamed("target", "paragraph_id"), ["doc_id", "paragraph_id"],
+    ).select(c.paragraphs.columns)
     h = fix.fixed_headings(c.sections).select("doc_id", "section_id", "title")
     n = fix.renumbered(c.sections).select("doc_id", "section_id", "number", "level")
     s = c.sections.drop("title", "number", "level").join(h, ["doc_id", "section_id"]).join(n, ["doc_id", "section_id"]).select(c.sections.columns)
@@ -175,5 +204,10 @@ def corrected_files(c: Corpus, fixes: DataFrame, issues: DataFrame | None = None
         layout = c.more["table_layout"] if "table_layout" in c.more else formatting.no_layout(c.docs, "table_layout")
         late = fix.missing_captions(c.tables, fix.table_captions(c.tables, layout))
         last = lines.groupBy("doc_id").agg(F.max("line").alias("last"))
-        lines = lines.unionByName(late.join(last, "doc_id", "left").select("doc_id", (F.coalesce("last", F.lit(0)) + F.col("n")).cast("int").alias("line"), F.col("caption").alias("text")))
+        lines = lines.unionByName(
+            late.join(last, "doc_id", "left").select(
+                "doc_id", (F.coalesce("last", F.lit(0)) + F.col("n")).cast("int").alias("line"),
+                F.col("caption").alias("text"),
+            )
+        )
     return docx.written(lines)

@@ -22,7 +22,10 @@ Q: dict = {}
 
 def _corpus(spark):
     fx = lambda n: fixture(spark, "fx_" + n)
-    return E.Corpus(fx("docs"), fx("sections"), fx("paragraphs"), fx("figures"), fx("tables"), {k: fx(k) for k in ("para_layout", "table_layout", "page_layout", "page_numbering", "formulas", "heading_layout")})
+    return E.Corpus(
+        fx("docs"), fx("sections"), fx("paragraphs"), fx("figures"), fx("tables"),
+        {k: fx(k) for k in ("para_layout", "table_layout", "page_layout", "page_numbering", "formulas", "heading_layout")},
+    )
 
 
 def _docs(spark, d):
@@ -34,33 +37,76 @@ def _lines(spark, d):
 
 
 Q["analyze"] = (lambda spark, d: E.analyze(_corpus(spark)).select("doc_id", "status", "total", "critical", "warning", "info"), None)
-Q["analyze_documents"] = (lambda spark, d: E.analyze(E.parse_texts(_docs(spark, d).select("doc_id", "text"))).select("doc_id", "status", "total"), None)
+Q["analyze_documents"] = (
+    lambda spark,
+    d: E.analyze(E.parse_texts(_docs(spark, d).select("doc_id", "text"))).select("doc_id", "status", "total"), None,
+)
 _EDGES = [
-    ("std_sec_0", "std_sec_1", "follows"), ("std_sec_1", "gost_rule_0", "contains"), ("std_sec_1", "gost_rule_1", "contains"), ("gost_rule_0", "object_type::figure", "applies_to"), ("gost_rule_1", "object_type::title_page", "applies_to"), ("std_sec_1", "object_type::figure", "covers"), ("std_sec_1", "object_type::title_page", "covers"),
-    ("gost_rule_0", "constraint::caption_required", "constrains"), ("gost_rule_1", "constraint::required_presence", "constrains"), ("gost_rule_0", "keyword::рисунок", "mentions"), ("gost_rule_1", "keyword::титульный лист", "mentions"), ("gost_rule_0", "gost_rule_1", "rule_follows"),
+    ("std_sec_0", "std_sec_1", "follows"), ("std_sec_1", "gost_rule_0", "contains"), ("std_sec_1", "gost_rule_1", "contains"), (
+        "gost_rule_0", "object_type::figure", "applies_to",
+    ), (
+        "gost_rule_1", "object_type::title_page", "applies_to",
+    ), ("std_sec_1", "object_type::figure", "covers"), ("std_sec_1", "object_type::title_page", "covers"),
+    ("gost_rule_0", "constraint::caption_required", "constrains"), (
+        "gost_rule_1", "constraint::required_presence", "constrains",
+    ), ("gost_rule_0", "keyword::рисунок", "mentions"), (
+        "gost_rule_1", "keyword::титульный лист", "mentions",
+    ), ("gost_rule_0", "gost_rule_1", "rule_follows"),
 ]
-Q["ingest_standard_edges"] = (lambda spark, d: E.ingest_standard(fixture(spark, "fx_lines"))["edges"].select("source", "target", "type"), f"SELECT * FROM (VALUES {', '.join(map(str, _EDGES))}) AS v(source, target, type)")
+Q["ingest_standard_edges"] = (
+    lambda spark, d: E.ingest_standard(fixture(spark, "fx_lines"))["edges"].select("source", "target", "type"),
+    f"SELECT * FROM (VALUES {', '.join(map(str, _EDGES))}) AS v(source, target, type)",
+)
 Q["index_statistics"] = (
     lambda spark, d: E.index_statistics({k: v for k, v in E.build_index(_docs(spark, d), "doc_id").items() if k != "vectors"}),
     f"""WITH {_ENT1}, {_ENT2}, b AS (SELECT entity FROM e2 GROUP BY entity HAVING count(DISTINCT doc_id) BETWEEN 2 AND 10)
     SELECT 'entities' AS relation, (SELECT count(*) FROM e2) AS n UNION ALL SELECT 'registry', (SELECT count(DISTINCT entity) FROM e2) UNION ALL SELECT 'bridges', (SELECT count(*) FROM b) UNION ALL SELECT 'facts', (SELECT count(*) FROM b)""",
 )
-Q["corrected_files"] = (lambda spark, d: docx.read_facts(E.corrected_files(_corpus(spark), fixture(spark, "fx_fixes"))).select("doc_id", "i", "text"), None)
+Q["corrected_files"] = (
+    lambda spark,
+    d: docx.read_facts(E.corrected_files(_corpus(spark), fixture(spark, "fx_fixes"))).select("doc_id", "i", "text"),
+    None,
+)
 Q["docx_round_trip"] = (
     # every document written as a file and read again
-    lambda spark, d: docx.read_facts(docx.written(_lines(spark, d))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), "\n").cast("binary")).alias("h")).select(F.col("doc_id").cast("long").alias("doc_id"), "n", "h"),
+    lambda spark, d: docx.read_facts(docx.written(_lines(spark, d))).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.md5(
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), "\n").cast("binary")
+        ).alias("h"),
+    ).select(F.col("doc_id").cast("long").alias("doc_id"), "n", "h"),
     "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents) SELECT doc_id, count(*) AS n, md5(string_agg(t, chr(10) ORDER BY i)) AS h FROM l WHERE trim(t) <> '' GROUP BY doc_id",
 )
 Q["upload_dispatch"] = (
-    lambda spark, d: uploads(_docs(spark, d).select("doc_id", F.concat(F.lit("f"), F.element_at(F.array(F.lit(".txt"), F.lit(".md"), F.lit(".xls")), (F.col("doc_id") % 3 + 1).cast("int"))).alias("filename"), F.col("text").cast("binary").alias("content"))).select("doc_id", "source_format", F.length("text").alias("n"), "error"),
+    lambda spark, d: uploads(
+        _docs(spark, d).select(
+            "doc_id",
+            F.concat(
+                F.lit("f"),
+                F.element_at(F.array(F.lit(".txt"), F.lit(".md"), F.lit(".xls")), (F.col("doc_id") % 3 + 1).cast("int")),
+            ).alias("filename"),
+            F.col("text").cast("binary").alias("content"),
+        )
+    ).select("doc_id", "source_format", F.length("text").alias("n"), "error"),
     "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'txt' WHEN 1 THEN 'md' END AS source_format, CASE WHEN doc_id % 3 < 2 THEN length(trim(text, ' ')) END AS n, CASE WHEN doc_id % 3 = 2 THEN 'unsupported: .xls' END AS error FROM documents",
 )
 Q["edit_plan"] = (
-    lambda spark, d: edit_plan(spark.createDataFrame([("d1", 3, "figure_caption_not_centered"), ("d1", 9, "missing_formula_number"), ("d1", 5, "invalid_font_size"), ("d1", 5, "invalid_font_family"), ("d1", 7, "heading_trailing_period")], "doc_id string, paragraph_index int, subtype string"), spark.createDataFrame([("d1", 7)], "doc_id string, paragraph_index int")).select("doc_id", "paragraph_index", "op", "step"),
+    lambda spark, d: edit_plan(
+        spark.createDataFrame(
+            [
+                ("d1", 3, "figure_caption_not_centered"), ("d1", 9, "missing_formula_number"),
+                ("d1", 5, "invalid_font_size"), ("d1", 5, "invalid_font_family"), ("d1", 7, "heading_trailing_period"),
+            ],
+            "doc_id string, paragraph_index int, subtype string",
+        ),
+        spark.createDataFrame([("d1", 7)], "doc_id string, paragraph_index int"),
+    ).select("doc_id", "paragraph_index", "op", "step"),
     "SELECT * FROM (VALUES ('d1', 9, 'number_formula', 1), ('d1', 5, 'set_font', 2), ('d1', 3, 'align', 3)) AS v(doc_id, paragraph_index, op, step)",
 )
 Q["event_windows"] = (
-    lambda spark, d: event_counts(spark.read.parquet(f"{d}/events.parquet")).select("event_type", F.date_format("start", "yyyy-MM-dd").alias("day"), "n"),
+    lambda spark, d: event_counts(spark.read.parquet(f"{d}/events.parquet")).select(
+        "event_type", F.date_format("start", "yyyy-MM-dd").alias("day"), "n",
+    ),
     "SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY ALL",
 )
 
@@ -90,7 +136,9 @@ Q["standard_registry"] = (
 def _collected(spark, d):
     """A collection that is added to twice: the second time half of the rows are there already."""
     path = _folder(spark, "collection")
-    rows = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("entity_id"), F.concat(F.lit("t"), "vec_id").alias("text"), "embedding")
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select(
+        F.col("vec_id").cast("string").alias("entity_id"), F.concat(F.lit("t"), "vec_id").alias("text"), "embedding",
+    )
     V.grown(rows.where("cast(entity_id as long) % 2 = 0"), "c", path)
     return V.grown(rows, "c", path)
 
@@ -105,18 +153,34 @@ def _pages(content: bytes) -> list[str]:
 
 
 Q["pdf_texts"] = (
-    lambda spark, d: pdf_texts(spark.createDataFrame([("a", b"%PDF|one|two"), ("b", b"plain"), ("c", b"%PDF")], "doc_id string, content binary"), _pages, lambda c: c.decode() if not c.startswith(b"%") else "").select("doc_id", "text", F.col("error").isNotNull().alias("failed")),
+    lambda spark, d: pdf_texts(
+        spark.createDataFrame([("a", b"%PDF|one|two"), ("b", b"plain"), ("c", b"%PDF")], "doc_id string, content binary"),
+        _pages, lambda c: c.decode() if not c.startswith(b"%") else "",
+    ).select("doc_id", "text", F.col("error").isNotNull().alias("failed")),
     "SELECT * FROM (VALUES ('a', 'one' || chr(10) || chr(10) || 'two', false), ('b', 'plain', false), ('c', NULL, true)) AS v(doc_id, text, failed)",
 )
 Q["word_headings"] = (
-    lambda spark, d: P.word_headings(spark.createDataFrame([("d", 1, "Heading 1", "1.2 Метод"), ("d", 2, "Normal", "Введение"), ("d", 3, "Заголовок 2", "Без номера"), ("d", 4, None, "текст"), ("d", 5, "heading 3", " ")], "doc_id string, ord int, style string, text string")),
+    lambda spark, d: P.word_headings(
+        spark.createDataFrame(
+            [
+                ("d", 1, "Heading 1", "1.2 Метод"), ("d", 2, "Normal", "Введение"),
+                ("d", 3, "Заголовок 2", "Без номера"), ("d", 4, None, "текст"), ("d", 5, "heading 3", " "),
+            ],
+            "doc_id string, ord int, style string, text string",
+        )
+    ),
     "SELECT * FROM (VALUES ('d', 1, 'sec_1_2', '1.2 Метод'), ('d', 2, 'sec_auto_1', 'Введение'), ('d', 3, 'sec_auto_2', 'Без номера')) AS v(doc_id, ord, section_id, title)",
 )
 Q["document_titles"] = (
-    lambda spark, d: P.document_title(spark.createDataFrame([("d1", "a/Отчет 1.docx"), ("d3", "x/--.txt"), ("d5", "Y.md")], "doc_id string, filename string"), fixture(spark, "fx_sections")),
+    lambda spark, d: P.document_title(
+        spark.createDataFrame([("d1", "a/Отчет 1.docx"), ("d3", "x/--.txt"), ("d5", "Y.md")], "doc_id string, filename string"),
+        fixture(spark, "fx_sections"),
+    ),
     "SELECT * FROM (VALUES ('d1', 'Введение', 'отчет_1'), ('d3', '--', 'document'), ('d5', 'ВВЕДЕНИЕ', 'y')) AS v(doc_id, title, document_id)",
 )
 Q["documents_concatenated"] = (
-    lambda spark, d: concatenated(_docs(spark, d).select("doc_id", "text", "source"), "source").select("source", F.md5(F.col("text").cast("binary")).alias("h")),
+    lambda spark, d: concatenated(
+        _docs(spark, d).select("doc_id", "text", "source"), "source",
+    ).select("source", F.md5(F.col("text").cast("binary")).alias("h")),
     "SELECT source, md5(string_agg(text, chr(10) || chr(10) ORDER BY doc_id, text)) AS h FROM documents GROUP BY source",
 )

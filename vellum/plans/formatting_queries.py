@@ -26,7 +26,9 @@ def _sql(with_: str, base: str, checks: list[tuple[str, str]]) -> str:
 
 def _absent_items(spark, d):
     """Items that no document holds: items meet the documents that share their first words' place, and are compared there."""
-    items = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.col("text").alias("f")).withColumn("key", F.substring("f", 1, SEED))
+    items = spark.read.parquet(f"{d}/benchmark.parquet").select(
+        "item_id", F.col("text").alias("f"),
+    ).withColumn("key", F.substring("f", 1, SEED))
     docs = spark.read.parquet(f"{d}/documents.parquet").select("text")
     starts = F.transform(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1))), lambda i: F.substr(F.col("text"), i, F.lit(SEED)))
     keys = items.select("key").distinct()
@@ -45,8 +47,15 @@ _FOLD = "trim(regexp_replace(replace(lower(coalesce({0}, '')), 'ё', 'е'), '\\s
 
 Q["figure_checks"] = (
     lambda spark, d: _three(K.figures(*_fx(spark, "fx_figures", "fx_para_layout"))),
-    _sql(values("fx_figures", "fx_para_layout"), "SELECT f.*, alignment, trim(coalesce(caption, '')) AS c FROM fx_figures f LEFT JOIN fx_para_layout l ON f.doc_id = l.doc_id AND f.paragraph_index = l.paragraph_index", [
-        ("missing_figure_caption", "c = ''"), ("invalid_figure_caption_format", r"c <> '' AND NOT (starts_with(lower(c), 'рисунок') AND regexp_matches(c, ' [-—–] ') AND regexp_matches(c, '(?i)^рисунок\s*\d+(\.\d+)*\s*[-—–]?\s*.*[^ .—–-]'))"), ("figure_caption_trailing_period", "c <> '' AND ends_with(c, '.')"), ("figure_caption_not_centered", "c <> '' AND alignment <> 'center'"),
+    _sql(values(
+        "fx_figures", "fx_para_layout",
+    ), "SELECT f.*, alignment, trim(coalesce(caption, '')) AS c FROM fx_figures f LEFT JOIN fx_para_layout l ON f.doc_id = l.doc_id AND f.paragraph_index = l.paragraph_index", [
+        ("missing_figure_caption", "c = ''"), (
+            "invalid_figure_caption_format",
+            r"c <> '' AND NOT (starts_with(lower(c), 'рисунок') AND regexp_matches(c, ' [-—–] ') AND regexp_matches(c, '(?i)^рисунок\s*\d+(\.\d+)*\s*[-—–]?\s*.*[^ .—–-]'))",
+        ), ("figure_caption_trailing_period", "c <> '' AND ends_with(c, '.')"), (
+            "figure_caption_not_centered", "c <> '' AND alignment <> 'center'",
+        ),
     ]),
 )
 _NUM = r"regexp_extract(caption, '(\d+(?:\.\d+)*)', 1)"
@@ -71,17 +80,35 @@ Q["table_checks"] = (
     _sql(values("fx_tables", "fx_table_layout"), """SELECT t.*, trim(coalesce(caption, '')) AS c, coalesce(a.caption_position, b.caption_position) AS pos, CASE WHEN a.doc_id IS NOT NULL THEN a.header_text ELSE b.header_text END AS head,
       CASE WHEN a.doc_id IS NOT NULL THEN a.header_alignment ELSE b.header_alignment END AS mid, CASE WHEN a.doc_id IS NOT NULL THEN a.appendix_letter ELSE b.appendix_letter END AS letter
       FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS i FROM fx_tables) t LEFT JOIN fx_table_layout a ON a.doc_id = t.doc_id AND a.caption_paragraph_index = t.paragraph_index LEFT JOIN fx_table_layout b ON b.doc_id = t.doc_id AND b.table_index = t.i""", [
-        ("missing_table_caption", "c = ''"), ("invalid_table_caption_format", r"c <> '' AND NOT (regexp_matches(c, ' [-—–] ') AND regexp_matches(c, '^Таблица\s+([А-ЯЁA-Z]\.)?\d+(\.\d+)*\s*[-—–]\s*.*[^ .—–-]'))"), ("table_caption_below_table", "c <> '' AND pos = 'below'"), ("invalid_table_header_punctuation", "c <> '' AND ends_with(head, '.')"),
-        ("table_header_alignment", "c <> '' AND mid <> 'center'"), ("appendix_table_caption_format", r"c <> '' AND letter IS NOT NULL AND NOT regexp_matches(c, '(?i)^таблица\s+' || letter || '\.\d+\s*[—–-]\s*.+$')"),
+        ("missing_table_caption", "c = ''"), (
+            "invalid_table_caption_format",
+            r"c <> '' AND NOT (regexp_matches(c, ' [-—–] ') AND regexp_matches(c, '^Таблица\s+([А-ЯЁA-Z]\.)?\d+(\.\d+)*\s*[-—–]\s*.*[^ .—–-]'))",
+        ), ("table_caption_below_table", "c <> '' AND pos = 'below'"), (
+            "invalid_table_header_punctuation", "c <> '' AND ends_with(head, '.')",
+        ),
+        ("table_header_alignment", "c <> '' AND mid <> 'center'"), (
+            "appendix_table_caption_format",
+            r"c <> '' AND letter IS NOT NULL AND NOT regexp_matches(c, '(?i)^таблица\s+' || letter || '\.\d+\s*[—–-]\s*.+$')",
+        ),
     ]),
 )
 Q["formula_checks"] = (
     lambda spark, d: _three(K.formulas(fixture(spark, "fx_formulas"))),
     _sql(values("fx_formulas"), """SELECT f.*, coalesce(equation_number, '') AS num, lower(trim(coalesce(next_text, ''))) AS nxt, CASE WHEN equation_number IS NOT NULL AND appendix_letter IS NOT NULL THEN appendix_letter || '.' || sum(CASE WHEN equation_number IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, appendix_letter ORDER BY ord) END AS want FROM fx_formulas f""", [
-        ("formula_not_standalone", "NOT coalesce(is_standalone, false)"), ("formula_not_centered", "coalesce(alignment, '') <> 'center'"), ("formula_missing_blank_lines", "NOT (prev_blank AND (next_blank OR starts_with(nxt, 'где')))"), ("formula_number_format_error", "num = '' AND raw_equation_number IS NOT NULL"),
-        ("missing_formula_number", "num = '' AND raw_equation_number IS NULL"), ("appendix_formula_numbering_error", "want IS NOT NULL AND num <> want"), ("formula_where_colon", "starts_with(trim(next_text), 'где:')"),
-        ("formula_explanation_format_error", r"NOT starts_with(nxt, 'где') AND regexp_matches(trim(next_text), '^[A-Za-zА-Яа-яЁё][A-Za-zА-Яа-яЁё0-9_]*\s*[—–-]\s*.+$')"),
-        ("formula_break_invalid", r"regexp_matches(trim(text), '[=+*/-]\s*$') AND nxt <> '' AND NOT starts_with(nxt, 'где') AND NOT starts_with(nxt, right(trim(text), 1))"),
+        ("formula_not_standalone", "NOT coalesce(is_standalone, false)"), ("formula_not_centered", "coalesce(alignment, '') <> 'center'"), (
+            "formula_missing_blank_lines", "NOT (prev_blank AND (next_blank OR starts_with(nxt, 'где')))",
+        ), ("formula_number_format_error", "num = '' AND raw_equation_number IS NOT NULL"),
+        ("missing_formula_number", "num = '' AND raw_equation_number IS NULL"), (
+            "appendix_formula_numbering_error", "want IS NOT NULL AND num <> want",
+        ), ("formula_where_colon", "starts_with(trim(next_text), 'где:')"),
+        (
+            "formula_explanation_format_error",
+            r"NOT starts_with(nxt, 'где') AND regexp_matches(trim(next_text), '^[A-Za-zА-Яа-яЁё][A-Za-zА-Яа-яЁё0-9_]*\s*[—–-]\s*.+$')",
+        ),
+        (
+            "formula_break_invalid",
+            r"regexp_matches(trim(text), '[=+*/-]\s*$') AND nxt <> '' AND NOT starts_with(nxt, 'где') AND NOT starts_with(nxt, right(trim(text), 1))",
+        ),
     ]),
 )
 Q["formula_numbering"] = (
@@ -97,7 +124,9 @@ Q["formula_reference_status"] = (
     FROM fx_formulas f WHERE equation_number IS NOT NULL""",
 )
 Q["missing_contents"] = (
-    lambda spark, d: K.missing_contents(*_fx(spark, "fx_docs", "fx_sections", "fx_paragraphs", "fx_para_layout")).select("doc_id", "subtype"),
+    lambda spark, d: K.missing_contents(
+        *_fx(spark, "fx_docs", "fx_sections", "fx_paragraphs", "fx_para_layout")
+    ).select("doc_id", "subtype"),
     f"""WITH {values("fx_docs", "fx_sections", "fx_paragraphs", "fx_para_layout")}, pool AS (SELECT doc_id, title AS t FROM fx_sections UNION ALL SELECT doc_id, text FROM fx_paragraphs UNION ALL SELECT doc_id, text FROM fx_para_layout QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY paragraph_index) <= 40)
     SELECT doc_id, 'missing_contents_section' AS subtype FROM fx_docs d WHERE NOT EXISTS (SELECT 1 FROM pool WHERE pool.doc_id = d.doc_id AND (contains(lower(t), 'содержание') OR contains(lower(t), 'оглавление')))""",
 )
@@ -145,11 +174,16 @@ Q["enumerations"] = (
     lambda spark, d: _three(K.enumerations(*_fx(spark, "fx_paragraphs", "fx_para_layout", "fx_heading_layout"))),
     _sql(values('fx_paragraphs', 'fx_para_layout', 'fx_heading_layout'), r"""SELECT p.*, trim(p.text) AS t, l.first_line_indent_mm AS ind, NOT regexp_matches(trim(p.text), '^\d+(\.\d+)*\.?\s+[А-ЯЁA-Z].+$') AS free, regexp_matches(trim(p.text), '^([•●▪*]|\d+\.|[A-Za-zА-Яа-яЁё]\.)\s+') AS marked
       FROM fx_paragraphs p LEFT JOIN fx_para_layout l ON p.doc_id = l.doc_id AND p.paragraph_index = l.paragraph_index WHERE NOT EXISTS (SELECT 1 FROM fx_heading_layout h WHERE h.doc_id = p.doc_id AND h.paragraph_index = p.paragraph_index)""", [
-        ("invalid_enumeration_marker", "free AND marked"), ("enumeration_indent_invalid", r"free AND NOT marked AND regexp_matches(t, '(?i)^([-–—]|\d+\)|[а-яёa-z]\))\s+') AND abs(ind - 12.5) > 1.5")]),
+        ("invalid_enumeration_marker", "free AND marked"), (
+            "enumeration_indent_invalid",
+            r"free AND NOT marked AND regexp_matches(t, '(?i)^([-–—]|\d+\)|[а-яёa-z]\))\s+') AND abs(ind - 12.5) > 1.5",
+        )]),
 )
 _REF = "(contains(f, 'список использованных источников') OR contains(f, 'список литературы') OR contains(f, 'библиограф') OR contains(f, 'источники и литература'))"
 Q["reference_section"] = (
-    lambda spark, d: K.reference_section(*_fx(spark, "fx_docs", "fx_sections", "fx_paragraphs", "fx_para_layout")).select("doc_id", "subtype"),
+    lambda spark, d: K.reference_section(
+        *_fx(spark, "fx_docs", "fx_sections", "fx_paragraphs", "fx_para_layout")
+    ).select("doc_id", "subtype"),
     f"""WITH {values('fx_docs', 'fx_sections', 'fx_paragraphs', 'fx_para_layout')}, s AS (SELECT doc_id, arg_min(coalesce(text, ''), ord) AS text FROM (SELECT *, lower(title) AS f FROM fx_sections) WHERE {_REF} GROUP BY doc_id),
     said AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, lower(text) AS f FROM fx_paragraphs UNION ALL SELECT doc_id, lower(text) FROM fx_para_layout) WHERE {_REF})
     SELECT d.doc_id, CASE WHEN s.doc_id IS NULL AND d.doc_id NOT IN (SELECT doc_id FROM said) THEN 'missing_references_section' ELSE 'empty_references_section' END AS subtype FROM fx_docs d LEFT JOIN s USING (doc_id) WHERE s.doc_id IS NULL OR length(trim(s.text)) < 20""",
@@ -157,15 +191,34 @@ Q["reference_section"] = (
 _STRUCT = "f IN ('содержание', 'оглавление', 'реферат', 'список использованных источников', 'список литературы', 'библиографический список', 'источники и литература')"
 Q["headings"] = (
     lambda spark, d: _three(K.headings(*_fx(spark, "fx_sections", "fx_heading_layout"))),
-    _sql(values('fx_sections', 'fx_heading_layout'), f"SELECT s.*, trim(title) AS t, {_FOLD.format('title')} AS f, l.alignment FROM fx_sections s LEFT JOIN fx_heading_layout l ON s.doc_id = l.doc_id AND s.section_id = l.section_id", [
-        ("empty_section_heading", "t = ''"), ("heading_trailing_period", "ends_with(t, '.')"), ("appendix_heading_not_centered", "starts_with(f, 'приложение') AND alignment <> 'center'"), ("structural_heading_numbered", f"{_STRUCT} AND number <> ''"), ("structural_heading_not_uppercase", f"{_STRUCT} AND t <> upper(t)"),
-        ("structural_heading_not_centered", f"{_STRUCT} AND alignment <> 'center'"), ("main_heading_centered", f"t <> '' AND NOT {_STRUCT} AND NOT starts_with(f, 'приложение') AND alignment = 'center'"), ("appendix_heading_single_line", "regexp_matches(f, '^приложение\\s+[а-яa-z](\\s*[-–—]\\s*\\S|\\s+\\S)')"), ("invalid_appendix_heading", "contains(f, 'прилож') AND NOT regexp_matches(lower(t), '^приложение(\\s+[а-яёa-z]([^\\p{L}]|$).*|\\s*[-–—]\\s*.+|\\s+.+)?$')"),
+    _sql(values(
+        'fx_sections', 'fx_heading_layout',
+    ), f"SELECT s.*, trim(title) AS t, {_FOLD.format('title')} AS f, l.alignment FROM fx_sections s LEFT JOIN fx_heading_layout l ON s.doc_id = l.doc_id AND s.section_id = l.section_id", [
+        ("empty_section_heading", "t = ''"), ("heading_trailing_period", "ends_with(t, '.')"), (
+            "appendix_heading_not_centered", "starts_with(f, 'приложение') AND alignment <> 'center'",
+        ), ("structural_heading_numbered", f"{_STRUCT} AND number <> ''"), (
+            "structural_heading_not_uppercase", f"{_STRUCT} AND t <> upper(t)",
+        ),
+        ("structural_heading_not_centered", f"{_STRUCT} AND alignment <> 'center'"), (
+            "main_heading_centered",
+            f"t <> '' AND NOT {_STRUCT} AND NOT starts_with(f, 'приложение') AND alignment = 'center'",
+        ), ("appendix_heading_single_line", "regexp_matches(f, '^приложение\\s+[а-яa-z](\\s*[-–—]\\s*\\S|\\s+\\S)')"), (
+            "invalid_appendix_heading",
+            "contains(f, 'прилож') AND NOT regexp_matches(lower(t), '^приложение(\\s+[а-яёa-z]([^\\p{L}]|$).*|\\s*[-–—]\\s*.+|\\s+.+)?$')",
+        ),
     ]),
 )
 Q["heading_layouts"] = (
     lambda spark, d: _three(K.heading_layouts(*_fx(spark, "fx_sections", "fx_heading_layout", "fx_para_layout"))),
-    _sql(values('fx_sections', 'fx_heading_layout', 'fx_para_layout'), f"SELECT s.*, {_FOLD.format('title')} AS f, l.first_line_indent_mm AS ind, l.has_non_black_text AS color, l.text AS line FROM fx_sections s JOIN fx_heading_layout h ON s.doc_id = h.doc_id AND s.section_id = h.section_id JOIN fx_para_layout l ON l.doc_id = h.doc_id AND l.paragraph_index = h.paragraph_index", [
-        ("structural_heading_has_indent", f"{_STRUCT} AND abs(ind) > 0.5"), ("structural_heading_invalid_font_color", f"{_STRUCT} AND color"), ("main_heading_indent_invalid", f"f <> '' AND NOT {_STRUCT} AND NOT starts_with(f, 'приложение') AND coalesce(abs(ind - 12.5) > 1.5, true)"), ("heading_invalid_font_color", f"f <> '' AND NOT {_STRUCT} AND NOT starts_with(f, 'приложение') AND color"),
+    _sql(values(
+        'fx_sections', 'fx_heading_layout', 'fx_para_layout',
+    ), f"SELECT s.*, {_FOLD.format('title')} AS f, l.first_line_indent_mm AS ind, l.has_non_black_text AS color, l.text AS line FROM fx_sections s JOIN fx_heading_layout h ON s.doc_id = h.doc_id AND s.section_id = h.section_id JOIN fx_para_layout l ON l.doc_id = h.doc_id AND l.paragraph_index = h.paragraph_index", [
+        (
+            "structural_heading_has_indent", f"{_STRUCT} AND abs(ind) > 0.5",
+        ), ("structural_heading_invalid_font_color", f"{_STRUCT} AND color"), (
+            "main_heading_indent_invalid",
+            f"f <> '' AND NOT {_STRUCT} AND NOT starts_with(f, 'приложение') AND coalesce(abs(ind - 12.5) > 1.5, true)",
+        ), ("heading_invalid_font_color", f"f <> '' AND NOT {_STRUCT} AND NOT starts_with(f, 'приложение') AND color"),
     ]),
 )
 _HAY = "hay AS (SELECT doc_id, string_agg(lower(text), ' ') AS t FROM (SELECT doc_id, text FROM fx_paragraphs UNION ALL SELECT doc_id, text FROM fx_sections) GROUP BY doc_id)"
@@ -182,9 +235,14 @@ Q["fallback_location"] = (
     lambda spark, d: K.fallback_location(*_fx(spark, "fx_sections", "fx_paragraphs", "fx_docs")),
     f"WITH {values('fx_docs', 'fx_sections', 'fx_paragraphs')} SELECT d.doc_id, (SELECT arg_max(section_id, ord) FROM fx_sections s WHERE s.doc_id = d.doc_id) AS section_id, CASE WHEN NOT EXISTS (SELECT 1 FROM fx_sections s WHERE s.doc_id = d.doc_id) THEN (SELECT arg_max(paragraph_id, ord) FROM fx_paragraphs p WHERE p.doc_id = d.doc_id) END AS paragraph_id FROM fx_docs d",
 )
-_WANT = [("figure", "numbering"), ("figure", "placement"), ("figure", "color"), ("table", "reference_required"), ("formula", "numbering"), ("page", "size")]
+_WANT = [
+    ("figure", "numbering"), ("figure", "placement"), ("figure", "color"), ("table", "reference_required"),
+    ("formula", "numbering"), ("page", "size"),
+]
 Q["rule_pick"] = (
-    lambda spark, d: K.rule_pick(fixture(spark, "fx_rules"), spark.createDataFrame(_WANT, "object_type string, constraint_type string")).drop("standard_id"),
+    lambda spark, d: K.rule_pick(
+        fixture(spark, "fx_rules"), spark.createDataFrame(_WANT, "object_type string, constraint_type string"),
+    ).drop("standard_id"),
     f"""WITH {values('fx_rules')}, w AS (SELECT * FROM (VALUES {', '.join(map(str, _WANT))}) AS v(object_type, wanted))
     SELECT w.object_type, wanted AS constraint_type, rule_id, number, content[:280] AS quote FROM w JOIN fx_rules r ON r.object_type = w.object_type
     QUALIFY row_number() OVER (PARTITION BY w.object_type, wanted ORDER BY constraint_type = wanted DESC, list_transform(string_split(number, '.'), lambda x: CAST(x AS INTEGER)), ord) = 1""",
@@ -197,7 +255,9 @@ Q["unreferenced_tables"] = (
 )
 Q["issue_rules"] = (
     # the rule that each kind of issue names, by the standard's rules
-    lambda spark, d: K.rules_of_issues(fixture(spark, "fx_rules")).where("subtype in ('missing_figure_caption', 'figure_numbering_error', 'missing_table_reference', 'appendix_table_caption_format', 'missing_formula_number', 'missing_contents_section', 'invalid_page_size')").select("subtype", "rule_id"),
+    lambda spark, d: K.rules_of_issues(fixture(spark, "fx_rules")).where(
+        "subtype in ('missing_figure_caption', 'figure_numbering_error', 'missing_table_reference', 'appendix_table_caption_format', 'missing_formula_number', 'missing_contents_section', 'invalid_page_size')"
+    ).select("subtype", "rule_id"),
     "SELECT * FROM (VALUES ('missing_figure_caption', 'r8'), ('figure_numbering_error', 'r1'), ('missing_table_reference', 'r9'), ('appendix_table_caption_format', 'r9'), ('missing_formula_number', 'r6')) AS v(subtype, rule_id)",
 )
 Q["benchmark_references"] = (
@@ -205,15 +265,30 @@ Q["benchmark_references"] = (
     lambda spark, d: _absent_items(spark, d),
     "SELECT item_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text))",
 )
-_PARTS = ["figure_checks", "figure_reference_before", "table_checks", "unreferenced_tables", "formula_checks", "formula_numbering", "page_format", "page_margins", "typography_first_offender", "enumerations", "headings", "heading_layouts", "appendix_references", "missing_section_numbers", "missing_contents", "body_not_justified", "page_numbering", "reference_section"]
+_PARTS = [
+    "figure_checks", "figure_reference_before", "table_checks", "unreferenced_tables", "formula_checks",
+    "formula_numbering", "page_format", "page_margins", "typography_first_offender", "enumerations", "headings",
+    "heading_layouts", "appendix_references", "missing_section_numbers", "missing_contents", "body_not_justified",
+    "page_numbering", "reference_section",
+]
 _EVERY = " UNION ALL ".join(
     [f"SELECT doc_id, subtype FROM ({Q[n][1]})" for n in _PARTS]
-    + [f"SELECT doc_id, 'figure_numbering_error' FROM ({Q['figure_numbering'][1]})", f"SELECT doc_id, CASE status WHEN 'invalid' THEN 'invalid_formula_reference_format' ELSE 'missing_formula_reference' END FROM ({Q['formula_reference_status'][1]}) WHERE status <> 'ok'"]
+    + [
+        f"SELECT doc_id, 'figure_numbering_error' FROM ({Q['figure_numbering'][1]})",
+        f"SELECT doc_id, CASE status WHEN 'invalid' THEN 'invalid_formula_reference_format' ELSE 'missing_formula_reference' END FROM ({Q['formula_reference_status'][1]}) WHERE status <> 'ok'",
+    ]
     # a title page is looked for only where there is a layout
-    + [f"SELECT doc_id, subtype FROM ({Q['missing_title_page'][1]}) WHERE doc_id IN ({', '.join(sorted({repr(r[0]) for r in ROWS['fx_para_layout']}))})"]
+    + [
+        f"SELECT doc_id, subtype FROM ({Q['missing_title_page'][1]}) WHERE doc_id IN ({', '.join(sorted({repr(r[0]) for r in ROWS['fx_para_layout']}))})"
+    ]
 )
 Q["formatting_issues"] = (
     # the whole run finds what the checks find one by one
-    lambda spark, d: K.check_formatting(*_fx(spark, "fx_docs", "fx_sections", "fx_paragraphs", "fx_figures", "fx_tables", "fx_para_layout", "fx_table_layout", "fx_page_layout", "fx_page_numbering", "fx_formulas", "fx_heading_layout")).groupBy("doc_id", "subtype").agg(F.count(F.lit(1)).alias("n")),
+    lambda spark, d: K.check_formatting(
+        *_fx(
+            spark, "fx_docs", "fx_sections", "fx_paragraphs", "fx_figures", "fx_tables", "fx_para_layout",
+            "fx_table_layout", "fx_page_layout", "fx_page_numbering", "fx_formulas", "fx_heading_layout",
+        )
+    ).groupBy("doc_id", "subtype").agg(F.count(F.lit(1)).alias("n")),
     f"SELECT doc_id, subtype, count(*) AS n FROM ({_EVERY}) GROUP BY ALL",
 )

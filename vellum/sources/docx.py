@@ -28,7 +28,11 @@ def _val(e, path: str, attr: str = "val") -> str | None:
 
 
 def _text(p) -> str:
-    return "".join("\t" if t.tag == W + "tab" else "\n" if t.tag == W + "br" else t.text or "" for t in p.iter() if t.tag in (W + "t", M + "t", W + "tab", W + "br"))
+    return "".join(
+        "\t" if t.tag == W + "tab" else "\n" if t.tag == W + "br" else t.text or "" for t in p.iter() if t.tag in (
+            W + "t", M + "t", W + "tab", W + "br",
+        )
+    )
 
 
 class Styles:
@@ -83,7 +87,9 @@ def _paragraph(p, styles: Styles) -> dict:
         color |= (f(W + "color") or "auto").lower() not in ("auto", "000000")
     jc = get(W + "jc")
     return {
-        "text": _text(p), "style": styles.name(style), "alignment": {"both": "justify", "start": "left", "end": "right", None: "unspecified"}.get(jc, jc), "first_line_indent_mm": None if indent is None else round(indent / TWIPS, 1), "line_spacing": None if spacing is None else round(spacing / 240, 2),
+        "text": _text(p), "style": styles.name(style), "alignment": {
+            "both": "justify", "start": "left", "end": "right", None: "unspecified",
+        }.get(jc, jc), "first_line_indent_mm": None if indent is None else round(indent / TWIPS, 1), "line_spacing": None if spacing is None else round(spacing / 240, 2),
         "font_size_pt": min(sizes, default=None), "font_family": fonts[0] if fonts else None, "bold": bold, "non_black": color, "has_math": p.find(f".//{M}oMath") is not None,
     }
 
@@ -113,13 +119,26 @@ def facts(content: bytes) -> list[dict]:
                     for c, tc in enumerate(row.findall(W + "tc")):
                         for p in tc.findall(W + "p"):
                             cell += 1
-                            out.append({"kind": "cell", "i": cell, "table_index": t, "row_index": r, "cell_index": c, **_paragraph(p, styles)})
+                            out.append(
+                                {"kind": "cell", "i": cell, "table_index": t, "row_index": r, "cell_index": c, **_paragraph(p, styles)}
+                            )
                 t += 1
         for n, s in enumerate(body.iter(W + "sectPr")):
             mm = lambda path, attr: None if (v := _number(_val(s, path, attr))) is None else round(v / TWIPS, 1)  # noqa: B023, E731
-            field = any(_page_field(z.read(f"word/{rels[r.get(R + 'id')]}")) for r in s.findall(W + "footerReference") if rels.get(r.get(R + "id")) and f"word/{rels[r.get(R + 'id')]}" in names)
+            field = any(
+                _page_field(
+                    z.read(f"word/{rels[r.get(R + 'id')]}")
+                ) for r in s.findall(W + "footerReference") if rels.get(r.get(R + "id")) and f"word/{rels[r.get(R + 'id')]}" in names
+            )
             start = _number(_val(s, W + "pgNumType", "start"))
-            out.append({"kind": "section", "i": n, "width_mm": mm(W + "pgSz", "w"), "height_mm": mm(W + "pgSz", "h"), "left_mm": mm(W + "pgMar", "left"), "right_mm": mm(W + "pgMar", "right"), "top_mm": mm(W + "pgMar", "top"), "bottom_mm": mm(W + "pgMar", "bottom"), "page_field": field, "title_page": s.find(W + "titlePg") is not None, "page_start": None if start is None else int(start)})
+            out.append(
+                {
+                    "kind": "section", "i": n, "width_mm": mm(W + "pgSz", "w"), "height_mm": mm(W + "pgSz", "h"),
+                    "left_mm": mm(W + "pgMar", "left"), "right_mm": mm(W + "pgMar", "right"),
+                    "top_mm": mm(W + "pgMar", "top"), "bottom_mm": mm(W + "pgMar", "bottom"), "page_field": field,
+                    "title_page": s.find(W + "titlePg") is not None, "page_start": None if start is None else int(start),
+                }
+            )
         return out
 
 
@@ -177,7 +196,9 @@ def written(lines: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([build(x) for x in b.column(1).to_pylist()], pa.binary())], ["doc_id", "content"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([build(x) for x in b.column(1).to_pylist()], pa.binary())], ["doc_id", "content"],
+            )
 
     return g.mapInArrow(run, f"doc_id {lines.schema['doc_id'].dataType.simpleString()}, content binary")
 
@@ -204,7 +225,10 @@ def _set_text(p, text: str) -> None:
 
 
 #: A sentence that leads up to a formula, the formula, and what follows it.
-SENTENCE = re.compile(r"^(.*?(?:формуле|формула|равно|имеем|получаем|:)\s+)?([^=]{1,40}=.*?)(?:([,.;]\s*где\b.*|\.\s+[А-ЯЁA-Z].*))?$", re.S | re.I)
+SENTENCE = re.compile(
+    r"^(.*?(?:формуле|формула|равно|имеем|получаем|:)\s+)?([^=]{1,40}=.*?)(?:([,.;]\s*где\b.*|\.\s+[А-ЯЁA-Z].*))?$",
+    re.S | re.I,
+)
 
 
 def _split(body, p, text: str, number: str | None) -> None:
@@ -247,7 +271,9 @@ def _page_fields(src: zipfile.ZipFile, body, parts: dict[str, bytes], op: str) -
                                 q.remove(c)
                     parts[n] = ET.tostring(x, encoding="utf-8", xml_declaration=True)
         return
-    if not sections or any(_page_field(read(target[f.get(R + "id")])) for s in sections for f in s.findall(W + "footerReference") if target.get(f.get(R + "id")) in names):
+    if not sections or any(
+        _page_field(read(target[f.get(R + "id")])) for s in sections for f in s.findall(W + "footerReference") if target.get(f.get(R + "id")) in names
+    ):
         return
     parts["word/footerPages.xml"] = FOOTER.encode()
     ET.SubElement(rels, f"{{{space}}}Relationship", {"Id": "rIdPages", "Type": f"{R[1:-1]}/footer", "Target": "footerPages.xml"})
@@ -258,7 +284,13 @@ def _page_fields(src: zipfile.ZipFile, body, parts: dict[str, bytes], op: str) -
         s.insert(0, ET.Element(W + "footerReference", {W + "type": "default", R + "id": "rIdPages"}))
     if "[Content_Types].xml" in names:
         types = ET.fromstring(read("[Content_Types].xml"))
-        ET.SubElement(types, types.tag.replace("Types", "Override"), {"PartName": "/word/footerPages.xml", "ContentType": "application/vnd.openxmlformats-officedocument.wordprocessingml.footer+xml"})
+        ET.SubElement(
+            types, types.tag.replace("Types", "Override"),
+            {
+                "PartName": "/word/footerPages.xml",
+                "ContentType": "application/vnd.openxmlformats-officedocument.wordprocessingml.footer+xml",
+            },
+        )
         parts["[Content_Types].xml"] = ET.tostring(types, encoding="utf-8", xml_declaration=True)
 
 
@@ -372,6 +404,17 @@ def edited(files: DataFrame, plan: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([edit(c, e or []) for c, e in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)], pa.binary())], ["doc_id", "content"])
-
-    return files.join(g, "doc_id", "left").select("doc_id", "content", "edits").mapInArrow(run, f"doc_id {files.schema['doc_id'].dataType.simpleString()}, content binary")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0),
+                    pa.array(
+                        [edit(c, e or []) for c, e in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)],
+                        pa.binary(),
+                    ),
+                ],
+                ["doc_id", "content"],
+            )
+
+    return files.join(g, "doc_id", "left").select("doc_id", "content", "edits").mapInArrow(
+        run, f"doc_id {files.schema['doc_id'].dataType.simpleString()}, content binary",
+    )

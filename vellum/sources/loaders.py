@@ -22,7 +22,11 @@ Reader = Callable[[SparkSession, str], DataFrame]
 def _named(df: DataFrame, path: Column) -> DataFrame:
     name = F.regexp_replace(path, r"^.*/", "")
     name = F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
-    return df.withColumn("source", path).withColumn("filename", name).withColumn("doc_id", F.regexp_replace("filename", r"\.[^.]*$", "")).withColumn("extension", F.lower(F.regexp_extract("filename", r"(\.[^.]*)$", 1)))
+    return df.withColumn("source", path).withColumn("filename", name).withColumn(
+        "doc_id", F.regexp_replace("filename", r"\.[^.]*$", ""),
+    ).withColumn(
+        "extension", F.lower(F.regexp_extract("filename", r"(\.[^.]*)$", 1)),
+    )
 
 
 def binary(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -43,7 +47,10 @@ def read_text(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFr
 
     def run(batches):
         for x in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([c.decode(encoding) for c in x.column(0).to_pylist()], pa.string()), *x.columns[1:]], ["text", "source", "filename", "doc_id", "extension"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([c.decode(encoding) for c in x.column(0).to_pylist()], pa.string()), *x.columns[1:]],
+                ["text", "source", "filename", "doc_id", "extension"],
+            )
 
     return b.mapInArrow(run, "text string, source string, filename string, doc_id string, extension string")
 
@@ -59,7 +66,10 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
 def read_json(spark: SparkSession, path: str, text_key: str = "text", id_key: str = "id", metadata_keys: tuple[str, ...] = ()) -> DataFrame:
     """The objects of JSON files (a list or one object): those with a text, ids from the key or {stem}_{idx}, idx counting all."""
     raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-    raw = _named(raw.select(F.regexp_replace("value", "^﻿", "").alias("value"), F.col("_metadata.file_path").alias("__p")), F.col("__p")).drop("__p")
+    raw = _named(
+        raw.select(F.regexp_replace("value", "^﻿", "").alias("value"), F.col("_metadata.file_path").alias("__p")),
+        F.col("__p"),
+    ).drop("__p")
     one = MapType(StringType(), StringType())
     many = F.from_json("value", ArrayType(one))
     items = F.when(F.ltrim("value").startswith("["), many).otherwise(F.array(F.from_json("value", one)))
@@ -76,9 +86,14 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for x in batches:
             got = [document_text(c) for c in x.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string()), *x.columns[1:]], ["text", "error", "source", "filename", "doc_id", "extension"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string()), *x.columns[1:]],
+                ["text", "error", "source", "filename", "doc_id", "extension"],
+            )
 
-    return b.select("content", "source", "filename", "doc_id", "extension").mapInArrow(run, "text string, error string, source string, filename string, doc_id string, extension string")
+    return b.select("content", "source", "filename", "doc_id", "extension").mapInArrow(
+        run, "text string, error string, source string, filename string, doc_id string, extension string",
+    )
 
 
 Extractor = Callable[[bytes], "list[str] | str"]
@@ -107,7 +122,10 @@ def pdf_texts(files: DataFrame, *extractors: Extractor) -> DataFrame:
     def run(batches):
         for x in batches:
             got = [first_text(c or b"", extractors) for c in x.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string()), *x.columns[1:]], ["text", "error", *(f.name for f in other)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string()), *x.columns[1:]],
+                ["text", "error", *(f.name for f in other)],
+            )
 
     schema = ", ".join(["text string", "error string", *(f"`{f.name}` {f.dataType.simpleString()}" for f in other)])
     return files.select("content", *(f.name for f in other)).mapInArrow(run, schema)
@@ -124,7 +142,9 @@ class Registry:
     """Readers by suffix; unknown suffixes are read as text."""
 
     def __init__(self):
-        self.readers: dict[str, Reader] = {".txt": read_text, ".md": read_markdown, ".markdown": read_markdown, ".json": read_json, ".docx": read_docx}
+        self.readers: dict[str, Reader] = {
+            ".txt": read_text, ".md": read_markdown, ".markdown": read_markdown, ".json": read_json, ".docx": read_docx,
+        }
 
     def register(self, suffix: str, reader: Reader) -> None:
         self.readers[suffix.lower()] = reader
@@ -164,19 +184,36 @@ def uploads(files: DataFrame) -> DataFrame:
     """(doc_id, filename, content) of uploads as (doc_id, text, source_format, error), by suffix; unknown ones get an error."""
     suffix = F.lower(F.regexp_extract("filename", r"(\.[^.]*)$", 1))
     f = files.withColumn("suffix", suffix)
-    plain = f.where(F.col("suffix").isin(".txt", ".md")).select("doc_id", F.trim(F.decode("content", "UTF-8")).alias("text"), F.substring("suffix", 2, 9).alias("source_format"), F.lit(None).cast("string").alias("error"))
+    plain = f.where(F.col("suffix").isin(".txt", ".md")).select(
+        "doc_id", F.trim(F.decode("content", "UTF-8")).alias("text"),
+        F.substring("suffix", 2, 9).alias("source_format"), F.lit(None).cast("string").alias("error"),
+    )
 
     def run(batches):
         for x in batches:
             got = [document_text(c) for c in x.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([x.column(0), pa.array([g[0] for g in got], pa.string()), pa.array(["docx" if g[1] is None else "docx_fallback" for g in got], pa.string()), pa.array([g[1] for g in got], pa.string())], ["doc_id", "text", "source_format", "error"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    x.column(0), pa.array([g[0] for g in got], pa.string()),
+                    pa.array(["docx" if g[1] is None else "docx_fallback" for g in got], pa.string()),
+                    pa.array([g[1] for g in got], pa.string()),
+                ],
+                ["doc_id", "text", "source_format", "error"],
+            )
 
     kind = files.schema["doc_id"].dataType.simpleString()
-    docx = f.where(F.col("suffix").isin(".docx", ".doc")).select("doc_id", "content").mapInArrow(run, f"doc_id {kind}, text string, source_format string, error string")
-    other = f.where(~F.col("suffix").isin(".txt", ".md", ".docx", ".doc")).select("doc_id", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("source_format"), F.concat(F.lit("unsupported: "), "suffix").alias("error"))
+    docx = f.where(F.col("suffix").isin(".docx", ".doc")).select("doc_id", "content").mapInArrow(
+        run, f"doc_id {kind}, text string, source_format string, error string",
+    )
+    other = f.where(~F.col("suffix").isin(".txt", ".md", ".docx", ".doc")).select(
+        "doc_id", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("source_format"),
+        F.concat(F.lit("unsupported: "), "suffix").alias("error"),
+    )
     return plain.unionByName(docx).unionByName(other)
 
 
 def concatenated(df: DataFrame, key: str) -> DataFrame:
     """All texts of a key joined by a blank line, in the order of their ids."""
-    return df.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda s: s["text"]), "\n\n").alias("text"))
+    return df.groupBy(key).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda s: s["text"]), "\n\n").alias("text")
+    )

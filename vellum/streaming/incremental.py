@@ -19,9 +19,13 @@ def entity_stream(documents: DataFrame, key: str, table: str, checkpoint: str, t
         e = retrieve.entities(batch, key).withColumn("batch", F.lit(number))
         e.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(table)
 
-    return documents.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    return documents.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(
+        **(trigger or {"availableNow": True})
+    ).start()
 
 
 def event_counts(events: DataFrame, window: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Events by type in tumbling windows; rows later than the watermark are dropped from a stream."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    return events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"),
+    ).select(F.col("w.start").alias("start"), "event_type", "n", "total")
