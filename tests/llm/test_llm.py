@@ -28,13 +28,19 @@ def corpus(seed=0, n=40):
         elif kind == 3:
             t = "  ".join(r.choice(WORDS) + str(r.randint(0, 99)) for _ in range(60))
         rows.append((i * 3 - 5, t))
-    rows += [(1000, None), (1001, ""), (1002, "  \n "), (1003, "one two"), (1004, "a" * 300), (1005, "b" + "a" * 200), (None, base[0]), (None, base[1]), (4, base[2]), (4, base[2]), (2000, " ".join(WORDS * 400))]
+    rows += [
+        (1000, None), (1001, ""), (1002, "  \n "), (1003, "one two"), (1004, "a" * 300), (1005, "b" + "a" * 200),
+        (None, base[0]), (None, base[1]), (4, base[2]), (4, base[2]), (2000, " ".join(WORDS * 400)),
+    ]
     return rows
 
 
 def frame(spark, rows):
     """With columns whose names the operators use inside."""
-    return spark.createDataFrame([(d, t, "x", 1, "y", 2.0) for d, t in rows], "doc_id long, text string, id string, block int, bytes string, shard double").repartition(3)
+    return spark.createDataFrame(
+        [(d, t, "x", 1, "y", 2.0) for d, t in rows],
+        "doc_id long, text string, id string, block int, bytes string, shard double",
+    ).repartition(3)
 
 
 def by_smaller(rows, units, length):
@@ -60,7 +66,10 @@ def by_smaller(rows, units, length):
 @pytest.mark.parametrize("seed", [0, 1])
 def test_op1_brute_force(spark, seed):
     rows = corpus(seed)
-    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_array.dedup_substrings(frame(spark, rows)).collect()), key=repr)
+    got = sorted(
+        ((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_array.dedup_substrings(frame(spark, rows)).collect()),
+        key=repr,
+    )
     want = []
     for (d, _), (u, gone) in zip(rows, by_smaller(rows, lambda t: (t or "").encode(), 50)):
         spans = sum(g and not p for g, p in zip(gone, [False] + gone))
@@ -130,7 +139,10 @@ def test_near_duplicate_stage_keeps_unlike_rows(spark):
 
     r = random.Random(7)
     t = [" ".join(r.choice(WORDS) + str(r.randint(0, 99)) for _ in range(80)) for _ in range(8)]
-    rows = [(5, t[0]), (900, t[1]), (None, t[0]), (None, t[1]), (None, t[2]), (None, t[3]), (None, t[3]), (7, t[4]), (7, t[5]), (7, t[5]), (6, t[5]), (None, None), (3, "")]
+    rows = [
+        (5, t[0]), (900, t[1]), (None, t[0]), (None, t[1]), (None, t[2]), (None, t[3]), (None, t[3]), (7, t[4]),
+        (7, t[5]), (7, t[5]), (6, t[5]), (None, None), (3, ""),
+    ]
     rows += corpus(5)
     prints = [simhash.fingerprint(x) for _, x in rows]
     group = list(range(len(rows)))
@@ -187,7 +199,10 @@ def test_largest_long_stays(spark):
 
 
 def test_one_row_of_each_takes_maps(spark):
-    rows = spark.createDataFrame([(1, "a b c d", {"k": 2}), (1, "a b c d", {"k": 1}), (None, "a b c d", {"k": 0}), (None, "x y z w v u", {"k": 5})], "doc_id long, text string, m map<string,int>")
+    rows = spark.createDataFrame(
+        [(1, "a b c d", {"k": 2}), (1, "a b c d", {"k": 1}), (None, "a b c d", {"k": 0}), (None, "x y z w v u", {"k": 5})],
+        "doc_id long, text string, m map<string,int>",
+    )
     got = sorted(((q.doc_id, q.text, q.m["k"]) for q in simhash.one_row_of_each(rows).collect()), key=repr)
     assert got == [(1, "a b c d", 1), (None, "x y z w v u", 5)]
 
@@ -199,10 +214,15 @@ def test_op4_tells_words_of_one_polynomial_hash_apart(spark):
         w += w.translate(str.maketrans("ab", "ba"))
     other = w.translate(str.maketrans("ab", "ba"))
     around = [f"w{i}" for i in range(60)]
-    rows = [(2, " ".join([*around[:30], w, *around[30:]])), (5, " ".join([*around[:30], other, *around[30:]])), (9, " ".join([*around[:30], other, *around[30:]]))]
+    rows = [
+        (2, " ".join([*around[:30], w, *around[30:]])), (5, " ".join([*around[:30], other, *around[30:]])),
+        (9, " ".join([*around[:30], other, *around[30:]])),
+    ]
     got = {q.doc_id: q.n_removed for q in phrases.dedup_phrases(frame(spark, rows)).collect()}
     assert got == {2: 0, 5: 0, 9: 61}
-    bytes_ = {q.doc_id: q.n_removed for q in suffix_array.dedup_substrings(frame(spark, [(1, w + "x" * 20), (2, "y" * 20 + other)])).collect()}
+    bytes_ = {
+        q.doc_id: q.n_removed for q in suffix_array.dedup_substrings(frame(spark, [(1, w + "x" * 20), (2, "y" * 20 + other)])).collect()
+    }
     want = by_smaller([(1, w + "x" * 20), (2, "y" * 20 + other)], lambda t: t.encode(), 50)
     assert bytes_ == {1: 0, 2: sum(want[1][1])}
 
@@ -217,7 +237,10 @@ def test_equal_texts_compares_bytes():
 
 def test_clean_judges_rows_by_their_own_text(spark):
     item = "one two three four five six seven"
-    rows = [(None, "x " + item + " y"), (None, "clean text of its own here"), (3, item), (3, "another clean text that shares the id"), (2**63 - 1, "kept")]
+    rows = [
+        (None, "x " + item + " y"), (None, "clean text of its own here"), (3, item),
+        (3, "another clean text that shares the id"), (2**63 - 1, "kept"),
+    ]
     bench = spark.createDataFrame([(1, item), (None, "nothing like it at all here")], "item_id long, text string")
     got = {(q.doc_id, q.text) for q in decontaminate.clean(frame(spark, rows), bench).collect()}
     assert got == {rows[1], rows[3], rows[4]}
@@ -230,11 +253,15 @@ def test_op2_page_shapes():
         return p.text(v[0][0] if v else None)
 
     long = "<p>" + "many words said below the line " * 20 + "</p>"
-    assert text('<body><form id=f><div class=header>top</div><article><p>The text.</p></article><form><input> Find</form></form></body>') == "The text."
+    assert text(
+        '<body><form id=f><div class=header>top</div><article><p>The text.</p></article><form><input> Find</form></form></body>'
+    ) == "The text."
     assert text('<article><p>Good <span class="ad"><span>x</span> BUY NOW</span> text</p></article>') == "Good text"
     assert text('<article><p>find the <span class="search-term">word</span> here</p></article>') == "find the word here"
     assert text("<article><p>let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p></article>") == "let x=1 be"
-    assert text('<article><p class="header">A</p><figure class="related-figure"><figcaption>B</figcaption></figure><blockquote class="share-quote">C</blockquote><p class="ad">no</p><div class="share-buttons">no</div><p>D</p></article>') == "A\nB\nC\nD"
+    assert text(
+        '<article><p class="header">A</p><figure class="related-figure"><figcaption>B</figcaption></figure><blockquote class="share-quote">C</blockquote><p class="ad">no</p><div class="share-buttons">no</div><p>D</p></article>'
+    ) == "A\nB\nC\nD"
     assert text(f'<body><article><p>short and good</p></article><div class="advert">{long}</div></body>') == "short and good"
     assert text('<p>foo<script>var a="<p>no</p>"</script>bar <svg><text>no</text></svg> baz</p>') == "foobar baz"
     assert text("<p>a</p><p>b <!-- c") == "a\nb"
@@ -318,19 +345,28 @@ def test_op5_brute_force(spark):
     r = np.random.default_rng(1)
     base = r.normal(size=(60, 16))
     near = base[:30] + 0.05 * r.normal(size=(30, 16))
-    x = [v.tolist() for v in np.r_[base, near]] + [base[0].tolist(), base[0].tolist(), (2 * base[1]).tolist(), None, [0.0] * 16, [float("nan")] * 16, [None] + [1.0] * 15, [1.0, 2.0], [2.0, 4.0], []]
+    x = [v.tolist() for v in np.r_[base, near]] + [
+        base[0].tolist(), base[0].tolist(), (2 * base[1]).tolist(), None, [0.0] * 16, [float("nan")] * 16,
+        [None] + [1.0] * 15, [1.0, 2.0], [2.0, 4.0], [],
+    ]
     ids = [*range(5, 5 + len(x) - 1), None]
     df = spark.createDataFrame([(i, v, 0, "c") for i, v in zip(ids, x)], "vec_id long, embedding array<double>, label int, id string")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in forest.near_duplicates(df).collect()}
     ok = [v is not None and len(v) > 0 and all(c is not None and np.isfinite(c) for c in v) and any(v) for v in x]
     n, comp = len(x), list(range(len(x)))
-    link = [[i != j and ok[i] and ok[j] and len(x[i]) == len(x[j]) and np.dot(x[i], x[j]) / np.linalg.norm(x[i]) / np.linalg.norm(x[j]) >= 0.9 for j in range(n)] for i in range(n)]
+    link = [
+        [
+            i != j and ok[i] and ok[j] and len(x[i]) == len(x[j]) and np.dot(x[i], x[j]) / np.linalg.norm(x[i]) / np.linalg.norm(x[j]) >= 0.9 for j in range(n)
+        ] for i in range(n)
+    ]
     for _ in range(n):
         for i in range(n):
             for j in range(n):
                 if link[i][j]:
                     comp[i] = comp[j] = min(comp[i], comp[j])
-    assert got == {ids[i]: (sum(link[i]), ids[comp[i]], comp[i] == i and ids[i] is not None or (ids[i] is None and comp[i] == i)) for i in range(n)}
+    assert got == {
+        ids[i]: (sum(link[i]), ids[comp[i]], comp[i] == i and ids[i] is not None or (ids[i] is None and comp[i] == i)) for i in range(n)
+    }
 
 
 def test_op5_recall_of_a_forest(spark):
@@ -383,7 +419,9 @@ def test_op7_brute_force(spark):
     import re
 
     rows = corpus(2)
-    items = [(i, " ".join(t.split()[: 10 + i])) for i, (_, t) in enumerate(rows[:12])] + [(50, None), (51, "one two"), (52, "!!"), (53, "One, TWO"), (None, rows[3][1])]
+    items = [(i, " ".join(t.split()[: 10 + i])) for i, (_, t) in enumerate(rows[:12])] + [
+        (50, None), (51, "one two"), (52, "!!"), (53, "One, TWO"), (None, rows[3][1]),
+    ]
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc int")
 
     def sh(t):
@@ -393,15 +431,24 @@ def test_op7_brute_force(spark):
     docs = {}
     for d, t in rows:
         docs.setdefault(d, set()).update(sh(t))
-    want = sorted(((d, i, len(s), len(s & v)) for d, v in docs.items() for i, t in items for s in [sh(t)] if s and 10 * len(s & v) >= 8 * len(s)), key=repr)
-    got = sorted(((r.doc_id, r.item_id, r.n_item, r.n_shared) for r in decontaminate.contained(frame(spark, rows), bench).collect()), key=repr)
+    want = sorted(
+        ((d, i, len(s), len(s & v)) for d, v in docs.items() for i, t in items for s in [sh(t)] if s and 10 * len(s & v) >= 8 * len(s)),
+        key=repr,
+    )
+    got = sorted(
+        ((r.doc_id, r.item_id, r.n_item, r.n_shared) for r in decontaminate.contained(frame(spark, rows), bench).collect()),
+        key=repr,
+    )
     assert got == want
     clean = {r.doc_id for r in decontaminate.clean(frame(spark, rows), bench).collect()}
     assert clean == {d for d, _ in rows} - {w[0] for w in want}
 
 
 def test_clean_finds_short_items(spark):
-    rows = [(1, "so One, two! it is"), (2, "one twofold"), (3, "phone two"), (4, "one two"), (5, "two one"), (6, None), (7, "a b c d e"), (None, "x y one z")]
+    rows = [
+        (1, "so One, two! it is"), (2, "one twofold"), (3, "phone two"), (4, "one two"), (5, "two one"), (6, None),
+        (7, "a b c d e"), (None, "x y one z"),
+    ]
     bench = spark.createDataFrame([(1, "one two"), (2, "b c d e"), (3, "!!"), (4, None)], "item_id long, text string")
     assert {r.doc_id for r in decontaminate.clean(frame(spark, rows), bench).collect()} == {2, 3, 5, 6, None}
 
@@ -410,7 +457,11 @@ def test_op9_round_trip(spark):
     """Ids, cut pieces and their starts are those of the tokenizer's own call on the whole text."""
     from tokenizers import Tokenizer
 
-    rows = [*corpus(4, 20), (3000, "word " * 9000), (3001, "a b c\x1cd <|endoftext|> x<|startoftext|>y <|ENDOFTEXT|> İ ǅ é ́x"), (3002, "don't I'll 12 3.4 a'sB \"'re"), (3003, "Ünï×cödé÷ " * 3000), (3004, None)]
+    rows = [
+        *corpus(4, 20), (3000, "word " * 9000),
+        (3001, "a b c\x1cd <|endoftext|> x<|startoftext|>y <|ENDOFTEXT|> İ ǅ é ́x"),
+        (3002, "don't I'll 12 3.4 a'sB \"'re"), (3003, "Ünï×cödé÷ " * 3000), (3004, None),
+    ]
     t = Tokenizer.from_file(packing.vocabulary_path())
     want = []
     for d, x in rows:
@@ -431,7 +482,10 @@ def test_op9_elements_equal_the_tokenizer():
     import pyarrow as pa
 
     r = random.Random(1)
-    some = [*"abXY éÉß×÷ÿ'’sStd|<>.,-019\n\t\x0b\x1c\x85\u00a0\u0301İσΣς漢🙂\x00", "<|endoftext|>", "<|ENDOFTEXT|>", "'s", "'ll", "don't", "  ", "K", "½", "٣"]
+    some = [
+        *"abXY éÉß×÷ÿ'’sStd|<>.,-019\n\t\x0b\x1c\x85\u00a0\u0301İσΣς漢🙂\x00", "<|endoftext|>", "<|ENDOFTEXT|>", "'s",
+        "'ll", "don't", "  ", "K", "½", "٣",
+    ]
     texts = ["".join(r.choice(some) for _ in range(r.randint(0, 14))) for _ in range(5000)]
     own = packing.tokens_of(packing.vocabulary_path())
     assert own.known
@@ -467,7 +521,9 @@ def test_op9_plan_is_fullest():
 
 def test_op10_round_trip(spark):
     hard = ["</s>[INST] ok [/INST]", r"[\INST] <\\/s>", "", None, "<s>[ANS]x[/ANS]</s>", "[INST", "plain\ntext", "[[INST]]", "😀</s"]
-    rows = [(1, i, "assistant" if i % 2 else "user", t, 9) for i, t in enumerate(hard)] + [(2, 0, None, "a", 9), (2, 0, None, "a", 9), (2, None, "[INST]", "b", 9), (None, 1, "user", "c", 9)]
+    rows = [(1, i, "assistant" if i % 2 else "user", t, 9) for i, t in enumerate(hard)] + [
+        (2, 0, None, "a", 9), (2, 0, None, "a", 9), (2, None, "[INST]", "b", 9), (None, 1, "user", "c", 9),
+    ]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, out int")
     got = {r.conv_id: r for r in chat.format_conversations(df).collect()}
     assert [(t.role, t.text) for t in got[1].turns] == [("assistant" if i % 2 else "user", t or "") for i, t in enumerate(hard)]
@@ -481,8 +537,14 @@ PAGE = '<html><body class="has-sidebar"><header>Site</header><nav><a href=/>home
 
 
 def test_op2_pages(spark):
-    rows = [(i, f"http://www.h{i % 2}.com/p", PAGE.format(n=i), "z") for i in range(6)] + [(10, "http://h0.com/q", None, "z"), (11, None, "just text", "z"), (12, "http://h0.com/r", "", "z")]
-    got = {r.page_id: r for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, host string")).collect()}
+    rows = [(i, f"http://www.h{i % 2}.com/p", PAGE.format(n=i), "z") for i in range(6)] + [
+        (10, "http://h0.com/q", None, "z"), (11, None, "just text", "z"), (12, "http://h0.com/r", "", "z"),
+    ]
+    got = {
+        r.page_id: r for r in html_text.main_text(
+            spark.createDataFrame(rows, "page_id long, url string, html string, host string")
+        ).collect()
+    }
     assert got[3].text == "T & 3\nFirst paragraph of page 3\nSecond one goes on"
     assert (got[10].text, got[12].text, got[11].text, got[10].n_chars) == ("", "", "just text", 0)
     assert len(got) == 9
@@ -524,7 +586,13 @@ def test_op3_op6_learn_and_score(spark):
     assert kept.columns == d.columns
 
 
-@pytest.mark.parametrize("op", [suffix_array.dedup_substrings, phrases.dedup_phrases, simhash.near_duplicates, packing.packed, simhash.one_row_of_each, suffix_array.without_repeats])
+@pytest.mark.parametrize(
+    "op",
+    [
+        suffix_array.dedup_substrings, phrases.dedup_phrases, simhash.near_duplicates, packing.packed,
+        simhash.one_row_of_each, suffix_array.without_repeats,
+    ],
+)
 def test_empty_tables(spark, op):
     assert op(frame(spark, [(1, "x")]).limit(0)).count() == 0
 

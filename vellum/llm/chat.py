@@ -48,19 +48,30 @@ def parse(rendered: Column) -> Column:
     pieces = F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0)))
     return F.transform(
         pieces,
-        lambda p: F.struct(unescaped(F.regexp_extract(p, TURN, 1)).alias("role"), F.regexp_extract(p, TURN, 2).alias("kind"), unescaped(F.regexp_extract(p, TURN, 3)).alias("text")),
+        lambda p: F.struct(
+            unescaped(F.regexp_extract(p, TURN, 1)).alias("role"), F.regexp_extract(p, TURN, 2).alias("kind"),
+            unescaped(F.regexp_extract(p, TURN, 3)).alias("text"),
+        ),
     )
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
     """conv_id, formatted (the rendered text) and turns (what the parser recovers from it)."""
-    t = conversations.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    t = conversations.select(
+        "conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+    )
     answer = F.col("role") == "assistant"
     plain = render_turn(F.col("role"), F.col("text"), answer)
     back = parse(plain)
     same = (F.size(back) == 1) & (F.get(back, F.lit(0))["role"] == F.col("role")) & (F.get(back, F.lit(0))["text"] == F.col("text"))
-    t = t.withColumn("out", F.when(F.coalesce(same, F.lit(False)), plain).otherwise(render_turn(escaped(F.col("role")), escaped(F.col("text")), answer)))
-    g = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.col("turn").isNotNull().alias("has"), "turn", "role", "text", "out"))).alias("all"))
+    t = t.withColumn(
+        "out",
+        F.when(F.coalesce(same, F.lit(False)), plain).otherwise(render_turn(escaped(F.col("role")), escaped(F.col("text")), answer)),
+    )
+    g = t.groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("turn").isNotNull().alias("has"), "turn", "role", "text", "out"))).alias("all")
+    )
     return g.select("conv_id", F.array_join(F.col("all.out"), "").alias("formatted")).withColumn("turns", parse(F.col("formatted")))
 
 
@@ -80,7 +91,9 @@ def digests(formatted: DataFrame) -> DataFrame:
 def op10_query(spark, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     said = "'</s>[INST] ok [/INST]'"
-    rows = rows.unionByName(spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', {said}), (-1L, 1L, 'assistant', {said}) AS v(conv_id, turn, role, text)"))
+    rows = rows.unionByName(
+        spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', {said}), (-1L, 1L, 'assistant', {said}) AS v(conv_id, turn, role, text)")
+    )
     return digests(format_conversations(rows))
 
 

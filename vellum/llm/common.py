@@ -77,7 +77,9 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_cla
     hold; texts are whole. Rows without a label of 0 or 1 don't count; a document that is labelled twice counts once
     for each label.
     """
-    y = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col(label).cast("int").alias("y")).distinct()
+    y = labels.where(
+        F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()
+    ).select("doc_id", F.col(label).cast("int").alias("y")).distinct()
     counts = {r.y: r["count"] for r in y.groupBy("y").count().collect()}
     drawn = None
     for k in (0, 1):
@@ -150,7 +152,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", hub: int = HUB) ->
         large = _beside(both, low, before[0], hub).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"), count.alias("n"))
-        small = _beside(large, down, before[0], hub).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
+        small = _beside(large, down, before[0], hub).where("v <> m").select(
+            F.col("v").alias("u"), F.col("m").alias("v"),
+        ).unionByName(down.select("u", F.col("m").alias("v")))
         e = written(small.where("u <> v").distinct(), "links")
         now = state()
         discard(spark, since - 1, made() - 1)

@@ -43,7 +43,10 @@ def shingles(words: Column, f) -> Column:
         short = F.transform(short, lambda s: F.xxhash64(s))
         long_ = F.transform(F.slice(words, 1, F.greatest(n - WORDS + 1, F.lit(0))), lambda w, i: _at(words, i, f))
     else:
-        long_ = F.transform(F.slice(words, 1, F.greatest(n - WORDS + 1, F.lit(0))), lambda w, i: F.concat_ws(" ", *[F.get(words, i + k) for k in range(WORDS)]))
+        long_ = F.transform(
+            F.slice(words, 1, F.greatest(n - WORDS + 1, F.lit(0))), lambda w,
+            i: F.concat_ws(" ", *[F.get(words, i + k) for k in range(WORDS)]),
+        )
     return F.when(n >= WORDS, long_).otherwise(short)
 
 
@@ -57,23 +60,45 @@ ITEM = ["item", "unnamed"]
 
 def _contained(docs: DataFrame, own: list[str], benchmark: DataFrame) -> DataFrame:
     """own, item, unnamed, n, shared: the items that documents contain. docs: text and the columns that tell documents apart, none of them null."""
-    items = benchmark.select(filled_id("item_id").alias("item"), F.col("item_id").isNull().alias("unnamed"), words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
-    items = items.groupBy(ITEM).agg(F.array_distinct(F.flatten(F.collect_list(shingles(F.col("w"), None)))).alias("s")).withColumn("n", F.size("s"))
+    items = benchmark.select(
+        filled_id("item_id").alias("item"), F.col("item_id").isNull().alias("unnamed"),
+        words_of(F.col("text")).alias("w"),
+    ).where(F.size("w") > 0)
+    items = items.groupBy(ITEM).agg(
+        F.array_distinct(F.flatten(F.collect_list(shingles(F.col("w"), None)))).alias("s")
+    ).withColumn("n", F.size("s"))
     items = written(items, "items")
     # the hash of a whole short text differs from that of five words; both sides use the same rule
-    five = items.select(*ITEM, "n", need(F.col("n")).alias("need"), F.transform("s", lambda s: F.when(F.size(F.split(s, " ")) == WORDS, F.xxhash64(*[F.get(F.split(s, " "), F.lit(k)) for k in range(WORDS)])).otherwise(F.xxhash64(s))).alias("h"))
+    five = items.select(
+        *ITEM, "n", need(F.col("n")).alias("need"),
+        F.transform(
+            "s",
+            lambda s: F.when(
+                F.size(F.split(s, " ")) == WORDS, F.xxhash64(*[F.get(F.split(s, " "), F.lit(k)) for k in range(WORDS)]),
+            ).otherwise(F.xxhash64(s)),
+        ).alias("h"),
+    )
     five = five.withColumn("k", F.col("n") - F.col("need") + 1)
     order = F.array_sort(F.transform("h", lambda h: F.struct(F.xxhash64(h, F.lit(7)).alias("by"), h.alias("h"))))
-    sketch = written(five.select(*ITEM, F.explode_outer(F.slice(order, F.lit(1), F.col("k"))).alias("m")).select(*ITEM, F.col("m.h").alias("h")), "sketch")
+    sketch = written(
+        five.select(*ITEM, F.explode_outer(F.slice(order, F.lit(1), F.col("k"))).alias("m")).select(*ITEM, F.col("m.h").alias("h")),
+        "sketch",
+    )
     # words are a column of their own: inside the lambdas they would be split again for each shingle
     hashed = docs.select(*own, words_of(F.col("text")).alias("w")).select(*own, shingles(F.col("w"), F.xxhash64).alias("h"))
     # outer: for a plain explode the optimizer infers a filter, which would compute the shingles a second time
     pairs = hashed.select(*own, F.explode_outer("h").alias("h")).join(sketch, "h").select(*own, *ITEM).distinct()
     pairs = written(pairs, "pairs")
-    wanted = docs.join(pairs.select(own).distinct(), own, "left_semi").select(*own, words_of(F.col("text")).alias("w")).select(*own, F.array_distinct(shingles(F.col("w"), None)).alias("s"))
-    found = wanted.join(pairs, own).join(items.withColumnRenamed("s", "t"), ITEM).select(*own, *ITEM, "n", F.array_intersect("t", "s").alias("both"))
+    wanted = docs.join(pairs.select(own).distinct(), own, "left_semi").select(*own, words_of(F.col("text")).alias("w")).select(
+        *own, F.array_distinct(shingles(F.col("w"), None)).alias("s"),
+    )
+    found = wanted.join(pairs, own).join(items.withColumnRenamed("s", "t"), ITEM).select(
+        *own, *ITEM, "n", F.array_intersect("t", "s").alias("both"),
+    )
     # collected per pair: an item's shingles bound the group for each row; rows of one document are united
-    one = found.where(F.size("both") > 0).groupBy(*own, *ITEM).agg(F.first("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_set("both")))).alias("shared"))
+    one = found.where(F.size("both") > 0).groupBy(*own, *ITEM).agg(
+        F.first("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_set("both")))).alias("shared"),
+    )
     return one.where(F.col("shared") >= need(F.col("n")))
 
 
@@ -104,9 +129,14 @@ def short_items(docs: DataFrame, own: list[str], benchmark: DataFrame) -> DataFr
         return docs.select(own).where(F.lit(False))
 
     def runs(n: int) -> Column:
-        return F.transform(F.slice("w", 1, F.greatest(F.size("w") - (n - 1), F.lit(0))), lambda _, i: F.concat_ws(" ", *[F.get(F.col("w"), i + k) for k in range(n)]))
-
-    return docs.select(*own, F.explode_outer(F.array_distinct(F.concat(*map(runs, lengths)))).alias("run")).join(items.select("run"), "run", "left_semi").select(own)
+        return F.transform(
+            F.slice("w", 1, F.greatest(F.size("w") - (n - 1), F.lit(0))), lambda _,
+            i: F.concat_ws(" ", *[F.get(F.col("w"), i + k) for k in range(n)]),
+        )
+
+    return docs.select(
+        *own, F.explode_outer(F.array_distinct(F.concat(*map(runs, lengths)))).alias("run"),
+    ).join(items.select("run"), "run", "left_semi").select(own)
 
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

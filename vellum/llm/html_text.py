@@ -35,7 +35,9 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 # HTML elements by their role, and words that name page furniture.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover mfenced mtable mtr mtd semantics".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover mfenced mtable mtr mtd semantics".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta mspace param source track wbr".split())
 WITHIN = frozenset("br img wbr input mspace".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -43,13 +45,31 @@ CUT = frozenset("noscript template svg canvas object audio video map button sele
 NEVER = frozenset("head fieldset dialog nav footer aside menu".split())
 STRUCTURE = frozenset("article main section nav header footer aside h1 h2".split())
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead table ul ol dl blockquote pre figcaption figure".split())
-NAMES = frozenset("nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside ad ads advert adverts advertisement advertisements banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments disqus reply replies responses form search widget pagination pager toolbar contentinfo complementary".split())
-HEADS = frozenset("area articles bar block bottom box btn button buttons col column container content div group holder icons inner item items left links list menus message outer overlay panel placeholder policy posts right row section sections slot stories text top unit widgets wrap wrapper zone".split())
-SOFT = frozenset("header masthead banner search form widget complementary alert related recommended menu navigation nav pagination pager toolbar login signup aside sidebar footer".split())
-THREADS = frozenset("ad ads advert adverts advertisement advertisements sponsor sponsored comment comments disqus reply replies responses".split())
+NAMES = frozenset(
+    "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside ad ads advert adverts advertisement advertisements banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments disqus reply replies responses form search widget pagination pager toolbar contentinfo complementary".split()
+)
+HEADS = frozenset(
+    "area articles bar block bottom box btn button buttons col column container content div group holder icons inner item items left links list menus message outer overlay panel placeholder policy posts right row section sections slot stories text top unit widgets wrap wrapper zone".split()
+)
+SOFT = frozenset(
+    "header masthead banner search form widget complementary alert related recommended menu navigation nav pagination pager toolbar login signup aside sidebar footer".split()
+)
+THREADS = frozenset(
+    "ad ads advert adverts advertisement advertisements sponsor sponsored comment comments disqus reply replies responses".split()
+)
 WRAPPER = frozenset("has with without no open closed enabled disabled".split())
-CLOSED_BY = {"p": frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "head": frozenset(["body"])}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+CLOSED_BY = {
+    "p": frozenset(
+        "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
+    ),
+    "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
+    "tr": frozenset(["tr", "tbody"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]),
+    "head": frozenset(["body"]),
+}
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
+    re.S,
+)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[A-Za-z]+")
 #: Share of the best container's score that a container needs to vote.
@@ -58,7 +78,9 @@ LEAST = 0.5
 
 def generalised(tag: str, classes: str) -> str:
     """A path's step: generated class names vanish, digits become one sign."""
-    own = sorted({re.sub(r"\d+", "#", c) for c in classes.lower().split() if not re.fullmatch(r"(?=.*\d)[0-9a-z]*[0-9][0-9a-z]{4,}", c.lower())})
+    own = sorted(
+        {re.sub(r"\d+", "#", c) for c in classes.lower().split() if not re.fullmatch(r"(?=.*\d)[0-9a-z]*[0-9][0-9a-z]{4,}", c.lower())}
+    )
     return ".".join([tag, *own])
 
 
@@ -258,21 +280,31 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 host.append(h)
                 path.append(p)
                 share.append(s)
-        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(share, pa.float64())], ["host", "path", "share"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(share, pa.float64())],
+            ["host", "path", "share"],
+        )
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars and path (a digest of the host's winning path) of every page."""
-    host = F.coalesce(F.lower(F.regexp_extract(F.col("url").cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?(?:www\.)?([^/:?#]*)", 1)), F.lit(""))
+    host = F.coalesce(
+        F.lower(F.regexp_extract(F.col("url").cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?(?:www\.)?([^/:?#]*)", 1)),
+        F.lit(""),
+    )
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host.alias("host"))
-    votes = rows.select("host", "html").mapInArrow(_votes, "host string, path string, share double").groupBy("host", "path").agg(F.round(F.sum("share"), 6).alias("share"))
+    votes = rows.select("host", "html").mapInArrow(
+        _votes, "host string, path string, share double",
+    ).groupBy("host", "path").agg(F.round(F.sum("share"), 6).alias("share"))
     # written, so that the planner knows the size of what it may broadcast
     won = written(votes.groupBy("host").agg(F.max_by("path", F.struct("share", "path")).alias("path")), "paths")
 
     def extract(batches):
         for b in batches:
             got = [Page(html or "").text(path) for html, path in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.string()), b.column(3)], ["page_id", "url", "text", "path"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(got, pa.string()), b.column(3)], ["page_id", "url", "text", "path"],
+            )
 
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
     both = rows.join(won, "host", "left").select("page_id", "url", "html", "path")

@@ -89,7 +89,9 @@ class Model:
         return probability((margin / np.sqrt(np.maximum(count, 1)) + self.bias)[:, None], self.curve)
 
 
-def hinge_weights(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: np.ndarray, rounds: int = 30, seed: int = 1) -> tuple[np.ndarray, float]:
+def hinge_weights(
+    rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: np.ndarray, rounds: int = 30, seed: int = 1,
+) -> tuple[np.ndarray, float]:
     """Weights and bias of the linear hinge-loss model by dual coordinate descent (Hsieh et al.)."""
     sign = 2 * y - 1
     alpha, w, bias = np.zeros(len(rows)), np.zeros(1 << BITS), 0.0
@@ -143,7 +145,10 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary()), b.column(2)], ["doc_id", "f", "y"])
 
 
-def trained(documents: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+def trained(
+    documents: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS,
+    sample_bytes: int = SAMPLE_BYTES,
+) -> Model:
     rows, counts = labelled_sample(documents, labels, label, per_class, sample_bytes)
     got = rows.select(F.col("doc_id").cast("long"), "text", "y").mapInArrow(_sampled, "doc_id long, f binary, y int").collect()
     got.sort(key=lambda r: (hash((r.doc_id, 0)) & 0xFFFF, r.doc_id, r.y, bytes(r.f)))
@@ -157,11 +162,15 @@ def scored(documents: DataFrame, labels: DataFrame, label: str = "quality", thre
     def score(batches):
         for b in batches:
             data, o = texts_of(b.column(2))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(model.value.scores(data, o))], ["doc_id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(model.value.scores(data, o))], ["doc_id", "held_out", "score"],
+            )
 
     rows = documents.select("doc_id", held_out().alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(score, f"doc_id {kind}, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return rows.mapInArrow(
+        score, f"doc_id {kind}, held_out boolean, score double",
+    ).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def op3_query(spark, sf_dir: str) -> DataFrame:

@@ -141,11 +141,15 @@ class Tokens:
             and [x.get("type") for x in split] == ["Split", "ByteLevel"]
             and split[0]["pattern"] == {"Regex": SPLIT}
             and rules["model"].get("end_of_word_suffix") == "</w>"
-            and all("|" in t["content"] and not re.search(r"\s", t["content"]) and not t["lstrip"] and not t["rstrip"] for t in rules["added_tokens"])
+            and all(
+                "|" in t["content"] and not re.search(r"\s", t["content"]) and not t["lstrip"] and not t["rstrip"] for t in rules["added_tokens"]
+            )
         )
         self.letters = Tokenizer.from_file(path)
         self.letters.normalizer = None
-        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         self.memo: dict[bytes, bytes] = {}
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for word, i in self.tokenizer.get_vocab().items():
@@ -187,12 +191,19 @@ class Tokens:
                 yield np.array(self.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4")
             return
         if len(texts) == 1 and len(texts[0].as_py() or "") > LONG:
-            yield np.concatenate(list(self.encode(pa.array(cut_at_spaces(texts[0].as_py().encode("utf-8", "surrogatepass"), AT_ONCE), pa.large_binary()))))
+            yield np.concatenate(
+                list(self.encode(pa.array(cut_at_spaces(texts[0].as_py().encode("utf-8", "surrogatepass"), AT_ONCE), pa.large_binary())))
+            )
             return
-        texts = pc.binary_join_element_wise(texts.cast(pa.large_binary()), *(pa.scalar(x, pa.large_binary()) for x in (b"", b" ")), null_handling="replace", null_replacement=b"")
+        texts = pc.binary_join_element_wise(
+            texts.cast(pa.large_binary()), *(pa.scalar(x, pa.large_binary()) for x in (b"", b" ")),
+            null_handling="replace", null_replacement=b"",
+        )
         raw, offsets = texts_of(texts)
         data, place, start = elements(raw, offsets)
-        pool = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.r_[start, len(data)]), pa.py_buffer(data)])
+        pool = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(start), [None, pa.py_buffer(np.r_[start, len(data)]), pa.py_buffer(data)],
+        )
         pool = pool.dictionary_encode()
         ids = self._ids(pool.dictionary.to_pylist())
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
@@ -248,7 +259,10 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str | None, capacity: int)
                 part = ids[at : at + 4 * capacity]
                 for to, x in zip(rows, (doc, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                     to.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), *(pa.array(r, pa.int64()) for r in rows[2:])], ["id", "piece", "start", "length", "ids_crc32"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), *(pa.array(r, pa.int64()) for r in rows[2:])],
+            ["id", "piece", "start", "length", "ids_crc32"],
+        )
 
 
 def fullest(counts: dict[int, int], capacity: int) -> list[int]:
@@ -301,7 +315,10 @@ def packed(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str | Non
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. vocabulary: path of the tokenizer's file."""
     spark = documents.sparkSession
     rows = documents.select(filled_id("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
-    pieces = written(rows.mapInArrow(lambda it: _pieces(it, vocabulary, capacity), "id long, piece int, start long, length long, ids_crc32 long"), "pieces")
+    pieces = written(
+        rows.mapInArrow(lambda it: _pieces(it, vocabulary, capacity), "id long, piece int, start long, length long, ids_crc32 long"),
+        "pieces",
+    )
     pieces = pieces.withColumn("part", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(partitions(spark))))
     have = written(pieces.groupBy("length", "part").count(), "lengths")
     counts = {r.length: r.n for r in have.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most `capacity` rows
@@ -310,7 +327,9 @@ def packed(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str | Non
     have = have.select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
     # no more copies of a piece than a part holds share a window
     within = Window.partitionBy("length", "part").orderBy("id", "piece")
-    ranked = pieces.withColumn("rank", F.row_number().over(within) - 1).join(have, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("ahead"))
+    ranked = pieces.withColumn(
+        "rank", F.row_number().over(within) - 1,
+    ).join(have, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("ahead"))
 
     def place(batches):
         key = slots[:, 0] * (1 << 40) + slots[:, 1]
@@ -320,9 +339,14 @@ def packed(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str | Non
                 continue
             s = slots[np.searchsorted(key, n * (1 << 40) + r, side="right") - 1]
             k = r - s[:, 1]
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(s[:, 3] + k // s[:, 4]), pa.array(s[:, 5] + k % s[:, 4] * n)], ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
-    out = ranked.select("id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long")).mapInArrow(place, "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:5], pa.array(s[:, 3] + k // s[:, 4]), pa.array(s[:, 5] + k % s[:, 4] * n)],
+                ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
+            )
+
+    out = ranked.select("id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long")).mapInArrow(
+        place, "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long",
+    )
     return out.withColumn("doc_id", given_id("id")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

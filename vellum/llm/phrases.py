@@ -53,7 +53,9 @@ class WordBlock:
         self.at = np.r_[0, np.cumsum(stop - start + 1)]
         self.data[self.at[1:] - 1] = 32
         # a word's code tells it from the block's other words; its hash, the same in all blocks, chooses anchors only
-        pool = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(self.at), pa.py_buffer(self.data)]).dictionary_encode()
+        pool = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(start), [None, pa.py_buffer(self.at), pa.py_buffer(self.data)],
+        ).dictionary_encode()
         self.codes = pool.indices.to_numpy()
         self.units = np.fromiter(map(xxhash.xxh64_intdigest, pool.dictionary.to_pylist()), np.uint64, len(pool.dictionary))[self.codes]
         self.grams, self.k, self.length = A.unit_grams, GRAM, WINDOW
@@ -119,7 +121,13 @@ def passage_runs(parts: list[dict]) -> list[tuple[bytes, bytes, bytes]]:
     out = []
     for mine in each:
         got = [runs[k] for k in mine]
-        out.append((np.array([len(g[0]) for g in got], "<i4").tobytes(), np.array([x for g in got for x in g[0]], "<i4").tobytes(), np.array([x for g in got for x in g[1]], "<i8").tobytes()))
+        out.append(
+            (
+                np.array([len(g[0]) for g in got], "<i4").tobytes(),
+                np.array([x for g in got for x in g[0]], "<i4").tobytes(),
+                np.array([x for g in got for x in g[1]], "<i8").tobytes(),
+            )
+        )
     return out
 
 
@@ -195,12 +203,21 @@ def _finish(b: WordBlock, each, length, doc) -> pa.Table:
             text = b.data[b.at[a] : max(b.at[a], b.at[e] - 1)].tobytes()
         sha.append(hashlib.sha256(text).hexdigest())
         kept.append(text)
-    return pa.table([pa.array(b.ids), b.none, pa.array(n.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], ["id", "none", "n_words", "n_removed", "kept_sha256", "kept"])
+    return pa.table(
+        [
+            pa.array(b.ids), b.none, pa.array(n.astype(np.int64)), pa.array(removed.astype(np.int64)),
+            pa.array(sha, pa.string()), pa.array(kept, pa.binary()),
+        ],
+        ["id", "none", "n_words", "n_removed", "kept_sha256", "kept"],
+    )
 
 
 def dedup_phrases(documents: DataFrame) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256 and text (the kept words joined by one space)."""
-    out = repeated_runs(blocks_of(documents), WordBlock, passage_runs, _finish, "id long, none boolean, n_words long, n_removed long, kept_sha256 string, kept binary")
+    out = repeated_runs(
+        blocks_of(documents), WordBlock, passage_runs, _finish,
+        "id long, none boolean, n_words long, n_removed long, kept_sha256 string, kept binary",
+    )
     return out.select(own_id().alias("doc_id"), "n_words", "n_removed", "kept_sha256", F.col("kept").cast("string").alias("text"))
 
 

@@ -137,7 +137,10 @@ def _bits(c: Column, lo: int, n: int) -> Column:
 def buckets(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(key, fp) of every bucket of the distinct fingerprints."""
     fp = F.col("fp")
-    dealt = distinct.select("fp", F.explode(F.array(*(F.struct(F.lit(n).alias("n"), _bits(fp, 16 * n, 16).alias("x")) for n in range(4)))).alias("k")).select("fp", F.col("k.n").alias("n"), (F.col("k.n") * 65536 + F.col("k.x")).alias("key"))
+    dealt = distinct.select(
+        "fp",
+        F.explode(F.array(*(F.struct(F.lit(n).alias("n"), _bits(fp, 16 * n, 16).alias("x")) for n in range(4)))).alias("k"),
+    ).select("fp", F.col("k.n").alias("n"), (F.col("k.n") * 65536 + F.col("k.x")).alias("key"))
     large = written(dealt.groupBy("key").count().where(F.col("count") > bucket).select("key", F.lit(True).alias("large")), "buckets")  # at most 4 * 2^16 rows
     dealt = dealt.join(F.broadcast(large), "key", "left")
     # the other 48 bits, turned to the low end
@@ -162,7 +165,9 @@ def near_duplicates(documents: DataFrame, words: int = 3, most: int = MOST) -> D
     rows = written(rows.mapInArrow(lambda it: _fingerprints(it, words), "id long, fp long"), "simhash")
     first = rows.groupBy("fp").agg(F.min("id").alias("id"))
     # rows that share a doc_id but not the fingerprint are one document
-    same = rows.where("id IS NOT NULL").groupBy("id").agg(F.min("fp").alias("b"), F.max("fp").alias("y")).where("b <> y").join(rows, "id").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+    same = rows.where("id IS NOT NULL").groupBy("id").agg(
+        F.min("fp").alias("b"), F.max("fp").alias("y"),
+    ).where("b <> y").join(rows, "id").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
     found = components(linked(first.select("fp"), most).unionByName(same))
     group = first.join(found, first.fp == found.node, "left").select("fp", "id", F.coalesce("component", "fp").alias("group"))
     named = group.groupBy("group").agg(F.min("id").alias("component_id"))
@@ -176,15 +181,24 @@ def one_row_of_each(documents: DataFrame) -> DataFrame:
     groups. A row is known by its doc_id and the 64-bit hash of its text; of rows equal in both, the first by the JSON
     of their columns stays.
     """
-    own = [F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id")).alias("__id"), F.xxhash64(F.col("text").cast("string")).alias("__h")]
-    rows = documents.select(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), own[1].alias("h"), F.col("text").cast("string").alias("text"))
+    own = [
+        F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id")).alias("__id"),
+        F.xxhash64(F.col("text").cast("string")).alias("__h"),
+    ]
+    rows = documents.select(
+        F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), own[1].alias("h"),
+        F.col("text").cast("string").alias("text"),
+    )
     rows = written(rows.mapInArrow(lambda it: _fingerprints(it, 3), "none boolean, id long, h long, fp long"), "simhash")
     first = rows.groupBy("fp").agg(F.min(F.struct(F.struct("none", "id").alias("id"), "h")).alias("first"))
     found = components(linked(first.select("fp")))
     group = first.join(found, first.fp == found.node, "left").groupBy(F.coalesce("component", "fp")).agg(F.min("first").alias("first"))
     kept = group.select(F.col("first.id").alias("__id"), F.col("first.h").alias("__h"))
     other = [F.col(f"`{c}`") for c in documents.columns]
-    row = documents.select(*own, F.struct(*other).alias("r"), F.to_json(F.struct(*(c for c, f in zip(other, documents.schema) if f.name != "text"))).alias("__by"))
+    row = documents.select(
+        *own, F.struct(*other).alias("r"),
+        F.to_json(F.struct(*(c for c, f in zip(other, documents.schema) if f.name != "text"))).alias("__by"),
+    )
     alike = row.join(kept, ["__id", "__h"], "left_semi")
     return alike.groupBy("__id", "__h").agg(F.min_by("r", "__by").alias("r")).select("r.*")
 
