@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,14 +39,23 @@ class HashEmbedding:
 
     def _clear(self) -> None:
         self.of: dict[str, int] = {}
-        self.bucket: list[int] = []
-        self.weight: list[float] = []
-        self.start = [0]
+        self.gram: dict[str, tuple[int, float]] = {}
+        self.bucket, self.weight, self.start = array("q"), array("d"), array("q", [0])
+
+    def _signed(self, g: str) -> tuple[int, float]:
+        return _hash(g) % self.dim, (1 if _hash("sign::" + g) % 2 == 0 else -1) * (1 + min(len(g), 12) / 12)
 
     def _learn(self, word: str) -> int:
-        for g in [word] + ([word[i : i + 3] for i in range(len(word) - 2)] if len(word) >= 4 else []):
-            self.bucket.append(_hash(g) % self.dim)
-            self.weight.append((1 if _hash("sign::" + g) % 2 == 0 else -1) * (1 + min(len(g), 12) / 12))
+        found = [self._signed(word)]
+        if len(word) >= 4:
+            for i in range(len(word) - 2):
+                g = word[i : i + 3]
+                if g not in self.gram:  # far fewer than words
+                    self.gram[g] = self._signed(g)
+                found.append(self.gram[g])
+        for bucket, weight in found:
+            self.bucket.append(bucket)
+            self.weight.append(weight)
         self.start.append(len(self.bucket))
         self.of[word] = len(self.start) - 2
         return self.of[word]
@@ -56,8 +66,9 @@ class HashEmbedding:
         start = np.array(self.start)
         size = start[flat + 1] - start[flat]
         at = np.repeat(start[flat] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        place = np.repeat(row, size) * self.dim + np.array(self.bucket, np.int64)[at]
-        return np.bincount(place, np.array(self.weight)[at], len(words) * self.dim).reshape(len(words), self.dim)
+        place = np.repeat(row, size) * self.dim + np.frombuffer(self.bucket, np.int64)[at] if len(at) else at
+        weight = np.frombuffer(self.weight, np.float64)[at] if len(at) else np.zeros(0)
+        return np.bincount(place, weight, len(words) * self.dim).reshape(len(words), self.dim)
 
     def batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """The vectors of some texts; an empty one has none."""
