@@ -12,6 +12,7 @@ from ..operators import parse as P
 from ..operators import retrieve as R
 from ..operators import standards as N
 from ..operators import vectors as V
+from .planted import ctes, planted
 
 Q: dict = {}
 
@@ -27,19 +28,19 @@ def _fx(spark, *names):
 # --- parsing ---------------------------------------------------------------------------------------------------------
 
 Q["text_squeezed"] = (
-    lambda spark, d: _t(spark, d, "documents").select("doc_id", F.length(squeeze("text")).cast("long").alias("n")),
-    r"SELECT doc_id, length(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS n FROM documents",
+    lambda spark, d: _t(spark, d, "documents").select("doc_id", F.md5(squeeze("text").cast("binary")).alias("h")),
+    r"SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS h FROM documents",
 )
 Q["text_blocks"] = (
     lambda spark, d: P.blocks(_t(spark, d, "documents"), "doc_id", "\n").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.sum(F.length("text")).alias("n_chars")),
     r"SELECT doc_id, count(*) AS n_blocks, CAST(sum(length(b)) AS BIGINT) AS n_chars FROM (SELECT doc_id, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, concat(' ', chr(9), chr(13), chr(10), chr(12)))), lambda x: x <> '')) AS b FROM documents) GROUP BY doc_id",
 )
-_BLOCKS = values("fx_raw") + r""",
+_BLOCKS = ctes("fx_raw") + r""",
 b AS (SELECT doc_id, CAST(unnest(range(1, len(l) + 1)) AS INTEGER) AS block, unnest(l) AS text FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(replace(text, concat(chr(13), chr(10)), chr(10)), '\n\s*\n'), lambda x: trim(x, concat(' ', chr(10), chr(9)))), lambda x: x <> '') AS l FROM fx_raw)),
 c AS (SELECT *, CASE WHEN regexp_matches(text, '(?i)^приложение\s+[а-яёa-z]([^\p{L}].*)?$') OR regexp_matches(text, '^(\d+(?:\.\d+)*)\s+(\S.{0,199})$') THEN 'heading' WHEN regexp_matches(text, '(?i)^(рисуно(к)?|рис\.?)\s*(\d+(?:\.\d+)*)') THEN 'figure' WHEN regexp_matches(text, '(?i)^таблица?\s+(([А-ЯЁA-Z]\.)?\d+(\.\d+)*)') THEN 'table' ELSE 'para' END AS kind FROM b)"""
-Q["text_classified"] = (lambda spark, d: P.classified(P.blocks(fixture(spark, "fx_raw"), "doc_id"), "doc_id").select("doc_id", "block", "kind"), f"WITH {_BLOCKS} SELECT doc_id, block, kind FROM c")
+Q["text_classified"] = (lambda spark, d: P.classified(P.blocks(planted(spark, d, "fx_raw"), "doc_id"), "doc_id").select("doc_id", "block", "kind"), f"WITH {_BLOCKS} SELECT doc_id, block, kind FROM c")
 Q["text_sections"] = (
-    lambda spark, d: P.document(fixture(spark, "fx_raw"))["sections"].select("doc_id", "ord", "section_id", "level", F.length("text").alias("n")),
+    lambda spark, d: P.document(planted(spark, d, "fx_raw"))["sections"].select("doc_id", "ord", "section_id", "level", F.length("text").alias("n")),
     f"""WITH {_BLOCKS}, s AS (SELECT *, sum(CAST(kind = 'heading' AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY block) AS no FROM c)
     SELECT h.doc_id, CAST(h.no AS INTEGER) AS ord, CASE WHEN starts_with(lower(h.text), 'приложение') THEN 'sec_appendix_' || lower(regexp_extract(h.text, '(?i)^приложение\\s+(.)', 1)) ELSE 'sec_' || replace(regexp_extract(h.text, '^[0-9.]+'), '.', '_') END AS section_id,
       CASE WHEN starts_with(lower(h.text), 'приложение') THEN 1 ELSE CAST(len(string_split(regexp_extract(h.text, '^[0-9.]+'), '.')) AS INTEGER) END AS level,
@@ -47,42 +48,62 @@ Q["text_sections"] = (
 )
 for _kind, _key in (("paragraphs", "para"), ("figures", "figure"), ("tables", "table")):
     Q[f"text_{_kind}"] = (
-        lambda spark, d, k=_kind: P.document(fixture(spark, "fx_raw"))[k].select("doc_id", "ord", "paragraph_index"),
+        lambda spark, d, k=_kind: P.document(planted(spark, d, "fx_raw"))[k].select("doc_id", "ord", "paragraph_index"),
         f"WITH {_BLOCKS} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY block) AS INTEGER) AS ord, block AS paragraph_index FROM c WHERE kind = '{_key}'",
     )
-Q["markdown_sections"] = (lambda spark, d: P.markdown_sections(fixture(spark, "fx_raw").where("doc_id in ('t4')")).select("doc_id", "section", "title", F.length("text").alias("n")), "SELECT * FROM (VALUES ('t4', 0, 'Заголовок', 5), ('t4', 1, 'Второй', 10)) AS v(doc_id, section, title, n)")
+Q["markdown_sections"] = (
+    lambda spark, d: P.markdown_sections(planted(spark, d, "fx_markdown")).select("doc_id", "section", "title", F.length("text").alias("n")),
+    f"""WITH {ctes("fx_markdown")}, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS p FROM fx_markdown),
+    g AS (SELECT *, sum(CAST(starts_with(t, '# ') OR starts_with(t, '## ') AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY p) AS no, starts_with(t, '# ') OR starts_with(t, '## ') AS head FROM l),
+    s AS (SELECT doc_id, no, coalesce(max(CASE WHEN head THEN ltrim(t, '# ') END), '') AS title, trim(coalesce(string_agg(CASE WHEN NOT head THEN t END, chr(10) ORDER BY p), ''), concat(' ', chr(10))) AS body FROM g GROUP BY doc_id, no)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY no) - 1 AS INTEGER) AS section, title, CAST(length(body) AS INTEGER) AS n FROM s WHERE body <> ''""",
+)
 Q["chunks_fixed"] = (
     lambda spark, d: P.fixed_chunks(_t(spark, d, "documents"), "doc_id").select("doc_id", "chunk", F.md5(F.col("piece").cast("binary")).alias("h")),
     "SELECT doc_id, CAST(i AS INTEGER) AS chunk, md5(trim(substr(text, CAST(700 * i + 1 AS BIGINT), 800))) AS h FROM (SELECT doc_id, text, unnest(range(0, CAST(greatest(ceil((length(text) - 800) / 700.0), 0) AS BIGINT) + 1)) AS i FROM documents WHERE length(text) > 0) WHERE trim(substr(text, CAST(700 * i + 1 AS BIGINT), 800)) <> ''",
 )
-Q["chunks_words"] = (lambda spark, d: P.word_chunks(_t(spark, d, "documents"), "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("piece")).alias("longest")), None)
+Q["chunks_words"] = (
+    lambda spark, d: P.word_chunks(_t(spark, d, "documents"), "doc_id").select("doc_id", "chunk", "start", F.md5(F.col("piece").cast("binary")).alias("h")),
+    """WITH RECURSIVE t AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0),
+    c AS (SELECT doc_id, 0 AS start, 0 AS k FROM t UNION ALL SELECT doc_id, greatest(stop - 50, start + 1), k + 1 FROM (
+      SELECT c.doc_id, start, k, n, CASE WHEN start + 500 < n AND instr(reverse(substr(text, start + 1, 500)), ' ') BETWEEN 1 AND 499 THEN start + 500 - instr(reverse(substr(text, start + 1, 500)), ' ') ELSE start + 500 END AS stop FROM c JOIN t USING (doc_id)) WHERE stop < n),
+    p AS (SELECT c.doc_id, start, k, trim(substr(text, start + 1, CASE WHEN start + 500 < n AND instr(reverse(substr(text, start + 1, 500)), ' ') BETWEEN 1 AND 499 THEN 500 - instr(reverse(substr(text, start + 1, 500)), ' ') ELSE 500 END), concat(' ', chr(10), chr(9), chr(13), chr(12))) AS piece FROM c JOIN t USING (doc_id))
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS chunk, CAST(start AS INTEGER) AS start, md5(piece) AS h FROM p WHERE piece <> ''""",
+)
 Q["line_sections"] = (
     lambda spark, d: P.line_sections(_t(spark, d, "documents"), "doc_id").groupBy("doc_id").agg(F.sum("n_rules").alias("n_rules"), F.sum("n_lines").alias("n_lines")),
     r"""WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents), x AS (SELECT *, regexp_matches(line, '^(\d+\.\s+[A-ZА-ЯЁ]|Глава\s+\d+|Раздел\s+\d+)') AS head FROM l WHERE line <> '')
     SELECT doc_id, count(*) FILTER (NOT head AND regexp_matches(line, '^[-\d]\s*[.)]\s+')) AS n_rules, count(*) FILTER (NOT head AND NOT regexp_matches(line, '^[-\d]\s*[.)]\s+')) AS n_lines FROM x GROUP BY doc_id""",
 )
 Q["table_captions_nearest"] = (
-    lambda spark, d: P.table_captions(fixture(spark, "fx_blocks")).select("doc_id", "pos", F.coalesce("caption_pos", F.lit(-1)).alias("caption_pos"), "position"),
-    f"""WITH {values("fx_blocks")}, t AS (SELECT b.*, (SELECT max(pos) FROM fx_blocks c WHERE c.doc_id = b.doc_id AND c.kind = 'caption' AND c.pos < b.pos AND NOT EXISTS (SELECT 1 FROM fx_blocks x WHERE x.doc_id = b.doc_id AND x.kind IN ('table', 'heading') AND x.pos > c.pos AND x.pos < b.pos)) AS up,
+    lambda spark, d: P.table_captions(planted(spark, d, "fx_blocks")).select("doc_id", "pos", F.coalesce("caption_pos", F.lit(-1)).alias("caption_pos"), "position"),
+    f"""WITH {ctes("fx_blocks")}, t AS (SELECT b.*, (SELECT max(pos) FROM fx_blocks c WHERE c.doc_id = b.doc_id AND c.kind = 'caption' AND c.pos < b.pos AND NOT EXISTS (SELECT 1 FROM fx_blocks x WHERE x.doc_id = b.doc_id AND x.kind IN ('table', 'heading') AND x.pos > c.pos AND x.pos < b.pos)) AS up,
       (SELECT min(pos) FROM fx_blocks c WHERE c.doc_id = b.doc_id AND c.kind = 'caption' AND c.pos > b.pos AND NOT EXISTS (SELECT 1 FROM fx_blocks x WHERE x.doc_id = b.doc_id AND x.kind IN ('table', 'heading') AND x.pos < c.pos AND x.pos > b.pos)) AS down FROM fx_blocks b WHERE kind = 'table')
     SELECT doc_id, pos, coalesce(up, down, -1) AS caption_pos, CASE WHEN up IS NOT NULL THEN 'above' WHEN down IS NOT NULL THEN 'below' ELSE 'missing' END AS position FROM t""",
 )
 Q["formula_number_extract"] = (
-    lambda spark, d: P.formula_numbers(fixture(spark, "fx_formulas").select("doc_id", "ord", "text")).select("doc_id", "ord", "equation_number", "raw_equation_number"),
-    f"WITH {values('fx_formulas')} SELECT doc_id, ord, nullif(regexp_extract(text, '\\(((?:[А-ЯЁA-Z]\\.)?\\d+(?:\\.\\d+)*)\\)\\s*$', 1), '') AS equation_number, nullif(regexp_extract(text, '\\s(\\d+(?:\\.\\d+)*)\\s*$', 1), '') AS raw_equation_number FROM fx_formulas",
+    lambda spark, d: P.formula_numbers(planted(spark, d, "fx_formulas").select("doc_id", "ord", "text")).select("doc_id", "ord", "equation_number", "raw_equation_number"),
+    f"WITH {ctes('fx_formulas')} SELECT doc_id, ord, nullif(regexp_extract(text, '\\(((?:[А-ЯЁA-Z]\\.)?\\d+(?:\\.\\d+)*)\\)\\s*$', 1), '') AS equation_number, nullif(regexp_extract(text, '\\s(\\d+(?:\\.\\d+)*)\\s*$', 1), '') AS raw_equation_number FROM fx_formulas",
+)
+Q["formula_detection"] = (
+    # formulas and paragraphs: of these none is a formula
+    lambda spark, d: planted(spark, d, "fx_formulas").select("doc_id", F.lit("f").alias("kind"), "ord", "text").unionByName(planted(spark, d, "fx_sections").select("doc_id", F.lit("s").alias("kind"), "ord", F.col("title").alias("text"))).select("doc_id", "kind", "ord", P.looks_like_formula(F.col("text")).alias("formula"), (P.looks_like_formula(F.col("text")) & P.is_standalone_formula(F.col("text"))).alias("standalone")),
+    f"WITH {ctes('fx_formulas', 'fx_sections')} SELECT doc_id, 'f' AS kind, ord, true AS formula, true AS standalone FROM fx_formulas UNION ALL SELECT doc_id, 's', ord, false, false FROM fx_sections",
 )
-Q["formula_detection"] = (lambda spark, d: fixture(spark, "fx_formulas").select("doc_id", "ord", P.looks_like_formula(F.col("text")).alias("formula"), P.is_standalone_formula(F.col("text")).alias("standalone")), f"WITH {values('fx_formulas')} SELECT doc_id, ord, true AS formula, true AS standalone FROM fx_formulas")
+_SPLIT_TEXT = "CASE ord % 4 WHEN 0 THEN concat('Скорость равна по формуле ', {0}, ', где s — путь') WHEN 1 THEN {0} WHEN 2 THEN concat('Имеем ', {0}, '. Далее текст') ELSE 'без знака' END"
 Q["formula_split"] = (
-    lambda spark, d: spark.createDataFrame([(1, "Скорость равна по формуле v = s / t, где s — путь"), (2, "a = b"), (3, "Имеем x = 1. Далее текст"), (4, "без знака")], "i int, t string").select("i", P.split_formula(F.col("t")).alias("s")).select("i", "s.before", "s.formula", "s.after"),
-    "SELECT * FROM (VALUES (1, 'Скорость равна по формуле', 'v = s / t', ', где s — путь'), (2, '', 'a = b', ''), (3, 'Имеем', 'x = 1', '. Далее текст'), (4, NULL, NULL, NULL)) AS v(i, before, formula, after)",
+    lambda spark, d: planted(spark, d, "fx_formulas").withColumn("t", F.expr(_SPLIT_TEXT.format("concat('v = s / ', ord)"))).select("doc_id", "ord", P.split_formula(F.col("t")).alias("s")).select("doc_id", "ord", "s.before", "s.formula", "s.after"),
+    # the parts that the texts were put together from
+    f"""WITH {ctes("fx_formulas")} SELECT doc_id, ord, CASE ord % 4 WHEN 0 THEN 'Скорость равна по формуле' WHEN 1 THEN '' WHEN 2 THEN 'Имеем' END AS before, CASE WHEN ord % 4 < 3 THEN 'v = s / ' || ord END AS formula,
+      CASE ord % 4 WHEN 0 THEN ', где s — путь' WHEN 1 THEN '' WHEN 2 THEN '. Далее текст' END AS after FROM fx_formulas""",
 )
 Q["appendix_letters"] = (
-    lambda spark, d: fixture(spark, "fx_sections").select("doc_id", "section_id", P.appendix_letter(F.col("title")).alias("letter")).where("letter is not null"),
-    f"WITH {values('fx_sections')} SELECT doc_id, section_id, upper(regexp_extract(title, '(?i)^приложение\\s+([а-яёa-z])([^\\p{{L}}]|$)', 1)) AS letter FROM fx_sections WHERE regexp_matches(title, '(?i)^приложение\\s+[а-яёa-z]([^\\p{{L}}]|$)')",
+    lambda spark, d: planted(spark, d, "fx_sections").select("doc_id", "section_id", P.appendix_letter(F.col("title")).alias("letter")).where("letter is not null"),
+    f"WITH {ctes('fx_sections')} SELECT doc_id, section_id, upper(regexp_extract(title, '(?i)^приложение\\s+([а-яёa-z])([^\\p{{L}}]|$)', 1)) AS letter FROM fx_sections WHERE regexp_matches(title, '(?i)^приложение\\s+[а-яёa-z]([^\\p{{L}}]|$)')",
 )
 Q["page_geometry"] = (
-    lambda spark, d: fixture(spark, "fx_page_layout").where("page_width_mm is not null").select("doc_id", "section_index", P.orientation(F.col("page_width_mm"), F.col("page_height_mm")).alias("orientation"), P.emu_to_mm(F.col("page_width_mm") * 36000).alias("mm"), P.alignment_name(F.col("section_index")).alias("alignment")),
-    f"WITH {values('fx_page_layout')} SELECT doc_id, section_index, CASE WHEN page_width_mm > page_height_mm THEN 'landscape' ELSE 'portrait' END AS orientation, round(page_width_mm, 1) AS mm, CASE section_index WHEN 0 THEN 'left' ELSE 'center' END AS alignment FROM fx_page_layout WHERE page_width_mm IS NOT NULL",
+    lambda spark, d: planted(spark, d, "fx_page_layout").where("page_width_mm is not null").select("doc_id", "section_index", P.orientation(F.col("page_width_mm"), F.col("page_height_mm")).alias("orientation"), P.emu_to_mm(F.col("page_width_mm") * 36000).alias("mm"), P.alignment_name(F.col("section_index")).alias("alignment")),
+    f"WITH {ctes('fx_page_layout')} SELECT doc_id, section_index, CASE WHEN page_width_mm > page_height_mm THEN 'landscape' ELSE 'portrait' END AS orientation, round(page_width_mm, 1) AS mm, CASE section_index WHEN 0 THEN 'left' ELSE 'center' END AS alignment FROM fx_page_layout WHERE page_width_mm IS NOT NULL",
 )
 
 # --- standards and graph ---------------------------------------------------------------------------------------------
