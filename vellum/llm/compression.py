@@ -3,15 +3,15 @@
 Two zstandard dictionaries are trained, one on ordinary and one on toxic text. A text is cut into windows of WINDOW
 consecutive words (lower-cased; one window begins at the last word of the one before, so any two neighbours share a
 window), every window is compressed with both dictionaries, and the difference of the two lengths says which text it
-resembles. A window without 5 or 8 bytes in a row that the toxic dictionary has and the ordinary one lacks is hardly
-shortened by the toxic one: its difference counts as 0 and isn't worked out. How many windows differ by at least each of
-THRESHOLDS bytes, and the largest differences, go through a calibrated logistic curve. Windows get a fixed run of padding, for zstandard stores very short input as it is.
+resembles. How many windows differ by at least each of THRESHOLDS bytes, and the largest differences, go through a
+calibrated logistic curve. Windows get a fixed run of padding, for zstandard stores very short input as it is.
 
-Toxic documents are mostly ordinary text, and a dictionary trained on all of theirs tells hardly anything (README), so the toxic one learns from the runs of one and of
-two neighbouring words whose document frequency in the two classes differs significantly by the log-likelihood ratio;
-near copies of a row count once. The ordinary one learns from all windows of the ordinary sample but those with a run that
-is FOREIGN times as frequent in toxic rows. The toxic compressor has the ordinary dictionary in front of its own: toxic text is
-ordinary language too, and then only what is specific to it makes the lengths differ.
+Toxic documents are mostly ordinary text, and a dictionary trained on all of theirs tells hardly anything (README), so
+the toxic one learns from the parts of windows (runs of 1 to WINDOW words) whose document frequency in the two classes
+differs significantly by the log-likelihood ratio; near copies of a row count once. The ordinary one learns from all
+windows of the ordinary sample but those with a run that is FOREIGN times as frequent in toxic rows. The toxic compressor
+has its own dictionary before the ordinary one: toxic text is ordinary language too. Ordinary strings then lie as
+far behind a window for both compressors and cost the same, and only what is specific to toxic text makes lengths differ.
 
 Dictionaries and curve are fitted on at most PER_CLASS labelled rows of each class and SAMPLE_BYTES of their whole texts
 (those of smallest hash, none held out); the curve on the part that the dictionaries haven't seen. Every document is
@@ -37,14 +37,12 @@ from .common import fit_logistic, held_out, labelled_sample, probability, table
 
 PER_CLASS, SAMPLE_BYTES = 4000, 12_000_000
 DICTIONARY = 16384
-WINDOW = 4
+WINDOW = 3
 #: Bytes that a compressor matches at least.
-MATCH = 5
-#: Lengths of the strings that the toxic dictionary has and the ordinary one lacks.
-OWN = (5, 8)
+MATCH = 4
 PAD = b" " * 64
 #: Bytes of difference that windows are counted by.
-THRESHOLDS = (2, 4, 6)
+THRESHOLDS = (1, 2, 3, 4, 6)
 #: A run that is so many times as frequent in toxic documents is a mistake of the labels in ordinary ones.
 FOREIGN = 10
 #: Largest differences that count by themselves.
@@ -66,22 +64,11 @@ def windows(w: list[bytes], size: int = WINDOW) -> tuple[bytes, np.ndarray, np.n
     return text, at[first], at[np.minimum(first + size, len(w))] + 1
 
 
-def grams(text: bytes, n: int) -> np.ndarray:
-    """Hashes of the strings of n bytes (8 at most) that start at each byte, in 20 bits."""
-    wide = np.ndarray((max(len(text) - n + 1, 0),), "<u8", text + bytes(8), strides=(1,))
-    return (wide << np.uint64(64 - 8 * n)) * M1 >> np.uint64(44)
-
-
 class Distance:
     """Compressed length with the ordinary dictionary less that with the toxic one."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
         self.parts, self.pair = (ordinary, toxic), None
-        self.own = {}
-        for n in OWN:
-            self.own[n] = np.zeros(1 << 20, bool)
-            self.own[n][grams(toxic, n)] = True
-            self.own[n][grams(ordinary, n)] = False
 
     def __getstate__(self):
         return self.parts
@@ -102,17 +89,12 @@ class Distance:
         return made
 
     def __call__(self, w: list[bytes]) -> list[int]:
-        """The differences of a text's windows, but for the zeros of windows that hold nothing of the toxic dictionary's own."""
-        text, start, stop = windows(w)
-        some = np.zeros(len(start), bool)
-        for n, own in self.own.items():
-            hits = np.r_[0, np.cumsum(own[grams(text, n)])]
-            last = len(hits) - 1
-            some |= hits[np.clip(stop - n + 1, 0, last)] > hits[np.minimum(start, last)]
+        """The differences of all windows of a text."""
         if self.pair is None:
             self.pair = self._compressors()
+        text, start, stop = windows(w)
         a, b = self.pair
-        return [len(a(x)) - len(b(x)) for x in (text[i:j] + PAD for i, j in zip(start[some].tolist(), stop[some].tolist(), strict=True))]
+        return [len(a(x)) - len(b(x)) for x in (text[i:j] + PAD for i, j in zip(start.tolist(), stop.tolist(), strict=True))]
 
     def features(self, w: list[bytes]) -> list[float]:
         d = sorted((x for x in self(w) if x > 0), reverse=True)
@@ -133,8 +115,8 @@ def dictionary(samples: list[bytes]) -> bytes:
 
 
 def runs_of(w: list[bytes]) -> list[bytes]:
-    """Runs of one and of two words."""
-    return w + [a + b" " + b for a, b in zip(w, w[1:])]
+    """Runs of 1 to WINDOW words, shorter ones first."""
+    return [b" ".join(w[i : i + n]) for n in range(1, WINDOW + 1) for i in range(len(w) - n + 1)]
 
 
 def run_hashes(w: list[bytes]) -> np.ndarray:
@@ -142,18 +124,22 @@ def run_hashes(w: list[bytes]) -> np.ndarray:
     import xxhash
 
     h = np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w))
-    return np.r_[h, mix(h[:-1] * M1 ^ mix(h[1:]))]
+    out = [h]
+    for n in range(1, min(WINDOW, len(w))):
+        out.append(mix(out[-1][:-1] * M1 ^ mix(h[n:])))
+    return np.concatenate(out)
 
 
 def unlike_rows(hashes: list[np.ndarray], alike: float = 0.5) -> list[int]:
     """The rows but for near copies: those whose runs have a Jaccard of `alike` with the runs of a row before.
 
-    Rows with one of their smallest hashes of two-word runs in common are compared.
+    Rows with one of their smallest hashes of the longest runs in common are compared.
     """
     kept, by = [], {}
     for i, h in enumerate(hashes):
         own = np.unique(h)
-        signs = np.unique(h[(len(h) + 1) // 2 :])[:4].tolist() or own[:1].tolist()
+        words = (len(h) + WINDOW * (WINDOW - 1) // 2) // WINDOW
+        signs = np.unique(h[len(h) - max(words - WINDOW + 1, 0) :])[:4].tolist() or own[:1].tolist()
         found = {j for s in signs for j in by.get(s, ())}
         for j in found:
             both = len(np.intersect1d(own, hashes[j]))
@@ -223,7 +209,7 @@ def fit(sample: list[tuple[bytes, int]], counts: list[int]) -> Model:
     ordinary = dictionary([x for x in plain if marked.isdisjoint(runs_of(x.split()))])
     many = [b" " + r + b" " for r, df, _ in specific for _ in range(df)]
     width = max(1, len(many) // 8)
-    distance = Distance(ordinary, ordinary + dictionary([b"".join(many[i::width]) for i in range(width)]))
+    distance = Distance(ordinary, dictionary([b"".join(many[i::width]) for i in range(width)]) + ordinary)
     use = np.flatnonzero(part) if part.any() else np.arange(len(y))
     x = np.array([distance.features(sample[i][0].split()) for i in use])
     own = np.array([counts[k] / max((y == k).sum(), 1) for k in (0, 1)])
