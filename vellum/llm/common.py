@@ -22,12 +22,6 @@ def filled_id(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(NO_ID)).cast("long")
 
 
-def given_id(c: Column | str) -> Column:
-    """The identifier as it was given: NO_ID becomes null again."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.when(c != NO_ID, c)
-
-
 def own_id(c: str = "id", none: str = "none") -> Column:
     """The identifier as it was given, by a flag that says whether it was null."""
     return F.when(~F.col(none), F.col(c))
@@ -70,11 +64,16 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+#: Rows longer than this share of a sample's bytes come last, so that one of them doesn't take the place of many.
+LONG = 16
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_class: int, sample_bytes: int) -> tuple[DataFrame, list[int]]:
     """(doc_id, text, y) of labelled rows that aren't held out, and how many there are of each class.
 
     Per class the sample is the per_class rows of smallest hash, of which come, in that order, as many as sample_bytes
-    hold; texts are whole. Rows without a label of 0 or 1 don't count; a document that is labelled twice counts once
+    hold, those longer than a LONG-th of it after all others; texts are whole, and the first row comes whatever its length,
+    so that no class is left out. Rows without a label of 0 or 1 don't count; a document that is labelled twice counts once
     for each label.
     """
     y = labels.where(
@@ -88,9 +87,10 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_cla
     rows = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")
     rows = written(rows, "sample")
     # windows over the sizes of at most 2 * per_class documents
-    upto = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = rows.withColumn("size", F.octet_length("text")).withColumn("total", F.sum("size").over(upto))
-    return total.where(F.col("total") <= sample_bytes).select("doc_id", "text", "y"), [counts.get(0, 0), counts.get(1, 0)]
+    order = [F.col("size") > sample_bytes // LONG, F.xxhash64("doc_id"), F.col("doc_id"), F.col("size")]
+    upto = Window.partitionBy("y").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = rows.withColumn("size", F.octet_length("text").cast("long")).withColumn("total", F.sum("size").over(upto))
+    return total.where((F.col("total") <= sample_bytes) | (F.col("total") == F.col("size"))).select("doc_id", "text", "y"), [counts.get(0, 0), counts.get(1, 0)]
 
 
 def fit_logistic(x, y, weight, rounds: int = 50, ridge: float = 1e-3):
