@@ -9,7 +9,8 @@ page without that path, or without text there, uses its own best container.
 
 Furniture: elements that never hold main text (menus, footers, side notes, ...), forms that hold no article, section,
 menu or title, page headers outside an article, and elements named so by their class, id or role: by the last word of
-a name ("site-header", but not "header-image"), unless it says that a wrapper has it ("has-sidebar"). An element
+a name ("site-header", but not "header-image"), readers' comments by any word ("comment-body", "commentlist"), unless it
+says that a wrapper has it ("has-sidebar"). An element
 around an article isn't furniture by its name; paragraphs, titles, quotes, figures and cells inside an article only by
 names of adverts, notices, sharing and comments. If all text of a page is furniture by name, tags and comments alone
 decide. Scripts, drawings, buttons and such are cut out of their block without parting it.
@@ -57,6 +58,10 @@ SOFT = frozenset(
 THREADS = frozenset(
     "ad ads advert adverts advertisement advertisements sponsor sponsored comment comments disqus reply replies responses".split()
 )
+#: Words that stand for readers' comments wherever they are in a name ("comment-body"), as do words that begin with "comment".
+VOICES = frozenset("comment comments commentlist disqus reply replies respond response responses discussion discussions reviews".split())
+#: What begins like a comment and is none.
+COMMENTARY = ("commentar", "commentat", "commented")
 WRAPPER = frozenset("has with without no open closed enabled disabled".split())
 CLOSED_BY = {
     "p": frozenset(
@@ -90,7 +95,9 @@ def furniture_names(attributes: dict[str, str]) -> list[set[str]]:
     for value in attributes.values():
         for name in value.lower().split():
             w = [x for x in WORD.findall(name) if len(x) > 1]
-            if w and not NAMES.isdisjoint(w) and (w[-1] in NAMES or w[-1] in HEADS) and WRAPPER.isdisjoint(w):
+            if w and WRAPPER.isdisjoint(w) and any(x in VOICES or x.startswith("comment") and not x.startswith(COMMENTARY) for x in w):
+                out.append({"comments"})
+            elif w and not NAMES.isdisjoint(w) and (w[-1] in NAMES or w[-1] in HEADS) and WRAPPER.isdisjoint(w):
                 out.append(set(w))
     return out
 
