@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 from .anchors import cut as gathered
 from .anchors import texts_of
-from .common import filled_id, given_id, partitions, table, written
+from .common import partitions, table, written
 
 CAPACITY = 4096
 END = 1
@@ -314,12 +314,11 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 def packed(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. vocabulary: path of the tokenizer's file."""
     spark = documents.sparkSession
-    rows = documents.select(filled_id("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
-    pieces = written(
-        rows.mapInArrow(lambda it: _pieces(it, vocabulary, capacity), "id long, piece int, start long, length long, ids_crc32 long"),
-        "pieces",
-    )
-    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(partitions(spark))))
+    rows = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    made = rows.mapInArrow(lambda it: _pieces(it, vocabulary, capacity), "id long, piece int, start long, length long, ids_crc32 long")
+    # dealt by a number of their own, so that equal texts under one id, or under none, are spread too
+    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(partitions(spark))).cast("int")
+    pieces = written(made.withColumn("part", part), "pieces")
     have = written(pieces.groupBy("length", "part").count(), "lengths")
     counts = {r.length: r.n for r in have.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most `capacity` rows
     slots = np.array(sorted(plan(counts, capacity)), np.int64).reshape(-1, 6)
@@ -347,7 +346,7 @@ def packed(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str | Non
     out = ranked.select("id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long")).mapInArrow(
         place, "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long",
     )
-    return out.withColumn("doc_id", given_id("id")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return out.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op9_query(spark, sf_dir: str) -> DataFrame:
