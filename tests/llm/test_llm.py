@@ -193,7 +193,7 @@ def test_largest_long_stays(spark):
     """A doc_id of 2^63 - 1 isn't null in the results, and null isn't it."""
     big = 2**63 - 1
     rows = frame(spark, [(big, "a b c d e f"), (None, "g h i j k l m"), (None, "n o p q r")])
-    for out in (suffix_array.dedup_substrings(rows), phrases.dedup_phrases(rows), simhash.near_duplicates(rows)):
+    for out in (suffix_array.dedup_substrings(rows), phrases.dedup_phrases(rows), simhash.near_duplicates(rows), packing.packed(rows)):
         assert sorted(map(repr, (q.doc_id for q in out.collect()))) == sorted(map(repr, (big, None, None)))
     assert {(q.doc_id, q.component_id) for q in simhash.near_duplicates(rows).collect()} == {(big, big), (None, None)}
 
@@ -295,6 +295,55 @@ def test_op2_hosts_vote(spark):
     assert len(got) == len(rows)
 
 
+def test_op2_equal_votes_and_no_url(spark):
+    """Of two paths with equal votes the greater wins for every page of the host; pages without a url are a host of their own."""
+    page = '<body><div class="{}"><p>same words</p></div></body>'
+    rows = [(i, None, page.format(("one", "two")[i % 2]), i, "h") for i in range(4)]
+    got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, votes int, host string")).collect()
+    total = {}
+    for _, _, html, *_ in rows:
+        for p, s in html_text.Page(html).votes():
+            total[p] = total.get(p, 0) + s
+    top = max(total, key=lambda p: (round(total[p], 6), p))
+    assert len(set(total.values())) < len(total)
+    assert {q.path for q in got} == {top} and {q.text for q in got} == {"same words"} and {q.url for q in got} == {None}
+
+
+@pytest.mark.parametrize("op", [nbsvm, compression])
+def test_a_very_long_row_leaves_its_class(spark, op, monkeypatch):
+    """The first row of a class, in the sample's order, is longer than the sample's bytes."""
+    from vellum.llm import common
+
+    r = random.Random(1)
+    docs = [(i, " ".join(r.choice(WORDS) for _ in range(30)) + (" nasty vile" if i % 2 else "")) for i in range(300)]
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(300)], "doc_id long, quality int, toxic int")
+    order = [x.doc_id for x in labels.where("doc_id % 2 = 1").where(~common.held_out()).orderBy(F.xxhash64("doc_id")).limit(3).collect()]
+    for i in order[:2]:
+        docs[i] = (i, "alpha nasty beta vile " * 1500)
+    rows, counts = common.labelled_sample(frame(spark, docs), labels, "toxic", 100, 20_000)
+    got = rows.groupBy("y").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).orderBy("y").collect()
+    assert [q.y for q in got] == [0, 1] and min(q.n for q in got) > 30 and max(q.bytes for q in got) <= 20_000
+    only, _ = common.labelled_sample(frame(spark, docs).where(F.col("doc_id").isin(order[:2])), labels, "toxic", 100, 20_000)
+    assert only.count() == 1
+    scores = {q.doc_id: q.score for q in op.scored(frame(spark, docs), labels).collect()}
+    assert min(scores[i] for i in range(1, 300, 2)) > max(scores[i] for i in range(0, 300, 2))
+
+
+def test_op6_held_out_rows():
+    """The figures of the README: rows that aren't learned from, every window compressed."""
+    import pyarrow.parquet as pq
+
+    sf = "/root/testdata/sf0.1"
+    label = {x["doc_id"]: x["toxic"] for x in pq.read_table(f"{sf}/labels.parquet").to_pylist()}
+    rows = [(x["doc_id"], x["text"] or "", label[x["doc_id"]]) for x in pq.read_table(f"{sf}/documents.parquet").to_pylist() if x["doc_id"] in label]
+    held = [zlib.crc32(str(i).encode()) % 4 == 2 for i, *_ in rows]
+    learn = sorted((x for x, h in zip(rows, held) if not h), key=lambda x: (hash((x[0], 0)) & 0xFFFF, x[0]))
+    m = compression.fit([(b" ".join(compression.words(t)), y) for _, t, y in learn], [sum(y == k for *_, y in learn) for k in (0, 1)])
+    p = m.scores([t for (_, t, _), h in zip(rows, held) if h])
+    y = np.array([y for (*_, y), h in zip(rows, held) if h])
+    assert (p[y == 1] >= 0.3).mean() > 0.7 and (p[y == 0] >= 0.3).mean() < 0.02
+
+
 def test_op6_learns_two_words_together():
     r = random.Random(0)
     some = ["w" + "".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(300)]
@@ -558,6 +607,10 @@ def test_op2_long_threads_are_furniture():
     long = "<p>" + "many words said below the line " * 20 + "</p>"
     for name in ("comments", "ad", "page-comments", "sponsored"):
         assert text(f"<body><article><p>short and good</p><div class='{name}'>{long}</div></article></body>") == "short and good"
+    for shape in ("div class='comment-body'", "section class='discussion'", "ol class='commentlist'", "div id='respond'", "div class='comments reviews'", "div class='post-comment-list'", "div class='replies-area'"):
+        kind = shape.split()[0]
+        assert text(f"<body><article><p>short and good</p><{shape}>{long}</{kind}></article></body>") == "short and good"
+    assert "many words" in text(f"<body><div class='commentary'>{long}</div></body>")
     for name in ("has-comments", "post with-ads", "comments-open", "has-sidebar"):
         assert "many words" in text(f"<body><div class='{name}'>{long}</div><p>x</p></body>")
     assert "many words" in text(f"<body><div class='ad'><article>{long}</article></div></body>")
