@@ -37,7 +37,7 @@ from .common import fit_logistic, held_out, labelled_sample, probability, table
 
 PER_CLASS, SAMPLE_BYTES = 4000, 12_000_000
 DICTIONARY = 16384
-WINDOW = 3
+WINDOW = 4
 #: Bytes that a compressor matches at least.
 MATCH = 4
 PAD = b" " * 64
@@ -81,7 +81,7 @@ class Distance:
 
         made = []
         for d in self.parts:
-            p = zstandard.ZstdCompressionParameters.from_level(3, dict_size=max(len(d), 1), source_size=128, min_match=MATCH, strategy=zstandard.STRATEGY_LAZY2, search_log=8, hash_log=16, chain_log=16, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+            p = zstandard.ZstdCompressionParameters.from_level(3, dict_size=max(len(d), 1), source_size=128, min_match=MATCH, strategy=zstandard.STRATEGY_BTLAZY2, search_log=4, hash_log=16, chain_log=16, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
             data = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if d else None
             if data:
                 data.precompute_compress(compression_params=p)
