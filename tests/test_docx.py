@@ -62,3 +62,64 @@ def test_formulas_captions_and_page_numbers():
         "Таблица 1 - Данные", "", "Итого", "Сумма равно", "y = kx + b (1)", "где k - число",
     ]
     assert [x["page_field"] for x in f if x["kind"] == "section"] == [True]
+
+
+def laid(i, text, **more):
+    return {"i": i, "sub": 1, "kind": "p", "text": text, **more}
+
+
+def test_page_parts_and_layout_come_back(spark):
+    page = {"width_mm": 210.0, "height_mm": 297.0, "left_mm": 30.0, "right_mm": 15.0, "top_mm": 20.0, "bottom_mm": None, "page_field": True, "footer_alignment": "right", "header_field": False, "first_field": True, "title_page": True, "page_start": 5}
+    content = docx.compose([laid(1, "1 Введение", style="heading 1", alignment="center"), laid(2, "a & <b>", alignment="justify", first_line_indent_mm=12.5, line_spacing=1.5, font_size_pt=14.0, font_family="Arial", bold=True, non_black=True), laid(3, "", drawing=True)], page)
+    assert content == docx.compose([laid(1, "1 Введение", style="heading 1", alignment="center"), laid(2, "a & <b>", alignment="justify", first_line_indent_mm=12.5, line_spacing=1.5, font_size_pt=14.0, font_family="Arial", bold=True, non_black=True), laid(3, "", drawing=True)], page)
+    rows = docx.facts(content)
+    section = rows[-1]
+    assert {k: section[k] for k in ("page_field", "footer_alignment", "header_field", "first_field", "title_page", "page_start", "bottom_mm")} == {"page_field": True, "footer_alignment": "right", "header_field": False, "first_field": True, "title_page": True, "page_start": 5, "bottom_mm": None}
+    assert (rows[1]["text"], rows[1]["alignment"], rows[1]["font_family"], rows[1]["bold"], rows[1]["non_black"], rows[2]["drawing"]) == ("a & <b>", "justify", "Arial", True, True, True)
+
+
+def test_a_section_has_the_parts_of_the_one_before(spark):
+    xml = XML.replace('<w:sectPr>', '<w:p><w:pPr><w:sectPr><w:footerReference xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" w:type="even" r:id="e"/></w:sectPr></w:pPr></w:p><w:sectPr>')
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", xml)
+        z.writestr("word/settings.xml", f'<w:settings xmlns:w="{docx.W[1:-1]}"><w:evenAndOddHeaders/></w:settings>')
+        z.writestr("word/f.xml", docx._field_part("ftr", "center"))
+        z.writestr("word/_rels/document.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="e" Type="x" Target="f.xml"/></Relationships>')
+    sections = [r for r in docx.facts(out.getvalue()) if r["kind"] == "section"]
+    assert [(s["page_field"], s["footer_alignment"]) for s in sections] == [(True, "center"), (True, "center")]
+
+
+def test_edits_find_their_paragraph_by_text():
+    content = docx.build(["one.", "two.", "three.", "two."])
+    edits = [
+        {"paragraph_index": 1, "op": "insert_before", "arg": "new", "text": "one."}, {"paragraph_index": 1, "op": "strip_period", "text": "two."},
+        {"paragraph_index": 3, "op": "strip_period", "text": "three."}, {"paragraph_index": 9, "op": "strip_period", "text": "nowhere."},
+    ]
+    assert docx.document_text(docx.edit(content, edits))[0] == "new\none.\ntwo\nthree\ntwo."
+
+
+def test_appendix_line_is_split():
+    assert docx.document_text(docx.edit(docx.build(["Приложение А Материалы"]), [{"paragraph_index": 1, "op": "split_appendix"}]))[0] == "Приложение А\nМатериалы"
+
+
+def test_files_as_a_corpus(spark):
+    """Running sections, captions of drawings and tables, formulas' neighbours, repeated numbers, a broken file."""
+    from vellum.plans import engine
+
+    items = [
+        laid(1, "Введение", style="heading 1"), laid(2, "слова " * 3), laid(3, "", drawing=True), laid(4, "Рисунок 1 — Вид"), laid(5, "2 Метод", style="heading 1"), laid(6, ""),
+        laid(7, "y = kx (1)"), laid(8, "где k — число, которое известно заранее"), laid(9, "Таблица 1 — Данные"), {"i": 9, "sub": 2, "kind": "table", "text": "Год"}, laid(10, "2 Метод снова", style="heading 1"), laid(11, "", drawing=True),
+        laid(12, "Приложение А Прочее"), {"i": 12, "sub": 2, "kind": "table", "text": "Сумма."},
+    ]
+    c = engine.read_files(spark.createDataFrame([("d", docx.compose(items, {})), ("bad", b"x"), ("empty", docx.build([]))], "doc_id string, content binary"))
+    got = lambda df, *cols: [tuple(r[k] for k in cols) for r in df.orderBy("doc_id", df.columns[1]).collect()]
+    assert {r.doc_id: r.error is not None for r in c.docs.collect()} == {"d": False, "bad": True, "empty": False}
+    assert got(c.sections, "section_id", "number", "title") == [("sec_auto_1", "", "Введение"), ("sec_2", "2", "Метод"), ("sec_2_at_3", "2", "Метод снова"), ("sec_auto_2", "", "Приложение А Прочее")]
+    assert got(c.figures, "caption", "paragraph_index") == [("Рисунок 1 — Вид", 4), ("", 11)]
+    assert got(c.tables, "caption", "paragraph_index") == [("Таблица 1 — Данные", 9), ("", 12)]
+    assert got(c.more["table_layout"], "caption_position", "header_text", "appendix_letter") == [("above", "Год", None), ("missing", "Сумма.", "А")]
+    assert got(c.more["formulas"], "equation_number", "prev_blank", "next_blank", "next_text") == [("1", True, False, "где k — число, которое известно заранее")]
+    assert got(c.paragraphs, "section_id", "paragraph_index") == [("sec_auto_1", 2), ("sec_2", 8)]
+    report = {r.doc_id: r.total for r in engine.analyze_files(spark.createDataFrame([("d", docx.compose(items, {}))], "doc_id string, content binary")).collect()}
+    assert report["d"] > 5

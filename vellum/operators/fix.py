@@ -13,14 +13,14 @@ from .formatting import STRUCTURAL
 FREE = [*STRUCTURAL, "введение", "заключение", "термины и определения"]
 # What an issue's subtype asks a paragraph to become.
 ALIGN = {
-    "figure_caption_not_centered": "center", "formula_not_centered": "center", "table_header_alignment": "center",
+    "figure_caption_not_centered": "center", "formula_not_centered": "center",
     "structural_heading_not_centered": "center", "appendix_heading_not_centered": "center",
-    "main_heading_centered": "left", "page_number_not_centered": "center", "body_text_not_justified": "justify",
+    "main_heading_centered": "left", "body_text_not_justified": "justify",
 }
 EDITS = {
     "invalid_first_line_indent": "set_indent", "invalid_line_spacing": "set_spacing", "invalid_font_size": "set_font", "invalid_font_family": "set_font", "invalid_font_color": "set_color", "unexpected_bold_text": "clear_bold", "invalid_page_margins": "set_margins", "invalid_page_size": "set_page",
-    "missing_page_numbering": "add_page_field", "page_number_in_header": "clear_header_field", "title_page_number_visible": "hide_first_page", "page_numbering_restart": "clear_restart", "invalid_enumeration_marker": "fix_marker", "enumeration_indent_invalid": "set_indent", "heading_trailing_period": "strip_period",
-    "structural_heading_not_uppercase": "upper", "structural_heading_numbered": "strip_number", "table_caption_below_table": "move_caption_above", "invalid_table_header_punctuation": "strip_header_period", "formula_not_standalone": "split_formula", "missing_formula_number": "number_formula", "formula_number_format_error": "number_formula", "formula_numbering_error": "number_formula", "formula_where_colon": "where_without_colon", "missing_formula_reference": "insert_reference",
+    "missing_page_numbering": "add_page_field", "page_number_not_centered": "center_page_field", "table_header_alignment": "center_header", "page_number_in_header": "clear_header_field", "title_page_number_visible": "hide_first_page", "page_numbering_restart": "clear_restart", "invalid_enumeration_marker": "fix_marker", "enumeration_indent_invalid": "set_indent", "heading_trailing_period": "strip_period",
+    "figure_caption_trailing_period": "strip_period", "appendix_heading_single_line": "split_appendix", "main_heading_indent_invalid": "set_indent", "structural_heading_has_indent": "clear_indent", "heading_invalid_font_color": "set_color", "structural_heading_invalid_font_color": "set_color", "structural_heading_not_uppercase": "upper", "structural_heading_numbered": "strip_number", "table_caption_below_table": "move_caption_above", "invalid_table_header_punctuation": "strip_header_period", "formula_not_standalone": "split_formula", "missing_formula_number": "number_formula", "formula_number_format_error": "number_formula", "formula_numbering_error": "number_formula", "formula_where_colon": "where_without_colon", "missing_formula_reference": "insert_reference",
 }
 
 
@@ -198,6 +198,22 @@ def edit_plan(issues: DataFrame, drawings: DataFrame | None = None) -> DataFrame
     )
 
 
+#: Edits whose argument is the number that a formula should have.
+NUMBERING = ("number_formula", "split_formula", "insert_reference")
+
+
+def edits_of(issues: DataFrame, layout: DataFrame, forms: DataFrame, drawings: DataFrame | None = None) -> DataFrame:
+    """edit_plan() with what an editor needs besides: the text that stands at the target now, and formulas' numbers counted anew.
+
+    An edit finds its paragraph by its index and, where another text stands there, by this text.
+    """
+    plan = edit_plan(issues, drawings)
+    plan = plan.join(layout.select("doc_id", "paragraph_index", "text"), ["doc_id", "paragraph_index"], "left")
+    want = formula_numbers(forms).join(forms.select("doc_id", "ord", "paragraph_index"), ["doc_id", "ord"]).select("doc_id", "paragraph_index", "number")
+    plan = plan.join(want, ["doc_id", "paragraph_index"], "left")
+    return plan.withColumn("arg", F.when(F.col("op").isin(*NUMBERING), F.col("number")).otherwise(F.col("arg"))).drop("number")
+
+
 def docx_lines(sections: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """(doc_id, line, text): what a new file holds, one line each: headings with their number, then their paragraphs."""
     h = sections.select(

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import fix, formatting, graph, parse, report, retrieve, standards, structure, style, vectors
+from ..operators import assemble, fix, formatting, graph, parse, report, retrieve, standards, structure, style, vectors
 from ..sources import docx
 from ..sources.scratch import written
 
@@ -62,6 +62,36 @@ def parse_texts(raw: DataFrame) -> Corpus:
     )
 
 
+def read_files(files: DataFrame) -> Corpus:
+    """DOCX files (doc_id, content) as a corpus with all its layouts; facts are written once, since every relation reads them.
+
+    A file that can't be read stays in docs, with its error, and has no rows elsewhere.
+    """
+    c = assemble.corpus(written(docx.read_facts(files), "facts"))
+    names = ("docs", "sections", "paragraphs", "figures", "tables")
+    return Corpus(*(c[n] for n in names), more={k: v for k, v in c.items() if k not in names})
+
+
+def analyze_files(files: DataFrame) -> DataFrame:
+    """One report row for each DOCX file (doc_id, content), which all checks of structure, formatting and style have seen."""
+    return analyze(read_files(files))
+
+
+def formatting_issues(c: Corpus) -> DataFrame:
+    """Issues of every formatting check, with whatever layouts the corpus has."""
+    more = [c.more[k] if k in c.more else formatting.no_layout(c.docs, k) for k in formatting.LAYOUT]
+    return formatting.check_formatting(c.docs, c.sections, c.paragraphs, c.figures, c.tables, *more, rules=c.rules)
+
+
+def fixed_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files after the edits that their issues ask for, the edits): reading, checking, planning and editing in one job."""
+    c = read_files(files)
+    issues = written(formatting_issues(c), "issues")
+    drawn = c.figures.where("caption = ''").select("doc_id", "paragraph_index")
+    plan = written(fix.edits_of(issues, c.more["para_layout"], c.more["formulas"], drawn), "edits")
+    return docx.edited(files, plan), plan
+
+
 AGENTS = ("structure_agent", "rag_agent", "style_agent", "logic_agent")
 
 
@@ -74,11 +104,7 @@ def run_agents(c: Corpus) -> tuple[DataFrame, DataFrame]:
         return as_issues(structure.check_structure(c.docs, c.sections, c.paragraphs), "structure", "structure_agent")
 
     def rag_issues():
-        more = [c.more[k] if k in c.more else formatting.no_layout(c.docs, k) for k in formatting.LAYOUT]
-        return as_issues(
-            formatting.check_formatting(c.docs, c.sections, c.paragraphs, c.figures, c.tables, *more, rules=c.rules),
-            "formatting", "rag_agent",
-        )
+        return as_issues(formatting_issues(c), "formatting", "rag_agent")
 
     def style_issues():
         return as_issues(style.check_style(c.sections, c.paragraphs), "style", "style_agent")

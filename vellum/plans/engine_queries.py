@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..fixtures import fixture, values
-from ..operators.fix import edit_plan
+from ..operators.fix import ALIGN, EDITS, edit_plan
 from ..sources import docx
 from ..sources.loaders import uploads
 from ..operators import parse as P
 from ..operators import standards as N
 from ..operators import vectors as V
 from ..sources.loaders import concatenated, pdf_texts
-from ..sources.scratch import shared_dir
+from ..sources.scratch import shared_dir, written
 from ..streaming.incremental import event_counts
 from . import engine as E
 from .corpus_queries import _ENT1, _ENT2
+from .formatting_queries import ALL_ISSUES
+from .formatting_queries import Q as _CHECKS
+from .planted import ctes, files, of_files
 
 Q: dict = {}
 
@@ -184,3 +187,60 @@ Q["documents_concatenated"] = (
     ).select("source", F.md5(F.col("text").cast("binary")).alias("h")),
     "SELECT source, md5(string_agg(text, chr(10) || chr(10) ORDER BY doc_id, text)) AS h FROM documents GROUP BY source",
 )
+
+
+# --- files with layouts ----------------------------------------------------------------------------------------------
+
+def _read(spark, d):
+    return E.read_files(files(spark, d))
+
+
+Q["docx_corpus_issues"] = (
+    # all documents written as files with planted faults, read back and checked: every fault is counted
+    lambda spark, d: E.formatting_issues(_read(spark, d)).groupBy("doc_id", "subtype").agg(F.count(F.lit(1)).alias("n")),
+    of_files(_CHECKS["formatting_issues"][1]),
+)
+Q["docx_corpus_sections"] = (
+    lambda spark, d: _read(spark, d).sections.select("doc_id", "ord", "section_id", "number", "title", "level", F.md5(F.col("text").cast("binary")).alias("h")),
+    of_files(f"WITH {ctes('fx_sections')} SELECT doc_id, ord, section_id, number, title, level, md5(text) AS h FROM fx_sections"),
+)
+_RELATIONS = {
+    "paragraphs": ["ord", "paragraph_id", "section_id", "paragraph_index"], "figures": ["ord", "caption", "paragraph_index"], "tables": ["ord", "caption", "paragraph_index"],
+    "para_layout": ["paragraph_index", "alignment", "first_line_indent_mm", "line_spacing", "font_size_pt_min", "font_family", "has_bold_text", "has_non_black_text"],
+    "table_layout": ["table_index", "caption_paragraph_index", "caption_position", "header_text", "header_alignment", "appendix_letter"],
+    "page_layout": ["section_index", "page_width_mm", "page_height_mm", "left_margin_mm", "right_margin_mm", "top_margin_mm", "bottom_margin_mm"],
+    "page_numbering": ["section_index", "different_first_page", "footer_field", "footer_alignment", "header_field", "first_footer_field", "page_number_start"],
+    "formulas": ["ord", "paragraph_index", "text", "alignment", "is_standalone", "equation_number", "raw_equation_number", "next_text"],
+}
+for _name, _columns in _RELATIONS.items():
+    Q[f"docx_corpus_{_name}"] = (
+        lambda spark, d, n=_name, cols=_columns: (lambda c: getattr(c, n, None) or c.more[n])(_read(spark, d)).select("doc_id", *cols),
+        of_files(f"WITH {ctes('fx_' + _name)} SELECT doc_id, {', '.join(_columns)} FROM fx_{_name}"),
+    )
+
+
+def _faults(c):
+    """Issues that an edit answers, with the text at their place."""
+    said = c.more["para_layout"].select("doc_id", "paragraph_index", "text")
+    i = E.formatting_issues(c).where(F.col("subtype").isin(*_MENDED))
+    return i.join(said, ["doc_id", "paragraph_index"], "left").select("doc_id", "subtype", F.coalesce("text", F.lit("")).alias("text"))
+
+
+#: Edits that leave the numbering of all formulas as it is or mend it.
+_MENDED = [k for k in {**EDITS, **ALIGN} if k not in ("formula_not_standalone", "table_caption_below_table")]
+
+
+def _mended(spark, d):
+    before = files(spark, d)
+    faults = written(_faults(E.read_files(before)), "faults")
+    after, _ = E.fixed_files(before)
+    left = _faults(E.read_files(written(after, "files"))).distinct().withColumn("left", F.lit(1))
+    found = faults.join(left, ["doc_id", "subtype", "text"], "left")
+    return found.groupBy("subtype").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("left"), F.lit(0)).alias("n_left"))
+
+
+Q["docx_corpus_fixed"] = (
+    # all files edited by what their issues ask for, read again: none of the mended faults is left at its place
+    _mended,
+    f"SELECT subtype, count(*) AS n, 0 AS n_left FROM ({of_files(ALL_ISSUES)}) WHERE subtype IN ({', '.join(map(repr, _MENDED))}) GROUP BY subtype",
+)

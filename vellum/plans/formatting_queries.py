@@ -290,3 +290,5 @@ Q["formatting_issues"] = (
     ).groupBy("doc_id", "subtype").agg(F.count(F.lit(1)).alias("n")),
     f"SELECT doc_id, subtype, count(*) AS n FROM ({_EVERY}) GROUP BY ALL",
 )
+#: SQL of all issues one by one, for other queries.
+ALL_ISSUES = _EVERY

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import docx
+
 _ROLE = """CASE WHEN d % 17 = 16 AND (i = 1 OR (i + d) % 6 = 0) THEN 'para' WHEN i = 1 OR (i + d) % 6 = 0 THEN 'heading'
   WHEN (i + d) % 6 = 2 AND i > 2 THEN 'figure' WHEN (i + d) % 6 = 3 AND i > 2 AND d % 3 = 0 THEN 'table' WHEN (i + d) % 6 = 4 AND d % 3 = 1 THEN 'formula' ELSE 'para' END"""
 #: Lines with their roles; h: the headings so far, o: the place among the lines of the role.
@@ -159,11 +161,64 @@ _SPLIT = """split_lines AS (SELECT d, lang, text, CAST(i AS INTEGER) AS i FROM (
   FROM (SELECT doc_id, lang, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents)))"""
 
 
+def _definition(n: str, sql: str) -> str:
+    cast = ", ".join(f"CAST({c} AS {_KINDS[k]}) AS {c}" for c, k in (x.rsplit(" ", 1) for x in RELATIONS[n][0].split(", ")))
+    return f"{n} AS (SELECT {cast} FROM ({_joined(sql, 'string_agg({0}, chr(10) || chr(10) ORDER BY i)')}) r)"
+
+
 def ctes(*names: str) -> str:
     """CTE definitions of the relations for DuckDB, without the leading WITH."""
-    out = [_SPLIT, f"lines AS ({_LINES})"]
-    for n in names:
-        columns, sql = RELATIONS[n]
-        cast = ", ".join(f"CAST({c} AS {_KINDS[k]}) AS {c}" for c, k in (x.rsplit(" ", 1) for x in columns.split(", ")))
-        out.append(f"{n} AS (SELECT {cast} FROM ({_joined(sql, "string_agg({0}, chr(10) || chr(10) ORDER BY i)")}) r)")
-    return ",\n".join(out)
+    return ",\n".join([_SPLIT, f"lines AS ({_LINES})", *(_definition(n, RELATIONS[n][1]) for n in names)])
+
+
+# --- files -----------------------------------------------------------------------------------------------------------
+
+#: Every line as a laid out paragraph of a DOCX file, its faults planted: t is what the paragraph says.
+_LAID = """SELECT *, CASE (d + 3 * i) % 7 WHEN 0 THEN 'left' WHEN 1 THEN 'center' WHEN 2 THEN 'right' WHEN 3 THEN 'unspecified' ELSE CASE WHEN d % 2 = 0 THEN 'justify' ELSE 'left' END END AS alignment,
+  CASE (d + i) % 9 WHEN 0 THEN 0.0 WHEN 1 THEN 10.9 WHEN 2 THEN 14.0 WHEN 3 THEN NULL ELSE 12.5 END AS first_line_indent_mm, CASE (2 * d + i) % 10 WHEN 0 THEN 1.7 WHEN 1 THEN 1.65 WHEN 2 THEN 1.0 WHEN 3 THEN NULL ELSE 1.5 END AS line_spacing,
+  CASE (3 * d + i) % 12 WHEN 0 THEN 11.5 WHEN 1 THEN 12.0 WHEN 2 THEN NULL ELSE 14.0 END AS font_size_pt, CASE (4 * d + i) % 15 WHEN 0 THEN 'Arial' WHEN 1 THEN NULL ELSE 'Times New Roman' END AS font_family, (5 * d + i) % 13 = 0 AS bold, (6 * d + i) % 14 = 0 AS non_black,
+  CASE role WHEN 'heading' THEN concat(CASE WHEN (d + o) % 7 = 0 THEN '' ELSE concat(o, ' ') END, CASE (d + 5 * o) % 6 WHEN 0 THEN 'Введение' WHEN 1 THEN 'Заключение' WHEN 2 THEN 'Содержание' WHEN 3 THEN 'Приложение Материалы' ELSE 'Раздел о деле' END, CASE WHEN (d + o) % 5 = 0 THEN '.' ELSE '' END)
+    WHEN 'figure' THEN CASE (7 * d + i) % 5 WHEN 1 THEN concat('Рисунок ', o, '-Слитно') WHEN 2 THEN concat('Рисунок ', o, ' — Вид.') WHEN 4 THEN '' ELSE concat('Рисунок ', o, ' — Схема работы') END WHEN 'table' THEN concat('Таблица ', o, ' — Данные о деле')
+    WHEN 'formula' THEN concat('y = kx + ', length(text), CASE (d + i) % 7 WHEN 0 THEN concat(' ', o) WHEN 1 THEN '' ELSE concat(' (', o, ')') END) ELSE concat('Основной текст абзаца в строке номер ', i, ' документа: ', text) END AS t,
+  CASE WHEN (d + o) % 4 = 2 AND d % 17 <> 16 THEN 'below' ELSE 'above' END AS grid, CASE WHEN d % 5 = 0 THEN 'Итого.' ELSE 'Год' END AS head, CASE WHEN d % 4 = 0 THEN 'left' ELSE 'center' END AS head_alignment FROM lines"""
+_PAGES = """SELECT doc_id, CASE d % 6 WHEN 0 THEN 216.0 WHEN 1 THEN 420.0 WHEN 2 THEN 213.1 ELSE 210.0 END AS width_mm, CASE d % 7 WHEN 0 THEN 279.0 ELSE 297.0 END AS height_mm, CASE d % 5 WHEN 0 THEN 25.0 WHEN 1 THEN 31.6 WHEN 2 THEN NULL ELSE 30.0 END AS left_mm,
+  CASE d % 8 WHEN 0 THEN NULL WHEN 1 THEN 16.5 WHEN 2 THEN 17.0 ELSE 15.0 END AS right_mm, CASE d % 11 WHEN 3 THEN 18.5 WHEN 4 THEN 25.0 ELSE 20.0 END AS top_mm, CASE d % 13 WHEN 5 THEN 25.0 WHEN 6 THEN NULL ELSE 20.0 END AS bottom_mm,
+  d % 3 <> 0 AS page_field, CASE d % 4 WHEN 1 THEN 'right' WHEN 2 THEN 'unspecified' ELSE 'center' END AS footer_alignment, d % 6 = 1 AS header_field, d % 7 = 0 AS first_field, d % 2 = 0 AS title_page, CASE d % 5 WHEN 0 THEN 5 WHEN 1 THEN 1 END AS page_start FROM lines WHERE i = 1"""
+
+_SECTION_ID = "CASE WHEN (d + o) % 7 = 0 THEN concat('sec_auto_', sum(CASE WHEN (d + o) % 7 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY d ORDER BY i)) ELSE concat('sec_', o) END"
+#: What reading the files must give: the relations of the checks, for DuckDB.
+FILES = {
+    "fx_docs": "SELECT doc_id, NULL AS title, NULL AS language FROM laid WHERE i = 1",
+    "fx_sections": f"""SELECT a.doc_id, o AS ord, section_id, number, CASE WHEN number = '' THEN t ELSE t[length(number) + 2:] END AS title, 1 AS level, coalesce(b.text, '') AS text
+  FROM (SELECT *, {_SECTION_ID} AS section_id, CASE WHEN (d + o) % 7 = 0 THEN '' ELSE CAST(o AS VARCHAR) END AS number FROM laid WHERE role = 'heading') a
+  LEFT JOIN (SELECT d, h, string_agg(t, chr(10) || chr(10) ORDER BY i) AS text FROM laid WHERE role <> 'heading' AND t <> '' GROUP BY d, h) b ON a.d = b.d AND a.h = b.h""",
+    "fx_paragraphs": f"""SELECT p.doc_id, o AS ord, concat('p_', o) AS paragraph_id, section_id, t AS text, NULL AS page, i AS paragraph_index FROM (SELECT * FROM laid WHERE role = 'para') p
+  LEFT JOIN (SELECT d, h, {_SECTION_ID} AS section_id FROM laid WHERE role = 'heading') s ON s.d = p.d AND s.h = p.h""",
+    "fx_figures": "SELECT doc_id, o AS ord, concat('fig_', o) AS item_id, t AS caption, NULL AS page, i AS paragraph_index FROM laid WHERE role = 'figure'",
+    "fx_tables": "SELECT doc_id, o AS ord, concat('tbl_', o) AS item_id, t AS caption, NULL AS page, i AS paragraph_index FROM laid WHERE role = 'table'",
+    "fx_para_layout": "SELECT doc_id, i AS paragraph_index, t AS text, alignment, first_line_indent_mm, line_spacing, font_size_pt AS font_size_pt_min, font_family, bold AS has_bold_text, non_black AS has_non_black_text FROM laid WHERE t <> ''",
+    "fx_table_layout": "SELECT doc_id, o - 1 AS table_index, i AS caption_paragraph_index, grid AS caption_position, head AS header_text, head_alignment AS header_alignment, NULL AS appendix_letter FROM laid WHERE role = 'table'",
+    "fx_page_layout": f"SELECT doc_id, 0 AS section_index, width_mm AS page_width_mm, height_mm AS page_height_mm, left_mm AS left_margin_mm, right_mm AS right_margin_mm, top_mm AS top_margin_mm, bottom_mm AS bottom_margin_mm FROM ({_PAGES})",
+    "fx_page_numbering": f"SELECT doc_id, 0 AS section_index, title_page AS different_first_page, page_field AS footer_field, CASE WHEN page_field THEN footer_alignment END AS footer_alignment, header_field, first_field AS first_footer_field, page_start AS page_number_start FROM ({_PAGES})",
+    "fx_formulas": """SELECT doc_id, o AS ord, i AS paragraph_index, t AS text, alignment, true AS is_standalone, CASE WHEN (d + i) % 7 > 1 THEN CAST(o AS VARCHAR) END AS equation_number, CASE (d + i) % 7 WHEN 0 THEN CAST(o AS VARCHAR) WHEN 1 THEN CAST(length(text) AS VARCHAR) END AS raw_equation_number,
+  false AS prev_blank, false AS next_blank, coalesce(later, '') AS next_text, NULL AS appendix_letter FROM (SELECT *, lead(CASE WHEN t <> '' THEN trim(regexp_replace(t, '\\s+', ' ', 'g')) END IGNORE NULLS) OVER (PARTITION BY d ORDER BY i) AS later FROM laid) WHERE role = 'formula'""",
+    "fx_heading_layout": f"SELECT doc_id, {_SECTION_ID} AS section_id, i AS paragraph_index, alignment FROM laid WHERE role = 'heading'",
+}
+
+
+def of_files(sql: str) -> str:
+    """A query's SQL over the relations, with those that its files must give in their place."""
+    for n, own in FILES.items():
+        sql = sql.replace(_definition(n, RELATIONS[n][1]), _definition(n, own))
+    return sql.replace(f"lines AS ({_LINES})", f"lines AS ({_LINES}), laid AS ({_LAID})")
+
+
+def files(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, content): all documents as DOCX files with planted faults of layout."""
+    with_ = "WITH lines AS (" + _LINES.replace("split_lines", "{split_lines}") + "), laid AS (" + _LAID + ") "
+    lines = _lines(spark, d)
+    item = "doc_id, i, {0} AS sub, {1} AS kind, {2} AS text, {3} AS style, {4} AS alignment, first_line_indent_mm, line_spacing, font_size_pt, font_family, bold, non_black, {5} AS drawing"
+    own = item.format("1", "'p'", "t", "CASE WHEN role = 'heading' THEN 'heading 1' END", "alignment", "role = 'figure' AND t = ''")
+    grid = item.format("CASE grid WHEN 'below' THEN 0 ELSE 2 END", "'table'", "head", "CAST(NULL AS STRING)", "head_alignment", "false")
+    items = spark.sql(with_ + f"SELECT {own} FROM laid UNION ALL SELECT {grid} FROM laid WHERE role = 'table'", split_lines=lines)
+    return docx.composed(items, spark.sql(with_ + _PAGES, split_lines=lines))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import io
 import re
 import zipfile
@@ -18,7 +19,7 @@ M = "{http://schemas.openxmlformats.org/officeDocument/2006/math}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 #: Twentieths of a point in a millimetre.
 TWIPS = 1440 / 25.4
-FACTS = "doc_id string, kind string, i int, text string, style string, alignment string, first_line_indent_mm double, line_spacing double, font_size_pt double, font_family string, bold boolean, non_black boolean, has_math boolean, table_index int, row_index int, cell_index int, width_mm double, height_mm double, left_mm double, right_mm double, top_mm double, bottom_mm double, page_field boolean, title_page boolean, page_start int, error string"
+FACTS = "doc_id string, kind string, i int, text string, style string, alignment string, first_line_indent_mm double, line_spacing double, font_size_pt double, font_family string, bold boolean, non_black boolean, has_math boolean, table_index int, row_index int, cell_index int, width_mm double, height_mm double, left_mm double, right_mm double, top_mm double, bottom_mm double, page_field boolean, footer_alignment string, header_field boolean, first_field boolean, title_page boolean, page_start int, drawing boolean, error string"
 FIELDS = [x.split()[0] for x in FACTS.split(", ")]
 
 
@@ -91,6 +92,7 @@ def _paragraph(p, styles: Styles) -> dict:
             "both": "justify", "start": "left", "end": "right", None: "unspecified",
         }.get(jc, jc), "first_line_indent_mm": None if indent is None else round(indent / TWIPS, 1), "line_spacing": None if spacing is None else round(spacing / 240, 2),
         "font_size_pt": min(sizes, default=None), "font_family": fonts[0] if fonts else None, "bold": bold, "non_black": color, "has_math": p.find(f".//{M}oMath") is not None,
+        "drawing": any(p.find(f".//{W}{k}") is not None for k in ("drawing", "object", "pict")),
     }
 
 
@@ -99,15 +101,47 @@ def _page_field(xml: bytes) -> bool:
     return b"PAGE" in t and (b"INSTRTEXT" in t or b"FLDSIMPLE" in t)
 
 
+class PageParts:
+    """Headers and footers of a file's sections; a section without one of a kind has that of the section before."""
+
+    def __init__(self, z: zipfile.ZipFile, styles: Styles):
+        self.z, self.styles, self.names, self.own = z, styles, set(z.namelist()), {}
+        self.rels = {}
+        if "word/_rels/document.xml.rels" in self.names:
+            self.rels = {r.get("Id"): f"word/{r.get('Target')}" for r in ET.fromstring(z.read("word/_rels/document.xml.rels"))}
+        settings = ET.fromstring(z.read("word/settings.xml")) if "word/settings.xml" in self.names else None
+        self.even = settings is not None and settings.find(W + "evenAndOddHeaders") is not None
+
+    def field(self, part: str, kind: str) -> tuple[bool, str | None]:
+        """(whether the part has a page field, the alignment of its paragraph)."""
+        name = self.own.get((part, kind))
+        if name not in self.names or not _page_field(self.z.read(name)):
+            return False, None
+        for p in ET.fromstring(self.z.read(name)).iter(W + "p"):
+            if _page_field(ET.tostring(p)):
+                return True, _paragraph(p, self.styles)["alignment"]
+        return True, None
+
+    def of(self, section) -> dict:
+        for part in ("header", "footer"):
+            for r in section.findall(f"{W}{part}Reference"):
+                self.own[part, r.get(W + "type", "default")] = self.rels.get(r.get(R + "id"))
+        # even pages have parts of their own only where the file says so
+        kinds = ("default", "even") if self.even else ("default",)
+        feet, heads = [self.field("footer", k) for k in kinds], [self.field("header", k) for k in kinds]
+        return {
+            "page_field": any(f for f, _ in feet), "footer_alignment": next((a for f, a in feet if f), None),
+            "header_field": any(f for f, _ in heads), "first_field": self.field("footer", "first")[0] or self.field("header", "first")[0],
+        }
+
+
 def facts(content: bytes) -> list[dict]:
     """Rows of a file: its paragraphs (i counts empty ones), table cells' paragraphs (i from 10000), sections."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
         body = ET.fromstring(z.read("word/document.xml")).find(W + "body")
         styles = Styles(ET.fromstring(z.read("word/styles.xml")) if "word/styles.xml" in names else None)
-        rels = {}
-        if "word/_rels/document.xml.rels" in names:
-            rels = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("word/_rels/document.xml.rels"))}
+        parts = PageParts(z, styles)
         out, i, t, cell = [], 0, 0, 9999
         for e in body:
             if e.tag == W + "p":
@@ -125,17 +159,12 @@ def facts(content: bytes) -> list[dict]:
                 t += 1
         for n, s in enumerate(body.iter(W + "sectPr")):
             mm = lambda path, attr: None if (v := _number(_val(s, path, attr))) is None else round(v / TWIPS, 1)  # noqa: B023, E731
-            field = any(
-                _page_field(
-                    z.read(f"word/{rels[r.get(R + 'id')]}")
-                ) for r in s.findall(W + "footerReference") if rels.get(r.get(R + "id")) and f"word/{rels[r.get(R + 'id')]}" in names
-            )
             start = _number(_val(s, W + "pgNumType", "start"))
             out.append(
                 {
                     "kind": "section", "i": n, "width_mm": mm(W + "pgSz", "w"), "height_mm": mm(W + "pgSz", "h"),
                     "left_mm": mm(W + "pgMar", "left"), "right_mm": mm(W + "pgMar", "right"),
-                    "top_mm": mm(W + "pgMar", "top"), "bottom_mm": mm(W + "pgMar", "bottom"), "page_field": field,
+                    "top_mm": mm(W + "pgMar", "top"), "bottom_mm": mm(W + "pgMar", "bottom"), **parts.of(s),
                     "title_page": s.find(W + "titlePg") is not None, "page_start": None if start is None else int(start),
                 }
             )
@@ -163,7 +192,7 @@ def read_facts(files: DataFrame) -> DataFrame:
             cols: dict[str, list] = {k: [] for k in FIELDS}
             for doc, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
-                    rows = facts(content)
+                    rows = facts(content) or [{"kind": "empty"}]
                 except Exception as why:
                     rows = [{"kind": "error", "error": str(why)}]
                 for r in rows:
@@ -203,6 +232,91 @@ def written(lines: DataFrame) -> DataFrame:
     return g.mapInArrow(run, f"doc_id {lines.schema['doc_id'].dataType.simpleString()}, content binary")
 
 
+def _field_part(tag: str, alignment: str | None) -> str:
+    """A header or footer with a page number."""
+    jc = f'<w:pPr><w:jc w:val="{JC.get(alignment, alignment)}"/></w:pPr>' if alignment and alignment != "unspecified" else ""
+    run = '<w:r><w:fldChar w:fldCharType="begin"/></w:r><w:r><w:instrText>PAGE</w:instrText></w:r><w:r><w:fldChar w:fldCharType="end"/></w:r>'
+    return f'<?xml version="1.0" encoding="UTF-8"?><w:{tag} xmlns:w="{W[1:-1]}"><w:p>{jc}{run}</w:p></w:{tag}>'
+
+
+#: Alignments by their names in the format.
+JC = {"justify": "both"}
+#: Columns of a body item and of a page, for compose().
+ITEM = "i int, sub int, kind string, text string, style string, alignment string, first_line_indent_mm double, line_spacing double, font_size_pt double, font_family string, bold boolean, non_black boolean, drawing boolean"
+PAGE = "width_mm double, height_mm double, left_mm double, right_mm double, top_mm double, bottom_mm double, page_field boolean, footer_alignment string, header_field boolean, first_field boolean, title_page boolean, page_start int"
+
+
+def _item(x: dict) -> str:
+    own = []
+    if x.get("style"):
+        own.append(f'<w:pStyle w:val="{escape(x["style"])}"/>')
+    if x.get("line_spacing") is not None:
+        own.append(f'<w:spacing w:line="{round(240 * x["line_spacing"])}" w:lineRule="auto"/>')
+    if x.get("first_line_indent_mm") is not None:
+        own.append(f'<w:ind w:firstLine="{round(x["first_line_indent_mm"] * TWIPS)}"/>')
+    if x.get("alignment") and x["alignment"] != "unspecified":
+        own.append(f'<w:jc w:val="{JC.get(x["alignment"], x["alignment"])}"/>')
+    run = []
+    if x.get("font_family"):
+        run.append(f'<w:rFonts w:ascii="{escape(x["font_family"])}" w:hAnsi="{escape(x["font_family"])}"/>')
+    if x.get("bold"):
+        run.append("<w:b/>")
+    if x.get("non_black"):
+        run.append('<w:color w:val="FF0000"/>')
+    if x.get("font_size_pt") is not None:
+        run.append(f'<w:sz w:val="{round(2 * x["font_size_pt"])}"/>')
+    said = f'<w:t xml:space="preserve">{escape(x["text"], False)}</w:t>' if x.get("text") else ""
+    runs = f"<w:r><w:rPr>{''.join(run)}</w:rPr>{'<w:drawing/>' if x.get('drawing') else ''}{said}</w:r>" if said or x.get("drawing") else ""
+    p = f"<w:p><w:pPr>{''.join(own)}</w:pPr>{runs}</w:p>"
+    # a table of one header cell and one cell below it
+    return f"<w:tbl><w:tr><w:tc>{p}</w:tc></w:tr><w:tr><w:tc><w:p/></w:tc></w:tr></w:tbl>" if x.get("kind") == "table" else p
+
+
+def compose(items: list[dict], page: dict) -> bytes:
+    """A file of laid out paragraphs and tables (ITEM), on one kind of page (PAGE); the same rows give the same bytes."""
+    parts, rels, refs = {}, [], []
+    for name, has, tag, kind, alignment in (
+        ("footer1", page.get("page_field"), "ftr", "footer", page.get("footer_alignment")), ("header1", page.get("header_field"), "hdr", "header", "center"),
+        ("footer2", page.get("first_field"), "ftr", "footer", "center"),
+    ):
+        if has:
+            parts[f"word/{name}.xml"] = _field_part(tag, alignment)
+            rels.append(f'<Relationship Id="{name}" Type="{R[1:-1]}/{kind}" Target="{name}.xml"/>')
+            refs.append(f'<w:{kind}Reference w:type="{"first" if name == "footer2" else "default"}" r:id="{name}"/>')
+    twips = lambda k: None if page.get(k) is None else round(page[k] * TWIPS)
+    def said(tag: str, **values) -> str:
+        return f"<w:{tag}{''.join(f' w:{k}=\"{v}\"' for k, v in values.items() if v is not None)}/>" if any(v is not None for v in values.values()) else ""
+
+    section = "".join(refs) + said("pgSz", w=twips("width_mm"), h=twips("height_mm")) + said(
+        "pgMar", left=twips("left_mm"), right=twips("right_mm"), top=twips("top_mm"), bottom=twips("bottom_mm"),
+    ) + said("pgNumType", start=page.get("page_start")) + ("<w:titlePg/>" if page.get("title_page") else "")
+    body = "".join(map(_item, items))
+    doc = f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="{W[1:-1]}" xmlns:r="{R[1:-1]}"><w:body>{body}<w:sectPr>{section}</w:sectPr></w:body></w:document>'
+    kinds = "".join(f'<Override PartName="/{n}" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.{"footer" if "footer" in n else "header"}+xml"/>' for n in parts)
+    links = f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{"".join(rels)}</Relationships>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, data in (("[Content_Types].xml", TYPES.replace("</Types>", kinds + "</Types>")), ("_rels/.rels", RELS), ("word/document.xml", doc), ("word/_rels/document.xml.rels", links), *parts.items()):
+            z.writestr(zipfile.ZipInfo(name, (2000, 1, 1, 0, 0, 0)), data)
+    return out.getvalue()
+
+
+def composed(items: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, content): files of items (doc_id and ITEM) and pages (doc_id and PAGE, one row a document)."""
+    def row(columns: str):
+        return F.struct(*(F.col(c).cast(k).alias(c) for c, k in (x.split() for x in columns.split(", "))))
+
+    g = items.groupBy("doc_id").agg(F.array_sort(F.collect_list(row(ITEM))).alias("items"))
+    g = g.join(pages.select("doc_id", row(PAGE).alias("page")), "doc_id", "left")
+
+    def run(batches):
+        for b in batches:
+            files = [compose(x, p or {}) for x, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(files, pa.binary())], ["doc_id", "content"])
+
+    return g.mapInArrow(run, f"doc_id {items.schema['doc_id'].dataType.simpleString()}, content binary")
+
+
 def _child(e, tag: str):
     x = e.find(tag)
     if x is None:
@@ -259,9 +373,10 @@ def _page_fields(src: zipfile.ZipFile, body, parts: dict[str, bytes], op: str) -
     rels = ET.fromstring(read(rels_name)) if rels_name in names or rels_name in parts else ET.Element(f"{{{space}}}Relationships")
     target = {r.get("Id"): f"word/{r.get('Target')}" for r in rels}
     sections = list(body.iter(W + "sectPr"))
-    if op == "clear_header_field":
+    if op in ("clear_header_field", "hide_first_page"):
         for s in sections:
-            for h in s.findall(W + "headerReference"):
+            first = [f for k in ("header", "footer") for f in s.findall(f"{W}{k}Reference") if f.get(W + "type") == "first"]
+            for h in s.findall(W + "headerReference") if op == "clear_header_field" else first:
                 n = target.get(h.get(R + "id"))
                 if n in names and _page_field(read(n)):
                     x = ET.fromstring(read(n))
@@ -271,8 +386,19 @@ def _page_fields(src: zipfile.ZipFile, body, parts: dict[str, bytes], op: str) -
                                 q.remove(c)
                     parts[n] = ET.tostring(x, encoding="utf-8", xml_declaration=True)
         return
+    feet = [f for s in sections for f in s.findall(W + "footerReference")]
+    if op == "center_page_field":
+        for n in {target.get(f.get(R + "id")) for f in feet} & names:
+            if _page_field(read(n)):
+                x = ET.fromstring(read(n))
+                for q in x.iter(W + "p"):
+                    if _page_field(ET.tostring(q)):
+                        _child(_child(q, W + "pPr"), W + "jc").set(W + "val", "center")
+                parts[n] = ET.tostring(x, encoding="utf-8", xml_declaration=True)
+        return
+    # a number on first pages alone doesn't count
     if not sections or any(
-        _page_field(read(target[f.get(R + "id")])) for s in sections for f in s.findall(W + "footerReference") if target.get(f.get(R + "id")) in names
+        _page_field(read(target[f.get(R + "id")])) for f in feet if f.get(W + "type", "default") == "default" and target.get(f.get(R + "id")) in names
     ):
         return
     parts["word/footerPages.xml"] = FOOTER.encode()
@@ -294,18 +420,45 @@ def _page_fields(src: zipfile.ZipFile, body, parts: dict[str, bytes], op: str) -
         parts["[Content_Types].xml"] = ET.tostring(types, encoding="utf-8", xml_declaration=True)
 
 
+def _targets(body):
+    """A search for the paragraph of an edit: by index and, if another text than the expected stands there, the nearest with that text."""
+    every = [e for e in body if e.tag == W + "p"]
+    same: dict[str, list[int]] = {}
+    for n, p in enumerate(every, 1):
+        same.setdefault(" ".join(_text(p).split()), []).append(n)
+
+    def find(index: int | None, text: str | None):
+        here = every[index - 1] if index and 1 <= index <= len(every) else None
+        if text is None or here is not None and " ".join(_text(here).split()) == " ".join(text.split()):
+            return here
+        alike = same.get(" ".join(text.split()), [])
+        return every[min(alike, key=lambda n: (abs(n - (index or 0)), n)) - 1] if alike else None
+
+    return find
+
+
+#: An appendix and its title in one line.
+APPENDIX_LINE = re.compile(r"^(приложение\s+[А-ЯЁA-Z])\s*[-–—.]?\s+(\S.*)$", re.I)
+
+
 def edit(content: bytes, edits: list[dict]) -> bytes:
     """A file after edits (paragraph_index, op, arg); paragraphs with drawings or objects, and native formulas' texts, are left alone."""
     src = zipfile.ZipFile(io.BytesIO(content))
     root = ET.fromstring(src.read("word/document.xml"))
     body = root.find(W + "body")
-    paragraphs = dict(enumerate((e for e in body if e.tag == W + "p"), 1))
+    find = _targets(body)
     parts: dict[str, bytes] = {}
-    for e in edits:
-        op, arg, p = e["op"], e.get("arg"), paragraphs.get(e.get("paragraph_index") or -1)
-        if op in ("add_page_field", "clear_header_field"):
+    # targets are the elements themselves, found before any edit, so inserts and removals don't move them
+    for e, p in [(e, find(e.get("paragraph_index"), e.get("text"))) for e in edits]:
+        op, arg = e["op"], e.get("arg")
+        if op in ("add_page_field", "clear_header_field", "center_page_field"):
             _page_fields(src, body, parts, op)
             continue
+        if op == "center_header":
+            for row in (t.find(W + "tr") for t in body.iter(W + "tbl")):
+                for c in row.iter(W + "p") if row is not None else ():
+                    _child(_child(c, W + "pPr"), W + "jc").set(W + "val", "center")
+            continue
         if op == "strip_header_period":
             for row in (t.find(W + "tr") for t in body.iter(W + "tbl")):
                 for c in row.iter(W + "p") if row is not None else ():
@@ -332,6 +485,7 @@ def edit(content: bytes, edits: list[dict]) -> bytes:
         if op == "hide_first_page":
             for s in list(body.iter(W + "sectPr"))[:1]:
                 _child(s, W + "titlePg")
+            _page_fields(src, body, parts, op)
             continue
         if p is None or any(p.find(f".//{W}{k}") is not None for k in ("drawing", "object", "pict")):
             continue
@@ -347,6 +501,8 @@ def edit(content: bytes, edits: list[dict]) -> bytes:
             _child(pr, W + "jc").set(W + "val", {"justify": "both"}.get(arg, arg))
         elif op == "set_indent":
             _child(pr, W + "ind").set(W + "firstLine", str(round(12.5 * TWIPS)))
+        elif op == "clear_indent":
+            _child(pr, W + "ind").set(W + "firstLine", "0")
         elif op == "set_spacing":
             s = _child(pr, W + "spacing")
             s.set(W + "line", "360")
@@ -378,6 +534,15 @@ def edit(content: bytes, edits: list[dict]) -> bytes:
                 _set_text(p, re.sub(r"^(\s*)[•●▪*]\s*", r"\1- ", re.sub(r"^(\s*(?:\d+|[а-яё]))\.\s+", r"\1) ", text)))
             elif op == "number_formula" and arg:
                 _set_text(p, re.sub(r"(\s*\([^()]*\d\)|(?<=\S)\s+\d+(\.\d+)*)\s*$", "", text) + f" ({arg})")
+            elif op == "split_appendix":
+                m = APPENDIX_LINE.match(text.strip())
+                if m:
+                    below = copy.deepcopy(p)
+                    _set_text(p, m[1])
+                    _set_text(below, m[2])
+                    for x in (p, below):
+                        _child(_child(x, W + "pPr"), W + "jc").set(W + "val", "center")
+                    body.insert(list(body).index(p) + 1, below)
             elif op == "split_formula":
                 _split(body, p, text, arg)
             elif op == "insert_reference":
@@ -399,8 +564,9 @@ def edit(content: bytes, edits: list[dict]) -> bytes:
 
 
 def edited(files: DataFrame, plan: DataFrame) -> DataFrame:
-    """(doc_id, content) after the plan's edits (doc_id, paragraph_index, op, arg, step), each file in one piece."""
-    g = plan.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("step", "paragraph_index", "op", "arg"))).alias("edits"))
+    """(doc_id, content) after the plan's edits (doc_id, paragraph_index, op, arg, step; text, if it has it), each file in one piece."""
+    own = ["step", "paragraph_index", "op", "arg", *(["text"] if "text" in plan.columns else [])]
+    g = plan.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*own))).alias("edits"))
 
     def run(batches):
         for b in batches:
