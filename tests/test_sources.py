@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from vellum.sources.folder import registered
 from vellum.sources.loaders import Registry, read_json, read_text
 from vellum.streaming.incremental import entity_stream
 
@@ -40,3 +41,53 @@ def test_stream_of_entities(spark, tmp_path):
     assert sorted(
         (r.doc_id, r.entity) for r in spark.read.parquet(str(tmp_path / "out")).collect()
     ) == [(1, "Alpha"), (1, "Gamma"), (2, "Gamma")]
+
+
+def backwards(content):
+    return content.decode()[::-1], None
+
+
+def test_mixed_folder(spark, tmp_path):
+    for n in range(20):
+        put(tmp_path / f"d{n % 3}" / f"{n}.txt", f"text {n}")
+    put(tmp_path / "x.html", "<p>")
+    put(tmp_path / "y.LOG", "abc")
+    (tmp_path / "bad.md").write_bytes(b"\xff\xfe\xfa")
+    (tmp_path / "bad.docx").write_bytes(b"x")
+    put(tmp_path / "_part", "no")
+    read = registered(spark).read.format("mixed_folder").option("splitBytes", 30).option("reader.log", "tests.test_sources:backwards").load(str(tmp_path))
+    rows = {r.path.rsplit("/", 1)[1]: r for r in read.collect()}
+    assert len(rows) == 24 and rows["3.txt"].text == "text 3" and rows["y.LOG"].text == "cba"
+    assert rows["bad.md"].error and rows["bad.docx"].error and rows["bad.md"].text is None
+    some = read.where("suffix IN ('.txt', '.log') AND size > 3")
+    assert some.count() == 20
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "Filter" in plan and "suffix" not in plan.split("Filter", 1)[1].split("\n")[0]  # the size is left to Spark, the suffix isn't
+    assert read.rdd.getNumPartitions() > 3
+    assert read.where("suffix = '.none'").count() == 0
+
+
+def test_mixed_folder_as_a_stream(spark, tmp_path):
+    put(tmp_path / "in" / "a.txt", "one")
+    s = lambda: registered(spark).readStream.format("mixed_folder").option("suffixes", ".txt").load(str(tmp_path / "in"))
+    go = lambda: s().select("path", "text").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination(120)
+    go()
+    put(tmp_path / "in" / "b.txt", "two")
+    put(tmp_path / "in" / "c.md", "no")
+    go()
+    assert sorted(r.text for r in spark.read.schema("path string, text string").parquet(str(tmp_path / "out")).collect()) == ["one", "two"]
+
+
+def test_registry_in_keyed_state(spark, tmp_path):
+    """Bridges at two documents, retracted at eleven; repeated documents and a second run of a batch change nothing."""
+    from vellum.streaming import incremental as I
+
+    r = [(i, "Alpha " + ("Beta " if i < 2 else "") + ("Gamma" if i < 10 else "")) for i in range(12)]
+    for n, rows in enumerate((r[:1], r[1:6], r[:3], r[6:])):
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "in" / str(n)))
+    s = spark.readStream.schema("doc_id long, text string").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    I.registry_stream(s, "doc_id", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(240)
+    e = spark.read.parquet(str(tmp_path / "out"))
+    assert {(x.entity, x.df) for x in I.registry_now(e).collect()} == {("Alpha", 12), ("Beta", 2), ("Gamma", 10)}
+    assert {(x.entity, x.df) for x in I.bridges_now(e).collect()} == {("Beta", 2), ("Gamma", 10)}
+    assert [x.event for x in e.where("entity = 'Alpha' and event is not null").orderBy("batch").collect()] == ["bridge", "retracted"]

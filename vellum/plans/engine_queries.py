@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from ..fixtures import fixture, values
 from ..operators.fix import ALIGN, EDITS, edit_plan
 from ..sources import docx
+from ..sources.folder import put, registered
 from ..sources.loaders import uploads
 from ..operators import parse as P
 from ..operators import standards as N
 from ..operators import vectors as V
 from ..sources.loaders import concatenated, pdf_texts
 from ..sources.scratch import shared_dir, written
-from ..streaming.incremental import event_counts
+from ..streaming.incremental import bridges_now, event_counts, registry_now, registry_stream
 from . import engine as E
 from .corpus_queries import _ENT1, _ENT2
 from .formatting_queries import ALL_ISSUES
@@ -244,3 +245,52 @@ Q["docx_corpus_fixed"] = (
     _mended,
     f"SELECT subtype, count(*) AS n, 0 AS n_left FROM ({of_files(ALL_ISSUES)}) WHERE subtype IN ({', '.join(map(repr, _MENDED))}) GROUP BY subtype",
 )
+
+
+# --- mixed folders and streams ---------------------------------------------------------------------------------------
+
+def _mixed(spark, d):
+    """All documents as .txt, .md and .docx files and all pages as .html, below one folder."""
+    root = _folder(spark, "mixed")
+    at = lambda s: F.concat(F.lit("part"), F.col("doc_id") % 7, F.lit("/"), F.col("doc_id"), F.lit(s))
+    docs = _docs(spark, d).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    plain = docs.where("doc_id % 3 <> 2").select(F.when(F.col("doc_id") % 3 == 0, at(".txt")).otherwise(at(".md")).alias("path"), F.col("text").cast("binary").alias("content"))
+    word = docx.written(_lines(spark, d).where("doc_id % 3 = 2")).select(at(".docx").alias("path"), "content")
+    pages = spark.read.parquet(f"{d}/pages.parquet").select(F.concat(F.lit("pages/"), "page_id", F.lit(".html")).alias("path"), F.coalesce("html", F.lit("")).cast("binary").alias("content"))
+    put(plain.unionByName(word).unionByName(pages), root).write.format("noop").mode("overwrite").save()
+    return root
+
+
+def _mixed_read(spark, d):
+    read = registered(spark).read.format("mixed_folder").load(_mixed(spark, d)).where("suffix IN ('.txt', '.md', '.docx')")
+    stem = F.regexp_extract("path", r"/(\d+)\.[a-z]+$", 1).cast("long")
+    return read.select(stem.alias("doc_id"), "suffix", F.md5(F.col("text").cast("binary")).alias("h"), F.col("error").isNotNull().alias("failed"))
+
+
+Q["mixed_folder_read"] = (
+    _mixed_read,
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE doc_id % 3 = 2),
+    w AS (SELECT doc_id, md5(string_agg(t, chr(10) ORDER BY i)) AS h FROM l WHERE trim(t) <> '' GROUP BY doc_id)
+    SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '.txt' ELSE '.md' END AS suffix, md5(coalesce(text, '')) AS h, false AS failed FROM documents WHERE doc_id % 3 <> 2 UNION ALL SELECT doc_id, '.docx', h, false FROM w""",
+)
+
+
+def _streamed(spark, d):
+    """Documents in three folders, of which the third repeats a third of the first, one folder a micro-batch."""
+    root = _folder(spark, "stream")
+    for n, some in enumerate(("doc_id % 2 = 0", "doc_id % 2 = 1", "doc_id % 6 = 0")):
+        _docs(spark, d).select("doc_id", "text").where(some).coalesce(1).write.parquet(f"{root}/in/{n}")
+    s = spark.readStream.schema("doc_id long, text string").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    registry_stream(s, "doc_id", f"{root}/events", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/events")
+
+
+def _registry_streamed(spark, d):
+    e = _streamed(spark, d)
+    return registry_now(e).join(bridges_now(e).select("entity", F.lit(True).alias("bridge")), "entity", "left").select("entity", "df", F.coalesce("bridge", F.lit(False)).alias("bridge"))
+
+
+Q["registry_streamed"] = (
+    _registry_streamed,
+    f"WITH {_ENT1}, {_ENT2} SELECT entity, count(DISTINCT doc_id) AS df, count(DISTINCT doc_id) BETWEEN 2 AND 10 AS bridge FROM e2 GROUP BY entity",
+)
