@@ -8,6 +8,7 @@ from ..fixtures import ROWS, fixture, values
 from ..functions.text import cosine, folded, number_key, squeeze, tokens
 from ..operators import fix as X
 from ..operators import graph as G
+from ..operators import joins as J
 from ..operators import parse as P
 from ..operators import retrieve as R
 from ..operators import standards as N
@@ -108,7 +109,7 @@ Q["page_geometry"] = (
 
 # --- standards and graph ---------------------------------------------------------------------------------------------
 
-_RULES = values("fx_rules")
+_RULES = ctes("fx_rules")
 _BLOCK_ROWS = [(1, "СТАНДАРТ"), (2, "1 Область применения"), (3, "Настоящий стандарт устанавливает требования к отчету."), (4, "3 Лишний раздел"), (5, "2 Оформление"), (6, "2.1 Рисунки следует нумеровать Рисунок должен иметь наименование,"), (7, "подпись располагают снизу."), (8, "2.2 Титульный лист отчета"), (9, "Титульный лист должен содержать сведения."), (10, "Приложение А Пример"), (11, "Библиография"), (12, "[1] Книга")]
 
 
@@ -137,11 +138,11 @@ Q["standard_rule_types"] = (
     "SELECT * FROM " + _values([(i, r[3], r[4]) for i, r in enumerate(_TYPE_ROWS)], "i, object_type, constraint_type"),
 )
 Q["standard_keywords"] = (
-    lambda spark, d: fixture(spark, "fx_rules").select("rule_id", F.array_join(N.keywords(F.concat_ws(" ", "title", "content")), ",").alias("keywords")),
+    lambda spark, d: planted(spark, d, "fx_rules").select("rule_id", F.array_join(N.keywords(F.concat_ws(" ", "title", "content")), ",").alias("keywords")),
     f"WITH {_RULES} SELECT rule_id, coalesce(array_to_string(list_filter(['рисунок', 'иллюстрация', 'таблица', 'формула', 'заголовок', 'раздел', 'подраздел', 'приложение', 'источник', 'ссылка', 'нумерация', 'шрифт', 'подпись', 'страница', 'абзац', 'титульный лист', 'реферат', 'содержание', 'заключение', 'введение'], lambda k: contains(lower(title || ' ' || content), k)), ','), '') AS keywords FROM fx_rules",
 )
 Q["standard_number_order"] = (
-    lambda spark, d: fixture(spark, "fx_rules").select("rule_id", F.array_join(number_key("number").cast("array<string>"), "-").alias("key")),
+    lambda spark, d: planted(spark, d, "fx_rules").select("rule_id", F.array_join(number_key("number").cast("array<string>"), "-").alias("key")),
     f"WITH {_RULES} SELECT rule_id, array_to_string(list_transform(string_split(number, '.'), lambda x: CAST(x AS INTEGER)), '-') AS key FROM fx_rules",
 )
 Q["standard_slug"] = (
@@ -150,69 +151,95 @@ Q["standard_slug"] = (
 )
 _KEYN = "list_transform(string_split(number, '.'), lambda x: CAST(x AS INTEGER))"
 Q["graph_membership"] = (
-    lambda spark, d: G.membership(fixture(spark, "fx_rules")).groupBy("source", "target", "type").agg(F.count(F.lit(1)).alias("n")),
+    lambda spark, d: G.membership(planted(spark, d, "fx_rules")).groupBy("source", "target", "type").agg(F.count(F.lit(1)).alias("n")),
     f"""WITH {_RULES}, e AS (SELECT section_id AS source, rule_id AS target, 'contains' AS type FROM fx_rules UNION ALL SELECT rule_id, 'object_type::' || object_type, 'applies_to' FROM fx_rules WHERE object_type <> 'generic' UNION ALL SELECT section_id, 'object_type::' || object_type, 'covers' FROM fx_rules WHERE object_type <> 'generic'
       UNION ALL SELECT rule_id, 'constraint::' || constraint_type, 'constrains' FROM fx_rules WHERE constraint_type <> 'generic') SELECT source, target, type, count(*) AS n FROM e GROUP BY ALL""",
 )
 Q["graph_chains"] = (
-    lambda spark, d: G.rule_chains(fixture(spark, "fx_rules")).select("source", "target", "type"),
-    f"""WITH {_RULES}, e AS (SELECT rule_id AS source, lead(rule_id) OVER (PARTITION BY section_id ORDER BY {_KEYN}, ord) AS target, 'rule_follows' AS type FROM fx_rules UNION ALL SELECT rule_id, lead(rule_id) OVER (PARTITION BY object_type ORDER BY {_KEYN}, ord), 'same_object_type' FROM fx_rules WHERE object_type <> 'generic'
-      UNION ALL SELECT rule_id, lead(rule_id) OVER (PARTITION BY constraint_type ORDER BY {_KEYN}, ord), 'same_constraint_type' FROM fx_rules WHERE constraint_type <> 'generic') SELECT * FROM e WHERE target IS NOT NULL""",
+    lambda spark, d: G.rule_chains(planted(spark, d, "fx_rules")).select("source", "target", "type"),
+    f"""WITH {_RULES}, e AS (SELECT rule_id AS source, lead(rule_id) OVER (PARTITION BY standard_id, section_id ORDER BY {_KEYN}, ord) AS target, 'rule_follows' AS type FROM fx_rules UNION ALL SELECT rule_id, lead(rule_id) OVER (PARTITION BY standard_id, object_type ORDER BY {_KEYN}, ord), 'same_object_type' FROM fx_rules WHERE object_type <> 'generic'
+      UNION ALL SELECT rule_id, lead(rule_id) OVER (PARTITION BY standard_id, constraint_type ORDER BY {_KEYN}, ord), 'same_constraint_type' FROM fx_rules WHERE constraint_type <> 'generic') SELECT * FROM e WHERE target IS NOT NULL""",
 )
 Q["graph_nodes"] = (
-    lambda spark, d: G.nodes(fixture(spark, "fx_rules"), fixture(spark, "fx_rules").select("standard_id", "section_id", F.col("section_id").alias("title")).distinct()).groupBy("type").agg(F.count(F.lit(1)).alias("n")),
-    f"WITH {_RULES} SELECT 'rule' AS type, count(*) AS n FROM fx_rules UNION ALL SELECT 'section', count(DISTINCT section_id) FROM fx_rules UNION ALL SELECT 'object_type', count(DISTINCT object_type) FROM fx_rules WHERE object_type <> 'generic' UNION ALL SELECT 'constraint', count(DISTINCT constraint_type) FROM fx_rules WHERE constraint_type <> 'generic'",
+    lambda spark, d: (lambda r: G.nodes(r, r.select("standard_id", "section_id", F.col("section_id").alias("title")).distinct()).groupBy("standard_id", "type").agg(F.count(F.lit(1)).alias("n")))(planted(spark, d, "fx_rules")),
+    f"WITH {_RULES} SELECT standard_id, 'rule' AS type, count(*) AS n FROM fx_rules GROUP BY ALL UNION ALL SELECT standard_id, 'section', count(DISTINCT section_id) FROM fx_rules GROUP BY ALL UNION ALL SELECT standard_id, 'object_type', count(DISTINCT object_type) FROM fx_rules WHERE object_type <> 'generic' GROUP BY ALL UNION ALL SELECT standard_id, 'constraint', count(DISTINCT constraint_type) FROM fx_rules WHERE constraint_type <> 'generic' GROUP BY ALL",
 )
 Q["graph_follows"] = (
     lambda spark, d: G.follows(N.sections(N.parse_blocks(N.clean_blocks(fixture(spark, "fx_lines"))))).select("source", "target", "type", "properties"),
     """SELECT 'std_sec_0' AS source, 'std_sec_1' AS target, 'follows' AS type, '{"order":0}' AS properties""",
 )
 Q["graph_lines"] = (
-    lambda spark, d: G.line_graph(fixture(spark, "fx_rules").select("standard_id", "ord", F.col("rule_id").alias("id"))).select("source", "target", "type"),
-    f"WITH {_RULES} SELECT * FROM (SELECT rule_id AS source, lead(rule_id) OVER (ORDER BY ord) AS target, 'follows' AS type FROM fx_rules) WHERE target IS NOT NULL",
+    lambda spark, d: G.line_graph(planted(spark, d, "fx_rules").select("standard_id", "ord", F.col("rule_id").alias("id"))).select("source", "target", "type"),
+    f"WITH {_RULES} SELECT * FROM (SELECT rule_id AS source, lead(rule_id) OVER (PARTITION BY standard_id ORDER BY ord) AS target, 'follows' AS type FROM fx_rules) WHERE target IS NOT NULL",
 )
 Q["graph_links"] = (
-    lambda spark, d: G.links(fixture(spark, "fx_rules")).select("source", "target", "type", F.get_json_object("properties", "$.reference_number").alias("number")),
-    "SELECT * FROM (VALUES ('r3', 'r1', 'references', '5.1'), ('r4', 'r1', 'depends_on', '5.1'), ('r4', 'r1', 'references', '5.1'), ('r4', 'r5', 'references', '6.2'), ('r5', 'r4', 'depends_on', '6.1'), ('r5', 'r4', 'references', '6.1'), ('r8', 's6', 'references', '6'), ('r10', 'r5', 'depends_on', '6.2'), ('r10', 'r5', 'references', '6.2')) AS v(source, target, type, number)",
+    lambda spark, d: G.links(planted(spark, d, "fx_rules")).select("source", "target", "type", F.get_json_object("properties", "$.reference_number").alias("number")),
+    f"""WITH {_RULES}, c AS (SELECT standard_id, rule_id, regexp_extract(content, 'в соответствии с (\\d+\\.\\d+)', 1) AS n, unnest(['depends_on', 'references']) AS type FROM fx_rules
+      UNION ALL SELECT standard_id, rule_id, regexp_extract(content, 'см\\. (\\d+\\.\\d+)', 1), 'references' FROM fx_rules),
+    s AS (SELECT DISTINCT r.standard_id, r.rule_id, regexp_extract(r.content, 'см\\. раздел (\\d+)', 1) AS n FROM fx_rules r)
+    SELECT c.rule_id AS source, r.rule_id AS target, type, n AS number FROM c JOIN fx_rules r ON r.standard_id = c.standard_id AND r.number = n
+    UNION ALL SELECT DISTINCT s.rule_id, r.section_id, 'references', n FROM s JOIN fx_rules r ON r.standard_id = s.standard_id AND r.section_id = 's' || substr(s.standard_id, 2) || '_' || n""",
 )
 _NEEDS = "('caption_required', 'reference_required'), ('caption_required', 'required_presence'), ('caption_required', 'numbering'), ('caption_required', 'generic'), ('formatting', 'required_presence'), ('formatting', 'generic'), ('formatting', 'reference_required'), ('placement', 'reference_required'), ('placement', 'required_presence'), ('placement', 'generic'), ('numbering', 'required_presence'), ('numbering', 'generic'), ('reference_required', 'required_presence'), ('reference_required', 'generic'), ('optional_allowed', 'generic'), ('definition', 'generic')"
 Q["graph_prerequisites"] = (
-    lambda spark, d: G.prerequisites(fixture(spark, "fx_rules")).select("source", "target", "type"),
-    f"""WITH {_RULES}, o AS (SELECT *, row_number() OVER (PARTITION BY object_type ORDER BY {_KEYN}, ord) AS place FROM fx_rules WHERE object_type <> 'generic'), need AS (SELECT * FROM (VALUES {_NEEDS}) AS v(c, b))
-    SELECT DISTINCT source, target, 'prerequisite' AS type FROM (SELECT r.rule_id AS source, arg_max(e.rule_id, e.place) AS target FROM o r JOIN need ON need.c = r.constraint_type JOIN o e ON e.object_type = r.object_type AND e.place < r.place AND e.constraint_type = need.b GROUP BY r.rule_id, need.b)""",
+    lambda spark, d: G.prerequisites(planted(spark, d, "fx_rules")).select("source", "target", "type"),
+    f"""WITH {_RULES}, o AS (SELECT *, row_number() OVER (PARTITION BY standard_id, object_type ORDER BY {_KEYN}, ord) AS place FROM fx_rules WHERE object_type <> 'generic'), need AS (SELECT * FROM (VALUES {_NEEDS}) AS v(c, b))
+    SELECT DISTINCT source, target, 'prerequisite' AS type FROM (SELECT r.rule_id AS source, arg_max(e.rule_id, e.place) AS target FROM o r JOIN need ON need.c = r.constraint_type JOIN o e ON e.standard_id = r.standard_id AND e.object_type = r.object_type AND e.place < r.place AND e.constraint_type = need.b GROUP BY r.rule_id, need.b)""",
 )
+_RULE_EDGES = """redges AS MATERIALIZED (SELECT standard_id, section_id AS source, rule_id AS target, 'contains' AS type FROM fx_rules UNION ALL SELECT standard_id, rule_id, standard_id || object_type, 'applies_to' FROM fx_rules WHERE object_type <> 'generic'
+  UNION ALL SELECT standard_id, rule_id, lead(rule_id) OVER (PARTITION BY standard_id ORDER BY ord), 'follows' FROM fx_rules), edges AS MATERIALIZED (SELECT * FROM redges WHERE target IS NOT NULL)"""
+
+
+def _rule_edges(spark, d):
+    """(standard_id, source, target, type): sections hold rules, rules are about objects and follow one another."""
+    r = planted(spark, d, "fx_rules")
+    e = r.select("standard_id", F.col("section_id").alias("source"), F.col("rule_id").alias("target"), F.lit("contains").alias("type"))
+    e = e.unionByName(r.where("object_type <> 'generic'").select("standard_id", F.col("rule_id").alias("source"), F.concat("standard_id", "object_type").alias("target"), F.lit("applies_to").alias("type")))
+    return e.unionByName(G.line_graph(r.select("standard_id", "ord", F.col("rule_id").alias("id"))).drop("properties"))
+
+
+def _rule_nodes(spark, d):
+    e = _rule_edges(spark, d)
+    return e.select(F.col("source").alias("id")).unionByName(e.select(F.col("target").alias("id"))).distinct().withColumn("type", F.when(F.col("id").startswith("r"), "rule").when(F.col("id").startswith("s"), "section").otherwise("object_type"))
+
+
 _GR = values("fx_nodes", "fx_edges")
 Q["graph_related"] = (
-    lambda spark, d: G.related(*[fixture(spark, n) for n in ("fx_edges", "fx_nodes")], spark.createDataFrame([("n2",), ("n5",)], "id string")),
-    f"WITH {_GR} SELECT DISTINCT * FROM (SELECT source AS id, target AS neighbor, type, 'out' AS direction FROM fx_edges UNION ALL SELECT target, source, type, 'in' FROM fx_edges) WHERE id IN ('n2', 'n5')",
+    # around every section
+    lambda spark, d: G.related(_rule_edges(spark, d), _rule_nodes(spark, d), _rule_nodes(spark, d).where("type = 'section'")),
+    f"WITH {_RULES}, {_RULE_EDGES} SELECT DISTINCT source AS id, target AS neighbor, type, 'out' AS direction FROM edges WHERE starts_with(source, 's') UNION ALL SELECT DISTINCT target, source, type, 'in' FROM edges WHERE starts_with(target, 's')",
 )
 Q["graph_related_nodes"] = (
-    lambda spark, d: G.related_nodes(*[fixture(spark, n) for n in ("fx_edges", "fx_nodes")], spark.createDataFrame([("n2",)], "id string"), ["depends_on", "contains", "applies_to"], ["rule", "section"]),
-    "SELECT * FROM (VALUES ('n2', 'n1'), ('n2', 'n9'), ('n2', 'n9')) AS v(id, neighbor)",
+    lambda spark, d: G.related_nodes(_rule_edges(spark, d), _rule_nodes(spark, d), _rule_nodes(spark, d).where("type = 'rule'"), ["contains", "applies_to"], ["section"]),
+    f"WITH {_RULES} SELECT rule_id AS id, section_id AS neighbor FROM fx_rules",
 )
 Q["graph_accessors"] = (
     lambda spark, d: G.node(fixture(spark, "fx_nodes"), spark.createDataFrame([("n2",), ("none",)], "id string")).select("id", F.lit("by id").alias("how")).unionByName(G.nodes_of_type(fixture(spark, "fx_nodes"), "constraint", "keyword").select("id", F.lit("by type").alias("how"))).unionByName(G.ordered_sections(fixture(spark, "fx_nodes").withColumn("standard_id", F.lit("g"))).select("id", F.concat(F.lit("place "), "place").alias("how"))),
     "SELECT * FROM (VALUES ('n2', 'by id'), ('n5', 'by type'), ('n6', 'by type'), ('n1', 'place 0')) AS v(id, how)",
 )
 Q["graph_k_hop"] = (
-    lambda spark, d: G.k_hop(fixture(spark, "fx_edges"), fixture(spark, "fx_nodes").select("id"), 2),
-    f"WITH RECURSIVE {_GR}, r AS (SELECT id AS start, id, 0 AS h FROM fx_nodes UNION SELECT r.start, e.target, h + 1 FROM r JOIN fx_edges e ON e.source = r.id WHERE h < 2) SELECT DISTINCT start, id FROM r",
+    lambda spark, d: G.k_hop(_rule_edges(spark, d), _rule_nodes(spark, d).select("id"), 2),
+    f"""WITH {_RULES}, {_RULE_EDGES}, n AS (SELECT source AS id FROM edges UNION SELECT target FROM edges)
+    SELECT id AS start, id FROM n UNION SELECT source, target FROM edges UNION SELECT a.source, b.target FROM edges a JOIN edges b ON a.target = b.source""",
 )
 Q["graph_shortest_paths"] = (
-    lambda spark, d: G.shortest_paths(fixture(spark, "fx_edges"), fixture(spark, "fx_nodes").select("id"), 5).select("start", "id", F.array_join("path", ">").alias("path"), "hops"),
-    f"""WITH RECURSIVE {_GR}, r AS (SELECT id AS start, id, [id] AS path FROM fx_nodes UNION SELECT r.start, e.target, list_append(path, e.target) FROM r JOIN (SELECT DISTINCT source, target FROM fx_edges) e ON e.source = r.id WHERE NOT list_contains(path, e.target) AND len(path) <= 5)
-    SELECT start, id, array_to_string(arg_min(path, concat(len(path), array_to_string(path, '>'))), '>') AS path, CAST(min(len(path)) - 1 AS INTEGER) AS hops FROM r GROUP BY start, id""",
+    # from every section, three edges at most
+    lambda spark, d: G.shortest_paths(_rule_edges(spark, d), _rule_nodes(spark, d).where("type = 'section'").select("id"), 3).select("start", "id", F.array_join("path", ">").alias("path"), "hops"),
+    f"""WITH RECURSIVE {_RULES}, {_RULE_EDGES}, step AS (SELECT DISTINCT source, target FROM edges), r AS (SELECT DISTINCT source AS start, source AS id, [source] AS path FROM edges WHERE starts_with(source, 's')
+      UNION SELECT r.start, e.target, list_append(path, e.target) FROM r JOIN step e ON e.source = r.id WHERE NOT list_contains(path, e.target) AND len(path) <= 3)
+    SELECT start, id, array_to_string(first(path ORDER BY len(path), path), '>') AS path, CAST(min(len(path)) - 1 AS INTEGER) AS hops FROM r GROUP BY start, id""",
 )
 Q["graph_induced"] = (
-    lambda spark, d: G.induced(fixture(spark, "fx_edges"), spark.createDataFrame([("n1",), ("n2",), ("n4",)], "id string")).select("source", "target", "type"),
-    f"WITH {_GR} SELECT source, target, type FROM fx_edges WHERE source IN ('n1', 'n2', 'n4') AND target IN ('n1', 'n2', 'n4')",
+    lambda spark, d: G.induced(_rule_edges(spark, d), _rule_nodes(spark, d).where("type <> 'object_type'")).select("source", "target", "type"),
+    f"WITH {_RULES}, {_RULE_EDGES} SELECT source, target, type FROM edges WHERE type <> 'applies_to'",
 )
 Q["graph_exported"] = (
-    lambda spark, d: G.exported(G.nodes(fixture(spark, "fx_rules"), fixture(spark, "fx_rules").select("standard_id", "section_id", F.col("section_id").alias("title")).distinct()), G.membership(fixture(spark, "fx_rules")))
+    lambda spark, d: (lambda r: G.exported(G.nodes(r, r.select("standard_id", "section_id", F.col("section_id").alias("title")).distinct()), G.membership(r)))(planted(spark, d, "fx_rules"))
     .select("standard_id", F.from_json("graph", "struct<nodes:array<struct<id:string,type:string>>,edges:array<struct<source:string,target:string,type:string>>>").alias("g"))
     .select("standard_id", F.array_join(F.transform(F.filter("g.nodes", lambda n: n["type"] != "rule"), lambda n: n["id"]), ",").alias("nodes"), F.size("g.edges").cast("long").alias("n_edges")),
-    f"""WITH {_RULES}, n AS (SELECT DISTINCT section_id AS id FROM fx_rules UNION SELECT 'object_type::' || object_type FROM fx_rules WHERE object_type <> 'generic' UNION SELECT 'constraint::' || constraint_type FROM fx_rules WHERE constraint_type <> 'generic')
-    SELECT 'g' AS standard_id, (SELECT string_agg(id, ',' ORDER BY id) FROM n) AS nodes, (SELECT count(*) + 2 * count(*) FILTER (object_type <> 'generic') + count(*) FILTER (constraint_type <> 'generic') FROM fx_rules) AS n_edges""",
+    f"""WITH {_RULES}, n AS (SELECT DISTINCT standard_id, section_id AS id FROM fx_rules UNION SELECT standard_id, 'object_type::' || object_type FROM fx_rules WHERE object_type <> 'generic' UNION SELECT standard_id, 'constraint::' || constraint_type FROM fx_rules WHERE constraint_type <> 'generic'),
+    m AS (SELECT standard_id, string_agg(id, ',' ORDER BY id) AS nodes FROM n GROUP BY standard_id)
+    SELECT standard_id, nodes, count(*) + 2 * count(*) FILTER (object_type <> 'generic') + count(*) FILTER (constraint_type <> 'generic') AS n_edges FROM fx_rules JOIN m USING (standard_id) GROUP BY standard_id, nodes""",
 )
 Q["graph_geography"] = (
     # nodes at most two hops from each region: region > nation > customer market
@@ -366,8 +393,8 @@ Q["fix_renumbered"] = (
 )
 _FIGURE_TITLE = "trim(regexp_extract(trim(caption), '(?i)^(?:рисуно(?:к)?|рис\\.?)\\s*\\d+(?:\\.\\d+)*\\s*[-—–]?\\s*(.*)$', 1), ' -—–')"
 Q["fix_figure_captions"] = (
-    lambda spark, d: X.figure_captions(fixture(spark, "fx_figures")),
-    f"WITH {values('fx_figures')}, f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n, {_FIGURE_TITLE} AS t FROM fx_figures) SELECT doc_id, ord, CASE WHEN trim(caption) = '' THEN '' ELSE 'Рисунок ' || n || ' - ' || trim(rtrim(CASE WHEN t <> '' THEN t ELSE 'Иллюстрация ' || n END, '.')) END AS caption FROM f",
+    lambda spark, d: X.figure_captions(planted(spark, d, "fx_figures")),
+    f"WITH {ctes('fx_figures')}, f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n, {_FIGURE_TITLE} AS t FROM fx_figures) SELECT doc_id, ord, CASE WHEN trim(caption) = '' THEN '' ELSE 'Рисунок ' || n || ' - ' || trim(rtrim(CASE WHEN t <> '' THEN t ELSE 'Иллюстрация ' || n END, '.')) END AS caption FROM f",
 )
 Q["fix_figure_captions_kept"] = (
     lambda spark, d: X.figure_captions(fixture(spark, "fx_figures"), anew=False).where("doc_id in ('d1', 'd6')"),
@@ -379,8 +406,8 @@ Q["fix_table_captions"] = (
 )
 _ST = "('содержание', 'оглавление', 'реферат', 'список использованных источников', 'список литературы', 'библиографический список', 'источники и литература')"
 Q["fix_headings"] = (
-    lambda spark, d: X.fixed_headings(fixture(spark, "fx_sections")),
-    f"WITH {values('fx_sections')}, t AS (SELECT *, regexp_replace(trim(title), '\\.+$', '') AS x FROM fx_sections) SELECT doc_id, ord, section_id, CASE WHEN lower(x) IN {_ST} THEN upper(x) ELSE x END AS title, CASE WHEN lower(x) IN {_ST} THEN '' ELSE number END AS number FROM t",
+    lambda spark, d: X.fixed_headings(planted(spark, d, "fx_sections")),
+    f"WITH {ctes('fx_sections')}, t AS (SELECT *, regexp_replace(trim(title), '\\.+$', '') AS x FROM fx_sections) SELECT doc_id, ord, section_id, CASE WHEN lower(x) IN {_ST} THEN upper(x) ELSE x END AS title, CASE WHEN lower(x) IN {_ST} THEN '' ELSE number END AS number FROM t",
 )
 Q["fix_formulas"] = (
     lambda spark, d: X.formula_numbers(fixture(spark, "fx_formulas")),
@@ -395,12 +422,12 @@ Q["fix_references"] = (
     "SELECT * FROM (VALUES (1, 'Расчет по формуле (1).'), (2, 'Расчет по формуле (1).'), (3, 'Считаем по формуле (1):'), (4, 'Текст. Расчет ведут по формуле (1).')) AS v(i, t)",
 )
 Q["fix_refreshed_sections"] = (
-    lambda spark, d: X.refreshed_sections(*_fx(spark, "fx_sections", "fx_paragraphs")).select("doc_id", "section_id", F.md5(F.col("text").cast("binary")).alias("h")),
-    f"WITH {values('fx_sections', 'fx_paragraphs')}, p AS (SELECT doc_id, section_id, string_agg(text, concat(chr(10), chr(10)) ORDER BY ord) AS body FROM fx_paragraphs GROUP BY ALL) SELECT s.doc_id, s.section_id, md5(CASE WHEN coalesce(text, '') = '' THEN '' ELSE coalesce(body, text) END) AS h FROM fx_sections s LEFT JOIN p ON p.doc_id = s.doc_id AND p.section_id = s.section_id",
+    lambda spark, d: X.refreshed_sections(*[planted(spark, d, n) for n in ("fx_sections", "fx_paragraphs")]).select("doc_id", "section_id", F.md5(F.col("text").cast("binary")).alias("h")),
+    f"WITH {ctes('fx_sections', 'fx_paragraphs')}, p AS (SELECT doc_id, section_id, string_agg(text, concat(chr(10), chr(10)) ORDER BY ord) AS body FROM fx_paragraphs GROUP BY ALL) SELECT s.doc_id, s.section_id, md5(CASE WHEN coalesce(text, '') = '' THEN '' ELSE coalesce(body, text) END) AS h FROM fx_sections s LEFT JOIN p ON p.doc_id = s.doc_id AND p.section_id = s.section_id",
 )
 Q["docx_lines"] = (
-    lambda spark, d: X.docx_lines(*_fx(spark, "fx_sections", "fx_paragraphs")).select("doc_id", "line", F.md5(F.col("text").cast("binary")).alias("h")),
-    f"""WITH {values('fx_sections', 'fx_paragraphs')}, x AS (SELECT doc_id, ord AS s, 0 AS p, trim(CASE WHEN number <> '' THEN number || ' ' ELSE '' END || title) AS text FROM fx_sections UNION ALL SELECT p.doc_id, s.ord, p.ord, p.text FROM fx_paragraphs p JOIN fx_sections s ON s.doc_id = p.doc_id AND s.section_id = p.section_id)
+    lambda spark, d: X.docx_lines(*[planted(spark, d, n) for n in ("fx_sections", "fx_paragraphs")]).select("doc_id", "line", F.md5(F.col("text").cast("binary")).alias("h")),
+    f"""WITH {ctes('fx_sections', 'fx_paragraphs')}, x AS (SELECT doc_id, ord AS s, 0 AS p, trim(CASE WHEN number <> '' THEN number || ' ' ELSE '' END || title) AS text FROM fx_sections UNION ALL SELECT p.doc_id, s.ord, p.ord, p.text FROM fx_paragraphs p JOIN fx_sections s ON s.doc_id = p.doc_id AND s.section_id = p.section_id)
     SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s, p) AS INTEGER) AS line, md5(text) AS h FROM x WHERE text <> ''""",
 )
 
@@ -425,3 +452,36 @@ Q["fix_missing_captions"] = (
     lambda spark, d: X.missing_captions(fixture(spark, "fx_tables"), X.table_captions(*_fx(spark, "fx_tables", "fx_table_layout"))),
     "SELECT 'd2' AS doc_id, 1 AS n, 'Таблица 1 - Сравнение показателей 1' AS caption",
 )
+
+# --- joins by order --------------------------------------------------------------------------------------------------
+
+def _purchases(spark, d, heavy=J.HEAVY):
+    e = _t(spark, d, "events").select("user_id", "ts", "event_id", "event_type")
+    seen = e.where("event_type = 'view'").select("user_id", "ts", "event_id")
+    return J.asof_join(e.where("event_type = 'purchase'").drop("event_type"), seen, ["user_id"], "ts", F.expr("INTERVAL 30 DAYS"), "view_", heavy)
+
+
+_ASOF = """WITH v AS (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'view' GROUP BY ALL)
+    SELECT p.user_id, p.ts, p.event_id, CASE WHEN p.ts - v.ts <= INTERVAL 30 DAYS THEN v.ts END AS view_ts, CASE WHEN p.ts - v.ts <= INTERVAL 30 DAYS THEN v.event_id END AS view_event_id
+    FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.ts"""
+Q["events_asof"] = (lambda spark, d: _purchases(spark, d), _ASOF)
+Q["events_asof_ranges"] = (
+    # the same with every user's time cut into ranges
+    lambda spark, d: _purchases(spark, d, 4),
+    _ASOF,
+)
+
+
+def _mentions(spark, d):
+    turns = _t(spark, d, "conversations").select("conv_id", "turn", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    terms = F.regexp_extract_all("text", F.lit(r"[a-zà-ÿ]{6,}"), F.lit(0))
+    items = turns.select("conv_id", "turn", F.explode(F.array_distinct(terms)).alias("term"))
+    return J.mentioned_before(items, J.first_mentions(turns, "conv_id", "turn", terms), "conv_id", "turn")
+
+
+Q["terms_mentioned_before"] = (
+    # each word of a turn with the first earlier turn of its conversation that has it
+    lambda spark, d: _mentions(spark, d).select("conv_id", "turn", "term", "first"),
+    """WITH w AS (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-zà-ÿ]{6,}')) AS term FROM conversations)
+    SELECT conv_id, turn, term, (SELECT min(b.turn) FROM w b WHERE b.conv_id = a.conv_id AND b.term = a.term AND b.turn < a.turn) AS first FROM w a""",
+)

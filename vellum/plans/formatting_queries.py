@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import fixture, values
 from ..operators import formatting as K
 from .planted import ctes, planted
 
@@ -241,12 +240,10 @@ _WANT = [
     ("formula", "numbering"), ("page", "size"),
 ]
 Q["rule_pick"] = (
-    lambda spark, d: K.rule_pick(
-        fixture(spark, "fx_rules"), spark.createDataFrame(_WANT, "object_type string, constraint_type string"),
-    ).drop("standard_id"),
-    f"""WITH {values('fx_rules')}, w AS (SELECT * FROM (VALUES {', '.join(map(str, _WANT))}) AS v(object_type, wanted))
-    SELECT w.object_type, wanted AS constraint_type, rule_id, number, content[:280] AS quote FROM w JOIN fx_rules r ON r.object_type = w.object_type
-    QUALIFY row_number() OVER (PARTITION BY w.object_type, wanted ORDER BY constraint_type = wanted DESC, list_transform(string_split(number, '.'), lambda x: CAST(x AS INTEGER)), ord) = 1""",
+    lambda spark, d: K.rule_pick(planted(spark, d, "fx_rules"), spark.createDataFrame(_WANT, "object_type string, constraint_type string")),
+    f"""WITH {ctes('fx_rules')}, w AS (SELECT * FROM (VALUES {', '.join(map(str, _WANT))}) AS v(object_type, wanted))
+    SELECT standard_id, w.object_type, wanted AS constraint_type, rule_id, number, content[:280] AS quote FROM w JOIN fx_rules r ON r.object_type = w.object_type
+    QUALIFY row_number() OVER (PARTITION BY standard_id, w.object_type, wanted ORDER BY constraint_type = wanted DESC, list_transform(string_split(number, '.'), lambda x: CAST(x AS INTEGER)), ord) = 1""",
 )
 Q["unreferenced_tables"] = (
     lambda spark, d: _three(K.table_references(*_fx(spark, d, "fx_tables", "fx_sections", "fx_paragraphs"))),
@@ -254,12 +251,13 @@ Q["unreferenced_tables"] = (
     SELECT doc_id, ord, 'missing_table_reference' AS subtype FROM fx_tables LEFT JOIN hay USING (doc_id) WHERE trim(coalesce(caption, '')) <> ''
       AND NOT coalesce(contains(t, 'таблица') OR (length(caption) >= 8 AND contains(t, lower(trim(caption)))), false)""",
 )
+_NAMED = [("missing_figure_caption", "figure", "caption_required"), ("figure_numbering_error", "figure", "numbering"), ("missing_table_reference", "table", "reference_required"), ("missing_formula_number", "formula", "numbering")]
 Q["issue_rules"] = (
-    # the rule that each kind of issue names, by the standard's rules
-    lambda spark, d: K.rules_of_issues(fixture(spark, "fx_rules")).where(
-        "subtype in ('missing_figure_caption', 'figure_numbering_error', 'missing_table_reference', 'appendix_table_caption_format', 'missing_formula_number', 'missing_contents_section', 'invalid_page_size')"
-    ).select("subtype", "rule_id"),
-    "SELECT * FROM (VALUES ('missing_figure_caption', 'r8'), ('figure_numbering_error', 'r1'), ('missing_table_reference', 'r9'), ('appendix_table_caption_format', 'r9'), ('missing_formula_number', 'r6')) AS v(subtype, rule_id)",
+    # the rule that each kind of issue names, by every standard's rules
+    lambda spark, d: K.rules_of_issues(planted(spark, d, "fx_rules")).where(F.col("subtype").isin(*[s for s, *_ in _NAMED])).select("standard_id", "subtype", "rule_id"),
+    f"""WITH {ctes('fx_rules')}, w AS (SELECT * FROM (VALUES {', '.join(map(str, _NAMED))}) AS v(subtype, object_type, wanted))
+    SELECT standard_id, subtype, rule_id FROM w JOIN fx_rules r ON r.object_type = w.object_type
+    QUALIFY row_number() OVER (PARTITION BY standard_id, subtype ORDER BY constraint_type = wanted DESC, list_transform(string_split(number, '.'), lambda x: CAST(x AS INTEGER)), ord) = 1""",
 )
 Q["benchmark_references"] = (
     # the same containment over the corpus: benchmark items whose text no document holds

@@ -109,6 +109,15 @@ FROM (SELECT *, CASE (d + i) % 9 WHEN 0 THEN 'А.2' WHEN 1 THEN concat(o + 1) EL
         # blocks by blank lines, headings and captions as the line's role says
         """SELECT doc_id, string_join(CASE role WHEN 'heading' THEN CASE o % 4 WHEN 0 THEN 'Приложение А Материалы' ELSE concat(o, ' ', substr(text, 1, 40)) END WHEN 'figure' THEN concat('Рис. ', o, ' ', substr(text, 1, 30)) WHEN 'table' THEN concat('Таблица ', o, ' - ', substr(text, 1, 30)) ELSE text END) AS text FROM lines GROUP BY doc_id""",
     ),
+    "fx_rules": (
+        # a document as a standard, a line as a rule; rules cite the one before, the one after or a section
+        "standard_id string, ord int, rule_id string, number string, section_id string, title string, content string, object_type string, constraint_type string",
+        """SELECT concat('g', d) AS standard_id, i AS ord, concat('r', d, '_', i) AS rule_id, concat(5 + i % 3, '.', i) AS number, concat('s', d, '_', 5 + i % 3) AS section_id,
+  CASE (d + i) % 4 WHEN 0 THEN 'Рисунки следует нумеровать' WHEN 1 THEN 'Название таблицы' WHEN 2 THEN 'Формулы и ссылки' ELSE 'Общее' END AS title,
+  CASE (2 * d + i) % 5 WHEN 0 THEN concat('Нумеруют в соответствии с ', 5 + (i - 1) % 3, '.', i - 1) WHEN 1 THEN concat('На все должны быть ссылки, см. ', 5 + (i + 1) % 3, '.', i + 1) WHEN 2 THEN concat('Подпись обязательна, см. раздел ', 5 + (i + 1) % 3) WHEN 3 THEN concat('Приводят строку: ', lower(lang)) ELSE 'Подпись располагают по центру страницы' END AS content,
+  CASE (d + i) % 4 WHEN 0 THEN 'figure' WHEN 1 THEN 'table' WHEN 2 THEN 'formula' ELSE 'generic' END AS object_type,
+  CASE (d + 2 * i) % 6 WHEN 0 THEN 'numbering' WHEN 1 THEN 'placement' WHEN 2 THEN 'reference_required' WHEN 3 THEN 'required_presence' WHEN 4 THEN 'caption_required' ELSE 'generic' END AS constraint_type FROM lines""",
+    ),
     "fx_markdown": (
         "doc_id string, text string",
         # a title line for each heading, the lines below it; every third section has none
