@@ -125,3 +125,29 @@ def test_bridged_questions(spark):
     assert set(said) == {1, 2, 3, 4} and "[RULE] Правило рисунков (number=1.1" in said[1] and "BRIDGING_FACT" in said[1]
     assert {x.entity for x in got["bridges"].collect()} == {"Икс"}
     assert all(x.content.endswith("...") for x in got["sources"].collect())
+
+
+def test_a_failure_stays_with_its_document(spark):
+    """Two poisoned documents of forty: all others have every agent's issues, as without the two."""
+    rows = [(i, f"1 Раз\n\nкороче говоря, текст {i}\n\n3 Два") for i in range(40)]
+    good = E.run_agents(texts(spark, *[x for x in rows if x[0] not in (7, 30)]))[0]
+    c = texts(spark, *rows)
+    c.paragraphs = c.paragraphs.withColumn("text", F.when(F.col("doc_id").isin(7, 30), F.raise_error(F.lit("poisoned"))).otherwise(F.col("text")))
+    issues, agents = E.run_agents(c, ("structure_agent", "style_agent"))
+    told = {(x.doc_id, x.agent): x.error for x in agents.collect()}
+    assert len(told) == 80 and {k for k, v in told.items() if v} >= {(7, "style_agent"), (30, "style_agent")} and {k[0] for k, v in told.items() if v} == {7, 30}
+    count = lambda df: {(x.doc_id, x.agent): x.n for x in df.where("agent in ('structure_agent', 'style_agent') and doc_id not in (7, 30)").groupBy("doc_id", "agent").agg(F.count("*").alias("n")).collect()}
+    assert count(issues) == count(good) and len(count(good)) == 76
+
+
+def test_too_many_failures_end_the_search(spark):
+    c = texts(spark, *[(i, "текст") for i in range(20)])
+    done, failed = E.quarantined(c, lambda part: part.docs.select(F.raise_error(F.lit("broken")).cast("string").alias("x")), "none", splits=5)
+    assert not done and len(failed) > 1
+
+
+def test_style_by_a_model(spark, tmp_path):
+    c = texts(spark, (1, "1 Раз\n\nтекст с ашибкой"), (2, "1 Два\n\nтекст"))
+    said = '{"issues":[{"subtype":"spelling_error","paragraph_id":"p_1","severity":"","confidence":"high","before":"ашибкой","after":"ошибкой"}]}'
+    got = E.model_issues(c, lambda prompt: said if "ашибкой" in prompt else "нет", str(tmp_path / "answers")).collect()
+    assert [(x.doc_id, x.subtype, x.after) for x in got] == [(1, "spelling_error", "ошибкой")]

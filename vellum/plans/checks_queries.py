@@ -169,7 +169,7 @@ Q["style_lexicon_documents"] = (
     lambda spark, d: T.lexicon_hits(_docs(spark, d), [("idiot", "person"), ("stupid", "simple"), ("trash", "waste"), ("clown", "actor"), ("loser", "runner-up")], ["doc_id"], True).select("doc_id", "item", "fragment"),
     f"WITH u AS (SELECT * FROM documents), {_lex([('idiot', 'person'), ('stupid', 'simple'), ('trash', 'waste'), ('clown', 'actor'), ('loser', 'runner-up')])} SELECT doc_id, item, text[instr(lower(text), phrase):instr(lower(text), phrase) + length(phrase) - 1] AS fragment FROM u, lex WHERE regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])' || phrase || '($|[^\\p{{L}}\\p{{N}}_])')",
 )
-_LEXICAL = f"""{_UNITS}, v AS (SELECT * FROM u WHERE trim(text) <> ''), {_lex(T.COLLOQUIAL).replace("lex AS", "lc AS")}, {_lex(T.INFORMAL).replace("lex AS", "li AS")},
+LEXICAL = f"""{_UNITS}, v AS (SELECT * FROM u WHERE trim(text) <> ''), {_lex(T.COLLOQUIAL).replace("lex AS", "lc AS")}, {_lex(T.INFORMAL).replace("lex AS", "li AS")},
 {_SENT.format(key="doc_id, ord, paragraph_id, section_id, page", table="v")},
 hits AS (SELECT doc_id, ord, paragraph_id, section_id, page, 0 AS k, item, 'colloquial_phrase' AS subtype, text[instr(lower(text), phrase):instr(lower(text), phrase) + length(phrase) - 1] AS evidence FROM v, lc WHERE contains(replace(lower(text), 'ё', 'е'), phrase)
   UNION ALL SELECT doc_id, ord, paragraph_id, section_id, page, 1, item, 'informal_wording', text[instr(lower(text), phrase):instr(lower(text), phrase) + length(phrase) - 1] FROM v, li WHERE contains(replace(lower(text), 'ё', 'е'), phrase) AND regexp_matches(replace(lower(text), 'ё', 'е'), '(^|[^\\p{{L}}\\p{{N}}_])' || phrase || '($|[^\\p{{L}}\\p{{N}}_])')
@@ -177,7 +177,7 @@ hits AS (SELECT doc_id, ord, paragraph_id, section_id, page, 0 AS k, item, 'coll
 lexical AS (SELECT *, 'issue_style_' || lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord, k, item) AS VARCHAR), 3, '0') AS issue_id FROM hits)"""
 Q["style_issues"] = (
     lambda spark, d: T.check_style(*_fx(spark, d, "fx_sections", "fx_paragraphs")).select("doc_id", "issue_id", "subtype", "paragraph_id", "evidence"),
-    f"WITH {_LEXICAL} SELECT doc_id, issue_id, subtype, paragraph_id, evidence FROM lexical",
+    f"WITH {LEXICAL} SELECT doc_id, issue_id, subtype, paragraph_id, evidence FROM lexical",
 )
 _CHAT = """c AS (SELECT doc_id, CASE WHEN regexp_extract(response, '(?s)```(?:json)?\\s*(\\{.*\\})\\s*```', 1) <> '' THEN regexp_extract(response, '(?s)```(?:json)?\\s*(\\{.*\\})\\s*```', 1) ELSE regexp_extract(response, '(?s)\\{.*\\}') END AS j FROM fx_chat),
 i AS (SELECT doc_id, unnest(range(1, len(a) + 1)) AS i, unnest(a) AS x FROM (SELECT doc_id, CAST(j->'issues' AS JSON[]) AS a FROM c WHERE json_valid(j)))"""
@@ -189,7 +189,7 @@ Q["style_chat_issues"] = (
 )
 Q["style_combined"] = (
     lambda spark, d: T.combined(T.chat_issues(*_fx(spark, d, "fx_chat", "fx_paragraphs")), T.check_style(*_fx(spark, d, "fx_sections", "fx_paragraphs"))).select("doc_id", "issue_id", "subtype"),
-    f"""WITH {_LEXICAL}, every AS (SELECT doc_id, issue_id, subtype, section_id, paragraph_id, page, coalesce(before, '') AS evidence, 0 AS src FROM ({Q["style_chat_issues"][1]})
+    f"""WITH {LEXICAL}, every AS (SELECT doc_id, issue_id, subtype, section_id, paragraph_id, page, coalesce(before, '') AS evidence, 0 AS src FROM ({Q["style_chat_issues"][1]})
       UNION ALL SELECT doc_id, issue_id, subtype, section_id, paragraph_id, page, evidence, 1 FROM lexical)
     SELECT doc_id, issue_id, subtype FROM every QUALIFY row_number() OVER (PARTITION BY doc_id, subtype, section_id, paragraph_id, page, evidence ORDER BY src, issue_id) = 1""",
 )

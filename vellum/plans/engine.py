@@ -8,10 +8,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import assemble, fix, formatting, graph, parse, report, retrieve, standards, structure, style, vectors
+from ..operators.ask import ask as ask_provider
 from ..sources import docx
 from ..sources.scratch import written
 
@@ -95,37 +98,88 @@ def fixed_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 AGENTS = ("structure_agent", "rag_agent", "style_agent", "logic_agent")
 
 
-def run_agents(c: Corpus) -> tuple[DataFrame, DataFrame]:
-    """(issues, agent_status): every agent in order; one that fails, be it while it runs, is reported as failed, the others go on.
+#: Failed runs of an agent after which the parts that aren't settled yet fail as a whole.
+SPLITS = 200
 
-    Each agent's issues are written to the shared folder: a failure stays with its agent, and plans stay small.
+
+def _part(c: Corpus, bits: int, value: int) -> Corpus:
+    """The documents of one of 2 ** bits buckets."""
+    def own(df: DataFrame) -> DataFrame:
+        return df.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)) == value) if bits else df
+
+    return Corpus(
+        *(own(df) for df in (c.docs, c.sections, c.paragraphs, c.figures, c.tables)), more={k: own(df) for k, df in c.more.items()}, rules=c.rules,
+    )
+
+
+def _settled(c: Corpus) -> Corpus:
+    """The corpus with its relations written, for the many checks that read each of them: their plan stays small for the driver."""
+    four = ("docs", "sections", "paragraphs", "figures", "tables")
+    return Corpus(*(written(getattr(c, n), n) for n in four), more={k: written(df, k) for k, df in c.more.items()}, rules=c.rules)
+
+
+def quarantined(c: Corpus, run, name: str, splits: int = SPLITS) -> tuple[list[DataFrame], list[tuple[int, int, str]]]:
+    """(written results of run(corpus) for parts of the documents, (bits, value, error) of the parts that failed).
+
+    All documents are tried at once. Where that fails, each half of the buckets is tried alone, and so on down to single documents:
+    a document that can't be checked costs its own issues and about 2 log2(n) runs. Errors in a plan itself are raised.
+    """
+    done, failed, open_, broken = [], [], [(0, 0)], 0
+    while open_:
+        bits, value = open_.pop()
+        part = _part(c, bits, value)
+        try:
+            done.append(written(run(part), name))
+        except AnalysisException:
+            raise
+        except (PySparkException, Py4JJavaError) as why:
+            broken += 1
+            if broken >= splits or bits >= 60 or bits and len(part.docs.select("doc_id").distinct().limit(2).collect()) < 2:
+                failed.append((bits, value, str(why).split("\n")[0]))
+            else:
+                open_ += [(bits + 1, value), (bits + 1, value + (1 << bits))]
+    return done, failed
+
+
+def run_agents(c: Corpus, agents: tuple[str, ...] = AGENTS) -> tuple[DataFrame, DataFrame]:
+    """(issues, agent_status): every agent in order; a document that an agent fails on has that agent's error, all others its issues.
+
+    Each agent's issues are written to the shared folder, so a failure stays with its agent and document, and plans stay small.
     """
-    def structure_issues():
+    def structure_issues(c: Corpus):
         return as_issues(structure.check_structure(c.docs, c.sections, c.paragraphs), "structure", "structure_agent")
 
-    def rag_issues():
-        return as_issues(formatting_issues(c), "formatting", "rag_agent")
+    def rag_issues(c: Corpus):
+        return as_issues(formatting_issues(_settled(c)), "formatting", "rag_agent")
 
-    def style_issues():
+    def style_issues(c: Corpus):
         return as_issues(style.check_style(c.sections, c.paragraphs), "style", "style_agent")
 
-    def logic_issues():
+    def logic_issues(c: Corpus):
         return as_issues(style.check_logic(c.docs), "logic", "logic_agent")
 
     out, status = None, []
     for rank, (agent, run) in enumerate(zip(AGENTS, (structure_issues, rag_issues, style_issues, logic_issues), strict=True)):
-        try:
-            got = written(run().withColumn("ord", F.coalesce("ord", F.lit(0)) + rank * 100_000_000), agent)
-        except Exception as why:
-            status.append((agent, str(why).split("\n")[0]))
+        if agent not in agents:
             continue
-        status.append((agent, None))
-        out = got if out is None else out.unionByName(got)
+        done, failed = quarantined(c, lambda part, r=run, k=rank: r(part).withColumn("ord", F.coalesce("ord", F.lit(0)) + k * 100_000_000), agent)
+        error = F.lit(None).cast("string")
+        for bits, value, why in failed:
+            error = F.when(F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)) == value, why).otherwise(error)
+        status.append(F.struct(F.lit(agent).alias("agent"), error.alias("error")))
+        for got in done:
+            out = got if out is None else out.unionByName(got)
     if out is None:
         out = as_issues(style.check_logic(c.docs), "logic", "logic_agent").where(F.lit(False))
-    four = F.array(*(F.struct(F.lit(a).alias("agent"), F.lit(e).cast("string").alias("error")) for a, e in status))
-    agents = c.docs.select("doc_id", F.explode(four).alias("s")).select("doc_id", "s.agent", "s.error")
-    return out, agents
+    told = c.docs.select("doc_id", F.explode(F.array(*status)).alias("s")).select("doc_id", "s.agent", "s.error")
+    return out, told
+
+
+def model_issues(c: Corpus, provider, path: str, **options) -> DataFrame:
+    """Style issues by a model: each document's units are shown to it once, answers kept at path; see operators.ask."""
+    shown = style.chat_prompts(style.text_units(c.sections, c.paragraphs)).select("doc_id", "prompt")
+    answers = ask_provider(shown, provider, path, **options).where("response IS NOT NULL").select("doc_id", "response")
+    return style.chat_issues(answers, c.paragraphs)
 
 
 def analyze(c: Corpus, known_standards: list[str] | None = None) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from ..fixtures import fixture, values
+from ..operators.ask import ask
 from ..operators.fix import ALIGN, EDITS, edit_plan
 from ..sources import docx
 from ..sources.folder import put, registered
@@ -16,10 +19,11 @@ from ..sources.loaders import concatenated, pdf_texts
 from ..sources.scratch import shared_dir, written
 from ..streaming.incremental import bridges_now, event_counts, registry_now, registry_stream
 from . import engine as E
+from .checks_queries import LEXICAL
 from .corpus_queries import _ENT1, _ENT2
 from .formatting_queries import ALL_ISSUES
 from .formatting_queries import Q as _CHECKS
-from .planted import ctes, files, of_files
+from .planted import ctes, files, of_files, planted
 
 Q: dict = {}
 
@@ -294,3 +298,42 @@ Q["registry_streamed"] = (
     _registry_streamed,
     f"WITH {_ENT1}, {_ENT2} SELECT entity, count(DISTINCT doc_id) AS df, count(DISTINCT doc_id) BETWEEN 2 AND 10 AS bridge FROM e2 GROUP BY entity",
 )
+
+
+# --- failures and providers ------------------------------------------------------------------------------------------
+
+def _poisoned(spark, d):
+    c = E.Corpus(*(planted(spark, d, "fx_" + n) for n in ("docs", "sections", "paragraphs", "figures", "tables")))
+    bad = F.pmod(F.substring("doc_id", 2, 20).cast("long"), F.lit(400)) == 7
+    c.paragraphs = c.paragraphs.withColumn("text", F.when(bad, F.raise_error(F.lit("poisoned"))).otherwise(F.col("text")))
+    issues, agents = E.run_agents(c, ("style_agent",))
+    n = issues.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return agents.join(n, "doc_id", "left").select("doc_id", F.col("error").isNotNull().alias("failed"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+Q["documents_quarantined"] = (
+    # documents with a paragraph that no check can read fail alone
+    _poisoned,
+    f"""WITH {LEXICAL}, bad AS (SELECT DISTINCT doc_id FROM fx_paragraphs WHERE CAST(substr(doc_id, 2) AS BIGINT) % 400 = 7), n AS (SELECT doc_id, count(*) AS n FROM lexical GROUP BY doc_id)
+    SELECT 'd' || d.doc_id AS doc_id, bad.doc_id IS NOT NULL AS failed, CASE WHEN bad.doc_id IS NULL THEN coalesce(n, 0) ELSE 0 END AS n FROM documents d LEFT JOIN bad ON bad.doc_id = 'd' || d.doc_id LEFT JOIN n ON n.doc_id = 'd' || d.doc_id""",
+)
+
+
+def told(prompt: str) -> str:
+    """Stands for a model: an answer that follows from the prompt, and some prompts that it refuses."""
+    if len(prompt) % 7 == 0:
+        raise ValueError("refused")
+    return hashlib.md5(prompt.encode()).hexdigest()
+
+
+def _answers(spark, d):
+    turns = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.col("text").alias("prompt"))
+    path = _folder(spark, "answers")
+    ask(turns.where("conv_id % 2 = 0"), told, path).write.format("noop").mode("overwrite").save()
+    return ask(turns, told, path).select("conv_id", "turn", "response", "error")
+
+
+Q["conversation_answers"] = (
+    _answers,
+    "SELECT conv_id, turn, CASE WHEN length(text) % 7 <> 0 THEN md5(text) END AS response, CASE WHEN length(text) % 7 = 0 THEN 'ValueError: refused' END AS error FROM conversations",
+)
