@@ -110,7 +110,13 @@ Q["page_geometry"] = (
 # --- standards and graph ---------------------------------------------------------------------------------------------
 
 _RULES = ctes("fx_rules")
-_BLOCK_ROWS = [(1, "СТАНДАРТ"), (2, "1 Область применения"), (3, "Настоящий стандарт устанавливает требования к отчету."), (4, "3 Лишний раздел"), (5, "2 Оформление"), (6, "2.1 Рисунки следует нумеровать Рисунок должен иметь наименование,"), (7, "подпись располагают снизу."), (8, "2.2 Титульный лист отчета"), (9, "Титульный лист должен содержать сведения."), (10, "Приложение А Пример"), (11, "Библиография"), (12, "[1] Книга")]
+STANDARD = ctes("fx_lines") + """, blk AS (SELECT concat('g', d) AS standard_id, i AS block, trim(regexp_replace(CASE role WHEN 'heading' THEN concat(o, ' Раздел документа') WHEN 'figure' THEN concat(h, '.', i, ' Рисунки следует нумеровать') ELSE concat('Текст строки: ', text, '.') END, '\\s+', ' ', 'g')) AS text,
+    CASE WHEN role = 'heading' THEN 'section' WHEN role = 'figure' AND h > 0 THEN 'rule' ELSE 'text' END AS kind, d, h, o, i FROM lines),
+rul AS (SELECT *, row_number() OVER (PARTITION BY standard_id ORDER BY block) - 1 AS n FROM (SELECT *, lead(kind) OVER w AS nk, lead(text) OVER w AS nt FROM blk WINDOW w AS (PARTITION BY standard_id ORDER BY block)) WHERE kind = 'rule')"""
+
+
+def _blocks_of(spark, d):
+    return N.parse_blocks(N.clean_blocks(planted(spark, d, "fx_lines")))
 
 
 def _values(rows, cols):
@@ -118,14 +124,19 @@ def _values(rows, cols):
     return f"(VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) AS v({cols})"
 
 
-Q["standard_clean_blocks"] = (lambda spark, d: N.clean_blocks(fixture(spark, "fx_lines")), f"SELECT 'g' AS standard_id, block, text FROM {_values(_BLOCK_ROWS, 'block, text')}")
-_PARSED_ROWS = [(1, "front_matter", "text", None, None), (2, "normative_body", "section", "1", "Область применения"), (3, "normative_body", "text", None, None), (4, "normative_body", "example", None, None), (5, "normative_body", "section", "2", "Оформление"), (6, "normative_body", "rule", "2.1", "Рисунки следует нумеровать"), (7, "normative_body", "text", None, None), (8, "normative_body", "rule", "2.2", "Титульный лист отчета"), (9, "normative_body", "text", None, None), (10, "annexes", "text", None, None), (11, "annexes", "text", None, None), (12, "annexes", "text", None, None)]
-Q["standard_parsed"] = (lambda spark, d: N.parse_blocks(N.clean_blocks(fixture(spark, "fx_lines"))).select("standard_id", "block", "part", "kind", "number", "title"), f"SELECT 'g' AS standard_id, * FROM {_values(_PARSED_ROWS, 'block, part, kind, number, title')}")
-_RULE_ROWS = [("gost_rule_0", "2.1", "Рисунки следует нумеровать", "Рисунок должен иметь наименование,", "figure", "caption_required", "рисунок"), ("gost_rule_1", "2.2", "Титульный лист отчета", "Титульный лист должен содержать сведения.", "title_page", "required_presence", "титульный лист")]
-Q["standard_rules"] = (lambda spark, d: N.rules(N.parse_blocks(N.clean_blocks(fixture(spark, "fx_lines")))).select("rule_id", "number", "title", "content", "object_type", "constraint_type", F.array_join("keywords", ",").alias("keywords")), f"SELECT * FROM {_values(_RULE_ROWS, 'rule_id, number, title, content, object_type, constraint_type, keywords')}")
+Q["standard_clean_blocks"] = (lambda spark, d: N.clean_blocks(planted(spark, d, "fx_lines")), f"WITH {STANDARD} SELECT standard_id, block, text FROM blk")
+Q["standard_parsed"] = (
+    # the parts that the lines were put together from
+    lambda spark, d: _blocks_of(spark, d).select("standard_id", "block", "part", "kind", "number", "title"),
+    f"WITH {STANDARD} SELECT standard_id, block, CASE WHEN h > 0 THEN 'normative_body' ELSE 'front_matter' END AS part, kind, CASE kind WHEN 'section' THEN CAST(o AS VARCHAR) WHEN 'rule' THEN h || '.' || i END AS number, CASE kind WHEN 'section' THEN 'Раздел документа' WHEN 'rule' THEN 'Рисунки следует нумеровать' END AS title FROM blk",
+)
+Q["standard_rules"] = (
+    lambda spark, d: N.rules(_blocks_of(spark, d)).select("standard_id", "rule_id", "number", "section_id", "title", F.md5(F.col("content").cast("binary")).alias("h"), "object_type", F.array_contains("keywords", "рисунок").alias("figure")),
+    f"WITH {STANDARD} SELECT standard_id, 'gost_rule_' || n AS rule_id, h || '.' || i AS number, 'std_sec_' || (h - 1) AS section_id, 'Рисунки следует нумеровать' AS title, md5(CASE WHEN nk = 'text' THEN nt ELSE 'Рисунки следует нумеровать' END) AS h, 'figure' AS object_type, false AS figure FROM rul",
+)
 Q["standard_sections"] = (
-    lambda spark, d: N.sections(N.parse_blocks(N.clean_blocks(fixture(spark, "fx_lines")))).select("section_id", "number", "title", F.md5(F.col("text").cast("binary")).alias("h")),
-    "SELECT section_id, number, title, md5(text) AS h FROM " + _values([("std_sec_0", "1", "Область применения", _BLOCK_ROWS[2][1]), ("std_sec_1", "2", "Оформление", "\n\n".join(t for _, t in _BLOCK_ROWS[5:9]))], "section_id, number, title, text"),
+    lambda spark, d: N.sections(_blocks_of(spark, d)).select("standard_id", "section_id", "number", "title", F.md5(F.col("text").cast("binary")).alias("h")),
+    f"WITH {STANDARD} SELECT standard_id, 'std_sec_' || (h - 1) AS section_id, CAST(h AS VARCHAR) AS number, 'Раздел документа' AS title, md5(coalesce(string_agg(CASE WHEN kind <> 'section' THEN text END, chr(10) || chr(10) ORDER BY block), '')) AS h FROM blk WHERE h > 0 GROUP BY standard_id, h",
 )
 # (section, title, content, object, constraint): one for each way to settle a type, judged by hand
 _TYPE_ROWS = [
@@ -146,8 +157,10 @@ Q["standard_number_order"] = (
     f"WITH {_RULES} SELECT rule_id, array_to_string(list_transform(string_split(number, '.'), lambda x: CAST(x AS INTEGER)), '-') AS key FROM fx_rules",
 )
 Q["standard_slug"] = (
-    lambda spark, d: spark.createDataFrame([("ГОСТ",), ("GOST 7.32-2017",), ("",)], "name string").select("name", N.slug(F.col("name")).alias("id")),
-    r"SELECT name, CASE WHEN trim(regexp_replace(lower(name), '[^a-z0-9]+', '_', 'g'), '_') = '' THEN 'standard_' || md5(name)[:10] ELSE trim(regexp_replace(lower(name), '[^a-z0-9]+', '_', 'g'), '_') END AS id FROM (VALUES ('ГОСТ'), ('GOST 7.32-2017'), ('')) AS v(name)",
+    # the first words of every document as a standard's name
+    lambda spark, d: _t(spark, d, "documents").select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, 24).alias("name")).select("doc_id", N.slug(F.col("name")).alias("id")),
+    r"""WITH n AS (SELECT doc_id, substr(coalesce(text, ''), 1, 24) AS name FROM documents), s AS (SELECT *, trim(regexp_replace(regexp_replace(strip_accents(lower(name)), '[^\x00-\x7F]', '', 'g'), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM n)
+    SELECT doc_id, CASE WHEN slug = '' THEN 'standard_' || md5(name)[:10] ELSE slug END AS id FROM s""",
 )
 _KEYN = "list_transform(string_split(number, '.'), lambda x: CAST(x AS INTEGER))"
 Q["graph_membership"] = (
@@ -165,8 +178,8 @@ Q["graph_nodes"] = (
     f"WITH {_RULES} SELECT standard_id, 'rule' AS type, count(*) AS n FROM fx_rules GROUP BY ALL UNION ALL SELECT standard_id, 'section', count(DISTINCT section_id) FROM fx_rules GROUP BY ALL UNION ALL SELECT standard_id, 'object_type', count(DISTINCT object_type) FROM fx_rules WHERE object_type <> 'generic' GROUP BY ALL UNION ALL SELECT standard_id, 'constraint', count(DISTINCT constraint_type) FROM fx_rules WHERE constraint_type <> 'generic' GROUP BY ALL",
 )
 Q["graph_follows"] = (
-    lambda spark, d: G.follows(N.sections(N.parse_blocks(N.clean_blocks(fixture(spark, "fx_lines"))))).select("source", "target", "type", "properties"),
-    """SELECT 'std_sec_0' AS source, 'std_sec_1' AS target, 'follows' AS type, '{"order":0}' AS properties""",
+    lambda spark, d: G.follows(N.sections(_blocks_of(spark, d))).select("standard_id", "source", "target", "type", "properties"),
+    f"""WITH {STANDARD} SELECT standard_id, 'std_sec_' || (o - 2) AS source, 'std_sec_' || (o - 1) AS target, 'follows' AS type, '{{"order":' || (o - 2) || '}}' AS properties FROM blk WHERE kind = 'section' AND o > 1""",
 )
 Q["graph_lines"] = (
     lambda spark, d: G.line_graph(planted(spark, d, "fx_rules").select("standard_id", "ord", F.col("rule_id").alias("id"))).select("source", "target", "type"),
@@ -214,8 +227,11 @@ Q["graph_related_nodes"] = (
     f"WITH {_RULES} SELECT rule_id AS id, section_id AS neighbor FROM fx_rules",
 )
 Q["graph_accessors"] = (
-    lambda spark, d: G.node(fixture(spark, "fx_nodes"), spark.createDataFrame([("n2",), ("none",)], "id string")).select("id", F.lit("by id").alias("how")).unionByName(G.nodes_of_type(fixture(spark, "fx_nodes"), "constraint", "keyword").select("id", F.lit("by type").alias("how"))).unionByName(G.ordered_sections(fixture(spark, "fx_nodes").withColumn("standard_id", F.lit("g"))).select("id", F.concat(F.lit("place "), "place").alias("how"))),
-    "SELECT * FROM (VALUES ('n2', 'by id'), ('n5', 'by type'), ('n6', 'by type'), ('n1', 'place 0')) AS v(id, how)",
+    lambda spark, d: (lambda n: G.node(n, n.where("type = 'section'")).select("id", F.lit("by id").alias("how")).unionByName(G.nodes_of_type(n, "object_type").select("id", F.lit("by type").alias("how"))).unionByName(
+        G.ordered_sections(n.select("id", "type", F.col("id").alias("name"), F.regexp_extract("id", "^s([0-9]+)_", 1).alias("standard_id"), F.regexp_extract("id", "_([0-9]+)$", 1).alias("ord"))).select("id", F.concat(F.lit("place "), "place").alias("how")),
+    ))(_rule_nodes(spark, d)),
+    f"""WITH {_RULES}, s AS (SELECT DISTINCT standard_id, section_id FROM fx_rules) SELECT section_id AS id, 'by id' AS how FROM s UNION ALL SELECT DISTINCT standard_id || object_type, 'by type' FROM fx_rules WHERE object_type <> 'generic'
+    UNION ALL SELECT section_id, 'place ' || (row_number() OVER (PARTITION BY standard_id ORDER BY section_id) - 1) FROM s""",
 )
 Q["graph_k_hop"] = (
     lambda spark, d: G.k_hop(_rule_edges(spark, d), _rule_nodes(spark, d).select("id"), 2),
@@ -334,8 +350,9 @@ Q["retrieval_legacy"] = (
     f"WITH RECURSIVE {_GR}, {_HITS_SQL}, r AS (SELECT query_id, id, 0 AS h FROM hits UNION SELECT r.query_id, e.target, h + 1 FROM r JOIN fx_edges e ON e.source = r.id WHERE h < 2) SELECT DISTINCT query_id, id FROM r",
 )
 Q["entity_hits"] = (
-    lambda spark, d: R.entity_hits(_hits(spark), spark.createDataFrame([("n2", "e2"), ("n4", ""), ("n1", "e1"), ("n3", None)], "id string, entity_id string")),
-    "SELECT * FROM (VALUES (1, 'e2', 1), (2, 'e1', 1), (3, 'e2', 1)) AS v(query_id, id, rank)",
+    # two entries of three stand for an entity, one of them for an empty one
+    lambda spark, d: (lambda h: R.entity_hits(h.select("query_id", "id", "rank"), h.select("id").distinct().select("id", F.expr("CASE CAST(substr(id, 2) AS INT) % 3 WHEN 0 THEN concat('e', id) WHEN 1 THEN '' END").alias("entity_id"))))(planted(spark, d, "fx_hits")),
+    f"WITH {ctes('fx_hits')} SELECT query_id, 'e' || id AS id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS rank FROM fx_hits WHERE rank % 3 = 0",
 )
 _AKUS = [("d1", 1, 1, "aku:d1:0", "Q: Кто?\nA: Институт связи"), ("d1", 1, 2, "aku:d1:1", "Q: Где?\nA: в институте"), ("d2", 2, 1, "aku:d2:0", "Q: Что?\nA: ИНСТИТУТ"), ("d3", 3, 1, "aku:d3:0", "Q: Да?\nA: связи нет")]
 _AKU_COLS = "doc_id string, doc_ord int, aku_ord int, id string, content string"
@@ -369,12 +386,12 @@ def _candidates(spark, d):
 Q["bridge_candidates"] = (lambda spark, d: _candidates(spark, d), f"WITH {_ENT1}, {_ENT2}, b AS (SELECT entity FROM e2 GROUP BY entity HAVING count(DISTINCT doc_id) BETWEEN 2 AND 10) SELECT entity, doc_id, CAST(row_number() OVER (PARTITION BY entity ORDER BY doc_id) AS INTEGER) AS n FROM e2 JOIN b USING (entity) QUALIFY n <= 5")
 Q["bridge_facts"] = (lambda spark, d: R.bridge_facts(_candidates(spark, d), _t(spark, d, "documents"), "doc_id").select("id", "entity", "sources", F.md5(F.col("prompt").cast("binary")).alias("prompt")), f"WITH {_ENT1}, {_ENT2}, b AS (SELECT entity FROM e2 GROUP BY entity HAVING count(DISTINCT doc_id) BETWEEN 2 AND 10), c AS (SELECT entity, doc_id, row_number() OVER (PARTITION BY entity ORDER BY doc_id) AS n FROM e2 JOIN b USING (entity) QUALIFY n <= 5) SELECT 'bridge:' || entity || ':' || md5(entity)[:8] AS id, entity, string_agg(doc_id, ',' ORDER BY n) AS sources, md5(string_agg(text, concat(chr(10), '---', chr(10)) ORDER BY n)) AS prompt FROM c JOIN documents USING (doc_id) GROUP BY entity")
 Q["balanced_selection"] = (
-    lambda spark, d: R.balanced(fixture(spark, "fx_hits"), 5, 3).select("query_id", "id", "place"),
-    f"WITH {values('fx_hits')}, h AS (SELECT *, sum(CAST(entry_type = 'bridging_fact' AS INTEGER)) OVER (PARTITION BY query_id ORDER BY rank) AS nth FROM fx_hits) SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS place FROM h WHERE entry_type <> 'bridging_fact' OR nth <= 3 QUALIFY place <= 5",
+    lambda spark, d: R.balanced(planted(spark, d, "fx_hits"), 5, 3).select("query_id", "id", "place"),
+    f"WITH {ctes('fx_hits')}, h AS (SELECT *, sum(CAST(entry_type = 'bridging_fact' AS INTEGER)) OVER (PARTITION BY query_id ORDER BY rank) AS nth FROM fx_hits) SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS place FROM h WHERE entry_type <> 'bridging_fact' OR nth <= 3 QUALIFY place <= 5",
 )
 Q["aku_extraction"] = (
-    lambda spark, d: R.akus(spark.createDataFrame([("d1", 'text {"akus":[{"question":"Что?","answer":"То"},{"question":" ","answer":"x"},{"question":"Где?","answer":"Там"}]} end'), ("d2", "none")], "doc_id string, response string")).select("id", "question", "answer"),
-    "SELECT * FROM (VALUES ('aku:d1:0', 'Что?', 'То'), ('aku:d1:2', 'Где?', 'Там')) AS v(id, question, answer)",
+    lambda spark, d: R.akus(planted(spark, d, "fx_akus")).select("id", "question", "answer"),
+    f"WITH {ctes('fx_akus')}, l AS (SELECT * FROM lines WHERE i = 1 AND d % 5 <> 4) SELECT 'aku:d' || d || ':0' AS id, 'Что?' AS question, CAST(length(text) AS VARCHAR) AS answer FROM l UNION ALL SELECT 'aku:d' || d || ':2', 'Где?', lang FROM l",
 )
 Q["incremental_registry"] = (
     lambda spark, d: (lambda e: R.update_registry(R.registry(e.where("doc_id % 10 <> 0"), "doc_id"), e.where("doc_id % 10 <> 0"), e.where("doc_id % 10 = 0"), "doc_id"))(R.entities(_t(spark, d, "documents"), "doc_id")),
@@ -384,12 +401,20 @@ Q["incremental_registry"] = (
 # --- fixes -----------------------------------------------------------------------------------------------------------
 
 Q["fix_replacements"] = (
-    lambda spark, d: X.apply_replacements(fixture(spark, "fx_paragraphs").select("doc_id", F.col("paragraph_id").alias("target"), "text"), fixture(spark, "fx_fixes")).where("target in ('p_1', 'p_4')"),
-    f"""WITH {values('fx_paragraphs')} SELECT doc_id, paragraph_id AS target, CASE WHEN doc_id = 'd1' AND paragraph_id = 'p_4' THEN 'Таким образом, метод простой, .' WHEN doc_id = 'd1' AND paragraph_id = 'p_1' THEN 'Новый текст' WHEN doc_id = 'd2' AND paragraph_id = 'p_1' THEN 'Эта ошибка не работает. Тупой подход! Жесть' ELSE text END AS text FROM fx_paragraphs WHERE paragraph_id IN ('p_1', 'p_4')""",
+    lambda spark, d: X.apply_replacements(planted(spark, d, "fx_paragraphs").select("doc_id", F.col("paragraph_id").alias("target"), "text"), planted(spark, d, "fx_fixes")).select("doc_id", "target", F.md5(F.col("text").cast("binary")).alias("h")),
+    f"""WITH {ctes('fx_paragraphs', 'fx_fixes')}, one AS (SELECT p.doc_id, p.paragraph_id AS target, CASE WHEN f.before IS NULL THEN text WHEN contains(text, f.before) THEN text[:instr(text, f.before) - 1] || f.after || text[instr(text, f.before) + length(f.before):] ELSE f.after END AS text
+      FROM fx_paragraphs p LEFT JOIN fx_fixes f ON f.doc_id = p.doc_id AND f.target = p.paragraph_id AND f.ord = 1)
+    SELECT o.doc_id, o.target, md5(CASE WHEN f.before IS NULL THEN text WHEN contains(text, f.before) THEN text[:instr(text, f.before) - 1] || f.after || text[instr(text, f.before) + length(f.before):] ELSE f.after END) AS h FROM one o LEFT JOIN fx_fixes f ON f.doc_id = o.doc_id AND f.target = o.target AND f.ord = 2""",
 )
+_FREE = "('содержание', 'оглавление', 'реферат', 'список использованных источников', 'список литературы', 'библиографический список', 'источники и литература', 'введение', 'заключение', 'термины и определения')"
 Q["fix_renumbered"] = (
-    lambda spark, d: X.renumbered(fixture(spark, "fx_sections")).where("doc_id = 'd2'").select("ord", "section_id", "number", "level"),
-    "SELECT * FROM (VALUES (1, 'a', '', 1), (2, 'b', '1', 1), (3, 'c', '1.1', 2), (4, 'd', '', 1), (5, 'e', '1.1.1', 3), (6, 'f', '', 1)) AS v(ord, section_id, number, level)",
+    lambda spark, d: X.renumbered(planted(spark, d, "fx_sections")).select("doc_id", "ord", "section_id", "number", "level"),
+    # counters carried from section to section
+    f"""WITH RECURSIVE {ctes('fx_sections')}, s AS (SELECT *, trim(regexp_replace(replace(lower(coalesce(title, '')), 'ё', 'е'), '\\s+', ' ', 'g')) AS f FROM fx_sections), z AS (SELECT *, f IN {_FREE} OR starts_with(f, 'приложение') AS free FROM s),
+    r AS (SELECT DISTINCT doc_id, 0 AS ord, '' AS section_id, CAST([] AS INTEGER[]) AS c, '' AS number, 1 AS level FROM z
+      UNION ALL SELECT z.doc_id, z.ord, z.section_id, CASE WHEN free THEN c ELSE list_append(c[:least(z.level, len(c) + 1) - 1], coalesce(c[least(z.level, len(c) + 1)], 0) + 1) END, CASE WHEN free THEN '' ELSE array_to_string(list_append(c[:least(z.level, len(c) + 1) - 1], coalesce(c[least(z.level, len(c) + 1)], 0) + 1), '.') END,
+        CASE WHEN free THEN 1 ELSE CAST(least(z.level, len(c) + 1) AS INTEGER) END FROM r JOIN z ON z.doc_id = r.doc_id AND z.ord = r.ord + 1)
+    SELECT doc_id, ord, section_id, number, level FROM r WHERE ord > 0""",
 )
 _FIGURE_TITLE = "trim(regexp_extract(trim(caption), '(?i)^(?:рисуно(?:к)?|рис\\.?)\\s*\\d+(?:\\.\\d+)*\\s*[-—–]?\\s*(.*)$', 1), ' -—–')"
 Q["fix_figure_captions"] = (
@@ -397,12 +422,16 @@ Q["fix_figure_captions"] = (
     f"WITH {ctes('fx_figures')}, f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n, {_FIGURE_TITLE} AS t FROM fx_figures) SELECT doc_id, ord, CASE WHEN trim(caption) = '' THEN '' ELSE 'Рисунок ' || n || ' - ' || trim(rtrim(CASE WHEN t <> '' THEN t ELSE 'Иллюстрация ' || n END, '.')) END AS caption FROM f",
 )
 Q["fix_figure_captions_kept"] = (
-    lambda spark, d: X.figure_captions(fixture(spark, "fx_figures"), anew=False).where("doc_id in ('d1', 'd6')"),
-    "SELECT * FROM (VALUES ('d1', 1, 'Рисунок 1 - Схема'), ('d1', 2, 'Рисунок 3 - График'), ('d1', 3, ''), ('d1', 4, 'Рисунок 3 - Повтор'), ('d6', 1, 'Рисунок 1 - Иллюстрация 1'), ('d6', 2, 'Рисунок 2 - Слитно'), ('d6', 3, 'Рисунок 3 - '), ('d6', 4, 'Рисунок 4 - Коротко')) AS v(doc_id, ord, caption)",
+    lambda spark, d: X.figure_captions(planted(spark, d, "fx_figures"), anew=False),
+    f"""WITH {ctes('fx_figures')}, f AS (SELECT *, coalesce(CASE WHEN regexp_full_match(regexp_extract(trim(caption), '(?i)^(?:рисуно(?:к)?|рис\\.?)\\s*(\\d+(?:\\.\\d+)*)', 1), '\\d+') THEN CAST(regexp_extract(trim(caption), '(?i)^(?:рисуно(?:к)?|рис\\.?)\\s*(\\d+(?:\\.\\d+)*)', 1) AS INTEGER) END, row_number() OVER (PARTITION BY doc_id ORDER BY ord)) AS n, {_FIGURE_TITLE} AS t FROM fx_figures)
+    SELECT doc_id, ord, CASE WHEN trim(caption) = '' THEN '' ELSE 'Рисунок ' || n || ' - ' || trim(rtrim(CASE WHEN t <> '' THEN t ELSE 'Иллюстрация ' || n END, '.')) END AS caption FROM f""",
 )
+_TABLES_FIXED = f"""WITH {ctes('fx_tables', 'fx_table_layout')}, t AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS place, trim(regexp_extract(trim(caption), '(?i)^таблиц(?:а)?\\s+(?:[А-ЯЁA-Z]\\.)?(?:\\d+(?:\\.\\d+)*)\\s*[—–-]?\\s*(.*)$', 1), ' -—–') AS said, TRY_CAST(regexp_extract(trim(caption), '(?i)^таблиц(?:а)?\\s+(?:[А-ЯЁA-Z]\\.)?(\\d+(?:\\.\\d+)*)', 1) AS INTEGER) AS own FROM fx_tables),
+    j AS (SELECT t.*, appendix_letter AS a, row_number() OVER (PARTITION BY t.doc_id, appendix_letter ORDER BY ord) AS k FROM t LEFT JOIN fx_table_layout l ON l.doc_id = t.doc_id AND l.table_index = place - 1), n AS (SELECT *, CASE WHEN a IS NULL THEN CAST(coalesce(own, place) AS VARCHAR) ELSE a || '.' || k END AS n FROM j),
+    fixed AS (SELECT doc_id, ord, place, caption AS before, 'Таблица ' || n || ' - ' || trim(rtrim(CASE WHEN said <> '' THEN said WHEN a IS NULL THEN 'Сравнение показателей ' || n ELSE 'Таблица приложения ' || a END, '.')) AS caption FROM n)"""
 Q["fix_table_captions"] = (
-    lambda spark, d: X.table_captions(*_fx(spark, "fx_tables", "fx_table_layout")),
-    "SELECT * FROM (VALUES ('d1', 1, 'Таблица 1 - Данные'), ('d1', 2, 'Таблица 2 - Сравнение показателей 2'), ('d2', 1, 'Таблица 1 - Сравнение показателей 1'), ('d5', 1, 'Таблица 1 - Строчная'), ('d6', 1, 'Таблица 1 - Данные'), ('d6', 2, 'Таблица А.1 - Прочее'), ('d6', 3, 'Таблица 3 - Слитно')) AS v(doc_id, ord, caption)",
+    lambda spark, d: X.table_captions(planted(spark, d, "fx_tables"), planted(spark, d, "fx_table_layout")),
+    f"{_TABLES_FIXED} SELECT doc_id, ord, caption FROM fixed",
 )
 _ST = "('содержание', 'оглавление', 'реферат', 'список использованных источников', 'список литературы', 'библиографический список', 'источники и литература')"
 Q["fix_headings"] = (
@@ -410,16 +439,19 @@ Q["fix_headings"] = (
     f"WITH {ctes('fx_sections')}, t AS (SELECT *, regexp_replace(trim(title), '\\.+$', '') AS x FROM fx_sections) SELECT doc_id, ord, section_id, CASE WHEN lower(x) IN {_ST} THEN upper(x) ELSE x END AS title, CASE WHEN lower(x) IN {_ST} THEN '' ELSE number END AS number FROM t",
 )
 Q["fix_formulas"] = (
-    lambda spark, d: X.formula_numbers(fixture(spark, "fx_formulas")),
-    "SELECT * FROM (VALUES ('d1', 1, '1', 'y = kx + b (1)'), ('d1', 2, '2', 'z = x (2)'), ('d1', 3, '3', 'w = q + r (3)'), ('d1', 4, '4', 'u = v (4)'), ('d4', 1, '1', 'a = b + (1)'), ('d4', 2, '2', 'a = b + (2)'), ('d4', 3, '3', 'q = r (3)'), ('d4', 4, '4', 's = t (4)'), ('d4', 5, '5', 's = t * (5)'), ('d6', 1, '1', 'a = b (1)'), ('d6', 2, 'А.1', 'c = d (А.1)'), ('d6', 3, 'А.2', 'e = f (А.2)')) AS v(doc_id, ord, number, text)",
+    lambda spark, d: X.formula_numbers(planted(spark, d, "fx_formulas")),
+    f"""WITH {ctes('fx_formulas')}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, appendix_letter ORDER BY ord) AS k FROM fx_formulas), n AS (SELECT *, CASE WHEN appendix_letter IS NULL THEN CAST(k AS VARCHAR) ELSE appendix_letter || '.' || k END AS number FROM k)
+    SELECT doc_id, ord, number, trim(regexp_replace(regexp_replace(text, '\\s*\\((?:[А-ЯЁA-Z]\\.)?\\d+(?:\\.\\d+)*\\)\\s*$', ''), '(\\S)\\s+\\d+(?:\\.\\d+)*\\s*$', '\\1')) || ' (' || number || ')' AS text FROM n""",
 )
 Q["fix_texts"] = (
-    lambda spark, d: spark.createDataFrame([(1, "где: x - число"), (2, "1. пункт"), (3, "• пункт"), (4, "а. пункт"), (5, "текст")], "i int, t string").select("i", X.marker_fixed(X.where_fixed(F.col("t"))).alias("t")),
-    "SELECT * FROM (VALUES (1, 'где x - число'), (2, '1) пункт'), (3, '- пункт'), (4, 'а) пункт'), (5, 'текст')) AS v(i, t)",
+    lambda spark, d: planted(spark, d, "fx_formulas").select("doc_id", F.lit("f").alias("kind"), "ord", F.col("next_text").alias("t")).unionByName(planted(spark, d, "fx_paragraphs").select("doc_id", F.lit("p").alias("kind"), "ord", F.col("text").alias("t"))).select("doc_id", "kind", "ord", F.md5(X.marker_fixed(X.where_fixed(F.col("t"))).cast("binary")).alias("h")),
+    f"""WITH {ctes('fx_formulas', 'fx_paragraphs')}, x AS (SELECT doc_id, 'f' AS kind, ord, next_text AS t FROM fx_formulas UNION ALL SELECT doc_id, 'p', ord, text FROM fx_paragraphs)
+    SELECT doc_id, kind, ord, md5(CASE WHEN regexp_matches(t, '^\\s*[Гг]де:') THEN regexp_replace(t, ':', '') WHEN regexp_matches(t, '^\\s*(\\d+|[а-яё])\\.\\s') THEN regexp_replace(t, '\\.\\s+', ') ') WHEN regexp_matches(t, '^\\s*[•●▪*]') THEN regexp_replace(t, '[•●▪*]\\s*', '- ') ELSE t END) AS h FROM x""",
 )
 Q["fix_references"] = (
-    lambda spark, d: spark.createDataFrame([(1, "Расчет по формуле (1)."), (2, "Расчет по формуле 1."), (3, "Считаем по формуле:"), (4, "Текст.")], "i int, t string").select("i", X.reference_inserted(F.col("t"), F.lit("1")).alias("t")),
-    "SELECT * FROM (VALUES (1, 'Расчет по формуле (1).'), (2, 'Расчет по формуле (1).'), (3, 'Считаем по формуле (1):'), (4, 'Текст. Расчет ведут по формуле (1).')) AS v(i, t)",
+    lambda spark, d: planted(spark, d, "fx_paragraphs").select("doc_id", "ord", F.md5(X.reference_inserted(F.col("text"), F.lit("1")).cast("binary")).alias("h")),
+    f"""WITH {ctes('fx_paragraphs')} SELECT doc_id, ord, md5(CASE WHEN regexp_matches(text, '(?i)формул\\p{{L}}*\\s*\\(1\\)') THEN text WHEN regexp_matches(text, '(?i)формул\\p{{L}}*\\s+1($|\\D)') THEN regexp_replace(text, '(?i)(формул\\p{{L}}*)\\s+1($|\\D)', '\\1 (1)\\2')
+      ELSE trim(text) || ' Расчет ведут по формуле (1).' END) AS h FROM fx_paragraphs""",
 )
 Q["fix_refreshed_sections"] = (
     lambda spark, d: X.refreshed_sections(*[planted(spark, d, n) for n in ("fx_sections", "fx_paragraphs")]).select("doc_id", "section_id", F.md5(F.col("text").cast("binary")).alias("h")),

@@ -6,7 +6,6 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from ..fixtures import fixture, values
 from ..operators.ask import ask
 from ..operators.fix import ALIGN, EDITS, edit_plan
 from ..sources import docx
@@ -21,15 +20,16 @@ from ..streaming.incremental import bridges_now, event_counts, registry_now, reg
 from . import engine as E
 from .checks_queries import LEXICAL
 from .corpus_queries import _ENT1, _ENT2
+from .corpus_queries import STANDARD
 from .formatting_queries import ALL_ISSUES
 from .formatting_queries import Q as _CHECKS
-from .planted import ctes, files, of_files, planted
+from .planted import ctes, files, of_files, over_lines, planted
 
 Q: dict = {}
 
 
-def _corpus(spark):
-    fx = lambda n: fixture(spark, "fx_" + n)
+def _corpus(spark, d):
+    fx = lambda n: planted(spark, d, "fx_" + n)
     return E.Corpus(
         fx("docs"), fx("sections"), fx("paragraphs"), fx("figures"), fx("tables"),
         {k: fx(k) for k in ("para_layout", "table_layout", "page_layout", "page_numbering", "formulas", "heading_layout")},
@@ -44,26 +44,16 @@ def _lines(spark, d):
     return _docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text")).where("trim(text) <> ''")
 
 
-Q["analyze"] = (lambda spark, d: E.analyze(_corpus(spark)).select("doc_id", "status", "total", "critical", "warning", "info"), None)
+Q["analyze"] = (lambda spark, d: E.analyze(_corpus(spark, d)).select("doc_id", "status", "total", "critical", "warning", "info"), None)
 Q["analyze_documents"] = (
     lambda spark,
     d: E.analyze(E.parse_texts(_docs(spark, d).select("doc_id", "text"))).select("doc_id", "status", "total"), None,
 )
-_EDGES = [
-    ("std_sec_0", "std_sec_1", "follows"), ("std_sec_1", "gost_rule_0", "contains"), ("std_sec_1", "gost_rule_1", "contains"), (
-        "gost_rule_0", "object_type::figure", "applies_to",
-    ), (
-        "gost_rule_1", "object_type::title_page", "applies_to",
-    ), ("std_sec_1", "object_type::figure", "covers"), ("std_sec_1", "object_type::title_page", "covers"),
-    ("gost_rule_0", "constraint::caption_required", "constrains"), (
-        "gost_rule_1", "constraint::required_presence", "constrains",
-    ), ("gost_rule_0", "keyword::рисунок", "mentions"), (
-        "gost_rule_1", "keyword::титульный лист", "mentions",
-    ), ("gost_rule_0", "gost_rule_1", "rule_follows"),
-]
 Q["ingest_standard_edges"] = (
-    lambda spark, d: E.ingest_standard(fixture(spark, "fx_lines"))["edges"].select("source", "target", "type"),
-    f"SELECT * FROM (VALUES {', '.join(map(str, _EDGES))}) AS v(source, target, type)",
+    # every document as a standard: its sections and rules, and what follows what
+    lambda spark, d: E.ingest_standard(planted(spark, d, "fx_lines"))["edges"].where("type IN ('follows', 'contains', 'rule_follows')").select("standard_id", "source", "target", "type"),
+    f"""WITH {STANDARD} SELECT standard_id, 'std_sec_' || (o - 2) AS source, 'std_sec_' || (o - 1) AS target, 'follows' AS type FROM blk WHERE kind = 'section' AND o > 1
+    UNION ALL SELECT standard_id, 'std_sec_' || (h - 1), 'gost_rule_' || n, 'contains' FROM rul UNION ALL SELECT standard_id, 'gost_rule_' || n, 'gost_rule_' || nn, 'rule_follows' FROM (SELECT *, lead(n) OVER (PARTITION BY standard_id, h ORDER BY n) AS nn FROM rul) WHERE nn IS NOT NULL""",
 )
 Q["index_statistics"] = (
     lambda spark, d: E.index_statistics({k: v for k, v in E.build_index(_docs(spark, d), "doc_id").items() if k != "vectors"}),
@@ -72,7 +62,7 @@ Q["index_statistics"] = (
 )
 Q["corrected_files"] = (
     lambda spark,
-    d: docx.read_facts(E.corrected_files(_corpus(spark), fixture(spark, "fx_fixes"))).select("doc_id", "i", "text"),
+    d: docx.read_facts(E.corrected_files(_corpus(spark, d), planted(spark, d, "fx_fixes"))).select("doc_id", "i", "text"),
     None,
 )
 Q["docx_round_trip"] = (
@@ -98,18 +88,14 @@ Q["upload_dispatch"] = (
     ).select("doc_id", "source_format", F.length("text").alias("n"), "error"),
     "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'txt' WHEN 1 THEN 'md' END AS source_format, CASE WHEN doc_id % 3 < 2 THEN length(trim(text, ' ')) END AS n, CASE WHEN doc_id % 3 = 2 THEN 'unsupported: .xls' END AS error FROM documents",
 )
+_FLAGGED = """SELECT doc_id, CASE WHEN (d + i) % 11 <> 3 THEN i END AS paragraph_index, CASE (d + i) % 6 WHEN 0 THEN 'figure_caption_not_centered' WHEN 1 THEN 'missing_formula_number' WHEN 2 THEN 'invalid_font_size' WHEN 3 THEN 'invalid_font_family' WHEN 4 THEN 'heading_trailing_period' ELSE 'unheard_of' END AS subtype FROM lines
+    UNION ALL SELECT doc_id, i, 'invalid_font_family' FROM lines WHERE (d + i) % 6 = 2"""
+_DRAWN = "SELECT doc_id, i AS paragraph_index FROM lines WHERE i % 7 = 0"
 Q["edit_plan"] = (
-    lambda spark, d: edit_plan(
-        spark.createDataFrame(
-            [
-                ("d1", 3, "figure_caption_not_centered"), ("d1", 9, "missing_formula_number"),
-                ("d1", 5, "invalid_font_size"), ("d1", 5, "invalid_font_family"), ("d1", 7, "heading_trailing_period"),
-            ],
-            "doc_id string, paragraph_index int, subtype string",
-        ),
-        spark.createDataFrame([("d1", 7)], "doc_id string, paragraph_index int"),
-    ).select("doc_id", "paragraph_index", "op", "step"),
-    "SELECT * FROM (VALUES ('d1', 9, 'number_formula', 1), ('d1', 5, 'set_font', 2), ('d1', 3, 'align', 3)) AS v(doc_id, paragraph_index, op, step)",
+    lambda spark, d: edit_plan(over_lines(spark, d, _FLAGGED), over_lines(spark, d, _DRAWN)).select("doc_id", "paragraph_index", "op", "arg", "step"),
+    f"""WITH {ctes()}, f AS ({_FLAGGED}), e AS (SELECT DISTINCT doc_id, paragraph_index, CASE subtype WHEN 'figure_caption_not_centered' THEN 'align' WHEN 'missing_formula_number' THEN 'number_formula' WHEN 'heading_trailing_period' THEN 'strip_period' WHEN 'unheard_of' THEN NULL ELSE 'set_font' END AS op,
+      CASE subtype WHEN 'figure_caption_not_centered' THEN 'center' END AS arg FROM f WHERE NOT EXISTS (SELECT 1 FROM ({_DRAWN}) x WHERE x.doc_id = f.doc_id AND x.paragraph_index = f.paragraph_index))
+    SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY paragraph_index DESC NULLS LAST, op, arg NULLS FIRST) AS INTEGER) AS step FROM e WHERE op IS NOT NULL""",
 )
 Q["event_windows"] = (
     lambda spark, d: event_counts(spark.read.parquet(f"{d}/events.parquet")).select(
@@ -125,19 +111,20 @@ def _folder(spark, name):
     return f"{shared_dir(spark).rstrip('/')}/vellum-{name}-{uuid.uuid4().hex}"
 
 
-def _stored(spark):
+def _stored(spark, d):
     root = _folder(spark, "standards")
-    E.save_standard(E.ingest_standard(fixture(spark, "fx_lines")), root)
-    return E.load_standard(spark, root, "g")
+    E.save_standard(E.ingest_standard(planted(spark, d, "fx_lines")), root)
+    return E.load_standard(spark, root)
 
 
 Q["standard_stored"] = (
-    lambda spark, d: _stored(spark)["rules"].select("standard_id", "rule_id", "number", "object_type"),
-    "SELECT * FROM (VALUES ('g', 'gost_rule_0', '2.1', 'figure'), ('g', 'gost_rule_1', '2.2', 'title_page')) AS v(standard_id, rule_id, number, object_type)",
+    lambda spark, d: _stored(spark, d)["rules"].select("standard_id", "rule_id", "number", "object_type"),
+    f"WITH {STANDARD} SELECT standard_id, 'gost_rule_' || n AS rule_id, h || '.' || i AS number, 'figure' AS object_type FROM rul",
 )
 Q["standard_registry"] = (
-    lambda spark, d: N.registry(spark.createDataFrame([("Généralités 5",), ("GOST 7.32-2017",), ("Свод",)], "name string")),
-    "SELECT * FROM (VALUES ('gost_7_32_2017', 'GOST 7.32-2017'), ('generalites_5', 'Généralités 5'), ('standard_' || md5('Свод')[:10], 'Свод')) AS v(standard_id, name)",
+    lambda spark, d: N.registry(_docs(spark, d).select(F.concat(F.lit("Norm "), F.substring(F.coalesce("text", F.lit("")), 1, 12)).alias("name"))),
+    r"""WITH n AS (SELECT 'Norm ' || substr(coalesce(text, ''), 1, 12) AS name FROM documents)
+    SELECT 'gost_7_32_2017' AS standard_id, 'GOST 7.32-2017' AS name UNION ALL SELECT trim(regexp_replace(regexp_replace(strip_accents(lower(name)), '[^\x00-\x7F]', '', 'g'), '[^a-z0-9]+', '_', 'g'), '_') AS standard_id, min(name) FROM n GROUP BY 1""",
 )
 
 
@@ -161,30 +148,29 @@ def _pages(content: bytes) -> list[str]:
 
 
 Q["pdf_texts"] = (
+    # pages as files that the first extractor reads, that only the second reads, and that none reads
     lambda spark, d: pdf_texts(
-        spark.createDataFrame([("a", b"%PDF|one|two"), ("b", b"plain"), ("c", b"%PDF")], "doc_id string, content binary"),
+        spark.read.parquet(f"{d}/pages.parquet").select(
+            "page_id",
+            F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("%PDF|"), F.translate("html", "|", "/"), F.lit("| |two"))).when(F.col("page_id") % 3 == 1, F.col("html")).otherwise(F.lit("%PDF")).cast("binary").alias("content"),
+        ),
         _pages, lambda c: c.decode() if not c.startswith(b"%") else "",
-    ).select("doc_id", "text", F.col("error").isNotNull().alias("failed")),
-    "SELECT * FROM (VALUES ('a', 'one' || chr(10) || chr(10) || 'two', false), ('b', 'plain', false), ('c', NULL, true)) AS v(doc_id, text, failed)",
+    ).select("page_id", F.md5(F.col("text").cast("binary")).alias("h"), F.col("error").isNotNull().alias("failed")),
+    "SELECT page_id, CASE page_id % 3 WHEN 0 THEN md5(translate(html, '|', '/') || chr(10) || chr(10) || 'two') WHEN 1 THEN md5(html) END AS h, page_id % 3 = 2 AS failed FROM pages",
 )
+_STYLED = """SELECT doc_id, i AS ord, CASE WHEN role = 'heading' THEN CASE o % 3 WHEN 0 THEN 'Заголовок 2' ELSE 'Heading 1' END WHEN i % 4 = 0 THEN 'Normal' END AS style,
+    CASE role WHEN 'heading' THEN CASE o % 4 WHEN 0 THEN 'Без номера' WHEN 1 THEN ' ' ELSE concat(o, '.', d % 9, ' Метод') END ELSE CASE i % 5 WHEN 0 THEN 'Введение' ELSE concat('Строка: ', text) END END AS text FROM lines"""
 Q["word_headings"] = (
-    lambda spark, d: P.word_headings(
-        spark.createDataFrame(
-            [
-                ("d", 1, "Heading 1", "1.2 Метод"), ("d", 2, "Normal", "Введение"),
-                ("d", 3, "Заголовок 2", "Без номера"), ("d", 4, None, "текст"), ("d", 5, "heading 3", " "),
-            ],
-            "doc_id string, ord int, style string, text string",
-        )
-    ),
-    "SELECT * FROM (VALUES ('d', 1, 'sec_1_2', '1.2 Метод'), ('d', 2, 'sec_auto_1', 'Введение'), ('d', 3, 'sec_auto_2', 'Без номера')) AS v(doc_id, ord, section_id, title)",
+    lambda spark, d: P.word_headings(over_lines(spark, d, _STYLED)),
+    f"""WITH {ctes()}, p AS ({_STYLED}), h AS (SELECT *, style IS NOT NULL AND style <> 'Normal' OR text = 'Введение' AS head, text NOT IN ('Введение', 'Без номера') AS numbered FROM p WHERE trim(text) <> '')
+    SELECT doc_id, ord, CASE WHEN numbered THEN 'sec_' || replace(regexp_extract(text, '^[0-9.]+'), '.', '_') ELSE 'sec_auto_' || sum(CAST(NOT numbered AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY ord) END AS section_id, text AS title FROM h WHERE head""",
 )
 Q["document_titles"] = (
     lambda spark, d: P.document_title(
-        spark.createDataFrame([("d1", "a/Отчет 1.docx"), ("d3", "x/--.txt"), ("d5", "Y.md")], "doc_id string, filename string"),
-        fixture(spark, "fx_sections"),
+        _docs(spark, d).select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), F.concat(F.lit("a/b/Отчет "), F.col("doc_id") % 5, F.lit("--"), "lang", F.lit(".docx")).alias("filename")), planted(spark, d, "fx_sections"),
     ),
-    "SELECT * FROM (VALUES ('d1', 'Введение', 'отчет_1'), ('d3', '--', 'document'), ('d5', 'ВВЕДЕНИЕ', 'y')) AS v(doc_id, title, document_id)",
+    f"""WITH {ctes("fx_sections")}, t AS (SELECT doc_id, first(title ORDER BY ord) AS t FROM fx_sections WHERE trim(title) <> '' GROUP BY doc_id)
+    SELECT 'd' || d.doc_id AS doc_id, coalesce(t, 'Отчет ' || d.doc_id % 5 || '--' || lang) AS title, 'отчет_' || d.doc_id % 5 || '_' || lang AS document_id FROM documents d LEFT JOIN t ON t.doc_id = 'd' || d.doc_id""",
 )
 Q["documents_concatenated"] = (
     lambda spark, d: concatenated(

@@ -118,6 +118,26 @@ FROM (SELECT *, CASE (d + i) % 9 WHEN 0 THEN 'А.2' WHEN 1 THEN concat(o + 1) EL
   CASE (d + i) % 4 WHEN 0 THEN 'figure' WHEN 1 THEN 'table' WHEN 2 THEN 'formula' ELSE 'generic' END AS object_type,
   CASE (d + 2 * i) % 6 WHEN 0 THEN 'numbering' WHEN 1 THEN 'placement' WHEN 2 THEN 'reference_required' WHEN 3 THEN 'required_presence' WHEN 4 THEN 'caption_required' ELSE 'generic' END AS constraint_type FROM lines""",
     ),
+    "fx_lines": (
+        # a document as a standard: blank lines between its blocks, which are section heads, rules and texts
+        "standard_id string, pos int, line string",
+        """SELECT concat('g', d) AS standard_id, 2 * i - k AS pos, CASE WHEN k = 1 THEN '' ELSE CASE role WHEN 'heading' THEN concat(o, ' Раздел документа') WHEN 'figure' THEN concat(h, '.', i, ' Рисунки следует нумеровать') ELSE concat('Текст строки: ', text, '.') END END AS line
+  FROM lines CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) b""",
+    ),
+    "fx_hits": (
+        "query_id int, rank int, id string, entry_type string",
+        "SELECT d AS query_id, i AS rank, concat('h', i) AS id, CASE WHEN (d + i) % 3 <> 0 THEN 'bridging_fact' ELSE 'aku' END AS entry_type FROM lines",
+    ),
+    "fx_fixes": (
+        # the first e of a paragraph replaced, then a word that most don't have
+        "doc_id string, target string, ord int, before string, after string",
+        """SELECT doc_id, concat('p_', o) AS target, k AS ord, CASE k WHEN 1 THEN 'e' ELSE 'idiot' END AS before, CASE k WHEN 1 THEN 'E' ELSE concat('Новый текст ', i) END AS after FROM lines CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 AS k) b
+  WHERE role = 'para' AND (k = 1 AND o % 3 <> 2 OR k = 2 AND o % 3 = 1)""",
+    ),
+    "fx_akus": (
+        "doc_id string, response string",
+        """SELECT doc_id, CASE WHEN d % 5 = 4 THEN 'none' ELSE concat('text {"akus":[{"question":"Что?","answer":"', length(text), '"},{"question":" ","answer":"x"},{"question":"Где?","answer":"', lang, '"}]} end') END AS response FROM lines WHERE i = 1""",
+    ),
     "fx_markdown": (
         "doc_id string, text string",
         # a title line for each heading, the lines below it; every third section has none
@@ -151,6 +171,12 @@ def planted(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.sql(f"WITH {_braced(made)} SELECT {cast} FROM ({_braced(sql)}) r", split_lines=_lines(spark, d))
 
 
+def over_lines(spark: SparkSession, d: str, sql: str) -> DataFrame:
+    """Any SELECT over the lines of all documents."""
+    made = "lines AS (" + _LINES.replace("split_lines", "{split_lines}") + ")"
+    return spark.sql(f"WITH {_braced(made)} {_braced(sql)}", split_lines=_lines(spark, d))
+
+
 def _braced(sql: str) -> str:
     """Braces of JSON texts doubled; those of parameters stay."""
     kept = sql.replace("{split_lines}", "\0").replace("{documents}", "\1")
