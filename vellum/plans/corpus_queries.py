@@ -284,14 +284,24 @@ Q["vector_collection"] = (
     lambda spark, d: V.add_documents(_vectors(spark, d).select(F.when(F.col("label") % 2 == 0, F.col("id").cast("string")).alias("entity_id"), F.concat(F.lit("t"), "id").alias("text"), "embedding"), "c").select("id"),
     "SELECT CASE WHEN label % 2 = 0 THEN 'c:' || vec_id ELSE md5('c:t' || vec_id) END AS id FROM embeddings",
 )
-_HITS = [(1, "n2", 1), (1, "n4", 2), (2, "n1", 1), (3, "n3", 1), (3, "n2", 3), (4, "n9", 2), (4, "aku:x:0", 1)]
-_HITS_SQL = "hits AS (SELECT *, greatest(0.0, (5 + 1 - rank) / 5.0) AS base FROM (VALUES " + ", ".join(map(str, _HITS)) + ") AS v(query_id, id, rank))"
+# a standard's graph is small; questions and hits are as many as there are turns of conversations
+_QUESTIONS = """SELECT CAST(1000 * conv_id + turn AS INT) AS query_id, concat(CASE (conv_id + turn) % 5 WHEN 0 THEN 'Как оформить рисунок и его нумерацию? ' WHEN 1 THEN 'Общие положения ' WHEN 2 THEN 'таблица и правило таблиц ' WHEN 3 THEN 'Где odd type? ' ELSE '' END, coalesce(text, '')) AS query, conv_id + turn AS h FROM conversations"""
+_FOUND = f"""SELECT query_id, CASE WHEN r = 4 THEN 'aku:x:0' ELSE concat('n', (h + 2 * r) % 9 + 1) END AS id, r AS rank FROM ({_QUESTIONS}) q CROSS JOIN (SELECT 1 AS r UNION ALL SELECT 2 AS r UNION ALL SELECT 3 AS r UNION ALL SELECT 4 AS r) t WHERE r < 4 OR h % 4 = 0"""
+_HITS_SQL = f"fx_queries AS (SELECT query_id, query FROM ({_QUESTIONS})), hits AS (SELECT *, greatest(0.0, (5 + 1 - rank) / 5.0) AS base FROM ({_FOUND}))"
 _W = "('depends_on', 2.3), ('prerequisite', 1.9), ('references', 1.5), ('applies_to', 1.4), ('constrains', 1.4), ('contains', 1.2), ('covers', 1.1), ('same_constraint_type', 1.1), ('same_object_type', 1.0), ('rule_follows', 0.8), ('mentions', 0.6)"
 _HINTS = "('n4', 'рисунок', 1.8), ('n4', 'рисунка', 1.8), ('n4', 'рисунке', 1.8), ('n4', 'иллюстрац', 1.8), ('n4', 'figure', 1.8), ('n8', 'odd type', 1.8), ('n5', 'нумерац', 1.0), ('n5', 'номер', 1.0), ('n5', 'обозначен', 1.0)"
 
 
-def _hits(spark):
-    return spark.createDataFrame(_HITS, "query_id int, id string, rank int")
+def _asked_of(spark, d, sql):
+    return spark.sql(sql.replace("FROM conversations", "FROM {conversations}"), conversations=_t(spark, d, "conversations"))
+
+
+def _hits(spark, d):
+    return _asked_of(spark, d, _FOUND)
+
+
+def _questions(spark, d):
+    return _asked_of(spark, d, _QUESTIONS).drop("h")
 
 
 _SEEDED = f"""{_HITS_SQL}, w AS (SELECT * FROM (VALUES {_W}) AS v(type, w)), u AS (SELECT DISTINCT * FROM (SELECT source AS id, target AS nb, type, 'out' AS way FROM fx_edges UNION ALL SELECT target, source, type, 'in' FROM fx_edges)),
@@ -304,10 +314,10 @@ m AS (SELECT DISTINCT query_id, id, bonus FROM fx_queries, hint WHERE contains(l
 _SCORES = f"""{_SEEDED}, {_MATCHED},
 every AS (SELECT * FROM x UNION ALL SELECT query_id, id, 0, bonus FROM m UNION ALL SELECT query_id, u.nb, bonus * w.w, NULL FROM m JOIN u USING (id) JOIN w ON w.type = u.type JOIN fx_nodes n ON n.id = u.nb AND n.type = 'rule'),
 sc AS (SELECT query_id, id, round(CAST(sum(r) AS DOUBLE), 6) AS rule_score, round(CAST(max(p) AS DOUBLE), 6) AS support FROM every GROUP BY query_id, id)"""
-_GRQ = values("fx_nodes", "fx_edges", "fx_queries")
-Q["retrieval_seeds"] = (lambda spark, d: R.expand(R.seed_scores(_hits(spark), 5), *_fx(spark, "fx_edges", "fx_nodes")), f"WITH {_GR}, {_SEEDED} SELECT query_id, id, round(CAST(sum(r) AS DOUBLE), 6) AS rule_score, round(CAST(max(p) AS DOUBLE), 6) AS support FROM x GROUP BY query_id, id")
-Q["retrieval_scores"] = (lambda spark, d: R.scores(fixture(spark, "fx_queries"), _hits(spark), *_fx(spark, "fx_nodes", "fx_edges"))[0], f"WITH {_GRQ}, {_SCORES} SELECT * FROM sc")
-Q["retrieval_signals"] = (lambda spark, d: R.matched_signals(fixture(spark, "fx_queries"), fixture(spark, "fx_nodes")).select("query_id", "id"), f"WITH {_GRQ}, {_MATCHED} SELECT query_id, id FROM m")
+_GRQ = values("fx_nodes", "fx_edges")
+Q["retrieval_seeds"] = (lambda spark, d: R.expand(R.seed_scores(_hits(spark, d), 5), *_fx(spark, "fx_edges", "fx_nodes")), f"WITH {_GR}, {_SEEDED} SELECT query_id, id, round(CAST(sum(r) AS DOUBLE), 6) AS rule_score, round(CAST(max(p) AS DOUBLE), 6) AS support FROM x GROUP BY query_id, id")
+Q["retrieval_scores"] = (lambda spark, d: R.scores(_questions(spark, d), _hits(spark, d), *_fx(spark, "fx_nodes", "fx_edges"))[0], f"WITH {_GRQ}, {_SCORES} SELECT * FROM sc")
+Q["retrieval_signals"] = (lambda spark, d: R.matched_signals(_questions(spark, d), fixture(spark, "fx_nodes")).select("query_id", "id"), f"WITH {_GRQ}, {_HITS_SQL}, {_MATCHED} SELECT query_id, id FROM m")
 _RANKED = f"""{_SCORES}, own AS (SELECT query_id, list(n.name) FILTER (n.type = 'object_type') AS o, list(n.name) FILTER (n.type = 'constraint') AS c, list(n.name) FILTER (n.type = 'keyword') AS k FROM m JOIN fx_nodes n USING (id) GROUP BY query_id),
 rr AS (SELECT sc.query_id, sc.id, CAST(row_number() OVER (PARTITION BY sc.query_id ORDER BY coalesce(list_contains(o, object_type), false) DESC, coalesce(list_contains(c, constraint_type), false) DESC, coalesce(len(list_intersect(k, string_split(keywords, ','))), 0) DESC, rule_score DESC, ord) AS INTEGER) AS rank, round(rule_score, 4) AS score
   FROM sc JOIN fx_nodes n ON n.id = sc.id AND n.type = 'rule' LEFT JOIN own USING (query_id) WHERE rule_score > 0 QUALIFY rank <= 5),
@@ -315,38 +325,46 @@ near AS (SELECT DISTINCT rr.query_id, u.nb AS id FROM rr JOIN u USING (id) WHERE
 sup AS (SELECT near.query_id, near.id, CAST(row_number() OVER (PARTITION BY near.query_id ORDER BY coalesce(support, 0) DESC, near.id) AS INTEGER) AS rank, round(coalesce(support, 0), 4) AS score FROM near LEFT JOIN sc USING (query_id, id) QUALIFY rank <= 10),
 ctx AS (SELECT query_id, id, rank, score, 'rule' AS part FROM rr UNION ALL SELECT query_id, id, rank, score, 'support' FROM sup)"""
 Q["retrieval_keywords"] = (
-    lambda spark, d: R.keyword_matches(fixture(spark, "fx_queries"), fixture(spark, "fx_nodes")),
-    f"""WITH {values('fx_nodes', 'fx_queries')}, q AS (SELECT DISTINCT query_id, unnest(regexp_split_to_array(lower(query), '[^\\p{{L}}\\p{{N}}_]+')) AS w FROM fx_queries), n AS (SELECT DISTINCT id, unnest(regexp_split_to_array(lower(name), '[^\\p{{L}}\\p{{N}}_]+')) AS w FROM fx_nodes)
+    lambda spark, d: R.keyword_matches(_questions(spark, d), fixture(spark, "fx_nodes")),
+    f"""WITH {values('fx_nodes')}, {_HITS_SQL}, q AS (SELECT DISTINCT query_id, unnest(regexp_split_to_array(lower(query), '[^\\p{{L}}\\p{{N}}_]+')) AS w FROM fx_queries), n AS (SELECT DISTINCT id, unnest(regexp_split_to_array(lower(name), '[^\\p{{L}}\\p{{N}}_]+')) AS w FROM fx_nodes)
     SELECT query_id, id, count(*) AS n FROM q JOIN n USING (w) WHERE length(w) >= 3 GROUP BY query_id, id""",
 )
-Q["retrieval_context"] = (lambda spark, d: R.retrieve(fixture(spark, "fx_queries"), _hits(spark), *_fx(spark, "fx_nodes", "fx_edges")), f"WITH {_GRQ}, {_RANKED} SELECT * FROM ctx")
+Q["retrieval_context"] = (lambda spark, d: R.retrieve(_questions(spark, d), _hits(spark, d), *_fx(spark, "fx_nodes", "fx_edges")), f"WITH {_GRQ}, {_RANKED} SELECT * FROM ctx")
 _FACTS = [("bridge:x", "Икс", "Икс связывает", "bridging_fact", "d1,d2"), ("aku:x:0", None, "Q: Что?\nA: То", "aku", None)]
 
 
-def _items(spark):
-    found = R.retrieve(fixture(spark, "fx_queries"), _hits(spark), *_fx(spark, "fx_nodes", "fx_edges"))
+def _items(spark, d):
+    found = R.retrieve(_questions(spark, d), _hits(spark, d), *_fx(spark, "fx_nodes", "fx_edges"))
     return R.context_items(found, fixture(spark, "fx_nodes"), spark.createDataFrame(_FACTS, "id string, entity string, content string, entry_type string, sources string"))
 
 
 _PLACED = "items AS (SELECT c.*, n.name, n.type, n.content, n.number, n.section_title, n.object_type, n.constraint_type, row_number() OVER (PARTITION BY query_id ORDER BY part, rank) AS place FROM ctx c JOIN fx_nodes n USING (id))"
 _SUFFIX = "array_to_string(list_filter(['number=' || nullif(number, ''), 'section_title=' || nullif(section_title, ''), 'object_type=' || nullif(object_type, ''), 'constraint_type=' || nullif(constraint_type, '')], lambda v: v IS NOT NULL), ', ')"
 Q["retrieval_answer"] = (
-    lambda spark, d: R.context_text(_items(spark)).select("query_id", F.md5(F.col("context").cast("binary")).alias("h")),
+    lambda spark, d: R.context_text(_items(spark, d)).select("query_id", F.md5(F.col("context").cast("binary")).alias("h")),
     f"WITH {_GRQ}, {_RANKED}, {_PLACED}, t AS (SELECT *, {_SUFFIX} AS said FROM items WHERE place <= 10) SELECT query_id, md5(string_agg('[' || upper(type) || '] ' || name || CASE WHEN said <> '' THEN ' (' || said || ')' ELSE '' END || ':' || chr(10) || content, chr(10) || chr(10) ORDER BY place)) AS h FROM t GROUP BY query_id",
 )
-Q["retrieval_sources"] = (lambda spark, d: R.answer_sources(_items(spark)).select("query_id", "id", "rank", "score", F.md5(F.col("content").cast("binary")).alias("h")), f"WITH {_GRQ}, {_RANKED}, {_PLACED} SELECT query_id, id, rank, score, md5(content[:200] || '...') AS h FROM items WHERE part = 'rule' AND rank <= 5")
-_NEAREST = [(1, r, i, "bridging_fact" if i.startswith("bridge") else "rule") for r, i in enumerate(["bridge:a", "n2", "bridge:b", "bridge:c", "n4", "bridge:x", "n3"], 1)] + [(2, 1, "bridge:x", "bridging_fact")]
+Q["retrieval_sources"] = (lambda spark, d: R.answer_sources(_items(spark, d)).select("query_id", "id", "rank", "score", F.md5(F.col("content").cast("binary")).alias("h")), f"WITH {_GRQ}, {_RANKED}, {_PLACED} SELECT query_id, id, rank, score, md5(content[:200] || '...') AS h FROM items WHERE part = 'rule' AND rank <= 5")
+_SEQUENCE = ["bridge:a", "n2", "bridge:b", "bridge:c", "n4", "bridge:x", "n3"]
+
+
+def _nearest(spark, d):
+    return _questions(spark, d).select("query_id", F.posexplode(F.array(*map(F.lit, _SEQUENCE))).alias("p", "id")).select(
+        "query_id", (F.col("p") + 1).alias("rank"), "id", F.when(F.col("id").startswith("bridge"), "bridging_fact").otherwise("rule").alias("entry_type"),
+    )
+
+
 Q["retrieval_bridged"] = (
-    lambda spark, d: R.retrieve_bridged(fixture(spark, "fx_queries"), spark.createDataFrame(_NEAREST, "query_id int, rank int, id string, entry_type string"), *_fx(spark, "fx_nodes", "fx_edges")).select("query_id", "id", "rank", "part"),
+    lambda spark, d: R.retrieve_bridged(_questions(spark, d), _nearest(spark, d), *_fx(spark, "fx_nodes", "fx_edges")).select("query_id", "id", "rank", "part"),
     # the fourth bridging fact is left out; seeds are n2, n4, n3 with ranks 1, 2, 3
-    f"WITH {_GRQ}, {_RANKED.replace(_HITS_SQL, "hits AS (SELECT *, (6 - rank) / 5.0 AS base FROM (VALUES (1, 'n2', 1), (1, 'n4', 2), (1, 'n3', 3)) AS v(query_id, id, rank))")} SELECT query_id, id, rank, part FROM ctx UNION ALL SELECT * FROM (VALUES (1, 'bridge:a', 1, 'bridge'), (1, 'bridge:b', 3, 'bridge'), (1, 'bridge:c', 4, 'bridge'), (2, 'bridge:x', 1, 'bridge')) AS v(query_id, id, rank, part)",
+    f"WITH {_GRQ}, {_RANKED.replace(_FOUND, f"SELECT query_id, id, rank FROM ({_QUESTIONS}) q CROSS JOIN (VALUES ('n2', 1), ('n4', 2), ('n3', 3)) AS v(id, rank)")} SELECT query_id, id, rank, part FROM ctx UNION ALL SELECT query_id, id, rank, 'bridge' FROM fx_queries, (VALUES ('bridge:a', 1), ('bridge:b', 3), ('bridge:c', 4)) AS v(id, rank)",
 )
 Q["bridge_sources"] = (
-    lambda spark, d: R.bridge_sources(R.context_items(spark.createDataFrame([(1, "bridge:x", 2, "bridge", None)], "query_id int, id string, rank int, part string, score double"), fixture(spark, "fx_nodes"), spark.createDataFrame(_FACTS, "id string, entity string, content string, entry_type string, sources string"))).select("query_id", "id", "entity", F.array_join("source_documents", "+").alias("docs")),
-    "SELECT 1 AS query_id, 'bridge:x' AS id, 'Икс' AS entity, 'd1+d2' AS docs",
+    lambda spark, d: R.bridge_sources(R.context_items(_questions(spark, d).select("query_id", F.lit("bridge:x").alias("id"), F.lit(2).alias("rank"), F.lit("bridge").alias("part"), F.lit(None).cast("double").alias("score")), fixture(spark, "fx_nodes"), spark.createDataFrame(_FACTS, "id string, entity string, content string, entry_type string, sources string"))).select("query_id", "id", "entity", F.array_join("source_documents", "+").alias("docs")),
+    f"SELECT query_id, 'bridge:x' AS id, 'Икс' AS entity, 'd1+d2' AS docs FROM ({_QUESTIONS})",
 )
 Q["retrieval_legacy"] = (
-    lambda spark, d: R.near_hits(_hits(spark), fixture(spark, "fx_edges")),
+    lambda spark, d: R.near_hits(_hits(spark, d), fixture(spark, "fx_edges")),
     f"WITH RECURSIVE {_GR}, {_HITS_SQL}, r AS (SELECT query_id, id, 0 AS h FROM hits UNION SELECT r.query_id, e.target, h + 1 FROM r JOIN fx_edges e ON e.source = r.id WHERE h < 2) SELECT DISTINCT query_id, id FROM r",
 )
 Q["entity_hits"] = (

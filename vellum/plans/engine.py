@@ -220,9 +220,12 @@ def save_standard(artifacts: DataFrame | dict[str, DataFrame], root: str) -> Non
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("standard_id").parquet(f"{root}/{stage}")
 
 
-def load_standard(spark, root: str, standard_id: str | None = None) -> dict[str, DataFrame]:
-    """What save_standard() wrote, of one standard or of all; one that isn't there is an error."""
-    out = {stage: spark.read.parquet(f"{root}/{stage}") for stage in ("blocks", "parsed", "rules", "nodes", "edges")}
+STAGES = ("blocks", "parsed", "rules", "nodes", "edges")
+
+
+def load_standard(spark, root: str, standard_id: str | None = None, stages: tuple[str, ...] = STAGES) -> dict[str, DataFrame]:
+    """What save_standard() wrote, of one standard or of all; one that isn't there is an error. stages: those that are wanted, parsed among them."""
+    out = {stage: spark.read.parquet(f"{root}/{stage}") for stage in stages}
     if standard_id is not None:
         out = {k: df.where(F.col("standard_id") == standard_id) for k, df in out.items()}
         if not out["parsed"].head(1):

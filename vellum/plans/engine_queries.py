@@ -113,8 +113,9 @@ def _folder(spark, name):
 
 def _stored(spark, d):
     root = _folder(spark, "standards")
-    E.save_standard(E.ingest_standard(planted(spark, d, "fx_lines")), root)
-    return E.load_standard(spark, root)
+    stages = ("parsed", "rules")
+    E.save_standard({k: v for k, v in E.ingest_standard(planted(spark, d, "fx_lines")).items() if k in stages}, root)
+    return E.load_standard(spark, root, stages=stages)
 
 
 Q["standard_stored"] = (
