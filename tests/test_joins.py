@@ -34,3 +34,30 @@ def test_mentions_meet_by_equal_keys(spark):
     assert {(r.doc, r.pos, r.term): r.first for r in got.collect()} == {("d", 2, "2"): 1, ("d", 1, "2"): None, ("d", 9, "1"): 3, ("e", 5, "1"): None}
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_containment_equals_a_loop(spark):
+    from vellum.operators import joins
+
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abé ") for _ in range(r.randint(1, 12)))
+    texts = [(i, "".join(word() for _ in range(r.randint(0, 30)))) for i in range(60)] + [(90, None), (91, ""), (92, "long " * 300_000 + "the very end of it, which is found"), (93, "ab")]
+    cuts = [t[k : k + n] for _, t in texts[:40] if t for k in [r.randint(0, max(len(t) - 5, 0))] for n in (1, 3, 8, 22, 23, 30, 60)]
+    patterns = list(enumerate([*cuts, "absent from all of them, certainly", "", None, "the very end of it, which is found", "x"]))
+    got = joins.containing(spark.createDataFrame(patterns, "id long, text string"), spark.createDataFrame(texts, "id long, text string").repartition(3))
+    want = {(i, j) for i, p in patterns if p for j, t in texts if t and p in t}
+    assert {tuple(x) for x in got.collect()} == want and len(want) > 300
+
+
+def test_minimisers_are_few(spark):
+    import numpy as np
+
+    from vellum.operators import joins
+
+    data = bytes(np.random.default_rng(0).integers(97, 123, 100_000, dtype=np.uint8))
+    assert len(joins.minimisers(data)) < len(data) / 5
+    step, joins.STEP = joins.STEP, 1000
+    try:
+        assert (joins.minimisers(data) == (lambda x: x)(np.unique(np.concatenate([joins.minimisers(data[at : at + 2000]) for at in range(0, 100_000, 1000)])))).all()
+    finally:
+        joins.STEP = step

@@ -71,3 +71,78 @@ def mentioned_before(items: DataFrame, mentions: DataFrame, by: str, pos: str) -
     """
     j = items.join(mentions, [by, "term"], "left")
     return j.withColumn("first", F.when(F.col("first") < F.col(pos), F.col("first")))
+
+
+# --- containment -----------------------------------------------------------------------------------------------------
+
+#: Bytes of a gram, and grams of a window; a pattern of fewer than GRAM + WINDOW - 1 bytes is short.
+GRAM, WINDOW = 8, 16
+#: Bytes of a text that are hashed at once.
+STEP = 1 << 20
+
+
+def _hashed(data: bytes, n: int):
+    """Hashes of the n bytes (8 at most) that start at each byte."""
+    import numpy as np
+
+    if len(data) < n:
+        return np.zeros(0, np.uint64)
+    wide = np.ndarray((len(data) - n + 1,), "<u8", data + bytes(8), strides=(1,)) << np.uint64(64 - 8 * n)
+    h = (wide ^ (wide >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * n)
+    return h ^ (h >> np.uint64(29))
+
+
+def minimisers(data: bytes):
+    """The distinct smallest hashes of all windows of WINDOW grams: two texts that share such a window share its minimiser."""
+    import numpy as np
+
+    out = []
+    for at in range(0, max(len(data) - GRAM - WINDOW + 2, 0), STEP):
+        h = _hashed(data[at : at + STEP + GRAM + WINDOW - 2], GRAM)
+        # the minimum of every window by doubling
+        size = 1
+        while 2 * size <= WINDOW:
+            h, size = np.minimum(h[:-size], h[size:]), 2 * size
+        out.append(np.unique(h))
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+
+
+def _keys(batches, short: tuple[int, ...], pattern: bool):
+    """(id, n, key) of patterns (one each) or texts (all of theirs): n is 0 for minimisers, else a short pattern's length."""
+    import numpy as np
+    import pyarrow as pa
+
+    for b in batches:
+        ids, ns, keys = [], [], []
+        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            data = (t or "").encode("utf-8", "surrogatepass")
+            if pattern:
+                long = len(data) >= GRAM + WINDOW - 1
+                own = [(0, minimisers(data[: GRAM + WINDOW - 1]))] if long else [(min(len(data), 8), _hashed(data[:8], min(len(data), 8)))] if data else []
+            else:
+                own = [(0, minimisers(data)), *((n, np.unique(_hashed(data, n))) for n in short)]
+            for n, h in own:
+                ids += [i] * len(h)
+                ns += [n] * len(h)
+                keys.append(h)
+        got = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), pa.array(ns, pa.int32()), pa.array(got)], ["id", "n", "key"])
+
+
+def containing(patterns: DataFrame, texts: DataFrame) -> DataFrame:
+    """(pattern, text): the ids of patterns (id, text) and of the texts (id, text) that contain them, byte for byte; ids are unique.
+
+    A long pattern is looked up by the minimiser of its first window, of which a text has one in some eight places; a short one
+    by its first bytes, of which texts have all, but only at the lengths that patterns have. Equal keys are proposals; the texts
+    decide. Null and empty patterns are in no text; null texts contain nothing.
+    """
+    kind = lambda df: df.schema["id"].dataType.simpleString()
+    p = written(
+        patterns.select("id", F.col("text").cast("string")).mapInArrow(lambda it: _keys(it, (), True), f"id {kind(patterns)}, n int, key long"), "patterns",
+    )
+    short = tuple(sorted(r.n for r in p.where("n > 0").select("n").distinct().collect()))  # eight lengths at most
+    found = texts.select("id", F.col("text").cast("string")).mapInArrow(lambda it: _keys(it, short, False), f"id {kind(texts)}, n int, key long")
+    met = found.join(p.withColumnRenamed("id", "pattern"), ["n", "key"]).select("pattern", F.col("id").alias("text")).distinct()
+    met = met.join(patterns.select(F.col("id").alias("pattern"), F.col("text").alias("__p")), "pattern")
+    met = met.join(texts.select(F.col("id").alias("text"), F.col("text").alias("__t")), "text")
+    return met.where(F.contains(F.col("__t"), F.col("__p"))).select("pattern", "text")

@@ -13,7 +13,7 @@ from ..operators import parse as P
 from ..operators import retrieve as R
 from ..operators import standards as N
 from ..operators import vectors as V
-from .planted import ctes, planted
+from .planted import ctes, over_lines, planted
 
 Q: dict = {}
 
@@ -145,8 +145,9 @@ _TYPE_ROWS = [
     ("Заголовки", "Размер", "Заголовок размещают слева", "heading", "placement"), ("", "Порядок", "Пункты приводят в порядке упоминания", "section", "sequence"), ("", "Язык", "Отчет пишут на русском языке", "report", "language_requirement"), ("", "Рисунок", "Рисунок должен иметь наименование", "generic", "caption_required"), ("", "Рисунки", "Рисунки должны иметь наименование", "figure", "caption_required"),
 ]
 Q["standard_rule_types"] = (
-    lambda spark, d: spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(_TYPE_ROWS)], "i int, s string, t string, c string").select("i", N.object_type(F.col("t"), F.col("c"), F.col("s")).alias("object_type"), N.constraint_type(F.col("t"), F.col("c")).alias("constraint_type")),
-    "SELECT * FROM " + _values([(i, r[3], r[4]) for i, r in enumerate(_TYPE_ROWS)], "i, object_type, constraint_type"),
+    # every line of every document says one of them
+    lambda spark, d: over_lines(spark, d, "SELECT doc_id, i, CAST((d + i) % 13 AS INT) AS r FROM lines").join(spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(_TYPE_ROWS)], "r int, s string, t string, c string"), "r").select("doc_id", "i", N.object_type(F.col("t"), F.col("c"), F.col("s")).alias("object_type"), N.constraint_type(F.col("t"), F.col("c")).alias("constraint_type")),
+    f"WITH {ctes()}, t AS (SELECT * FROM " + _values([(i, r[3], r[4]) for i, r in enumerate(_TYPE_ROWS)], "r, object_type, constraint_type") + ") SELECT doc_id, i, object_type, constraint_type FROM lines JOIN t ON r = (d + i) % 13",
 )
 Q["standard_keywords"] = (
     lambda spark, d: planted(spark, d, "fx_rules").select("rule_id", F.array_join(N.keywords(F.concat_ws(" ", "title", "content")), ",").alias("keywords")),
@@ -372,25 +373,30 @@ Q["entity_hits"] = (
     lambda spark, d: (lambda h: R.entity_hits(h.select("query_id", "id", "rank"), h.select("id").distinct().select("id", F.expr("CASE CAST(substr(id, 2) AS INT) % 3 WHEN 0 THEN concat('e', id) WHEN 1 THEN '' END").alias("entity_id"))))(planted(spark, d, "fx_hits")),
     f"WITH {ctes('fx_hits')} SELECT query_id, 'e' || id AS id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS rank FROM fx_hits WHERE rank % 3 = 0",
 )
-_AKUS = [("d1", 1, 1, "aku:d1:0", "Q: Кто?\nA: Институт связи"), ("d1", 1, 2, "aku:d1:1", "Q: Где?\nA: в институте"), ("d2", 2, 1, "aku:d2:0", "Q: Что?\nA: ИНСТИТУТ"), ("d3", 3, 1, "aku:d3:0", "Q: Да?\nA: связи нет")]
-_AKU_COLS = "doc_id string, doc_ord int, aku_ord int, id string, content string"
+_FACTS_OF = """SELECT doc_id, CAST(d AS INT) AS doc_ord, i AS aku_ord, concat('aku:', doc_id, ':', i) AS id, concat('Q: Строка?', chr(10), 'A: ', substr(text, 1, 60)) AS content FROM lines"""
 
 
-def _asked(spark):
-    bridges = spark.createDataFrame([("Институт",), ("связи нет",), ("ИН",)], "entity string")
-    return R.bridge_prompts(R.bridge_akus(bridges, spark.createDataFrame(_AKUS, _AKU_COLS)))
+def _asked(spark, d):
+    bridges = R.bridge_entities(R.registry(R.entities(_t(spark, d, "documents"), "doc_id"), "doc_id")).select("entity")
+    return R.bridge_prompts(R.bridge_akus(bridges, over_lines(spark, d, _FACTS_OF)))
 
 
+_ENT1 = r"e AS (SELECT DISTINCT doc_id, unnest(list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '[А-ЯЁA-Z][а-яёa-zA-Z]*'))) AS entity FROM documents)"
+_ENT2 = r"e2 AS (SELECT * FROM e UNION SELECT doc_id, unnest(regexp_extract_all(text, '[\"«]([^\"»]+)[\"»]', 1)) FROM documents)"
+_ASKED_SQL = f"""{ctes()}, {_ENT1}, {_ENT2}, b AS (SELECT entity FROM e2 GROUP BY entity HAVING count(DISTINCT doc_id) BETWEEN 2 AND 10), f AS MATERIALIZED (SELECT *, lower(content) AS t FROM ({_FACTS_OF})),
+n AS (SELECT entity, f.*, row_number() OVER (PARTITION BY entity ORDER BY doc_ord, aku_ord) AS n FROM b JOIN f ON contains(t, lower(entity)) QUALIFY n <= 40), r AS (SELECT *, dense_rank() OVER (PARTITION BY entity ORDER BY doc_ord) AS d, row_number() OVER (PARTITION BY entity, doc_ord ORDER BY aku_ord) AS k FROM n),
+k AS (SELECT *, max(d) OVER (PARTITION BY entity) AS docs FROM r QUALIFY docs >= 2), g AS (SELECT * FROM k WHERE d <= 5),
+prompts AS (SELECT entity, string_agg(CASE WHEN k = 1 THEN chr(10) || '--- Document: ' || doc_id || ' ---' || chr(10) ELSE '' END || '- ' || content, chr(10) ORDER BY doc_ord, aku_ord) AS sections, string_agg(CASE WHEN k = 1 THEN doc_id END, ',' ORDER BY doc_ord) AS sources, string_agg(id, ',' ORDER BY doc_ord, aku_ord) AS aku_ids FROM g GROUP BY entity)"""
 Q["bridge_prompts"] = (
-    lambda spark, d: _asked(spark).select("entity", F.md5(F.col("sections").cast("binary")).alias("h"), "sources", "aku_ids"),
-    "SELECT entity, md5(sections) AS h, sources, aku_ids FROM " + _values([(e, "\n--- Document: d1 ---\n- Q: Кто?\nA: Институт связи\n- Q: Где?\nA: в институте\n\n--- Document: d2 ---\n- Q: Что?\nA: ИНСТИТУТ", "d1,d2", "aku:d1:0,aku:d1:1,aku:d2:0") for e in ("Институт", "ИН")], "entity, sections, sources, aku_ids"),
+    lambda spark, d: _asked(spark, d).select("entity", F.md5(F.col("sections").cast("binary")).alias("h"), "sources", "aku_ids"),
+    f"WITH {_ASKED_SQL} SELECT entity, md5(sections) AS h, sources, aku_ids FROM prompts",
 )
+# answers as a JSON array, as one encoded twice, and as an empty one
+_TOLD = "CASE length(entity) % 3 WHEN 0 THEN concat('[\"Первый.\", \"\", \"', md5(entity), '.\"]') WHEN 1 THEN concat('\"[', chr(92), '\"', md5(entity), chr(92), '\"]\"') ELSE '[]' END"
 Q["bridge_answers"] = (
-    lambda spark, d: R.bridge_answers(_asked(spark), spark.createDataFrame([("Институт", '["Первый.", "", "Второй."]'), ("ИН", '"[\\"Третий.\\"]"'), ("связи нет", "[]")], "entity string, response string")).select("id", "content", "sources"),
-    "SELECT 'bridge:' || entity || ':' || md5(entity)[:8] AS id, content, 'd1,d2' AS sources FROM (VALUES ('Институт', 'Первый. Второй.'), ('ИН', 'Третий.')) AS v(entity, content)",
+    lambda spark, d: (lambda a: R.bridge_answers(a, a.select("entity", F.expr(_TOLD).alias("response"))).select("id", "content", "sources"))(_asked(spark, d)),
+    f"WITH {_ASKED_SQL} SELECT 'bridge:' || entity || ':' || md5(entity)[:8] AS id, CASE length(entity) % 3 WHEN 0 THEN 'Первый. ' || md5(entity) || '.' ELSE md5(entity) END AS content, sources FROM prompts WHERE length(entity) % 3 < 2",
 )
-_ENT1 = r"e AS (SELECT DISTINCT doc_id, unnest(list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '[А-ЯЁA-Z][а-яёa-zA-Z]*'))) AS entity FROM documents)"
-_ENT2 = r"e2 AS (SELECT * FROM e UNION SELECT doc_id, unnest(regexp_extract_all(text, '[\"«]([^\"»]+)[\"»]', 1)) FROM documents)"
 Q["entity_registry"] = (lambda spark, d: R.registry(R.entities(_t(spark, d, "documents"), "doc_id"), "doc_id"), None)
 Q["entity_registry"] = (Q["entity_registry"][0], f"WITH {_ENT1}, {_ENT2} SELECT entity, count(DISTINCT doc_id) AS df FROM e2 GROUP BY entity")
 Q["bridge_entities"] = (lambda spark, d: R.bridge_entities(R.registry(R.entities(_t(spark, d, "documents"), "doc_id"), "doc_id")), f"WITH {_ENT1}, {_ENT2} SELECT entity, count(DISTINCT doc_id) AS df FROM e2 GROUP BY entity HAVING df BETWEEN 2 AND 10")
@@ -482,25 +488,39 @@ Q["docx_lines"] = (
 )
 
 
-def _issues(spark):
-    return spark.createDataFrame([("d2", 1, "missing_required_section", "Нет раздела «Введение»"), ("d2", 2, "missing_required_section", "Нет раздела «Метод»"), ("d2", 3, "missing_references_section", None), ("d1", 1, "missing_references_section", None), ("d1", 2, "missing_table_reference", None), ("d1", 3, "missing_figure_reference", None), ("d4", 1, "missing_appendix_reference", None)], "doc_id string, ord int, subtype string, evidence string")
+_ASKED = """SELECT concat('d', d) AS doc_id, k AS ord, CASE k WHEN 1 THEN 'missing_required_section' WHEN 2 THEN 'missing_required_section' WHEN 3 THEN 'missing_references_section' WHEN 4 THEN 'missing_table_reference' ELSE 'missing_figure_reference' END AS subtype,
+  CASE k WHEN 1 THEN 'Нет раздела «Заключение»' WHEN 2 THEN 'Нет раздела «Метод работы»' END AS evidence FROM lines CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 AS k UNION ALL SELECT 3 AS k UNION ALL SELECT 4 AS k UNION ALL SELECT 5 AS k) t WHERE i = 1 AND (d + k) % 3 <> 0"""
+
+
+def _issues(spark, d):
+    return over_lines(spark, d, _ASKED)
 
 
+_LISTS = "regexp_matches(lower(title), 'источ|литератур')"
+_ADDED = ctes("fx_sections", "fx_paragraphs") + f""", asked AS ({_ASKED}), top AS (SELECT doc_id, max(CAST(number AS INTEGER)) AS top, max(ord) AS last, count(*) AS have FROM (SELECT doc_id, ord, CASE WHEN regexp_full_match(number, '[0-9]+') THEN number END AS number FROM fx_sections) GROUP BY doc_id),
+new AS (SELECT doc_id, 0 AS late, ord AS turn, regexp_extract(evidence, '«([^»]+)»', 1) AS title, 'Заполните содержимое раздела.' AS text FROM asked a WHERE subtype = 'missing_required_section' AND NOT EXISTS (SELECT 1 FROM fx_sections s WHERE s.doc_id = a.doc_id AND lower(trim(s.title)) = lower(regexp_extract(evidence, '«([^»]+)»', 1)))
+  UNION ALL SELECT doc_id, 1, 0, 'СПИСОК ИСПОЛЬЗОВАННЫХ ИСТОЧНИКОВ', '1. Добавьте используемые источники.' FROM asked a WHERE subtype = 'missing_references_section' AND NOT EXISTS (SELECT 1 FROM fx_sections s WHERE s.doc_id = a.doc_id AND {_LISTS})),
+added AS (SELECT n.*, row_number() OVER (PARTITION BY n.doc_id ORDER BY late, turn, title) AS n, coalesce(top, 0) AS top, coalesce(last, 0) AS last, coalesce(have, 0) AS have FROM new n LEFT JOIN top USING (doc_id)),
+said AS (SELECT a.doc_id, section_id, row_number() OVER (PARTITION BY a.doc_id ORDER BY a.ord DESC) AS n, CASE subtype WHEN 'missing_figure_reference' THEN 'На рисунке 1 представлена ключевая схема решения.' ELSE 'В таблице 1 приведены основные сравнительные показатели.' END AS text FROM asked a JOIN fx_sections s ON s.doc_id = a.doc_id AND s.ord = 1 WHERE subtype IN ('missing_figure_reference', 'missing_table_reference'))"""
 Q["fix_added_sections"] = (
-    lambda spark, d: X.sections_to_add(_issues(spark), fixture(spark, "fx_sections")),
-    "SELECT * FROM (VALUES ('d2', 1, '3', 'Метод', 'Заполните содержимое раздела.'), ('d2', 2, '4', 'СПИСОК ИСПОЛЬЗОВАННЫХ ИСТОЧНИКОВ', '1. Добавьте используемые источники.')) AS v(doc_id, n, number, title, text)",
+    lambda spark, d: X.sections_to_add(_issues(spark, d), planted(spark, d, "fx_sections")),
+    f"WITH {_ADDED} SELECT doc_id, CAST(n AS INTEGER) AS n, CAST(top + n AS VARCHAR) AS number, title, text FROM added",
 )
 Q["fix_completed_sections"] = (
-    lambda spark, d: X.completed(_issues(spark), *_fx(spark, "fx_sections", "fx_paragraphs"))[0].where("doc_id in ('d1', 'd2', 'd4') and (ord = 1 or ord > 6)").select("doc_id", "ord", "section_id", "number", F.md5(F.col("text").cast("binary")).alias("h")),
-    "SELECT doc_id, ord, section_id, number, md5(text) AS h FROM " + _values([("d1", 1, "s1", "1", "Цель работы. На рисунке 1 показана схема.\n\nНа рисунке 1 представлена ключевая схема решения.\n\nВ таблице 1 приведены основные сравнительные показатели."), ("d2", 1, "a", "2", ""), ("d2", 7, "sec_auto_7", "3", "Заполните содержимое раздела."), ("d2", 8, "sec_auto_8", "4", "1. Добавьте используемые источники."), ("d4", 1, "x", "", "Дополнительные материалы приведены в приложении А.")], "doc_id, ord, section_id, number, text"),
+    lambda spark, d: X.completed(_issues(spark, d), planted(spark, d, "fx_sections"), planted(spark, d, "fx_paragraphs"))[0].select("doc_id", "ord", "section_id", "number", F.md5(F.col("text").cast("binary")).alias("h")),
+    f"""WITH {_ADDED}, more AS (SELECT doc_id, section_id, string_agg(text, chr(10) || chr(10) ORDER BY n) AS more FROM said GROUP BY ALL)
+    SELECT s.doc_id, ord, s.section_id, number, md5(CASE WHEN more IS NULL THEN text WHEN trim(text) = '' THEN more ELSE text || chr(10) || chr(10) || more END) AS h FROM fx_sections s LEFT JOIN more ON more.doc_id = s.doc_id AND more.section_id = s.section_id
+    UNION ALL SELECT doc_id, CAST(last + n AS INTEGER), 'sec_auto_' || (have + n), CAST(top + n AS VARCHAR), md5(text) FROM added""",
 )
 Q["fix_completed_paragraphs"] = (
-    lambda spark, d: X.completed(_issues(spark), *_fx(spark, "fx_sections", "fx_paragraphs"))[1].where("paragraph_id like 'p_auto%'").select("doc_id", "ord", "paragraph_id", "section_id", "paragraph_index"),
-    "SELECT * FROM (VALUES ('d1', 10, 'p_auto_10', 's1', 10), ('d1', 11, 'p_auto_11', 's1', 11), ('d2', 4, 'p_auto_4', 'sec_auto_7', 4), ('d2', 5, 'p_auto_5', 'sec_auto_8', 5), ('d4', 1, 'p_auto_1', 'x', 1)) AS v(doc_id, ord, paragraph_id, section_id, paragraph_index)",
+    lambda spark, d: X.completed(_issues(spark, d), planted(spark, d, "fx_sections"), planted(spark, d, "fx_paragraphs"))[1].where("paragraph_id like 'p_auto%'").select("doc_id", "ord", "paragraph_id", "section_id", "paragraph_index"),
+    f"""WITH {_ADDED}, size AS (SELECT doc_id, count(*) AS have, max(ord) AS last FROM fx_paragraphs GROUP BY doc_id), x AS (SELECT doc_id, 0 AS late, n, 'sec_auto_' || (have + n) AS section_id FROM added UNION ALL SELECT doc_id, 1, n, section_id FROM said),
+    m AS (SELECT x.*, row_number() OVER (PARTITION BY x.doc_id ORDER BY late, n) AS k, coalesce(have, 0) AS have, coalesce(last, 0) AS last FROM x LEFT JOIN size USING (doc_id))
+    SELECT doc_id, CAST(last + k AS INTEGER) AS ord, 'p_auto_' || (have + k) AS paragraph_id, section_id, CAST(have + k AS INTEGER) AS paragraph_index FROM m""",
 )
 Q["fix_missing_captions"] = (
-    lambda spark, d: X.missing_captions(fixture(spark, "fx_tables"), X.table_captions(*_fx(spark, "fx_tables", "fx_table_layout"))),
-    "SELECT 'd2' AS doc_id, 1 AS n, 'Таблица 1 - Сравнение показателей 1' AS caption",
+    lambda spark, d: X.missing_captions(planted(spark, d, "fx_tables"), X.table_captions(planted(spark, d, "fx_tables"), planted(spark, d, "fx_table_layout"))),
+    f"{_TABLES_FIXED} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS INTEGER) AS n, caption FROM fixed WHERE trim(before) = ''",
 )
 
 # --- joins by order --------------------------------------------------------------------------------------------------

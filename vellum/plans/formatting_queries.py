@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import formatting as K
+from ..operators.joins import containing
 from .planted import ctes, planted
 
 Q: dict = {}
@@ -24,22 +25,14 @@ def _sql(with_: str, base: str, checks: list[tuple[str, str]]) -> str:
     return f"WITH {with_}, base AS ({base}) SELECT doc_id, ord, s AS subtype FROM (SELECT doc_id, ord, unnest([{cases}]) AS s FROM base) WHERE s IS NOT NULL"
 
 
-def _absent_items(spark, d):
-    """Items that no document holds: items meet the documents that share their first words' place, and are compared there."""
-    items = spark.read.parquet(f"{d}/benchmark.parquet").select(
-        "item_id", F.col("text").alias("f"),
-    ).withColumn("key", F.substring("f", 1, SEED))
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("text")
-    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1))), lambda i: F.substr(F.col("text"), i, F.lit(SEED)))
-    keys = items.select("key").distinct()
-    # texts that hold an item's seed, by the seed: a text is carried only where a seed is found
-    seeded = docs.select("text", F.explode(starts).alias("key")).join(keys, "key").dropDuplicates(["key", "text"])
-    held = seeded.join(items, "key").where(F.contains("text", "f")).select("item_id").distinct()
-    return items.select("item_id").join(held, "item_id", "left_anti")
+def _items_in(spark, d):
+    items = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("id"), "text")
+    return items, containing(items, spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), "text"))
 
 
-#: Characters of an item that a text's places are joined by.
-SEED = 24
+def _absent_items(spark, d):
+    items, found = _items_in(spark, d)
+    return items.select(F.col("id").alias("item_id")).join(found.select(F.col("pattern").alias("item_id")), "item_id", "left_anti")
 
 
 _T = "trim(coalesce({0}, ''))"
@@ -264,6 +257,11 @@ Q["benchmark_references"] = (
     lambda spark, d: _absent_items(spark, d),
     "SELECT item_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text))",
 )
+Q["benchmark_containment"] = (
+    # every benchmark item with the documents that hold it, word for word
+    lambda spark, d: _items_in(spark, d)[1].select(F.col("pattern").alias("item_id"), F.col("text").alias("doc_id")),
+    "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)",
+)
 _PARTS = [
     "figure_checks", "figure_reference_before", "table_checks", "unreferenced_tables", "formula_checks",
     "formula_numbering", "page_format", "page_margins", "typography_first_offender", "enumerations", "headings",

@@ -53,7 +53,7 @@ RELATIONS: dict[str, tuple[str, str]] = {
     ),
     "fx_tables": (
         "doc_id string, ord int, item_id string, caption string, page int, paragraph_index int",
-        """SELECT doc_id, o AS ord, concat('tbl_', o) AS item_id, CASE (5 * d + i) % 8 WHEN 1 THEN 'Таблица без номера' WHEN 2 THEN '' WHEN 3 THEN concat('Таблица ', o, '-Слитно') WHEN 4 THEN concat('таблица ', o, ' - ', substr(text, 1, 15)) WHEN 5 THEN concat('Таблица А.', o, ' — Прочее')
+        """SELECT doc_id, o AS ord, concat('tbl_', o) AS item_id, CASE (d + 2 * i + o) % 8 WHEN 1 THEN 'Таблица без номера' WHEN 2 THEN '' WHEN 3 THEN concat('Таблица ', o, '-Слитно') WHEN 4 THEN concat('таблица ', o, ' - ', substr(text, 1, 15)) WHEN 5 THEN concat('Таблица А.', o, ' — Прочее')
     ELSE concat('Таблица ', o, ' — ', substr(text, 1, 25)) END AS caption, CAST(floor(i / 30) AS INT) + 1 AS page, i AS paragraph_index FROM lines WHERE role = 'table'""",
     ),
     "fx_para_layout": (
