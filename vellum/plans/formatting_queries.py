@@ -45,7 +45,7 @@ Q["figure_checks"] = (
     ), "SELECT f.*, alignment, trim(coalesce(caption, '')) AS c FROM fx_figures f LEFT JOIN fx_para_layout l ON f.doc_id = l.doc_id AND f.paragraph_index = l.paragraph_index", [
         ("missing_figure_caption", "c = ''"), (
             "invalid_figure_caption_format",
-            r"c <> '' AND NOT (starts_with(lower(c), 'рисунок') AND regexp_matches(c, ' [-—–] ') AND regexp_matches(c, '(?i)^рисунок\s*\d+(\.\d+)*\s*[-—–]?\s*.*[^ .—–-]'))",
+            r"c <> '' AND NOT (starts_with(lower(c), 'рисунок') AND regexp_matches(c, ' [-—–] ') AND trim(regexp_extract(c, '(?i)^рисунок\s*\d+(?:\.\d+)*\s*[-—–]?\s*(.*)$', 1), ' .-—–') <> '')",
         ), ("figure_caption_trailing_period", "c <> '' AND ends_with(c, '.')"), (
             "figure_caption_not_centered", "c <> '' AND alignment <> 'center'",
         ),
@@ -77,7 +77,7 @@ Q["table_checks"] = (
             "invalid_table_caption_format",
             r"c <> '' AND NOT (regexp_matches(c, ' [-—–] ') AND regexp_matches(c, '^Таблица\s+([А-ЯЁA-Z]\.)?\d+(\.\d+)*\s*[-—–]\s*.*[^ .—–-]'))",
         ), ("table_caption_below_table", "c <> '' AND pos = 'below'"), (
-            "invalid_table_header_punctuation", "c <> '' AND ends_with(head, '.')",
+            "invalid_table_header_punctuation", "c <> '' AND ends_with(trim(head), '.')",
         ),
         ("table_header_alignment", "c <> '' AND mid <> 'center'"), (
             "appendix_table_caption_format",
