@@ -81,3 +81,13 @@ def test_sequence_gaps_equal_a_loop(spark, numbers):
             want.append(i)
         last[up] = parts[-1]
     assert got == want
+
+
+def test_ascii_ids_by_compatibility_decomposition(spark):
+    import unicodedata
+
+    from vellum.operators.standards import ascii_folded
+
+    names = ["ﬁle №5", "x² + ½", "Ｆｕｌｌ ｗｉｄｔｈ", "Généralités", "Straße", "ГОСТ 7", "Ⅳ ㎏ ™", "é", "", *("".join(chr(c) for c in range(a, a + 400) if not 0xD800 <= c < 0xE000) for a in range(0x80, 0xFFFF, 4000))]
+    got = spark.createDataFrame([(n,) for n in names], "name string").select("name", ascii_folded(F.col("name")).alias("a")).collect()
+    assert {r.name: r.a for r in got} == {n: unicodedata.normalize("NFKD", n).encode("ascii", "ignore").decode() for n in names}

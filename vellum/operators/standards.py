@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -256,13 +258,29 @@ def sections(parsed: DataFrame) -> DataFrame:
     )
 
 
-#: Fixed: accented Latin letters and what they fold to when marks are dropped.
-ACCENTED, PLAIN = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+def _decomposed() -> tuple[str, str, dict[str, str]]:
+    """What compatibility decomposition (NFKD) leaves of characters beyond ASCII: those with one ASCII character, these, and those with several."""
+    one, several = {}, {}
+    for code in range(0x80, 0x10000):
+        if not 0xD800 <= code < 0xE000:
+            left = "".join(x for x in unicodedata.normalize("NFKD", chr(code)) if x < "\x80")
+            if len(left) == 1:
+                one[chr(code)] = left
+            elif left:
+                several[chr(code)] = left
+    return "".join(one), "".join(one.values()), several
+
+
+WIDE, PLAIN, LIGATURES = _decomposed()
 
 
 def ascii_folded(c: Column) -> Column:
-    """Accented Latin letters without their marks, combining marks and all else beyond ASCII gone."""
-    return F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
+    """The ASCII characters of the text's compatibility decomposition: no accents, ligatures and wide letters taken apart, all else gone."""
+    parts = F.create_map(*(F.lit(x) for pair in LIGATURES.items() for x in pair))
+    # few texts have such characters
+    apart = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.element_at(parts, x), x)), "")
+    c = F.when(c.rlike("[" + "".join(LIGATURES) + "]"), apart).otherwise(c)
+    return F.regexp_replace(F.translate(c, WIDE, PLAIN), r"[^\x00-\x7F]", "")
 
 
 #: The standard that a registry begins with.

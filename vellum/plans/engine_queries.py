@@ -18,14 +18,18 @@ from ..sources.loaders import concatenated, pdf_texts
 from ..sources.scratch import shared_dir, written
 from ..streaming.incremental import bridges_now, event_counts, registry_now, registry_stream
 from . import engine as E
+from .checks_queries import _SENT_DOCS as SENTENCES
 from .checks_queries import LEXICAL
 from .corpus_queries import _ENT1, _ENT2
 from .corpus_queries import STANDARD
+from .corpus_queries import Q as _CORPUS
 from .formatting_queries import ALL_ISSUES
 from .formatting_queries import Q as _CHECKS
 from .planted import ctes, files, of_files, over_lines, planted
+from .sql import register
 
 Q: dict = {}
+CHUNKS, BLOCKS = _CORPUS["chunks_fixed"], _CORPUS["text_blocks"]
 
 
 def _corpus(spark, d):
@@ -324,3 +328,24 @@ Q["conversation_answers"] = (
     _answers,
     "SELECT conv_id, turn, CASE WHEN length(text) % 7 <> 0 THEN md5(text) END AS response, CASE WHEN length(text) % 7 = 0 THEN 'ValueError: refused' END AS error FROM conversations",
 )
+
+
+# --- SQL -------------------------------------------------------------------------------------------------------------
+
+def _by_sql(spark, d, sql):
+    return register(spark).sql(sql, documents=_docs(spark, d))
+
+
+Q["sql_sentences"] = (
+    lambda spark, d: _by_sql(spark, d, "SELECT d.doc_id, s.ord, md5(CAST(s.sentence AS BINARY)) AS h FROM {documents} d, LATERAL vellum_sentences(d.text) s WHERE length(s.sentence) > 20"),
+    f"WITH {SENTENCES} SELECT doc_id, sentence_ord AS ord, md5(t) AS h FROM x WHERE length(t) > 20",
+)
+Q["sql_chunks"] = (
+    lambda spark, d: _by_sql(spark, d, "SELECT d.doc_id, c.chunk, md5(CAST(c.piece AS BINARY)) AS h FROM {documents} d, LATERAL vellum_chunks(d.text, 800, 100) c"),
+    CHUNKS[1],
+)
+Q["sql_blocks"] = (
+    # blocks of a line each, counted by SQL over the function
+    lambda spark, d: _by_sql(spark, d, "SELECT d.doc_id, count(*) AS n_blocks, sum(length(b.text)) AS n_chars FROM {documents} d, LATERAL vellum_blocks(replace(d.text, chr(10), concat(chr(10), chr(10)))) b GROUP BY d.doc_id"),
+    BLOCKS[1],
+)
