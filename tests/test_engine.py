@@ -151,3 +151,15 @@ def test_style_by_a_model(spark, tmp_path):
     said = '{"issues":[{"subtype":"spelling_error","paragraph_id":"p_1","severity":"","confidence":"high","before":"ашибкой","after":"ошибкой"}]}'
     got = E.model_issues(c, lambda prompt: said if "ашибкой" in prompt else "нет", str(tmp_path / "answers")).collect()
     assert [(x.doc_id, x.subtype, x.after) for x in got] == [(1, "spelling_error", "ошибкой")]
+
+
+def test_rounds_of_paths_are_deleted(spark):
+    """A chain of twelve nodes: the paths of the last round are all that is left of the rounds."""
+    from vellum.operators import graph
+    from vellum.sources import scratch
+
+    edges = spark.createDataFrame([(str(i), str(i + 1)) for i in range(12)], "source string, target string")
+    before = scratch.made()
+    got = graph.shortest_paths(edges, spark.createDataFrame([("0",)], "id string"))
+    assert {r.id: r.hops for r in got.collect()} == {str(i): i for i in range(13)}
+    assert len([p for p in scratch._MADE[before:] if p]) <= 3 < scratch.made() - before

@@ -181,21 +181,23 @@ def shortest_paths(edges: DataFrame, start: DataFrame, longest: int | None = Non
     """(start, id, path, hops): the shortest directed path, the least of equals by its nodes.
 
     Each round adds one edge to the paths of nodes reached last, until no new node is reached; longest stops before. A
-    round's paths are written, so that plans stay small.
+    round's paths are written, so that plans stay small, and deleted once the next round's are.
     """
-    from ..sources.scratch import written
+    from ..sources.scratch import discard, made, written
 
     step = edges.select(F.col("source").alias("id"), F.col("target").alias("to")).distinct()
     front = start.select(F.col("id").alias("start"), "id", F.array("id").alias("path")).distinct()
-    done, hops = front, 0
+    done, hops, last = front, 0, made()
     while longest is None or hops < longest:
+        since = made()
         nxt = front.join(step, "id").select("start", F.col("to").alias("id"), F.array_append("path", F.col("to")).alias("path"))
         front = nxt.groupBy("start", "id").agg(F.min("path").alias("path")).join(done.select("start", "id"), ["start", "id"], "left_anti")
         front = written(front, "paths")
         if not front.head(1):
             break
         done = written(done.unionByName(front), "paths")
-        hops += 1
+        discard(edges.sparkSession, last, since)
+        last, hops = since, hops + 1
     return done.select("start", "id", "path", (F.size("path") - 1).alias("hops"))
 
 

@@ -20,8 +20,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Folders of the intermediate tables written so far by this process; a deleted one is empty.
+_MADE: list[str] = []
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """df written as Parquet and read again: its lineage is cut and its size known to the planner."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/vellum-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _MADE.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def made() -> int:
+    """How many tables were written so far."""
+    return len(_MADE)
+
+
+def discard(spark: SparkSession, first: int, stop: int) -> None:
+    """Deletes tables number first..stop - 1: for loops whose rounds are read by the next round only."""
+    for n in range(first, stop):
+        if _MADE[n]:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_MADE[n])
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _MADE[n] = ""
