@@ -8,6 +8,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from vellum.operators import vector_index as I
 from vellum.operators import vectors as V
 
 
@@ -64,3 +65,107 @@ def test_rows_of_facts(spark):
         "id string, content string, embedding array<double>, entity string, source_document_ids array<string>",
     )
     assert V.bridge_rows(b).select(F.col("source_document_ids")).first()[0] == "d1,d2"
+
+
+def brute(rows, queries, k, decimals=9):
+    """{query: [(similarity, id)]} of plain Python; rows and queries are pairs of id and vector."""
+
+    def cos(a, b):
+        if not a or not b or len(a) != len(b):
+            return 0.0
+        n = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        c = sum(x * y for x, y in zip(a, b, strict=True)) / n if n else 0.0
+        return c if math.isfinite(c) else 0.0
+
+    return {q: [(-s, i) for s, i in sorted((-round(cos(v, w), decimals) + 0.0, i) for i, w in rows)[:k]] for q, v in queries if v}
+
+
+def of(found):
+    out = {}
+    for r in sorted(found.collect(), key=lambda r: (r.query_id, r["rank"])):
+        out.setdefault(r.query_id, []).append((r.similarity, r.id))
+    return out
+
+
+def same(got, want):
+    assert got.keys() == want.keys()
+    for q in want:
+        assert [i for _, i in got[q]] == [i for _, i in want[q]], q
+        assert np.allclose([s for s, _ in got[q]], [s for s, _ in want[q]])
+
+
+def mixed_vectors(n=400, seed=1):
+    r = np.random.default_rng(seed)
+    centres = r.normal(size=(9, 12))
+    out = [(i, (centres[i % 9] + 0.2 * r.normal(size=12)).tolist()) for i in range(n)]
+    copies = [(n + i, out[0][1]) for i in range(n // 2)]  # a third of all rows
+    odd = [(9001, None), (9002, []), (9003, [0.0] * 12), (9004, [float("nan")] * 12), (9005, [1.0, 2.0]), (9006, [1e308, 1e308, *([0.0] * 10)])]
+    return out + copies + odd
+
+
+VECTOR = "id long, embedding array<double>"
+
+
+def _queries(spark, rows):
+    return spark.createDataFrame(rows, "query_id long, embedding array<double>")
+
+
+def test_index_is_exact_and_prunes_partitions(spark, tmp_path):
+    rows = mixed_vectors()
+    index = I.build(spark.createDataFrame(rows, VECTOR), str(tmp_path / "i"), 9)
+    assert index.rows.sum() == len(rows) and index.rows[-1] == 6 - (9006 in {r.id for r in I.vectors_of(spark, index).where("__list >= 0").collect()})
+    queries = [rows[i] for i in (0, 1, 5, 77)] + [(9003, [0.0] * 12), (9005, [2.0, 4.0]), (9001, None), (9002, [])]
+    usable = [(i, v if v is None or all(math.isfinite(x) and abs(x) < 1e300 for x in v) else None) for i, v in rows]
+    got = of(I.search(index, _queries(spark, queries), 7, probes=1, exact=True, decimals=9))
+    same(got, brute(usable, queries, 7))
+    assert I.probes_for(index, spark, 3) <= 2
+    # clusters are narrow, so a query for one reads one list: the plan names it
+    near = I.search(index, _queries(spark, [rows[1]]), 3, probes=1)
+    assert len(of(near)[1]) == 3
+    plan = near._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(__list" in plan or "PartitionFilters: [__list" in plan
+
+
+def test_index_recall_of_vectors_without_structure(spark, tmp_path):
+    rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
+    queries = [r for r in rows if r[0] % 50 == 0]
+    index = I.build(spark.createDataFrame(rows, VECTOR), str(tmp_path / "i"))
+    probes = I.probes_for(index, spark, 10)
+    assert 1 < probes < len(index.rows)
+    got = of(I.search(index, _queries(spark, queries), 10, probes))
+    want = brute(rows, queries, 10)
+    hits = sum(len({i for _, i in got[q]} & {i for _, i in want[q]}) for q in want)
+    assert hits / sum(map(len, want.values())) >= 0.9
+
+
+def test_index_upsert_and_reset(spark, tmp_path):
+    rows, path = mixed_vectors(200), str(tmp_path / "i")
+    named = spark.createDataFrame([(i, v, f"t{i}") for i, v in rows], VECTOR + ", text string")
+    index = I.build(named, path, 6)
+    moved = [(i, [-x for x in v], "new") for i, v in rows[:40] if v] + [(7000, rows[3][1], "new"), (None, rows[3][1], "lost")]
+    for _ in range(2):  # twice gives the same
+        index = I.upsert(index, spark.createDataFrame(moved + moved[:3], VECTOR + ", text string"))
+    now = dict(rows) | {i: v for i, v, _ in moved if i is not None}
+    kept = I.vectors_of(spark, index)
+    assert sorted(r.id for r in kept.collect()) == sorted(now) and kept.where("text = 'new'").count() == 41
+    queries = [rows[i] for i in (0, 3, 50)]
+    usable = [(i, v if v is None or all(math.isfinite(x) and abs(x) < 1e300 for x in v) else None) for i, v in now.items()]
+    same(of(I.search(index, _queries(spark, queries), 5, probes=1, exact=True, decimals=9)), brute(usable, queries, 5))
+    # a list that all rows leave is gone
+    everything = spark.createDataFrame([(i, [1.0] * 12, "same") for i in now], VECTOR + ", text string")
+    index = I.upsert(index, everything)
+    assert (index.rows > 0).sum() == 1 and index.rows.sum() == len(now)
+    I.reset(spark, path)
+    assert not (tmp_path / "i").exists()
+    assert of(I.search(I.build(named.limit(0), path), _queries(spark, queries), 5, exact=True)) == {}
+    index = I.upsert(I.opened(spark, path), named.limit(5))  # no centroids yet: all in one list
+    assert len(of(I.search(index, _queries(spark, queries), 9, exact=True))[0]) == 5
+
+
+def test_many_queries_meet_rows_in_blocks(spark, monkeypatch):
+    rows = mixed_vectors(90)
+    usable = [(i, v) for i, v in rows if i < 9000]
+    monkeypatch.setattr(V, "QUERIES", 20)
+    monkeypatch.setattr(V, "BLOCK", 16)
+    found = V.top_k(_queries(spark, usable), spark.createDataFrame(usable, VECTOR), 4, 9)
+    same(of(found), brute(usable, usable, 4))

@@ -18,6 +18,8 @@ from ..functions.text import squeeze
 DIMENSION = 256
 #: Queries that are broadcast at most; more are searched in portions.
 QUERIES = 2048
+#: Rows that meet a portion of queries in one task.
+BLOCK = 8192
 
 
 class HashEmbedding:
@@ -197,47 +199,18 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, decimals: int | None =
         ).limit(QUERIES + 1).collect()
     ]
     if len(q) > QUERIES:
-        parts = -(-queries.count() // QUERIES)
-        portion = F.pmod(F.xxhash64("query_id"), F.lit(2 * parts))
-        out = None
-        for i in range(2 * parts):
-            one = top_k(queries.where(portion == i), vectors, k, decimals)
-            out = one if out is None else out.unionByName(one)
-        return out
+        # one group of all rows: cut into blocks of rows and portions of queries, which meet as pairs
+        wanted, rows = queries.withColumn("__list", F.lit(0)), vectors.select("id", "embedding", F.lit(0).alias("__list"))
+        near = dealt_top_k(wanted, rows, k, decimals, {0: (queries.count(), vectors.count())})
+        w = W.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id")
+        return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     shared = spark.sparkContext.broadcast(q)
     kq, kv = queries.schema["query_id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list[int]] = {}
-        for n, (_, v) in enumerate(shared.value):
-            if v:
-                by.setdefault(len(v), []).append(n)
-        mats = {}
-        for d, rows in by.items():
-            m = np.array([shared.value[n][1] for n in rows])
-            mats[d] = (rows, m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300))
+        mats = _matrices(shared.value)
         for b in batches:
-            ids, vs = b.column(0).to_pylist(), b.column(1).to_pylist()
-            length = np.array([len(v) if v else 0 for v in vs])
-            out: tuple[list, list, list] = ([], [], [])
-            for d in set(by):
-                at = np.flatnonzero(length == d)
-                rows, m = mats[d]
-                sim = np.zeros((len(rows), len(vs)))
-                if len(at):
-                    x = np.array([vs[i] for i in at])
-                    norm = np.linalg.norm(x, axis=1, keepdims=True)
-                    sim[:, at] = m @ (x / np.where(norm > 0, norm, 1)).T
-                if decimals is not None:
-                    sim = np.round(sim, decimals)
-                take = min(k, len(vs))
-                for r, n in enumerate(rows):
-                    # all that tie with the k-th, so that ties are settled by id later
-                    edge = np.partition(sim[r], -take)[-take]
-                    for i in np.flatnonzero(sim[r] >= edge):
-                        out[0].append(shared.value[n][0])
-                        out[1].append(ids[i])
-                        out[2].append(float(sim[r][i]))
+            out = _best(mats, b.column(0).to_pylist(), b.column(1).to_pylist(), k, decimals)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out[0], _arrow(kq)), pa.array(out[1], b.schema.field(0).type), pa.array(out[2], pa.float64())],
                 ["query_id", "id", "similarity"],
@@ -248,5 +221,80 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, decimals: int | None =
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def dealt_top_k(wanted: DataFrame, rows: DataFrame, k: int, decimals: int | None, sizes: dict[int, tuple[int, int]]) -> DataFrame:
+    """(query_id, id, similarity): of each list that a query wants its k most similar rows, and more.
+
+    wanted: query_id, embedding, __list; rows: id, embedding, __list; sizes: queries and rows of each list. A list is dealt
+    into blocks of some BLOCK rows, its queries into portions of some QUERIES; a task multiplies one portion with one
+    block. What a task holds is bounded however many rows or queries a list has.
+    """
+    spark = rows.sparkSession
+    kq, kv = wanted.schema["query_id"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()
+    parts = F.broadcast(
+        spark.createDataFrame([(l, -(-q // QUERIES), max(1, -(-n // BLOCK))) for l, (q, n) in sizes.items()], "__list int, __portions int, __blocks int")
+    )
+
+    def dealt(df: DataFrame, mine: str, own: str, all_: str, other: str) -> DataFrame:
+        one = df.withColumn("embedding", F.col("embedding").cast("array<double>")).join(parts, "__list")
+        one = one.withColumn(mine, F.floor(F.rand(11) * F.col(own)).cast("int"))
+        return one.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(all_) - 1))).drop("__portions", "__blocks")
+
+    q = dealt(wanted.select("query_id", "embedding", "__list"), "__portion", "__portions", "__blocks", "__block")
+    v = dealt(rows.select("id", "embedding", "__list"), "__block", "__blocks", "__portions", "__portion")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        mats = _matrices(list(zip(left["query_id"].to_pylist(), left["embedding"].to_pylist(), strict=True)))
+        out = _best(mats, right["id"].to_pylist(), right["embedding"].to_pylist(), k, decimals)
+        return pa.table(
+            [pa.array(out[0], left.schema.field("query_id").type), pa.array(out[1], right.schema.field("id").type), pa.array(out[2], pa.float64())],
+            ["query_id", "id", "similarity"],
+        )
+
+    keys = ["__list", "__block", "__portion"]
+    return q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInArrow(meet, f"query_id {kq}, id {kv}, similarity double")
+
+
+def _matrices(queries: list[tuple]) -> dict[int, tuple[list, np.ndarray]]:
+    """Ids and unit vectors of the queries that have any, by their length."""
+    by: dict[int, list[int]] = {}
+    for n, (_, v) in enumerate(queries):
+        if v:
+            by.setdefault(len(v), []).append(n)
+    out = {}
+    for d, at in by.items():
+        m = np.array([queries[n][1] for n in at], dtype=float)
+        out[d] = ([queries[n][0] for n in at], m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300))
+    return out
+
+
+def _best(mats: dict, ids: list, vectors: list, k: int, decimals: int | None) -> tuple[list, list, list]:
+    """Query, id and cosine of the k best of a block for each query, ties by id (null first); a cosine that isn't finite is 0."""
+    out: tuple[list, list, list] = ([], [], [])
+    take = min(k, len(ids))
+    if not take:
+        return out
+    place = np.empty(len(ids), dtype=int)
+    place[sorted(range(len(ids)), key=lambda i: (ids[i] is not None, 0 if ids[i] is None else ids[i]))] = np.arange(len(ids))
+    length = np.array([len(v) if v else 0 for v in vectors])
+    for d, (names, m) in mats.items():
+        sim = np.zeros((len(names), len(ids)))
+        at = np.flatnonzero(length == d)
+        if len(at):
+            x = np.array([vectors[i] for i in at], dtype=float)
+            with np.errstate(over="ignore", invalid="ignore"):
+                norm = np.linalg.norm(x, axis=1, keepdims=True)
+                sim[:, at] = m @ (x / np.where(norm > 0, norm, 1)).T
+            sim[~np.isfinite(sim)] = 0
+        if decimals is not None:
+            sim = np.round(sim, decimals)
+        for name, s in zip(names, sim, strict=True):
+            i = np.flatnonzero(s >= np.partition(s, -take)[-take])
+            i = i[np.lexsort((place[i], -s[i]))][:take]
+            out[0].extend([name] * len(i))
+            out[1].extend(ids[j] for j in i)
+            out[2].extend(s[i].tolist())
+    return out
+
+
 def _arrow(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]

@@ -13,6 +13,7 @@ from ..sources.folder import put, registered
 from ..sources.loaders import uploads
 from ..operators import parse as P
 from ..operators import standards as N
+from ..operators import vector_index as I
 from ..operators import vectors as V
 from ..sources.loaders import concatenated, pdf_texts
 from ..sources.scratch import shared_dir, written
@@ -146,6 +147,41 @@ def _collected(spark, d):
 Q["vector_collection_grown"] = (lambda spark, d: _collected(spark, d).select("id"), "SELECT 'c:' || vec_id AS id FROM embeddings")
 
 
+def _indexed(spark, d):
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding", "label")
+    return rows, rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
+
+
+def _index_search(spark, d, exact):
+    """As many lists for each query as a sample needs; exact reads the others that could change the result as well."""
+    rows, queries = _indexed(spark, d)
+    index = I.build(rows, _folder(spark, "index"))
+    probes = None if exact else I.probes_for(index, spark, 5)
+    return I.search(index, queries, 5, probes, exact, 6).select("query_id", "id", "rank")
+
+
+def _index_upserted(spark, d):
+    """An index over two thirds of the rows, then all even rows put in with their vectors reversed; searched for the first vectors."""
+    rows, queries = _indexed(spark, d)
+    index = I.build(rows.where("id % 3 <> 0"), _folder(spark, "index"))
+    index = I.upsert(index, rows.where("id % 2 = 0").withColumn("embedding", F.reverse("embedding")))
+    return I.search(index, queries, 5, exact=True, decimals=6).select("query_id", "id", "rank")
+
+
+def _nearest_sql(held: str) -> str:
+    return f"""WITH held AS ({held}), s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS c FROM embeddings q, held v WHERE q.vec_id % 50 = 0)
+    SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5"""
+
+
+Q["vector_index_exact"] = (lambda spark, d: _index_search(spark, d, True), _nearest_sql("SELECT vec_id, embedding FROM embeddings"))
+# what is found is ranked by exact similarity; the recall is tested against brute force
+Q["vector_index_probed"] = (lambda spark, d: _index_search(spark, d, False), None)
+Q["vector_index_upserted"] = (
+    _index_upserted,
+    _nearest_sql("SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN list_reverse(embedding) ELSE embedding END AS embedding FROM embeddings WHERE vec_id % 3 <> 0 OR vec_id % 2 = 0"),
+)
+
+
 def _pages(content: bytes) -> list[str]:
     if not content.startswith(b"%PDF"):
         raise ValueError("not a PDF")
