@@ -493,6 +493,27 @@ def test_op7_brute_force(spark):
     assert clean == {d for d, _ in rows} - {w[0] for w in want}
 
 
+def test_op7_sizes(spark):
+    """Items of every size from 1 to 60 shingles in documents of every size; a document in two rows, and one just too short."""
+    words = [f"w{i}" for i in range(3000)]
+    items = [(n, " ".join(words[40 * n : 40 * n + n + 4])) for n in (1, 2, 3, 4, 7, 8, 15, 16, 31, 32)] + [(60, " ".join(words[2500:2564]))]
+    rows = [(100 + n, t) for n, t in items] + [(300, " ".join(words))]
+    rows += [(400, " ".join(words[2500:2530])), (400, " ".join(words[2526:2564]))]  # 26 and 34 of 60 in two rows
+    rows += [(401, " ".join(words[2500:2552])), (402, " ".join(words[2500:2551]))]  # 48 and 47 of 60: 48 are needed
+    found = decontaminate.contained(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): r.n_shared for r in found.collect()}
+
+    def sh(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    docs = {}
+    for d, t in rows:
+        docs.setdefault(d, set()).update(sh(t))
+    want = {(d, i): len(sh(t) & v) for d, v in docs.items() for i, t in items if 10 * len(sh(t) & v) >= 8 * len(sh(t))}
+    assert got == want and {(400, 60), (401, 60)} <= want.keys() and (402, 60) not in want
+
+
 def test_clean_finds_short_items(spark):
     rows = [
         (1, "so One, two! it is"), (2, "one twofold"), (3, "phone two"), (4, "one two"), (5, "two one"), (6, None),

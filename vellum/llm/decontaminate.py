@@ -2,8 +2,13 @@
 
 An item of n distinct five-word shingles is contained in a document that has at least ceil(0.8 n) of them. An item's
 MinHash sketch is its n - ceil(0.8 n) + 1 shingles of smallest hash: at least one must be in every document that
-contains the item, so the search misses nothing, however long the document. Every document's shingles meet all
-sketches; pairs found are then verified by exact containment of the shingle strings.
+contains the item, so the search misses nothing, however long the document.
+
+Items are partitioned by size: n from 2^p to 2^(p+1) - 1 makes partition p, of which two figures are taken from all its items,
+the fewest shingles that one of them needs and the greatest rank of a hash in its sketches (large items have sketches of low ranks). A document of m
+shingles is searched in the partitions that need m or fewer: of its shingles only those ranked up to the greatest rank of
+these partitions meet the sketches, and no item that needs more than m. Rows that share a doc_id are one document, so the
+size of one of them says nothing, and it is searched in all partitions. Pairs found are verified by exact containment of the shingle strings.
 
 In the pipeline (clean) items of fewer than five words are also searched as runs of whole words in longer documents.
 
@@ -58,8 +63,22 @@ def need(n: Column) -> Column:
 ITEM = ["item", "unnamed"]
 
 
-def _contained(docs: DataFrame, own: list[str], benchmark: DataFrame) -> DataFrame:
-    """own, item, unnamed, n, shared: the items that documents contain. docs: text and the columns that tell documents apart, none of them null."""
+def rank(h: Column) -> Column:
+    """What a sketch orders hashes by."""
+    return F.xxhash64(h, F.lit(7))
+
+
+def partitions(sketch: DataFrame) -> list[tuple[int, int]]:
+    """(fewest shingles needed, greatest rank) of each size partition; the powers of two under 2^31 bound their number."""
+    of = F.floor(F.log2(F.col("n").cast("double"))).alias("p")
+    return [(r.least, r.edge) for r in sketch.groupBy(of).agg(F.min("need").alias("least"), F.max(rank(F.col("h"))).alias("edge")).orderBy("p").collect()]
+
+
+def _contained(docs: DataFrame, own: list[str], benchmark: DataFrame, unite: bool = True) -> DataFrame:
+    """own, item, unnamed, n, shared: the items that documents contain. docs: text and the columns that tell documents apart, none of them null.
+
+    unite: rows that agree in own may have different texts.
+    """
     items = benchmark.select(
         filled_id("item_id").alias("item"), F.col("item_id").isNull().alias("unnamed"),
         words_of(F.col("text")).alias("w"),
@@ -79,15 +98,23 @@ def _contained(docs: DataFrame, own: list[str], benchmark: DataFrame) -> DataFra
         ).alias("h"),
     )
     five = five.withColumn("k", F.col("n") - F.col("need") + 1)
-    order = F.array_sort(F.transform("h", lambda h: F.struct(F.xxhash64(h, F.lit(7)).alias("by"), h.alias("h"))))
-    sketch = written(
-        five.select(*ITEM, F.explode_outer(F.slice(order, F.lit(1), F.col("k"))).alias("m")).select(*ITEM, F.col("m.h").alias("h")),
-        "sketch",
-    )
+    order = F.array_sort(F.transform("h", lambda h: F.struct(rank(h).alias("by"), h.alias("h"))))
+    lowest = F.explode_outer(F.slice(order, F.lit(1), F.col("k"))).alias("m")
+    sketch = written(five.select(*ITEM, "n", "need", lowest).select(*ITEM, "n", "need", F.col("m.h").alias("h")), "sketch")
     # words are a column of their own: inside the lambdas they would be split again for each shingle
-    hashed = docs.select(*own, words_of(F.col("text")).alias("w")).select(*own, shingles(F.col("w"), F.xxhash64).alias("h"))
+    n = F.size("w")
+    m = F.when(n >= WORDS, n - (WORDS - 1)).otherwise(F.signum(n).cast("int"))
+    said = docs.select(*own, words_of(F.col("text")).alias("w"))
+    if unite:
+        several = written(docs.groupBy(*own).count().where("count > 1").select(*own, F.lit(True).alias("several")), "several")
+        said = said.join(several, own, "left")
+        m = F.when(F.col("several"), F.lit(2**31 - 1)).otherwise(m)
+    none = F.lit(None).cast("long")
+    edge = F.greatest(none, none, *(F.when(F.col("m") >= least, F.lit(by)) for least, by in partitions(sketch)))
+    hashed = said.select(*own, m.alias("m"), shingles(F.col("w"), F.xxhash64).alias("h")).select(*own, "m", edge.alias("edge"), "h")
     # outer: for a plain explode the optimizer infers a filter, which would compute the shingles a second time
-    pairs = hashed.select(*own, F.explode_outer("h").alias("h")).join(sketch, "h").select(*own, *ITEM).distinct()
+    low = hashed.select(*own, "m", "edge", F.explode_outer("h").alias("h")).where(rank(F.col("h")) <= F.col("edge"))
+    pairs = low.join(sketch, "h").where(F.col("m") >= F.col("need")).select(*own, *ITEM).distinct()
     pairs = written(pairs, "pairs")
     wanted = docs.join(pairs.select(own).distinct(), own, "left_semi").select(*own, words_of(F.col("text")).alias("w")).select(
         *own, F.array_distinct(shingles(F.col("w"), None)).alias("s"),
@@ -142,7 +169,7 @@ def short_items(docs: DataFrame, own: list[str], benchmark: DataFrame) -> DataFr
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows whose own text contains no item of the benchmark; rows that share a doc_id, or have none, are judged one by one."""
     docs = documents.select(*(k.alias(c) for k, c in zip(_keys(), ROW, strict=True)), "text")
-    found = _contained(docs, ROW, benchmark).select(ROW).union(short_items(docs, ROW, benchmark)).distinct()
+    found = _contained(docs, ROW, benchmark, False).select(ROW).union(short_items(docs, ROW, benchmark)).distinct()
     found = found.select(*(F.col(c).alias(f"__{c}") for c in ROW))
     same = [k == found[f"__{c}"] for k, c in zip(_keys(), ROW, strict=True)]
     return documents.join(found, same, "left_anti")
