@@ -201,6 +201,66 @@ def shortest_paths(edges: DataFrame, start: DataFrame, longest: int | None = Non
     return done.select("start", "id", "path", (F.size("path") - 1).alias("hops"))
 
 
+def _spread(edges: DataFrame, hub: int) -> tuple[DataFrame, DataFrame | None]:
+    """edges (id, to, share), a hub's dealt to shares of about `hub` edges, and (id, shares) of the hubs, or None."""
+    from ..sources.scratch import written
+
+    step = edges.select(F.col("source").alias("id"), F.col("target").alias("to")).where("id IS NOT NULL AND to IS NOT NULL").distinct()
+    hubs = written(step.groupBy("id").agg(F.ceil(F.count(F.lit(1)) / hub).cast("int").alias("shares")).where("shares > 1"), "hubs")
+    if not hubs.head(1):
+        return step.withColumn("share", F.lit(0)), None
+    share = F.coalesce(F.pmod(F.xxhash64("to"), F.col("shares")).cast("int"), F.lit(0))
+    return written(step.join(hubs, "id", "left").select("id", "to", share.alias("share")), "edges"), hubs
+
+
+def hops_between(edges: DataFrame, pairs: DataFrame, longest: int, hub: int = 1_000_000) -> DataFrame:
+    """(source, target, hops) of the pairs that at most `longest` directed edges join, by a search from both ends.
+
+    Each round follows one edge more, forward from the sources or backward from the targets, whichever front is smaller, and only for
+    ends with a pair that isn't joined yet; the two balls meet at the least sum of their radii. The out-edges (in-edges) of a node with more
+    than `hub` are dealt to shares, and a front that reaches it goes to each. Rounds are written; those that were read are deleted.
+    """
+    from ..sources.scratch import discard, made, written
+
+    spark = edges.sparkSession
+    sides = (_spread(edges, hub), _spread(edges.select(F.col("target").alias("source"), F.col("source").alias("target")), hub))
+    left = pairs.select("source", "target").where("source IS NOT NULL AND target IS NOT NULL").distinct()
+    found = left.where("source = target").withColumn("hops", F.lit(0))
+    left = left.where("source <> target")
+    ends = ("source", "target")
+    seen = [left.select(F.col(e).alias("start"), F.col(e).alias("id"), F.lit(0).alias("hop")).distinct() for e in ends]
+    front, size, last = list(seen), [f.count() for f in seen], made()
+    for done in range(1, longest + 1):
+        n = 0 if size[0] <= size[1] else 1
+        if not size[n]:
+            break
+        since = made()
+        step, hubs = sides[n]
+        at = front[n].select("start", "id", "hop")
+        if hubs is None:
+            at = at.withColumn("share", F.lit(0))
+        else:
+            to = F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)).alias("share")
+            at = at.join(hubs, "id", "left").select("start", "id", "hop", to)
+        nxt = at.join(step, ["id", "share"]).select("start", F.col("to").alias("id"), (F.col("hop") + 1).alias("hop")).distinct()
+        nxt = written(nxt.join(seen[n].select("start", "id"), ["start", "id"], "left_anti"), "front")
+        one = nxt.select(F.col("start").alias(ends[n]), "id")
+        two = seen[1 - n].select(F.col("start").alias(ends[1 - n]), "id")
+        # only through nodes reached just now can a pair be joined that wasn't before, and by this many edges
+        met = one.join(left, ends[n]).join(two, [ends[1 - n], "id"]).select(*ends).distinct()
+        found = written(found.unionByName(met.withColumn("hops", F.lit(done))), "found")
+        left = written(left.join(found, list(ends), "left_anti"), "left")
+        for side, e in enumerate(ends):
+            open_ = left.select(F.col(e).alias("start")).distinct()
+            new = seen[side].unionByName(nxt) if side == n else seen[side]
+            seen[side] = written(new.join(open_, "start", "left_semi"), "seen")
+            front[side] = written((nxt if side == n else front[side]).join(open_, "start", "left_semi"), "front")
+            size[side] = front[side].count()
+        discard(spark, last, since)
+        last = since
+    return found
+
+
 def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges with both ends among ids."""
     return edges.join(

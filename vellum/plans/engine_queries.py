@@ -11,6 +11,8 @@ from ..operators.fix import ALIGN, EDITS, edit_plan
 from ..sources import docx
 from ..sources.folder import put, registered
 from ..sources.loaders import uploads
+from ..operators import graph as G
+from ..operators import links as L
 from ..operators import parse as P
 from ..operators import standards as N
 from ..operators import vector_index as I
@@ -182,6 +184,42 @@ Q["vector_index_upserted"] = (
 )
 
 
+def _page_edges(spark, d):
+    """Pages and the addresses they link to, in both directions."""
+    e = L.page_links(spark.read.parquet(f"{d}/pages.parquet")).select(F.concat(F.lit("p"), "page_id").alias("source"), "target")
+    return e.unionByName(e.select(F.col("target").alias("source"), F.col("source").alias("target")))
+
+
+def _page_hops(spark, d):
+    """Every page and the first page of its host: how many links lie between them, six at most."""
+    host = F.lower(F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1))
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", host.alias("host"))
+    pairs = pages.join(pages.groupBy("host").agg(F.min("page_id").alias("first")), "host")
+    name = lambda c: F.concat(F.lit("p"), c)
+    return G.hops_between(_page_edges(spark, d), pairs.select(name("first").alias("source"), name("page_id").alias("target")), 6, 50)
+
+
+# every link of the pages is a path from the root
+_PAGE_LINKS = r"""host AS (SELECT page_id, lower(regexp_extract(url, '^([a-z]+)://', 1)) AS scheme, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host, html FROM pages),
+    link AS (SELECT DISTINCT page_id, host, scheme || '://' || host || regexp_replace(replace(href, '&amp;', '&'), '#.*', '') AS target FROM (SELECT page_id, host, scheme, unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) AS href FROM host))"""
+Q["page_links"] = (
+    lambda spark, d: L.page_links(spark.read.parquet(f"{d}/pages.parquet")).select("page_id", "target"),
+    f"WITH {_PAGE_LINKS} SELECT page_id, target FROM link",
+)
+Q["page_shared_links"] = (
+    # links of a page, and how many of them other pages have too; a link of many pages is counted once, never paired
+    lambda spark, d: (lambda e: e.join(e.groupBy("target").agg(F.count(F.lit(1)).alias("pages")), "target").groupBy("page_id").agg(F.count(F.lit(1)).alias("n_links"), F.count_if(F.col("pages") > 1).alias("n_shared")))(L.page_links(spark.read.parquet(f"{d}/pages.parquet")).select("page_id", "target")),
+    f"WITH {_PAGE_LINKS} SELECT page_id, count(*) AS n_links, count(*) FILTER (EXISTS (SELECT 1 FROM link o WHERE o.target = link.target AND o.page_id <> link.page_id)) AS n_shared FROM link GROUP BY page_id",
+)
+Q["page_hops"] = (
+    _page_hops,
+    f"""WITH RECURSIVE {_PAGE_LINKS}, near AS (SELECT DISTINCT a.page_id AS a, b.page_id AS b FROM link a JOIN link b ON a.target = b.target),
+    first AS (SELECT host, min(page_id) AS first FROM host GROUP BY host),
+    walk AS (SELECT first, first AS id, 0 AS hops FROM first UNION SELECT w.first, n.b, w.hops + 2 FROM walk w JOIN near n ON n.a = w.id WHERE w.hops < 6)
+    SELECT 'p' || first AS source, 'p' || id AS target, CAST(min(hops) AS INTEGER) AS hops FROM walk GROUP BY first, id""",
+)
+
+
 def _pages(content: bytes) -> list[str]:
     if not content.startswith(b"%PDF"):
         raise ValueError("not a PDF")
