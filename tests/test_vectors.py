@@ -169,3 +169,11 @@ def test_many_queries_meet_rows_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(V, "BLOCK", 16)
     found = V.top_k(_queries(spark, usable), spark.createDataFrame(usable, VECTOR), 4, 9)
     same(of(found), brute(usable, usable, 4))
+
+
+def test_short_texts_have_a_vector_where_asked(spark):
+    df = spark.createDataFrame([(1, "A."), (2, "!!"), (3, "a дом"), (4, " "), (5, "b c")], "i int, text string")
+    got = {x.i: x.embedding for x in V.embedded(df, "i", V.HashEmbedding(short=True)).collect()}
+    assert {i: len(v) for i, v in got.items()} == {1: 256, 2: 256, 3: 256, 4: 0, 5: 256}
+    assert np.allclose(got[3], by_definition("дом"), atol=1e-12) and all(abs(np.linalg.norm(got[i]) - 1) < 1e-9 for i in (1, 2, 5))
+    assert pickle.loads(pickle.dumps(V.HashEmbedding(short=True))).short and not V.hash_embedding("A.")

@@ -25,6 +25,7 @@ BLOCK = 8192
 class HashEmbedding:
     """Signed hashed words (two letters or more) and trigrams of longer words, weighted by length, of unit norm; [] without any.
 
+    short: a text without a word of two letters counts its words of one, or its characters where it has no word at all.
     A word's buckets and weights are worked out once for each worker; a batch of texts is one count over (text, bucket).
     """
 
@@ -32,12 +33,18 @@ class HashEmbedding:
     #: Words that a worker remembers, and words of texts that are counted at once.
     MEMO, STEP = 500_000, 200_000
 
-    def __init__(self, dim: int = DIMENSION):
-        self.dim = dim
+    def __init__(self, dim: int = DIMENSION, short: bool = False):
+        self.dim, self.short = dim, short
         self._clear()
 
     def __reduce__(self):
-        return HashEmbedding, (self.dim,)
+        return HashEmbedding, (self.dim, self.short)
+
+    def _words(self, text: str | None) -> list[str]:
+        t = (text or "").lower().replace("ё", "е")
+        every = self.WORD.findall(t)
+        words = [w for w in every if len(w) >= 2]
+        return words or (every or [x for x in t if not x.isspace()] if self.short else words)
 
     def _clear(self) -> None:
         self.of: dict[str, int] = {}
@@ -88,7 +95,7 @@ class HashEmbedding:
             if len(self.of) > self.MEMO:
                 settle()
                 self._clear()
-            words = [w for w in self.WORD.findall((t or "").lower().replace("ё", "е")) if len(w) >= 2]
+            words = self._words(t)
             own.append([self.of[w] if w in self.of else self._learn(w) for w in words])
             total += len(words)
             if total >= self.STEP:
