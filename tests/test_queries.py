@@ -65,3 +65,18 @@ def test_merge_ignores_partitioning(spark):
     assert a == b
     once = R.merged(f).drop("position")
     assert sorted(map(tuple, R.merged(once).select("doc_id", "issue_id").collect())) == sorted((x, y) for x, y, _ in a)
+
+
+@pytest.mark.parametrize("name", ["retrieval_signals", "retrieval_bridged", "retrieval_answer"])
+def test_places_of_questions_are_never_broadcast(spark, name):
+    """A standard's hints are; the planner must know their size for that."""
+    from contextlib import redirect_stdout
+    from io import StringIO
+
+    with redirect_stdout(StringIO()) as said:
+        Q.QUERIES[name](spark, SF.replace("0.001", "0.1")).explain()
+    plan = said.getvalue().splitlines()
+    place = lambda x: len(x) - len(x.lstrip(" :+-"))
+    for i in (i for i, x in enumerate(plan) if "BroadcastExchange" in x):
+        stop = next((j for j in range(i + 1, len(plan)) if place(plan[j]) <= place(plan[i])), len(plan))
+        assert not ("conversations.parquet" in "".join(plan[i:stop]) and "Generate explode(array_distinct" in "".join(plan[i:stop]))
