@@ -123,3 +123,16 @@ def test_files_as_a_corpus(spark):
     assert got(c.paragraphs, "section_id", "paragraph_index") == [("sec_auto_1", 2), ("sec_2", 8)]
     report = {r.doc_id: r.total for r in engine.analyze_files(spark.createDataFrame([("d", docx.compose(items, {}))], "doc_id string, content binary")).collect()}
     assert report["d"] > 5
+
+
+def test_body_text_is_justified_line_by_line(spark):
+    """The issue names a document; its edits name every long line that isn't justified, but for one that is centred for itself."""
+    from vellum.operators import fix
+
+    long = "слово " * 20
+    issues = spark.createDataFrame([("d", None, "body_text_not_justified"), ("d", 5, "formula_not_centered")], "doc_id string, paragraph_index int, subtype string")
+    rows = [("d", 1, long, "left"), ("d", 2, long, None), ("d", 3, long, "justify"), ("d", 4, long, "center"), ("d", 5, long, "left"), ("d", 6, "short", "left"), ("e", 1, long, "left")]
+    layout = spark.createDataFrame(rows, "doc_id string, paragraph_index int, text string, alignment string")
+    forms = spark.createDataFrame([], "doc_id string, ord int, paragraph_index int, text string, equation_number string, raw_equation_number string, appendix_letter string, is_standalone boolean, next_text string")
+    plan = fix.edits_of(issues, layout, forms).select("doc_id", "paragraph_index", "op", "arg")
+    assert sorted(map(tuple, plan.collect())) == [("d", 1, "align", "justify"), ("d", 2, "align", "justify"), ("d", 5, "align", "center")]

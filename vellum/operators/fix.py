@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import blank, folded, squeeze
-from .formatting import STRUCTURAL
+from .formatting import STRUCTURAL, body_lines
 
 #: Titles that are counted without a number.
 FREE = [*STRUCTURAL, "введение", "заключение", "термины и определения"]
@@ -202,12 +202,21 @@ def edit_plan(issues: DataFrame, drawings: DataFrame | None = None) -> DataFrame
 NUMBERING = ("number_formula", "split_formula", "insert_reference")
 
 
+def _by_line(issues: DataFrame, layout: DataFrame) -> DataFrame:
+    """Issues, with that of a document's body text as one for each line that the check counts; a line keeps an alignment that it is asked for itself."""
+    body = (F.col("subtype") == "body_text_not_justified") & F.col("paragraph_index").isNull()
+    lines = body_lines(layout).where(F.coalesce("alignment", F.lit("")) != "justify").select("doc_id", "paragraph_index")
+    own = issues.where(F.col("subtype").isin(*ALIGN) & F.col("paragraph_index").isNotNull()).select("doc_id", "paragraph_index")
+    each = issues.where(body).drop("paragraph_index").join(lines, "doc_id").join(own, ["doc_id", "paragraph_index"], "left_anti")
+    return issues.where(~body).unionByName(each)
+
+
 def edits_of(issues: DataFrame, layout: DataFrame, forms: DataFrame, drawings: DataFrame | None = None) -> DataFrame:
     """edit_plan() with what an editor needs besides: the text that stands at the target now, and formulas' numbers counted anew.
 
     An edit finds its paragraph by its index and, where another text stands there, by this text.
     """
-    plan = edit_plan(issues, drawings)
+    plan = edit_plan(_by_line(issues, layout), drawings)
     plan = plan.join(layout.select("doc_id", "paragraph_index", "text"), ["doc_id", "paragraph_index"], "left")
     want = formula_numbers(forms).join(forms.select("doc_id", "ord", "paragraph_index"), ["doc_id", "ord"]).select("doc_id", "paragraph_index", "number")
     plan = plan.join(want, ["doc_id", "paragraph_index"], "left")

@@ -394,11 +394,14 @@ def missing_title_page(docs: DataFrame, layout: DataFrame) -> DataFrame:
     )
 
 
+def body_lines(layout: DataFrame) -> DataFrame:
+    """Long lines that aren't centred or right."""
+    return layout.where((F.length("text") >= 80) & ~F.coalesce("alignment", F.lit("")).isin("center", "right"))
+
+
 def not_justified(layout: DataFrame) -> DataFrame:
     """Documents with a title page in which many long lines that aren't centred or right, three at least, are not justified."""
-    l = layout.join(title_pages(layout), "doc_id", "left_semi").where(
-        (F.length("text") >= 80) & ~F.coalesce("alignment", F.lit("")).isin("center", "right")
-    )
+    l = body_lines(layout.join(title_pages(layout), "doc_id", "left_semi"))
     g = l.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("alignment", F.lit("")) != "justify").alias("bad"))
     g = g.where(F.col("bad") >= F.greatest(F.lit(3), F.expr("n div 2"))).select("doc_id", F.lit(0).alias("ord"), F.lit(1).alias("page"))
     return issue(g, "body_text_not_justified", "info")
