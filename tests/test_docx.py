@@ -125,6 +125,30 @@ def test_files_as_a_corpus(spark):
     assert report["d"] > 5
 
 
+class Taken:
+    """Stands for files; keeps the function that is given to mapInArrow."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        self.run = run
+
+
+def test_files_are_handed_on_a_few_at_a_time(spark):
+    import pyarrow as pa
+
+    files = Taken()
+    docx.read_facts(files)
+    rows = [(str(n), docx.build([f"line {n} {i}" for i in range(1000)])) for n in range(20)] + [("bad", b"x")]
+    given = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "content"])
+    got = list(files.run(iter([given])))
+    assert max(b.num_rows for b in got) < docx.MOST_ROWS + 1000 and sum(b.num_rows for b in got) == 20_001
+    assert pa.Table.from_batches(got).column("doc_id").to_pylist() == [r[0] for r in rows[:-1] for _ in range(1000)] + ["bad"]
+    made = list(docx._made(iter([pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(["x"] * 9)], ["doc_id", "text"])]), lambda t: b"0" * (docx.MOST_BYTES // 2)))
+    assert [b.num_rows for b in made] == [2, 2, 2, 2, 1] and made[0].schema.field(0).type == pa.int64()
+
+
 def test_body_text_is_justified_line_by_line(spark):
     """The issue names a document; its edits name every long line that isn't justified, but for one that is centred for itself."""
     from vellum.operators import fix
