@@ -163,3 +163,23 @@ def test_rounds_of_paths_are_deleted(spark):
     got = graph.shortest_paths(edges, spark.createDataFrame([("0",)], "id string"))
     assert {r.id: r.hops for r in got.collect()} == {str(i): i for i in range(13)}
     assert len([p for p in scratch._MADE[before:] if p]) <= 3 < scratch.made() - before
+
+
+def test_facts_of_bridges_equal_a_loop(spark):
+    """Entities inside words, of one letter, phrases and spaces; a word with more facts than count; postings carry no texts."""
+    from vellum.operators import retrieve as R
+
+    texts = ["Alpha beta", "alphabet soup", "the big  cat", "the big cat", "a\nb", "Xyz", "no"] + [f"alpha {i}" for i in range(60)]
+    rows = [(f"d{i % 9}", i % 9, i, f"f{i}", t) for i, t in enumerate(texts)]
+    names = ["Alpha", "B", "big cat", "big  cat", "Cat", " ", "\n", "missing", "Soup of", "no"]
+    got = R.bridge_akus(spark.createDataFrame([(n,) for n in names], "entity string"), spark.createDataFrame(rows, "doc_id string, doc_ord int, aku_ord int, id string, content string"))
+    want = set()
+    for n in names:
+        hits = sorted((r for r in rows if n.lower() in r[4].lower()), key=lambda r: (r[1], r[2]))[:40]
+        docs = sorted({r[1] for r in hits})
+        want |= {(n, r[3]) for r in hits if len(docs) >= 2 and r[1] in docs[:5]}
+    assert sorted((r.entity, r.id) for r in got.collect()) == sorted(want) and len(want) > 60
+    assert {r.id: r.content for r in got.collect()} == {i: rows[int(i[1:])][4] for _, i in want}
+    # texts aren't repeated for each place of a fact
+    plan = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert not [x for x in plan if "Generate explode(array_distinct(" in x and "content" in x.split(", false, [")[-1]]

@@ -384,26 +384,35 @@ def bridge_akus(bridges: DataFrame, facts: DataFrame, config: Config = Config())
 
     facts: (doc_id, doc_ord, aku_ord, id, content). Of each entity's facts, in their order, the first source_documents *
     facts_each count, and of those the ones of its first source_documents documents, if there are two documents at
-    least. A fact can hold an entity only if it has all its words as parts of its own, so the two are joined by the
-    entity's first three letters and compared after that.
+    least. An entity without a space lies inside a word, and of a word's facts only the first so many can count, so
+    entities meet the words that occur, each word once, and then those facts. A phrase meets the facts of the words that
+    hold its longest part and is compared with them. Texts are joined to what is left.
     """
-    e = bridges.select("entity", F.lower("entity").alias("e")).withColumn("key", F.substring("e", 1, 3))
-    f = facts.withColumn("t", F.lower("content"))
-    starts = F.array_distinct(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length("t"), F.lit(1))), lambda i: F.substr(F.col("t"), i, F.lit(3)))
-    )
-    # shorter entities than three letters meet every place's first one and two letters
-    short = F.array_distinct(F.flatten(F.transform(starts, lambda x: F.array(F.substring(x, 1, 1), F.substring(x, 1, 2)))))
-    f = f.withColumn("key", F.explode(F.array_distinct(F.concat(starts, short))))
-    hit = f.join(e, "key").where(F.contains("t", "e")).select("entity", "doc_ord", "doc_id", "aku_ord", "id", "content").distinct()
-    by = W.partitionBy("entity").orderBy("doc_ord", "aku_ord")
-    first = hit.withColumn("n", F.row_number().over(by)).where(F.col("n") <= config.source_documents * config.facts_each)
+    most, order = config.source_documents * config.facts_each, ("doc_ord", "aku_ord")
+    f = facts.select("doc_ord", "doc_id", "aku_ord", "id", "content").distinct().withColumn("t", F.lower("content")).where("t is not null")
+    f = f.withColumn("fact", F.xxhash64("doc_ord", "doc_id", "aku_ord", "id", "content"))
+    said = f.select(*order, "fact", F.explode(F.array_distinct(F.split("t", r"\s+"))).alias("word"))
+    few = said.withColumn("n", F.row_number().over(W.partitionBy("word").orderBy(*order))).where(F.col("n") <= most).drop("n")
+    longest = F.array_max(F.transform(F.split("e", r"\s+"), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    e = bridges.select("entity", F.lower("entity").alias("e")).distinct().withColumn("part", longest).withColumn("phrase", F.col("part") != F.col("e"))
+    starts = F.regexp_extract_all("word", F.lit("(?s)(?=(.{1,3}))"), F.lit(1))
+    # entities of one and two letters meet the beginnings of all places
+    less = F.flatten(F.transform(starts, lambda x: F.array(F.substring(x, 1, 1), F.substring(x, 1, 2))))
+    words = few.select("word").distinct().select("word", F.explode(F.array_distinct(F.concat(starts, less))).alias("key"))
+    held = words.join(e.withColumn("key", F.substring("part", 1, 3)), "key").where("part <> '' and contains(word, part)").select("entity", "e", "phrase", "word")
+    hit = held.where("not phrase").join(few, "word").select("entity", *order, "fact")
+    own = [F.col("a." + c).eqNullSafe(F.col("f." + c)) for c in (*order, "fact")]
+    maybe = held.where("phrase").join(said, "word").select("entity", "e", *order, "fact").distinct()
+    phrase = maybe.alias("a").join(f.alias("f"), own).where("contains(f.t, a.e)").select("a.entity", *("a." + c for c in (*order, "fact")))
+    # quoted spaces alone
+    space = f.join(e.where("part = ''"), F.expr("contains(t, e)")).select("entity", *order, "fact")
+    hit = hit.unionByName(phrase).unionByName(space).distinct()
+    first = hit.withColumn("n", F.row_number().over(W.partitionBy("entity").orderBy(*order))).where(F.col("n") <= most)
     first = first.withColumn(
         "d", F.dense_rank().over(W.partitionBy("entity").orderBy("doc_ord")),
     ).withColumn("docs", F.max("d").over(W.partitionBy("entity")))
-    return first.where(
-        (F.col("docs") >= 2) & (F.col("d") <= config.source_documents)
-    ).select("entity", "doc_ord", "doc_id", "aku_ord", "id", "content")
+    kept = first.where((F.col("docs") >= 2) & (F.col("d") <= config.source_documents))
+    return kept.alias("a").join(f.alias("f"), own).select("a.entity", "f.doc_ord", "f.doc_id", "f.aku_ord", "f.id", "f.content")
 
 
 def bridge_prompts(candidates: DataFrame) -> DataFrame:
