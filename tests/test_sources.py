@@ -91,3 +91,20 @@ def test_registry_in_keyed_state(spark, tmp_path):
     assert {(x.entity, x.df) for x in I.registry_now(e).collect()} == {("Alpha", 12), ("Beta", 2), ("Gamma", 10)}
     assert {(x.entity, x.df) for x in I.bridges_now(e).collect()} == {("Beta", 2), ("Gamma", 10)}
     assert [x.event for x in e.where("entity = 'Alpha' and event is not null").orderBy("batch").collect()] == ["bridge", "retracted"]
+
+
+def test_streamed_documents_keep_their_partitions(spark, tmp_path, monkeypatch):
+    """No task writes or reads a whole folder of documents."""
+    from vellum.plans import engine_queries as E
+
+    rows = [(i, ('Alpha', 'Beta', 'Gamma')[i % 3] + ' text') for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(8).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(E, "_folder", lambda spark, name: f"{tmp_path}/{name}")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        got = {r.entity: r.df for r in E._registry_streamed(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {"Alpha": 14, "Beta": 13, "Gamma": 13}
+    assert len(spark.read.parquet(f"{tmp_path}/stream/in/0").inputFiles()) > 1

@@ -345,11 +345,12 @@ Q["mixed_folder_read"] = (
 
 
 def _streamed(spark, d):
-    """Documents in three folders, of which the third repeats a third of the first, one folder a micro-batch."""
+    """Documents in three folders, of which the third repeats a third of the first; a micro-batch takes as many files as the first folder has."""
     root = _folder(spark, "stream")
     for n, some in enumerate(("doc_id % 2 = 0", "doc_id % 2 = 1", "doc_id % 6 = 0")):
-        _docs(spark, d).select("doc_id", "text").where(some).coalesce(1).write.parquet(f"{root}/in/{n}")
-    s = spark.readStream.schema("doc_id long, text string").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+        _docs(spark, d).select("doc_id", "text").where(some).write.parquet(f"{root}/in/{n}")
+    files = len(spark.read.parquet(f"{root}/in/0").inputFiles())
+    s = spark.readStream.schema("doc_id long, text string").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max(1, files)).parquet(f"{root}/in")
     registry_stream(s, "doc_id", f"{root}/events", f"{root}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{root}/events")
 
