@@ -57,39 +57,47 @@ KEYWORDS = [
     "заключение", "введение",
 ]
 SERVICE = [
-    r"^For Staff Page \d+$",
-    r"^INTERSTATE COUNCIL FOR STANDARDIZATION,$",
-    r"^METROLOGY AND CERTIFICATION$",
-    r"^\d{1,2}:\d{2}$",
-    r"^[\"'`]+$",
-    r"(?i)^system of standards on information",
-    r"^Документ предоставлен",
-    r"^Дата сохранения:",
+    r"For Staff Page \d+$",
+    r"INTERSTATE COUNCIL FOR STANDARDIZATION,$",
+    r"METROLOGY AND CERTIFICATION$",
+    r"\d{1,2}:\d{2}$",
+    r"[\"'`]+$",
+    r"(?i:system of standards on information)",
+    r"Документ предоставлен",
+    r"Дата сохранения:",
 ]
-ANNEX = r"Приложение\s+[А-ЯA-Z]"
+ANNEX_WORD = "Приложение"
+ANNEX = ANNEX_WORD + r"\s+[А-ЯA-Z]"
 BIBLIOGRAPHY = "Библиография"
 EDGE = "\".,;:()[]"
 
 
-def service_line(c: Column) -> Column:
-    return squeeze(c).rlike("|".join(SERVICE))
+def service_line(t: Column) -> Column:
+    """Of a squeezed line. The pattern is tried at the line's start only, not at each of its places."""
+    return t.rlike("^(?:" + "|".join(SERVICE) + ")")
 
 
-def starts_block(c: Column) -> Column:
-    t = squeeze(c)
+def starts_with_digit(c: Column) -> Column:
+    """Spares the lines that don't the patterns of numbers."""
+    return F.ascii(c).between(ord("0"), ord("9"))
+
+
+def starts_block(t: Column) -> Column:
+    """Of a squeezed line."""
     capitals = (F.length(t) <= 120) & (t == F.upper(t)) & t.rlike(r"\p{L}")
-    return t.rlike(r"^\d+(\.\d+)*\s+.+$") | t.rlike(rf"^{ANNEX}$") | (t == BIBLIOGRAPHY) | capitals
+    number = starts_with_digit(t) & t.rlike(r"^\d+(\.\d+)*\s+.+$")
+    return number | (t.startswith(ANNEX_WORD) & t.rlike(rf"^{ANNEX}$")) | (t == BIBLIOGRAPHY) | capitals
 
 
 def inline_split(c: Column) -> Column:
     """Text cut before the first annex, and each part before the first bibliography, that isn't at its start."""
-    def cut(part: Column, mark: str) -> Column:
+    def cut(part: Column, word: str, mark: str) -> Column:
         pattern = rf"(?s)^(.+?)({mark}.*)$"
         return F.when(
-            part.rlike(pattern), F.array(F.regexp_extract(part, pattern, 1), F.regexp_extract(part, pattern, 2)),
+            F.contains(part, F.lit(word)) & part.rlike(pattern), F.array(F.regexp_extract(part, pattern, 1), F.regexp_extract(part, pattern, 2)),
         ).otherwise(F.array(part))
 
-    parts = F.flatten(F.transform(cut(c, ANNEX), lambda part: cut(part, BIBLIOGRAPHY)))
+    parts = F.flatten(F.transform(cut(c, ANNEX_WORD, ANNEX), lambda part: cut(part, BIBLIOGRAPHY, BIBLIOGRAPHY)))
     return F.filter(F.transform(parts, lambda part: F.trim(part)), lambda part: part != "")
 
 
@@ -98,13 +106,15 @@ def clean_blocks(lines: DataFrame) -> DataFrame:
     by = W.partitionBy("standard_id").orderBy("pos")
     x = lines.withColumn("whole", F.sum(F.when(F.lag("line").over(by).endswith("-"), 0).otherwise(1)).over(by))
     parts = F.array_sort(F.collect_list(F.struct("pos", "line")))
-    x = x.groupBy("standard_id", "whole").agg(parts.alias("parts")).select(
-        "standard_id", F.col("whole").alias("pos"), F.array_join(
-            F.transform("parts", lambda p, i: F.when(i < F.size("parts") - 1, F.regexp_replace(p["line"], "-$", "")).otherwise(p["line"])),
-            "",
-        ).alias("line")
-    )
-    x = x.withColumn("t", squeeze("line")).where(~service_line(F.col("t")))
+    # squeezed in the aggregate: a filter above it takes the column, where it would work out that of a projection again
+    x = x.groupBy("standard_id", F.col("whole").alias("pos")).agg(
+        squeeze(
+            F.array_join(
+                F.transform(parts, lambda p, i: F.when(i < F.count(F.lit(1)) - 1, F.regexp_replace(p["line"], "-$", "")).otherwise(p["line"])),
+                "",
+            )
+        ).alias("t")
+    ).where(~service_line(F.col("t")))
     x = x.withColumn("head", (F.col("t") != "") & starts_block(F.col("t")))
     new = (F.col("t") == "") | F.col("head") | F.coalesce(F.lag("head").over(by), F.lit(False))
     x = x.withColumn("b", F.sum(new.cast("int")).over(by))
@@ -118,14 +128,16 @@ def clean_blocks(lines: DataFrame) -> DataFrame:
 def heading_tail(c: Column) -> Column:
     """struct(title, tail): the title ends before the first capitalised word that follows a lower-case one."""
     words = F.split(squeeze(c), " ")
-    bare = F.transform(words, lambda w: F.btrim(w, F.lit(EDGE)))
-    upper = lambda w: w.rlike(r"^\p{Lu}")
-    lower = lambda w: w.rlike(r"^\p{Ll}")
-    cut = F.filter(
-        F.sequence(F.lit(1), F.size(words)),
-        lambda i: upper(F.coalesce(F.get(bare, i), F.lit(""))) & F.exists(F.slice(bare, F.lit(1), i), lower),
+    bare = lambda w: F.btrim(w, F.lit(EDGE))
+    start = F.struct(F.lit(False).alias("low"), F.lit(-1).alias("at"), F.lit(0).alias("i"))
+    # one pass over the words, however many
+    seen = F.aggregate(
+        words, start, lambda s, w: F.struct(
+            (s["low"] | bare(w).rlike(r"^\p{Ll}")).alias("low"),
+            F.when((s["at"] < 0) & s["low"] & bare(w).rlike(r"^\p{Lu}"), s["i"]).otherwise(s["at"]).alias("at"), (s["i"] + 1).alias("i"),
+        ),
     )
-    at = F.coalesce(F.get(cut, F.lit(0)), F.size(words))
+    at = F.when(seen["at"] < 0, F.size(words)).otherwise(seen["at"])
     return F.struct(
         F.array_join(F.slice(words, F.lit(1), at), " ").alias("title"),
         F.array_join(F.slice(words, at + 1, F.greatest(F.size(words) - at, F.lit(0))), " ").alias("tail"),
@@ -171,7 +183,8 @@ def constraint_type(title: Column, content: Column) -> Column:
 
 
 def keywords(c: Column) -> Column:
-    return F.filter(F.array(*map(F.lit, KEYWORDS)), lambda k: F.contains(F.lower(c), k))
+    low = F.lower(c)
+    return F.array_compact(F.array(*(F.when(F.contains(low, F.lit(k)), k) for k in KEYWORDS)))
 
 
 def parse_blocks(b: DataFrame) -> DataFrame:
@@ -181,12 +194,13 @@ def parse_blocks(b: DataFrame) -> DataFrame:
     """
     by = W.partitionBy("standard_id").orderBy("block")
     first, number = r"^(\d+)\s+(.+)$", r"^(\d+\.\d+(?:\.\d+)*)\s+(.+)$"
-    annex = F.col("text").rlike(rf"^({ANNEX}|{BIBLIOGRAPHY})(?![\p{{L}}\p{{N}}_])")
+    marked = F.col("text").startswith(ANNEX_WORD) | F.col("text").startswith(BIBLIOGRAPHY)
+    annex = marked & F.col("text").rlike(rf"^({ANNEX}|{BIBLIOGRAPHY})(?![\p{{L}}\p{{N}}_])")
+    digit = starts_with_digit(F.col("text"))
     x = b.withColumn("annexed", F.max(annex.cast("int")).over(by) == 1)
-    x = x.withColumn("h", heading_tail(F.regexp_extract("text", first, 2))).withColumn(
-        "top", F.col("text").rlike(first) & looks_like_heading(F.col("h.title")),
-    )
-    x = x.withColumn("n", F.when(~F.col("annexed") & F.col("top"), F.regexp_extract("text", first, 1).try_cast("int")))
+    x = x.withColumn("h", F.when(digit & F.col("text").rlike(first), heading_tail(F.regexp_extract("text", first, 2))))
+    top = F.col("h").isNotNull() & looks_like_heading(F.col("h.title"))
+    x = x.withColumn("n", F.when(~F.col("annexed") & top, F.regexp_extract("text", first, 1).try_cast("int")))
     # the fold "accept n if it is last + 1" keeps an ordered list of numbers, one for each standard: headings are few
     g = x.where("n is not null").groupBy("standard_id").agg(F.array_sort(F.collect_list(F.struct("block", "n"))).alias("h"))
     start = F.struct(F.lit(0).alias("last"), F.array().cast("array<int>").alias("at"))
@@ -198,7 +212,7 @@ def parse_blocks(b: DataFrame) -> DataFrame:
     x = x.join(acc, ["standard_id", "block"], "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
     x = x.withColumn("body", F.max(F.col("accepted").cast("int")).over(by) == 1)
     inside = F.col("body") & ~F.col("annexed")
-    rule = inside & F.col("n").isNull() & F.col("text").rlike(number)
+    rule = inside & F.col("n").isNull() & digit & F.col("text").rlike(number)
     part = F.when(F.col("annexed"), "annexes").when(F.col("body"), "normative_body").otherwise("front_matter")
     kind = F.when(F.col("accepted"), "section").when(rule, "rule").when(inside & F.col("n").isNotNull(), "example").otherwise("text")
     x = x.withColumn("kind", kind).withColumn(
