@@ -1,5 +1,6 @@
 """The whole jobs keep every issue apart and run every check."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from vellum.fixtures import fixture
@@ -183,3 +184,50 @@ def test_facts_of_bridges_equal_a_loop(spark):
     # texts aren't repeated for each place of a fact
     plan = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
     assert not [x for x in plan if "Generate explode(array_distinct(" in x and "content" in x.split(", false, [")[-1]]
+
+
+def test_saved_standards_are_few_folders_and_replace_their_own(spark, tmp_path):
+    """A save is one folder of each stage, however many standards it has; a standard that is saved again is the later one."""
+    from pathlib import Path
+
+    def lines(ids, text):
+        return spark.createDataFrame(
+            [(s, p, t) for s in ids for p, t in enumerate(["1 Общие положения", "", f"1.1 {text}", "", "Рисунки следует нумеровать."])],
+            "standard_id string, pos int, line string",
+        )
+
+    root = str(tmp_path / "standards")
+    ids = [f"g{i}" for i in range(60)]
+    stages = ("parsed", "rules")
+    wanted = lambda made: {k: made[k] for k in stages}
+    E.save_standard(wanted(E.ingest_standard(lines(ids, "Рисунки нумеруют"))), root)
+    assert len([x for x in Path(root, "rules").iterdir() if x.is_dir()]) == 1
+    E.save_standard(wanted(E.ingest_standard(lines(["g7"], "Таблицы нумеруют"))), root)
+    got = {r.standard_id: r.title for r in E.load_standard(spark, root, stages=stages)["rules"].collect()}
+    assert got == {s: "Таблицы нумеруют" if s == "g7" else "Рисунки нумеруют" for s in ids}
+    one = E.load_standard(spark, root, "g7", stages)
+    assert {s: [r.standard_id for r in one[s].select("standard_id").distinct().collect()] for s in stages} == {s: ["g7"] for s in stages}
+    with pytest.raises(FileNotFoundError):
+        E.load_standard(spark, root, "g60", stages)
+
+
+def test_a_standard_saved_without_rules_has_none(spark, tmp_path):
+    root = str(tmp_path / "standards")
+    for text in ("1.1 Рисунки нумеруют", "Рисунки нумеруют"):
+        rows = [("g", p, t) for p, t in enumerate(["1 Общие положения", "", text])]
+        made = E.ingest_standard(spark.createDataFrame(rows, "standard_id string, pos int, line string"))
+        E.save_standard({"rules": made["rules"], "parsed": made["parsed"]}, root)
+    assert E.load_standard(spark, root, "g", ("rules",))["rules"].count() == 0
+
+
+def test_a_long_heading_is_cut_in_one_pass(spark):
+    """Work grows with the words; a title of 20,000 of them took their square."""
+    from time import monotonic
+
+    from vellum.operators.standards import heading_tail
+
+    df = spark.createDataFrame([("ИТОГ " * 20_000 + "слово Конец строки",)], "t string")
+    began = monotonic()
+    h = df.select(heading_tail(F.col("t")).alias("h")).first().h
+    assert h.tail == "Конец строки" and len(h.title) == 5 * 20_000 + 5
+    assert monotonic() - began < 20

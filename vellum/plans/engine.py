@@ -5,6 +5,8 @@ Each is one lazy plan over many documents; the only Python workers are those tha
 
 from __future__ import annotations
 
+import time
+import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -192,9 +194,12 @@ def analyze(c: Corpus, known_standards: list[str] | None = None) -> DataFrame:
 
 
 def ingest_standard(lines: DataFrame) -> dict[str, DataFrame]:
-    """(standard_id, pos, line) to clean blocks, parsed blocks, rules and the graph; each may be written as a table by standard_id."""
-    b = standards.clean_blocks(lines)
-    p = standards.parse_blocks(b)
+    """(standard_id, pos, line) to clean blocks, parsed blocks, rules and the graph.
+
+    Clean and parsed blocks are written once, for all that follows reads them.
+    """
+    b = written(standards.clean_blocks(lines), "blocks")
+    p = written(standards.parse_blocks(b), "parsed")
     r = standards.rules(p)
     s = standards.sections(p)
     e = graph.follows(s).unionByName(graph.membership(r)).unionByName(graph.rule_chains(r)).unionByName(graph.links(r)).unionByName(graph.prerequisites(r))
@@ -214,22 +219,42 @@ def build_index(
     }
 
 
-def save_standard(artifacts: DataFrame | dict[str, DataFrame], root: str) -> None:
-    """The artifacts of ingest_standard() as Parquet below root, a folder for each stage, by standard_id."""
-    for stage, df in artifacts.items():
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("standard_id").parquet(f"{root}/{stage}")
+STAGES = ("blocks", "parsed", "rules", "nodes", "edges")
 
 
-STAGES = ("blocks", "parsed", "rules", "nodes", "edges")
+def save_standard(artifacts: dict[str, DataFrame], root: str) -> None:
+    """The artifacts of ingest_standard() as Parquet below root, for load_standard(): they replace what is there of their standards.
+
+    A save is a folder of each stage, whatever number of standards it has, its rows in the order of standards within a file.
+    root/standards says which stages of which standards a save holds; it is written last, so a save that failed doesn't count.
+    """
+    spark = next(iter(artifacts.values())).sparkSession
+    save = uuid.uuid4().hex
+    for stage, df in artifacts.items():
+        df.sortWithinPartitions("standard_id").write.parquet(f"{root}/{stage}/save={save}")
+    every = [spark.read.parquet(f"{root}/{stage}/save={save}").select("standard_id") for stage in artifacts]
+    at = F.lit(time.time_ns()).alias("at")
+    names = reduce(DataFrame.unionByName, every).distinct().select("standard_id", at, F.explode(F.array(*map(F.lit, artifacts))).alias("stage"))
+    names.withColumn("save", F.lit(save)).write.partitionBy("stage", "save").mode("append").parquet(f"{root}/standards")
 
 
 def load_standard(spark, root: str, standard_id: str | None = None, stages: tuple[str, ...] = STAGES) -> dict[str, DataFrame]:
-    """What save_standard() wrote, of one standard or of all; one that isn't there is an error. stages: those that are wanted, parsed among them."""
-    out = {stage: spark.read.parquet(f"{root}/{stage}") for stage in stages}
-    if standard_id is not None:
-        out = {k: df.where(F.col("standard_id") == standard_id) for k, df in out.items()}
-        if not out["parsed"].head(1):
-            raise FileNotFoundError(f"no parsed standard {standard_id}")
+    """What save_standard() wrote last of one standard or of all; one that isn't there is an error. stages: those that are wanted."""
+    names = spark.read.parquet(f"{root}/standards")
+    one = F.lit(True) if standard_id is None else F.col("standard_id") == standard_id
+    if standard_id is not None and not names.where(one).head(1):
+        raise FileNotFoundError(f"no parsed standard {standard_id}")
+    out = {}
+    for stage in stages:
+        mine = names.where(F.col("stage") == stage)
+        saves = [r.save for r in mine.select("save").distinct().collect()]
+        if not saves:
+            raise FileNotFoundError(f"no {stage} below {root}")
+        df = spark.read.option("basePath", f"{root}/{stage}").parquet(*(f"{root}/{stage}/save={s}" for s in saves)).where(one)
+        if len(saves) > 1:
+            last = mine.where(one).groupBy("standard_id").agg(F.max_by("save", "at").alias("save"))
+            df = df.join(last, ["standard_id", "save"], "left_semi")
+        out[stage] = df.drop("save")
     return out
 
 
