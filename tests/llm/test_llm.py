@@ -437,6 +437,28 @@ def test_op5_recall_of_a_forest(spark):
     assert all(label[i] == label[q.component_id] for i, q in got.items())
 
 
+def test_op5_in_passes_keeps_no_copies(spark, monkeypatch):
+    """Many passes find what one finds; no table of vectors or of their leaves is left."""
+    from pathlib import Path
+
+    from vellum.sources.scratch import shared_dir
+
+    x = np.random.default_rng(7).normal(size=(600, 16))
+    x = np.r_[x, x + 0.1]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    top = Path(shared_dir(spark).removeprefix("file:"))
+
+    def run():
+        before = set(top.iterdir())
+        rows = sorted(map(tuple, forest.near_duplicates(df, trees=2).collect()))
+        return rows, {p.name.split("-")[1] for p in set(top.iterdir()) - before if list(p.glob("*.parquet"))}
+
+    one, left = run()
+    assert not left & {"vectors", "leaves", "listed", "trees"} and any(n for _, n, *_ in one)
+    monkeypatch.setattr(forest, "PASS", 1, raising=False)
+    assert run()[0] == one
+
+
 def test_op5_chunks_count_each_link_once():
     x = forest.unit(np.random.default_rng(0).normal(size=(200, 4)).tolist())
     one = forest.Tree(4, 2, 5).fit(x)
