@@ -231,3 +231,23 @@ def test_a_long_heading_is_cut_in_one_pass(spark):
     h = df.select(heading_tail(F.col("t")).alias("h")).first().h
     assert h.tail == "Конец строки" and len(h.title) == 5 * 20_000 + 5
     assert monotonic() - began < 20
+
+
+def test_rules_are_not_dealt_by_their_few_objects(spark):
+    """Most rules are about one of a few objects: a join dealt by these would read most of them in one task."""
+    from vellum.operators.formatting import rule_pick
+
+    rules = spark.range(1000).selectExpr(
+        "concat('g', id % 10) standard_id", "CAST(id AS INT) ord", "concat('r', id) rule_id", "'1.1' number", "'s' section_id", "'t' title",
+        "'c' content", "IF(id % 20 < 10, 'figure', 'table') object_type", "'numbering' constraint_type",
+    )
+    wanted = spark.createDataFrame([("figure", "numbering")], "object_type string, constraint_type string")
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the rules were many
+    try:
+        got = rule_pick(rules, wanted)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    assert "hashpartitioning(object_type" not in plan
+    assert got.count() == 10

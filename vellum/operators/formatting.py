@@ -144,7 +144,8 @@ def found(df: DataFrame, checks: list[tuple[str, str, Column]]) -> DataFrame:
 def rule_pick(rules: DataFrame, wanted: DataFrame) -> DataFrame:
     """For each standard and wanted (object_type, constraint_type): the rule of the object with the smallest number, among those with the constraint if there are any."""
     own = [c for c in ("standard_id",) if c in rules.columns]
-    j = wanted.join(rules, "object_type").withColumn("soft", rules["constraint_type"] == wanted["constraint_type"])
+    # what is wanted is a list of the program; dealt by the few types of objects, most rules would meet in one task
+    j = F.broadcast(wanted).join(rules, "object_type").withColumn("soft", rules["constraint_type"] == wanted["constraint_type"])
     w = W.partitionBy(*own, "object_type", wanted["constraint_type"]).orderBy(F.col("soft").desc(), number_key("number"), "ord")
     j = j.withColumn("n", F.row_number().over(w)).where("n = 1")
     quote = F.substring(squeeze(F.when(F.coalesce("content", F.lit("")) != "", F.col("content")).otherwise(F.col("title"))), 1, 280)
@@ -156,7 +157,7 @@ def rules_of_issues(rules: DataFrame) -> DataFrame:
     pairs = [(subtype, i, *pair) for subtype, some in RULE_OF.items() for i, pair in enumerate(some)]
     wanted = rules.sparkSession.createDataFrame(pairs, "subtype string, turn int, object_type string, constraint_type string")
     picked = rule_pick(rules, wanted.select("object_type", "constraint_type").distinct())
-    j = wanted.join(picked, ["object_type", "constraint_type"])
+    j = F.broadcast(wanted).join(picked, ["object_type", "constraint_type"])
     w = W.partitionBy("standard_id", "subtype").orderBy("turn")
     return j.withColumn("n", F.row_number().over(w)).where("n = 1").select("standard_id", "subtype", "rule_id", "quote")
 
