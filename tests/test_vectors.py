@@ -177,3 +177,33 @@ def test_short_texts_have_a_vector_where_asked(spark):
     assert {i: len(v) for i, v in got.items()} == {1: 256, 2: 256, 3: 256, 4: 0, 5: 256}
     assert np.allclose(got[3], by_definition("дом"), atol=1e-12) and all(abs(np.linalg.norm(got[i]) - 1) < 1e-9 for i in (1, 2, 5))
     assert pickle.loads(pickle.dumps(V.HashEmbedding(short=True))).short and not V.hash_embedding("A.")
+
+
+def test_all_cosines_in_blocks_equal_those_of_pairs(spark, monkeypatch):
+    """Null, empty, zero, infinite and differently long vectors are as cosine() has them, whatever the blocks."""
+    from vellum.functions.text import cosine
+
+    inf = float("inf")
+    x = [[1.0, 2.0], [2.0, 1.0], None, [], [0.0, 0.0], [1.0, None], [1.0, 2.0, 3.0], [inf, 1.0], [float("nan"), 1.0], [1e200, 1e200], [-3.0, 1.0]]
+    df = spark.createDataFrame(list(enumerate(x)), "id int, embedding array<double>")
+    q = df.selectExpr("id AS query_id", "embedding")
+    pairs = q.withColumnRenamed("embedding", "q").join(df).select("query_id", "id", F.round(cosine(F.col("q"), F.col("embedding")), 6))
+    want = sorted(map(repr, map(tuple, pairs.collect())))
+    for portion in (4, 2048):
+        monkeypatch.setattr(V, "QUERIES", portion)
+        assert sorted(map(repr, map(tuple, V.cosines(q, df, 6).collect()))) == want
+
+
+def test_products_of_few_queries_at_a_time(monkeypatch):
+    """The rows found don't depend on how many queries a task multiplies at once; its products never grow with all of them."""
+    from vellum.operators import vectors
+
+    r = np.random.default_rng(3)
+    q, x = r.normal(size=(50, 8)), r.normal(size=(300, 8))
+    mats = vectors._matrices([(i, v.tolist()) for i, v in enumerate(q)])
+    one = vectors._best(mats, list(range(300)), x.tolist(), 5, 6)
+    seen = []
+    monkeypatch.setattr(vectors, "TOGETHER", 7)
+    monkeypatch.setattr(np, "zeros", lambda shape, *a, f=np.zeros, **k: seen.append(shape) or f(shape, *a, **k))
+    assert vectors._best(mats, list(range(300)), x.tolist(), 5, 6) == one
+    assert max(shape[0] for shape in seen if isinstance(shape, tuple)) == 7
