@@ -251,3 +251,9 @@ def test_rules_are_not_dealt_by_their_few_objects(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
     assert "hashpartitioning(object_type" not in plan
     assert got.count() == 10
+
+
+def test_relations_that_many_checks_read_are_worked_out_once(spark):
+    c = E._settled(laid_out(spark))
+    assert all(df.inputFiles() for df in (c.sections, c.paragraphs, c.figures, c.tables))
+    assert all(c.more[k].inputFiles() for k in E.OFTEN if k in c.more)
