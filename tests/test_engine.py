@@ -141,6 +141,24 @@ def test_a_failure_stays_with_its_document(spark):
     assert count(issues) == count(good) and len(count(good)) == 76
 
 
+def test_many_unreadable_documents_take_one_search(spark, monkeypatch):
+    """A third of the documents fails, with no search by halves; nulls, empty texts and a null doc_id stay what they are."""
+    rows = [(i, f"1 Раз\n\nкороче говоря, текст {i}") for i in range(60)]
+    c, good = texts(spark, *rows), texts(spark, *[x for x in rows if x[0] % 3])
+    c.paragraphs = c.paragraphs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.raise_error(F.lit("poisoned"))).otherwise(F.col("text")))
+    ran = []
+    monkeypatch.setattr(E.style, "check_style", lambda s, p, f=E.style.check_style: ran.append(1) or f(s, p))
+    issues, agents = E.run_agents(c, ("style_agent",))
+    assert {x.doc_id for x in agents.collect() if x.error} == set(range(0, 60, 3)) and len(ran) == 2
+    assert sorted(issues.drop("issue_id").collect()) == sorted(E.run_agents(good, ("style_agent",))[0].drop("issue_id").collect())
+    odd = spark.createDataFrame([(1, "", None, 1.5, True), (None, None, 7, float("nan"), None), (2, "é\x00", -1, -0.0, False)], "doc_id long, `a``b.c` string, n int, x double, y boolean")
+    same, bad = E._tried(odd, "odd")
+    assert same.schema == odd.schema and not bad.count() and sorted(map(str, same.collect())) == sorted(map(str, odd.collect()))
+    none = odd.withColumn("n", F.when(F.col("doc_id").isNull(), F.raise_error(F.lit("x"))).otherwise(F.col("n")))
+    left, bad = E.readable(E.Corpus(none, odd, odd, odd, odd), ("docs",))
+    assert [(x.doc_id, x.error) for x in bad.collect()] == [(None, "docs can't be read: n")] and left.docs.count() == left.tables.count() == 2
+
+
 def test_too_many_failures_end_the_search(spark):
     c = texts(spark, *[(i, "текст") for i in range(20)])
     done, failed = E.quarantined(c, lambda part: part.docs.select(F.raise_error(F.lit("broken")).cast("string").alias("x")), "none", splits=5)

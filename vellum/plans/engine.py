@@ -14,6 +14,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import assemble, fix, formatting, graph, parse, report, retrieve, standards, structure, style, vectors
 from ..operators.ask import ask as ask_provider
@@ -97,6 +98,8 @@ def fixed_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return docx.edited(files, plan), plan
 
 
+#: Relations of a corpus without layouts; an agent reads docs, sections and paragraphs, or all.
+READ = ("docs", "sections", "paragraphs", "figures", "tables")
 AGENTS = ("structure_agent", "rag_agent", "style_agent", "logic_agent")
 
 
@@ -141,12 +144,65 @@ def quarantined(c: Corpus, run, name: str, splits: int = SPLITS) -> tuple[list[D
         except (PySparkException, Py4JJavaError) as why:
             broken += 1
             if broken >= splits or bits >= 60 or bits and len(part.docs.select("doc_id").distinct().limit(2).collect()) < 2:
-                failed.append((bits, value, str(why).split("\n")[0]))
+                known = "" if broken < splits else f"one of several documents after {splits} failed runs: "
+                failed.append((bits, value, known + str(why).split("\n")[0]))
             else:
                 open_ += [(bits + 1, value), (bits + 1, value + (1 << bits))]
     return done, failed
 
 
+def _tried(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(df, (doc_id, error) of documents with a value that can't be worked out): one pass over df, whose failing values are null.
+
+    try_to_binary is null where its argument fails. It reads 00 for a null, 01 and its text for another value; nested values and times are read as they are.
+    """
+    plain = (T.StringType, T.BooleanType, T.NumericType, T.DateType)
+    kinds = {f.name: f.dataType for f in df.schema if f.name != "doc_id" and isinstance(f.dataType, plain)}
+    own = lambda c: "`" + c.replace("`", "``") + "`"
+    x = written(
+        df.select(*(F.expr(f"try_to_binary(coalesce(concat('01', hex(cast({own(c)} as string))), '00'), 'hex')").alias(c) if c in kinds else F.col(own(c)) for c in df.columns)), name,
+    )
+    said = F.concat_ws(", ", *(F.when(F.col(own(c)).isNull(), F.lit(c)) for c in kinds))
+    bad = x.where(said != "").groupBy("doc_id").agg(F.concat(F.lit(f"{name} can't be read: "), F.min(said)).alias("error"))
+    values = (F.expr(f"CASE WHEN {own(c)} <> X'00' THEN cast(substring({own(c)}, 2) as string) END").cast(kinds[c]).alias(c) if c in kinds else F.col(own(c)) for c in df.columns)
+    return x.select(*values), bad
+
+
+def readable(c: Corpus, reads: tuple[str, ...]) -> tuple[Corpus, DataFrame]:
+    """(the corpus without documents that can't be read, the (doc_id, error) of those): its relations named by reads are read and written once."""
+    tried = {n: _tried(c.more[n] if n in c.more else getattr(c, n), n) for n in reads}
+    bad = written(reduce(DataFrame.unionByName, (b for _, b in tried.values())).groupBy("doc_id").agg(F.min("error").alias("error")), "unread")
+
+    def left(n: str, df: DataFrame) -> DataFrame:
+        df, no = (tried[n][0] if n in tried else df).alias("own"), bad.alias("no")
+        return df.join(no, F.col("own.doc_id").eqNullSafe(F.col("no.doc_id")), "left_anti")
+
+    own = {n: left(n, getattr(c, n)) for n in ("docs", "sections", "paragraphs", "figures", "tables")}
+    return Corpus(**own, more={n: left(n, df) for n, df in c.more.items()}, rules=c.rules), bad
+
+
+def isolated(c: Corpus, run, name: str, reads: tuple[str, ...]) -> tuple[list[DataFrame], list[tuple[int, int, str]], DataFrame | None]:
+    """quarantined(), and the (doc_id, error) of documents that can't be read.
+
+    Where a run over all documents fails, those with a value that can't be read in the relations named by reads are found in one pass,
+    whatever their number; the others are run again, and only a failure in a check itself is searched for by halves.
+    """
+    try:
+        return [written(run(c), name)], [], None
+    except AnalysisException:
+        raise
+    except (PySparkException, Py4JJavaError):
+        pass
+    bad = None
+    try:
+        c, bad = readable(c, reads)
+    except AnalysisException:
+        raise
+    except (PySparkException, Py4JJavaError):
+        pass  # what fails below a shuffle fails for the whole relation
+    return *quarantined(c, run, name), bad
+
+
 def run_agents(c: Corpus, agents: tuple[str, ...] = AGENTS) -> tuple[DataFrame, DataFrame]:
     """(issues, agent_status): every agent in order; a document that an agent fails on has that agent's error, all others its issues.
 
@@ -164,11 +220,14 @@ def run_agents(c: Corpus, agents: tuple[str, ...] = AGENTS) -> tuple[DataFrame,
     def logic_issues(c: Corpus):
         return as_issues(style.check_logic(c.docs), "logic", "logic_agent")
 
-    out, status = None, []
+    out, status, unread = None, [], []
     for rank, (agent, run) in enumerate(zip(AGENTS, (structure_issues, rag_issues, style_issues, logic_issues), strict=True)):
         if agent not in agents:
             continue
-        done, failed = quarantined(c, lambda part, r=run, k=rank: r(part).withColumn("ord", F.coalesce("ord", F.lit(0)) + k * 100_000_000), agent)
+        reads = {"style_agent": READ[1:3], "logic_agent": READ[:1], "structure_agent": READ[:3]}.get(agent, (*READ, *c.more))
+        done, failed, bad = isolated(c, lambda part, r=run, k=rank: r(part).withColumn("ord", F.coalesce("ord", F.lit(0)) + k * 100_000_000), agent, reads)
+        if bad is not None:
+            unread.append(bad.select("doc_id", F.lit(agent).alias("agent"), F.col("error").alias("unread")))
         error = F.lit(None).cast("string")
         for bits, value, why in failed:
             error = F.when(F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)) == value, why).otherwise(error)
@@ -178,6 +237,9 @@ def run_agents(c: Corpus, agents: tuple[str, ...] = AGENTS) -> tuple[DataFrame,
     if out is None:
         out = as_issues(style.check_logic(c.docs), "logic", "logic_agent").where(F.lit(False))
     told = c.docs.select("doc_id", F.explode(F.array(*status)).alias("s")).select("doc_id", "s.agent", "s.error")
+    if unread:
+        a, b = told.alias("a"), reduce(DataFrame.unionByName, unread).alias("b")
+        told = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.agent") == F.col("b.agent")), "left").select("a.doc_id", "a.agent", F.coalesce("b.unread", "a.error").alias("error"))
     return out, told
 
 
