@@ -160,3 +160,38 @@ def test_body_text_is_justified_line_by_line(spark):
     forms = spark.createDataFrame([], "doc_id string, ord int, paragraph_index int, text string, equation_number string, raw_equation_number string, appendix_letter string, is_standalone boolean, next_text string")
     plan = fix.edits_of(issues, layout, forms).select("doc_id", "paragraph_index", "op", "arg")
     assert sorted(map(tuple, plan.collect())) == [("d", 1, "align", "justify"), ("d", 2, "align", "justify"), ("d", 5, "align", "center")]
+
+
+def test_rows_are_placed_by_one_sort_and_one_squeeze(spark, capsys):
+    """Starts of lines tell what whole lines would; a text is squeezed in one column, and a formula looks ahead once."""
+    from pyspark.sql import functions as F
+
+    from vellum.functions.text import squeeze
+    from vellum.operators import assemble, parse
+
+    said = [
+        "Приложение А " + "слово " * 20, "приложение Б", "Приложениеб", "Приложение Аб", "Рисунок 7 — " + "вид " * 30, "рис.12", "Рисунки", "Таблица\t\tА.1 " + "х" * 40, "таблица 2", "Таблица А",
+        "  Введение ", "Список  использованных\nисточников", "1.2 " + "Т" * 196, "1.2 " + "Т" * 197, "y = kx + 1 (2)", "y = x", "текст", "", None, " ",
+    ]
+    facts = spark.createDataFrame([("d", "paragraph", i, t) for i, t in enumerate(said, 1)], "doc_id string, kind string, i int, text string")
+    facts = facts.selectExpr("doc_id", "kind", "i", "text", *(f"cast(null as {t}) as {n}" for n, t in (x.split() for x in docx.FACTS.split(", ")) if n not in ("doc_id", "kind", "i", "text")))
+    x = assemble.placed(facts.fillna(False, ["drawing", "has_math"]))
+    for p in (parse.APPENDIX, parse.FIGURE, parse.TABLE):
+        assert x.where(F.left("t", F.lit(assemble.LONGEST_START)).rlike(p) != squeeze("text").rlike(p)).count() == 0
+    kinds = [r.kind for r in x.orderBy("pos").collect()]
+    assert kinds == ["heading"] * 2 + ["para"] * 2 + ["figure"] * 2 + ["para"] + ["table"] * 2 + ["para"] + ["heading"] * 3 + ["para"] + ["formula"] * 2 + ["para"] + ["blank"] * 3
+    x.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Sort [") == 1
+    x.explain("extended")
+    assert capsys.readouterr().out.split("== Optimized")[1].split("== Physical")[0].count("regexp_replace(") <= 2
+    assemble.corpus(facts.fillna(False, ["drawing", "has_math"]))["formulas"].explain()
+    assert "unboundedfollowing" not in capsys.readouterr().out
+
+
+def test_a_footer_is_read_once_for_equal_files():
+    page = {"page_field": True, "footer_alignment": "right"}
+    content = docx.compose([{"text": "слово"}], page)
+    docx._remembered.cache_clear()
+    rows = [[f for f in docx.facts(content) if f["kind"] == "section"][0] for _ in range(3)]
+    assert docx._remembered.cache_info().misses == 1 and all(r["page_field"] and r["footer_alignment"] == "right" for r in rows)

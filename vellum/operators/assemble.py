@@ -12,11 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import folded, squeeze
+from ..sources import docx
 from ..sources.scratch import written
 from . import parse
 
 #: Fixed value: styles of headings.
 HEADING_STYLE = r"(?iu)^(heading|заголовок)"
+#: Facts of page parts, which no paragraph or table has.
+OF_PAGES = [x.split()[0] for x in docx.PAGE.split(", ")]
+#: More characters of a squeezed text than decide whether it is a caption or an appendix.
+LONGEST_START = 24
 
 
 def _numbered(c: Column) -> tuple[Column, Column]:
@@ -32,15 +37,17 @@ def placed(facts: DataFrame) -> DataFrame:
     grid (a table itself), blank, para.
     """
     by = W.partitionBy("doc_id").orderBy("i", "grid", "table_index")
-    x = facts.where("kind in ('paragraph', 'table')").withColumn("grid", F.col("kind") == "table").withColumn("pos", F.row_number().over(by))
-    t = squeeze(F.coalesce("text", F.lit("")))
+    x = facts.where("kind in ('paragraph', 'table')").drop("row_index", "cell_index", "error", *OF_PAGES).withColumn("grid", F.col("kind") == "table")
+    x = x.withColumn("pos", F.row_number().over(by)).withColumn("t", squeeze(F.coalesce("text", F.lit(""))))
+    # below, t is a column of its own, squeezed once for all patterns; starts are told by a line's first characters, t has no other space than " "
+    t, start = F.col("t"), F.left(F.col("t"), F.lit(LONGEST_START))
     styled = F.coalesce("style", F.lit("")).rlike(HEADING_STYLE)
-    head = styled | folded("text").isin(parse.UNNUMBERED) | t.rlike(parse.APPENDIX) | t.rlike(parse.HEADING) & (F.length(t) <= 200)
+    head = styled | (F.length(t) <= 40) & folded(t).isin(parse.UNNUMBERED) | start.rlike(parse.APPENDIX) | (F.length(t) <= 200) & t.rlike(parse.HEADING)
     kind = F.when(F.col("grid"), "grid").when((t == "") & F.col("drawing"), "drawing").when((t == "") & F.col("has_math"), "formula").when(t == "", "blank")
-    kind = kind.when(styled, "heading").when(t.rlike(parse.FIGURE), "figure").when(t.rlike(parse.TABLE), "table")
-    kind = kind.when(F.col("has_math") | parse.looks_like_formula(t) & parse.is_standalone_formula(t), "formula").when(head, "heading").otherwise("para")
-    x = x.withColumn("t", t).withColumn("kind", kind)
-    return x.withColumn("sec", F.sum((F.col("kind") == "heading").cast("int")).over(W.partitionBy("doc_id").orderBy("pos")))
+    kind = kind.when(styled, "heading").when(start.rlike(parse.FIGURE), "figure").when(start.rlike(parse.TABLE), "table")
+    kind = kind.when(F.col("has_math") | parse.squeezed_formula(t) & parse.squeezed_standalone(t), "formula").when(head, "heading").otherwise("para")
+    # the same order as that of pos: rows are sorted once
+    return x.withColumn("kind", kind).withColumn("sec", F.sum((F.col("kind") == "heading").cast("int")).over(by.rowsBetween(W.unboundedPreceding, 0)))
 
 
 def sections(x: DataFrame) -> DataFrame:
@@ -86,7 +93,8 @@ def corpus(facts: DataFrame) -> dict[str, DataFrame]:
     )
     near = near.join(first, ["doc_id", "table_index"], "left")
     around = x.where("kind <> 'grid'").withColumn("prev", F.lag("kind").over(by)).withColumn("next", F.lead("kind").over(by))
-    later = F.first(F.when(F.col("t") != "", F.col("t")), True).over(by.rowsBetween(1, W.unboundedFollowing))
+    # one look ahead for each row; a frame of all later rows would be read again for each
+    later = F.expr("lead(CASE WHEN t <> '' THEN t END) IGNORE NULLS OVER (PARTITION BY doc_id ORDER BY pos)")
     forms = around.withColumn("next_text", F.coalesce(later, F.lit(""))).where("kind = 'formula'").withColumn("n", nth)
     forms = parse.formula_numbers(forms.withColumn("text", F.col("t")))
     pages = facts.where("kind = 'section'")
