@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.scratch import shared_dir
+from ..sources.scratch import shuffles_removed as shuffles_removed
 
 #: Stands for a null identifier inside the operators: larger than any other, so it never counts as "smaller".
 NO_ID = 2**63 - 1
@@ -42,18 +41,6 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """What is run inside leaves no shuffle files behind: they go with each query, not with the driver's next collection of garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-
-
 def made() -> int:
     """How many intermediate tables there are so far."""
     return len(_MADE)

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ..operators import assemble, fix, formatting, graph, parse, report, retrieve, standards, structure, style, vectors
 from ..operators.ask import ask as ask_provider
 from ..sources import docx
-from ..sources.scratch import written
+from ..sources.scratch import discard, made, shuffles_removed, written
 
 ISSUES = [
     "doc_id", "ord", "issue_id", "type", "subtype", "severity", "message", "section_id", "paragraph_id",
@@ -187,20 +187,26 @@ def isolated(c: Corpus, run, name: str, reads: tuple[str, ...]) -> tuple[list[Da
     Where a run over all documents fails, those with a value that can't be read in the relations named by reads are found in one pass,
     whatever their number; the others are run again, and only a failure in a check itself is searched for by halves.
     """
-    try:
-        return [written(run(c), name)], [], None
-    except AnalysisException:
-        raise
-    except (PySparkException, Py4JJavaError):
-        pass
-    bad = None
-    try:
-        c, bad = readable(c, reads)
-    except AnalysisException:
-        raise
-    except (PySparkException, Py4JJavaError):
-        pass  # what fails below a shuffle fails for the whole relation
-    return *quarantined(c, run, name), bad
+    spark = c.docs.sparkSession
+    with shuffles_removed(spark):
+        try:
+            return [written(run(c), name)], [], None
+        except AnalysisException:
+            raise
+        except (PySparkException, Py4JJavaError):
+            pass
+        first, bad = made(), None
+        try:
+            c, bad = readable(c, reads)
+        except AnalysisException:
+            raise
+        except (PySparkException, Py4JJavaError):
+            pass  # what fails below a shuffle fails for the whole relation
+        # the table of bad documents is the last one and stays
+        stop = made() - (bad is not None)
+        done, failed = quarantined(c, run, name)
+        discard(spark, first, stop)
+        return done, failed, bad
 
 
 def run_agents(c: Corpus, agents: tuple[str, ...] = AGENTS) -> tuple[DataFrame, DataFrame]:
