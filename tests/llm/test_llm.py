@@ -358,6 +358,30 @@ def test_op6_learns_two_words_together():
     assert np.mean((p >= 0.3) == [y == 1 for _, y in sample[2000:]]) > 0.95
 
 
+def test_op6_windows_are_compressed_together(monkeypatch):
+    """One call takes the windows of many texts, and each is as long as if compressed by itself."""
+    r = random.Random(4)
+    some = ["w" + "".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(200)]
+    texts = ["", " \n", "x", "a b", *(" ".join(r.choices(some, k=r.randint(1, 60))) for _ in range(200)), " ".join(r.choices(some, k=5000)), "y" * 30_000, "z"]
+    ordinary, own = " ".join(some).encode(), " ".join(some[10:14]).encode()
+    d = compression.Distance(ordinary, own + ordinary)
+    single = [k.__self__.compress for k in d._compressors()]
+    monkeypatch.setattr(compression, "PORTION", 20_000)
+    calls = []
+    d.pair = [lambda x, k=k: calls.append(len(x)) or k(x) for k in d._compressors()]
+    got, total = d.features(map(compression.words, texts)), 0
+    assert len(got) == len(texts)
+    for t, row in zip(texts, got):
+        w = t.lower().encode().split()
+        cut = [b" " + b" ".join(w[i : i + 4]) + b" " if w else b" " for i in range(0, max(len(w) - 1, 1), 3)]
+        diff = sorted((max(len(single[0](x + compression.PAD)) - len(single[1](x + compression.PAD)), 0) for x in cut), reverse=True)
+        total += len(cut)
+        counts = [sum(x >= n for x in diff) for n in compression.THRESHOLDS]
+        assert row.tolist() == pytest.approx([*(diff + [0, 0, 0])[:3], *np.log1p(counts), np.log1p(len(w))])
+    assert got[:, 0].max() > 0 and sum(calls) == 2 * total and len(calls) < total / 20
+    assert len(compression.Model(d, np.zeros(10)).scores([])) == 0
+
+
 def test_hinge_weights_solve_the_dual():
     """Dual coordinate descent against plain subgradient steps on the same objective."""
     r = np.random.default_rng(2)

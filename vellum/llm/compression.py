@@ -25,7 +25,8 @@ gives an empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ WINDOW = 4
 #: Bytes that a compressor matches at least.
 MATCH = 4
 PAD = b" " * 64
+#: Bytes of windows that are compressed by one call; a window is never cut.
+PORTION = 1 << 20
 #: Bytes of difference that windows are counted by.
 THRESHOLDS = (1, 2, 3, 4, 6)
 #: A run that is so many times as frequent in toxic documents is a mistake of the labels in ordinary ones.
@@ -55,13 +58,10 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def windows(w: list[bytes], size: int = WINDOW) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """(text, starts, stops): runs of `size` words with the spaces around them; each begins at the last word of the one before."""
-    text = b" " + b" ".join(w) + b" "
-    at = np.zeros(len(w) + 1, np.int64)
-    np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1, out=at[1:])
-    first = np.arange(0, max(len(w) - 1, 1), size - 1)
-    return text, at[first], at[np.minimum(first + size, len(w))] + 1
+def windows(w: list[bytes], size: int = WINDOW, end: bytes = b"") -> Iterator[bytes]:
+    """Runs of `size` words with the spaces around them, then `end`; each begins at the last word of the one before."""
+    for i in range(0, max(len(w) - 1, 1), size - 1):
+        yield b" ".join((b"", *w[i : i + size], end))
 
 
 class Distance:
@@ -85,21 +85,38 @@ class Distance:
             data = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if d else None
             if data:
                 data.precompute_compress(compression_params=p)
-            made.append(zstandard.ZstdCompressor(dict_data=data, compression_params=p).compress)
+            made.append(zstandard.ZstdCompressor(dict_data=data, compression_params=p).multi_compress_to_buffer)
         return made
 
-    def __call__(self, w: list[bytes]) -> list[int]:
-        """The differences of all windows of a text."""
+    def __call__(self, some: list[bytes]) -> list[int]:
+        """The differences of padded windows, which are compressed by one call for each dictionary."""
         if self.pair is None:
             self.pair = self._compressors()
-        text, start, stop = windows(w)
-        a, b = self.pair
-        return [len(a(x)) - len(b(x)) for x in (text[i:j] + PAD for i, j in zip(start.tolist(), stop.tolist(), strict=True))]
-
-    def features(self, w: list[bytes]) -> list[float]:
-        d = sorted((x for x in self(w) if x > 0), reverse=True)
-        top = d[:TOP] + [0] * (TOP - len(d))
-        return [*map(float, top), *(math.log1p(sum(x >= t for x in d)) for t in THRESHOLDS), math.log1p(len(w))]
+        a, b = (map(len, k(some)) for k in self.pair)
+        return list(map(int.__sub__, a, b))
+
+    def features(self, texts: Iterable[list[bytes]]) -> np.ndarray:
+        """A row for each text; its windows are compressed with those of other texts, PORTION bytes at a time."""
+        sizes, found, some, held = [], array("i"), [], 0
+        for w in texts:
+            many = 0
+            for x in windows(w, end=PAD):
+                some.append(x)
+                held += len(x)
+                many += 1
+                if held >= PORTION:
+                    found.extend(self(some))
+                    some, held = [], 0
+            sizes.append((len(w), many))
+        if some:
+            found.extend(self(some))
+        out, at = np.empty((len(sizes), TOP + len(THRESHOLDS) + 1)), 0
+        for k, (n, many) in enumerate(sizes):
+            d = sorted((x for x in found[at : at + many] if x > 0), reverse=True)
+            at += many
+            top = d[:TOP] + [0] * (TOP - len(d))
+            out[k] = [*top, *(math.log1p(sum(x >= t for x in d)) for t in THRESHOLDS), math.log1p(n)]
+        return out
 
 
 def dictionary(samples: list[bytes]) -> bytes:
@@ -189,9 +206,9 @@ class Model:
         self.distance, self.curve = distance, curve
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        if self.distance is None or not texts:
+        if self.distance is None:
             return probability(np.zeros((len(texts), 1)), self.curve)
-        return probability(np.array([self.distance.features(words(t)) for t in texts]), self.curve)
+        return probability(self.distance.features(map(words, texts)), self.curve)
 
 
 def fit(sample: list[tuple[bytes, int]], counts: list[int]) -> Model:
@@ -205,13 +222,14 @@ def fit(sample: list[tuple[bytes, int]], counts: list[int]) -> Model:
     learn = [s for s, later in zip(sample, part, strict=True) if not later]
     specific = specific_runs(learn)
     marked = {r for r, _, foreign in specific if foreign}
-    plain = [text[i:j] for t, k in learn if not k for text, at, to in [windows(t.split(), 2 * WINDOW)] for i, j in zip(at.tolist(), to.tolist(), strict=True)]
-    ordinary = dictionary([x for x in plain if marked.isdisjoint(runs_of(x.split()))])
+    plain = [x for t, k in learn if not k for x in windows(t.split(), 2 * WINDOW)]
+    heads = {r.split()[0] for r in marked}  # a window without one has no run to look for
+    ordinary = dictionary([x for x in plain for w in [x.split()] if heads.isdisjoint(w) or marked.isdisjoint(runs_of(w))])
     many = [b" " + r + b" " for r, df, _ in specific for _ in range(df)]
     width = max(1, len(many) // 8)
     distance = Distance(ordinary, dictionary([b"".join(many[i::width]) for i in range(width)]) + ordinary)
     use = np.flatnonzero(part) if part.any() else np.arange(len(y))
-    x = np.array([distance.features(sample[i][0].split()) for i in use])
+    x = distance.features(sample[i][0].split() for i in use)
     own = np.array([counts[k] / max((y == k).sum(), 1) for k in (0, 1)])
     pull = own[y[use]] * len(use) / own[y[use]].sum()
     return Model(Distance(*distance.parts), fit_logistic(x, y[use], pull, ridge=0.1))
