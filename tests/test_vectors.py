@@ -179,6 +179,24 @@ def test_short_texts_have_a_vector_where_asked(spark):
     assert pickle.loads(pickle.dumps(V.HashEmbedding(short=True))).short and not V.hash_embedding("A.")
 
 
+def test_every_text_has_a_vector_where_asked(spark):
+    """Two words of one bucket, one weight and opposite signs cancel out; a blank text has nothing to count."""
+    e = V.HashEmbedding(every=True)
+    first: dict = {}
+    for w in (a + b for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"):
+        bucket, weight = e._signed(w)
+        first.setdefault((bucket, weight), w)
+    gone = next(f"{w} {first[b, -x]}" for (b, x), w in first.items() if (b, -x) in first)
+    df = spark.createDataFrame([(1, gone), (2, " "), (3, None), (4, "дом"), (5, f"{gone} дом")], "i int, text string")
+    got = {x.i: x.embedding for x in V.embedded(df, "i", V.HashEmbedding(short=True, every=True)).collect()}
+    assert not V.hash_embedding(gone) and not V.HashEmbedding(short=True)(gone)
+    assert all(len(v) == 256 and abs(np.linalg.norm(v) - 1) < 1e-9 for v in got.values())
+    assert np.allclose(got[4], by_definition("дом"), atol=1e-12) and np.allclose(got[5], by_definition(f"{gone} дом"), atol=1e-12)
+    e.STEP = 2  # places are those of the whole batch
+    assert np.allclose(e.batch(["дом дом", "x y", gone, "дом"])[2], got[1], atol=1e-12)
+    assert pickle.loads(pickle.dumps(e)).every
+
+
 def test_all_cosines_in_blocks_equal_those_of_pairs(spark, monkeypatch):
     """Null, empty, zero, infinite and differently long vectors are as cosine() has them, whatever the blocks."""
     from vellum.functions.text import cosine

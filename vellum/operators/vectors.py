@@ -26,6 +26,7 @@ class HashEmbedding:
     """Signed hashed words (two letters or more) and trigrams of longer words, weighted by length, of unit norm; [] without any.
 
     short: a text without a word of two letters counts its words of one, or its characters where it has no word at all.
+    every: every text has a vector: one without any, be it blank or be it that what it counts cancels out, is one word as a whole.
     A word's buckets and weights are worked out once for each worker; a batch of texts is one count over (text, bucket).
     """
 
@@ -33,12 +34,12 @@ class HashEmbedding:
     #: Words that a worker remembers, and words of texts that are counted at once.
     MEMO, STEP = 500_000, 200_000
 
-    def __init__(self, dim: int = DIMENSION, short: bool = False):
-        self.dim, self.short = dim, short
+    def __init__(self, dim: int = DIMENSION, short: bool = False, every: bool = False):
+        self.dim, self.short, self.every = dim, short, every
         self._clear()
 
     def __reduce__(self):
-        return HashEmbedding, (self.dim, self.short)
+        return HashEmbedding, (self.dim, self.short, self.every)
 
     def _words(self, text: str | None) -> list[str]:
         t = (text or "").lower().replace("ё", "е")
@@ -87,6 +88,10 @@ class HashEmbedding:
             nonlocal own, total
             if own:
                 v = self._sums(own)
+                if self.every:
+                    for i in np.flatnonzero(~v.any(axis=1)):
+                        bucket, weight = self._signed((texts[len(out) + i] or "").lower().replace("ё", "е"))
+                        v[i, bucket] = weight
                 norm = np.linalg.norm(v, axis=1)
                 out.extend(x / n if n else np.zeros(0) for x, n in zip(v, norm, strict=True))
             own, total = [], 0
