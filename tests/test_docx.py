@@ -195,3 +195,23 @@ def test_a_footer_is_read_once_for_equal_files():
     docx._remembered.cache_clear()
     rows = [[f for f in docx.facts(content) if f["kind"] == "section"][0] for _ in range(3)]
     assert docx._remembered.cache_info().misses == 1 and all(r["page_field"] and r["footer_alignment"] == "right" for r in rows)
+
+
+def test_files_are_read_and_checked_once(spark, monkeypatch):
+    """Issues are those of all checks at once; what relations were made from goes, and nothing is read again for the edits."""
+    from vellum.operators import formatting as K
+    from vellum.plans import engine as E
+    from vellum.sources import scratch
+
+    lines = [(d, n, t) for d in (1, 2) for n, t in enumerate(["1 Введение", "Текст короче говоря", "Рисунок 1 - Схема.", "Таблица 1 - Данные", "y = kx + 5 (1)"])]
+    files = docx.written(spark.createDataFrame(lines, "doc_id long, line int, text string"))
+    want = E.formatting_issues(E.read_files(files)).select("issue_id", "subtype").collect()
+    first, read = scratch.made(), []
+    monkeypatch.setattr(docx, "read_facts", lambda f, real=docx.read_facts: read.append(1) or real(f))
+    checked = E.checked_files(files)
+    assert sorted(map(tuple, checked[1].select("issue_id", "subtype").collect())) == sorted(map(tuple, want)) and len(want) > 4
+    left = [p for p in scratch._MADE[first:] if p]
+    assert not [p for p in left if "vellum-facts" in p or "vellum-placed" in p]
+    fixed, plan = E.fixed_files(files, checked)
+    assert fixed.count() == 2 and plan.count() and len(read) == 1
+    assert {len(x) for x in (K.CONTENTS, K.REFERENCES)} and K.missing_contents(*E._relations(checked[0])[:3], checked[0].more["para_layout"]).count() == 2
