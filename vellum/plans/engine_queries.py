@@ -289,10 +289,10 @@ for _name, _columns in _RELATIONS.items():
     )
 
 
-def _faults(c):
+def _faults(c, issues):
     """Issues that an edit answers, with the text at their place."""
     said = c.more["para_layout"].select("doc_id", "paragraph_index", "text")
-    i = E.formatting_issues(c).where(F.col("subtype").isin(*_MENDED))
+    i = issues.where(F.col("subtype").isin(*_MENDED))
     return i.join(said, ["doc_id", "paragraph_index"], "left").select("doc_id", "subtype", F.coalesce("text", F.lit("")).alias("text"))
 
 
@@ -301,10 +301,12 @@ _MENDED = [k for k in {**EDITS, **ALIGN} if k not in ("formula_not_standalone",
 
 
 def _mended(spark, d):
+    # the files are read and checked once for their faults and their edits; the edited ones are read as they are made
     before = files(spark, d)
-    faults = written(_faults(E.read_files(before)), "faults")
-    after, _ = E.fixed_files(before)
-    left = _faults(E.read_files(written(after, "files"))).distinct().withColumn("left", F.lit(1))
+    checked = E.checked_files(before)
+    faults = written(_faults(*checked), "faults")
+    after, _ = E.fixed_files(before, checked)
+    left = _faults(*E.checked_files(after)).distinct().withColumn("left", F.lit(1))
     found = faults.join(left, ["doc_id", "subtype", "text"], "left")
     return found.groupBy("subtype").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("left"), F.lit(0)).alias("n_left"))
 
