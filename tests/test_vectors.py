@@ -212,6 +212,18 @@ def test_all_cosines_in_blocks_equal_those_of_pairs(spark, monkeypatch):
         assert sorted(map(repr, map(tuple, V.cosines(q, df, 6).collect()))) == want
 
 
+def test_all_cosines_need_no_shuffle(spark):
+    """Vectors and queries are written once and meet without copies of them being dealt out."""
+    df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(9)], "id int, embedding array<double>").repartition(3)
+    found = V.cosines(df.selectExpr("id AS query_id", "embedding"), df, 6)
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 81
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(found.collect()) == sorted(V.cosines(df.selectExpr("id AS query_id", "embedding"), df, 6).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_products_of_few_queries_at_a_time(monkeypatch):
     """The rows found don't depend on how many queries a task multiplies at once; its products never grow with all of them."""
     from vellum.operators import vectors
