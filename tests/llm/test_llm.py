@@ -483,6 +483,22 @@ def test_op5_in_passes_keeps_no_copies(spark, monkeypatch):
     assert run()[0] == one
 
 
+def test_op5_lists_of_leaves_go_with_linked_vectors_only(spark, monkeypatch):
+    """Copies of vectors without links carry no lists, and those with links only the leaves where they have one."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=(700, 24))
+    x[1] = x[0] + 0.05 * r.normal(size=24)
+    seen = []
+    monkeypatch.setattr(forest, "_in_leaves", lambda rows, *a, real=forest._in_leaves: seen.append(rows) or real(rows, *a))
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = {q.vec_id: (q.n_links, q.component_id) for q in forest.near_duplicates(df).collect()}
+    assert got == {i: (1, 0) if i < 2 else (0, i) for i in range(700)}
+    assert len(seen) == 2 and seen[0].schema.names == ["id", "n", "dim", "v", "leaves"]
+    u, side = forest.unit(x), np.arange(700) % 2
+    want = (u @ u.T - np.eye(700) >= 0.9).any(axis=1)
+    assert (forest.linked(u, np.zeros(700, int)) == want).all() and (forest.linked(u, side) == want).all() and want.sum() == 2
+
+
 def test_op5_chunks_count_each_link_once():
     x = forest.unit(np.random.default_rng(0).normal(size=(200, 4)).tolist())
     one = forest.Tree(4, 2, 5).fit(x)
